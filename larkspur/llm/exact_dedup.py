@@ -176,10 +176,11 @@ def verify(df: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFra
     n = ids.count()
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("norm"))
     texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = texts.withColumn("digest", F.sha2("norm", 256))
+    texts = cut(texts.withColumn("digest", F.sha2("norm", 256)), "dedup-texts")
     reps = members.where("doc_id = max_id").select("doc_id", "digest").distinct()
     first = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.max("norm").alias("rep"))
-    return texts.join(first, "digest").where("norm != rep").select("doc_id", "digest", "norm")
+    # written first, so that both sides of the join are plain shuffles, whose hot digests AQE can split
+    return texts.join(cut(first, "dedup-representatives"), "digest").where("norm != rep").select("doc_id", "digest", "norm")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
