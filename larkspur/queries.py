@@ -1 +1,1100 @@
-QUERIES, ORACLE = {}, {}
+"""Registered queries: each applies library operators to whole tables, with the same result in SQL where it can be said in SQL.
+
+VIEWS are the stand-in inputs (survey responses, clips, experiment grids and so on) as select lists that
+both engines read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions import scores as S
+from larkspur.functions import text as T
+from larkspur.operators import models as M
+from larkspur.operators import rollup as R
+from larkspur.operators import screen as X
+from larkspur.operators import select as L
+from larkspur.operators import signal as G
+from larkspur.operators import similarity as E
+from larkspur.operators import stats as ST
+from larkspur.plans import manifest as P
+from larkspur.sources import io as IO
+
+ITEMS = ["pl", "ca", "vi", "un", "mo", "an", "ev", "ch"]
+_TYPE = "CASE l_suppkey % 6 WHEN 0 THEN 'bird' WHEN 1 THEN 'water' WHEN 2 THEN 'traffic' WHEN 3 THEN 'construction' WHEN 4 THEN 'wind' ELSE 'silence' END"
+_LADDER = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} <= -0.5 THEN 'very_unpleasant' WHEN {0} <= -0.15 THEN 'unpleasant' WHEN {0} <= 0.15 THEN 'neutral' WHEN {0} <= 0.5 THEN 'pleasant' ELSE 'very_pleasant' END"
+_SCORE = "(o_totalprice % 2000) / 1000 - 1"
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+VIEWS: dict[str, tuple[str, list[str]]] = {
+    "resp": ("lineitem", [
+        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS uid", "concat('S', CAST(l_partkey % 200 AS STRING)) AS base", f"{_TYPE} AS masker_type",
+        f"concat({_TYPE}, '_', CAST(l_linenumber AS STRING)) AS masker", "l_quantity / 10 - 2.5 AS smr", "l_suppkey AS participant", "CAST(l_orderkey % 8 - 1 AS INT) AS fold", "CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS is_attention",
+        "CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS pl", "1 + (l_partkey + l_suppkey) % 5 AS ca", "1 + (l_partkey * 3 + l_linenumber) % 5 AS vi", "1 + (l_suppkey * 2 + l_linenumber) % 5 AS un", "1 + (l_partkey + 2 * l_linenumber) % 5 AS mo", "1 + (l_suppkey + 1) % 5 AS an", "1 + l_orderkey % 5 AS ev", "1 + (l_orderkey + l_partkey) % 5 AS ch",
+        "40 + l_extendedprice % 45 AS la50", "l_discount AS disc", "l_tax AS tax", "l_quantity AS qty", "l_extendedprice AS price", "l_partkey % 40 AS part_group"]),
+    "clips": ("orders", [
+        "o_orderkey AS id", "concat('clip', CAST(o_orderkey AS STRING), '.wav') AS file", f"{_SCORE} AS score", f"{_LADDER.format('(' + _SCORE + ')')} AS bin", "CASE o_custkey % 5 WHEN 0 THEN 'bird' WHEN 1 THEN 'water' WHEN 2 THEN 'traffic' WHEN 3 THEN 'construction' ELSE 'wind' END AS masker",
+        "o_orderstatus AS side", "o_orderpriority AS prio", "3 + o_custkey % 58 AS dur", "o_custkey % 300 AS base", "o_custkey AS cust", "o_totalprice AS price"]),
+    "grid": ("events", [
+        "event_id", "user_id", "user_id % 4 AS seed", "event_type AS item", f"({_K} % 5) / 2 - 1 AS p", f"{_K} AS k", "value", "event_id % 3 AS lev", "event_id % 4 AS ckpt", "user_id % 50 AS clip", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS gappy"]),
+    "docs": ("documents", ["doc_id", "text", "lang", "source", "n_chars", "(n_chars % 200) / 100 - 1 AS s", "concat('https://creativecommons.org/', CASE doc_id % 5 WHEN 0 THEN 'publicdomain/zero' WHEN 1 THEN 'licenses/by-nc/3' WHEN 2 THEN 'licenses/by/4' WHEN 3 THEN 'sampling+' ELSE 'other' END) AS licence"]),
+    "cust": ("customer", ["c_custkey AS id", "c_name AS name", "c_nationkey AS nation", "c_acctbal / 10000 AS score", "c_mktsegment AS seg", "c_acctbal AS bal"]),
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    table, cols = VIEWS[name]
+    return spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(*cols)
+
+
+def register(sql: str | None = None, views: str = "", name: str | None = None):
+    """The function gets the named views (a table's name stands for itself) and gives the query's rows."""
+
+    def wrap(f):
+        names = views.split()
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return f(*(view(spark, sf, v) if v in VIEWS else spark.read.parquet(f"{sf}/{v}.parquet") for v in names))
+
+        key = name or f.__name__
+        QUERIES[key] = run
+        if sql is not None:
+            head = [f"{v} AS (SELECT {', '.join(VIEWS[v][1])} FROM {VIEWS[v][0]})" for v in names if v in VIEWS]
+            body = sql.strip()
+            if head:
+                body = f"WITH {', '.join(head)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+            ORACLE[key] = body
+        return f
+
+    return wrap
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, so that the order of sums doesn't show; minus zero as zero."""
+    return df.select(*((F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def q6(*exprs: str) -> str:
+    """`expr AS name` items rounded like r6."""
+    return ", ".join(f"round({e.rpartition(' AS ')[0]}, 6) + 0.0 AS {e.rpartition(' AS ')[2]}" for e in exprs)
+
+
+_C = "7.071067811865476e-1"
+_SPAN = "9.65685424949238e0"
+ISO_SQL = f"((pl - an) + {_C} * (ca - ch) + {_C} * (vi - mo)) / {_SPAN}"
+EV_SQL = f"((ev - un) + {_C} * (ch - ca) + {_C} * (vi - mo)) / {_SPAN}"
+VALID_SQL = "fold BETWEEN 0 AND 5 AND is_attention = 0 AND pl IS NOT NULL"
+FMT = "CASE WHEN printf('%.2f', {0}) = '-0.00' THEN '0.00' ELSE printf('%.2f', {0}) END"
+HASH = "md5(concat_ws('|', '{1}', CAST({0} AS VARCHAR)))"
+STIM_SQL = f"""stim AS (SELECT concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS stimulus_id, min(base) AS base, min(masker_type) AS masker_type, count(*) AS n_ratings, avg({ISO_SQL}) AS score, avg(la50) AS la50 FROM resp WHERE {VALID_SQL} GROUP BY 1)"""
+
+
+def stimuli(resp: DataFrame) -> DataFrame:
+    rows = X.valid_responses(resp, ITEMS).withColumn("stimulus_id", T.compound_key("base", "masker", "smr")).withColumn("score", S.iso_pleasant(*ITEMS))
+    return R.rollup(rows, ["stimulus_id"], ["score", "la50"], ["base", "masker_type"], "uid")
+
+
+# ---- projections
+
+
+@register(f"SELECT uid, {q6(f'{ISO_SQL} AS iso_p', f'{EV_SQL} AS iso_e', f'({_C} * (pl - an) + (ca - ch) + {_C} * (vi - mo)) / {_SPAN} AS iso_alt')}, {_LADDER.format('(' + ISO_SQL + ')')} AS bin FROM resp", "resp")
+def p1_circumplex_scores(resp):
+    return r6(resp.select("uid", S.iso_pleasant(*ITEMS).alias("iso_p"), S.iso_eventful(*ITEMS).alias("iso_e"), S.iso_pleasant_alt(*ITEMS).alias("iso_alt"), S.pleasantness_bin(S.iso_pleasant(*ITEMS)).alias("bin")))
+
+
+@register("SELECT uid, concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS key, split_part(masker, '_', 1) AS mt, base AS b, masker AS m, CAST(trunc(smr) AS INT) AS s FROM resp", "resp")
+def p2_p3_compound_keys(resp):
+    k = resp.withColumn("key", T.compound_key("base", "masker", "smr"))
+    b, m, s = T.split_key("key")
+    return k.select("uid", "key", T.masker_type("masker").alias("mt"), b.alias("b"), m.alias("m"), s.alias("s"))
+
+
+@register("""SELECT 'lab' AS src, uid AS key, la50, la50 - disc * 100 AS la10_la90, tax AS n5 FROM resp UNION ALL
+SELECT 'field', CAST(id AS VARCHAR), 50 + score * 10, bal / 100, CAST(nation AS DOUBLE) FROM cust""", "resp cust")
+def p4_harmonised_predictors(resp, cust):
+    """Two source schemas in one."""
+    a = resp.select(F.lit("lab").alias("src"), F.col("uid").alias("key"), "la50", (F.col("la50") - F.col("disc") * 100).alias("la10_la90"), F.col("tax").alias("n5"))
+    b = cust.select(F.lit("field").alias("src"), F.col("id").cast("string").alias("key"), (50 + F.col("score") * 10).alias("la50"), (F.col("bal") / 100).alias("la10_la90"), F.col("nation").cast("double").alias("n5"))
+    return a.unionByName(b)
+
+
+@register(f"""SELECT uid, CASE WHEN la50 < 50 THEN 'quiet' WHEN la50 < 60 THEN 'moderately quiet' WHEN la50 < 70 THEN 'moderately loud' WHEN la50 < 80 THEN 'loud' ELSE 'very loud' END AS loud5,
+CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS loud3 FROM resp""", "resp")
+def p6_p7_loudness_words(resp):
+    return resp.select("uid", S.loudness5("la50").alias("loud5"), S.loudness3("la50").alias("loud3"))
+
+
+_SCENES_SQL = ", ".join(f"('{m}', '{lv}', '{s}')" for (m, lv), s in T.SCENES.items())
+
+
+@register(f"""WITH sc(m, lv, scene) AS (VALUES {_SCENES_SQL}), x AS (SELECT uid, masker_type, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS lv FROM resp WHERE masker_type != 'silence' UNION ALL SELECT uid || '?', 'unknown', 'loud' FROM resp WHERE masker_type = 'silence')
+SELECT uid, coalesce(scene, x.lv || ' acoustic environment') AS scene, CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
+def p8_p9_scene_lookup(resp):
+    silent = F.col("masker_type") == "silence"
+    rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"), T.scene_of(F.when(silent, "unknown").otherwise(F.col("masker_type")), F.when(silent, "loud").otherwise(S.loudness3("la50"))).alias("s"))
+    return rows.select("uid", "s.scene", "s.confidence")
+
+
+@register(f"""SELECT id, concat('park soundscape with ', masker, CASE WHEN side = 'F' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS short_caption,
+concat('soundscape with ', CASE WHEN w = 'natural sounds' THEN w WHEN side = 'F' THEN w || ' and natural sounds' ELSE 'natural sounds and ' || w END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS harmonised
+FROM (SELECT *, CASE WHEN masker IN ('bird', 'water', 'wind') THEN 'natural sounds' WHEN masker = 'traffic' THEN 'traffic noise' ELSE 'other noise' END AS w FROM clips)""", "clips")
+def p11_p15_short_captions(clips):
+    fg = F.col("side") == "F"
+    return clips.select("id", T.caption_short("masker", fg, "score").alias("short_caption"), T.caption_harmonised("masker", fg, "score").alias("harmonised"))
+
+
+@register("""SELECT id, concat(prio, '. Loudness: ', loud, ' (LA50: ', CAST(round_even((price % 60 + 30) * 10, 0) / 10 AS VARCHAR), ' dB). Pleasantness: ', bin, ' (ISOPleasant: ', CAST(round_even(score * 100, 0) / 100 AS VARCHAR), ').') AS long_caption
+FROM (SELECT *, CASE WHEN price % 60 + 30 < 50 THEN 'quiet' WHEN price % 60 + 30 < 60 THEN 'moderately quiet' WHEN price % 60 + 30 < 70 THEN 'moderately loud' WHEN price % 60 + 30 < 80 THEN 'loud' ELSE 'very loud' END AS loud FROM clips WHERE abs(score) > 0.01)""", "clips")
+def p10_long_captions(clips):
+    la = F.col("price") % 60 + 30
+    return clips.where(F.abs("score") > 0.01).select("id", T.caption_long("prio", S.loudness5(la), la, "bin", "score").alias("long_caption"))
+
+
+@register("SELECT id, 'Customer Name ' || CAST(id AS VARCHAR) AS place FROM cust", "cust")
+def p12_place_names(cust):
+    return cust.select("id", T.place_name(F.concat(F.lit("CustomerName_-"), F.col("id").cast("string"))).alias("place"))
+
+
+@register("""WITH l AS (SELECT uid, unnest([struct_pack(v := pl::DOUBLE, k := 'traffic', w := 'traffic noise'), struct_pack(v := ca::DOUBLE, k := 'other_noise', w := 'other noise'), struct_pack(v := vi::DOUBLE, k := 'human', w := 'human sounds'), struct_pack(v := un::DOUBLE, k := 'natural', w := 'natural sounds')]) AS s FROM resp),
+r AS (SELECT uid, s.w AS w, row_number() OVER (PARTITION BY uid ORDER BY s.v DESC, s.k DESC) AS r FROM l WHERE s.v >= 3.5),
+a AS (SELECT uid, string_agg(w, ' and ' ORDER BY r) AS ws FROM r WHERE r <= 2 GROUP BY uid)
+SELECT DISTINCT resp.uid, concat('soundscape with ', coalesce(ws, 'no dominant sound source'), ' at ', base, ' in London [ISOPleasant: ', CASE WHEN printf('%.2f', disc) = '-0.00' THEN '0.00' ELSE printf('%.2f', disc) END, ']') AS caption FROM resp LEFT JOIN a ON a.uid = resp.uid""", "resp")
+def p13_p14_source_captions(resp):
+    words = T.top_sources({"traffic": F.col("pl"), "other_noise": F.col("ca"), "human": F.col("vi"), "natural": F.col("un")})
+    one = resp.select("uid", "base", "disc", words.alias("words"))
+    return one.select("uid", T.caption_sources(F.col("words"), "disc", "base", F.lit("London")).alias("caption")).distinct()
+
+
+_TAGGED = f"concat(prio, ' with ', masker, ' [ISOPleasant: ', {FMT.format('score')}, ']')"
+
+
+@register(f"""WITH t AS (SELECT id, CASE WHEN id % 11 = 0 THEN prio ELSE {_TAGGED} END AS c FROM clips),
+u AS (SELECT id, c, regexp_extract(c, '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 1) AS x, TRY_CAST(NULLIF(regexp_extract(c, '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 2), '') AS DOUBLE) AS v FROM t)
+SELECT id, CASE WHEN v IS NOT NULL THEN x END AS text, v AS value, v AS loose, v AS colon, CASE WHEN v IS NOT NULL THEN concat(x, ' [pleasantness: ', {_LADDER.format('v')}, ']') END AS retagged,
+CASE WHEN v IS NULL THEN NULL WHEN abs(v + 1) <= least(abs(v + 0.5), abs(v), abs(v - 0.5), abs(v - 1)) THEN 'very unpleasant' WHEN abs(v + 0.5) <= least(abs(v), abs(v - 0.5), abs(v - 1)) THEN 'unpleasant' WHEN abs(v) <= least(abs(v - 0.5), abs(v - 1)) THEN 'neutral' WHEN abs(v - 0.5) <= abs(v - 1) THEN 'pleasant' ELSE 'very pleasant' END AS nearest FROM u""", "clips")
+def p16_p17_p18_tags(clips):
+    c = F.when(F.col("id") % 11 == 0, F.col("prio")).otherwise(F.concat("prio", F.lit(" with "), "masker", T.tag("score")))
+    t = clips.select("id", c.alias("c"), T.parse_tag(c).alias("t"))
+    colon = F.when(F.col("t.value").isNotNull(), T.after_last_colon("c"))
+    return t.select("id", "t.text", "t.value", T.parse_tag_loose("c").alias("loose"), colon.alias("colon"), T.retag("c", S.pleasantness_bin("t.value")).alias("retagged"), S.nearest_label("t.value", [-1, -0.5, 0, 0.5, 1], ["very unpleasant", "unpleasant", "neutral", "pleasant", "very pleasant"]).alias("nearest"))
+
+
+@register("""WITH n AS (SELECT id, CASE WHEN id % 3 = 0 THEN file ELSE replace(file, '.wav', '_r' || CAST(id % 4 AS VARCHAR) || '.wav') END AS f FROM clips)
+SELECT f AS name, regexp_replace(f, '_r\\d+(\\.wav)$', '\\1') AS plain, f LIKE '%\\_r%' ESCAPE '\\' AS rep, count(*) OVER (PARTITION BY regexp_replace(f, '_r\\d+(\\.wav)$', '\\1')) AS times FROM n""", "clips")
+def p19_a15_repeat_suffix(clips):
+    f = F.when(F.col("id") % 3 == 0, F.col("file")).otherwise(F.concat(F.regexp_replace("file", r"\.wav$", ""), F.lit("_r"), (F.col("id") % 4).cast("string"), F.lit(".wav")))
+    rows = clips.select(f.alias("name")).withColumn("plain", T.strip_repeat("name"))
+    return rows.select("name", "plain", T.is_repeat("name").alias("rep"), F.count(F.lit(1)).over(Window.partitionBy("plain")).alias("times"))
+
+
+@register("""WITH g AS (SELECT id, concat(CASE WHEN id % 2 = 0 THEN 'Natural sounds ' ELSE '' END, CASE WHEN id % 3 = 0 THEN 'traffic noise ' ELSE '' END, CASE WHEN id % 7 = 0 THEN 'human' ELSE '' END, CASE WHEN id % 13 = 0 THEN 'no dominant' ELSE '' END) AS s FROM clips)
+SELECT id, CASE WHEN contains(s, 'no dominant') THEN 'none' WHEN (contains(s, 'Natural'))::INT + contains(s, 'traffic')::INT + contains(s, 'human')::INT != 1 THEN 'mixed' WHEN contains(s, 'Natural') THEN 'natural' WHEN contains(s, 'traffic') THEN 'traffic' ELSE 'human' END AS grp,
+lower(regexp_replace(regexp_replace(lower(s), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, lpad(CAST(id AS VARCHAR), 9, '0') AS padded FROM g""", "clips")
+def p20_p26_groups_and_slugs(clips):
+    w = lambda k, s: F.when(F.col("id") % k == 0, s).otherwise("")
+    g = clips.select("id", F.concat(w(2, "Natural sounds "), w(3, "traffic noise "), w(7, "human"), w(13, "no dominant")).alias("s"))
+    return g.select("id", T.source_group("s").alias("grp"), T.slug("s").alias("slug"), T.zero_pad("id", 9).alias("padded"))
+
+
+@register("SELECT id, CASE WHEN id % 3 = 0 THEN 'London' WHEN nation = 1 THEN 'Venice' ELSE 'unknown' END AS city FROM cust", "cust")
+def p21_city(cust):
+    path = F.concat(F.lit("/data/"), F.when(F.col("id") % 3 == 0, "LONDON").otherwise("x"), F.lit("/a.wav"))
+    return cust.select("id", T.city_of(path, F.col("nation").cast("string"), {"1": "Venice", "London": "London"}).alias("city"))
+
+
+@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CC0' WHEN 1 THEN 'BY-NC' WHEN 2 THEN 'BY' WHEN 3 THEN 'Sampling+' ELSE licence END AS licence,
+(lower(text) LIKE '%tion%')::INT + (lower(lang) LIKE '%en%')::INT AS a, (regexp_matches(lower(text), '\\bthe\\b'))::INT AS b, (lower(text) LIKE '%tion%' OR regexp_matches(lower(text), '\\bthe\\b'))::INT + (lower(lang) LIKE '%en%')::INT AS n_any FROM (SELECT doc_id, licence, lang, regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS text FROM docs)""", "docs")
+def p22_p23_licences_and_keywords(docs):
+    docs = docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "x"))
+    hits = T.keyword_hits(["text", "lang"], {"a": r"tion|^en$", "b": r"\bthe\b"})
+    return docs.select("doc_id", T.licence_class("licence").alias("licence"), *(c.alias(n) for n, c in hits.items()))
+
+
+@register("""WITH d AS (SELECT id, CASE WHEN id % 9 = 0 THEN NULL ELSE dur * 2.0 END AS sec FROM clips)
+SELECT id, sec IS NOT NULL AS known, round(coalesce(sec, avg(sec) OVER ()), 6) + 0.0 AS sec FROM d""", "clips")
+def p24_durations(clips):
+    span = F.when(F.col("id") % 9 != 0, F.concat(F.lit("("), F.col("dur").cast("string"), F.lit(", "), (F.col("dur") + F.col("dur") * 2 * 44100).cast("string"), F.lit(")")))
+    num = lambda k: F.regexp_extract(span, r"\((\d+), (\d+)\)", k).try_cast("long")
+    rows = clips.select("id", ((num(2) - num(1)) / 44100.0).alias("sec"))
+    mean = rows.agg(F.avg("sec").alias("m"))
+    return r6(rows.join(F.broadcast(mean)).select("id", F.col("sec").isNotNull().alias("known"), F.coalesce("sec", "m").alias("sec")))
+
+
+@register("""SELECT event_id, CAST(seed AS INT) AS seed, item, p, concat(item, ' at dawn') AS stripped, concat('s', item) AS sentence FROM grid""", "grid")
+def p25_p27_p28_names(grid):
+    name = F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), "item", F.lit("_p"), T.fmt2("p"), F.lit(".wav"))
+    n = grid.select("event_id", "item", T.parse_name(name).alias("n"))
+    return n.select("event_id", "n.seed", "n.item", "n.p", T.strip_end(F.concat(F.lit(" "), "item", F.lit(" at dawn. . "))).alias("stripped"), T.first_sentence(F.concat(F.lit("s"), F.col("item"), F.lit(". Loudness: loud. "))).alias("sentence"))
+
+
+@register(f"SELECT id, ['quiet', 'calm and quiet', 'hushed'][(('0x' || substr(md5(concat_ws('|', '5', CAST(id AS VARCHAR))), 1, 8))::BIGINT % 3) + 1] AS phrase FROM clips", "clips")
+def p29_varied_phrases(clips):
+    return clips.select("id", T.pick_phrase(["quiet", "calm and quiet", "hushed"], 5, "id").alias("phrase"))
+
+
+_FEATS = "qty * 150 AS sc, disc AS zcr, tax AS rms, disc / 2 + tax AS onset, qty * 100 AS bandwidth"
+
+
+@register(f"""WITH f AS (SELECT uid, {_FEATS} FROM resp), h AS (SELECT uid, unnest(list_filter([
+CASE WHEN sc > 3000 AND sc < 8000 AND zcr > 0.1 AND onset > 0.05 THEN {{'n': -0.85, 'i': 0, 'm': 'birds singing', 'a': 'natural soundscape with birdsong'}} END,
+CASE WHEN sc < 2000 AND zcr < 0.05 AND rms > 0.01 THEN {{'n': -0.8, 'i': 1, 'm': 'flowing water', 'a': 'waterside environment with flowing water'}} END,
+CASE WHEN sc > 500 AND sc < 4000 AND rms > 0.02 AND bandwidth > 2000 THEN {{'n': -0.8, 'i': 2, 'm': 'traffic noise', 'a': 'urban area with traffic noise'}} END,
+CASE WHEN sc < 1000 AND zcr < 0.03 AND rms < 0.01 THEN {{'n': -0.75, 'i': 3, 'm': 'wind', 'a': 'outdoor environment with wind'}} END,
+CASE WHEN rms > 0.03 AND onset > 0.1 AND bandwidth > 3000 THEN {{'n': -0.8, 'i': 4, 'm': 'construction machinery', 'a': 'construction site with heavy machinery'}} END,
+CASE WHEN zcr > 0.08 AND zcr < 0.15 AND sc > 1500 AND sc < 4000 THEN {{'n': -0.75, 'i': 5, 'm': 'human voices', 'a': 'public space with human voices and activity'}} END,
+CASE WHEN sc > 1000 AND sc < 5000 AND onset > 0.05 AND onset < 0.2 THEN {{'n': -0.7, 'i': 6, 'm': 'musical sounds', 'a': 'environment with musical sounds'}} END], lambda x: x IS NOT NULL)) AS s FROM f),
+r AS (SELECT uid, s.m AS m, s.a AS a, s.n AS n, row_number() OVER (PARTITION BY uid ORDER BY s.n, s.i) AS r FROM h),
+g AS (SELECT uid, count(*) AS c, min(a) FILTER (WHERE r = 1) AS alone, string_agg(m, ' and ' ORDER BY r) FILTER (WHERE r <= 3) AS many, -avg(n) AS conf FROM r GROUP BY uid)
+SELECT f.uid, CASE WHEN c IS NULL THEN 'environment with ambient sounds' WHEN c = 1 THEN alone ELSE 'soundscape with ' || many END AS caption, round(coalesce(conf, 0.6), 6) + 0.0 AS confidence FROM (SELECT DISTINCT uid FROM f) f LEFT JOIN g ON g.uid = f.uid""", "resp")
+def p30_rule_captions(resp):
+    f = resp.dropDuplicates(["uid"]).selectExpr("uid", *_FEATS.split(", ")).withColumn("h", T.rule_labels())
+    return r6(f.select("uid", T.rule_caption(F.col("h")).alias("caption"), T.rule_confidence(F.col("h")).alias("confidence")))
+
+
+@register("SELECT uid, CASE WHEN disc >= tax AND disc >= qty / 500 THEN 'disc' WHEN tax >= qty / 500 THEN 'tax' ELSE 'q' END AS best, "
+          + q6("20 * log10((148693636.0 * (qty * 100) ** 4) / (((qty * 100) ** 2 + 424.36) * sqrt(((qty * 100) ** 2 + 11599.29) * ((qty * 100) ** 2 + 544496.41)) * ((qty * 100) ** 2 + 148693636.0))) + 2.0 AS a_db", "0.00002 * 10 ** (la50 / 20) / qty AS factor", "10 * log10(price) AS db")
+          + " FROM resp", "resp")
+def p31_p32_p33_numeric(resp):
+    rows = resp.withColumn("q", F.col("qty") / 500)
+    return r6(rows.select("uid", S.argmax_label(["disc", "tax", "q"]).alias("best"), S.a_weight_db(F.col("qty") * 100).alias("a_db"), S.spl_factor("qty", "la50").alias("factor"), S.db("price").alias("db")))
+
+
+@register("""WITH b AS (SELECT base, avg(la50) AS base_leq FROM resp GROUP BY base), m AS (SELECT masker_type AS masker, avg(disc) AS g FROM resp GROUP BY 1), l AS (SELECT masker, unnest(range(46, 85)) AS at, g FROM m),
+w AS (SELECT uid, masker_type AS masker, base_leq - smr AS want FROM resp JOIN b USING (base))
+SELECT uid, l.at, round(g + l.at, 6) + 0.0 AS gain, round(want - (l.at + 0.25), 6) + 0.0 AS residual_db FROM w JOIN l ON l.masker = w.masker AND l.at = CAST(round_even(want, 0) AS BIGINT)""", "resp")
+def p34_mix_plan(resp):
+    levels = list(range(46, 85))
+    g = F.col("g")
+    maskers = resp.groupBy(F.col("masker_type").alias("masker")).agg(F.avg("disc").alias("g")).select("masker", *((g + r).alias(f"gain_{r}dB") for r in levels), *(F.lit(r + 0.25).alias(f"leq_{r}dB") for r in levels))
+    bases = resp.groupBy("base").agg(F.avg("la50").alias("base_leq"))
+    plan = P.mix_plan(resp.select("uid", "base", F.col("masker_type").alias("masker"), "smr"), bases, maskers, levels)
+    return r6(plan.select("uid", "at", "gain", "residual_db"))
+
+
+@register("SELECT id, CASE WHEN max(price) OVER () > 1.5 THEN (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) ELSE price END AS x FROM clips", "clips")
+def p35_min_max(clips):
+    lim = clips.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    return clips.join(F.broadcast(lim)).select("id", F.when(F.col("hi") > 1.5, (F.col("price") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("price")).alias("x"))
+
+
+@register("""SELECT id, CASE WHEN id % 4 = 0 THEN '/b/x' || cust || '.wav' WHEN id % 4 = 1 THEN '/a/clip' || id || '.wav' END AS path, id % 4 < 2 AS found FROM clips""", "clips")
+def p36_resolve_paths(clips):
+    index = clips.where("id % 4 = 1").select(F.concat(F.lit("clip"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("/a/"), "file").alias("path"))
+    index = index.unionByName(clips.where("id % 4 = 0").select(F.concat(F.lit("x"), F.col("cust").cast("string"), F.lit("."), F.col("id").cast("string")).alias("key"), F.concat(F.lit("/b/x"), F.col("cust").cast("string"), F.lit(".wav")).alias("path")))
+    a, b = F.regexp_replace("file", r"\.wav$", ""), F.concat(F.lit("x"), F.col("cust").cast("string"), F.lit("."), F.col("id").cast("string"))
+    return P.resolve_path(clips, [a, b], index).select("id", "path", "found")
+
+
+# ---- sources, sinks, set operations
+
+
+@register("""SELECT base, count(*) AS n, count(*) FILTER (WHERE pl IS NULL) AS rejected FROM resp GROUP BY base""", "resp")
+def s3_loose_scan(resp):
+    raw = resp.select("base", F.coalesce(F.col("pl").cast("string"), F.lit("n/a")).alias("pl"), F.col("la50").cast("string").alias("la50"))
+    good, bad = IO.loose(raw, {"pl": "int", "la50": "double"})
+    g, b = good.groupBy("base").agg(F.count(F.lit(1)).alias("ok")), bad.groupBy("base").agg(F.count(F.lit(1)).alias("rejected"))
+    j = g.join(b, "base", "full").na.fill(0)
+    return j.select("base", (F.col("ok") + F.col("rejected")).alias("n"), "rejected")
+
+
+@register("SELECT 'clip' || cust AS key, arg_min(p, length(p) || p) AS path FROM (SELECT cust, '/d' || id || '/clip' || cust || '.' || (CASE WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS long FROM clips WHERE id % 5 != 0) WHERE NOT (long = 1 AND cust IN (SELECT cust FROM clips WHERE id % 5 != 0 AND id % 2 = 1)) AND p = (SELECT min(p2) FROM (SELECT cust AS c2, '/d' || id || '/clip' || cust || '.' || (CASE WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p2, id % 2 AS odd FROM clips WHERE id % 5 != 0) WHERE c2 = cust AND odd = (CASE WHEN long = 1 THEN 0 ELSE 1 END)) GROUP BY 1", "clips")
+def s4_file_index(clips):
+    ext = F.when(F.col("id") % 2 == 0, "hdf.wav").otherwise("wav")
+    name = F.concat(F.lit("clip"), F.col("cust").cast("string"), F.lit("."), ext)
+    path = F.when(F.col("id") % 5 != 0, F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"), name)).when(F.col("id") % 2 == 0, F.concat(F.lit("/__MACOSX/"), name)).otherwise(F.concat(F.lit("/x/._"), name))
+    return IO.index_files(clips.select(path.alias("path")))
+
+
+@register("""SELECT doc_id, CAST(pos AS INT) AS line_no, 'prompt' || lpad(CAST(pos AS VARCHAR), greatest(2, length(CAST(pos AS VARCHAR)))::INT, '0') AS id, trim(line, ' ') AS item FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text NOT LIKE '%|%' AND text NOT LIKE '%#%' AND n_chars < 5000) WHERE trim(line, ' ') != '' AND pos < 100""", "docs")
+def s5_s6_line_lists(docs):
+    rows = docs.where(~F.col("text").contains("|") & ~F.col("text").contains("#") & (F.col("n_chars") < 5000)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    one = rows.withColumn("no", F.col("p") + 1).where((F.trim("line") != "") & (F.col("no") < 100))
+    return one.select("doc_id", F.col("no").cast("int").alias("line_no"), F.concat(F.lit("prompt"), F.lpad(F.col("no").cast("string"), 2, "0")).alias("id"), F.trim("line").alias("item"))
+
+
+@register("""WITH n AS (SELECT id, score * 2 AS score FROM clips WHERE id % 2 = 0) SELECT clips.id, file, n.score FROM clips LEFT JOIN n ON n.id = clips.id""", "clips")
+def s13_refresh_columns(clips):
+    new = clips.where("id % 2 = 0").select("id", (F.col("score") * 2).alias("score"))
+    return IO.refresh_columns(clips.select("id", "file", "score"), new, ["id"], ["score"])
+
+
+@register("""SELECT cust, CASE WHEN max(CASE WHEN id % 2 = 0 THEN id END) IS NOT NULL THEN max(CASE WHEN id % 2 = 0 THEN id END) ELSE max(id) END AS id FROM clips GROUP BY cust""", "clips")
+def s14_upsert(clips):
+    one = lambda c: clips.where(c).groupBy("cust").agg(F.max("id").alias("id"))
+    return IO.upsert(one("id % 2 = 1"), one("id % 2 = 0"), ["cust"])
+
+
+@register("""SELECT id, id % 3 = 0 OR id % 5 = 0 AS need_a, id % 3 = 0 OR id % 7 = 0 AS need_b FROM clips WHERE id % 3 = 0 OR id % 5 = 0 OR id % 7 = 0""", "clips")
+def s15_s16_pending_groups(clips):
+    done = clips.where("id % 3 != 0").select("id", F.when(F.col("id") % 5 != 0, F.col("score")).alias("a"), F.when(F.col("id") % 7 != 0, F.col("price")).alias("b"))
+    return IO.pending(clips, done, ["id"], {"a": ["a"], "b": ["b"]})
+
+
+@register("SELECT base FROM resp WHERE la50 > 60 INTERSECT SELECT base FROM resp WHERE disc > 0.05 EXCEPT SELECT base FROM resp WHERE qty = 50 AND disc = 0.01", "resp")
+def u2_u3_u4_sets(resp):
+    b = lambda c: resp.where(c).select("base")
+    return b("la50 > 60").intersect(b("disc > 0.05")).subtract(b("qty = 50 AND disc = 0.01"))
+
+
+# ---- filters
+
+
+@register(f"SELECT uid, base FROM resp WHERE {VALID_SQL}", "resp")
+def f1_valid_responses(resp):
+    return X.valid_responses(resp, ITEMS).select("uid", "base")
+
+
+@register("SELECT id FROM clips WHERE NOT (masker = 'traffic' AND side = 'F') AND masker != 'wind'", "clips")
+def f3_f4_exclude_rules(clips):
+    rules = clips.where("masker IN ('traffic', 'wind')").select("masker", F.when(F.col("masker") == "traffic", "F").alias("side")).distinct()
+    return X.screen(clips, rules).select("id")
+
+
+@register("""WITH s AS (SELECT base, quantile_cont(price, 0.5) AS med FROM clips GROUP BY base) SELECT clips.id FROM clips JOIN s ON s.base = clips.base WHERE med <= 250000 AND price <= 400000""", "clips")
+def f5_score_screens(clips):
+    ok = R.group_screen(clips, "base", ["price"]).where("price_median <= 250000").select("base")
+    return clips.where("price <= 400000").join(ok, "base", "left_semi").select("id")
+
+
+@register("""SELECT * FROM (VALUES (0, 'rated'), (1, 'loud enough'), (2, 'foreground')) v(step_no, step) JOIN (SELECT 0 AS step_no, count(*) AS n, sum(dur)::BIGINT AS seconds FROM clips WHERE score > -0.8 UNION ALL SELECT 1, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 UNION ALL SELECT 2, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 AND side = 'F') x USING (step_no)""", "clips")
+def f6_funnel(clips):
+    return X.funnel(clips, {"rated": F.col("score") > -0.8, "loud enough": F.col("dur") > 10, "foreground": F.col("side") == "F"}, {"seconds": F.col("dur")})
+
+
+@register("SELECT doc_id FROM docs WHERE (CASE WHEN text LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) >= 2 OR (source = 'src3' AND text LIKE '%tion%')", "docs")
+def f7_f10_selection_rule(docs):
+    n = F.size(F.filter(F.array(F.col("text").contains("tion"), F.col("lang") == "en"), lambda x: x))
+    return docs.where((n >= 2) | ((F.col("source") == "src3") & F.col("text").contains("tion"))).select("doc_id")
+
+
+@register("SELECT id FROM clips WHERE price <= (SELECT quantile_cont(price, 0.75) FROM clips) AND dur <= (SELECT quantile_cont(dur::DOUBLE, 0.75) FROM clips)", "clips")
+def f8_percentile_cut(clips):
+    return X.percentile_cut(clips, ["price", "dur"], 0.75).select("id")
+
+
+@register("SELECT event_id FROM grid WHERE abs(p - 0.5) < 0.01 OR abs(p + 1) < 0.01", "grid")
+def f9_levels(grid):
+    return grid.where(F.exists(F.array(F.lit(0.5), F.lit(-1.0)), lambda v: F.abs(F.col("p") - v) < 0.01)).select("event_id")
+
+
+@register("SELECT id FROM clips WHERE lower(file) LIKE '%99%' OR lower(bin) LIKE '%99%' OR lower(masker) LIKE '%99%' OR lower(side) LIKE '%99%' OR lower(prio) LIKE '%99%'", "clips")
+def f11_any_column(clips):
+    return clips.where(X.any_column_contains(clips, "99")).select("id")
+
+
+@register("""WITH b AS (SELECT CASE WHEN dur < 5 THEN 'short' END AS a, CASE WHEN score < -0.9 THEN 'low' END AS b, CASE WHEN file LIKE '%7.wav' THEN 'seven' END AS c FROM clips), u AS (SELECT unnest([a, b, c]) AS rule FROM b) SELECT rule, count(*) AS n FROM u WHERE rule IS NOT NULL GROUP BY rule""", "clips")
+def f12_f13_quality_counts(clips):
+    return X.quarantine(clips, {"short": F.col("dur") < 5, "low": F.col("score") < -0.9, "seven": F.col("file").endswith("7.wav")})[2]
+
+
+@register("""WITH r AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY price, id) - 1 AS i, count(*) OVER (PARTITION BY masker) AS n FROM clips), k AS (SELECT unnest(range(0, 20)) AS k)
+SELECT DISTINCT r.id, r.masker FROM r LEFT JOIN k ON TRUE WHERE n <= 20 OR i = CAST(floor(k.k * (n - 1) / 19) AS BIGINT)""", "clips")
+def f14_thinning(clips):
+    return X.thin(clips, ["masker"], 20, ["price", "id"]).select("id", "masker")
+
+
+# ---- joins
+
+
+@register("""WITH s AS (SELECT DISTINCT base FROM clips WHERE dur > 55) SELECT clips.id, s.base IS NOT NULL AS has_long, coalesce(c.nation, -1) AS nation FROM clips LEFT JOIN s ON s.base = clips.base LEFT JOIN (SELECT id AS cid, nation FROM cust WHERE id % 3 != 0) c ON c.cid = clips.cust""", "clips cust")
+def j1_j5_lookup_joins(clips, cust):
+    j = X.lookup_default(clips, cust.where("id % 3 != 0").select(F.col("id").alias("cust"), "nation"), ["cust"], {"nation": -1})
+    return X.flag_in(j, clips.where("dur > 55"), ["base"], "has_long").select("id", "has_long", "nation")
+
+
+@register("SELECT item, seed, " + q6("avg(value) FILTER (WHERE p = -1) AS lo", "avg(value) FILTER (WHERE p = 1) AS hi", "avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS delta") + " FROM grid GROUP BY item, seed HAVING count(*) FILTER (WHERE p = -1) > 0 AND count(*) FILTER (WHERE p = 1) > 0", "grid")
+def j6_paired_delta(grid):
+    return r6(X.paired_delta(grid, ["item", "seed"], "p", -1.0, 1.0, "value"))
+
+
+@register("""WITH e AS (SELECT item, seed, avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS d, user_id % 2 AS half FROM grid GROUP BY item, seed, user_id % 2) SELECT a.item, a.seed, """ + q6("a.d AS d0", "b.d AS d1") + " FROM e a JOIN e b ON a.item = b.item AND a.seed // 2 = b.seed // 2 AND a.half = 0 AND b.half = 1 WHERE a.d IS NOT NULL AND b.d IS NOT NULL", "grid")
+def j7_j8_shared_effects(grid):
+    side = lambda h, n: X.paired_delta(grid.where(F.col("user_id") % 2 == h), ["item", "seed"], "p", -1.0, 1.0, "value").select("item", F.floor(F.col("seed") / 2).alias("half"), F.col("seed").alias(f"seed{h}"), F.col("delta").alias(n))
+    return r6(side(0, "d0").join(side(1, "d1"), ["item", "half"]).select("item", F.col("seed0").alias("seed"), "d0", "d1"))
+
+
+@register("""WITH r AS (SELECT id, masker, score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS r, count(*) OVER (PARTITION BY masker) AS n FROM clips) SELECT a.id, a.score, b.score AS mirror FROM r a JOIN r b ON a.masker = b.masker AND a.n + 1 - a.r = b.r""", "clips")
+def j9_rank_mirror(clips):
+    return X.rank_mirror(clips.select("id", "masker", "score"), ["masker"], "score", ["id"]).select("id", "score", "mirror")
+
+
+@register("SELECT item, seed, p FROM grid GROUP BY item, seed, p HAVING count(DISTINCT lev) = 3", "grid")
+def j10_complete_candidates(grid):
+    return X.complete_candidates(grid, ["item", "seed", "p"], "lev", 3).select("item", "seed", "p")
+
+
+@register("""WITH i AS (SELECT DISTINCT id FROM cust), c AS (SELECT 'cust' AS key, count(DISTINCT cust) AS found FROM clips WHERE cust IN (SELECT id FROM i) UNION ALL SELECT 'base', count(DISTINCT base) FROM clips WHERE base IN (SELECT id FROM i)) SELECT key, found, found / (SELECT count(*) FROM i) AS share, found / (SELECT count(*) FROM i) >= 0.95 AS enough FROM c ORDER BY found DESC, key DESC LIMIT 1""", "clips cust")
+def j15_key_discovery(clips, cust):
+    return X.best_key_match(clips, {"cust": F.col("cust"), "base": F.col("base")}, cust, "id", 0.95)
+
+
+@register("SELECT cust, arg_max(id, (price, id)) AS id FROM clips GROUP BY cust", "clips")
+def j16_first_match(clips):
+    return X.dedupe(clips, ["cust"], [F.desc("price"), F.desc("id")]).select("cust", "id")
+
+
+# ---- rollups
+
+
+@register(f"WITH {STIM_SQL} SELECT stimulus_id, base, masker_type, n_ratings, {q6('score AS score', 'la50 AS la50')} FROM stim", "resp")
+def a1_stimulus_rollup(resp):
+    return r6(stimuli(resp))
+
+
+@register("""WITH n AS (SELECT nation, avg(score) AS score, count(*) AS n FROM cust GROUP BY nation) SELECT n_regionkey AS region, count(*) AS locations, sum(n)::BIGINT AS ratings, round(avg(score), 6) + 0.0 AS score FROM n JOIN nation ON n_nationkey = n.nation GROUP BY 1""", "cust nation")
+def a2_two_level_rollup(cust, nation):
+    loc = R.rollup(cust, ["nation"], ["score"]).join(F.broadcast(nation), F.col("nation") == F.col("n_nationkey"))
+    return r6(loc.groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("locations"), F.sum("n_ratings").alias("ratings"), F.avg("score").alias("score")))
+
+
+@register("SELECT masker, " + ", ".join(f"count(*) FILTER (WHERE bin = '{b}') AS {b}" for b in S.BINS) + " FROM clips GROUP BY masker", "clips")
+def a4_crosstab(clips):
+    return R.crosstab(clips, "masker", "bin", S.BINS)
+
+
+@register("""WITH c AS (SELECT source, lang, count(*) AS n FROM docs GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM c) SELECT source, lang, n, round(share, 6) + 0.0 AS share, place::INT AS place FROM r WHERE place <= 3""", "docs")
+def a5_top_shares(docs):
+    return r6(R.top_share(docs, ["source"], "lang", 3))
+
+
+@register("SELECT base, count(DISTINCT participant) AS people, count(DISTINCT masker) AS maskers FROM resp GROUP BY base", "resp")
+def a6_distinct_counts(resp):
+    return resp.groupBy("base").agg(F.count_distinct("participant").alias("people"), F.count_distinct("masker").alias("maskers"))
+
+
+@register("WITH l AS (SELECT masker_type, unnest([struct_pack(m := 'qty', v := qty::DOUBLE), struct_pack(m := 'price', v := price), struct_pack(m := 'la50', v := la50)]) AS s FROM resp) SELECT masker_type, s.m AS metric, count(s.v) AS n, " + q6("avg(s.v) AS mean", "stddev_samp(s.v) AS sd", "min(s.v) AS lo", "max(s.v) AS hi", "quantile_cont(s.v, 0.25) AS q25", "quantile_cont(s.v, 0.5) AS q50", "quantile_cont(s.v, 0.9) AS q90") + " FROM l GROUP BY ALL", "resp")
+def a3_a7_a12_describe(resp):
+    return r6(R.describe_by(resp, ["masker_type"], ["qty", "price", "la50"], [0.25, 0.5, 0.9]))
+
+
+_EFF = """WITH it AS (SELECT seed % 2 AS g, count(DISTINCT item) AS n FROM grid GROUP BY 1), sh AS (SELECT x.g, x.p FROM (SELECT seed % 2 AS g, p, count(DISTINCT item) AS c FROM grid GROUP BY 1, 2) x JOIN it ON it.g = x.g WHERE x.c = it.n),
+r AS (SELECT grid.*, seed % 2 AS g FROM grid JOIN sh ON sh.g = seed % 2 AND sh.p = grid.p), m AS (SELECT g, item, p, avg(value) AS m FROM r GROUP BY ALL),
+st AS (SELECT *, m - lag(m) OVER (PARTITION BY g, item ORDER BY p) AS step FROM m), e AS (SELECT g, item, arg_min(m, p) AS low, arg_max(m, p) AS high, arg_max(m, p) - arg_min(m, p) AS effect FROM m GROUP BY ALL),
+o AS (SELECT st.g, st.item, coalesce(bool_and(sign(step) = sign(effect)) FILTER (WHERE step IS NOT NULL), TRUE) AS ordered FROM st JOIN e ON e.g = st.g AND e.item = st.item GROUP BY ALL),
+sd AS (SELECT g, avg(s) AS seed_sd FROM (SELECT g, item, p, stddev_samp(value) AS s FROM r GROUP BY ALL) GROUP BY g), z AS (SELECT e.*, ordered, seed_sd, effect / seed_sd AS ratio, abs(effect / seed_sd) >= 0.02 AS clear FROM e JOIN o ON o.g = e.g AND o.item = e.item JOIN sd ON sd.g = e.g)"""
+
+
+def _effects(grid):
+    rows = grid.withColumn("g", F.col("seed") % 2).withColumn("metric", F.lit("value"))
+    return R.grid_effects(rows, ["g"], "item", "p", "metric", "value", 0.02)
+
+
+@register(_EFF + " SELECT g, item, ordered, clear, " + q6("low AS low", "high AS high", "effect AS effect", "seed_sd AS seed_sd", "ratio AS ratio") + " FROM z", "grid")
+def a8_a9_w11_grid_effects(grid):
+    return r6(_effects(grid).drop("metric"))
+
+
+@register(_EFF + " SELECT g, count(*) AS n, count(*) FILTER (WHERE clear) AS n_clear, count(*) FILTER (WHERE clear AND ordered) AS n_clear_ordered, count(*) FILTER (WHERE clear AND NOT ordered) AS n_clear_unordered, round(quantile_cont(abs(ratio), 0.5), 6) + 0.0 AS median_ratio FROM z GROUP BY g", "grid")
+def a10_effects_summary(grid):
+    return r6(R.effects_summary(_effects(grid), ["g"]))
+
+
+@register("SELECT item, " + q6(*(f"avg(value) FILTER (WHERE lev = {k}) AS l{k}" for k in range(3))) + " FROM grid GROUP BY item", "grid")
+def a11_pivot_means(grid):
+    p = grid.groupBy("item").pivot("lev", [0, 1, 2]).agg(F.avg("value"))
+    return r6(p.select("item", *(F.col(f"`{k}`").alias(f"l{k}") for k in range(3))))
+
+
+@register("SELECT masker_type, " + q6("sum(pl * qty) / sum(qty) FILTER (WHERE pl IS NOT NULL) AS wmean", "avg(pl) AS mean", "sum(qty) AS weight") + " FROM resp GROUP BY 1", "resp")
+def a13_weighted_mean(resp):
+    return r6(R.weighted_mean(resp, ["masker_type"], "pl", "qty").withColumn("weight", F.col("weight").cast("double")))
+
+
+@register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
+def a16_stability(grid):
+    return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value"))
+
+
+@register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM r GROUP BY clip", "grid")
+def a17_label_sets(grid):
+    probs = grid.groupBy("clip", "item").agg(F.max("value").alias("p"))
+    return R.label_set_scores(probs, "clip", "item", "p", {"browse": ["click", "view"], "buy": ["purchase"]})
+
+
+@register("SELECT base, count(*) AS n, " + q6("quantile_cont(price, 0.5) AS price_median", "quantile_cont(price, 0.9) AS price_p90", "quantile_cont(score, 0.5) AS score_median", "quantile_cont(score, 0.9) AS score_p90") + " FROM clips GROUP BY base", "clips")
+def a18_group_screen(clips):
+    return r6(R.group_screen(clips, "base", ["price", "score"]))
+
+
+@register("SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score >= t) AS n, sum(CASE WHEN score >= t THEN dur ELSE 0 END)::BIGINT AS kept FROM clips, (VALUES (-0.5), (0.0), (0.5)) v(t) GROUP BY t", "clips")
+def a19_thresholds(clips):
+    return R.threshold_table(clips, "score", [-0.5, 0.0, 0.5], "dur")
+
+
+@register("WITH l AS (SELECT min(price) AS lo, max(price) AS hi FROM clips) SELECT greatest(1, least(10, ceil((price - lo) / ((hi - lo) / 10))))::INT AS bin, count(*) AS n FROM clips, l GROUP BY 1", "clips")
+def a20_histogram(clips):
+    return R.histogram(clips, "price", 10)
+
+
+@register("SELECT masker, prio, count(*) AS n FROM clips JOIN cust ON cust.id = clips.cust GROUP BY ALL ORDER BY n DESC, masker, prio LIMIT 15", "clips cust")
+def a21_combinations(clips, cust):
+    return clips.join(cust.select(F.col("id").alias("cust")), "cust").groupBy("masker", "prio").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "masker", "prio").limit(15)
+
+
+@register("WITH g AS (SELECT text, count(*) AS n FROM docs GROUP BY text) SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, count(*) FILTER (WHERE n > 1) AS repeated, max(n) AS most FROM g WHERE text IS NOT NULL", "docs")
+def a22_text_diversity(docs):
+    return R.text_diversity(docs, "text")
+
+
+@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(regexp_replace(split_part(text, '[', 1), '[^\\x00-\\x7f]', '', 'g')), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
+def a22_top_words(docs):
+    return R.top_words(docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "")), "text", 50)
+
+
+@register("SELECT least(9, floor((score + 1) / 0.2))::INT AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_y FROM clips WHERE score BETWEEN -1 AND 1 GROUP BY 1 HAVING count(*) >= 5", "clips")
+def a23_binned_mean(clips):
+    return r6(R.binned_mean(clips, "score", "price", -1.0, 1.0, 10, 5))
+
+
+@register("WITH m AS (SELECT id, CASE WHEN score > 0.5 THEN 'high' WHEN score < -0.5 THEN 'low' END AS cls FROM clips) SELECT cls, metric, round(avg(v), 6) + 0.0 AS mean FROM (SELECT cls, unnest(['dur', 'price']) AS metric, unnest([dur::DOUBLE, price]) AS v FROM clips JOIN m USING (id) WHERE cls IS NOT NULL) GROUP BY ALL", "clips")
+def a24_class_means(clips):
+    match = clips.select("id", F.when(F.col("score") > 0.5, "high").when(F.col("score") < -0.5, "low").alias("cls")).where("cls IS NOT NULL")
+    long = clips.select("id", F.col("dur").cast("double").alias("dur"), "price").join(match, "id").unpivot(["cls"], ["dur", "price"], "metric", "v")
+    return r6(long.groupBy("cls", "metric").agg(F.avg("v").alias("mean")))
+
+
+@register("WITH e AS (SELECT item, min(event_id) AS a, max(event_id) AS b FROM grid GROUP BY item), g AS (SELECT grid.item, avg(value) FILTER (WHERE event_id < a + 500) AS head, avg(value) FILTER (WHERE event_id > b - 500) AS tail FROM grid JOIN e ON e.item = grid.item GROUP BY 1) SELECT item, " + q6("head AS head", "tail AS tail", "(tail - head) / head AS change") + " FROM g", "grid")
+def a25_head_tail(grid):
+    return r6(R.head_tail_mean(grid, ["item"], "event_id", "value", 500))
+
+
+@register("SELECT item, count(value) AS n, " + q6("avg(value) AS mean", "1.96 * stddev_samp(value) / sqrt(count(value)) AS half") + ", 'n=' || count(value) AS label FROM grid GROUP BY item", "grid")
+def a26_mean_ci(grid):
+    return r6(R.mean_ci(grid, ["item"], "value"))
+
+
+@register("WITH a AS (SELECT item, p, avg(value) AS m FROM grid WHERE seed != 0 GROUP BY ALL), b AS (SELECT p, avg(value) AS c FROM grid WHERE seed = 0 GROUP BY p) SELECT item, a.p, " + q6("m AS mean", "c AS control") + " FROM a LEFT JOIN b ON b.p = a.p", "grid")
+def a27_control_means(grid):
+    c = grid.where("seed = 0").groupBy("p").agg(F.avg("value").alias("control"))
+    return r6(grid.where("seed != 0").groupBy("item", "p").agg(F.avg("value").alias("mean")).join(c, "p", "left"))
+
+
+# ---- windows, quotas, selection
+
+_FILL = """f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cap, k) AS i, count(*) OVER (PARTITION BY g) AS m, coalesce(sum(cap) OVER (PARTITION BY g ORDER BY cap, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM caps),
+lv AS (SELECT *, arg_min(CASE WHEN before + (m - i + 1) * cap > quota THEN floor((quota - before) / (m - i + 1)) END, CASE WHEN before + (m - i + 1) * cap > quota THEN (cap, k) END) FILTER (WHERE before + (m - i + 1) * cap > quota) OVER (PARTITION BY g) AS level FROM f),
+bs AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, level) END AS b0 FROM lv), rs AS (SELECT *, least(quota, sum(cap) OVER (PARTITION BY g)) - sum(b0) OVER (PARTITION BY g) AS rest, row_number() OVER (PARTITION BY g ORDER BY cap - b0 DESC, k) AS more FROM bs),
+tk AS (SELECT g, k, cap, (b0 + CASE WHEN more <= rest AND cap > b0 THEN 1 ELSE 0 END)::BIGINT AS take FROM rs)"""
+
+
+@register(f"WITH caps AS (SELECT bin AS g, masker AS k, count(*) AS cap, 150 AS quota FROM clips WHERE base % 3 = 0 GROUP BY ALL), {_FILL} SELECT g AS bin, k AS masker, cap, take FROM tk", "clips")
+def w1_waterfill(clips):
+    caps = clips.where("base % 3 = 0").groupBy("bin", "masker").agg(F.count(F.lit(1)).alias("cap"))
+    return L.waterfill(caps, 150, ["masker"], by=["bin"])
+
+
+_RR = "row_number() OVER (PARTITION BY {by}{cell} ORDER BY " + HASH.format("id", 1) + ", id) AS r"
+
+
+@register(f"WITH q AS (SELECT bin AS g, prio AS k, count(*) AS cap, 100 AS quota FROM clips GROUP BY ALL), caps AS (SELECT * FROM q), {_FILL}, x AS (SELECT clips.*, take, {_RR.format(by='bin, prio, ', cell='masker')} FROM clips JOIN tk ON g = bin AND k = prio), y AS (SELECT *, row_number() OVER (PARTITION BY bin, prio ORDER BY r, md5(concat_ws('|', '1', masker, CAST(r AS VARCHAR))), id) AS kk FROM x) SELECT id, bin, prio FROM y WHERE kk <= take", "clips")
+def w2_w4_nested_balance(clips):
+    """Quotas over inner keys in each outer one, cells dealt in an order that changes each round."""
+    caps = clips.groupBy("bin", "prio").agg(F.count(F.lit(1)).alias("cap"))
+    quota = L.waterfill(caps, 100, ["prio"], by=["bin"]).select("bin", "prio", "take")
+    return L.round_robin(clips.join(F.broadcast(quota), ["bin", "prio"]), ["bin", "prio"], ["masker"], F.col("take"), 1, ["id"], reshuffle=True).select("id", "bin", "prio")
+
+
+@register(f"WITH x AS (SELECT *, {_RR.format(by='bin, ', cell='masker, side')} FROM clips), y AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY r, masker, side, id) AS k FROM x) SELECT id, bin FROM y WHERE k <= 200", "clips")
+def w3_round_robin(clips):
+    return L.round_robin(clips, ["bin"], ["masker", "side"], 200, 1, ["id"]).select("id", "bin")
+
+
+_PROP = "WITH t AS (SELECT bin, count(*) AS s, (SELECT count(*) FROM clips) AS n FROM clips GROUP BY bin), x AS (SELECT clips.id, clips.bin, row_number() OVER (PARTITION BY clips.bin ORDER BY md5(concat_ws('|', '2', CAST(id AS VARCHAR))), id) AS r, s, n FROM clips JOIN t ON t.bin = clips.bin) SELECT id, bin FROM x WHERE r <= {0}"
+
+
+@register(_PROP.format("least(greatest(1, floor(360 * s / n)), s)"), "clips")
+def w5_proportional(clips):
+    return L.proportional_select(clips, ["bin"], 360, 2, ["id"]).select("id", "bin")
+
+
+@register(_PROP.format("least(round_even(360 * s / n, 0), s)"), "clips")
+def w6_stratified(clips):
+    return L.proportional_select(clips, ["bin"], 360, 2, ["id"], rounding="rint").select("id", "bin")
+
+
+@register("WITH x AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '3', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, masker FROM x WHERE r <= 25", "clips")
+def w7_sample_per_group(clips):
+    return L.sample_per_group(clips, ["masker"], 25, 3, ["id"]).select("id", "masker")
+
+
+@register("WITH x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY md5(concat_ws('|', '4', CAST(id AS VARCHAR))), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM clips) SELECT id FROM x WHERE before < 36000", "clips")
+def w8_time_budget(clips):
+    return L.take_budget(clips, "dur", 36000, 4, ["id"]).select("id")
+
+
+@register("WITH r AS (SELECT *, md5(concat_ws('|', '4', CAST(id AS VARCHAR))) AS h, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('|', '4', CAST(id AS VARCHAR))), id) AS r FROM clips), x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY r, bin, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT id FROM x WHERE before < 36000", "clips")
+def w8_time_budget_by_bin(clips):
+    return L.take_budget(clips, "dur", 36000, 4, ["id"], by="bin").select("id")
+
+
+@register("WITH x AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '6', CAST(id AS VARCHAR))), id) AS r, (SELECT least(500, floor(count(*) * 0.2)) FROM clips) AS k FROM clips) SELECT id, r <= k AS holdout FROM x", "clips")
+def w9_holdout(clips):
+    return L.holdout_split(clips, 500, 0.2, 6, ["id"]).select("id", "holdout")
+
+
+@register("WITH b AS (SELECT id, masker, floor((row_number() OVER (PARTITION BY masker ORDER BY score, id) - 1) * 5 / count(*) OVER (PARTITION BY masker))::INT AS band FROM clips), x AS (SELECT *, row_number() OVER (PARTITION BY masker, band ORDER BY md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id) AS r FROM b) SELECT id, masker, band FROM x WHERE r <= 4", "clips")
+def w10_quantile_bands(clips):
+    return L.quantile_bands(clips, ["masker"], "score", 5, 4, 7, ["id"]).select("id", "masker", "band")
+
+
+_SPECTRUM = "spectrum AS (SELECT vec_id AS clip, (unnest(range(1, 65)) * 60)::BIGINT AS freq, unnest(embedding)::DOUBLE * unnest(embedding)::DOUBLE AS power FROM embeddings)"
+
+
+def spectrum(emb: DataFrame) -> DataFrame:
+    """Position in the vector as frequency (60 Hz apart), square as power."""
+    p = emb.select(F.col("vec_id").alias("clip"), F.posexplode("embedding").alias("i", "x"))
+    return p.select("clip", ((F.col("i") + 1) * 60).cast("long").alias("freq"), (F.col("x").cast("double") * F.col("x").cast("double")).alias("power"))
+
+
+@register(f"WITH {_SPECTRUM}, r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM spectrum) SELECT clip, min(freq) FILTER (WHERE s >= 0.7) AS rolloff FROM r GROUP BY clip", "embeddings")
+def w12_cumulative_share(emb):
+    return R.cumulative_threshold(spectrum(emb), ["clip"], "freq", "power", 0.7)
+
+
+@register("SELECT event_id, coalesce(last_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM grid", "grid")
+def w13_fill(grid):
+    return R.fill(grid, ["item"], ["event_id"], "gappy").select("event_id", F.col("gappy").alias("filled"))
+
+
+@register("WITH f AS (SELECT clip, event_id, (value > 50)::INT AS f FROM grid), o AS (SELECT *, (coalesce(lag(f) OVER w, 0) + f + coalesce(lead(f) OVER w, 0) >= 2)::INT AS o FROM f WINDOW w AS (PARTITION BY clip ORDER BY event_id)), s AS (SELECT *, lag(o) OVER (PARTITION BY clip ORDER BY event_id) AS was FROM o) SELECT clip, round(avg(f), 6) + 0.0 AS on_share, count(*) FILTER (WHERE o != was) AS switches FROM s GROUP BY clip", "grid")
+def w14_switches(grid):
+    return r6(R.switch_count(grid, ["clip"], ["event_id"], F.col("value") > 50))
+
+
+@register("SELECT id, rank() OVER (PARTITION BY masker ORDER BY dur) + (count(*) OVER (PARTITION BY masker, dur) - 1) / 2 AS rank FROM clips", "clips")
+def w15_average_rank(clips):
+    return clips.select("id", R.avg_rank("dur", ["masker"]).alias("rank"))
+
+
+@register("WITH g AS (SELECT item, seed, avg(value) AS v FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY v, seed) AS r, count(*) OVER (PARTITION BY item) AS n FROM g), m AS (SELECT item, median(v) AS med FROM g GROUP BY item) SELECT r.item, max(seed) FILTER (WHERE r = 1) AS low, max(seed) FILTER (WHERE r = n // 2 + 1) AS mid, max(seed) FILTER (WHERE r = n) AS high, arg_min(seed, (abs(v - med), seed)) AS nearest FROM r JOIN m ON m.item = r.item GROUP BY r.item", "grid")
+def w17_w18_picks(grid):
+    g = grid.groupBy("item", "seed").agg(F.avg("value").alias("v"))
+    return R.pick_low_mid_high(g, ["item"], "seed", "v").join(R.closest_to_median(g, ["item"], "seed", "v").drop("median"), "item")
+
+
+@register("SELECT id, price FROM clips ORDER BY price, id LIMIT 40", "clips")
+def w19_w21_worst(clips):
+    return clips.select("id", "price").orderBy("price", "id").limit(40)
+
+
+@register("SELECT id, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '9', CAST(id AS VARCHAR))), id)::INT AS place FROM clips", "clips")
+def w20_seeded_order(clips):
+    return clips.select("id", F.row_number().over(Window.partitionBy("masker").orderBy(S.order_key(9, "id"), "id")).alias("place"))
+
+
+# ---- statistics
+
+
+def _rank_sql(col: str, part: str) -> str:
+    return f"rank() OVER (PARTITION BY {part} ORDER BY {col}) + (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0"
+
+
+@register(f"WITH r AS (SELECT clip, p, value, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry FROM grid) SELECT clip, round(corr(rx, ry), 6) + 0.0 AS rho, count(*) AS n FROM r GROUP BY clip HAVING count(DISTINCT p) > 2 AND count(DISTINCT value) > 1", "grid")
+def t1_spearman(grid):
+    return r6(ST.spearman_by(grid.where("p IS NOT NULL"), ["clip"], "p", "value", 3))
+
+
+@register(f"WITH r AS (SELECT clip, lev, p, value, {_rank_sql('p', 'clip, lev')} AS rx, {_rank_sql('value', 'clip, lev')} AS ry FROM grid), c AS (SELECT clip, lev, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT lev, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg, round(avg(rho), 6) + 0.0 AS mean_rho FROM c GROUP BY lev", "grid")
+def t1_sign_counts(grid):
+    return r6(ST.sign_counts(ST.spearman_by(grid, ["clip", "lev"], "p", "value"), ["lev"]))
+
+
+@register("SELECT seg, count(*) AS n, " + q6("avg(bal / 10001 - score) AS bias", "corr(score, bal / 10001 + nation) AS r", "stddev_samp(bal / 10001 + nation) / stddev_samp(score) AS spread").replace("avg(bal / 10001 - score)", "avg(bal / 10001 + nation - score)") + ", " + q6("1 - avg((score - bal / 10001 - nation) ** 2) / var_pop(score) AS r2", "1 - (avg((score - bal / 10001 - nation) ** 2) - avg(bal / 10001 + nation - score) ** 2) / var_pop(score) AS r2_centred", "sqrt(avg((score - bal / 10001 - nation) ** 2)) AS rmse") + " FROM cust GROUP BY seg", "cust")
+def t2_t21_fit_quality(cust):
+    return r6(ST.fit_quality(cust.withColumn("pred", F.col("bal") / 10001 + F.col("nation")), ["seg"], "score", "pred"))
+
+
+_MATX, _MATY = ["qty", "la50"], ["disc", "price", "pl"]
+_MAT = "WITH v AS (SELECT * FROM resp WHERE pl IS NOT NULL), r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in [*_MATX, *_MATY]) + " FROM v) "
+
+
+@register(_MAT + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr(r_{x}, r_{y}), 6) + 0.0 AS rho, count(*) AS n FROM r" for x in _MATX for y in _MATY), "resp")
+def t3_spearman_matrix(resp):
+    return r6(ST.spearman_matrix(resp, _MATX, _MATY))
+
+
+@register(None, "resp")
+def t4_correlation_p(resp):
+    """p values need the incomplete beta function: tested against known values instead of SQL."""
+    return r6(ST.adjust_p(ST.correlation_p(ST.spearman_matrix(resp, _MATX, _MATY)), [], "p", "bh", ["x", "y"]))
+
+
+@register("WITH p AS (SELECT id, masker, price / 1000000 AS p, count(*) OVER (PARTITION BY masker) AS m, row_number() OVER (PARTITION BY masker ORDER BY price / 1000000, id) AS k FROM clips), q AS (SELECT *, p * m / k AS q FROM p), a AS (SELECT *, least(1.0, min(q) OVER (PARTITION BY masker ORDER BY p DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM q) SELECT id, round(adj, 6) + 0.0 AS p_adj, CASE WHEN adj < 0.001 THEN '***' WHEN adj < 0.01 THEN '**' WHEN adj < 0.05 THEN '*' ELSE '' END AS stars FROM a", "clips")
+def t4_benjamini_hochberg(clips):
+    return r6(ST.adjust_p(clips.select("id", "masker", (F.col("price") / 1000000).alias("p")), ["masker"], "p", "bh", ["id"]).select("id", "p_adj", "stars"))
+
+
+@register("WITH a AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 0 GROUP BY ALL), b AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 1 GROUP BY ALL), j AS (SELECT a.v AS x, b.v AS y FROM a JOIN b ON a.item = b.item AND a.seed = b.seed), r AS (SELECT x, y, rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) AS ry FROM j) SELECT count(*) AS n, " + q6("corr(rx, ry) AS rho", "avg((sign(x) = sign(y))::INT) AS same_sign", "regr_slope(y, x) AS slope", "avg(abs(x - y)) AS mad") + " FROM r", "grid")
+def t5_matrix_similarity(grid):
+    m = lambda k: grid.where(F.col("lev") == k).groupBy("item", "seed").agg((F.avg("value") - 50).alias("v"))
+    return r6(ST.matrix_similarity(m(0), m(1), ["item", "seed"], "v"))
+
+
+def _draw_sql(rows: str, part: str, n: int, seed: int) -> str:
+    """Hash-drawn replicates of `rows` (columns part, i, n, v)."""
+    return f"SELECT s.{part}, rep, avg(d.v) AS m FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', '{seed}', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % n AS j FROM {rows}, (SELECT unnest(range(0, {n})) AS rep)) s JOIN {rows} d ON d.{part} = s.{part} AND d.i = s.j GROUP BY ALL"
+
+
+_BOOT = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), w AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id < 60), "
+
+
+@register(_BOOT + f"b AS ({_draw_sql('w', 'item', 200, 11)}), ci AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY item) SELECT w.item, count(*) AS n, " + q6("avg(v) AS mean", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM w JOIN ci ON ci.item = w.item GROUP BY w.item", "grid")
+def t6_bootstrap_mean(grid):
+    """Resampling is over users, of whom the first 60 ids are the panel; rows are averaged per user first."""
+    c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v")).where("user_id < 60")
+    return r6(ST.bootstrap_mean(c, ["item"], "v", 200, 11, ["user_id"]))
+
+
+_CL = "WITH c AS (SELECT nation, count(*) AS n, sum(score) AS sx, sum(bal % 97) AS sy, sum(score * score) AS sxx, sum((bal % 97) * (bal % 97)) AS syy, sum(score * (bal % 97)) AS sxy FROM cust GROUP BY nation), w AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS i, count(*) OVER () AS k FROM c), s AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', '12', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % k AS j FROM w, (SELECT unnest(range(0, 300)) AS rep)), "
+_R = "(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))"
+
+
+@register(_CL + f"b AS (SELECT rep, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM s JOIN w ON w.i = s.j GROUP BY rep), t AS (SELECT sum(n)::BIGINT AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM c) SELECT {q6(_R + ' AS r')}, n, {q6(f'(SELECT quantile_cont({_R}, 0.025) FROM b) AS lo', f'(SELECT quantile_cont({_R}, 0.975) FROM b) AS hi')} FROM t", "cust")
+def t7_cluster_bootstrap(cust):
+    return r6(ST.cluster_bootstrap(cust.withColumn("y", F.col("bal") % 97), "nation", "score", "y", 300, 12))
+
+
+_PB = "WITH c AS (SELECT nation, count(*) AS n, sum(score) AS so, sum(score * score) AS soo, sum((score - a) ** 2) AS ea, sum((score - b) ** 2) AS eb FROM (SELECT *, nation / 25 AS a, nation / 24 + 0.01 AS b FROM cust) GROUP BY nation), w AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS i, count(*) OVER () AS k FROM c), s AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', '13', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % k AS j FROM w, (SELECT unnest(range(0, 300)) AS rep)), b AS (SELECT rep, (sum(ea) - sum(eb)) / (sum(soo) - sum(so) * sum(so) / sum(n)) AS d FROM s JOIN w ON w.i = s.j GROUP BY rep) "
+
+
+@register(_PB + "SELECT " + q6("(SELECT (sum(ea) - sum(eb)) / (sum(soo) - sum(so) * sum(so) / sum(n)) FROM c) AS diff", "quantile_cont(d, 0.025) AS lo", "quantile_cont(d, 0.975) AS hi", "least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))) AS p") + " FROM b", "cust")
+def t8_paired_bootstrap(cust):
+    return r6(ST.paired_bootstrap(cust.withColumn("a", F.col("nation") / 25).withColumn("b", F.col("nation") / 24 + 0.01), "nation", "score", "a", "b", 300, 13))
+
+
+_GAP = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), wa AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id < 40), wb AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id BETWEEN 40 AND 79), "
+
+
+@register(_GAP + f"ra AS ({_draw_sql('wa', 'item', 150, 14)}), rb AS ({_draw_sql('wb', 'item', 150, 15)}), d AS (SELECT ra.item, quantile_cont(ra.m - rb.m, 0.025) AS lo, quantile_cont(ra.m - rb.m, 0.975) AS hi FROM ra JOIN rb ON ra.item = rb.item AND ra.rep = rb.rep GROUP BY ra.item) SELECT d.item, " + q6("(SELECT avg(v) FROM wa WHERE wa.item = d.item) - (SELECT avg(v) FROM wb WHERE wb.item = d.item) AS gap", "lo AS lo", "hi AS hi") + " FROM d", "grid")
+def t9_gap_bootstrap(grid):
+    c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v"))
+    return r6(ST.gap_bootstrap(c.where("user_id < 40"), c.where("user_id BETWEEN 40 AND 79"), ["item"], "v", 150, 14, ["user_id"]))
+
+
+@register("SELECT masker, " + q6("regr_slope(price, score) AS slope", "regr_intercept(price, score) AS intercept", "regr_r2(price, score) AS r2", "regr_slope(price, score) * 1.5 AS expected") + " FROM clips GROUP BY masker", "clips")
+def t10_line_fit(clips):
+    return r6(ST.line_fit(clips, ["masker"], "score", "price", -0.75, 0.75))
+
+
+@register(f"WITH r AS (SELECT clip, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry, p, value FROM grid), c AS (SELECT corr(rx, ry) AS rho FROM r GROUP BY clip HAVING count(*) >= 20 AND count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT round(median(rho), 6) + 0.0 AS median_rho, count(*) AS groups FROM c", "grid")
+def t11_within_group_rho(grid):
+    return r6(ST.within_group_rho(grid, "clip", "p", "value", 20))
+
+
+@register("WITH g AS (SELECT bin, count(*) AS n, sum(price) AS s, sum(price * price) AS ss FROM clips GROUP BY bin), t AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, sum(ss) - sum(s) * sum(s) / sum(n) AS tot, sum(ss) - sum(s * s / n) AS win FROM g) SELECT n, k, " + q6("1 - win / tot AS eta2", "1 - (win / tot) * (n - 1) / (n - k) AS eta2_adj", "sqrt(win / (n - k)) AS sd_within") + " FROM t", "clips")
+def t12_eta_squared(clips):
+    return r6(ST.eta_squared(clips, "bin", "price"))
+
+
+@register("WITH c AS (SELECT corr(qty, price) AS a, corr(qty, la50) AS b, corr(price, la50) AS c FROM resp) SELECT round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) + 0.0 AS partial_r FROM c", "resp")
+def t13_partial_corr(resp):
+    return r6(ST.partial_corr(resp, "qty", "price", "la50"))
+
+
+@register("WITH j AS (SELECT lang, quality AS q, n_chars FROM labels JOIN docs ON docs.doc_id = labels.doc_id), r AS (SELECT lang, q, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM j) SELECT lang, count(*) FILTER (WHERE q = 1) AS n_pos, count(*) FILTER (WHERE q != 1) AS n_neg, round((sum(r) FILTER (WHERE q = 1) - count(*) FILTER (WHERE q = 1) * (count(*) FILTER (WHERE q = 1) + 1) / 2) / (count(*) FILTER (WHERE q = 1) * count(*) FILTER (WHERE q != 1)), 6) + 0.0 AS auc FROM r GROUP BY lang HAVING count(*) FILTER (WHERE q = 1) > 0 AND count(*) FILTER (WHERE q != 1) > 0", "docs labels")
+def t14_auc(docs, labels):
+    return r6(ST.auc(labels.join(docs, "doc_id"), ["lang"], "quality", "n_chars"))
+
+
+_REC = [("disc", "pl"), ("disc", "ca"), ("tax", "pl"), ("tax", "ca")]
+
+
+@register(" UNION ALL ".join(f"SELECT '{a}' AS score, '{b}' AS item, round(corr({a}, {b}), 6) + 0.0 AS r FROM resp" for a, b in _REC), "resp")
+def t15_recognition_matrix(resp):
+    one = resp.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(_REC)))
+    return r6(one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("score"), F.lit(b).alias("item"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(_REC)))).alias("m")).select("m.*"))
+
+
+def _audio_captions(emb):
+    """Even ids are clips; the ids around are captions, two a clip."""
+    audio = emb.where("vec_id % 3 = 0").select(F.col("vec_id").alias("clip"), F.col("embedding").alias("vec"))
+    caps = emb.where("vec_id % 3 != 0").select((F.col("vec_id") - F.col("vec_id") % 3).alias("clip"), (F.col("vec_id") % 3).alias("cap"), F.col("embedding").alias("vec"))
+    return audio, caps
+
+
+_ZSQL = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT vec_id AS clip, v FROM e WHERE vec_id % 3 = 0), c AS (SELECT vec_id - vec_id % 3 AS clip, vec_id % 3 AS cap, v FROM e WHERE vec_id % 3 != 0), s AS (SELECT a.clip, c.clip AS other, c.cap, list_dot_product(a.v, c.v) AS sim FROM a, c), m AS (SELECT clip, avg(sim) AS mu, stddev_pop(sim) AS sd FROM s WHERE clip != other GROUP BY clip) "
+
+
+@register(_ZSQL + "SELECT s.clip, s.cap, " + q6("sim AS sim", "(sim - mu) / (sd + 1e-9) AS z") + " FROM s JOIN m ON m.clip = s.clip WHERE s.clip = other", "embeddings")
+def j12_t16_caption_z(emb):
+    return r6(E.caption_z(*_audio_captions(emb), "clip"))
+
+
+@register(_ZSQL + "SELECT o.clip, o.cap, round(avg((s.sim < o.sim)::INT), 6) + 0.0 AS pct FROM s o JOIN s ON s.clip = o.clip AND s.clip != s.other WHERE o.clip = o.other GROUP BY ALL", "embeddings")
+def t16_caption_percentile(emb):
+    return r6(E.caption_percentile(*_audio_captions(emb), "clip").select("clip", "cap", "pct"))
+
+
+@register(_ZSQL + ", z AS (SELECT s.clip, s.cap, (sim - mu) / (sd + 1e-9) AS z FROM s JOIN m ON m.clip = s.clip WHERE s.clip = other) SELECT clip, arg_max(cap, (z, -cap)) AS best, round(max(z), 6) + 0.0 AS best_z, count(*) FILTER (WHERE z >= 0.1) AS n_over, coalesce(string_agg('text ' || cap, ' || ' ORDER BY z DESC, cap) FILTER (WHERE z >= 0.1), '') AS texts FROM z GROUP BY clip", "embeddings")
+def w16_best_caption(emb):
+    audio, caps = _audio_captions(emb)
+    texts = caps.select("clip", "cap", F.concat(F.lit("text "), F.col("cap").cast("string")).alias("text"))
+    return r6(E.best_caption(E.caption_z(audio, caps, "clip"), "clip", texts, 0.1))
+
+
+def prototypes(emb: DataFrame) -> DataFrame:
+    """The mean vector of each label (a row a label)."""
+    el = emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return el.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("proto"))
+
+
+_PROTO = "WITH el AS (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), av AS (SELECT label, i, avg(x) AS x FROM el GROUP BY ALL), pr AS (SELECT label AS name, list(x ORDER BY i) AS proto FROM av GROUP BY label), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT vec_id, name, list_dot_product(v, proto) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(proto, proto)) AS c FROM e, pr)"
+
+
+@register(_PROTO + ", s AS (SELECT *, 5 * c - max(5 * c) OVER (PARTITION BY vec_id) AS d FROM cs) SELECT vec_id, name, round(exp(d) / sum(exp(d)) OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM s", "embeddings")
+def j13_t17_prototype_softmax(emb):
+    p = prototypes(emb).withColumnRenamed("label", "name")
+    return r6(E.prototype_softmax(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"], temp=5.0))
+
+
+@register(_PROTO + ", s AS (SELECT vec_id, 'set' || (name % 3) AS source, avg(c) AS raw FROM cs GROUP BY ALL) SELECT vec_id, source, round(raw - avg(raw) OVER (PARTITION BY vec_id), 6) + 0.0 AS score FROM s", "embeddings")
+def t18_source_scores(emb):
+    p = prototypes(emb).select(F.concat(F.lit("set"), (F.col("label") % 3).cast("string")).alias("source"), "proto")
+    return r6(E.source_scores(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"]))
+
+
+@register(_PROTO + ", d AS (SELECT vec_id, name, list_sum(list_transform(list_zip(v, proto), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM e, pr) SELECT vec_id, arg_min(name, (d, name)) AS name, round(min(d), 6) + 0.0 AS d2 FROM d GROUP BY vec_id", "embeddings")
+def j14_nearest_centroid(emb):
+    p = prototypes(emb).withColumnRenamed("label", "name")
+    return r6(E.nearest_prototype(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"]))
+
+
+@register(_PROTO + " SELECT a.name AS a_name, b.name AS b_name, round(1 - list_dot_product(a.proto, b.proto) / sqrt(list_dot_product(a.proto, a.proto)) / sqrt(list_dot_product(b.proto, b.proto)), 6) + 0.0 AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name", "embeddings")
+def t29_pairwise_distance(emb):
+    return r6(E.pairwise_distance(prototypes(emb).withColumn("name", F.col("label")), "name", "proto", "label"))
+
+
+@register("WITH el AS (SELECT vec_id % 40 AS clip, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT clip, i, avg(x) AS x FROM el GROUP BY ALL), n AS (SELECT clip, sqrt(sum(x * x)) AS n FROM a GROUP BY clip) SELECT a.clip, i, round(x / n, 6) + 0.0 AS x FROM a JOIN n ON n.clip = a.clip", "embeddings")
+def a28_s8_mean_embedding(emb):
+    m = R.mean_embedding(emb.select((F.col("vec_id") % 40).alias("clip"), "embedding"), ["clip"], "embedding")
+    return r6(m.select("clip", F.posexplode("embedding").alias("i", "x")))
+
+
+@register("WITH u AS (SELECT lev, value AS v, (item = 'click')::INT AS a FROM grid WHERE item IN ('click', 'view')), t AS (SELECT lev, sum(a) AS ta, sum(1 - a) AS tb FROM u GROUP BY lev), c AS (SELECT u.lev, v, sum(sum(a)) OVER (PARTITION BY u.lev ORDER BY v) / any_value(ta) AS fa, sum(sum(1 - a)) OVER (PARTITION BY u.lev ORDER BY v) / any_value(tb) AS fb FROM u JOIN t ON t.lev = u.lev GROUP BY u.lev, v) SELECT c.lev, round(max(abs(fa - fb)), 6) + 0.0 AS ks, any_value(ta)::BIGINT AS n_a, any_value(tb)::BIGINT AS n_b FROM c JOIN t ON t.lev = c.lev GROUP BY c.lev HAVING any_value(ta) >= 5 AND any_value(tb) >= 5", "grid")
+def t19_ks(grid):
+    return r6(ST.ks(grid.where("item IN ('click', 'view')"), ["lev"], F.col("item") == "click", "value"))
+
+
+@register("WITH f AS (SELECT id, avg(score) AS p FROM clips GROUP BY id), o AS (SELECT id, prio AS cond, score * 0.9 + dur / 1000 AS p, price AS o FROM clips), g AS (SELECT cond, corr(o.p, f.p) AS rf, avg(o.p - f.p) AS sh, corr(o.p, o.o) - corr(f.p, o.o) AS dr FROM o JOIN f ON f.id = o.id GROUP BY cond) SELECT cond, " + q6("rf AS r_full", "sh AS shift", "dr AS dr") + ", rf >= 0.95 AND abs(sh) <= 0.05 AND abs(dr) <= 0.02 AS passed FROM g", "clips")
+def t20_sensitivity_rule(clips):
+    other = clips.select("id", F.col("prio").alias("cond"), (F.col("score") * 0.9 + F.col("dur") / 1000).alias("p"), F.col("price").alias("o"))
+    return r6(ST.stability_rule(clips.select("id", F.col("score").alias("p")), other, ["cond"], "id", "p", "o", 0.95, 0.05, 0.02))
+
+
+@register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 FROM grid GROUP BY ALL), l AS (SELECT item, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse") + " FROM l WHERE d IS NOT NULL GROUP BY ALL", "grid")
+def t28_paired_losses(grid):
+    return r6(ST.paired_losses(grid.withColumn("cond", F.col("lev").cast("string")), "clip", "cond", "value", "0", ["item"], ["1", "2"]))
+
+
+@register(f"WITH r AS (SELECT item, p, {_rank_sql('p', 'item')} AS rx, value, {_rank_sql('value', 'item')} AS ry FROM grid) SELECT item, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho, abs(corr(rx, ry)) < 0.3 AS independent FROM r GROUP BY item HAVING count(DISTINCT p) > 2", "grid")
+def t30_level_trend(grid):
+    return r6(ST.spearman_by(grid, ["item"], "p", "value", 3).withColumn("independent", F.abs("rho") < 0.3))
+
+
+# ---- frames and spectra
+
+
+_A2 = "10 ** ((20 * log10((148693636.0 * (freq * 1.0) ** 4) / (((freq * 1.0) ** 2 + 424.36) * sqrt(((freq * 1.0) ** 2 + 11599.29) * ((freq * 1.0) ** 2 + 544496.41)) * ((freq * 1.0) ** 2 + 148693636.0))) + 2.0) / 10) * power"
+
+
+@register(f"WITH {_SPECTRUM}, w AS (SELECT clip, freq, power, {_A2} AS a FROM spectrum) SELECT clip, " + q6("100 * sum(CASE WHEN freq < 200 THEN power ELSE 0 END) / sum(power) AS low_pct", "100 * sum(CASE WHEN freq >= 1000 THEN a ELSE 0 END) / sum(a) AS mid_pct", "100 * sum(CASE WHEN freq >= 3000 THEN a ELSE 0 END) / sum(a) AS high_pct") + " FROM w GROUP BY clip", "embeddings")
+def g1_band_share(emb):
+    return r6(G.band_share(spectrum(emb), "clip", (200.0, 1000.0, 3000.0)))
+
+
+_FR = "fr AS (SELECT vec_id // 2 % 60 AS clip, vec_id % 2 AS channel, vec_id // 120 AS frame, embedding::DOUBLE[] AS samples FROM embeddings)"
+
+
+def frames(emb):
+    return emb.select((F.floor(F.col("vec_id") / 2) % 60).alias("clip"), (F.col("vec_id") % 2).alias("channel"), F.floor(F.col("vec_id") / 120).alias("frame"), F.col("embedding").alias("samples"))
+
+
+@register(f"WITH {_FR}, s AS (SELECT clip, list_dot_product(samples, samples) AS sq, len(samples) AS n FROM fr) SELECT clip, " + q6("stddev_pop(sqrt(sq / n)) / avg(sqrt(sq / n)) AS cv", "10 * log10(sum(sq) / sum(n)) AS rms_db") + " FROM s GROUP BY clip", "embeddings")
+def g2_level_variation(emb):
+    return r6(G.level_variation(frames(emb)))
+
+
+@register(f"WITH {_FR}, p AS (SELECT l.clip, unnest(l.samples) AS a, unnest(r.samples) AS b FROM fr l JOIN fr r ON l.clip = r.clip AND l.frame = r.frame AND l.channel = 0 AND r.channel = 1) SELECT clip, round(corr(a, b), 6) + 0.0 AS stereo_r FROM p GROUP BY clip", "embeddings")
+def g3_stereo_corr(emb):
+    return r6(G.stereo_corr(frames(emb)))
+
+
+@register(f"WITH {_SPECTRUM}, f AS (SELECT clip % 50 AS clip, clip // 50 AS frame, power + 1e-20 AS p FROM spectrum WHERE freq BETWEEN 100 AND 3000), g AS (SELECT clip, frame, 10 * log10(exp(avg(ln(p))) / avg(p)) AS a, 10 * log10(max(p) / quantile_cont(p, 0.5)) AS b FROM f GROUP BY ALL) SELECT clip, " + q6("avg(a) AS flat_db", "avg(b) AS peak_db") + " FROM g GROUP BY clip", "embeddings")
+def g4_tonality(emb):
+    s = spectrum(emb).withColumn("frame", F.floor(F.col("clip") / 50)).withColumn("clip", F.col("clip") % 50)
+    return r6(G.tonality(s, "clip", 100.0, 3000.0))
+
+
+@register(f"WITH {_SPECTRUM}, c AS (SELECT clip, sum(freq * power) / sum(power) AS centroid FROM spectrum GROUP BY clip), r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM spectrum), ro AS (SELECT clip, min(freq) FILTER (WHERE s >= 0.85) AS rolloff FROM r GROUP BY clip), b AS (SELECT clip, floor(log2(freq / 1000.0) * 3 + 0.5) AS band, sum(power) AS p FROM spectrum GROUP BY ALL), t AS (SELECT clip, regr_slope(10 * log10(p), band / 3) AS tilt FROM b WHERE p > 0 GROUP BY clip) SELECT c.clip, rolloff, " + q6("centroid AS centroid", "tilt AS tilt") + " FROM c JOIN ro ON ro.clip = c.clip JOIN t ON t.clip = c.clip", "embeddings")
+def g5_brightness(emb):
+    return r6(G.brightness(spectrum(emb)))
+
+
+@register(f"WITH {_SPECTRUM}, b AS (SELECT * FROM spectrum WHERE freq BETWEEN 60 AND 900), m AS (SELECT clip, avg(power) AS mid FROM spectrum WHERE freq BETWEEN 300 AND 3000 GROUP BY clip) SELECT b.clip, arg_max(freq, (power, -freq)) AS line_hz, " + q6("10 * log10(max(power) / quantile_cont(power, 0.5)) AS prominence_db", "10 * log10(avg(power) / any_value(mid)) AS low_mid_db") + " FROM b JOIN m ON m.clip = b.clip GROUP BY b.clip", "embeddings")
+def g6_hum(emb):
+    return r6(G.hum(spectrum(emb), "clip", 60.0, 900.0))
+
+
+@register("SELECT masker_type, " + q6("avg(disc) AS disc_mean", "stddev_samp(disc) AS disc_sd", "avg(tax) AS tax_mean", "stddev_samp(tax) AS tax_sd") + " FROM resp GROUP BY 1", "resp")
+def g7_label_summary(resp):
+    return r6(G.label_summary(resp, "masker_type", ["disc", "tax"]))
+
+
+@register("SELECT clip, " + q6("quantile_cont(value - 50, 0.95) AS n5", "quantile_cont(value - 50, 0.5) AS n50", "avg(value - 50) AS mean", "avg((value > 50)::INT) AS share_pos") + " FROM grid GROUP BY clip", "grid")
+def g8_curve_percentiles(grid):
+    return r6(G.curve_percentiles(grid.select("clip", (F.col("value") - 50).alias("value"))))
+
+
+@register("SELECT clip, " + q6("avg(value) AS ch_value", "avg(p) AS ch_p") + " FROM grid GROUP BY clip", "grid")
+def g9_channel_mean(grid):
+    return r6(G.channel_mean(grid, "clip", ["value", "p"], "ch_"))
+
+
+# ---- plans
+
+
+@register("SELECT id, c::INT AS chunk, c * 10.0::DOUBLE AS start, least(dur, (c + 1) * 10.0)::DOUBLE AS \"end\", greatest(0.0, (c + 1) * 10.0 - dur)::DOUBLE AS pad FROM (SELECT id, dur, unnest(range(0, floor((dur + 1) / 10)::BIGINT)) AS c FROM clips)", "clips")
+def c1_fixed_chunks(clips):
+    return P.chunk_plan(clips, "dur", 10.0, 1.0).select("id", "chunk", "start", "end", "pad")
+
+
+@register("WITH s AS (SELECT id, dur, ceil(dur / 22.0)::INT AS parts FROM clips), e AS (SELECT *, unnest(range(0, parts))::INT AS part FROM s) SELECT id, parts, part, round_even(part * dur / parts, 0)::DOUBLE AS start, round_even((part + 1) * dur / parts, 0)::DOUBLE AS \"end\" FROM e WHERE round_even((part + 1) * dur / parts, 0) - round_even(part * dur / parts, 0) >= 5", "clips")
+def c2_equal_split(clips):
+    return P.split_plan(clips, "dur", 22.0, 5.0).select("id", "parts", "part", "start", "end")
+
+
+_REPS = "CASE bin WHEN 'very_unpleasant' THEN 3 WHEN 'very_pleasant' THEN 2 ELSE 1 END + CASE WHEN score > 0.9 THEN 1 ELSE 0 END"
+
+
+@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT id, rep, CASE WHEN rep = 0 THEN file ELSE replace(file, '.wav', '_r' || rep || '.wav') END AS file FROM e", "clips")
+def c3_repeats(clips):
+    return P.repeat_rows(clips.withColumnRenamed("file", "name"), "bin", {"very_unpleasant": 3, "very_pleasant": 2}, "name", F.col("score") > 0.9).select("id", "rep", "file")
+
+
+@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT bin, count(DISTINCT base) AS recordings, count(*) FILTER (WHERE rep = 0) AS chunks, count(*) AS chunks_seen, sum(CASE WHEN rep = 0 THEN dur ELSE 0 END)::DOUBLE AS seconds, sum(dur)::DOUBLE AS seconds_seen FROM e GROUP BY bin", "clips")
+def a14_exposure(clips):
+    plan = P.repeat_rows(clips.withColumnRenamed("file", "name"), "bin", {"very_unpleasant": 3, "very_pleasant": 2}, "name", F.col("score") > 0.9).withColumn("start", F.lit(0.0)).withColumn("end", F.col("dur").cast("double"))
+    return P.exposure(plan, "bin", "base")
+
+
+@register(f"SELECT file, concat(prio, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS rated, prio AS plain FROM clips", "clips")
+def c4_s12_twin_manifests(clips):
+    a, b = P.twin_manifests(clips, "file", "prio", "score")
+    return a.withColumnRenamed("caption", "rated").join(b.withColumnRenamed("caption", "plain"), "file")
+
+
+@register("SELECT id, k::INT AS win, round_even(k * greatest(0.0, dur - 12.0) / 2, 0)::DOUBLE AS start FROM clips, (SELECT unnest(range(0, 3)) AS k)", "clips")
+def c5_windows(clips):
+    return P.window_starts(clips, "dur", 12.0).select("id", "win", "start")
+
+
+@register("WITH s AS (SELECT DISTINCT seed FROM grid), i AS (SELECT DISTINCT item FROM grid), l AS (SELECT DISTINCT p FROM grid), g AS (SELECT seed, item, p, concat('s', seed, '_', item, '_p', printf('%.2f', p), '.wav') AS file, concat(item, ' [ISOPleasant: ', printf('%.2f', p), ']') AS prompt FROM s, i, l) SELECT * FROM g WHERE file NOT IN (SELECT DISTINCT concat('s', seed, '_', item, '_p', printf('%.2f', p), '.wav') FROM grid WHERE seed = 0 AND lev = 1 AND value > 60)", "grid")
+def c6_j11_grid_plan(grid):
+    d = lambda c: grid.select(c).distinct()
+    done = grid.where("seed = 0 AND lev = 1 AND value > 60").select(F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), "item", F.lit("_p"), T.fmt2("p"), F.lit(".wav")).alias("file")).distinct()
+    return P.grid_plan(d("seed"), d("item"), d("p"), done)
+
+
+@register("SELECT id, (masker = 'bird' OR prio LIKE '1%')::INT AS lab_bird, (masker = 'water')::INT AS lab_water FROM clips", "clips")
+def c7_label_matrix(clips):
+    labels = F.array_compact(F.array(F.col("masker"), F.when(F.col("prio").startswith("1"), "bird")))
+    return P.label_matrix(clips, "id", labels, ["bird", "water"])
+
+
+_BIT = "('0x' || substr(md5(concat_ws('|', '22', item, CAST(seed AS VARCHAR))), 1, 8))::BIGINT % 2 = 1"
+
+
+@register(f"WITH d AS (SELECT item, seed, avg(value) FILTER (WHERE p = -1) AS lo, avg(value) FILTER (WHERE p = 1) AS hi FROM grid GROUP BY ALL) SELECT item, seed, row_number() OVER (ORDER BY md5(concat_ws('|', '21', item, CAST(seed AS VARCHAR))), item, seed)::INT AS trial, {q6(f'CASE WHEN {_BIT} THEN hi ELSE lo END AS a', f'CASE WHEN {_BIT} THEN lo ELSE hi END AS b')}, CASE WHEN {_BIT} THEN 'a' ELSE 'b' END AS answer FROM d WHERE lo IS NOT NULL AND hi IS NOT NULL", "grid")
+def c8_blind_pairs(grid):
+    return r6(P.blind_pairs(X.paired_delta(grid, ["item", "seed"], "p", -1.0, 1.0, "value"), ["item", "seed"], "lo", "hi", 21))
+
+
+@register("WITH m AS (SELECT DISTINCT item, seed, lev FROM grid) SELECT item, seed, (row_number() OVER (PARTITION BY item, seed ORDER BY md5(concat_ws('|', '23', item, CAST(seed AS VARCHAR), CAST(lev AS VARCHAR))), lev) - 1)::INT AS slot, lev AS candidate FROM m QUALIFY count(*) OVER (PARTITION BY item, seed) = 3", "grid")
+def c9_blind_candidates(grid):
+    return P.blind_candidates(X.complete_candidates(grid, ["item", "seed"], "lev", 3), ["item", "seed"], "members", 23)
+
+
+_CAP = "concat(prio, ' [ISOPleasant: ', CASE WHEN printf('%.2f', {0}) = '-0.00' THEN '0.00' ELSE printf('%.2f', {0}) END, ']')"
+
+
+@register(f"WITH r AS (SELECT id, masker, prio, score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS q, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '24', CAST(id AS VARCHAR))), id) - 1 AS h, count(*) OVER (PARTITION BY masker) AS n FROM clips), j AS (SELECT a.*, b.score AS mirror, CASE WHEN abs(c.score - a.score) < 0.05 THEN d.score ELSE c.score END AS sh FROM r a JOIN r b ON a.masker = b.masker AND b.q = a.n + 1 - a.q JOIN r c ON c.masker = a.masker AND c.h = (a.h + 1) % a.n JOIN r d ON d.masker = a.masker AND d.h = (a.h + a.n // 2) % a.n) SELECT masker, id, {_CAP.format('score')} AS correct, {_CAP.format('-score')} AS flip, {_CAP.format('mirror')} AS mirror, {_CAP.format('sh')} AS shuffle, prio AS \"none\" FROM j", "clips")
+def c10_counterfactuals(clips):
+    return P.counterfactuals(clips, ["masker"], "id", "prio", "score", 24)
+
+
+@register("SELECT source, bin, count(*) AS n FROM (SELECT 'existing' AS source, bin FROM clips WHERE side = 'F' UNION ALL SELECT 'chunks', bin FROM clips WHERE side = 'O' AND dur > 30) GROUP BY ALL", "clips")
+def c11_u1_joint_manifest(clips):
+    j = P.joint_manifest(clips.where("side = 'F'").select("file", "bin"), clips.where("side = 'O' AND dur > 30").select("file", "bin", "dur"), ("existing", "chunks"))
+    return j.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT id, CASE WHEN masker = 'bird' THEN 'new' ELSE masker END AS masker FROM clips", "clips")
+def c12_replace_rows(clips):
+    one = clips.select("id", "masker")
+    return P.replace_rows(one, one.where("masker = 'bird'").withColumn("masker", F.lit("new")), "bird")
+
+
+@register("WITH n AS (SELECT cust, min('caption ' || id) AS c FROM clips WHERE id % 3 = 0 GROUP BY cust) SELECT clips.id, coalesce(c, prio) AS caption, c IS NOT NULL AS matched FROM clips LEFT JOIN n ON n.cust = clips.cust", "clips")
+def c13_s7_refresh_captions(clips):
+    new = clips.where("id % 3 = 0").select("cust", F.concat(F.lit("caption "), F.col("id").cast("string")).alias("new_caption"))
+    return P.refresh_captions(clips.select("id", "cust", F.col("prio").alias("caption")), new, ["cust"]).select("id", "caption", "matched")
+
+
+@register("WITH s AS (SELECT id, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '25', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, 'full' AS condition FROM clips UNION ALL SELECT id, c FROM s, (VALUES ('gain'), ('cut')) v(c) WHERE r <= 30", "clips")
+def c14_job_plan(clips):
+    return P.job_plan(clips, ["id"], ["gain", "cut"], 30, 25, ["masker"])
+
+
+# ---- model tables (fitted models: no SQL form)
+
+
+def _model_rows(cust):
+    return cust.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")).withColumn("x1", F.col("bal") % 97).withColumn("x2", F.col("nation").cast("double"))
+
+
+@register(None, "cust")
+def t22_ridge_folds(cust):
+    return r6(M.ridge_folds(_model_rows(cust), ["x1", "x2"], "score", "fold", [0.1, 10.0]))
+
+
+@register(None, "cust")
+def t23_gbt_folds(cust):
+    return r6(M.gbt_folds(_model_rows(cust), ["x1", "x2"], "score", "fold", 3))
+
+
+@register("WITH r AS (SELECT id, nation, bal % 97 AS x, score AS y FROM cust), g AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY nation), d AS (SELECT nation, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM g), f AS (SELECT nation, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, n, sx, sy FROM d) SELECT id, round((sy - b * sx) / n + b * x, 6) + 0.0 AS pred FROM r JOIN f ON f.nation = r.nation", "cust")
+def t24_group_oof(cust):
+    return r6(M.group_oof(_model_rows(cust), "x1", "score", "nation").select("id", "pred"))
+
+
+@register(None, "docs labels")
+def t25_text_ridge(docs, labels):
+    j = labels.join(docs.select("doc_id", "text"), "doc_id").withColumn("y", F.col("quality").cast("double"))
+    return r6(M.text_ridge(j, "text", "y", "doc_id", folds=2, vocab=300))
+
+
+@register(None, "embeddings")
+def t26_clusters(emb):
+    c = emb.select("vec_id", "embedding")
+    return r6(M.clusters(c.where("vec_id % 4 != 0"), c, "vec_id", "embedding", range(4, 7), pca=10))
+
+
+@register("SELECT masker_type, count(*) AS n, " + q6("avg(qty) AS qty", "avg(la50) AS la50") + " FROM resp GROUP BY 1 HAVING count(*) >= 5", "resp")
+def t27_cluster_profiles(resp):
+    return r6(M.cluster_profiles(resp, "masker_type", ["qty", "la50"]))
+
+
+# ---- end to end
+
+
+@register(None, "resp")
+def manifest_end_to_end(resp):
+    """Responses -> scores -> stimulus rollup -> bins -> nested balanced selection -> captioned manifest."""
+    s = stimuli(resp).withColumn("bin", S.pleasantness_bin("score")).withColumn("side", S.loudness3("la50"))
+    picked = L.balanced_select(s, 600, "bin", "masker_type", ["side", "base"], 42, ["stimulus_id"], ["bin"])
+    rows = picked.select("stimulus_id", "bin", F.concat(S.order_key(42, "stimulus_id"), F.lit(".wav")).alias("file"), T.caption_short("masker_type", F.col("side") == "loud", "score").alias("caption"))
+    return rows.withColumn("score", T.parse_tag("caption")["value"])
