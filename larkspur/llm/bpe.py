@@ -187,8 +187,8 @@ class Codec:
         return n < len(ids) and self.table[ids[n]][0] & 0xC0 != 0x80 and chars <= len(text)
 
 
-def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
-    """Per row: doc_id, n_tokens and ids (binary, little-endian 32-bit); with digests, instead of the ids,
+def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, leaf: int = LEAF, spread: int = SPREAD, width: int = 4) -> DataFrame:
+    """Per row: doc_id, n_tokens and ids (binary, little-endian, `width` bytes an id); with digests, instead of the ids,
     ids_sha256 and decoded_sha256, made in the same pass."""
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
@@ -197,7 +197,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def result(codec: Codec, doc_ids: pd.Series, found: list[bytes]) -> pd.DataFrame:
         out = {"doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in found]}
         if not digests:
-            return pd.DataFrame(out | {"ids": found})
+            return pd.DataFrame(out | {"ids": found if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in found]})
         ids = [np.frombuffer(x, "<u4") for x in found]
         out["ids_sha256"] = [hashlib.sha256(codec.decimal(x)).hexdigest() for x in ids]
         out["decoded_sha256"] = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]

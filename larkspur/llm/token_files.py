@@ -231,8 +231,8 @@ def unpack_block(raw: bytes) -> tuple[np.ndarray, list[tuple]]:
     return ids, docs
 
 
-def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK) -> None:
-    """tokens: doc_id, n_tokens, ids (binary, u32). Writes out/blocks and out/manifest."""
+def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK, width: int = 4) -> None:
+    """tokens: doc_id, n_tokens, ids (binary, `width` bytes an id). Writes out/blocks and out/manifest."""
     spark = tokens.sparkSession
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-total // block))
@@ -254,7 +254,7 @@ def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK) ->
 
         for pdf in batches:
             for doc, raw in zip(pdf["doc_id"].astype(object), pdf["ids"]):
-                ids, at = np.frombuffer(raw, "<u4"), 0
+                ids, at = np.frombuffer(raw, f"<u{width}").astype(np.uint32), 0
                 while at < len(ids):
                     part = ids[at : at + block - size]
                     held.append(part)
@@ -310,10 +310,11 @@ def read_files(spark: SparkSession, out: str) -> DataFrame:
 def write_and_read(df: DataFrame, path: str, vocab: int = 50257, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, append end_id, write the files under the shared folder and read them back."""
     spark = df.sparkSession
-    tokens = encode(df, path, doc_id, text)
-    end = F.lit(bytearray(struct.pack("<I", end_id)))
+    width = 2 if vocab <= 1 << 16 else 4  # ids travel and wait in as few bytes as the vocabulary needs
+    tokens = encode(df, path, doc_id, text, width=width)
+    end = F.lit(bytearray(end_id.to_bytes(width, "little")))
     tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("n_tokens") + 1).alias("n_tokens"), F.concat("ids", end).alias("ids"))
     tokens = cut(tokens, "token-ids")
     out = f"{scratch_dir(spark).rstrip('/')}/larkspur/tokens-{uuid.uuid4().hex}"
-    write_files(tokens, out, vocab)
+    write_files(tokens, out, vocab, width=width)
     return read_files(spark, out)

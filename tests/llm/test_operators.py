@@ -230,7 +230,7 @@ def test_token_files(docs, empty, monkeypatch):
     t = lib()
     for block in (token_files.BLOCK, 700):
         monkeypatch.setattr(token_files, "BLOCK", block)
-        monkeypatch.setattr(token_files.write_files, "__defaults__", (block,))
+        monkeypatch.setattr(token_files.write_files, "__defaults__", (block, 4))
         want, at = [], 0
         for d, x in sorted(texts(docs), key=lambda r: (r[0], r[1] or "")):
             ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
