@@ -30,7 +30,7 @@ _SCORE = "(o_totalprice % 2000) / 1000 - 1"
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "resp": ("lineitem", [
-        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS uid", "concat('S', CAST(l_partkey % 200 AS STRING)) AS base", f"{_TYPE} AS masker_type",
+        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS uid", "concat('S', CAST(l_partkey % 200 AS STRING)) AS base", f"{_TYPE} AS masker_type",
         f"concat({_TYPE}, '_', CAST(l_linenumber AS STRING)) AS masker", "l_quantity / 10 - 2.5 AS smr", "l_suppkey AS participant", "CAST(l_orderkey % 8 - 1 AS INT) AS fold", "CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS is_attention",
         "CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS pl", "1 + (l_partkey + l_suppkey) % 5 AS ca", "1 + (l_partkey * 3 + l_linenumber) % 5 AS vi", "1 + (l_suppkey * 2 + l_linenumber) % 5 AS un", "1 + (l_partkey + 2 * l_linenumber) % 5 AS mo", "1 + (l_suppkey + 1) % 5 AS an", "1 + l_orderkey % 5 AS ev", "1 + (l_orderkey + l_partkey) % 5 AS ch",
         "40 + l_extendedprice % 45 AS la50", "l_discount AS disc", "l_tax AS tax", "l_quantity AS qty", "l_extendedprice AS price", "l_partkey % 40 AS part_group"]),
@@ -159,7 +159,7 @@ def p12_place_names(cust):
     return cust.select("id", T.place_name(F.concat(F.lit("CustomerName_-"), F.col("id").cast("string"))).alias("place"))
 
 
-@register("""WITH l AS (SELECT uid, unnest([struct_pack(v := pl::DOUBLE, k := 'traffic', w := 'traffic noise'), struct_pack(v := ca::DOUBLE, k := 'other_noise', w := 'other noise'), struct_pack(v := vi::DOUBLE, k := 'human', w := 'human sounds'), struct_pack(v := un::DOUBLE, k := 'natural', w := 'natural sounds')]) AS s FROM resp),
+@register("""WITH l AS (SELECT uid, unnest([struct_pack(v := pl::DOUBLE, k := 'traffic', w := 'traffic noise'), struct_pack(v := ca::DOUBLE, k := 'other_noise', w := 'other noise'), struct_pack(v := vi::DOUBLE, k := 'human', w := 'human sounds'), struct_pack(v := un::DOUBLE, k := 'natural', w := 'natural sounds')]) AS s FROM (SELECT DISTINCT uid, pl, ca, vi, un FROM resp)),
 r AS (SELECT uid, s.w AS w, row_number() OVER (PARTITION BY uid ORDER BY s.v DESC, s.k DESC) AS r FROM l WHERE s.v >= 3.5),
 a AS (SELECT uid, string_agg(w, ' and ' ORDER BY r) AS ws FROM r WHERE r <= 2 GROUP BY uid)
 SELECT DISTINCT resp.uid, concat('soundscape with ', coalesce(ws, 'no dominant sound source'), ' at ', base, ' in London [ISOPleasant: ', CASE WHEN printf('%.2f', disc) = '-0.00' THEN '0.00' ELSE printf('%.2f', disc) END, ']') AS caption FROM resp LEFT JOIN a ON a.uid = resp.uid""", "resp")
@@ -239,7 +239,7 @@ def p29_varied_phrases(clips):
 _FEATS = "qty * 150 AS sc, disc AS zcr, tax AS rms, disc / 2 + tax AS onset, qty * 100 AS bandwidth"
 
 
-@register(f"""WITH f AS (SELECT uid, {_FEATS} FROM resp), h AS (SELECT uid, unnest(list_filter([
+@register(f"""WITH f AS (SELECT DISTINCT uid, {_FEATS} FROM resp), h AS (SELECT uid, unnest(list_filter([
 CASE WHEN sc > 3000 AND sc < 8000 AND zcr > 0.1 AND onset > 0.05 THEN {{'n': -0.85, 'i': 0, 'm': 'birds singing', 'a': 'natural soundscape with birdsong'}} END,
 CASE WHEN sc < 2000 AND zcr < 0.05 AND rms > 0.01 THEN {{'n': -0.8, 'i': 1, 'm': 'flowing water', 'a': 'waterside environment with flowing water'}} END,
 CASE WHEN sc > 500 AND sc < 4000 AND rms > 0.02 AND bandwidth > 2000 THEN {{'n': -0.8, 'i': 2, 'm': 'traffic noise', 'a': 'urban area with traffic noise'}} END,
