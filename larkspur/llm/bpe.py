@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding, exact with the tokenizers library.
 
-Short stretches: a text is cut where white space follows something else and where ASCII punctuation
-follows a letter. No pre-token of the byte-level pattern spans such a place and no look-ahead crosses
-it, so the pieces encode on their own; repeated pieces come from a bounded cache and the rest go through
-the library in one batch.
+Short stretches: a text is cut before each space that something other than white space follows. No
+pre-token of the byte-level pattern spans such a place and no look-ahead crosses it, so the parts encode
+on their own. Arrow splits a batch there and looks its parts up among the known ones; unseen parts go
+through the library, many to a text, and the ids of all parts are gathered at once. First parts, and
+texts with spaces at other places, are cut by a pattern, with a bounded cache of their own.
 
 Long unsplit stretches (no such place within `leaf` characters) are encoded by tree concatenation:
 halves are encoded apart, down to leaves that need nothing of each other, and joined upwards. At
@@ -30,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ LEAF = 2048
 SPREAD = 1 << 18
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
+#: Parts that a worker knows; beyond that, those not seen since the last clearing go (about 80 MB).
+KNOWN = 1_500_000
+#: Characters that are encoded at once (or one document), and new pieces that the library sees as one text.
+SLICE, GROUP = 1 << 23, 8192
 #: White space and a word up to white space or ASCII punctuation, or else up to white space.
 _PIECES = re.compile(r"\s+[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-/:-@\[-`{-~])|\s+\S+|\S+|\s+").findall
 #: White space for one of the two regex engines only; such texts aren't cut.
@@ -57,6 +64,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slices(lens: np.ndarray) -> list[np.ndarray]:
+    """Places of the texts in runs of about SLICE characters, or one text."""
+    return np.split(np.arange(len(lens)), np.flatnonzero(np.diff(np.cumsum(lens) // SLICE)) + 1) if len(lens) else []
+
+
 class Codec:
     """One worker's encoder and decoder of a tokenizer file."""
 
@@ -81,6 +93,9 @@ class Codec:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.numbers = [str(i).encode() for i in range(size)]
         self.cache: dict[str, bytes] = {}
+        # known parts, the places of their ids in `known_ids`, their numbers of ids (-1: begins with white space)
+        self.known = pa.array([], pa.large_string())
+        self.known_ids, self.known_at, self.known_n, self.seen = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     @classmethod
     def get(cls, path: str, leaf: int = LEAF) -> Codec:
@@ -94,22 +109,105 @@ class Codec:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _grouped(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per word) of words behind a space each, encoded as one text: every border
+        between them is a safe cut."""
+        ids = np.array(self._batch([" " + " ".join(words)])[0], "<u4")
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
+        done = np.cumsum(self.lens[ids])
+        cuts = np.searchsorted(done, ends) + 1
+        if not (done[cuts - 1] == ends).all():
+            raise ValueError("a token spans a space")
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Add parts to the known ones."""
+        words = new.to_numpy(zero_copy_only=False).tolist()
+        n = np.full(len(words), -1, np.int64)
+        fit = [k for k, w in enumerate(words) if w and not w[0].isspace()]
+        short = [k for k in fit if len(words[k]) < self.leaf]
+        made = []
+        for i in range(0, len(short), GROUP):
+            ids, n[short[i : i + GROUP]] = self._grouped([words[k] for k in short[i : i + GROUP]])
+            made.append(ids)
+        long = [k for k in fit if len(words[k]) >= self.leaf]
+        for k in long:
+            made.append(np.array(self.tree(" " + words[k]), "<u4"))
+            n[k] = len(made[-1])
+        at = np.zeros(len(words), np.int64)
+        order = [*short, *long]
+        at[order] = len(self.known_ids) + np.cumsum(n[order]) - n[order]
+        self.known = pa.concat_arrays([self.known, new])
+        self.known_ids = np.concatenate([self.known_ids, *made])
+        self.known_at, self.known_n = np.r_[self.known_at, at], np.r_[self.known_n, n]
+        self.seen = np.r_[self.seen, np.ones(len(words), bool)]
+
+    def _forget(self) -> None:
+        """Keep the parts seen since the last time, or none if they are too many."""
+        keep = np.flatnonzero(self.seen) if self.seen.sum() <= KNOWN // 2 else np.zeros(0, np.int64)
+        n = np.maximum(self.known_n[keep], 0)
+        self.known_ids = self.known_ids[np.arange(n.sum()) + np.repeat(self.known_at[keep] - (np.cumsum(n) - n), n)]
+        self.known, self.known_at, self.known_n = self.known.take(pa.array(keep)), np.cumsum(n) - n, self.known_n[keep]
+        self.seen = np.zeros(len(keep), bool)
+
     def _fill(self, pieces: set[str]) -> None:
         missing = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(missing) > CACHE:
-            self.cache, missing = {}, list(pieces)
-        long = [p for p in missing if len(p) > self.leaf]
-        short = [p for p in missing if len(p) <= self.leaf]
-        for p, x in zip([*short, *long], [*self._batch(short), *map(self.tree, long)]):
+            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
+        for p, x in zip(missing, self._each(missing)):
             self.cache[p] = np.array(x, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if _DOUBTFUL(t or "") else _PIECES(t or "") for t in texts]
+    def _each(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece; long pieces by tree."""
+        short = iter(self._batch([p for p in pieces if len(p) <= self.leaf]))
+        return [self.tree(p) if len(p) > self.leaf else next(short) for p in pieces]
+
+    def cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers, by its pieces."""
+        cut = [None if _DOUBTFUL(t) else _PIECES(t) for t in texts]
         self._fill({p for pieces in cut if pieces for p in pieces})
         get = self.cache.__getitem__
         return [np.array(self.whole(t), "<u4").tobytes() if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        texts = [t or "" for t in texts]
+        return [x for at in slices(np.fromiter(map(len, texts), np.int64, len(texts))) for x in self._slice([texts[k] for k in at])]
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        first = np.r_[0, ends[:-1]]
+        parts = parts.flatten()
+        if len(self.known) > KNOWN:
+            self._forget()
+        code = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy().astype(np.int64)
+        code[first] = 0
+        miss = np.flatnonzero(code < 0)
+        if len(miss):
+            new = parts.take(pa.array(miss)).dictionary_encode()
+            code[miss] = len(self.known) + new.indices.to_numpy()
+            self._learn(new.dictionary)
+        head = self.cut(parts.take(pa.array(first)).to_pylist())
+        rest = np.ones(len(code), bool)
+        rest[first] = False
+        self.seen[code[rest]] = True
+        n, at = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        n[rest], at[rest] = self.known_n[code[rest]], self.known_at[code[rest]]
+        # a space before white space or the end is no safe cut: such texts are cut by the pattern alone
+        odd = np.flatnonzero(np.add.reduceat(n < 0, first, dtype=np.int64))
+        np.maximum(n, 0, out=n)
+        n[first] = sizes = np.fromiter(map(len, head), np.int64, len(head)) >> 2
+        at[first] = len(self.known_ids) + np.cumsum(sizes) - sizes
+        ids = np.concatenate([self.known_ids, np.frombuffer(b"".join(head), "<u4")])
+        done = np.cumsum(n)
+        raw = ids[np.arange(done[-1]) + np.repeat(at - (done - n), n)].tobytes()
+        stops = (4 * done[ends - 1]).tolist()
+        out = [raw[i:j] for i, j in zip([0, *stops], stops)]
+        for k, x in zip(odd, self.cut([texts[k] for k in odd])):
+            out[k] = x
+        return out
+
     def decimal(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
         return b",".join(map(self.numbers.__getitem__, ids.tolist()))
@@ -206,8 +304,8 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.get(path, leaf)
         for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
+            for at in slices(pdf["t"].str.len().fillna(0).to_numpy(np.int64)):
+                part = pdf.iloc[at]
                 yield result(codec, part["doc_id"].reset_index(drop=True), codec.encode(part["t"].tolist()))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -211,7 +211,7 @@ def test_bpe_library(docs, empty):
     assert bpe.encode(empty, PATH).count() == 0
 
 
-ALPHABETS = ["ab", "abcdefghij", "aA1!'s t", "äöabé", "漢字かな", "a'sdtre", "0123ab", "!?'s", "🙂a", " \n\t\u00a0\u2003x", "<|endoftext|> a", "\x1c\x1fa b", "don't we'll ", "a,b.c-d 'x"]
+ALPHABETS = ["ab", "abcdefghij", "aA1!'s t", "äöabé", "漢字かな", "a'sdtre", "0123ab", "!?'s", "🙂a", " \n\t\u00a0\u2003x", "<|endoftext|> a", "\x1c\x1fa b", "don't we'll ", "a,b.c-d 'x", "a  \n\tb.", "a \u180e\u200b\ufeff\u3000\u0085", "x \r\n\n's"]
 
 
 @pytest.mark.parametrize("alphabet", ALPHABETS)
@@ -226,6 +226,21 @@ def test_bpe_trees(alphabet):
             assert np.frombuffer(codec.encode([s])[0], "<u4").tolist() == want
 
 
+def test_bpe_batches(monkeypatch):
+    """Many texts at once, with shared parts, odd spaces and a cache that overflows."""
+    rng, t = random.Random(1), lib()
+    words = ["".join(rng.choice("aeiörstßn漢") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "'s", "***", "<|endoftext|>"]) for _ in range(3000)]
+    texts = [None, "", " ", "a ", " a", *("".join(rng.choice(words) + rng.choice([" "] * 8 + ["\n", "  ", " \n", "\u00a0 ", " \u2003"]) for _ in range(n)).strip(" ") for n in [1, 5, 400] * 20)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for cache in (bpe.CACHE, 100):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        monkeypatch.setattr(bpe, "KNOWN", cache)
+        codec = bpe.Codec(PATH)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+            assert [np.frombuffer(codec.encode([x])[0], "<u4").tolist() for x in texts] == want
+
+
 def test_token_files(docs, empty, monkeypatch):
     t = lib()
     for block in (token_files.BLOCK, 700):
