@@ -43,7 +43,7 @@ BLOCK = 1 << 21
 LANES = 4096
 #: Bits of the coder's total, of the order-2 table, and steps between refreshes of counts and weights.
 TOTAL, HASH_BITS, REFRESH = 28, 18, 16
-LEVELS = 8
+LEVELS, STEP = 8, 8
 LEAST = 1 << 23  # the least share of order 0; above the largest sum of its counts
 _HEAD, _DOC = struct.Struct("<4sIIIII"), struct.Struct("<qBqqqI")
 
@@ -52,8 +52,8 @@ class _Model:
     """The shared adaptive model of a block's lanes. Shares are whole numbers held as floats below 2**53,
     and both directions take the same steps, so they agree to the bit."""
 
-    def __init__(self, vocab: int, lanes: int):
-        self.v = vocab
+    def __init__(self, vocab: int, lanes: int, decoder: bool = False):
+        self.v, self.decoder = vocab, decoder
         self.count = np.ones(vocab, np.int64)
         # predictions as id * LEVELS + confidence; confidence 0: none yet
         self.t1 = np.zeros(vocab + 1, np.int32)
@@ -73,6 +73,8 @@ class _Model:
         cum = np.zeros(self.v + 1, np.int64)
         np.cumsum(self.count, out=cum[1:])
         self.total, self.cum = float(cum[-1]), cum.astype(np.float64)
+        # the id that holds each STEP-th count
+        self.holder = np.repeat(np.arange(self.v, dtype=np.int32), np.diff(-(-cum // STEP))) if self.decoder else None
         room = (1 << TOTAL) - LEAST
         w = self.seen[:, :2] * room // self.seen.sum(axis=1, keepdims=True)
         conf = np.arange(LEVELS * LEVELS)
@@ -99,14 +101,21 @@ class _Model:
     def find(self, at: np.ndarray) -> np.ndarray:
         """The id whose interval holds each value."""
         x2, x1, s2, s1 = self.x2, self.x1, self.s2, self.s1
-        low2, low1 = np.floor(self.cum[x2] * self.scale) + s1 * (x1 < x2), np.floor(self.cum[x1] * self.scale) + s2 * (x2 < x1)
-        end2, end1 = np.floor(self.cum[x2 + 1] * self.scale) + s1 * (x1 < x2) + s2, np.floor(self.cum[x1 + 1] * self.scale) + s2 * (x2 < x1) + s1
-        past2, past1 = at >= end2, at >= end1
-        x = np.where((at >= low2) & ~past2 & (s2 > 0), x2, x1).astype(np.int64)
-        rest = np.flatnonzero(~(((at >= low2) & ~past2 & (s2 > 0)) | ((at >= low1) & ~past1 & (s1 > 0))))
+        before2, before1 = s1 * (x1 < x2), s2 * (x2 < x1)
+        low2, low1 = np.floor(self.cum[x2] * self.scale) + before2, np.floor(self.cum[x1] * self.scale) + before1
+        past2 = at >= np.floor(self.cum[x2 + 1] * self.scale) + before2 + s2
+        past1 = at >= np.floor(self.cum[x1 + 1] * self.scale) + before1 + s1
+        in2 = (at >= low2) & ~past2 & (s2 > 0)
+        x = np.where(in2, x2, x1).astype(np.int64)
+        rest = np.flatnonzero(~(in2 | ((at >= low1) & ~past1 & (s1 > 0))))
         u = (at - s2 * past2 - s1 * past1)[rest]
         scale = self.scale[rest]
-        y = np.searchsorted(self.cum, (u + 1) / scale, side="left") - 1
+        place = np.minimum(np.ceil((u + 1) / scale) - 1, self.total - 1)
+        y = self.holder[(place / STEP).astype(np.int64)].astype(np.int64)
+        k = np.flatnonzero(self.cum[y + 1] <= place)
+        while len(k):
+            y[k] += 1
+            k = k[self.cum[y[k] + 1] <= place[k]]
         off = np.flatnonzero((np.floor(self.cum[y] * scale) > u) | (np.floor(self.cum[np.minimum(y + 1, self.v)] * scale) <= u))
         for k in off:  # rounding at a border: one place aside
             y[k] += 1 if np.floor(self.cum[y[k]] * scale[k]) <= u[k] else -1
@@ -178,7 +187,7 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, np.ndarray, np.ndarray
 def decode_ids(n: int, vocab: int, used: np.ndarray, words: np.ndarray) -> np.ndarray:
     lanes, lens = _lanes(n)
     starts = np.r_[0, np.cumsum(lens)[:-1]]
-    model, out = _Model(vocab, lanes), np.zeros(n, np.uint32)
+    model, out = _Model(vocab, lanes, decoder=True), np.zeros(n, np.uint32)
     u = np.uint64
     words = np.r_[words, np.zeros(8, words.dtype)].astype(u)
     at = np.r_[0, np.cumsum(used.astype(np.int64))[:-1]]
