@@ -40,10 +40,10 @@ LEAF = 2048
 SPREAD = 1 << 18
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
-#: Parts that a worker knows; beyond that, those not seen since the last clearing go (about 80 MB).
-KNOWN = 1_500_000
+#: Parts that a worker knows; beyond that, those not seen since the last clearing go (about 50 MB).
+KNOWN = 1_000_000
 #: Characters that are encoded at once (or one document), and new pieces that the library sees as one text.
-SLICE, GROUP = 1 << 23, 8192
+SLICE, GROUP = 1 << 22, 8192
 #: White space and a word up to white space or ASCII punctuation, or else up to white space.
 _PIECES = re.compile(r"\s+[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-/:-@\[-`{-~])|\s+\S+|\S+|\s+").findall
 #: White space for one of the two regex engines only; such texts aren't cut.
