@@ -2,9 +2,15 @@
 
 Short stretches: a text is cut before each space that something other than white space follows. No
 pre-token of the byte-level pattern spans such a place and no look-ahead crosses it, so the parts encode
-on their own. Arrow splits a batch there and looks its parts up among the known ones; unseen parts go
-through the library, many to a text, and the ids of all parts are gathered at once. First parts, and
-texts with spaces at other places, are cut by a pattern, with a bounded cache of their own.
+on their own. Arrow splits a slice of texts there, the distinct parts are encoded, many to a text, and the
+ids of all parts are gathered at once. First parts, and texts with spaces at other places, are cut by a
+pattern, with a bounded cache of their own.
+
+Distinct parts of Western letters and ASCII signs go through tiktoken, which is quicker, all others and
+those with an added token through the library. Both give the same ids if ids are merge ranks and each
+token's own bytes encode as that one token: what a run of bytes becomes before a merge reaches beyond it
+depends on the run alone, so a pair whose bytes are a token's can only stand there as that token's own
+merge. Codec checks both for the given file and uses the library alone where either fails.
 
 Long unsplit stretches (no such place within `leaf` characters) are encoded by tree concatenation:
 halves are encoded apart, down to leaves that need nothing of each other, and joined upwards. At
@@ -25,6 +31,7 @@ repeated, each row gets its own result; an empty table gives an empty result; ex
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -40,14 +47,16 @@ LEAF = 2048
 SPREAD = 1 << 18
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
-#: Parts that a worker knows; beyond that, those not seen since the last clearing go (about 50 MB).
-KNOWN = 1_000_000
-#: Characters that are encoded at once (or one document), and new pieces that the library sees as one text.
+#: Characters that are encoded at once (or one document), and distinct parts that are encoded as one text.
 SLICE, GROUP = 1 << 22, 8192
 #: White space and a word up to white space or ASCII punctuation, or else up to white space.
 _PIECES = re.compile(r"\s+[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-/:-@\[-`{-~])|\s+\S+|\S+|\s+").findall
 #: White space for one of the two regex engines only; such texts aren't cut.
 _DOUBTFUL = re.compile(r"[\x1c-\x1f]").search
+#: Parts whose characters are of one class in every version of Unicode: Western letters and ASCII.
+_WESTERN = r"\A[!-~\x{A1}-\x{24F}][\t\n\r -~\x{A1}-\x{24F}]*\z"
+#: The byte-level pre-token pattern (fixed value).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_path() -> str:
@@ -93,9 +102,23 @@ class Codec:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.numbers = [str(i).encode() for i in range(size)]
         self.cache: dict[str, bytes] = {}
-        # known parts, the places of their ids in `known_ids`, their numbers of ids (-1: begins with white space)
-        self.known = pa.array([], pa.large_string())
-        self.known_ids, self.known_at, self.known_n, self.seen = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.added = [t.content for t in added.values()]
+        self.quick = self._ranks(json.loads(self.lib.to_str()))
+
+    def _ranks(self, file: dict):
+        """The same vocabulary for tiktoken, or None where the two could differ (see above)."""
+        model, pre = file["model"], file["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or file["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        vocab = model["vocab"]
+        ranks = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        tokens = [t for t in vocab if t not in self.added]
+        if ranks != sorted(set(ranks)) or len(tokens) != 256 + len(ranks) or any(len(self.lib.model.tokenize(t)) != 1 for t in tokens):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks={self.table[vocab[t]]: vocab[t] for t in tokens}, special_tokens={})
 
     @classmethod
     def get(cls, path: str, leaf: int = LEAF) -> Codec:
@@ -109,46 +132,44 @@ class Codec:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _grouped(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids per word) of words behind a space each, encoded as one text: every border
-        between them is a safe cut."""
-        ids = np.array(self._batch([" " + " ".join(words)])[0], "<u4")
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
-        done = np.cumsum(self.lens[ids])
+    def _grouped(self, text: str, sizes: np.ndarray, quick: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per word) of a text of words joined by spaces, each of so many bytes, behind
+        one more space: every border between them is a safe cut."""
+        text = " " + text
+        ids = np.array(self.quick.encode_ordinary(text) if quick else self._batch([text])[0], "<u4")
+        ends, done = np.cumsum(sizes + 1), np.cumsum(self.lens[ids])
         cuts = np.searchsorted(done, ends) + 1
         if not (done[cuts - 1] == ends).all():
             raise ValueError("a token spans a space")
         return ids, np.diff(cuts, prepend=0)
 
-    def _learn(self, new: pa.Array) -> None:
-        """Add parts to the known ones."""
-        words = new.to_numpy(zero_copy_only=False).tolist()
-        n = np.full(len(words), -1, np.int64)
-        fit = [k for k, w in enumerate(words) if w and not w[0].isspace()]
-        short = [k for k in fit if len(words[k]) < self.leaf]
-        made = []
-        for i in range(0, len(short), GROUP):
-            ids, n[short[i : i + GROUP]] = self._grouped([words[k] for k in short[i : i + GROUP]])
-            made.append(ids)
-        long = [k for k in fit if len(words[k]) >= self.leaf]
-        for k in long:
-            made.append(np.array(self.tree(" " + words[k]), "<u4"))
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words behind a space each, their places, their numbers: -1 for a word that begins
+        with white space, and for the empty word)."""
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        short = pc.less(pc.utf8_length(words), self.leaf).to_numpy(zero_copy_only=False)
+        quick = short & pc.match_substring_regex(words, _WESTERN).to_numpy(zero_copy_only=False) if self.quick else np.zeros(len(words), bool)
+        for content in self.added:
+            quick &= ~pc.match_substring(words, content).to_numpy(zero_copy_only=False)
+        fit, other = quick.copy(), np.flatnonzero(~quick)
+        fit[other] = [t != "" and not t[0].isspace() for t in words.take(pa.array(other)).to_pylist()]
+        n, order, made = np.full(len(words), -1, np.int64), [], [np.zeros(0, "<u4")]
+        for chosen, by in ((quick, True), (fit & short & ~quick, False)):
+            places = np.flatnonzero(chosen)
+            starts = range(0, len(places), GROUP)
+            lists = pa.ListArray.from_arrays(pa.array([*starts, len(places)], pa.int32()), words.take(pa.array(places)))
+            for i, text in zip(starts, pc.binary_join(lists, pa.scalar(" ", words.type)).to_pylist()):
+                k = places[i : i + GROUP]
+                ids, n[k] = self._grouped(text, sizes[k], by)
+                made.append(ids)
+            order.append(places)
+        order.append(np.flatnonzero(fit & ~short))
+        for k in order[-1].tolist():
+            made.append(np.array(self.tree(" " + words[k].as_py()), "<u4"))
             n[k] = len(made[-1])
-        at = np.zeros(len(words), np.int64)
-        order = [*short, *long]
-        at[order] = len(self.known_ids) + np.cumsum(n[order]) - n[order]
-        self.known = pa.concat_arrays([self.known, new])
-        self.known_ids = np.concatenate([self.known_ids, *made])
-        self.known_at, self.known_n = np.r_[self.known_at, at], np.r_[self.known_n, n]
-        self.seen = np.r_[self.seen, np.ones(len(words), bool)]
-
-    def _forget(self) -> None:
-        """Keep the parts seen since the last time, or none if they are too many."""
-        keep = np.flatnonzero(self.seen) if self.seen.sum() <= KNOWN // 2 else np.zeros(0, np.int64)
-        n = np.maximum(self.known_n[keep], 0)
-        self.known_ids = self.known_ids[np.arange(n.sum()) + np.repeat(self.known_at[keep] - (np.cumsum(n) - n), n)]
-        self.known, self.known_at, self.known_n = self.known.take(pa.array(keep)), np.cumsum(n) - n, self.known_n[keep]
-        self.seen = np.zeros(len(keep), bool)
+        order, at = np.concatenate(order), np.zeros(len(words), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(made), at, n
 
     def _fill(self, pieces: set[str]) -> None:
         missing = [p for p in pieces if p not in self.cache]
@@ -179,27 +200,20 @@ class Codec:
         ends = np.cumsum(pc.list_value_length(parts).to_numpy())
         first = np.r_[0, ends[:-1]]
         parts = parts.flatten()
-        if len(self.known) > KNOWN:
-            self._forget()
-        code = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy().astype(np.int64)
-        code[first] = 0
-        miss = np.flatnonzero(code < 0)
-        if len(miss):
-            new = parts.take(pa.array(miss)).dictionary_encode()
-            code[miss] = len(self.known) + new.indices.to_numpy()
-            self._learn(new.dictionary)
         head = self.cut(parts.take(pa.array(first)).to_pylist())
-        rest = np.ones(len(code), bool)
+        rest = np.ones(len(parts), bool)
         rest[first] = False
-        self.seen[code[rest]] = True
-        n, at = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        n[rest], at[rest] = self.known_n[code[rest]], self.known_at[code[rest]]
+        coded = parts.filter(pa.array(rest)).dictionary_encode()
+        code = coded.indices.to_numpy()
+        ids, places, numbers = self._parts(coded.dictionary)
+        n, at = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        n[rest], at[rest] = numbers[code], places[code]
         # a space before white space or the end is no safe cut: such texts are cut by the pattern alone
         odd = np.flatnonzero(np.add.reduceat(n < 0, first, dtype=np.int64))
         np.maximum(n, 0, out=n)
         n[first] = sizes = np.fromiter(map(len, head), np.int64, len(head)) >> 2
-        at[first] = len(self.known_ids) + np.cumsum(sizes) - sizes
-        ids = np.concatenate([self.known_ids, np.frombuffer(b"".join(head), "<u4")])
+        at[first] = len(ids) + np.cumsum(sizes) - sizes
+        ids = np.concatenate([ids, np.frombuffer(b"".join(head), "<u4")])
         done = np.cumsum(n)
         raw = ids[np.arange(done[-1]) + np.repeat(at - (done - n), n)].tobytes()
         stops = (4 * done[ends - 1]).tolist()

@@ -232,15 +232,44 @@ def test_bpe_batches(monkeypatch):
     words = ["".join(rng.choice("aeiörstßn漢") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "'s", "***", "<|endoftext|>"]) for _ in range(3000)]
     texts = [None, "", " ", "a ", " a", *("".join(rng.choice(words) + rng.choice([" "] * 8 + ["\n", "  ", " \n", "\u00a0 ", " \u2003"]) for _ in range(n)).strip(" ") for n in [1, 5, 400] * 20)]
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
-    for cache in (bpe.CACHE, 100):
+    for cache, group, quick in ((bpe.CACHE, bpe.GROUP, True), (100, 7, True), (100, 100, False)):
         monkeypatch.setattr(bpe, "CACHE", cache)
-        monkeypatch.setattr(bpe, "KNOWN", cache)
+        monkeypatch.setattr(bpe, "GROUP", group)
         codec = bpe.Codec(PATH)
+        assert codec.quick
+        codec.quick = codec.quick if quick else None
         for _ in range(2):
             assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
             assert [np.frombuffer(codec.encode([x])[0], "<u4").tolist() for x in texts] == want
 
 
+def test_bpe_quick_parts():
+    """Western parts, among them all tokens of the vocabulary, through tiktoken and through the library."""
+    rng, t, codec = random.Random(2), lib(), bpe.Codec(PATH)
+    western = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
+    tokens = [b.decode("utf-8", "ignore") for b in codec.table]
+    for draw in (lambda: rng.choice(western), lambda: rng.choice(tokens), lambda: rng.choice("-=.,'! s1é") * rng.randint(1, 20)):
+        words = ["".join(draw() for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+        words = [w for w in words if " " not in w]
+        text = "x " + " ".join(words)
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("merges", [[("b", "c"), ("a", "b"), ("ab", "c")], [("a", "b"), ("ab", "c")]])
+def test_bpe_unreachable_token(tmp_path, merges):
+    """A vocabulary with a token that its own bytes don't encode as goes through the library alone."""
+    from tokenizers import models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate([*bpe._byte_of(), *map("".join, merges)])}
+    t = Tokenizer(models.BPE(vocab, merges))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    codec = bpe.Codec(str(tmp_path / "t.json"))
+    assert (codec.quick is None) == (merges[0] == ("b", "c"))
+    for text in ("abc", "abc abc xabc bcab", "ab abcabc cab"):
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == t.encode(text).ids
+
+
 def test_token_files(docs, empty, monkeypatch):
     t = lib()
     for block in (token_files.BLOCK, 700):
