@@ -40,11 +40,15 @@ from .common import cut, scratch_dir
 MAGIC = b"LKT1"
 #: Ids a block is closed at; a longer document is split over blocks.
 BLOCK = 1 << 21
-LANES = 4096
+LANES = 1 << 14
 #: Bits of the coder's total, of the order-2 table, and steps between refreshes of counts and weights.
 TOTAL, HASH_BITS, REFRESH = 28, 18, 16
 LEVELS, STEP = 8, 8
 LEAST = 1 << 23  # the least share of order 0; above the largest sum of its counts
+_REPLACE = 99
+#: How a confidence moves at a miss and at a hit: a hit raises it; a miss halves it, or puts the new id in
+#: place of a weak prediction or of none.
+_MOVE = np.array([[_REPLACE if c == 0 or not h and c == 1 else int(c < 7) if h else (c >> 1) - c for c in range(8)] for h in (0, 1)], np.int32).ravel()
 _HEAD, _DOC = struct.Struct("<4sIIIII"), struct.Struct("<qBqqqI")
 
 
@@ -73,6 +77,7 @@ class _Model:
         cum = np.zeros(self.v + 1, np.int64)
         np.cumsum(self.count, out=cum[1:])
         self.total, self.cum = float(cum[-1]), cum.astype(np.float64)
+        self.ends = np.stack([self.cum[:-1], self.cum[1:]], axis=1)  # of each id's share, side by side
         # the id that holds each STEP-th count
         self.holder = np.repeat(np.arange(self.v, dtype=np.int32), np.diff(-(-cum // STEP))) if self.decoder else None
         room = (1 << TOTAL) - LEAST
@@ -92,22 +97,30 @@ class _Model:
         self.scale = ((1 << TOTAL) - self.s2 - self.s1) / self.total
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, top = np.floor(self.cum[x] * self.scale), np.floor(self.cum[x + 1] * self.scale)
-        size = top - low + self.s2 * (self.x2 == x) + self.s1 * (self.x1 == x)
+        at = self._scaled(x)
+        low, size = at[:, 0], at[:, 1] - at[:, 0]
+        size += self.s2 * (self.x2 == x)
+        size += self.s1 * (self.x1 == x)
         low += self.s2 * (self.x2 < x)
         low += self.s1 * (self.x1 < x)
         return low, size
 
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        """Both ends of each id's share of order 0, in the coder's units."""
+        at = self.ends.take(x, axis=0)
+        at *= self.scale[:, None]
+        return np.floor(at, out=at)
+
     def find(self, at: np.ndarray) -> np.ndarray:
         """The id whose interval holds each value."""
         x2, x1, s2, s1 = self.x2, self.x1, self.s2, self.s1
         before2, before1 = s1 * (x1 < x2), s2 * (x2 < x1)
-        low2, low1 = np.floor(self.cum[x2] * self.scale) + before2, np.floor(self.cum[x1] * self.scale) + before1
-        past2 = at >= np.floor(self.cum[x2 + 1] * self.scale) + before2 + s2
-        past1 = at >= np.floor(self.cum[x1 + 1] * self.scale) + before1 + s1
-        in2 = (at >= low2) & ~past2 & (s2 > 0)
+        off2, off1 = self._scaled(x2), self._scaled(x1)
+        u2, u1 = at - before2, at - before1
+        past2, past1 = u2 >= off2[:, 1] + s2, u1 >= off1[:, 1] + s1
+        in2 = (u2 >= off2[:, 0]) & ~past2 & (s2 > 0)
         x = np.where(in2, x2, x1).astype(np.int64)
-        rest = np.flatnonzero(~(in2 | ((at >= low1) & ~past1 & (s1 > 0))))
+        rest = np.flatnonzero(~(in2 | ((u1 >= off1[:, 0]) & ~past1 & (s1 > 0))))
         u = (at - s2 * past2 - s1 * past1)[rest]
         scale = self.scale[rest]
         place = np.minimum(np.ceil((u + 1) / scale) - 1, self.total - 1)
@@ -125,13 +138,14 @@ class _Model:
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
         h2, h1 = self.x2 == x, self.x1 == x
-        self.hits.append(self.state * 3 + np.where(h2, 0, 2 - h1))
+        hit = self.state * 3
+        hit += np.where(h2, 0, 2 - h1)
+        self.hits.append(hit)
         self.late.append(x)
         fresh = (x.astype(np.int32) << 3) | 1
-        for t, k, v, hit in ((self.t2, self.slot[:n], self.v2, h2), (self.t1, self.prev[:n], self.v1, h1)):
-            c = v & 7
-            # a hit raises the confidence; a miss halves it, or puts the new id in place of a weak one
-            t[k] = np.where(hit & (c > 0), v + (c < 7), np.where(c > 1, v - c + (c >> 1), fresh))
+        for t, k, v, h in ((self.t2, self.slot[:n], self.v2, h2), (self.t1, self.prev[:n], self.v1, h1)):
+            move = _MOVE.take((v & 7) + (h.view(np.int8) << 3))
+            t[k] = np.where(move == _REPLACE, fresh, v + move)
         self.slot[:n] = ((self.prev[:n] * 0x9E3779B1 + x * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
         self.prev[:n] = x
         if len(self.late) >= REFRESH:
