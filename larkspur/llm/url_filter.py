@@ -1,12 +1,13 @@
 """URL filters: longest-match host and path rules, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are counted over all URLs
-on which a rule decides (grouped aggregation; all orders at once). The contexts kept are those with the
-most evidence, up to `contexts`, which bounds what is sent to the tasks; a rarer context falls back to
-its longest kept suffix. Smoothing interpolates each order with the one below by Witten-Bell weights.
-A URL without a rule is judged by its log-likelihood difference per character against a threshold that
-is calibrated on held-out rule-decided URLs (every HELD-th by hash): the threshold with the best
-balanced accuracy.
+on which a rule decides (grouped aggregation; all orders at once). Every context is kept: the counts stay
+a table of the cluster, and each URL's (context, next) positions are joined to it. Smoothing interpolates
+each order with the one below by Witten-Bell weights; a context that a model has not seen says what its
+longest seen suffix says. A URL without a rule is judged by its log-likelihood difference per character
+against a threshold. For that, models of the other rule-decided URLs score a held-out fifth (every
+HELD-th by hash), and the threshold with the best balanced accuracy is taken; the final models are then
+counted over all of them.
 
 Defined cases: a null URL, or one without ://, has empty host and path, no rule, and is allowed (no
 evidence); if either class has no labelled URL all others are allowed; repeated rows count once each;
@@ -15,10 +16,9 @@ an empty table gives an empty result; extra columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +27,12 @@ from .common import ascii_lower, cut
 #: (rule, verdict): host and path prefix as one string.
 RULES: list[tuple[str, str]] = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 ORDER = 4
-CONTEXTS = 40_000
 HELD = 5
 BINS = 400
 #: Half the width of the score range in the calibration histogram, in nats per character.
 SPAN = 4.0
+#: (context, next) pairs with more than one in HOT of all positions are joined by broadcast: at most HOT.
+HOT = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -52,77 +53,114 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return rule, verdict
 
 
-def grams(judged: DataFrame, order: int = ORDER) -> DataFrame:
-    """(verdict, context, next, n): how often a character follows each context of 0 to `order` characters.
-    \\x02 begins a URL, \\x03 ends it."""
+def positions(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows (host, path, others): the others with context (at most `order` characters) and next, one row
+    per character. \\x02 begins a URL, \\x03 ends it."""
+    others = [c for c in rows.columns if c not in ("host", "path")]
     s = F.concat(F.lit("\x02"), F.col("host"), F.col("path"), F.lit("\x03"))
-    rows = judged.select("verdict", s.alias("s")).select("verdict", "s", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("i"))
-    ks = F.explode(F.sequence(F.lit(0), F.least(F.lit(order), F.col("i") - 1))).alias("k")
-    rows = rows.select("verdict", "s", "i", ks)
-    return rows.groupBy("verdict", F.substring(F.col("s"), F.col("i") - F.col("k"), F.col("k")).alias("context"), F.substring(F.col("s"), F.col("i"), F.lit(1)).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+    at = rows.select(*others, s.alias("s")).select(*others, "s", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("i"))
+    k = F.least(F.lit(order), F.col("i") - 1)
+    return at.select(*others, F.substring(F.col("s"), F.col("i") - k, k).alias("context"), F.substring(F.col("s"), F.col("i"), F.lit(1)).alias("next"))
+
+
+def grams(judged: DataFrame, order: int = ORDER) -> DataFrame:
+    """(verdict, held, context, next, n): how often a character follows each context of 0 to `order`
+    characters, apart for the held-out URLs."""
+    held = (F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0).alias("held")
+    longest = positions(judged.select("host", "path", "verdict", held), order).groupBy("verdict", "held", "context", "next").agg(F.count(F.lit(1)).alias("n"))
+    ks = F.explode(F.sequence(F.lit(0), F.length("context"))).alias("k")
+    rows = longest.select("verdict", "held", "context", "next", "n", ks)
+    suffix = F.expr("substring(context, length(context) - k + 1, k)").alias("context")
+    return rows.groupBy("verdict", "held", suffix, "next").agg(F.sum("n").alias("n"))
 
 
 class Ratio:
-    """Log-likelihood difference of the two models, from a bounded table of counts."""
+    """Log-likelihood difference of the two models. table: (verdict, context, next, n), all of them."""
+
+    def __init__(self, table: DataFrame, order: int):
+        self.table, self.order = table, order
+        self.alphabet = table.where("context = ''").select("next").distinct().count() + 1
 
-    def __init__(self, rows: list[tuple[str, str, str, int]], order: int):
-        self.order, self.counts = order, {"allow": {}, "block": {}}
-        for verdict, context, nxt, n in rows:
-            self.counts[verdict].setdefault(context, {})[nxt] = n
-        self.alphabet = len({r[2] for r in rows}) + 1
-        self.memo: dict[tuple[str, str], float] = {}
+    @functools.cached_property
+    def counts(self) -> dict[str, dict[str, dict[str, int]]]:
+        """The counts on the driver, for score() of single texts; score_rows() does without."""
+        out: dict[str, dict[str, dict[str, int]]] = {"allow": {}, "block": {}}
+        for verdict, context, nxt, n in self.table.select("verdict", "context", "next", "n").collect():
+            out[verdict].setdefault(context, {})[nxt] = n
+        return out
 
     def _p(self, model: dict, context: str, nxt: str) -> float:
         p = 1.0 / self.alphabet
         for k in range(len(context) + 1):
             seen = model.get(context[len(context) - k :])
             if seen is None:
-                break  # longer contexts aren't kept either, or say nothing
+                break  # longer contexts aren't seen either
             total = sum(seen.values())
             p = (seen.get(nxt, 0) + len(seen) * p) / (total + len(seen))
         return p
 
     def step(self, context: str, nxt: str) -> float:
-        key = (context, nxt)
-        if key not in self.memo:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[key] = math.log(self._p(self.counts["allow"], context, nxt) / self._p(self.counts["block"], context, nxt))
-        return self.memo[key]
+        return math.log(self._p(self.counts["allow"], context, nxt) / self._p(self.counts["block"], context, nxt))
 
     def score(self, text: str) -> float:
         """Nats per character in favour of accepting."""
         s = f"\x02{text}\x03"
         return sum(self.step(s[max(0, i - self.order) : i], s[i]) for i in range(1, len(s))) / (len(s) - 1)
 
-
-def _scored(rows: DataFrame, ratio: Ratio) -> DataFrame:
-    """rows (host, path, others) with score."""
-    schema = rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(score=[ratio.score(h + p) for h, p in zip(pdf["host"], pdf["path"])])
-
-    return rows.mapInPandas(run, f"{schema}, score double")
-
-
-def train(judged: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> tuple[Ratio, float] | None:
+    def steps(self, pairs: DataFrame) -> DataFrame:
+        """pairs: distinct (context, next). Their step(), order by order. No join key has more rows than
+        the alphabet has characters: the pairs of an order are the distinct suffixes of the next one's."""
+        n = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0))
+        both = self.table.groupBy("context", "next").agg(n("allow").alias("na"), n("block").alias("nb"))
+        kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+        model = both.groupBy("context").agg(F.sum("na").alias("ta"), kinds("na").alias("ka"), F.sum("nb").alias("tb"), kinds("nb").alias("kb"))
+        both, model = cut(both, "url-counts"), cut(model, "url-contexts")
+        wanted = [pairs.select("context", "next")]
+        for k in range(self.order - 1, -1, -1):
+            wanted.insert(0, wanted[0].select(F.expr(f"right(context, {k})").alias("context"), "next").distinct())
+        below = None
+        for k, want in enumerate(wanted):
+            one = want.join(both.where(F.length("context") <= k), ["context", "next"], "left").join(model.where(F.length("context") <= k), "context", "left")
+            if below is None:
+                one = one.withColumn("qa", F.lit(1.0 / self.alphabet)).withColumn("qb", F.col("qa"))
+            else:
+                one = one.withColumn("context_", F.col("context")).withColumn("context", F.expr(f"right(context, {k - 1})")).join(below, ["context", "next"]).drop("context").withColumnRenamed("context_", "context")
+            # a context of fewer than k characters has had its say
+            mixed = lambda v: F.when((F.length("context") == k) & (F.col(f"k{v}") > 0), (F.coalesce(F.col(f"n{v}"), F.lit(0)) + F.col(f"k{v}") * F.col(f"q{v}")) / (F.col(f"t{v}") + F.col(f"k{v}"))).otherwise(F.col(f"q{v}"))  # noqa: B023, E731
+            below = cut(one.select("context", "next", mixed("a").alias("qa"), mixed("b").alias("qb")), f"url-order-{k}")
+        return below.select("context", "next", F.ln(F.col("qa") / F.col("qb")).alias("step"))
+
+    def score_rows(self, rows: DataFrame) -> DataFrame:
+        """rows (host, path, others) with score."""
+        rows = cut(rows.withColumn("url_row", F.monotonically_increasing_id()), "url-rows")
+        at = positions(rows.select("url_row", "host", "path"), self.order)
+        pairs = cut(at.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n")), "url-pairs")
+        many = (pairs.agg(F.sum("n")).first()[0] or 0) / HOT
+        steps = cut(self.steps(pairs).join(pairs, ["context", "next"]), "url-steps")
+        hot = F.broadcast(steps.where(F.col("n") > many).select("context", "next", F.col("step").alias("hot_step")))
+        at = at.join(hot, ["context", "next"], "left")
+        rare = at.where("hot_step IS NULL").drop("hot_step").join(steps.where(F.col("n") <= many).select("context", "next", "step").hint("merge"), ["context", "next"])
+        found = at.where("hot_step IS NOT NULL").select("url_row", F.col("hot_step").alias("step")).unionByName(rare.select("url_row", "step"))
+        # decimals, so that a score doesn't depend on the order of its sum
+        score = (F.sum(F.col("step").cast("decimal(24,14)")).cast("double") / F.count(F.lit(1))).alias("score")
+        return rows.join(found.groupBy("url_row").agg(score), "url_row").drop("url_row")
+
+
+def train(judged: DataFrame, order: int = ORDER) -> tuple[Ratio, float] | None:
     """judged: host, path, verdict. The model and its threshold, or None if a class is missing."""
-    held = F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0
-    counts = cut(grams(judged.where(~held), order), "url-grams")
-    top = counts.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts).select("context")
-    rows = [tuple(r) for r in counts.join(F.broadcast(top), "context", "left_semi").select("verdict", "context", "next", "n").collect()]  # at most contexts * alphabet * 2
-    if {r[0] for r in rows} != {"allow", "block"}:
+    counts = cut(grams(judged, order), "url-grams")
+    classes = {(r[0], r[1]) for r in counts.where("context = ''").select("verdict", "held").distinct().collect()}
+    if {v for v, _ in classes} != {"allow", "block"}:
         return None
-    ratio = Ratio(rows, order)
+    final = Ratio(cut(counts.groupBy("verdict", "context", "next").agg(F.sum("n").alias("n")), "url-model"), order)
+    if len(classes) < 4:  # nothing to fit or to calibrate on
+        return final, 0.0
     size = 2 * SPAN / BINS
-    scored = _scored(judged.where(held).select("host", "path", "verdict"), ratio)
+    held = judged.where(F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0)
+    scored = Ratio(counts.where("NOT held"), order).score_rows(held.select("host", "path", "verdict"))
     place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) / size)))
     hist = {(r[0], r[1]): r[2] for r in scored.groupBy("verdict", place.alias("bin")).count().collect()}
     totals = {v: sum(n for (w, _), n in hist.items() if w == v) for v in ("allow", "block")}
-    if not all(totals.values()):
-        return ratio, 0.0
     best, below = (-1.0, 0.0), {"allow": 0, "block": 0}
     for b in range(BINS + 1):
         balanced = 1 - below["allow"] / totals["allow"] + below["block"] / totals["block"]
@@ -130,7 +168,7 @@ def train(judged: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> tu
             best = (balanced, b * size - SPAN)
         for v in below:
             below[v] += hist.get((v, b), 0)
-    return ratio, best[1]
+    return final, best[1]
 
 
 def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -145,7 +183,7 @@ def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules:
     if model is None:
         return decided.withColumn("score", none).unionByName(open_.withColumn("verdict", F.lit("allow")).withColumn("score", none))
     ratio, threshold = model
-    scored = _scored(open_, ratio)
+    scored = ratio.score_rows(open_)
     empty = (F.col("host") == "") & (F.col("path") == "")
     scored = scored.withColumn("verdict", F.when(empty | (F.col("score") >= threshold), "allow").otherwise("block"))
     return decided.withColumn("score", none).unionByName(scored)

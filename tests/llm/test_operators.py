@@ -448,6 +448,28 @@ def test_url_model(spark):
         assert sum(ratio._p(ratio.counts["allow"], ctx, c) for c in {r for m in ratio.counts.values() for x in m.values() for r in x}) <= 1 + 1e-9
 
 
+def test_url_all_contexts(spark):
+    """All contexts count, those of the held-out URLs too, and the joined scores are those of a plain loop."""
+    rng = random.Random(3)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    letters = "".join(map(chr, [*range(97, 123), *range(0x3B1, 0x3C9)]))
+    data = [(f"{word(letters, 30)}.com", f"/{word(letters, 20)}", "allow") for _ in range(900)] + [(f"{word(letters, 30)}.net", f"/es/{word(letters, 20)}", "block") for _ in range(900)]
+    ratio, _ = url_filter.train(common.cut(spark.createDataFrame(data, "host string, path string, verdict string"), "urls"))
+    want = {"allow": collections.defaultdict(collections.Counter), "block": collections.defaultdict(collections.Counter)}
+    for h, p, v in data:
+        s = f"\x02{h}{p}\x03"
+        for i in range(1, len(s)):
+            for k in range(min(4, i) + 1):
+                want[v][s[i - k : i]][s[i]] += 1
+    assert len(set(want["allow"]) | set(want["block"])) > 40_000
+    assert ratio.counts == {v: {c: dict(n) for c, n in m.items()} for v, m in want.items()}
+    some = [*data[:20], ("", "", "allow"), ("w" * 9, "/\x7f", "allow"), *((f"{word(letters, 9)}.org", "", "allow") for _ in range(50)), data[0]]
+    got = ratio.score_rows(spark.createDataFrame(some, "host string, path string, verdict string")).collect()
+    assert len(got) == len(some)
+    for r in got:
+        assert r.score == pytest.approx(ratio.score(r.host + r.path), abs=1e-9)
+
+
 # ---- 1 language ID
 
 
