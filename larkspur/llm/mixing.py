@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, word_count
+from .common import WORD, cut, fresh, word_count
 
 #: Hex digits of md5 that split a source's documents for the running sum (16 ** 2 groups a source).
 PREFIX = 2
@@ -55,28 +55,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, carry: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, passes (whole passes), rest (words
-    of the last, partial pass), before (words of its source ahead of it), place. With carry, df's own row
-    comes along as the struct `row`, so no extra column's name can clash."""
+    of the last, partial pass), before (words of its source ahead of it), place, nth (apart for rows of one
+    doc_id and source). With carry, df's own row comes along as the struct `row`, so no extra column's name
+    can clash."""
     row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *row)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     docs = docs.withColumn("md5", key).withColumn("bucket", F.substring("md5", 1, PREFIX))
     cells = docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, cap)
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(along), F.lit(0))).alias("a")
+    sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(sums), F.lit(0))).alias("a")
     cells = cells.join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.bucket", "a.cell_before", "b.source_size", "b.target", "b.place")
-    joined = docs.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.bucket") == F.col("c.bucket")))
-    joined = joined.select("d.*", "c.cell_before", "c.source_size", "c.target", "c.place")
-    inside = Window.partitionBy("source", "bucket").orderBy("md5", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # one key that is never null, so that the join's partitions serve the window and rows move once
+    cell = F.concat("bucket", F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))).alias("cell")
+    joined = docs.select("*", cell).join(cells.select(cell, "cell_before", "source_size", "target", "place"), "cell")
+    along = Window.partitionBy("cell").orderBy("md5", "doc_id", "size")
+    inside = along.rowsBetween(Window.unboundedPreceding, -1)
     goal = F.floor(F.col("target") + 0.5)
     out = (
         joined.withColumn("before", F.col("cell_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .withColumn("nth", F.row_number().over(along))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("CAST(floor(target + 0.5) AS BIGINT) DIV source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("passes") * F.col("source_size") - F.col("before"))).cast("long"))
         .withColumn("taken", F.col("passes") * F.col("size") + F.col("rest"))
     )
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "before", "place", *(["row"] if carry else []))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "before", "place", "nth", *(["row"] if carry else []))
 
 
 def slope(place: Column) -> Column:
@@ -96,15 +100,36 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n.cast("int")), " ")
 
 
+def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """plan's columns and `row`, one row per taken piece, with `piece` (its text) and `at` (its training
+    position); a document of which nothing is taken is there once, with nulls."""
+    copies = plan(df, doc_id, text, source, weights, cap, carry=True)
+    every = F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1))
+    copies = copies.select("*", F.explode_outer(F.when(F.col("taken") > 0, every)).alias("copy"))
+    ahead = F.col("copy") * F.col("source_size") + F.col("before")
+    part = (F.col("copy") == F.col("passes")) & (F.col("rest") < F.col("size"))
+    whole = F.col(f"row.`{text}`")
+    piece = F.when(part, leading_words(whole, F.col("rest"))).when(F.col("copy").isNotNull(), whole)
+    at = F.when(F.col("copy").isNotNull(), position(ahead.cast("double"), F.col("target"), F.col("place")))
+    return copies.withColumn("piece", piece).withColumn("at", at)
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """The mixed corpus: df's columns, one row per taken piece (a document taken twice is there twice; a
     partial take has its leading words, joined by one space), range-sorted by the last column, the
     training position (`position`, with leading underscores if df has that name)."""
-    copies = plan(df, doc_id, text, source, weights, cap, carry=True).where("taken > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1))))
-    ahead = F.col("copy") * F.col("source_size") + F.col("before")
-    part = (F.col("copy") == F.col("passes")) & (F.col("rest") < F.col("size"))
-    whole = F.col(f"row.`{text}`")
-    cols = [F.when(part, leading_words(whole, F.col("rest"))).otherwise(whole).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    at = position(ahead.cast("double"), F.col("target"), F.col("place")).alias(name := fresh(df, "position"))
-    return copies.select(*cols, at).orderBy(F.col(f"`{name}`"), F.col(f"`{doc_id}`"))
+    copies = pieces(df, doc_id, text, source, weights, cap).where("copy IS NOT NULL")
+    cols = [F.col("piece" if c == text else f"row.`{c}`").alias(c) for c in df.columns]
+    return copies.select(*cols, F.col("at").alias(name := fresh(df, "position"))).orderBy(F.col(f"`{name}`"), F.col(f"`{doc_id}`"))
+
+
+def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words of its pieces), first and last
+    (their training positions; null if nothing is taken). The pieces, with their texts, are range-sorted as in
+    mix(); the words of each are counted after that and written in training order."""
+    key = ["doc_id", "source", "nth", "size", "source_size", "target"]
+    df = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, source))))
+    ordered = pieces(df, doc_id, text, source, weights, cap).select(*key, "piece", "at").orderBy("at", "doc_id")
+    mixed = cut(ordered.select(*key, "at", word_count(F.col("piece")).alias("words")), "mixed")
+    out = mixed.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return out.drop("nth")

@@ -1,4 +1,4 @@
-"""The ten registered queries, one per operator, and SQL for those that SQL can express."""
+"""The registered queries, one per operator (two for mixing), and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -50,7 +50,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.placed(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_mixing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their first and last training position (op10_mixing's SQL has none)."""
+    return mixing.placed(load(spark, sf_dir, "documents")).where("taken > 0").select("doc_id", "source", "taken", "first", "last")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_simhash_near_dedup, op4_bpe, op5_line_dedup, op6_token_files, op7_quality_rules, op8_url_filters, op9_exact_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_simhash_near_dedup, op4_bpe, op5_line_dedup, op6_token_files, op7_quality_rules, op8_url_filters, op9_exact_dedup, op10_mixing, op10_mixing_order, pipeline)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

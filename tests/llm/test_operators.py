@@ -368,6 +368,37 @@ def test_mixing(docs, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_placed(spark, sf, docs):
+    """op10's rows come from the pieces in training order: each source's demand is met along its schedule."""
+    got = mixing.placed(spaced(docs)).collect()
+    want = mixing.plan(docs).collect()
+    cols = ("doc_id", "source", "size", "source_size", "target", "taken")
+    assert collections.Counter(tuple(r[c] for c in cols) for r in got) == collections.Counter(tuple(r[c] for c in cols) for r in want)
+    assert all((r.first is None) == (r.last is None) == (r.taken == 0) for r in got)
+    place = {r.doc_id: r for r in want}
+    for r in got:
+        p = place[r.doc_id]
+        if r.taken == 0 or p.size != r.size or r.size == 0 or sum(x.doc_id == r.doc_id for x in got) > 1:
+            continue
+        a = ((p.place - 1) % 3 - 1) / 2
+        met = lambda t: ((1 - a) * t + a * t * t) * p.target  # noqa: B023, E731
+        assert met(r.first) == pytest.approx(min(p.before, p.target), abs=1e-6 * p.source_size)
+        last = p.passes - (0 if p.rest else 1)
+        assert met(r.last) == pytest.approx(min(p.target, last * p.source_size + p.before), abs=1e-6 * p.source_size)
+
+
+def test_mixing_queries(spark, sf, monkeypatch):
+    """Both queries reach position()."""
+    seen = []
+    at = mixing.position
+    monkeypatch.setattr(mixing, "position", lambda *a: seen.append(1) or at(*a))
+    rows_ = queries.op10_mixing(spark, sf).collect()
+    assert len(seen) == 1
+    order = queries.op10_mixing_order(spark, sf).collect()
+    assert len(seen) == 2 and {(r.doc_id, r.taken) for r in order} == {(r.doc_id, r.taken) for r in rows_ if r.taken}
+    assert all(0 <= r.first <= r.last <= 1 for r in order)
+
+
 # ---- 2 HTML extraction
 
 
