@@ -39,7 +39,17 @@ SAMPLE = 500
 WEIGHT = 30.0
 KAPPA = 5.0
 _STRIP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+#: What may hold a tag's text without being one, or an <html> tag with its attributes.
+_HTML = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)", re.S | re.I)
+_DECLARED = re.compile(r"\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+
+
+def declared_of(page: str | None) -> str | None:
+    """The language of the page's first <html> tag that has one, wherever it is, in lower case."""
+    for m in _HTML.finditer(page or ""):
+        if m["attrs"] and (said := _DECLARED.search(m["attrs"])):
+            return said.group(1).lower()
+    return None
 
 
 def slots_of(text: str | None) -> np.ndarray:
@@ -106,7 +116,7 @@ def score_rows(df: DataFrame, model: TextModel, text: str, markup: bool) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf.pop(text)
-            said = [(m := _DECLARED.search(t[:4096] if t else "")) and m.group(1).lower() if markup else None for t in texts]
+            said = [declared_of(t) if markup else None for t in texts]
             if markup:
                 texts = [html.unescape(_STRIP.sub(" ", t or "")) for t in texts]
             yield pdf.assign(declared=said, ll=[model.score(t).tolist() for t in texts])

@@ -519,6 +519,15 @@ def test_language(spark, sf, edge, empty):
     assert {r.lang for r in language_id.identify(edge, None, None).collect()} == {None}
 
 
+@pytest.mark.parametrize("before", ["", "<!-- licence, no <html lang=fr> -->" + "\n" * 5000, "<!--" + "x" * 100_000 + "-->"])
+@pytest.mark.parametrize("attrs", ["", " class='" + "c " * 5000 + "'", " data-a='x > y'"])
+def test_language_declared_anywhere(before, attrs):
+    """The <html> tag and its lang may begin after any number of characters."""
+    assert language_id.declared_of(f"{before}<HTML{attrs} lang=\"DE-at\"><body><html lang=en>") == "de"
+    assert language_id.declared_of(f"{before}<html{attrs}><script>'<html lang=en>'</script><p>lang=en") is None
+    assert language_id.declared_of(None) is None
+
+
 def test_language_prior(spark):
     """Rows without text follow their host, a host with few rows its suffix."""
     model = language_id.TextModel(["de", "en"], np.ones((2, language_id.SLOTS)))
