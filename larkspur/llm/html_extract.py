@@ -7,6 +7,10 @@ each block main or other; its weights are fitted on labelled pages (see html_lab
 likelihood with forward-backward sums, and pages are decoded by Viterbi. Elements that never hold text
 of the page (head, script, style and the like) are not parsed into blocks.
 
+<head> ends at its end tag, at the first start tag that can't be inside it, or at text. A dead element
+with markup in it (svg, object and the like) that isn't closed before the end tag of its parent, or at
+all, is read as if its tag weren't there, so it never takes the rest of the page along.
+
 Defined cases: null or empty html has no blocks and an empty text; broken markup is parsed as far as it
 goes (an unclosed tag at the end is dropped, end tags close what they can); page_id and url may be null
 or repeated; an empty table gives an empty result; extra columns don't matter.
@@ -30,7 +34,11 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
     "option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-DEAD = frozenset("head script style noscript template textarea svg iframe math object canvas audio video title noframes".split())
+DEAD = frozenset("script style noscript template textarea svg iframe object canvas audio video title noframes".split())
+#: Dead elements whose content is not markup: up to their own end tag.
+RAW = frozenset("script style textarea title iframe noframes".split())
+#: Tags that may stand inside <head>; any other start tag ends it.
+HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template html head".split())
 CLOSES_P = BLOCK - {"button", "option", "caption", "legend"}
 TAGS = ("article main section div nav header footer aside form ul ol li table td th p h1 h2 h3 h4 blockquote pre figure figcaption button select dl dialog body details address".split())
 #: What names in class, id, role and aria-label speak of.
@@ -56,6 +64,8 @@ _CUE = {k: re.compile(v, re.I) for k, v in CUES.items()}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
+_NOSCRIPT = re.compile(r"<(/?)noscript\b[^>]*>?", re.I)
+
 
 class Block:
     """A leaf block: its text, the share of it in links, and its ancestors (tag, names spoken of)."""
@@ -72,6 +82,47 @@ def _spoken(attrs: str) -> frozenset[str]:
     return frozenset(k for k, r in _NAME.items() if r.search(names.replace("_", "-"))) if names else frozenset()
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the raw element ends whose start tag ends at `at`."""
+    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _dead_ends(page: str) -> dict[int, int]:
+    """Where each closed dead element with markup in it ends, by the place of its start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    n: dict[str, int] = {}
+    at = 0
+    for m in _TAG.finditer(page):
+        if m.start() < at:
+            continue
+        at = m.end()
+        tag, attrs = (m.group(2) or "").lower(), m.group(3) or ""
+        if tag != "head" and tag not in DEAD and tag not in BLOCK:
+            continue
+        if m.group(1):
+            while n.get(tag):
+                top, start = stack.pop()
+                n[top] -= 1
+                if top == tag:
+                    if tag in DEAD:
+                        ends[start] = at
+                    break
+        elif tag in DEAD and attrs.rstrip().endswith("/"):
+            continue
+        elif tag in RAW:
+            at = _raw_end(page, tag, at)
+        elif tag == "noscript":  # can't be nested, and end tags in it close nothing outside
+            other = _NOSCRIPT.search(page, at)
+            if other and other.group(1):
+                ends[m.start()] = at = other.end()
+        else:
+            stack.append((tag, m.start()))
+            n[tag] = n.get(tag, 0) + 1
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks in page order."""
     page, out = page or "", []
@@ -89,32 +140,36 @@ def blocks_of(page: str | None) -> list[Block]:
             text.clear()
             linked = 0
 
-    at, dead = 0, None
+    at, ends, head = 0, None, False
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
-        if dead is None and m.start() > at:
+        if m.start() > at:
             piece = page[at : m.start()]
-            text.append(piece)
-            linked += len(piece) * bool(anchor)
+            head = head and not piece.strip()
+            if not head:
+                text.append(piece)
+                linked += len(piece) * bool(anchor)
         at = m.end()
         close, tag, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
-            if m.group().startswith("<![CDATA[") and dead is None:
+            if m.group().startswith("<![CDATA[") and not head:
                 text.append(html.escape(m.group()[9:-3]))
             continue
-        if dead is not None:
-            if close and tag == dead or tag == "body" and dead == "head" and not close:
-                dead = None
-            if tag != "body" or close:
+        if tag == "head":
+            head = not close and not out and not stack and not "".join(text).strip()
+            continue
+        if head and tag not in HEAD:
+            if close and tag not in ("body", "br"):
                 continue
+            head = False
         if tag in DEAD:
             if not close and not attrs.rstrip().endswith("/"):
-                if tag in ("script", "style", "textarea", "title", "iframe", "noframes"):  # raw: up to their own end tag
-                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                if tag in RAW:
+                    at = _raw_end(page, tag, at)
                 else:
-                    dead = tag
+                    ends = _dead_ends(page) if ends is None else ends
+                    at = ends.get(m.start(), at)
             continue
         if tag == "br":
             text.append(" ")
@@ -149,7 +204,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
         if tag not in VOID and not (tag == "html" or tag == "body" and any(t == "body" for t, _ in stack)):
             stack.append((tag, _spoken(attrs) if attrs else frozenset()))
-    if dead is None and at < len(page):
+    if at < len(page) and not (head and not page[at:].strip()):
         piece = page[at:]
         text.append(piece)
         linked += len(piece) * bool(anchor)

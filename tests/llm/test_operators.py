@@ -413,6 +413,27 @@ def test_html_page():
     assert html_extract.trained().main_text(PAGE).split("\n") == ["Title & more", "First paragraph, with some words ét bold text that goes on for a while.", "Second paragraph here, and it has a link in it too.", "Third one closes the article, as it should be."]
 
 
+ARTICLE = "<article><h1>Title here</h1><p>First paragraph, with words that go on for a while.<p>Second one, which closes the article as it should.</article>"
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>No</title>", "<html><head><meta charset=utf-8><link href=x><style>p{}</style></head><body>", "<html><head><title>No</title><body>"])
+@pytest.mark.parametrize("dead", ["", "<div><TAG>", "<div><TAG></div>", "<TAG>", "<div><TAG></div><div><TAG>No</TAG></div>", "<div><TAG><div>No</TAG></div>", "<TAG/>"])
+@pytest.mark.parametrize("tag", ["noscript", "template", "object", "canvas", "svg", "audio", "video"])
+def test_html_left_open(start, dead, tag):
+    """A head or dead element without its end tag doesn't take the article along."""
+    text = [b.text for b in html_extract.blocks_of(start + dead.replace("TAG", tag) + ARTICLE)]
+    assert text == ["Title here", "First paragraph, with words that go on for a while.", "Second one, which closes the article as it should."]
+
+
+def test_html_head_and_math():
+    texts_ = lambda p: [b.text for b in html_extract.blocks_of(p)]
+    assert texts_("<html><head><title>x</title><p>text of the page") == ["text of the page"]
+    assert texts_("<head><title>x</title>text of the page") == ["text of the page"]
+    assert texts_("<head><title>x</title>\n<noscript><p>No</p></noscript></head>\n<p>text") == ["text"]
+    assert texts_("<p>where <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["where a=2 holds"]
+    assert texts_("<p>a</p>" + "<svg>" * 20_000 + "<p>b</p>") == ["a", "b"]
+
+
 def test_html_held_out():
     from larkspur.llm.html_labelled import labelled_pages
 
