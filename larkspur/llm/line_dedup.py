@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, scratch_dir
+from .common import ascii_lower, cut, folder
 
 MIN_CHARS = 10
 #: Runs of one level that are merged into one of the next.
@@ -48,7 +48,7 @@ class Runs:
     def _write(self, df: DataFrame) -> str:
         name, self.made = f"{self.tag}_{self.made}", self.made + 1
         parts = df.repartition(self.buckets, "h1", "h2")
-        parts.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{scratch_dir(self.spark).rstrip('/')}/larkspur/{name}").saveAsTable(name)
+        parts.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{folder(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def names(self) -> list[str]:
