@@ -65,6 +65,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocab_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    file = json.loads(open(path, encoding="utf-8").read())
+    return 1 + max([*file["model"]["vocab"].values(), *(t["id"] for t in file.get("added_tokens") or [])])
+
+
 def _byte_of() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character: printable Latin-1 as itself, the others
     from 256 up."""

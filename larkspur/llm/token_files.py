@@ -8,18 +8,23 @@ step is a handful of array operations over all lanes. The model starts afresh in
 - order 1: per preceding id, the id it predicts and a confidence;
 - order 2: per hashed pair of preceding ids, the same.
 
-The three are mixed by weights that are learned per pair of confidences: the coder's interval of id x is
-w2 [x = prediction 2] + w1 [x = prediction 1] + w0 * count share of x. The decoder repeats the model's
-steps exactly (integer arithmetic only).
+The three are mixed by weights that are learned per pair of confidences, apart for predictions that agree.
+The coder's unit interval holds the order-2 prediction first (weight w2), then the order-1 prediction if
+it is another id (w1), then every id's count share of what is left (w0); an id is coded in the first of
+these that it has. The decoder repeats the model's steps exactly (integer arithmetic only).
 
-Layout of a block, little-endian: magic "LKT1", u32 ids, u32 lanes, u32 vocabulary, u32 documents, u32
+Layout of a block, little-endian: magic "LKT2", u32 ids, u32 lanes, u32 vocabulary, u32 documents, u32
 CRC-32 of the ids as u32; per document i64 doc_id, u8 null flag, i64 start (within its file), i64 ids in
 the document, i64 offset of this block's part in the document, u32 ids of that part; per lane u32 words;
-then the lanes' 16-bit words; last a CRC-32 of all bytes before it.
+then the lanes' 32-bit words; last a CRC-32 of all bytes before it.
 
-Ids are written in ascending doc_id order (null first), range-partitioned, one file a partition; the
-manifest (file number, first position) has one row a file. Defined cases: null and empty texts have the
-end id only; rows that repeat a doc_id are written one after the other; an empty table gives no block.
+Ids are written in ascending doc_id order (null first), range-partitioned, one file of many blocks a
+partition; the manifest (file number, first position, ids) has one row a file, its first positions come
+from a two-level running sum.
+
+Defined cases: null and empty texts have the end id only; a text of any length is split over blocks; rows
+that repeat a doc_id are written one after the other, in any order of theirs; an empty table gives no
+block; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -31,40 +36,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode
-from .common import cut, scratch_dir
+from .bpe import encode, vocab_size
+from .common import cut, drop, folder
 
-MAGIC = b"LKT1"
-#: Ids a block is closed at; a longer document is split over blocks.
-BLOCK = 1 << 21
+MAGIC = b"LKT2"
+#: Ids a block is closed at (a longer document is split over blocks), and ids a file has on average.
+BLOCK, FILE = 1 << 21, 1 << 24
 LANES = 1 << 14
 #: Bits of the coder's total, of the order-2 table, and steps between refreshes of counts and weights.
 TOTAL, HASH_BITS, REFRESH = 28, 18, 16
+#: Bits after the point in the scale from counts to the coder's units.
+FINE = 32
 LEVELS, STEP = 8, 8
 LEAST = 1 << 23  # the least share of order 0; above the largest sum of its counts
+#: A row group holds a block or two, so writing and reading a file needs little memory, however large it is.
+_SMALL_GROUPS = {"parquet.block.size": 1 << 22, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+#: Files whose sizes one task adds up.
+SUMMED = 4096
 _REPLACE = 99
 #: How a confidence moves at a miss and at a hit: a hit raises it; a miss halves it, or puts the new id in
 #: place of a weak prediction or of none.
 _MOVE = np.array([[_REPLACE if c == 0 or not h and c == 1 else int(c < 7) if h else (c >> 1) - c for c in range(8)] for h in (0, 1)], np.int32).ravel()
 _HEAD, _DOC = struct.Struct("<4sIIIII"), struct.Struct("<qBqqqI")
+_WORD, _TOTAL, _FINE = np.uint64(32), np.uint64(TOTAL), np.uint64(FINE)
+_FULL = np.uint64(1 << 32)  # a range below this gives out a word
 
 
 class _Model:
-    """The shared adaptive model of a block's lanes. Shares are whole numbers held as floats below 2**53,
-    and both directions take the same steps, so they agree to the bit."""
+    """The shared adaptive model of a block's lanes. Both directions take the same steps on whole numbers,
+    so they agree to the bit."""
 
     def __init__(self, vocab: int, lanes: int, decoder: bool = False):
         self.v, self.decoder = vocab, decoder
         self.count = np.ones(vocab, np.int64)
-        # predictions as id * LEVELS + confidence; confidence 0: none yet
-        self.t1 = np.zeros(vocab + 1, np.int32)
-        self.t2 = np.zeros(1 << HASH_BITS, np.int32)
-        self.seen = np.tile(np.array([1, 1, 6], np.int64), (LEVELS * LEVELS, 1))
-        self.prev = np.full(lanes, vocab, np.int64)
-        self.slot = np.zeros(lanes, np.int64)
+        # predictions as id * LEVELS + confidence; at first an id beyond the vocabulary, confidence 0
+        self.t1 = np.full(vocab + 1, vocab * LEVELS, np.int32)
+        self.t2 = np.full(1 << HASH_BITS, vocab * LEVELS, np.int32)
+        self.seen = np.tile(np.array([1, 1, 6], np.int64), (2 * LEVELS * LEVELS, 1))
+        self.prev = np.full(lanes, vocab, np.int32)
+        self.slot = np.zeros(lanes, np.int32)
         self.late: list[np.ndarray] = []
         self.hits: list[np.ndarray] = []
         self._refresh()
@@ -72,157 +85,170 @@ class _Model:
     def _refresh(self) -> None:
         if self.late:
             self.count += 2 * np.bincount(np.concatenate(self.late), minlength=self.v)
-            self.seen += np.bincount(np.concatenate(self.hits), minlength=3 * LEVELS * LEVELS).reshape(-1, 3)
+            self.seen += np.bincount(np.concatenate(self.hits), minlength=self.seen.size).reshape(-1, 3)
             self.late, self.hits = [], []
-        cum = np.zeros(self.v + 1, np.int64)
-        np.cumsum(self.count, out=cum[1:])
-        self.total, self.cum = float(cum[-1]), cum.astype(np.float64)
-        self.ends = np.stack([self.cum[:-1], self.cum[1:]], axis=1)  # of each id's share, side by side
-        # the id that holds each STEP-th count
-        self.holder = np.repeat(np.arange(self.v, dtype=np.int32), np.diff(-(-cum // STEP))) if self.decoder else None
-        room = (1 << TOTAL) - LEAST
-        w = self.seen[:, :2] * room // self.seen.sum(axis=1, keepdims=True)
-        conf = np.arange(LEVELS * LEVELS)
-        self.w2 = np.where(conf >= LEVELS, w[:, 0], 0).astype(np.float64)
-        self.w1 = np.where(conf % LEVELS > 0, w[:, 1], 0).astype(np.float64)
+        self.cum = np.r_[0, np.cumsum(self.count)].astype(np.uint64)
+        total, state = int(self.cum[-1]), np.arange(len(self.seen))
+        w = self.seen * ((1 << TOTAL) - LEAST) // self.seen.sum(axis=1, keepdims=True)
+        w2 = np.where(state // LEVELS % LEVELS > 0, w[:, 0], 0)
+        w1 = np.where((state % LEVELS > 0) & (state < LEVELS * LEVELS), w[:, 1], 0)
+        rest = (1 << TOTAL) - w2 - w1
+        self.w2, self.w21, self.scale = w2.astype(np.uint64), (w2 + w1).astype(np.uint64), ((rest << FINE) // total).astype(np.uint64)
+        if self.decoder:
+            self.per_unit = total / rest.astype(np.float64)
+            # the id that holds each STEP-th count
+            self.holder = np.repeat(np.arange(self.v, dtype=np.int32), np.diff(-(-self.cum.view(np.int64) // STEP)))
 
     def predict(self, n: int) -> None:
-        """Set the predictions x2, x1, their shares and the scale of order 0 for the first n lanes."""
-        v2, v1 = self.t2[self.slot[:n]], self.t1[self.prev[:n]]
-        self.v2, self.v1 = v2, v1
-        self.x2, self.x1 = v2 >> 3, v1 >> 3
-        self.state = ((v2 & 7) << 3) | (v1 & 7)
-        self.s2 = self.w2[self.state]
-        self.s1 = self.w1[self.state] * (self.x1 != self.x2)
-        self.scale = ((1 << TOTAL) - self.s2 - self.s1) / self.total
+        """Set the predictions x2 and x1, and the weights and scale of their state, for the first n lanes."""
+        self.v2, self.v1 = self.t2.take(self.slot[:n]), self.t1.take(self.prev[:n])
+        self.x2, self.x1 = self.v2 >> 3, self.v1 >> 3
+        self.c2, self.c1 = self.v2 & 7, self.v1 & 7
+        state = self.c2 << 3
+        state |= self.c1
+        state += (self.x1 == self.x2).view(np.int8) << np.int8(6)
+        self.state = state
+        self.s2, self.s21, self.k = self.w2.take(state), self.w21.take(state), self.scale.take(state)
+
+    def _end(self, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where the count share of each id begins, in the coder's units after the predictions."""
+        at = self.cum.take(y)
+        at *= k
+        at >>= _FINE
+        return at
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self._scaled(x)
-        low, size = at[:, 0], at[:, 1] - at[:, 0]
-        size += self.s2 * (self.x2 == x)
-        size += self.s1 * (self.x1 == x)
-        low += self.s2 * (self.x2 < x)
-        low += self.s1 * (self.x1 < x)
+        low, size = self._end(x, self.k), self._end(x + 1, self.k)
+        size -= low
+        low += self.s21
+        h1, h2 = np.flatnonzero(self.x1 == x), np.flatnonzero(self.x2 == x)
+        low[h1] = s = self.s2[h1]
+        size[h1] = self.s21[h1] - s
+        low[h2], size[h2] = 0, self.s2[h2]
         return low, size
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        """Both ends of each id's share of order 0, in the coder's units."""
-        at = self.ends.take(x, axis=0)
-        at *= self.scale[:, None]
-        return np.floor(at, out=at)
-
-    def find(self, at: np.ndarray) -> np.ndarray:
-        """The id whose interval holds each value."""
-        x2, x1, s2, s1 = self.x2, self.x1, self.s2, self.s1
-        before2, before1 = s1 * (x1 < x2), s2 * (x2 < x1)
-        off2, off1 = self._scaled(x2), self._scaled(x1)
-        u2, u1 = at - before2, at - before1
-        past2, past1 = u2 >= off2[:, 1] + s2, u1 >= off1[:, 1] + s1
-        in2 = (u2 >= off2[:, 0]) & ~past2 & (s2 > 0)
-        x = np.where(in2, x2, x1).astype(np.int64)
-        rest = np.flatnonzero(~(in2 | ((u1 >= off1[:, 0]) & ~past1 & (s1 > 0))))
-        u = (at - s2 * past2 - s1 * past1)[rest]
-        scale = self.scale[rest]
-        place = np.minimum(np.ceil((u + 1) / scale) - 1, self.total - 1)
-        y = self.holder[(place / STEP).astype(np.int64)].astype(np.int64)
-        k = np.flatnonzero(self.cum[y + 1] <= place)
-        while len(k):
-            y[k] += 1
-            k = k[self.cum[y[k] + 1] <= place[k]]
-        off = np.flatnonzero((np.floor(self.cum[y] * scale) > u) | (np.floor(self.cum[np.minimum(y + 1, self.v)] * scale) <= u))
-        for k in off:  # rounding at a border: one place aside
-            y[k] += 1 if np.floor(self.cum[y[k]] * scale[k]) <= u[k] else -1
-        x[rest] = y
-        return x
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds each value, and that interval."""
+        in2 = at < self.s2
+        x = np.where(in2, self.x2, self.x1)
+        low, size = np.where(in2, np.uint64(0), self.s2), np.where(in2, self.s2, self.s21 - self.s2)
+        rest = np.flatnonzero(at >= self.s21)
+        before, k = self.s21[rest], self.k[rest]
+        u = at[rest] - before
+        y = self.holder.take((u * self.per_unit.take(self.state[rest]) / STEP).astype(np.int32), mode="clip")
+        lo, hi = self._end(y, k), self._end(y + 1, k)
+        j = np.flatnonzero(hi <= u)
+        while len(j):
+            y[j] += 1
+            lo[j] = hi[j]
+            hi[j] = end = self._end(y[j] + 1, k[j])
+            j = j[end <= u[j]]
+        j = np.flatnonzero(lo > u)
+        while len(j):  # rounding at a border
+            y[j] -= 1
+            hi[j] = lo[j]
+            lo[j] = end = self._end(y[j], k[j])
+            j = j[end > u[j]]
+        x[rest], size[rest] = y, hi - lo
+        lo += before
+        low[rest] = lo
+        return x, low, size
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
         h2, h1 = self.x2 == x, self.x1 == x
         hit = self.state * 3
-        hit += np.where(h2, 0, 2 - h1)
+        hit += np.where(h2, 0, 2 - h1.view(np.int8))
         self.hits.append(hit)
         self.late.append(x)
-        fresh = (x.astype(np.int32) << 3) | 1
-        for t, k, v, h in ((self.t2, self.slot[:n], self.v2, h2), (self.t1, self.prev[:n], self.v1, h1)):
-            move = _MOVE.take((v & 7) + (h.view(np.int8) << 3))
+        fresh = x << 3
+        fresh |= 1
+        for t, k, v, c, h in ((self.t2, self.slot[:n], self.v2, self.c2, h2), (self.t1, self.prev[:n], self.v1, self.c1, h1)):
+            move = _MOVE.take(c + (h.view(np.int8) << 3))
             t[k] = np.where(move == _REPLACE, fresh, v + move)
-        self.slot[:n] = ((self.prev[:n] * 0x9E3779B1 + x * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
-        self.prev[:n] = x
+        slot = self.prev[:n].view(np.uint32) * np.uint32(0x9E3779B1)
+        slot += x.view(np.uint32) * np.uint32(0x85EBCA6B)
+        slot >>= np.uint32(32 - HASH_BITS)
+        self.slot[:n], self.prev[:n] = slot, x
         if len(self.late) >= REFRESH:
             self._refresh()
 
 
-def _lanes(n: int) -> tuple[int, np.ndarray]:
-    """Number of lanes and each lane's length, longest first."""
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Number of lanes, the least number of ids in a lane, and how many first lanes have one more."""
     lanes = max(1, min(LANES, n // 128))
-    return lanes, np.array([n // lanes + (i < n % lanes) for i in range(lanes)], np.int64)
+    return lanes, n // lanes, n % lanes
+
+
+def _stretches(lanes: int, least: int, more: int) -> np.ndarray:
+    """Where each lane's stretch of ids begins."""
+    k = np.arange(lanes)
+    return k * least + np.minimum(k, more)
 
 
 def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, words per lane, words of all lanes) of a block's ids."""
-    n = len(ids)
-    lanes, lens = _lanes(n)
-    starts = np.r_[0, np.cumsum(lens)[:-1]]
+    lanes, least, more = _lanes(len(ids))
+    starts = _stretches(lanes, least, more)
     model = _Model(vocab, lanes)
-    words = np.zeros((lanes, 2 * int(lens[0]) + 8), np.uint16)
+    words = np.zeros((lanes, least + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 62, np.uint64)
-    u = np.uint64
-    for step in range(int(lens[0])):
-        m = lanes if step < lens[-1] else int((lens > step).sum())
-        x = ids[starts[:m] + step].astype(np.int64)
+    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    for step in range(least + (more > 0)):
+        m = lanes if step < least else more
+        x = ids[starts[:m] + step].astype(np.int32)
         model.predict(m)
         at, size = model.interval(x)
-        r = rng[:m] >> u(TOTAL)
-        lo = low[:m] + r * at.astype(u)
-        rg = r * size.astype(u)
-        if len(over := np.flatnonzero(lo >> u(62))):
-            lo[over] -= u(1 << 62)
+        r = rng[:m] >> _TOTAL
+        at *= r
+        size *= r
+        lo = low[:m] + at
+        if len(over := np.flatnonzero(lo < at)):
             k, p = over, used[over] - 1
             while len(k):  # add one to the word before; go on where that overflows
-                words[k, p] += np.uint16(1)
+                words[k, p] += np.uint32(1)
                 on = words[k, p] == 0
                 k, p = k[on], p[on] - 1
-        while len(k := np.flatnonzero(rg < u(1 << 46))):
-            words[k, used[k]] = lo[k] >> u(46)
-            used[k] += 1
-            lo[k] = (lo[k] & u((1 << 46) - 1)) << u(16)
-            rg[k] <<= u(16)
-        low[:m], rng[:m] = lo, rg
+        k = np.flatnonzero(size < _FULL)
+        top = lo[k]
+        words[k, used[k]] = top >> _WORD
+        used[k] += 1
+        lo[k] = top << _WORD
+        size[k] <<= _WORD
+        low[:m], rng[:m] = lo, size
         model.learn(x)
     k = np.arange(lanes)
-    for _ in range(4):
-        words[k, used] = low >> u(46)
+    for _ in range(2):
+        words[k, used] = low >> _WORD
         used += 1
-        low = (low & u((1 << 46) - 1)) << u(16)
+        low = low << _WORD
     return lanes, used.astype("<u4"), words[np.arange(words.shape[1])[None, :] < used[:, None]]
 
 
 def decode_ids(n: int, vocab: int, used: np.ndarray, words: np.ndarray) -> np.ndarray:
-    lanes, lens = _lanes(n)
-    starts = np.r_[0, np.cumsum(lens)[:-1]]
+    lanes, least, more = _lanes(n)
+    starts = _stretches(lanes, least, more)
     model, out = _Model(vocab, lanes, decoder=True), np.zeros(n, np.uint32)
-    u = np.uint64
-    words = np.r_[words, np.zeros(8, words.dtype)].astype(u)
+    words = np.r_[words, np.zeros(4, words.dtype)].astype(np.uint64)
     at = np.r_[0, np.cumsum(used.astype(np.int64))[:-1]]
-    # the first 62 bits: three words and the top 14 bits of the fourth; the rest of it waits in `low2`
-    code = (words[at] << u(46)) | (words[at + 1] << u(30)) | (words[at + 2] << u(14)) | (words[at + 3] >> u(2))
-    held, at = words[at + 3] & u(3), at + 4
-    rng = np.full(lanes, 1 << 62, np.uint64)
-    for step in range(int(lens[0])):
-        m = lanes if step < lens[-1] else int((lens > step).sum())
+    code = (words[at] << _WORD) | words[at + 1]
+    at += 2
+    rng = np.full(lanes, (1 << 64) - 1, np.uint64)
+    most = np.uint64((1 << TOTAL) - 1)
+    for step in range(least + (more > 0)):
+        m = lanes if step < least else more
         model.predict(m)
-        r = rng[:m] >> u(TOTAL)
-        x = model.find(np.minimum(code[:m] // r, u((1 << TOTAL) - 1)).astype(np.float64))
-        low, size = model.interval(x)
-        cd, rg = code[:m] - r * low.astype(u), r * size.astype(u)
-        while len(k := np.flatnonzero(rg < u(1 << 46))):
-            word = words[at[k]]
-            cd[k] = (cd[k] << u(16)) | (held[k] << u(14)) | (word >> u(2))
-            held[k] = word & u(3)
-            at[k] += 1
-            rg[k] <<= u(16)
-        code[:m], rng[:m] = cd, rg
+        r = rng[:m] >> _TOTAL
+        x, low, size = model.find(np.minimum(code[:m] // r, most))
+        low *= r
+        size *= r
+        cd = code[:m] - low
+        k = np.flatnonzero(size < _FULL)
+        place = at[k]
+        cd[k] = (cd[k] << _WORD) | words[place]
+        at[k] = place + 1
+        size[k] <<= _WORD
+        code[:m], rng[:m] = cd, size
         out[starts[:m] + step] = x
         model.learn(x)
     return out
@@ -233,7 +259,7 @@ def pack_block(ids: np.ndarray, docs: list[tuple], vocab: int) -> bytes:
     lanes, used, words = encode_ids(ids, vocab)
     out = [_HEAD.pack(MAGIC, len(ids), lanes, vocab, len(docs), zlib.crc32(ids.astype("<u4").tobytes()))]
     out += [_DOC.pack(0 if d is None else d, d is None, start, n, at, part) for d, start, n, at, part in docs]
-    raw = b"".join([*out, used.tobytes(), words.astype("<u2").tobytes()])
+    raw = b"".join([*out, used.tobytes(), words.astype("<u4").tobytes()])
     return raw + struct.pack("<I", zlib.crc32(raw))
 
 
@@ -248,22 +274,23 @@ def unpack_block(raw: bytes) -> tuple[np.ndarray, list[tuple]]:
     docs = [(None if null else d, start, size, off, part) for d, null, start, size, off, part in _DOC.iter_unpack(raw[at : at + n_docs * _DOC.size])]
     at += n_docs * _DOC.size
     used = np.frombuffer(raw, "<u4", lanes, at)
-    ids = decode_ids(n, vocab, used, np.frombuffer(raw[at + 4 * lanes : -4], "<u2"))
+    ids = decode_ids(n, vocab, used, np.frombuffer(raw[at + 4 * lanes : -4], "<u4"))
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block decodes to other ids")
     return ids, docs
 
 
-def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK, width: int = 4) -> None:
-    """tokens: doc_id, n_tokens, ids (binary, `width` bytes an id). Writes out/blocks and out/manifest."""
+def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK, width: int = 4, file: int = FILE) -> None:
+    """tokens: doc_id, n_tokens, ids (binary, `width` bytes an id). Writes out/blocks, in files of about `file`
+    ids, and out/manifest."""
     spark = tokens.sparkSession
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-total // block))
+    parts = max(1, -(-total // file))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        file, start, seq = TaskContext.get().partitionId(), 0, 0
+        number, start, seq = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         docs: list[tuple] = []
         size = 0
@@ -271,7 +298,7 @@ def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK, wid
         def close() -> pd.DataFrame:
             nonlocal held, docs, size, seq
             raw = pack_block(np.concatenate(held), docs, vocab)
-            row = pd.DataFrame({"file": [file], "seq": [seq], "n_ids": [size], "block": [raw]})
+            row = pd.DataFrame({"file": [number], "seq": [seq], "n_ids": [size], "block": [raw]})
             held, docs, size, seq = [], [], 0, seq + 1
             return row
 
@@ -290,13 +317,12 @@ def write_files(tokens: DataFrame, out: str, vocab: int, block: int = BLOCK, wid
             yield close()
 
     ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(rows, "file int, seq int, n_ids long, block binary").write.parquet(f"{out}/blocks")
-    sizes = spark.read.parquet(f"{out}/blocks").groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()  # a row a file
-    base, first = 0, []
-    for r in sizes:
-        first.append((r.file, base, r.n))
-        base += r.n
-    spark.createDataFrame(first, "file int, first long, n_ids long").write.parquet(f"{out}/manifest")
+    ordered.mapInPandas(rows, "file int, seq int, n_ids long, block binary").write.options(**_SMALL_GROUPS).parquet(f"{out}/blocks")
+    sizes = spark.read.parquet(f"{out}/blocks").groupBy("file").agg(F.sum("n_ids").alias("n_ids")).withColumn("group", F.expr(f"file DIV {SUMMED}"))
+    before = lambda by, order: F.coalesce(F.sum("n_ids").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", before(F.lit(1), "group").alias("group_first"))
+    manifest = sizes.select("file", "group", "n_ids", before("group", "file").alias("inside")).join(groups, "group")
+    manifest.select("file", (F.col("group_first") + F.col("inside")).alias("first"), "n_ids").write.parquet(f"{out}/manifest")
 
 
 def read_files(spark: SparkSession, out: str) -> DataFrame:
@@ -330,14 +356,16 @@ def read_files(spark: SparkSession, out: str) -> DataFrame:
     return every.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
-def write_and_read(df: DataFrame, path: str, vocab: int = 50257, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every text, append end_id, write the files under the shared folder and read them back."""
-    spark = df.sparkSession
+def write_and_read(df: DataFrame, path: str, vocab: int | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, file: int = FILE) -> DataFrame:
+    """Encode every text, append end_id, write the files under the shared folder and read them back. vocab:
+    the number of ids, by default as the tokenizer file has it."""
+    spark, vocab = df.sparkSession, vocab or vocab_size(path)
     width = 2 if vocab <= 1 << 16 else 4  # ids travel and wait in as few bytes as the vocabulary needs
     tokens = encode(df, path, doc_id, text, width=width)
     end = F.lit(bytearray(end_id.to_bytes(width, "little")))
     tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("n_tokens") + 1).alias("n_tokens"), F.concat("ids", end).alias("ids"))
     tokens = cut(tokens, "token-ids")
-    out = f"{scratch_dir(spark).rstrip('/')}/larkspur/tokens-{uuid.uuid4().hex}"
-    write_files(tokens, out, vocab, width=width)
+    out = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_files(tokens, out, vocab, block, width, file)
+    drop(tokens)
     return read_files(spark, out)
