@@ -7,13 +7,18 @@ each block main or other; its weights are fitted on labelled pages (see html_lab
 likelihood with forward-backward sums, and pages are decoded by Viterbi. Elements that never hold text
 of the page (head, script, style and the like) are not parsed into blocks.
 
-<head> ends at its end tag, at the first start tag that can't be inside it, or at text. A dead element
-with markup in it (svg, object and the like) that isn't closed before the end tag of its parent, or at
-all, is read as if its tag weren't there, so it never takes the rest of the page along.
+The page is scanned from mark to mark, so nothing inside a comment, a script or an attribute is taken for
+a tag. An attribute's quotes open after = only. <head> ends at its end tag, at the first start tag that
+can't be inside it, or at text. A dead element with markup in it (svg, object and the like) that isn't
+closed before the end tag of its parent, or at all, is read as if its tag weren't there; an unclosed
+comment or quote ends at the next >, an unclosed title at the next <, an unclosed script where the head or
+body does: none takes the rest of the page along. Blocks share the element they stand in, so time and memory
+grow with the page's length, however deep it is nested.
 
 Defined cases: null or empty html has no blocks and an empty text; broken markup is parsed as far as it
 goes (an unclosed tag at the end is dropped, end tags close what they can); page_id and url may be null
-or repeated; an empty table gives an empty result; extra columns don't matter.
+or repeated (each row gets its own result, equal pages equal ones); very long pages are read whole; an
+empty table gives an empty result; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -61,19 +66,25 @@ CUES = {
 }
 _NAME = {k: re.compile(v, re.I) for k, v in NAMES.items()}
 _CUE = {k: re.compile(v, re.I) for k, v in CUES.items()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: What `<` may open: a tag's name, a comment, a character-data section, or another declaration.
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/<>]*)|!--|!\[CDATA\[|[!?/])")
+#: The rest of an ordinary tag: quotes open after = only, and hold neither < nor >.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"<>]*"|'[^'<>]*'|(?!["'])))*+>""")
+_STOP = re.compile(r""">|=\s*(["'])""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-
-_NOSCRIPT = re.compile(r"<(/?)noscript\b[^>]*>?", re.I)
-
-
-class Block:
-    """A leaf block: its text, the share of it in links, and its ancestors (tag, names spoken of)."""
-
-    __slots__ = ("text", "link", "path")
-
-    def __init__(self, text: str, link: float, path: tuple):
-        self.text, self.link, self.path = text, link, path
+#: An element that ends itself; a slash may also be the end of an unquoted value.
+_EMPTY = re.compile(r"(?s)(?:.*[\s\"'])?/\s*\Z").match
+#: Where an unclosed raw element ends at the latest.
+_PAST = re.compile(r"</head\b|</?body\b|</html\b", re.I)
+#: Start tags that close an open element of their kind, and what shields it: (closed, closing tags, shields).
+_SCOPES = [
+    (frozenset("p".split()), CLOSES_P, frozenset("div td th li section article button table body".split())),
+    (frozenset("li".split()), frozenset("li".split()), frozenset("ul ol dl table select div body".split())),
+    (frozenset("dd dt".split()), frozenset("dd dt".split()), frozenset("ul ol dl table div body".split())),
+    (frozenset("option".split()), frozenset("option".split()), frozenset("select ul ol table div body".split())),
+    (frozenset("td th".split()), frozenset("td th".split()), frozenset("tr tbody table div body".split())),
+    (frozenset("tr".split()), frozenset("tr".split()), frozenset("tbody table div body".split())),
+]
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -82,51 +93,133 @@ def _spoken(attrs: str) -> frozenset[str]:
     return frozenset(k for k, r in _NAME.items() if r.search(names.replace("_", "-"))) if names else frozenset()
 
 
-def _raw_end(page: str, tag: str, at: int) -> int:
-    """Where the raw element ends whose start tag ends at `at`."""
-    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-    return end.end() if end else len(page)
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag ends whose name ends at `at`. A quote that opens after = and isn't closed, or is closed
+    only by the next tag's opening quote, ends with the tag at the first >."""
+    if m := _REST.match(page, at):
+        return m.end()
+    while m := _STOP.search(page, at):
+        if not m.group(1):
+            return m.end()
+        start = m.end()
+        end = page.find(m.group(1), start)
+        if end < 0 or page[end + 1 : end + 2] not in ("", ">", "/") and not page[end + 1].isspace() and page.find(">", start, end) >= 0:
+            return page.find(">", start) + 1 or len(page)
+        at = end + 1
+    return len(page)
+
+
+def scan(page: str) -> list[tuple[int, int, str, str, str]]:
+    """The page's marks in order: (start, end, kind, tag, attributes); kind is "<", "/" or, for character data,
+    "!". Comments and declarations have an empty tag. A raw element's mark reaches to the end of its end tag.
+    Time is linear in the page: a search that found nothing isn't made again."""
+    out, at, never = [], 0, set()
+
+    def find(what: str, start: int) -> int:
+        k = -1 if what in never else page.find(what, start)
+        if k < 0:
+            never.add(what)
+        return k
+
+    while m := _OPEN.search(page, at):
+        start, tag = m.start(), (m.group(2) or "").lower()
+        if tag:
+            at = _tag_end(page, m.end())
+            attrs = page[m.end() : at - 1]
+            kind = "/" if m.group(1) else "<"
+            if kind == "<" and tag in RAW and not _EMPTY(attrs):
+                closing = None if tag in never else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                if closing:
+                    at = closing.end()
+                else:  # an unclosed title ends at the next mark, other raw text where the head or body does
+                    never.add(tag)
+                    past = None if "past" in never else _PAST.search(page, at)
+                    if not past:
+                        never.add("past")
+                    k = find("<", at) if tag in ("title", "textarea") else past.start() if past else len(page)
+                    at = k if k >= 0 else len(page)
+            out.append((start, at, kind, tag, attrs))
+        elif m.group() == "<![CDATA[" and (k := find("]]>", m.end())) >= 0:
+            at = k + 3
+            out.append((start, at, "!", "", page[m.end() : k]))
+        else:
+            k = find("-->", start + 2) if m.group() == "<!--" else -1
+            at = k + 3 if k >= 0 else find(">", m.end()) + 1 or len(page)
+            out.append((start, at, "<", "", ""))
+    return out
 
 
-def _dead_ends(page: str) -> dict[int, int]:
-    """Where each closed dead element with markup in it ends, by the place of its start tag."""
+def _dead_ends(marks: list[tuple[int, int, str, str, str]]) -> dict[int, int]:
+    """For the start mark of each closed dead element with markup in it, the number of its end mark."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     n: dict[str, int] = {}
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        at = m.end()
-        tag, attrs = (m.group(2) or "").lower(), m.group(3) or ""
-        if tag != "head" and tag not in DEAD and tag not in BLOCK:
-            continue
-        if m.group(1):
-            while n.get(tag):
-                top, start = stack.pop()
-                n[top] -= 1
-                if top == tag:
-                    if tag in DEAD:
-                        ends[start] = at
-                    break
-        elif tag in DEAD and attrs.rstrip().endswith("/"):
-            continue
-        elif tag in RAW:
-            at = _raw_end(page, tag, at)
-        elif tag == "noscript":  # can't be nested, and end tags in it close nothing outside
-            other = _NOSCRIPT.search(page, at)
-            if other and other.group(1):
-                ends[m.start()] = at = other.end()
-        else:
-            stack.append((tag, m.start()))
-            n[tag] = n.get(tag, 0) + 1
+    noscript = [i for i, m in enumerate(marks) if m[3] == "noscript"]
+    after = {i: j for i, j in zip(noscript, noscript[1:]) if marks[j][2] == "/"}
+    i = 0
+    while i < len(marks):
+        _, _, kind, tag, attrs = marks[i]
+        if tag == "head" or tag in DEAD or tag in BLOCK:
+            if kind == "/":
+                while n.get(tag):
+                    top, start = stack.pop()
+                    n[top] -= 1
+                    if top == tag:
+                        if tag in DEAD:
+                            ends[start] = i
+                        break
+            elif tag == "noscript":  # can't be nested, and end tags in it close nothing outside
+                if i in after:
+                    ends[i] = i = after[i]
+            elif tag not in RAW and not (tag in DEAD and _EMPTY(attrs)):
+                stack.append((tag, i))
+                n[tag] = n.get(tag, 0) + 1
+        i += 1
     return ends
 
 
+class Node:
+    """An open element. What a block below it inherits (tags above it, names they speak of, the nearest such
+    names, and the elements that a start tag may close) is kept here once, so blocks only point to it."""
+
+    __slots__ = ("tag", "depth", "above", "near", "scopes", "_base")
+
+    def __init__(self, tag: str, spoken: frozenset[str], parent: Node | None):
+        self.tag, self.depth, self._base = tag, parent.depth + 1 if parent else 1, None
+        mine = {f"in_{tag}", *(f"name_{s}" for s in spoken)}
+        above = parent.above if parent else frozenset()
+        self.above = above if mine <= above else above | mine
+        self.near = frozenset(f"near_{s}" for s in spoken) if spoken else parent.near if parent else frozenset()
+        # the depth of the nearest open element of each scope that nothing shields
+        self.scopes = tuple(self.depth if tag in closed else 0 if tag in shields else was for (closed, _, shields), was in zip(_SCOPES, parent.scopes if parent else (0,) * len(_SCOPES)))
+
+    @property
+    def base(self) -> frozenset[str]:
+        """The features that every block right below this element has."""
+        if self._base is None:
+            own = {f"parent_{self.tag}", "depth_1" if self.depth < 2 else "depth_2_3" if self.depth < 4 else "depth_4"}
+            if "in_header" in self.above and ("in_article" in self.above or "in_main" in self.above):
+                own.add("article_header")
+            if self.tag == "body":
+                own.add("bare")
+            self._base = self.above | self.near | own
+        return self._base
+
+
+class Block:
+    """A leaf block: its text, the share of it in links, and the element that it stands in (None: none)."""
+
+    __slots__ = ("text", "link", "node")
+
+    def __init__(self, text: str, link: float, node: Node | None):
+        self.text, self.link, self.node = text, link, node
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks in page order."""
     page, out = page or "", []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}  # of each tag, the places in the stack
     text: list[str] = []
     linked = anchor = 0
 
@@ -135,27 +228,32 @@ def blocks_of(page: str | None) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                size = sum(map(len, text))
-                out.append(Block(joined, linked / size, tuple(stack)))
+                out.append(Block(joined, linked / sum(map(len, text)), stack[-1] if stack else None))
             text.clear()
             linked = 0
 
-    at, ends, head = 0, None, False
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def close_from(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+
+    marks = scan(page)
+    ends = _dead_ends(marks) if any(m[3] in DEAD and m[3] not in RAW for m in marks) else {}
+    at, head, i = 0, False, -1
+    while (i := i + 1) < len(marks):
+        start, end, kind, tag, attrs = marks[i]
+        if start > at:
+            piece = page[at:start]
             head = head and not piece.strip()
             if not head:
                 text.append(piece)
                 linked += len(piece) * bool(anchor)
-        at = m.end()
-        close, tag, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
+        at = end
+        if kind == "!" and not head:
+            text.append(html.escape(attrs))
         if not tag:
-            if m.group().startswith("<![CDATA[") and not head:
-                text.append(html.escape(m.group()[9:-3]))
             continue
+        close = kind == "/"
         if tag == "head":
             head = not close and not out and not stack and not "".join(text).strip()
             continue
@@ -164,12 +262,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 continue
             head = False
         if tag in DEAD:
-            if not close and not attrs.rstrip().endswith("/"):
-                if tag in RAW:
-                    at = _raw_end(page, tag, at)
-                else:
-                    ends = _dead_ends(page) if ends is None else ends
-                    at = ends.get(m.start(), at)
+            if not close and i in ends:
+                i = ends[i]
+                at = marks[i][1]
             continue
         if tag == "br":
             text.append(" ")
@@ -182,28 +277,16 @@ def blocks_of(page: str | None) -> list[Block]:
         flush()
         anchor = 0
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close_from(places[tag][-1])
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("div", "td", "li", "section", "article", "button", "table", "body"):
-                    break
-        if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select", "tr", "tbody", "div", "body"):
-                    break
-        if tag not in VOID and not (tag == "html" or tag == "body" and any(t == "body" for t, _ in stack)):
-            stack.append((tag, _spoken(attrs) if attrs else frozenset()))
+        for k, (_, closing, _) in enumerate(_SCOPES):
+            if stack and tag in closing and stack[-1].scopes[k]:
+                close_from(stack[-1].scopes[k] - 1)
+        if tag not in VOID and tag != "html" and not (tag == "body" and places.get("body")):
+            places.setdefault(tag, []).append(len(stack))
+            spoken = _spoken(attrs) if attrs and tag != "body" else frozenset()
+            stack.append(Node(tag, spoken, stack[-1] if stack else None))
     if at < len(page) and not (head and not page[at:].strip()):
         piece = page[at:]
         text.append(piece)
@@ -214,30 +297,21 @@ def blocks_of(page: str | None) -> list[Block]:
 
 FEATURES = [
     "one", *(f"in_{t}" for t in TAGS), *(f"parent_{t}" for t in TAGS), *(f"name_{n}" for n in NAMES), *(f"near_{n}" for n in NAMES), *CUES,
-    "article_header", "words_1", "words_2_4", "words_5_9", "words_10_24", "words_25", "links_none", "links_some", "links_most",
-    "ends_stop", "commas", "no_stop", "pipes", "digits", "first", "last", "head_tenth", "tail_tenth", "heading_next_text", "after_h1", "before_h1", "depth_1", "depth_2_3", "depth_4",
+    "article_header", "bare", "words_1", "words_2_4", "words_5_9", "words_10_24", "words_25", "links_none", "links_some", "links_most",
+    "ends_stop", "commas", "no_stop", "pipes", "digits", "first", "last", "head_tenth", "tail_tenth", "heading_next_text", "after_h1", "before_h1",
+    "alone", "few", "depth_1", "depth_2_3", "depth_4",
 ]
 _AT = {f: i for i, f in enumerate(FEATURES)}
-_OUTSIDE = frozenset({"nav", "footer", "aside", "form", "button", "select", "dialog"})
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NOWHERE = frozenset({"bare", "depth_1"})
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
     """The indices of each block's features."""
     out, n = [], len(blocks)
-    h1 = next((i for i, b in enumerate(blocks) if b.path and b.path[-1][0] == "h1"), None)
+    h1 = next((i for i, b in enumerate(blocks) if b.node and b.node.tag == "h1"), None)
     for i, b in enumerate(blocks):
-        tags = {t for t, _ in b.path}
-        got = {"one"} | {f"in_{t}" for t in tags}
-        if b.path:
-            got.add(f"parent_{b.path[-1][0]}")
-        spoken = frozenset().union(*(s for t, s in b.path if t != "body")) if b.path else frozenset()
-        got |= {f"name_{s}" for s in spoken}
-        for _, s in reversed(b.path[1:] if b.path and b.path[0][0] == "body" else b.path):
-            if s:
-                got |= {f"near_{x}" for x in s}
-                break
-        if "header" in tags and ("article" in tags or "main" in tags):
-            got.add("article_header")
+        got = {"one"}
         words = b.text.count(" ") + 1
         got.add("words_1" if words < 2 else "words_2_4" if words < 5 else "words_5_9" if words < 10 else "words_10_24" if words < 25 else "words_25")
         got.add("links_none" if b.link == 0 else "links_some" if b.link < 0.5 else "links_most")
@@ -251,6 +325,10 @@ def features(blocks: list[Block]) -> list[list[int]]:
             if any(c.isdigit() for c in b.text):
                 got.add("digits")
             got |= {k for k, r in _CUE.items() if r.search(b.text)}
+        if n == 1:
+            got.add("alone")
+        elif n < 4:
+            got.add("few")
         if i == 0:
             got.add("first")
         if i == n - 1:
@@ -259,12 +337,11 @@ def features(blocks: list[Block]) -> list[list[int]]:
             got.add("head_tenth")
         if 10 * i >= 9 * n:
             got.add("tail_tenth")
-        if b.path and b.path[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and i + 1 < n and blocks[i + 1].text.count(" ") > 8:
+        if b.node and b.node.tag in _HEADINGS and i + 1 < n and blocks[i + 1].text.count(" ") > 8:
             got.add("heading_next_text")
         if h1 is not None:
             got.add("after_h1" if i >= h1 else "before_h1")
-        depth = len(b.path)
-        got.add("depth_1" if depth < 2 else "depth_2_3" if depth < 4 else "depth_4")
+        got |= b.node.base if b.node else _NOWHERE
         out.append(sorted(_AT[g] for g in got if g in _AT))
     return out
 

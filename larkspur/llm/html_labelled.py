@@ -145,11 +145,44 @@ def _article(m: _Maker, main: set[str], noise: bool) -> str:
     return "".join(out)
 
 
+#: Marks whose inside is no text of the page, with signs that look like marks or quotes.
+HIDDEN = [
+    "<script>if (a <b && c> 'd') { x = \"</p><p>{}\"; } // it's</script>", "<!-- <p>{}</p> it's \"quoted -->", "<style>p > a::before {{ content: '<{}'; }}</style>",
+    "<script type='text/x'><div class=\"x>{}</div></script>", "<noscript><p>{}</p></noscript>", "<svg><title>{}</title><text>{}</text></svg>", "<template><p>{}</p></template>", "<textarea>{} <p></textarea>",
+]
+
+
+def _alone(m: _Maker, main: set[str]) -> str:
+    """A page of the main text only: a block or a few, in few elements or in none."""
+    r = m.rng
+
+    def keep(s: str) -> str:
+        main.add(s)
+        return s
+
+    kind = r.choice(["p", "p", "text", "lines", "article", "div", "titled", "several", "main"])
+    if kind == "titled":
+        return f"<h{(h := r.randint(1, 3))}>{keep(m.unique(lambda: m.words(r.randint(1, 9)).capitalize()))}</h{h}><p>{keep(m.paragraph())}</p>"
+    if kind == "several":
+        return "".join(f"<p>{keep(m.paragraph(odd=True))}</p>" for _ in range(r.randint(2, 6)))
+    if kind == "lines":
+        parts = [m.paragraph() for _ in range(r.randint(2, 4))]
+        main.add(" ".join(parts))
+        return "<br>".join(parts)
+    text = keep(m.paragraph(odd=True))
+    return {"p": f"<p>{text}</p>", "text": text, "article": f"<article><p>{text}</p></article>", "div": f"<div>{text}</div>", "main": f"<main>{text}</main>"}[kind]
+
+
 def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
-    """n pages, each with the texts of its main blocks."""
+    """n pages, each with the texts of its main blocks. One in eight has no furniture at all; marks that hold
+    no text stand between the parts."""
     for k in range(n):
         rng = random.Random(f"{seed}/{k}")
         m, main = _Maker(rng), set()
+        if rng.random() < 0.125:
+            body = _alone(m, main)
+            yield rng.choice(["{}", "<html><body>{}</body></html>", "<!doctype html><html><head><title>t</title></head><body>{}</body></html>", "<body>{}", "<html><head><title>t</title>{}"]).replace("{}", body), main
+            continue
         body = _article(m, main, noise=rng.random() < 0.6)
         frame = rng.choice(["article", "article", "article", "main", "main-article", "div", "div", "bare", "td"])
         if frame == "main-article":
@@ -162,5 +195,8 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             body = f"<table><tr><td>{body}</td></tr></table>"
         before = [_other(m, c) for c in rng.sample(["nav", "head", "ad", "notice", "form", "side"], rng.randint(1, 4))]
         after = [_other(m, c) for c in rng.sample(["foot", "side", "comment", "notice", "ad", "nav", "form"], rng.randint(1, 4))]
-        page = f"<html><head><title>{m.words(4)}</title><style>p{{}}</style></head><body>" + "".join(before) + body + "".join(after)
+        parts = [*before, body, *after]
+        for _ in range(rng.randint(0, 3)):
+            parts.insert(rng.randint(0, len(parts)), rng.choice(HIDDEN).replace("{}", m.words(3)))
+        page = f"<html><head><title>{m.words(4)}</title><style>p{{}}</style></head><body>" + "".join(parts)
         yield page + rng.choice(["</body></html>", "</body></html>", ""]), main
