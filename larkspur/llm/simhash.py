@@ -2,23 +2,30 @@
 
 A fingerprint has 64 bits; two link at RADIUS (3) or fewer differing bits. Of its two 32-bit halves one
 then differs in at most one bit, so each half has a vantage-point tree of its own with search radius 1.
-A tree's levels are vantage points; a fingerprint's cell is the vector of its Hamming distances to
-them. By the triangle inequality a half at distance 1 from another has distances that differ by at
-most 1 (and, by parity, by exactly 1) at every level, so all other branches are pruned; only the cells
-that a one-bit change can reach overlap the search ball's boundary, 32 at most. Each fingerprint is
-stored in its own cell and sent as a query to the overlapping cells (to those above it at the first
-vantage point, so a pair of cells meets once). Cells are keys of a shuffle, the tree's depth follows
-the number of distinct fingerprints, so cells stay small at any size, and every candidate is checked
-exactly.
-
-Equal fingerprints are merged by partial aggregation before anything else. A cell emits a spanning
+A node of a tree has a vantage point and a radius: halves within the radius of the point go to the inner
+branch, others to the outer one. The upper nodes are fitted on a sample of at most SAMPLE fingerprints (the
+first in hash order): the point is the sampled half that spreads the others most, the radius their median
+distance. Nodes that fewer than FITTED sampled halves reach have a point drawn from their number and the
+median radius of random halves. Leaves are the shards.
+
+A fingerprint is stored in its own leaf, and goes down both trees as a query: by the triangle inequality a
+half at distance 1 from another has a distance to any vantage point that differs by at most 1, so a branch
+is pruned unless the radius lies within 1 of the query's own distance. What is left of the search ball (the
+query's 32 one-bit neighbours, kept as a mask) is parted at each such boundary, so a query reaches only the
+leaves that its ball really overlaps, 32 at most besides its own, at any depth. It is sent to those numbered
+above its own, so two leaves meet once. The trees' depth follows the number of distinct fingerprints, so
+leaves stay small at any size, and every candidate pair is checked exactly. A leaf with more than CROWD rows
+(a dense group of near fingerprints) is parted into blocks, and its pairs of blocks are dealt out over the
+cluster: every pair is still compared, in many tasks.
+
+Equal fingerprints are merged by partial aggregation before anything else. A leaf emits a spanning
 forest of its links, not all pairs. Links become classes by alternating large-star and small-star
 steps, each written to the shared folder.
 
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer
-words than the shingle's width make one shingle; a null doc_id takes part but can't be the class id
-unless the class has no other (then null); repeated rows each get their row; an empty table gives an
-empty result; extra columns don't matter.
+words than the shingle's width make one shingle; very long texts are hashed whole, in pieces; a null doc_id
+takes part but can't be the class id unless the class has no other (then null); repeated rows each get their
+row; an empty table gives an empty result; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -32,15 +39,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 RADIUS = 3
 HALF = 32
 SEED = 42
-#: Fingerprints an ordinary cell should hold at most; sets the depth of the trees.
-CELL = 16
-#: Fixed vantage points, drawn once from a seeded generator; a tree of depth m uses the first m.
-VANTAGE = np.random.default_rng(20240607).integers(0, 1 << HALF, size=24, dtype=np.uint64).astype(np.uint32)
+#: Fingerprints an ordinary leaf should hold; sets the depth of the trees.
+LEAF = 16
+#: Fingerprints that the upper nodes are fitted on at most, and how many of them a node needs for that.
+SAMPLE, FITTED = 4096, 64
+#: Rows of a leaf, or of a block of a larger one, that one task compares at once.
+CROWD = 2048
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
@@ -71,44 +80,110 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInPandas(rows, f"doc_id {kind}, fp long")
 
 
-def _distances(half: np.ndarray, depth: int) -> np.ndarray:
-    return np.bitwise_count(half[:, None] ^ VANTAGE[None, :depth]).astype(np.int64)
-
-
-def _cells(dist: np.ndarray) -> np.ndarray:
-    """The cell number of distance vectors: mixed radix, 33 values a level, folded into 63 bits."""
-    out = np.zeros(dist.shape[:-1], np.uint64)
-    for i in range(dist.shape[-1]):
+class Tree:
+    """A vantage-point tree over 32-bit halves. Nodes are numbered from the root, 1, down: node i has the inner
+    branch 2i and the outer branch 2i + 1."""
+
+    def __init__(self, halves: np.ndarray, depth: int):
+        """halves: a sample. Its nodes are fitted top-down as long as they have enough of it."""
+        self.depth = depth
+        fitted: dict[int, tuple[int, int]] = {}
+        todo = [(1, halves.astype(np.uint32))] if len(halves) >= FITTED and depth else []
+        while todo:
+            node, mine = todo.pop()
+            at = np.bitwise_count(mine[:16, None] ^ mine[None, :]).astype(np.int64)  # 16 candidate points
+            best = int(at.var(axis=1).argmax())
+            radius = int(np.median(at[best]))
+            inner = at[best] <= radius
+            fitted[node] = int(mine[best]), radius
+            if node < 1 << (depth - 1):
+                todo += [(2 * node + side, part) for side, part in ((0, mine[inner]), (1, mine[~inner])) if len(part) >= FITTED]
+        size = 2 * max(fitted, default=0) + 2
+        self.point, self.radius = self._drawn(np.arange(size, dtype=np.int64))
+        for node, (point, radius) in fitted.items():
+            self.point[node], self.radius[node] = point, radius
+
+    @staticmethod
+    def _drawn(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Point and radius of nodes that aren't fitted."""
+        h = node.astype(np.uint64)
         with np.errstate(over="ignore"):
-            out = out * np.uint64(HALF + 3) + (dist[..., i] + 1).astype(np.uint64)
-    return out.view(np.int64)
-
-
-def route(fps: DataFrame, depth: int) -> DataFrame:
-    """fp -> (tree, cell, home, fp): the fingerprint's own cell in either tree (home) and, as a query, the
-    neighbouring cells that its ball of radius 1 overlaps."""
-    bits = (np.uint32(1) << np.arange(HALF, dtype=np.uint32)).astype(np.uint32)
-    # change of the distance to vantage point i when bit j of the half is flipped: +1 where the bits agree
-    vbits = ((VANTAGE[:depth, None] >> np.arange(HALF, dtype=np.uint32)[None, :]) & 1).astype(np.int64)
+            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53), (32, 0x9E3779B97F4A7C15)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return (h >> np.uint64(32)).astype(np.uint32), (HALF // 2 - (h & np.uint64(1)).astype(np.int64))
+
+    def nodes(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = node < len(self.point)
+        if top.all():
+            return self.point[node], self.radius[node]
+        point, radius = self._drawn(node)
+        point[top], radius[top] = self.point[node[top]], self.radius[node[top]]
+        return point, radius
+
+    def search(self, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the half, leaf, own): each half's own leaf, and the others that hold a part of its ball."""
+        who, node = np.arange(len(half)), np.ones(len(half), np.int64)
+        ball, own = np.full(len(half), 0xFFFFFFFF, np.uint32), np.ones(len(half), bool)
+        for _ in range(self.depth):
+            point, radius = self.nodes(node)
+            apart = half[who] ^ point
+            d = np.bitwise_count(apart).astype(np.int64)
+            # flipping a bit that differs brings a half nearer by one, any other bit takes it away by one
+            near, far = ball & apart, ball & ~apart
+            inner = np.where(d - 1 <= radius, near, np.uint32(0)) | np.where(d + 1 <= radius, far, np.uint32(0))
+            outer = ball & ~inner
+            stays = d <= radius
+            i, o = np.flatnonzero((inner != 0) | (own & stays)), np.flatnonzero((outer != 0) | (own & ~stays))
+            who = np.concatenate([who[i], who[o]])
+            node = np.concatenate([2 * node[i], 2 * node[o] + 1])
+            ball = np.concatenate([inner[i], outer[o]])
+            own = np.concatenate([(own & stays)[i], (own & ~stays)[o]])
+        return who, node, own
+
+
+def _halves(fp: np.ndarray, tree: int) -> np.ndarray:
+    return ((fp.view(np.uint64) >> np.uint64(HALF * tree)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def grow(fps: DataFrame, n: int) -> list[Tree]:
+    """The trees of the low and of the high halves, as deep as n distinct fingerprints need."""
+    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / LEAF)), 0, 40))
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], np.int64)
+    return [Tree(_halves(sample, t), depth) for t in (0, 1)]
+
+
+def route(fps: DataFrame, trees: list[Tree]) -> DataFrame:
+    """fp -> (tree, leaf, home, fp): the fingerprint's own leaf in either tree (home) and, as a query, the
+    leaves with higher numbers that its ball of radius 1 overlaps."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for start in range(0, len(whole), 4096):
-                fp = whole["fp"].to_numpy(np.int64)[start : start + 4096].view(np.uint64)
-                for tree in (0, 1):
-                    half = ((fp >> np.uint64(32 * tree)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    dist = _distances(half, depth)
-                    own = _cells(dist)
-                    hbits = ((half[:, None] & bits[None, :]) != 0).astype(np.int64)
-                    step = 1 - 2 * np.abs(hbits[:, :, None] - vbits.T[None, :, :])  # +1 where they agree
-                    up = step[:, :, 0] > 0
-                    near = _cells(dist[:, None, :] + step)
-                    who, bit = np.nonzero(up)
-                    q = pd.DataFrame({"cell": near[who, bit], "fp": fp[who].view(np.int64)}).drop_duplicates()
-                    yield pd.DataFrame({"tree": np.int32(tree), "cell": own, "home": True, "fp": fp.view(np.int64)})
-                    yield pd.DataFrame({"tree": np.int32(tree), "cell": q["cell"], "home": False, "fp": q["fp"]})
-
-    return fps.select("fp").mapInPandas(rows, "tree int, cell long, home boolean, fp long")
+                fp = whole["fp"].to_numpy(np.int64)[start : start + 4096]
+                for t, tree in enumerate(trees):
+                    who, leaf, own = tree.search(_halves(fp, t))
+                    mine = np.zeros(len(fp), np.int64)
+                    mine[who[own]] = leaf[own]
+                    go = own | (leaf > mine[who])
+                    yield pd.DataFrame({"tree": np.int32(t), "leaf": leaf[go], "home": own[go], "fp": fp[who[go]]})
+
+    return fps.select("fp").mapInPandas(rows, "tree int, leaf long, home boolean, fp long")
+
+
+def part_crowds(routed: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """routed with `pair`, the number of the block pair that a row goes to. A leaf of up to `crowd` rows is one
+    block; the rows of a larger one are dealt to blocks by hash, and a row is copied to each pair of its block."""
+    sizes = routed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("rows"))
+    large = sizes.where(F.col("rows") > crowd).select("tree", "leaf", F.ceil(F.col("rows") / crowd).cast("int").alias("blocks"))
+    rows = routed.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    # home block h meets the home blocks from h on, and every query block: pair (h, other block)
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_home = F.transform(other, lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
+    as_query = F.transform(other, lambda j: -1 - (j * F.col("blocks") + block))
+    homes_for_queries = F.transform(other, lambda j: -1 - (block * F.col("blocks") + j))
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("home"), F.concat(as_home, homes_for_queries)).otherwise(as_query)
+    return rows.select("tree", "leaf", "home", "fp", F.explode(pairs).alias("pair"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: dict[int, int]) -> list[bool]:
@@ -130,12 +205,12 @@ def _forest(a: np.ndarray, b: np.ndarray, ids: dict[int, int]) -> list[bool]:
     return out
 
 
-def cell_links(home: np.ndarray, query: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among home and between query and home, block by block. For the
-    home rows, those already joined to a block's first members stay in: every pair is compared."""
+def cell_links(home: np.ndarray, query: np.ndarray, among: bool = True, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among home (if asked for) and between query and home, block by block. For
+    the home rows, those already joined to a block's first members stay in: every pair is compared."""
     parent: dict[int, int] = {}
     keep_a, keep_b = [], []
-    for left, right in ((home, home), (query, home)):
+    for left, right in ((home, home), (query, home))[not among :]:
         for i in range(0, len(left), block):
             for j in range(i if left is right else 0, len(right), block):
                 x, y = left[i : i + block], right[j : j + block]
@@ -150,36 +225,31 @@ def cell_links(home: np.ndarray, query: np.ndarray, block: int = 512) -> tuple[n
     return (np.concatenate(keep_a), np.concatenate(keep_b)) if keep_a else (none, none)
 
 
-def links(fps: DataFrame, n: int) -> DataFrame:
+def links(fps: DataFrame, n: int, crowd: int = CROWD) -> DataFrame:
     """Links a < b between distinct fingerprints that make all classes of the link graph connected."""
-    # a level parts random cells by about 5; each half has n fingerprints
-    depth = int(np.clip(np.ceil(np.log(max(n, 2) / CELL) / np.log(5.0)) + 1, 3, len(VANTAGE) // 2))
-    routed = route(fps, depth)
-    # cells without a home row, or with one row, can't link anything
-    cells = routed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("home").cast("int")).alias("homes"))
-    del cells  # the cells' rows meet once, in the task of their key
+    routed = part_crowds(cut(route(fps, grow(fps, n)), "simhash-routed"), crowd)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        keys = ["tree", "leaf", "pair"]
 
         def flush(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            tree, cell, home, fp = (pdf[c].to_numpy() for c in ("tree", "cell", "home", "fp"))
+            tree, leaf, pair, home, fp = (pdf[c].to_numpy() for c in (*keys, "home", "fp"))
             fp = fp.view(np.uint64)
-            edge = np.flatnonzero((tree[1:] != tree[:-1]) | (cell[1:] != cell[:-1])) + 1
+            edge = np.flatnonzero((tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]) | (pair[1:] != pair[:-1])) + 1
             starts, ends = np.r_[0, edge], np.r_[edge, len(fp)]
             homes = np.add.reduceat(home.astype(np.int64), starts)
             for s, e, h in zip(starts, ends, homes):
                 if h and e - s > 1:
-                    # rows come sorted with home rows last
-                    a, b = cell_links(fp[e - h : e], fp[s : e - h])
+                    # rows come sorted with home rows last; in a pair for queries the homes have met elsewhere
+                    a, b = cell_links(fp[e - h : e], fp[s : e - h], pair[s] >= 0)
                     if len(a):
                         yield pd.DataFrame({"a": np.minimum(a.view(np.int64), b.view(np.int64)), "b": np.maximum(a.view(np.int64), b.view(np.int64))})
 
         for pdf in batches:
             if not len(pdf):
                 continue
-            last = (pdf["tree"].iloc[-1], pdf["cell"].iloc[-1])
-            tail = ((pdf["tree"] == last[0]) & (pdf["cell"] == last[1])).to_numpy()
+            tail = np.logical_and.reduce([(pdf[c] == pdf[c].iloc[-1]).to_numpy() for c in keys])
             cutoff = len(pdf) - int(tail.sum())
             if cutoff:
                 yield from flush(pd.concat([*held, pdf.iloc[:cutoff]], ignore_index=True))
@@ -188,8 +258,8 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         if held:
             yield from flush(pd.concat(held, ignore_index=True))
 
-    by_cell = routed.repartition("tree", "cell").sortWithinPartitions("tree", "cell", "home")
-    return by_cell.mapInPandas(match, "a long, b long").distinct()
+    by_leaf = routed.repartition("tree", "leaf", "pair").sortWithinPartitions("tree", "leaf", "pair", "home")
+    return by_leaf.mapInPandas(match, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -204,6 +274,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = large.join(low, "b").select(F.col("low"), F.explode(F.array("a", "b")).alias("b")).select(F.col("low").alias("a"), "b").where("a != b").distinct()
         nxt = cut(small, "simhash-edges")
         same = nxt.count() == edges.count() and nxt.exceptAll(edges).isEmpty()
+        drop(edges)
         edges = nxt
         if same:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
