@@ -57,12 +57,16 @@ def cut(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataF
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:
         if path := _PATHS.pop(df, None):
-            fs, at = _hadoop_path(df.sparkSession, path)
-            fs.delete(at, True)
+            remove(df.sparkSession, path)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -4,33 +4,39 @@ Documents are taken in batches of ascending doc_id. A batch's line keys are redu
 with the smallest doc_id that holds it. The runs hold every hash seen so far, sorted and bucketed by
 hash on disk: the batch is merge-anti-joined with each run, and what no run has becomes a new run at
 level 0. When a level has FAN runs they are merged into one run of the next level, so a batch meets
-O(FAN * log(batches)) runs. Both sides of the merge join come bucketed by hash, so the runs are never
-shuffled or sorted again.
-
-A line stays if its (hash, doc_id) is among the new entries of its batch, that is, if no earlier
-document holds the key. That test joins on hash and doc_id together, so a line that a third of all
-documents share is spread over all partitions. The hash is 128 bits (two XXH64 with different input).
-
-Defined cases: a null or empty text is one empty line; keys under MIN_CHARS code points always stay; a
-null doc_id counts as the smallest; repeated rows of one doc_id are one document, and each row gives its
-own result; an empty table gives an empty result; extra columns don't matter.
+O(FAN * log(batches)) runs. Runs have as many buckets as the session has shuffle partitions, so a batch
+comes to the joins with the runs' own partitioning: no run is ever shuffled. While runs are joined or merged,
+the order of their buckets (one file each) is trusted, so they aren't sorted again either; a merge is a full
+merge join of runs that share no hash. BATCHES batches fill level 0 twice, at any size of the input.
+
+A line stays if its (hash, doc_id) is an entry of a run, that is, if no earlier document holds the key. That
+test joins on hash and doc_id together, so a line that a third of all documents share is spread over all
+partitions. The hash is 128 bits (two XXH64 with different input); the bytes of equal hashes are not
+compared: among 10^12 different lines two share a hash with a probability of about 10^-15.
+
+Defined cases: a null or empty text is one empty line; a text of any length is split whole; keys under
+MIN_CHARS code points always stay; a null doc_id counts as the smallest; repeated rows of one doc_id are one
+document, and each row gives its own result; an empty table gives an empty result; extra columns, whatever
+their names, don't matter. The runs are dropped, and their files deleted, before the result is returned.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, folder
+from .common import ascii_lower, cut, drop, folder, remove
 
 MIN_CHARS = 10
-#: Runs of one level that are merged into one of the next.
-FAN = 4
-BUCKETS = 16
+#: Runs of one level that are merged into one of the next, and batches of documents.
+FAN, BATCHES = 4, 9
 #: The six ASCII white-space characters, stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
+_FIRST = -(2**63)
 
 
 def line_key(line: Column) -> Column:
@@ -38,19 +44,43 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(STRIP)))
 
 
+@contextmanager
+def trusted_order(spark: SparkSession) -> Iterator[None]:
+    """Bucketed tables count as sorted if each bucket is one file (otherwise Spark sorts as usual)."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class Runs:
-    """Sorted runs of (h1, h2, owner), as bucketed tables in the session's warehouse."""
+    """Sorted runs of (h1, h2, owner), as bucketed tables in the session's catalog."""
 
-    def __init__(self, spark, buckets: int = BUCKETS):
-        self.spark, self.buckets, self.tag, self.made = spark, buckets, f"line_run_{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark, self.tag = spark, f"line_run_{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.made: list[str] = []
+        self.merges = 0
         self.levels: list[list[str]] = []
 
+    def _path(self, name: str) -> str:
+        return f"{folder(self.spark)}/{name}"
+
     def _write(self, df: DataFrame) -> str:
-        name, self.made = f"{self.tag}_{self.made}", self.made + 1
-        parts = df.repartition(self.buckets, "h1", "h2")
-        parts.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{folder(self.spark)}/{name}").saveAsTable(name)
+        name = f"{self.tag}_{len(self.made)}"
+        self.made.append(name)
+        sorted_ = df.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        with trusted_order(self.spark):
+            sorted_.option("path", self._path(name)).saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self._path(name))
+
     def names(self) -> list[str]:
         return [n for level in self.levels for n in level]
 
@@ -60,60 +90,75 @@ class Runs:
             batch = batch.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return batch
 
-    def add(self, new: DataFrame) -> DataFrame:
-        """Store new entries as a run of level 0, compact full levels, return the entries as stored."""
-        name = self._write(new)
-        stored = self.spark.table(name)
-        self._push(0, name)
-        return stored
+    def add(self, new: DataFrame) -> None:
+        """Store new entries as a run of level 0 and merge the levels that are full."""
+        self._push(0, self._write(new))
 
     def _push(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= FAN:
-            merged = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(self.spark.table(other))
-            self.levels[level] = []
-            self._push(level + 1, self._write(merged))
+            full, self.levels[level] = self.levels[level], []
+            merged = self.spark.table(full[0])
+            for other in full[1:]:
+                right = self.spark.table(other).withColumnRenamed("owner", "owner_").hint("merge")
+                merged = merged.join(right, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "owner_").alias("owner"))
+            name = self._write(merged)
+            for old in full:
+                self._drop(old)
+            self.merges += 1
+            self._push(level + 1, name)
+
+    def entries(self) -> DataFrame:
+        """All entries of all runs."""
+        out = self.spark.table(self.names()[0])
+        for name in self.names()[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return out
+
+    def close(self) -> None:
+        for name in self.names():
+            self._drop(name)
+        self.levels = []
+
+
+def _owner(doc_id: str) -> Column:
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_FIRST))
 
 
 def hashed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos (0-based), h1, h2 of every line whose key has at least min_chars code points."""
+    """doc_id, sig (the text's hash, apart for rows of one doc_id), pos (0-based), h1, h2 of every line whose key
+    has at least min_chars code points."""
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
-    rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.posexplode(lines).alias("pos", "line"))
+    rows = df.select(_owner(doc_id).alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("sig"), F.posexplode(lines).alias("pos", "line"))
     rows = rows.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    return rows.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    return rows.select("doc_id", "sig", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and the array `dropped` of 0-based line numbers that an earlier document holds."""
+def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, runs: Runs | None = None) -> DataFrame:
+    """doc_id, sig and the array `dropped` of 0-based line numbers that an earlier document holds."""
     spark = df.sparkSession
-    rows = cut(hashed_lines(df, doc_id, text, min_chars), "line-hashes")
-    marks = rows.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(marks or []))
-    runs, dropped = Runs(spark), []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        mine = rows
-        if lo is not None:
-            mine = mine.where(F.col("doc_id") > lo)
-        if hi is not None:
-            mine = mine.where(F.col("doc_id") <= hi)
-        first = mine.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-        new = runs.add(runs.anti(first)).select("h1", "h2", F.col("owner").alias("doc_id"))
-        dropped.append(mine.join(new.hint("merge"), ["h1", "h2", "doc_id"], "left_anti").select("doc_id", "pos"))
-    out = dropped[0]
-    for d in dropped[1:]:
-        out = out.unionByName(d)
-    return out.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
-
-
-def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
+    marks = df.select(F.percentile_approx(_owner(doc_id), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    batch = sum((F.when(F.col("doc_id") > m, 1).otherwise(0) for m in sorted(set(marks or []))), F.lit(0))
+    rows = cut(hashed_lines(df, doc_id, text, min_chars).withColumn("batch", batch), "line-hashes", ["batch"])
+    runs = runs or Runs(spark)
+    for k in range(len(set(marks or [])) + 1):
+        first = rows.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
+        runs.add(runs.anti(first))
+    lost = rows.join(runs.entries().withColumnRenamed("owner", "doc_id").hint("merge"), ["h1", "h2", "doc_id"], "left_anti")
+    out = cut(lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("dropped")), "line-dropped")
+    runs.close()
+    drop(rows)
+    return out
+
+
+def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row of df: doc_id, text (the lines that stay), n_lines (before), n_dropped."""
-    lost = dropped_lines(df, doc_id, text, batches, min_chars).withColumnRenamed("doc_id", "lost_id")
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1).alias("lines"))
-    docs = docs.join(lost, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("lost_id"), "left")
+    lost = dropped_lines(df, doc_id, text, batches, min_chars).withColumnsRenamed({"doc_id": "lost_id", "sig": "lost_sig"})
+    text_ = F.col(f"`{text}`")
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text_).alias("sig"), F.split(F.coalesce(text_, F.lit("")), "\n", -1).alias("lines"))
+    docs = docs.join(lost, (_owner("doc_id") == F.col("lost_id")) & (F.col("sig") == F.col("lost_sig")), "left")
     n = F.size("lines")
     # array_except hashes its second argument, so this stays linear in the number of lines
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("dropped"))

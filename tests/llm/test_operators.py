@@ -270,21 +270,33 @@ def test_bpe_unreachable_token(tmp_path, merges):
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == t.encode(text).ids
 
 
-def test_token_files(docs, empty, monkeypatch):
-    t = lib()
-    for block in (token_files.BLOCK, 700):
-        monkeypatch.setattr(token_files, "BLOCK", block)
-        monkeypatch.setattr(token_files.write_files, "__defaults__", (block, 4))
+def test_token_files(spark, docs, empty):
+    t, docs = lib(), spaced(docs)
+    null = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    for given, block, file in ((docs, token_files.BLOCK, token_files.FILE), (docs.unionByName(null), 700, 5_000)):
         want, at = [], 0
-        for d, x in sorted(texts(docs), key=lambda r: (r[0], r[1] or "")):
+        for d, x in sorted(texts(given), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
             ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
             want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
-        got = sorted(tuple(r) for r in token_files.write_and_read(docs, PATH).collect())
-        assert got == sorted(want)
-        if block == 700:
-            break
+        got = [tuple(r) for r in token_files.write_and_read(given, PATH, block=block, file=file).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
     assert token_files.write_and_read(empty, PATH).count() == 0
+    assert bpe.vocab_size(PATH) == t.get_vocab_size(with_added_tokens=True)
+
+
+def test_token_files_layout(spark, tmp_path):
+    """Several files of several blocks; the manifest's first positions are the running sum of their ids."""
+    ids = [np.arange(n, dtype="<u4") % 50 for n in (1000, 0, 1, 5000, 299, 2500, 800)]
+    rows = [(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(ids)]
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary"), f"{tmp_path}/t", 50, block=400, file=3000)
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks").orderBy("file", "seq").collect()
+    assert max(collections.Counter(b.file for b in blocks).values()) > 1 and max(b.n_ids for b in blocks) == 400
+    assert (np.concatenate([token_files.unpack_block(bytes(b.block))[0] for b in blocks]) == np.concatenate(ids)).all()
+    at = 0
+    for m in spark.read.parquet(f"{tmp_path}/t/manifest").orderBy("file").collect():
+        assert m.first == at and m.n_ids == sum(b.n_ids for b in blocks if b.file == m.file)
+        at += m.n_ids
 
 
 def test_coder():
@@ -299,6 +311,9 @@ def test_coder():
         bad[len(bad) // 2] ^= 1
         with pytest.raises(ValueError):
             token_files.unpack_block(bytes(bad))
+    long = np.where(rng.random(300_000) < 0.3, rng.integers(0, 50257, 300_000), rng.zipf(1.2, 300_000) % 50257).astype(np.uint32)
+    back, _ = token_files.unpack_block(token_files.pack_block(long, [], 50257))
+    assert (back == long).all()
     assert len(token_files.pack_block(np.tile(cases[3], 4).astype(np.uint32), [], 50257)) < 0.6 * 2 * 4 * len(cases[3])
 
 
@@ -310,7 +325,7 @@ def test_lines_brute(docs, empty):
     key = lambda s: lower(s.strip(" \t\n\x0b\x0c\r"))
     for d, t in data:
         for x in (t or "").split("\n"):
-            first[key(x)] = min(d, first.get(key(x), d))
+            first[key(x)] = min(d, first.get(key(x), d), key=lambda v: (v is not None, v or 0))
     want = []
     for d, t in data:
         lines = (t or "").split("\n")
@@ -318,14 +333,37 @@ def test_lines_brute(docs, empty):
         want.append((d, "\n".join(keep), len(lines), len(lines) - len(keep)))
     for batches in (1, 3, 9):
         got = line_dedup.deduplicate_lines(spaced(docs).drop("lines"), batches=batches)
-        if docs.columns and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-            assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-        else:  # rows that repeat a doc_id: compare without them
-            twice = {r.doc_id for r in docs.groupBy("doc_id").count().where("count > 1").collect()}
-            assert sorted(tuple(r) for r in got.collect() if r.doc_id not in twice) == sorted(w for w in want if w[0] not in twice)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
 
+def test_lines_compaction(spark, sf):
+    """The default batches fill level 0 twice; what is left are two runs of level 1 and one of level 0, then nothing."""
+    docs = common.load(spark, sf, "documents")
+    runs = line_dedup.Runs(spark)
+    seen = []
+    close = runs.close
+    runs.close = lambda: seen.append([len(x) for x in runs.levels]) or close()
+    line_dedup.dropped_lines(docs, runs=runs)
+    assert runs.merges == 2 and seen == [[1, 2]]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_lines_runs_not_shuffled(spark, sf):
+    """A run keeps its partitioning and its order in the joins; the runs' entries are the smallest doc_id of each hash."""
+    rows = line_dedup.hashed_lines(common.load(spark, sf, "documents"))
+    runs = line_dedup.Runs(spark)
+    for k in range(5):
+        part = rows.where(F.col("doc_id") % 5 == k).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
+        runs.add(runs.anti(part))
+    with line_dedup.trusted_order(spark):
+        plan = runs.anti(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "BatchEvalPython" not in plan
+    assert runs.entries().groupBy("h1", "h2").count().where("count > 1").isEmpty()
+    assert runs.entries().count() == rows.select("h1", "h2").distinct().count()
+    runs.close()
+
+
 # ---- 10 mixing
 
 
