@@ -9,24 +9,32 @@ snapshot's size, so a filter never outgrows KEYS keys. At the end the texts of a
 of two or more are compared byte for byte with their group's representative; texts that share a digest
 but not the bytes (never seen, but possible) are grouped again by the text itself.
 
-Defined cases: a null text counts as empty, and empty texts are equal to each other; a null doc_id
-ranks below all others; rows that repeat a doc_id with equal texts are one document given twice: all its
-rows carry the same flags; an empty table gives an empty result; extra columns don't matter.
+A digest with more than one in HOT of all rows is joined by broadcast (there are fewer than HOT of those),
+the others by shuffle, so no task gets a large group of copies; the representative of a large group is
+copied to as many keys as the group has thousands.
+
+Defined cases: a null text counts as empty, and empty texts are equal to each other; texts of any length are
+hashed and compared whole; a null doc_id ranks below all others; of rows that repeat the largest doc_id of
+their group with equal texts one stays (the first as read), the others are copies like any; an empty table
+gives an empty result; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
 #: Digests per filter shard, at most on average: about 75 kB a filter and 2 MB of pandas rows a task group.
 KEYS = 50_000
-#: Positives whose ids are broadcast when their texts are fetched; beyond it the ids are shuffled.
-BROADCAST_IDS = 200_000
+#: Members of groups that are broadcast when their texts are fetched (about 20 MB); beyond it they are shuffled.
+BROADCAST_IDS = 100_000
+#: Digests with more than one in HOT of all rows are joined by broadcast; copies that one key of a representative serves.
+HOT, COPIES = 1000, 1000
+_FIRST = -(2**63)
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -94,10 +102,18 @@ def probe_fuse(keys: np.ndarray, seed: int, seg: int, count: int, table: bytes)
     return np.bitwise_xor.reduce(got, axis=0) == _print(h)
 
 
+def _norm(text: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _key(doc_id: str) -> Column:
+    """The doc_id as a key that is never null."""
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_FIRST))
+
+
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and digest (SHA-256, hex, of the normalised text) of every row."""
-    norm = ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.sha2(norm, 256).alias("digest"))
+    """doc_id, digest (SHA-256, hex, of the normalised text) and row (a number) of every row."""
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.sha2(_norm(text), 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -116,23 +132,29 @@ def build_filters(snapshot: DataFrame, shards: int) -> DataFrame:
 
 
 def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """incoming (distinct digests: digest, n, max_id) with maybe: whether the filter of its shard passes it."""
+    """incoming (distinct digests: digest, n, max_id, keep_row) with maybe: whether the filter of its shard passes it."""
 
     def probe(pdf: pd.DataFrame, flt: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
         maybe = probe_fuse(keys, *flt.iloc[0][["seed", "seg", "count", "table"]]) if len(flt) else np.zeros(len(keys), bool)
-        return pdf[["digest", "n", "max_id"]].assign(maybe=maybe)
+        return pdf[["digest", "n", "max_id", "keep_row"]].assign(maybe=maybe)
 
     left = _sharded(incoming, shards).groupBy("shard")
-    return left.cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest string, n long, max_id long, maybe boolean")
+    return left.cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest string, n long, max_id long, keep_row long, maybe boolean")
+
+
+def _top(doc_id: str, row: str) -> Column:
+    """The row that stays: of the largest doc_id the first row."""
+    return F.max(F.struct(F.col(doc_id).cast("long").alias("id"), (-F.col(row)).alias("neg")))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").cast("long").alias("max_id"))
+    g = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _top("doc_id", "row").alias("top"))
+    return g.select("digest", "n", F.col("top.id").alias("max_id"), (-F.col("top.neg")).alias("keep_row"))
 
 
 def group_batches(dig: DataFrame, cuts: list[int]) -> DataFrame:
-    """Totals per digest (digest, n, max_id) of digests that arrive in batches, cut at the given doc_ids."""
+    """Totals per digest (digest, n, max_id, keep_row) of digests that arrive in batches, cut at the given doc_ids."""
     bounds = [None, *cuts, None]
     snapshots: list[tuple[DataFrame, DataFrame, int]] = []
     hits: list[DataFrame] = []
@@ -142,11 +164,11 @@ def group_batches(dig: DataFrame, cuts: list[int]) -> DataFrame:
         size = new.count()
         for snap, filters, shards in snapshots:
             screened = cut(screen(new, filters, shards), "dedup-screened")
-            maybe = screened.where("maybe").select("digest", "n", "max_id")
+            maybe = screened.where("maybe").select("digest", "n", "max_id", "keep_row")
             found = cut(maybe.join(snap.select("digest"), "digest", "left_semi"), "dedup-hits")
             hits.append(found)
             false_alarms = maybe.join(found.select("digest"), "digest", "left_anti")
-            new = screened.where("NOT maybe").select("digest", "n", "max_id").unionByName(false_alarms)
+            new = screened.where("NOT maybe").select("digest", "n", "max_id", "keep_row").unionByName(false_alarms)
         if snapshots:
             new = cut(new, "dedup-snapshot")
         shards = max(1, -(-size // KEYS))
@@ -164,23 +186,38 @@ def group_batches(dig: DataFrame, cuts: list[int]) -> DataFrame:
     more = hits[0]
     for h in hits[1:]:
         more = more.unionByName(h)
-    more = more.groupBy("digest").agg(F.sum("n").alias("m"), F.max("max_id").alias("other_id"))
+    more = more.groupBy("digest").agg(F.sum("n").alias("m"), _top("max_id", "keep_row").alias("other"))
     joined = entries.join(more, "digest", "left")
-    return joined.select("digest", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("max_id", "other_id").alias("max_id"))
+    top = F.greatest(F.struct(F.col("max_id").alias("id"), (-F.col("keep_row")).alias("neg")), "other")
+    joined = joined.select("digest", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), top.alias("top"))
+    return joined.select("digest", "n", F.col("top.id").alias("max_id"), (-F.col("top.neg")).alias("keep_row"))
+
+
+def attach(dig: DataFrame, many: DataFrame, hot: int = HOT) -> DataFrame:
+    """dig with n, max_id and keep_row of its group; many: the groups of two or more."""
+    least = dig.count() / hot
+    cols = ["n", "max_id", "keep_row"]
+    large = many.where(F.col("n") > least).select("digest", F.struct(*cols).alias("large"))
+    small = many.where(F.col("n") <= least).select("digest", F.struct(*cols).alias("small"))
+    rows = dig.join(F.broadcast(large), "digest", "left")  # fewer than `hot` rows
+    found = rows.where("large IS NOT NULL").select("doc_id", "digest", "row", "large.*")
+    others = rows.where("large IS NULL").drop("large").join(small, "digest", "left").select("doc_id", "digest", "row", "small.*")
+    return found.unionByName(others)
 
 
 def verify(df: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """members: doc_id, digest, max_id of documents in groups of two or more. Those whose bytes differ from
-    the representative's, with their text."""
-    ids = members.select("doc_id").distinct()
-    n = ids.count()
-    texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("norm"))
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = cut(texts.withColumn("digest", F.sha2("norm", 256)), "dedup-texts")
-    reps = members.where("doc_id = max_id").select("doc_id", "digest").distinct()
-    first = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.max("norm").alias("rep"))
-    # written first, so that both sides of the join are plain shuffles, whose hot digests AQE can split
-    return texts.join(cut(first, "dedup-representatives"), "digest").where("norm != rep").select("doc_id", "digest", "norm")
+    """members: key (of the doc_id), digest, n, is_rep of documents in groups of two or more. The key, digest and
+    text of those whose bytes differ from the representative's."""
+    small = members.count() <= BROADCAST_IDS
+    sent = lambda d: F.broadcast(d) if small else d
+    texts = df.select(_key(doc_id).alias("key"), _norm(text).alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    texts = cut(texts.join(sent(members.select("key", "digest", "n").distinct()), ["key", "digest"]), "dedup-texts")
+    parts = F.ceil(F.col("n") / COPIES).cast("int")
+    reps = texts.join(sent(members.where("is_rep").select("key", "digest").distinct()), ["key", "digest"], "left_semi")
+    reps = reps.groupBy("digest").agg(F.max("norm").alias("rep"), F.max("n").alias("n"))
+    reps = reps.select("digest", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    return texts.join(cut(reps, "dedup-representatives"), ["digest", "part"]).where("norm != rep").select("key", "digest", "norm")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
@@ -189,23 +226,33 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batch
     lo, hi = dig.agg(F.min("doc_id"), F.max("doc_id")).first()
     cuts = [] if lo is None or batches < 2 else sorted(set(int(x) for x in dig.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0]))
     groups = cut(group_batches(dig, [c for c in cuts if c < hi] if cuts else []), "dedup-groups")
-    many = groups.where("n > 1")
-    rows = dig.join(many, "digest", "left")
-    members = rows.where("n > 1 AND doc_id IS NOT NULL").select("doc_id", "digest", "max_id")
-    odd = cut(verify(df, cut(members, "dedup-members"), doc_id, text), "dedup-odd")
-    keep, size = F.coalesce("max_id", "doc_id"), F.coalesce("n", F.lit(1).cast("long"))
+    rows = cut(attach(dig, groups.where("n > 1")).withColumn("key", _key("doc_id")), "dedup-rows")
+    members = rows.where("n > 1").select("key", "digest", "n", (F.col("row") == F.col("keep_row")).alias("is_rep"))
+    odd = cut(verify(df, members, doc_id, text), "dedup-odd")
+    size = F.coalesce("n", F.lit(1).cast("long"))
+    alone = F.col("n").isNull()
     if odd.isEmpty():
-        return rows.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.col("max_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
-    split = odd.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("odd_n"), F.max("doc_id").alias("odd_id"))
-    tagged = odd.join(split, ["digest", "norm"]).select("doc_id", "digest", "odd_n", "odd_id").distinct()
+        keep, kept = F.when(alone, F.col("doc_id")).otherwise(F.col("max_id")), alone | (F.col("row") == F.col("keep_row"))
+        return rows.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    null_id = lambda c: F.when(c != _FIRST, c)
+    split = odd.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("odd_n"), F.max("key").alias("odd_key"))
+    tagged = odd.join(split, ["digest", "norm"]).select("key", "digest", "odd_n", "odd_key").distinct()
     less = split.groupBy("digest").agg(F.sum("odd_n").alias("less"))
-    rows = rows.join(tagged, ["doc_id", "digest"], "left").join(less, "digest", "left")
-    keep, size = F.coalesce("odd_id", "max_id", "doc_id"), F.coalesce(F.col("odd_n"), F.col("n") - F.coalesce("less", F.lit(0)), F.lit(1))
-    return rows.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = rows.join(tagged, ["key", "digest"], "left").join(less, "digest", "left")
+    first = F.when(F.col("odd_key").isNotNull(), F.row_number().over(Window.partitionBy("digest", "key").orderBy("row")))
+    keep = F.when(F.col("odd_key").isNotNull(), null_id(F.col("odd_key"))).when(alone, F.col("doc_id")).otherwise(F.col("max_id"))
+    size = F.coalesce(F.col("odd_n"), F.col("n") - F.coalesce("less", F.lit(0)), F.lit(1))
+    kept = F.when(F.col("odd_key").isNotNull(), (F.col("key") == F.col("odd_key")) & (first == 1)).otherwise(alone | (F.col("row") == F.col("keep_row")))
+    return rows.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows whose text a row with a larger doc_id has."""
-    lost = deduplicate(df, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 256)
-    return df.join(lost, F.col(f"`{doc_id}`").eqNullSafe(F.col("lost_id")) & (sha == F.col("lost_sha")), "left_anti")
+    """df with one row of each group of equal texts: the one with the largest doc_id (of rows that repeat it, any)."""
+    lost = cut(deduplicate(df, doc_id, text).where("NOT kept"), "dedup-lost").select(F.col("doc_id").alias("lost_id"), F.col("keep_id"), F.col("text_sha256").alias("lost_sha"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("lost_id")) & (F.sha2(_norm(text), 256) == F.col("lost_sha"))
+    again = lost.where(F.col("lost_id").eqNullSafe(F.col("keep_id"))).select("lost_id", "lost_sha").distinct()
+    left = df.join(lost.select("lost_id", "lost_sha").distinct(), same, "left_anti")
+    if again.isEmpty():
+        return left
+    one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"), F.sha2(_norm(text), 256).alias("lost_sha")).agg(F.any_value(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("lost_row"))
+    return left.unionByName(one.select("lost_row.*"))
