@@ -15,25 +15,29 @@ merge. Codec checks both for the given file and uses the library alone where eit
 Long unsplit stretches (no such place within `leaf` characters) are encoded by tree concatenation:
 halves are encoded apart, down to leaves that need nothing of each other, and joined upwards. At
 each join a window of tokens on both sides is encoded anew; if its first tokens are the left side's and
-its last tokens the right side's, the parts are spliced, else the window grows until both sides agree,
-or until it is the whole stretch. BPE output is valid exactly if all its neighbouring token pairs are,
-so agreement at both ends makes the splice the library's own result; window edges are only set where
-the pre-token pattern can't see a difference (inside a run of letters or of digits, away from
-apostrophes).
-
-Documents beyond `spread` characters are dealt out as chunk rows over the cluster, encoded there, and
-joined in the same way in the task of their document.
-
-Defined cases: null and empty texts have no ids and decode to the empty text; doc_id may be null or
-repeated, each row gets its own result; an empty table gives an empty result; extra columns don't matter.
+its last tokens the right side's, the parts are spliced, else the window grows on the side that doesn't
+agree until both do, or until it has all of that side. BPE output is valid exactly if all its neighbouring token pairs are,
+so agreement at both ends makes the splice the library's own result. Window edges are only set where the
+pre-token pattern can't see a difference: between signs of different kinds (letter, number, other), since
+none of its tokens spans them but an apostrophe with letters; before white space behind another sign; or
+inside a run of one kind, away from apostrophes. No edge is set inside an added token.
+
+Documents beyond `spread` characters are dealt out as chunk rows over the cluster, encoded there in
+parallel, and joined in the same way in the task of their document.
+
+Defined cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded
+whole; doc_id may be null or repeated, each row gets its own result; an empty table gives an empty result;
+extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 2048
-SPREAD = 1 << 18
+SPREAD = 1 << 14
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
 #: Characters that are encoded at once (or one document), and distinct parts that are encoded as one text.
@@ -84,6 +88,16 @@ def slices(lens: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(len(lens)), np.flatnonzero(np.diff(np.cumsum(lens) // SLICE)) + 1) if len(lens) else []
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _kind(c: str) -> str:
+    """L, N, Z (white space) or O (other), as the pre-token pattern tells signs apart; empty where versions of
+    Unicode could disagree."""
+    kind = unicodedata.category(c)
+    if kind == "Cn" or _DOUBTFUL(c) or ord(c) >= 0x2EBF0:
+        return ""
+    return "Z" if c.isspace() else kind[0] if kind[0] in "LN" else "O"
+
+
 class Codec:
     """One worker's encoder and decoder of a tokenizer file."""
 
@@ -277,28 +291,41 @@ class Codec:
             if not pending:
                 yield n, chars
 
-    @staticmethod
-    def _quiet(text: str, at: int) -> bool:
+    def _quiet(self, text: str, at: int) -> bool:
         """Whether the pre-token pattern behaves alike on either side of a cut here."""
         if at <= 0 or at >= len(text):
             return False
-        a, b = text[at - 1], text[at]
-        same = a.isalpha() and b.isalpha() and not a.isnumeric() and not b.isnumeric() or a.isdecimal() and b.isdecimal() or not a.isspace() and b == " " and not _DOUBTFUL(a)
-        return same and "'" not in text[max(0, at - 4) : at + 4] and "|" not in text[max(0, at - 16) : at + 16]
+        if any(t in text[max(0, at - len(t) + 1) : at + len(t) - 1] for t in self.added):
+            return False
+        a, b = _kind(text[at - 1]), _kind(text[at])
+        if not a or not b or a == "Z":
+            return False
+        if a != b and b == "Z":
+            return True
+        if a != b:
+            return text[at - 1] != "'"
+        return "'" not in text[max(0, at - 4) : at + 4]
 
     def splice(self, left: str, a: list[int], right: str, b: list[int], window: int = 8) -> list[int]:
         """The ids of left + right from the ids of both."""
         text, mid = left + right, len(left)
-        while window < max(len(a), len(b)):
-            lo = next(((n, c) for n, c in self._edges(left, a, True) if n >= window and self._quiet(text, mid - c)), None)
-            hi = next(((n, c) for n, c in self._edges(right, b, False) if n >= window and self._ends(right, b, n, c) and self._quiet(text, mid + c)), None)
-            if not lo or not hi:
-                break
+        more, fewer = window, window  # tokens of the left and of the right side
+        lo = hi = None
+        while True:
+            if lo is None:
+                lo = next(((n, c) for n, c in self._edges(left, a, True) if n >= more and self._quiet(text, mid - c)), (len(a), mid)) if more < len(a) else (len(a), mid)
+            if hi is None:
+                near = ((n, c) for n, c in self._edges(right, b, False) if n >= fewer and self._ends(right, b, n, c) and self._quiet(text, mid + c))
+                hi = next(near, (len(b), len(right))) if fewer < len(b) else (len(b), len(right))
             middle = self.whole(text[mid - lo[1] : mid + hi[1]])
-            if middle[:2] == a[len(a) - lo[0] :][:2] and middle[-2:] == b[: hi[0]][-2:] and len(middle) > 3:
+            agree_lo = lo[0] == len(a) or len(middle) > 3 and middle[:2] == a[len(a) - lo[0] :][:2]
+            agree_hi = hi[0] == len(b) or len(middle) > 3 and middle[-2:] == b[: hi[0]][-2:]
+            if agree_lo and agree_hi:
                 return [*a[: len(a) - lo[0]], *middle, *b[hi[0] :]]
-            window *= 2
-        return self.whole(text)
+            if not agree_lo:
+                more, lo = 4 * more, None
+            if not agree_hi:
+                fewer, hi = 4 * fewer, None
 
     def _ends(self, text: str, ids: list[int], n: int, chars: int) -> bool:
         """Whether the first n tokens end where a character ends."""
