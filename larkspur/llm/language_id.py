@@ -13,10 +13,11 @@ The last three are tables of soft counts that grouped aggregation computes over
 text-only posteriors; a row's own share is taken out of its host's counts before it is judged. The text
 model is fitted on at most SAMPLE labelled texts a language, the first in hash order.
 
-Defined cases: a null or empty text gives no text evidence (the priors decide); null url, host or
-declared language give none of theirs; without any labelled text every language is equally likely and
-lang is null; ids may be null or repeated; an empty table gives an empty result; extra columns don't
-matter.
+Defined cases: a null or empty text gives no text evidence (the priors decide); a text of any length is
+scored whole; null url, host or declared language give none of theirs; of equally likely languages the first
+by name is taken; without any labelled text every language is equally likely and lang is null; doc_id and
+page_id are whole numbers (or what casts to them, else null), and may be null or repeated; an empty table
+gives an empty result; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -39,17 +40,26 @@ SAMPLE = 500
 WEIGHT = 30.0
 KAPPA = 5.0
 _STRIP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
-#: What may hold a tag's text without being one, or an <html> tag with its attributes.
-_HTML = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)", re.S | re.I)
-_DECLARED = re.compile(r"\slang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+#: What may hold a tag's text without being one, or an <html> or <meta> tag with its attributes.
+_HTML = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(?P<tag>html|meta)\b(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)", re.S | re.I)
+_LANG = [re.compile(rf"\s{name}\s*=\s*[\"']?\s*([A-Za-z]+)", re.I) for name in ("lang", "xml:lang")]
+_META = re.compile(r"\shttp-equiv\s*=\s*[\"']?\s*content-language\b", re.I), re.compile(r"\scontent\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
 
 
 def declared_of(page: str | None) -> str | None:
-    """The language of the page's first <html> tag that has one, wherever it is, in lower case."""
+    """The language of the page's first <html> tag that has one (lang before xml:lang), or else of its first
+    content-language meta tag, wherever it is, in lower case."""
+    meta = None
     for m in _HTML.finditer(page or ""):
-        if m["attrs"] and (said := _DECLARED.search(m["attrs"])):
-            return said.group(1).lower()
-    return None
+        if not m["attrs"]:
+            continue
+        if m["tag"].lower() == "html":
+            for name in _LANG:
+                if said := name.search(m["attrs"]):
+                    return said.group(1).lower()
+        elif meta is None and _META[0].search(m["attrs"]) and (said := _META[1].search(m["attrs"])):
+            meta = said.group(1).lower()
+    return meta
 
 
 def slots_of(text: str | None) -> np.ndarray:
@@ -84,9 +94,15 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel | None:
-    """A text model from the first `sample` labelled texts of each language in hash order."""
+    """A text model from the first `sample` labelled texts of each language in hash order. Only rows whose
+    hash is under a limit that twice as many as needed are expected to pass come to the window, so it doesn't
+    grow with the table; a language of few rows has them all."""
     ranked = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).where(F.col("r") <= sample).select("k", "lang")
+    counts = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * max(sample, 100)) / F.col("n"))
+    limits = counts.select("lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).alias("most"))
+    few = ranked.join(limits, "lang").where(F.col("most").isNull() | (F.col("h") <= F.col("most")))
+    first = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).where(F.col("r") <= sample).select("k", "lang")
     texts = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).join(F.broadcast(first), ["k", "lang"], "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
