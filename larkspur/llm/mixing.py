@@ -10,23 +10,29 @@ is passed through floor(r) times, then its first documents once more; of the doc
 that pass only as many leading words are taken as the target needs.
 
 The running sums are two-level: sums per (source, md5 prefix), their prefix sums over the small table,
-then a window inside each (source, prefix). So a source that holds a third of all rows is spread over
-BUCKETS groups instead of one.
+then a window inside each (source, prefix). The prefix is as long as keeps GROUP rows in a group on average,
+so a source that holds a third of all rows is spread over many groups at any size.
 
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
-order; a null doc_id is ordered by an empty key; rows that repeat a doc_id are separate documents, tied
-ones in arbitrary but equal-valued order; an empty table gives an empty result.
+The range sort needs no sampling pass: all schedules together hand out between half and one and a half times
+the mean number of words at any time, so equal stretches of training time are even partitions.
+
+Defined cases: a null or empty text has size 0 and is never taken; a text of any length is counted whole; a
+null source is a source of its own, last in order; a null doc_id is ordered by an empty key; rows that repeat
+a doc_id are separate documents, tied ones in arbitrary but equal-valued order; an empty table gives an empty
+result; extra columns, whatever their names, pass through mix() and don't matter elsewhere.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, fresh, word_count
 
-#: Hex digits of md5 that split a source's documents for the running sum (16 ** 2 groups a source).
-PREFIX = 2
+#: Rows of a source that one window task adds up, on average, and words of a partition of the sorted mix.
+GROUP, WORDS = 1 << 16, 1 << 22
 CAP = 3
 
 
@@ -53,16 +59,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return ranked.withColumn("target", F.coalesce(F.least(F.col("level") * F.col("weight"), (F.col("source_size") * cap).cast("double")), F.lit(0.0))).drop("level")
 
 
-def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, passes (whole passes), rest (words
-    of the last, partial pass), before (words of its source ahead of it), place, nth (apart for rows of one
-    doc_id and source). With carry, df's own row comes along as the struct `row`, so no extra column's name
-    can clash."""
+def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, source and size. With carry, df's own row comes along as the struct `row`, so no extra column's
+    name can clash."""
     row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *row)
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *row)
+
+
+def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> tuple[DataFrame, int]:
+    """docs: doc_id, source, size, perhaps row. (docs with source_size, target, taken, passes (whole passes), rest
+    (words of the last, partial pass), before (words of its source ahead of it), place and nth (apart for rows of
+    one doc_id and source), number of words of the mix)."""
+    digits = max(1, ceil(log(max(docs.count(), 1) / GROUP, 16)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = docs.withColumn("md5", key).withColumn("bucket", F.substring("md5", 1, PREFIX))
-    cells = docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
+    docs = docs.withColumn("md5", key).withColumn("bucket", F.substring("md5", 1, digits))
+    cells = cut(docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size")), "mix-cells")
+    total = cells.agg(F.sum("cell_size")).first()[0] or 0
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, cap)
     sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(sums), F.lit(0))).alias("a")
@@ -80,7 +92,13 @@ def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("passes") * F.col("source_size") - F.col("before"))).cast("long"))
         .withColumn("taken", F.col("passes") * F.col("size") + F.col("rest"))
     )
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "before", "place", "nth", *(["row"] if carry else []))
+    row = ["row"] if "row" in docs.columns else []
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", "before", "place", "nth", *row), total
+
+
+def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """allot() of df's documents."""
+    return allot(sized(df, doc_id, text, source), weights, cap)[0]
 
 
 def slope(place: Column) -> Column:
@@ -100,36 +118,39 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n.cast("int")), " ")
 
 
-def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """plan's columns and `row`, one row per taken piece, with `piece` (its text) and `at` (its training
-    position); a document of which nothing is taken is there once, with nulls."""
-    copies = plan(df, doc_id, text, source, weights, cap, carry=True)
+def pieces(planned: DataFrame, words: int) -> DataFrame:
+    """allot()'s rows, one per taken piece, with copy (the pass that takes it), `words` (its words) and `at` (its
+    training position), range-sorted by it; a document of which nothing is taken isn't there."""
     every = F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1))
-    copies = copies.select("*", F.explode_outer(F.when(F.col("taken") > 0, every)).alias("copy"))
+    copies = planned.where("taken > 0").select("*", F.explode(every).alias("copy"))
     ahead = F.col("copy") * F.col("source_size") + F.col("before")
-    part = (F.col("copy") == F.col("passes")) & (F.col("rest") < F.col("size"))
-    whole = F.col(f"row.`{text}`")
-    piece = F.when(part, leading_words(whole, F.col("rest"))).when(F.col("copy").isNotNull(), whole)
-    at = F.when(F.col("copy").isNotNull(), position(ahead.cast("double"), F.col("target"), F.col("place")))
-    return copies.withColumn("piece", piece).withColumn("at", at)
+    copies = copies.withColumn("at", position(ahead.cast("double"), F.col("target"), F.col("place")))
+    copies = copies.withColumn("words", F.when(F.col("copy") == F.col("passes"), F.col("rest")).otherwise(F.col("size")))
+    parts = max(1, -(-words // WORDS))
+    stretch = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("at") * parts))).cast("int")
+    return copies.repartitionById(parts, stretch).sortWithinPartitions("at", "doc_id")
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """The mixed corpus: df's columns, one row per taken piece (a document taken twice is there twice; a
     partial take has its leading words, joined by one space), range-sorted by the last column, the
     training position (`position`, with leading underscores if df has that name)."""
-    copies = pieces(df, doc_id, text, source, weights, cap).where("copy IS NOT NULL")
-    cols = [F.col("piece" if c == text else f"row.`{c}`").alias(c) for c in df.columns]
-    return copies.select(*cols, F.col("at").alias(name := fresh(df, "position"))).orderBy(F.col(f"`{name}`"), F.col(f"`{doc_id}`"))
+    copies = pieces(*allot(sized(df, doc_id, text, source, carry=True), weights, cap))
+    whole = F.col(f"row.`{text}`")
+    piece = F.when(F.col("words") < F.col("size"), leading_words(whole, F.col("words"))).otherwise(whole)
+    cols = [(piece if c == text else F.col(f"row.`{c}`")).alias(c) for c in df.columns]
+    return copies.select(*cols, F.col("at").alias(fresh(df, "position")))
 
 
 def placed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words of its pieces), first and last
-    (their training positions; null if nothing is taken). The pieces, with their texts, are range-sorted as in
-    mix(); the words of each are counted after that and written in training order."""
+    """Per document: doc_id, source, size, source_size, target, taken (words of its pieces), position and
+    last_position (of its first and last piece; null if nothing is taken). Texts are counted once and left
+    behind; the pieces are laid out in training order as in mix() and added up from there."""
+    docs = cut(sized(df, doc_id, text, source), "mix-sizes")
+    planned, words = allot(docs, weights, cap)
     key = ["doc_id", "source", "nth", "size", "source_size", "target"]
-    df = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, source))))
-    ordered = pieces(df, doc_id, text, source, weights, cap).select(*key, "piece", "at").orderBy("at", "doc_id")
-    mixed = cut(ordered.select(*key, "at", word_count(F.col("piece")).alias("words")), "mixed")
-    out = mixed.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("at").alias("first"), F.max("at").alias("last"))
+    planned = cut(planned, "mix-plan")
+    laid = cut(pieces(planned, words).select(*key, "at", "words"), "mix-pieces")
+    none = planned.where("taken = 0").select(*key, F.lit(None).cast("double").alias("at"), F.lit(0).cast("long").alias("words"))
+    out = laid.unionByName(none).groupBy(*key).agg(F.sum("words").alias("taken"), F.min("at").alias("position"), F.max("at").alias("last_position"))
     return out.drop("nth")

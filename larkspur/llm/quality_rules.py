@@ -5,8 +5,12 @@ rule. Policies are versioned masks over these bits, so a new policy, or the abla
 no second look at the texts: it is a bitwise test, and ablations run on counts per distinct bit
 pattern (at most 2 ** rules rows).
 
-Defined cases: a null or empty text has no words and fails the base rules; doc_id may be null or
-repeated (each row gets its own ledger row); extra columns pass through, whatever their names; an empty table gives an empty ledger.
+The rule no_letters counts a-z, A-Z and every character beyond ASCII as a letter, so that it holds in any
+script.
+
+Defined cases: a null or empty text has no words and fails the base rules; a text of any length is measured
+whole; doc_id may be null or repeated (each row gets its own ledger row); extra columns pass through, whatever
+their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rules in bit order: name, and the condition of failing over the ledger's measurements.
 RULES: list[tuple[str, str]] = [
     ("too_few_words", "n_words < 50"),
@@ -90,6 +96,11 @@ def ledger(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), *NAMES, "fail_bits")
 
 
+def stored(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """ledger(), written to the shared folder: every policy and ablation reads the stored bits."""
+    return cut(ledger(df, text, keep), "quality-ledger")
+
+
 def apply_policy(led: DataFrame, policy: str | int = "v1") -> DataFrame:
     """The ledger with base_failed and kept under a policy's mask."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy

@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import html
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -87,19 +90,39 @@ def test_exact_brute(docs, empty):
     groups = collections.defaultdict(list)
     for d, t in texts(docs):
         groups[lower(t)].append(d)
-    want = sorted((d, max(g), len(g), d == max(g), sha(t)) for t, g in groups.items() for d in g)
+    # of rows that repeat the largest doc_id with equal texts one stays
+    want = sorted((d, max(g), len(g), i == g.index(max(g)), sha(t)) for t, g in groups.items() for i, d in enumerate(g))
     for batches in (1, 2, 4):
-        got = sorted(tuple(r) for r in exact_dedup.deduplicate(docs, batches=batches).collect())
+        got = sorted(tuple(r) for r in exact_dedup.deduplicate(spaced(docs), batches=batches).collect())
         assert got == want
     assert exact_dedup.deduplicate(empty).count() == 0
     left = exact_dedup.drop_duplicates(spaced(docs))
+    assert left.columns == spaced(docs).columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _, _, k, _ in want if k)
 
 
 def test_exact_null_ids(spark):
-    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "A"), (None, "b"), (None, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(df).collect()}
-    assert (None, 1, 3, False) in got and (1, 1, 3, True) in got and (None, None, 1, True) in got
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "A"), (None, "b"), (None, None), (None, "c"), (None, "C"), (7, "d"), (7, "D"), (7, "e")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(df).collect())
+    assert got == {
+        (None, 1, 3, False): 2, (1, 1, 3, True): 1, (None, None, 1, True): 2, (None, None, 2, True): 1, (None, None, 2, False): 1, (7, 7, 2, True): 1, (7, 7, 2, False): 1, (7, 7, 1, True): 1,
+    }
+    left = exact_dedup.drop_duplicates(df)
+    assert sorted(((r.doc_id, lower(r.text)) for r in left.collect()), key=str) == sorted([(1, "a"), (None, "b"), (None, ""), (None, "c"), (7, "d"), (7, "e")], key=str)
+
+
+def test_exact_hot_digests(spark, sf, monkeypatch):
+    """Large groups joined by broadcast, and representatives dealt over many keys, change nothing."""
+    docs = common.load(spark, sf, "documents")
+    docs = docs.unionByName(docs.where("doc_id < 3").crossJoin(spark.range(60)).withColumn("doc_id", F.col("doc_id") * 1000 + F.col("id") + 10**6).drop("id"))
+    want = sorted(tuple(r) for r in exact_dedup.deduplicate(docs).collect())
+    assert sum(r[2] > 50 for r in want) >= 183
+    for name, value in (("COPIES", 4), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(exact_dedup, name, value)
+        assert sorted(tuple(r) for r in exact_dedup.deduplicate(docs).collect()) == want
+    dig = common.cut(exact_dedup.digests(docs), "hot")
+    many = exact_dedup.group_batches(dig, []).where("n > 1")
+    assert sorted(map(tuple, exact_dedup.attach(dig, many, 10).collect()), key=str) == sorted(map(tuple, exact_dedup.attach(dig, many, 10**9).collect()), key=str)
 
 
 def test_exact_same_digest_other_bytes(spark, monkeypatch):
@@ -412,7 +435,7 @@ def test_mixing_placed(spark, sf, docs):
     want = mixing.plan(docs).collect()
     cols = ("doc_id", "source", "size", "source_size", "target", "taken")
     assert collections.Counter(tuple(r[c] for c in cols) for r in got) == collections.Counter(tuple(r[c] for c in cols) for r in want)
-    assert all((r.first is None) == (r.last is None) == (r.taken == 0) for r in got)
+    assert all((r.position is None) == (r.last_position is None) == (r.taken == 0) for r in got)
     place = {r.doc_id: r for r in want}
     for r in got:
         p = place[r.doc_id]
@@ -420,9 +443,9 @@ def test_mixing_placed(spark, sf, docs):
             continue
         a = ((p.place - 1) % 3 - 1) / 2
         met = lambda t: ((1 - a) * t + a * t * t) * p.target  # noqa: B023, E731
-        assert met(r.first) == pytest.approx(min(p.before, p.target), abs=1e-6 * p.source_size)
+        assert met(r.position) == pytest.approx(min(p.before, p.target), abs=1e-6 * p.source_size)
         last = p.passes - (0 if p.rest else 1)
-        assert met(r.last) == pytest.approx(min(p.target, last * p.source_size + p.before), abs=1e-6 * p.source_size)
+        assert met(r.last_position) == pytest.approx(min(p.target, last * p.source_size + p.before), abs=1e-6 * p.source_size)
 
 
 def test_mixing_queries(spark, sf, monkeypatch):
@@ -432,11 +455,27 @@ def test_mixing_queries(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "position", lambda *a: seen.append(1) or at(*a))
     rows_ = queries.op10_mixing(spark, sf).collect()
     assert len(seen) == 1
+    assert [r.position for r in rows_ if r.taken] == sorted(r.position for r in rows_ if r.taken)
     order = queries.op10_mixing_order(spark, sf).collect()
-    assert len(seen) == 2 and {(r.doc_id, r.taken) for r in order} == {(r.doc_id, r.taken) for r in rows_ if r.taken}
+    assert len(seen) == 2 and {(r.doc_id, r.taken, r.first) for r in order} == {(r.doc_id, r.taken, r.position) for r in rows_ if r.taken}
     assert all(0 <= r.first <= r.last <= 1 for r in order)
 
 
+def test_mixing_partitions(docs, monkeypatch):
+    """Stretches of training time are even partitions in global order, and a long prefix gives the same plan."""
+    base = sorted((tuple(r) for r in mixing.plan(docs).drop("nth").collect()), key=str)
+    monkeypatch.setattr(mixing, "GROUP", 1)
+    assert sorted((tuple(r) for r in mixing.plan(docs).drop("nth").collect()), key=str) == base
+    words = sum(r.taken for r in mixing.plan(docs).collect())
+    monkeypatch.setattr(mixing, "WORDS", max(1, words // 8))
+    got = mixing.mix(docs).withColumn("pid", F.spark_partition_id()).collect()
+    assert [r.position for r in sorted(got, key=lambda r: r.pid)] == sorted(r.position for r in got)
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.pid] += len(WORD.findall(r.text or ""))
+    assert len(sizes) > 1 and max(sizes.values()) < 4 * words / 8 + max(len(WORD.findall(r.text or "")) for r in got)
+
+
 # ---- 2 HTML extraction
 
 
@@ -560,6 +599,55 @@ def test_url_all_contexts(spark):
         assert r.score == pytest.approx(ratio.score(r.host + r.path), abs=1e-9)
 
 
+def test_url_brute(spark, sf):
+    """Threshold, scores and verdicts of the query recomputed in plain Python."""
+    rows, order = [], url_filter.ORDER
+    for r in common.load(spark, sf, "pages").collect():
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", r.url or "")
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        fits = [(len(t), t, v) for t, v in url_filter.RULES if ("." + host).endswith("." + t.partition("/")[0]) and path.startswith("/" + t.partition("/")[2])]
+        rows.append((r.page_id, host, path, *(max(fits)[1:] if fits else (None, None))))
+    df = spark.createDataFrame([(h, p) for _, h, p, _, v in rows if v], "host string, path string").distinct()
+    held = {(r.host, r.path) for r in df.where(F.pmod(F.xxhash64("host", "path"), F.lit(url_filter.HELD)) == 0).collect()}
+
+    def count(urls):
+        out = {"allow": collections.defaultdict(collections.Counter), "block": collections.defaultdict(collections.Counter)}
+        for _, h, p, _, v in urls:
+            s = f"\x02{h}{p}\x03"
+            for i in range(1, len(s)):
+                for k in range(min(order, i) + 1):
+                    out[v][s[i - k : i]][s[i]] += 1
+        return out
+
+    def score(model, h, p):
+        s, signs, out = f"\x02{h}{p}\x03", len(set(model["allow"][""]) | set(model["block"][""])) + 1, 0.0
+        for i in range(1, len(s)):
+            for v, sign in (("allow", 1), ("block", -1)):
+                q = 1 / signs
+                for k in range(min(order, i) + 1):
+                    if (seen := model[v].get(s[i - k : i])) is not None:
+                        q = (seen[s[i]] + len(seen) * q) / (sum(seen.values()) + len(seen))
+                out += sign * math.log(q)
+        return out / (len(s) - 1)
+
+    decided = [r for r in rows if r[4]]
+    fitted, final = count([r for r in decided if (r[1], r[2]) not in held]), count(decided)
+    step = 2 * url_filter.SPAN / url_filter.BINS
+    bins = [(min(url_filter.BINS - 1, max(0, math.floor((score(fitted, r[1], r[2]) + url_filter.SPAN) / step))), r[4]) for r in decided if (r[1], r[2]) in held]
+    n = collections.Counter(v for _, v in bins)
+    quality = [sum(b >= t for b, v in bins if v == "allow") / n["allow"] + sum(b < t for b, v in bins if v == "block") / n["block"] for t in range(url_filter.BINS + 1)]
+    best = next(t for t, q in enumerate(quality) if q >= max(quality) - 1e-12)
+    want = {}
+    for page, h, p, rule, v in rows:
+        s = None if v else score(final, h, p)
+        want[page] = (h, p, rule, v or ("allow" if not (h or p) or s >= best * step - url_filter.SPAN else "block"), s)
+    got = queries.op8_url_filters(spark, sf).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == want[r.page_id][:4]
+        assert r.score == (None if want[r.page_id][4] is None else pytest.approx(want[r.page_id][4], abs=1e-9))
+
+
 # ---- 1 language ID
 
 
@@ -578,6 +666,87 @@ def test_language(spark, sf, edge, empty):
     assert {r.lang for r in language_id.identify(edge, None, None).collect()} == {None}
 
 
+def test_language_brute(spark, sf):
+    """Counts, priors and the posterior recomputed in plain Python."""
+    docs, pages = common.load(spark, sf, "documents").collect(), common.load(spark, sf, "pages").collect()
+    assert max(collections.Counter(r.lang for r in docs).values()) <= language_id.SAMPLE  # all of them are fitted on
+    langs = sorted({r.lang for r in docs if r.lang})
+    k = range(len(langs))
+
+    def slots(text):
+        c = [ord(x) if ord(x) >= 97 and not 122 < ord(x) < 192 else 32 for x in (text or "").lower()]
+        for a, b, d in zip(c, c[1:], c[2:]):
+            if not a == b == 32:
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ d * 0xC2B2AE35) & 0xFFFFFFFF
+                yield (h ^ h >> 15) % language_id.SLOTS
+
+    counts = [collections.Counter() for _ in k]
+    for r in docs:
+        if r.lang:
+            counts[langs.index(r.lang)].update(slots(r.text))
+    total = [sum(c.values()) + 0.1 * language_id.SLOTS for c in counts]
+
+    def score(text):
+        mine = list(slots(text))
+        if not mine:
+            return [0.0 for _ in k]
+        ll = [sum(math.log((counts[i][s] + 0.1) / total[i]) for s in mine) * min(len(mine), language_id.WEIGHT) / len(mine) for i in k]
+        return [x - max(ll) for x in ll]
+
+    def soft(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    rows = [(r.doc_id, None, r.source, None, None, score(r.text)) for r in docs]
+    for r in pages:
+        host = re.match(r"(?s)^.*?://([^/?#:]*)", r.url or "")
+        host = lower(host[1]) or None if host else None
+        said = re.search(r"<html[^>]*\slang=[\"']?([a-zA-Z]+)", r.html or "")
+        plain = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", r.html or "")
+        rows.append((None, r.page_id, host, host and host.rsplit(".", 1)[-1], said and said[1].lower(), score(html.unescape(plain))))
+    own = [soft(r[5]) for r in rows]
+    add = lambda at: {key: [sum(o[i] for r, o in zip(rows, own) if r[at] == key) for i in k] for key in {r[at] for r in rows}}
+    by_host, by_suffix, by_said = add(2), add(3), add(4)
+    world = [sum(o[i] for o in own) + 1 for i in k]
+    base = [x / sum(world) for x in world]
+    kap = language_id.KAPPA
+    smooth = lambda c, parent: [(x + kap * p) / (sum(c) + kap) for x, p in zip(c, parent)]
+    want = {}
+    for r, o in zip(rows, own):
+        parent = smooth(by_suffix[r[3]], base) if r[3] else base
+        prior = smooth([max(0.0, x - y) for x, y in zip(by_host[r[2]], o)], parent) if r[2] else base
+        logs = [x + math.log(p) for x, p in zip(r[5], prior)]
+        if r[4]:
+            logs = [x + math.log((d + 0.5) / (w + 0.5 * len(langs))) for x, d, w in zip(logs, by_said[r[4]], world)]
+        post = soft(logs)
+        want[r[0], r[1]] = langs[post.index(max(post))], max(post), r[4], r[2]
+    got = queries.op1_language_id(spark, sf).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        lang, sure, said, host = want[r.doc_id, r.page_id]
+        assert (r.lang, r.declared, r.host) == (lang, said, host) and r.confidence == pytest.approx(sure, abs=2e-5)
+
+
+def test_language_sample(spark, monkeypatch):
+    """The limit on hashes leaves the same first rows of each language as a window over all."""
+    df = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 100 = 0 THEN 'rare' WHEN id < 29000 THEN 'main' END AS lang", "concat('text number ', id) AS text")
+    counts = language_id.fit(df, sample=50)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = np.zeros((2, language_id.SLOTS))
+    for i, lang in enumerate(("main", "rare")):
+        for d in sorted((r.doc_id for r in df.where(F.col("lang") == lang).collect()), key=order.get)[:50]:
+            want[i] += np.bincount(language_id.slots_of(f"text number {d}"), minlength=language_id.SLOTS)
+    assert counts.langs == ["main", "rare"] and np.allclose(counts.table, language_id.TextModel(counts.langs, want).table)
+
+
+def test_language_declared_kinds():
+    of = language_id.declared_of
+    assert of('<html xml:lang="FR-ca">') == "fr" and of('<html xml:lang="fr" lang="de">') == "de"
+    assert of('<html><meta http-equiv="Content-Language" content="es-ES"><p>x') == "es"
+    assert of('<html><meta name="description" content="english text">') is None
+    assert of('<meta http-equiv=content-language content=it><html lang=pt>') == "pt"
+
+
 @pytest.mark.parametrize("before", ["", "<!-- licence, no <html lang=fr> -->" + "\n" * 5000, "<!--" + "x" * 100_000 + "-->"])
 @pytest.mark.parametrize("attrs", ["", " class='" + "c " * 5000 + "'", " data-a='x > y'"])
 def test_language_declared_anywhere(before, attrs):
