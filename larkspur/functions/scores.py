@@ -1,10 +1,10 @@
-"""Scores, bins and numeric expressions. Every function returns a Column; null in, null out."""
+"""Scores, bins and numeric expressions: Columns (null in, null out), and a few functions of whole tables at the end."""
 
 from __future__ import annotations
 
 from math import cos, pi, sqrt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C45 = cos(pi / 4)
@@ -102,3 +102,29 @@ def hash_int(seed: int, *cols) -> Column:
 def rint(x) -> Column:
     """Half-even rounding to a whole number."""
     return F.rint(_c(x)).cast("long")
+
+
+#: The seven predictors of a recording, in order.
+PSYCHO = ["LA50", "LA10_LA90", "LC50_LA50", "N5", "R", "FS", "T"]
+
+
+def psycho(df: DataFrame, mapping: dict[str, str | tuple[str, str]], keep: list[str]) -> DataFrame:
+    """`keep` and the seven predictors of one source's schema: a column, or the difference of a pair of columns."""
+    of = lambda m: (_c(m) if isinstance(m, str) else _c(m[0]) - _c(m[1])).cast("double")
+    return df.select(*keep, *(of(mapping[p]).alias(p) for p in PSYCHO))
+
+
+def durations(df: DataFrame, span: str, rate: float = 44100.0) -> DataFrame:
+    """df with dur_known and dur: seconds from the text "(start, end)" in samples, the mean of the known ones where
+    there is none."""
+    num = lambda k: F.regexp_extract(span, r"\((\d+), ?(\d+)\)", k).try_cast("long")
+    rows = df.withColumn("_sec", (num(2) - num(1)) / rate)
+    mean = rows.agg(F.avg("_sec").alias("_mean"))
+    return rows.crossJoin(F.broadcast(mean)).withColumn("dur_known", F.col("_sec").isNotNull()).withColumn("dur", F.coalesce("_sec", "_mean")).drop("_sec", "_mean")
+
+
+def min_max(df: DataFrame, col: str, limit: float = 1.5) -> DataFrame:
+    """df with `col` scaled to 0..1 by its range if its largest value is over `limit`, else as it is."""
+    ends = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    scaled = F.when(F.col("_hi") > limit, (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col(col))
+    return df.crossJoin(F.broadcast(ends)).withColumn(col, scaled).drop("_lo", "_hi")

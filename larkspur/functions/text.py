@@ -105,9 +105,13 @@ def caption_harmonised(masker, foreground, score) -> Column:
 
 
 def scene_of(masker, level) -> Column:
-    """Scene phrase and confidence; unknown pairs get a generic phrase at 0.5."""
-    found = _map({f"{m}|{lv}": s for (m, lv), s in SCENES.items()})[F.concat_ws("|", _c(masker), _c(level))]
-    return F.struct(F.coalesce(found, F.concat(_c(level), F.lit(" acoustic environment"))).alias("scene"), F.when(found.isNotNull(), 0.9).otherwise(0.5).alias("confidence"))
+    """Scene phrase and confidence 0.9; an unknown masker gets a phrase by level only, at 0.5. Maskers are looked up
+    trimmed and in lower case; a level other than the three is taken as moderate."""
+    key = F.lower(F.trim(_c(masker)))
+    scenes = _map({f"{m}|{lv}": s for (m, lv), s in SCENES.items()})
+    found = F.coalesce(scenes[F.concat_ws("|", key, _c(level))], scenes[F.concat_ws("|", key, F.lit("moderate"))])
+    generic = F.when(_c(level) == "quiet", "quiet environment").when(_c(level) == "loud", "loud environment").otherwise("moderate activity environment")
+    return F.struct(F.coalesce(found, generic).alias("scene"), F.when(found.isNotNull(), 0.9).otherwise(0.5).alias("confidence"))
 
 
 def parse_tag(caption, pattern: str = TAG) -> Column:

@@ -65,24 +65,27 @@ def seed_sd(df: DataFrame, keys: list[str], group: list[str], value: str) -> Dat
 
 
 def monotone(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Whether all steps have the sign of the total change; and the change."""
+    """The total change, and whether there is one and all steps have its sign."""
     w = Window.partitionBy(*keys).orderBy(order)
     steps = df.withColumn("_step", F.col(value) - F.lag(value).over(w))
     g = steps.groupBy(*keys).agg((F.max_by(value, order) - F.min_by(value, order)).alias("effect"), F.collect_list(F.signum("_step")).alias("_s"))
-    return g.withColumn("ordered", F.forall("_s", lambda s: s == F.signum("effect"))).drop("_s")
+    return g.withColumn("ordered", (F.signum("effect") != 0) & F.forall("_s", lambda s: s == F.signum("effect"))).drop("_s")
 
 
 def grid_effects(df: DataFrame, grid: list[str], item: str, level: str, metric: str, value: str, k: float = 2.0) -> DataFrame:
-    """Per grid, item and metric, over the levels that all items of the grid share: low, high, effect, ratio
-    to the seed SD, clear (ratio of at least k) and ordered."""
+    """Per grid, item and metric, over the levels (to 4 decimals) that all items of the grid share: low, high,
+    effect, ratio to the seed SD (over all levels, as measured), clear (ratio of at least k) and ordered (all steps
+    have the effect's sign). A grid with fewer than two shared levels is left out."""
+    df = df.withColumn(level, F.round(level, 4))
     items = df.groupBy(*grid).agg(F.count_distinct(item).alias("_items"))
     shared = df.groupBy(*grid, level).agg(F.count_distinct(item).alias("_with")).join(items, grid).where("_with = _items").select(*grid, level)
-    rows = df.join(F.broadcast(shared), [*grid, level])
+    enough = shared.groupBy(*grid).agg(F.count(F.lit(1)).alias("_levels")).where("_levels > 1").select(*grid)
+    rows = df.join(shared.join(enough, grid), [*grid, level])
     means = rows.groupBy(*grid, item, metric, level).agg(F.avg(value).alias("_m"))
     eff = monotone(means, [*grid, item, metric], level, "_m").join(means.groupBy(*grid, item, metric).agg(F.min_by("_m", level).alias("low"), F.max_by("_m", level).alias("high")), [*grid, item, metric])
-    sd = seed_sd(rows, [*grid, metric], [item, level], value)
+    sd = seed_sd(df, [*grid, metric], [item, level], value)
     ratio = F.when(F.col("seed_sd") > 0, F.col("effect") / F.col("seed_sd"))
-    return eff.join(F.broadcast(sd), [*grid, metric]).withColumn("ratio", ratio).withColumn("clear", F.coalesce(F.abs("ratio") >= k, F.lit(False)))
+    return eff.join(sd, [*grid, metric]).withColumn("ratio", ratio).withColumn("clear", F.coalesce(F.abs("ratio") >= k, F.lit(False)))
 
 
 def effects_summary(eff: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,10 +118,39 @@ def threshold_table(df: DataFrame, col: str, thresholds: list[float], weight: st
 
 def head_tail_mean(df: DataFrame, keys: list[str], step: str, value: str, window: int) -> DataFrame:
     ends = df.groupBy(*keys).agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
-    g = df.join(F.broadcast(ends), keys).groupBy(*keys).agg(F.avg(F.when(F.col(step) < F.col("_a") + window, F.col(value))).alias("head"), F.avg(F.when(F.col(step) > F.col("_b") - window, F.col(value))).alias("tail"))
+    g = df.join(ends, keys).groupBy(*keys).agg(F.avg(F.when(F.col(step) < F.col("_a") + window, F.col(value))).alias("head"), F.avg(F.when(F.col(step) > F.col("_b") - window, F.col(value))).alias("tail"))
     return g.withColumn("change", (F.col("tail") - F.col("head")) / F.col("head"))
 
 
+def combinations(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """The k most frequent combinations of values, ties in the columns' order."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *cols).limit(k)
+
+
+def class_means(values: DataFrame, match: DataFrame, key: str, cls: str, cols: list[str], source: list[str] | None = None) -> DataFrame:
+    """Mean of each variable per class (and source) over the ids that `match` (key, cls) puts there: class, source,
+    metric, n and mean; an id may be in several classes."""
+    keys = [cls, *(source or [])]
+    long = values.join(match.select(key, cls), key).unpivot([*keys], cols, "metric", "_v")
+    return long.groupBy(*keys, "metric").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+
+
+def control_means(df: DataFrame, control: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
+    """Mean per item and level, next to the control run's mean at the same level (null where it has none)."""
+    base = control.groupBy(level).agg(F.avg(value).alias("control"))
+    return df.groupBy(*keys, level).agg(F.avg(value).alias("mean")).join(base, level, "left")
+
+
+def cluster_agreement(lab: DataFrame, field: DataFrame, cluster: str, targets: list[str], least: int = 5) -> DataFrame:
+    """Per target: r of the clusters' mean in the lab set with that in the field set, over clusters with at least
+    `least` rated field rows (null for fewer than three clusters)."""
+    a = lab.groupBy(cluster).agg(*(F.avg(t).alias(f"_a{i}") for i, t in enumerate(targets)))
+    b = field.groupBy(cluster).agg(F.count(targets[0]).alias("_n"), *(F.avg(t).alias(f"_b{i}") for i, t in enumerate(targets))).where(F.col("_n") >= least)
+    one = a.join(b, cluster).where("_b0 IS NOT NULL").agg(F.count(F.lit(1)).alias("clusters"), *(F.corr(f"_a{i}", f"_b{i}").alias(f"_r{i}") for i in range(len(targets))))
+    cells = F.array(*(F.struct(F.lit(t).alias("target"), F.when(F.col("clusters") >= 3, F.col(f"_r{i}")).alias("r")) for i, t in enumerate(targets)))
+    return one.select("clusters", F.explode(cells).alias("c")).select("c.target", "clusters", "c.r")
+
+
 def mean_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("half"))
     return g.withColumn("label", F.concat(F.lit("n="), F.col("n").cast("string")))

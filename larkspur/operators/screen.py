@@ -5,11 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.scratch import cut
+
 
 def valid_responses(df: DataFrame, items: list[str], fold: str = "fold", attention: str = "is_attention") -> DataFrame:
     return df.where(F.col(fold).between(0, 5) & (F.col(attention) == 0)).na.drop(subset=items)
 
 
+def rated_usable(df: DataFrame, n: str, least: int, score: str, path: str | None = None) -> DataFrame:
+    """Rows with at least `least` ratings and a score, and a path where one is named."""
+    ok = (F.col(n) >= least) & F.col(score).isNotNull() & ~F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(False))
+    return df.where(ok if path is None else ok & F.col(path).isNotNull())
+
+
+def selection_rule(n_any: Column, tag: Column, k: int, strict: bool = False) -> Column:
+    """At least k keyword hits, or the tag and one; strict: the tag and at least k."""
+    tagged = F.coalesce(tag, F.lit(False))
+    return tagged & (n_any >= k) if strict else (n_any >= k) | (tagged & (n_any >= 1))
+
+
+def near_level(x: str, levels: list[float], eps: float = 1e-4) -> Column:
+    return F.exists(F.array(*map(F.lit, levels)), lambda v: F.abs(F.col(x) - v) < eps)
+
+
+def any_substring(cols: list[str], words: list[str]) -> Column:
+    """Whether the columns' texts, joined by a space and lower-cased, contain one of the words; true without words."""
+    hay = F.lower(F.concat_ws(" ", *cols))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: hay.contains(F.lower(w))) if words else F.lit(True)
+
+
 def screen(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop rows that a rule (masker, side; side null: either) names."""
     r = rules.select(F.col("masker").alias("_m"), F.col("side").alias("_s"))
@@ -28,9 +52,25 @@ def funnel(df: DataFrame, steps: dict[str, Column], measures: dict[str, Column])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def exact_quantile(df: DataFrame, col: str, q: float, parts: int = 200) -> DataFrame:
+    """The interpolated q-quantile of a column as one row, `quantile`: values are counted, cut into ranges, and
+    added up range by range, so no task holds all distinct values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.lit(1).alias("_g"), F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = prefix_sums(value_buckets(counts, ["_g"], "_v", parts), ["_v"], "_n", F.col("bucket"), "_before", ["_g"])
+    total = counts.agg(F.sum("_n").alias("_total"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("_at", (F.col("_total") - 1) * q)
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    lo, hi = F.floor("_at"), F.ceil("_at")
+    ends = rows.agg(F.max(F.when(holds(lo), F.col("_v"))).alias("_a"), F.max(F.when(holds(hi), F.col("_v"))).alias("_b"), F.max(F.col("_at") - lo).alias("_f"))
+    return ends.select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+
+
 def percentile_cut(df: DataFrame, cols: list[str], q: float) -> DataFrame:
-    """Rows at or under the q-quantile of every column."""
-    cuts = df.agg(*(F.percentile(c, F.lit(q)).alias(f"_q{i}") for i, c in enumerate(cols)))
+    """Rows at or under the q-quantile (interpolated) of every column."""
+    cuts = None
+    for i, c in enumerate(cols):
+        one = exact_quantile(df, c, q).select(F.col("quantile").alias(f"_q{i}"))
+        cuts = one if cuts is None else cuts.crossJoin(one)
     ok = F.lit(True)
     for i, c in enumerate(cols):
         ok = ok & (F.col(c) <= F.col(f"_q{i}"))
@@ -62,26 +102,43 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
 
 def thin(df: DataFrame, by: list[str], n: int, order: list[str]) -> DataFrame:
     """n evenly spaced rows of each group: those at floor(k * (N - 1) / (n - 1))."""
-    w = Window.partitionBy(*by)
-    i, total = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    ranked = df.withColumn("_i", i).withColumn("_n", total)
+    ranked = places(df, by, order).withColumnsRenamed({"place": "_i", "group_rows": "_n"})
     k = F.ceil(F.col("_i") * (n - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     hit = F.floor(k * (F.col("_n") - 1) / (n - 1)) == F.col("_i")
     return ranked.where((F.col("_n") <= n) | hit).drop("_i", "_n")
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, bucket: Column, out: str = "before") -> DataFrame:
-    """Sum of value over all rows before each, in an order whose leading part is `bucket`: sums per bucket,
-    their running sum (one row a bucket), then a window inside each bucket."""
+def prefix_sums(df: DataFrame, order: list[str], value: str, bucket: Column, out: str = "before", by: list[str] | None = None) -> DataFrame:
+    """Sum of value over all rows before each (of its group `by`), in an order whose leading part is `bucket`: sums
+    per bucket, their running sum (one row a bucket), then a window inside each bucket."""
+    keys = by or []
     rows = df.withColumn("_b", bucket)
-    sums = rows.groupBy("_b").agg(F.sum(value).alias("_s"))
-    base = sums.select("_b", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(base, "_b").withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_b", "_base")
+    sums = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    along = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(base, [*keys, "_b"]).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_b", "_base")
+
+
+def value_buckets(df: DataFrame, by: list[str], col: str, parts: int = 200) -> DataFrame:
+    """df with `bucket`: how many of its group's approximate `parts`-quantiles lie below the value (null: -1)."""
+    marks = [i / parts for i in range(1, parts)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(col, marks, 10 * parts).alias("_cuts"))
+    at = F.when(F.col(col).isNull() | F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(col))))
+    return df.join(cuts, by, "left").withColumn("bucket", at).drop("_cuts")
+
+
+def places(df: DataFrame, by: list[str], order: list[str], bucket: Column | None = None, parts: int = 200) -> DataFrame:
+    """df with `place`, the 0-based number of each row in its group in this order, and `group_rows`. No window has
+    more than a bucket of a group: by default buckets are quantile ranges of the first (numeric) order column."""
+    rows = value_buckets(df, by, order[0], parts) if bucket is None else df.withColumn("bucket", bucket)
+    rows = prefix_sums(rows.withColumn("_one", F.lit(1)), order, "_one", F.col("bucket"), "place", by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
+    return rows.join(sizes, by).drop("bucket", "_one")
 
 
 def lookup_default(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
-    return df.join(F.broadcast(table), keys, "left").fillna(defaults)
+    return df.join(table, keys, "left").fillna(defaults)
 
 
 def flag_in(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -96,11 +153,9 @@ def paired_delta(df: DataFrame, keys: list[str], level: str, lo, hi, value: str)
 
 def rank_mirror(df: DataFrame, by: list[str], value: str, key: list[str]) -> DataFrame:
     """The i-th lowest row gets the i-th highest value as `mirror`."""
-    w = Window.partitionBy(*by)
-    up = df.withColumn("_r", F.row_number().over(w.orderBy(value, *key)))
-    n = up.withColumn("_n", F.count(F.lit(1)).over(w))
-    other = up.select(*by, F.col("_r").alias("_q"), F.col(value).alias("mirror"))
-    return n.withColumn("_q", F.col("_n") + 1 - F.col("_r")).join(other, [*by, "_q"]).drop("_r", "_n", "_q")
+    up = cut(places(df, by, [value, *key]), "places")
+    other = up.select(*by, F.col("place").alias("_q"), F.col(value).alias("mirror"))
+    return up.withColumn("_q", F.col("group_rows") - 1 - F.col("place")).join(other, [*by, "_q"]).drop("place", "group_rows", "_q")
 
 
 def complete_candidates(df: DataFrame, keys: list[str], member: str, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.scores import order_key
 
-from .screen import prefix_sums
+from .screen import places, prefix_sums
 
 
 def waterfill(caps: DataFrame, quota: int | str, order: list[str], by: list[str] | None = None, cap: str = "cap") -> DataFrame:
@@ -45,7 +45,7 @@ def balanced_select(df: DataFrame, n: int, outer: str, inner: str, spread: list[
     cells = df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("cap"))
     outers = waterfill(cells.groupBy(outer).agg(F.sum("cap").alias("cap")), n, outer_order or [outer]).select(outer, F.col("take").alias("_quota"))
     quotas = waterfill(cells.join(outers, outer), "_quota", [inner], by=[outer]).select(outer, inner, "take")
-    return round_robin(df.join(F.broadcast(quotas), [outer, inner]), [outer, inner], spread, F.col("take"), seed, key, reshuffle=True).drop("take")
+    return round_robin(df.join(quotas, [outer, inner]), [outer, inner], spread, F.col("take"), seed, key, reshuffle=True).drop("take")
 
 
 def sample_per_group(df: DataFrame, by: list[str], n: int | Column, seed: int, key: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def proportional_select(df: DataFrame, by: list[str], n: int, seed: int, key: li
     share = n * F.col("_size") / F.col("_total")
     quota = F.greatest(F.lit(1), F.floor(share)) if rounding == "floor" else F.rint(share)
     quotas = sizes.join(F.broadcast(total)).select(*by, F.least(quota, F.col("_size")).cast("long").alias("_quota"))
-    return sample_per_group(df.join(F.broadcast(quotas), by), by, F.col("_quota"), seed, key).drop("_quota")
+    return sample_per_group(df.join(quotas, by), by, F.col("_quota"), seed, key).drop("_quota")
 
 
 def take_budget(df: DataFrame, weight: str, target: float, seed: int, key: list[str], by: str | None = None) -> DataFrame:
@@ -68,8 +68,11 @@ def take_budget(df: DataFrame, weight: str, target: float, seed: int, key: list[
     rows = df.withColumn("_h", order_key(seed, *key))
     if by is None:
         return prefix_sums(rows, ["_h", *key], weight, F.substring("_h", 1, 2)).where(F.col("before") < target).drop("_h", "before")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", *key)))
-    return prefix_sums(rows, ["_r", by, *key], weight, F.floor(F.col("_r") / 64)).where(F.col("before") < target).drop("_h", "_r", "before")
+    rows = places(rows, [by], ["_h", *key], F.substring("_h", 1, 3)).withColumnRenamed("place", "_r").drop("group_rows")
+    # turns come in as many buckets as a group has at most, each of about as many rows
+    rows = rows.crossJoin(F.broadcast(rows.agg((F.max("_r") + 1).alias("_turns"))))
+    bucket = F.floor(F.col("_r") * 512 / F.col("_turns"))
+    return prefix_sums(rows, ["_r", by, *key], weight, bucket).where(F.col("before") < target).drop("_h", "_r", "_turns", "before")
 
 
 def holdout_split(df: DataFrame, n: int, max_share: float, seed: int, key: list[str]) -> DataFrame:
@@ -81,9 +84,8 @@ def holdout_split(df: DataFrame, n: int, max_share: float, seed: int, key: list[
 
 def quantile_bands(df: DataFrame, by: list[str], col: str, bands: int, n: int, seed: int, key: list[str]) -> DataFrame:
     """Up to n rows from each of `bands` equal bands by rank of a score."""
-    w = Window.partitionBy(*by)
-    pos, total = F.row_number().over(w.orderBy(col, *key)) - 1, F.count(F.lit(1)).over(w)
-    return sample_per_group(df.withColumn("band", F.floor(pos * bands / total).cast("int")), [*by, "band"], n, seed, key)
+    rows = places(df, by, [col, *key])
+    return sample_per_group(rows.withColumn("band", F.floor(F.col("place") * bands / F.col("group_rows")).cast("int")).drop("place", "group_rows"), [*by, "band"], n, seed, key)
 
 
 def shuffled(df: DataFrame, seed: int, key: list[str]) -> DataFrame:

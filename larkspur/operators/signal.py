@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.scores import a_weight_db
 
-from .rollup import cumulative_threshold
+from .rollup import cumulative_threshold, switch_count
 
 
 def band_share(spec: DataFrame, clip: str = "clip", bands: tuple[float, float, float] = (20.0, 1000.0, 4000.0)) -> DataFrame:
@@ -51,11 +51,27 @@ def brightness(spec: DataFrame, clip: str = "clip", share: float = 0.85) -> Data
     return cent.join(cumulative_threshold(spec, [clip], "freq", "power", share), clip).join(tilt, clip)
 
 
-def hum(spec: DataFrame, clip: str = "clip", lo: float = 30.0, hi: float = 130.0) -> DataFrame:
-    """The strongest line of a low band, its prominence over the band's median, and low against middle power in dB."""
-    inside, mid = F.col("freq").between(lo, hi), F.col("freq").between(300, 3000)
-    g = spec.groupBy(clip).agg(F.max_by(F.when(inside, F.col("freq")), F.when(inside, F.struct("power", -F.col("freq")))).alias("line_hz"), F.max(F.when(inside, F.col("power"))).alias("_top"), F.percentile(F.when(inside, F.col("power")), F.lit(0.5)).alias("_med"), F.avg(F.when(inside, F.col("power"))).alias("_lo"), F.avg(F.when(mid, F.col("power"))).alias("_mid"))
-    return g.select(clip, "line_hz", (10 * F.log10(F.col("_top") / F.col("_med"))).alias("prominence_db"), (10 * F.log10(F.col("_lo") / F.col("_mid"))).alias("low_mid_db"))
+def hum(sg: DataFrame, clip: str = "clip", line: tuple[float, float] = (30.0, 130.0), floor: tuple[float, float] = (200.0, 2000.0), low: tuple[float, float] = (0.0, 200.0), mid: tuple[float, float] = (200.0, 6000.0)) -> DataFrame:
+    """From a spectrogram: the strongest line of a low band in the mean spectrum (of equal ones the lowest), its
+    prominence in dB over the median of the band `floor`, the power of the band `low` against that of `mid` (sums
+    over half-open bands, in dB); the share of frames in which the low band is within 6 dB of its loudest frame, and
+    how often it switches on or off: its level against the middle of its 10th and 90th percentile, after a median
+    filter of three frames with zero edges; no switches unless these percentiles are more than 6 dB apart."""
+    tiny = 1e-20
+    db = lambda x: 10 * F.log10(x + tiny)
+    inside = lambda b: F.col("freq").between(*b)
+    band = lambda b: F.coalesce(F.sum(F.when((F.col("freq") >= b[0]) & (F.col("freq") < b[1]), F.col("power"))), F.lit(0.0))
+    mean = sg.groupBy(clip, "freq").agg(F.avg("power").alias("power"))
+    top = F.max(F.when(inside(line), F.struct(F.col("power").alias("p"), (-F.col("freq")).alias("neg"))))
+    one = mean.groupBy(clip).agg(top.alias("_top"), F.percentile(F.when(inside(floor), F.col("power")), F.lit(0.5)).alias("_med"), band(low).alias("_low"), band(mid).alias("_mid"))
+    one = one.select(clip, (-F.col("_top.neg")).alias("line_hz"), (db(F.col("_top.p")) - db(F.col("_med"))).alias("prominence_db"), (db(F.col("_low")) - db(F.col("_mid"))).alias("low_mid_db"))
+    frames = sg.where(inside(line)).groupBy(clip, "frame").agg(db(F.sum("power")).alias("_level"))
+    limits = frames.groupBy(clip).agg(F.max("_level").alias("_max"), F.percentile("_level", F.lit(0.9)).alias("_hi"), F.percentile("_level", F.lit(0.1)).alias("_lw"))
+    frames = frames.join(limits, clip)
+    on = frames.groupBy(clip).agg(F.avg((F.col("_level") > F.col("_max") - 6).cast("double")).alias("on_share"), F.first("_hi").alias("_hi"), F.first("_lw").alias("_lw"))
+    turns = switch_count(frames, [clip], ["frame"], F.col("_level") > (F.col("_hi") + F.col("_lw")) / 2).select(clip, F.col("switches").alias("_turns"))
+    out = one.join(on, clip).join(turns, clip)
+    return out.select(clip, "line_hz", "prominence_db", "low_mid_db", "on_share", F.when(F.col("_hi") - F.col("_lw") > 6, F.col("_turns")).otherwise(F.lit(0).cast("long")).alias("switches"))
 
 
 def curve_percentiles(curve: DataFrame, clip: str = "clip", value: str = "value") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,18 +47,33 @@ def caption_z(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec")
     return j.select(key, "cap", "sim", ((F.col("sim") - mean) / (F.sqrt(var) + 1e-9)).alias("z"))
 
 
-def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec", sample: int | None = 20_000, seed: int = 0) -> DataFrame:
-    """Share of other clips' captions that are less similar to a clip than its own caption. Captions beyond
-    `sample` are represented by the first ones in hash order (None: all, for small tables); clips meet
-    that bounded set in a broadcast nested-loop join."""
-    from larkspur.functions.scores import order_key
-
-    pool = captions.select(F.col(key).alias("_k"), F.col(vec).alias("_t"), order_key(seed, key, "cap").alias("_h"))
-    pool = F.broadcast(pool.orderBy("_h").limit(sample).drop("_h")) if sample else pool.drop("_h")
-    a = audio.select(key, F.col(vec).alias("a"))
-    own = captions.select(key, "cap", F.col(vec).alias("t")).join(a, key).select(key, "cap", "a", dot(F.col("a"), F.col("t")).alias("sim"))
-    other = own.join(pool, F.col(key) != F.col("_k"))
-    return other.groupBy(key, "cap").agg(F.first("sim").alias("sim"), F.avg((dot(F.col("a"), F.col("_t")) < F.col("sim")).cast("double")).alias("pct"))
+def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec", block: int = 4096) -> DataFrame:
+    """Share of all other clips' captions that are less similar to a clip than its own caption, exact. Clips and
+    captions are dealt to blocks of about `block` rows; each pair of blocks is one task's matrix product, whose
+    counts are added up. Similarities are compared to 12 decimals."""
+    own = captions.select(key, "cap", F.col(vec).alias("t")).join(audio.select(key, F.col(vec).alias("a")), key)
+    own = own.select(key, "cap", "a", dot(F.col("a"), F.col("t")).alias("sim"))
+    pool = captions.select(F.col(key).alias("other"), "cap", F.col(vec).alias("t"))
+    n = max(1, -(-captions.count() // block))
+    turn = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("_i", F.pmod(F.xxhash64(key, "cap"), F.lit(n))).withColumn("_j", turn())
+    right = pool.withColumn("_j", F.pmod(F.xxhash64("other", "cap"), F.lit(n))).drop("cap").withColumn("_i", turn())
+    kind, cap = captions.schema[key].dataType.simpleString(), captions.schema["cap"].dataType.simpleString()
+
+    def count(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = mine[[key, "cap", "sim"]].assign(less=0, total=0)
+        if len(mine) and len(others):
+            t, sims, k = np.stack(others["t"]).astype(float).T, np.round(mine["sim"].to_numpy(), 12), others["other"].to_numpy()
+            for at in range(0, len(mine), 256):
+                part = slice(at, at + 256)
+                apart = mine[key].to_numpy()[part, None] != k[None, :]
+                near = np.round(np.stack(mine["a"].iloc[part]).astype(float) @ t, 12) < sims[part, None]
+                out.iloc[part, 3], out.iloc[part, 4] = (near & apart).sum(axis=1), apart.sum(axis=1)
+        return out
+
+    counted = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(count, f"{key} {kind}, cap {cap}, sim double, less long, total long")
+    sums = counted.groupBy(key, "cap").agg(F.first("sim").alias("sim"), F.sum("less").alias("_less"), F.sum("total").alias("_total")).where("_total > 0")
+    return sums.select(key, "cap", "sim", (F.col("_less") / F.col("_total")).alias("pct"))
 
 
 def best_caption(z: DataFrame, key: str, texts: DataFrame, threshold: float) -> DataFrame:
@@ -88,5 +105,16 @@ def nearest_prototype(emb: DataFrame, protos: DataFrame, key: list[str], vec: st
 
 def pairwise_distance(protos: DataFrame, name: str, vec: str, label: str) -> DataFrame:
     """Cosine distance and label difference of all pairs of a small table."""
+    # the prototypes are few (a row a label); nothing is hinted, so Spark broadcasts them only if they are small
     a, b = (protos.select(F.col(name).alias(f"{p}_name"), F.col(vec).alias(f"{p}_v"), F.col(label).alias(f"{p}_l")) for p in "ab")
-    return a.join(F.broadcast(b), F.col("a_name") < F.col("b_name")).select("a_name", "b_name", (1 - cosine(F.col("a_v"), F.col("b_v"))).alias("distance"), F.abs(F.col("a_l") - F.col("b_l")).alias("label_gap"))
+    return a.join(b, F.col("a_name") < F.col("b_name")).select("a_name", "b_name", (1 - cosine(F.col("a_v"), F.col("b_v"))).alias("distance"), F.abs(F.col("a_l") - F.col("b_l")).alias("label_gap"))
+
+
+def neighbour_jumps(protos: DataFrame, name: str, vec: str, label: str) -> DataFrame:
+    """Euclidean distance of each prototype to the next one in label order, and its ratio to the median of these
+    distances: before, after, distance, jump. protos is a small table, a row a label."""
+    along = Window.partitionBy(F.lit(1)).orderBy(label, name)
+    rows = protos.select(F.col(name).alias("before"), F.lead(name).over(along).alias("after"), F.col(vec).alias("_a"), F.lead(vec).over(along).alias("_b")).where("after IS NOT NULL")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    rows = rows.select("before", "after", F.sqrt(apart).alias("distance"))
+    return rows.crossJoin(rows.agg(F.percentile("distance", F.lit(0.5)).alias("_median"))).select("before", "after", "distance", (F.col("distance") / F.col("_median")).alias("jump"))

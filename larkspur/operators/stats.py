@@ -8,9 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scores import hash_int
+from larkspur.functions.scores import hash_int, order_key
 
 from .rollup import avg_rank
+from .screen import prefix_sums
+
+
+def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, parts: int = 200) -> DataFrame:
+    """counts: distinct values of each group with their number of rows. Adds `rank`, the mean place of a value's
+    rows: the values are cut at approximate quantiles, so no window has more than about one in `parts` of them."""
+    marks = [i / parts for i in range(1, parts)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, marks, 10 * parts).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = counts.join(cuts, keys).withColumn("_b", bucket).drop("_cuts")
+    out = prefix_sums(placed, [value], n, F.col("_b"), "_before", keys)
+    return out.withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before")
 
 
 def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_levels: int = 2) -> DataFrame:
@@ -22,18 +34,21 @@ def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_levels: int
 
 
 def sign_counts(df: DataFrame, keys: list[str], rho: str = "rho") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count_if(F.col(rho) > 0).alias("n_pos"), F.count_if(F.col(rho) < 0).alias("n_neg"), F.avg(rho).alias("mean_rho"))
+    """Groups with a positive and with a negative correlation, and the mean; what is 0 but for the noise of its sums
+    has no sign."""
+    sign = F.signum(F.round(rho, 12))
+    return df.groupBy(*keys).agg(F.count_if(sign > 0).alias("n_pos"), F.count_if(sign < 0).alias("n_neg"), F.avg(rho).alias("mean_rho"))
 
 
 def spearman_matrix(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
     """Long matrix x, y, rho, n over complete rows: all columns ranked, then all pairs in one aggregate."""
-    rows = df.na.drop(subset=[*xs, *ys])
-    one = Window.partitionBy(F.lit(1))
-    # each column's ranks come from its distinct values' counts, so no window runs over all rows
-    for c in dict.fromkeys([*xs, *ys]):
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(one.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_rank_{c}")), c)
+    cols = list(dict.fromkeys([*xs, *ys]))
+    rows = df.na.drop(subset=cols).select(F.monotonically_increasing_id().alias("_row"), *(F.col(c).cast("double").alias(c) for c in cols))
+    long = rows.unpivot(["_row"], cols, "_c", "_v")
+    ranks = average_ranks(long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_c"], "_v", "_n")
+    # one join back for all columns; a row's ranks meet again by its number
+    placed = long.join(ranks.select("_c", "_v", "rank"), ["_c", "_v"])
+    rows = placed.groupBy("_row").agg(*(F.max(F.when(F.col("_c") == c, F.col("rank"))).alias(f"_rank_{c}") for c in cols))
     pairs = [(x, y) for x in xs for y in ys]
     wide = rows.agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"_rank_{x}", f"_rank_{y}").alias(f"c{i}") for i, (x, y) in enumerate(pairs)))
     return wide.select("n", F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("rho")) for i, (x, y) in enumerate(pairs)))).alias("m")).select("m.*", "n")
@@ -97,7 +112,8 @@ def matrix_similarity(a: DataFrame, b: DataFrame, cell: list[str], value: str) -
 
 
 def _draws(df: DataFrame, keys: list[str], n: int, seed: int, order: list[str]) -> DataFrame:
-    """Each group's rows drawn with replacement n times: rep and the drawn row. Index of a draw: hash(seed, rep, slot) mod size."""
+    """Each group's rows drawn with replacement n times: rep and the drawn row. Index of a draw: hash(seed, rep, slot)
+    mod size. For groups of few rows, such as one row a cluster; weighted_reps() is for many."""
     w = Window.partitionBy(*keys)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     slots = rows.select(*keys, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
@@ -105,9 +121,32 @@ def _draws(df: DataFrame, keys: list[str], n: int, seed: int, order: list[str])
     return slots.select(*keys, "rep", "_i").join(rows.drop("_n"), [*keys, "_i"])
 
 
+#: Upper ends of the Poisson(1) distribution's steps as shares of 2**32, in hex; beyond the last a weight is 9.
+POISSON = [f"{math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))):08x}" for k in range(9)]
+
+
+def poisson_weight(digits: Column) -> Column:
+    """0, 1, 2 ... by eight hex digits."""
+    out = F.when(digits < POISSON[0], 0)
+    for k, p in enumerate(POISSON[1:], 1):
+        out = out.when(digits < p, k)
+    return out.otherwise(len(POISSON))
+
+
+def weighted_reps(df: DataFrame, keys: list[str], value: str, n: int, seed: int, key: list[str], name: str) -> DataFrame:
+    """keys, rep and the mean of n resamples in which every row has a Poisson(1) number of copies, drawn by hash
+    from its key: rows meet their replicates where they are, and one aggregate with map-side sums is all that
+    moves."""
+    # one digest serves four replicates, eight hex digits each, which compare like the numbers they stand for
+    rows = df.where(F.col(value).isNotNull()).select(*keys, *(c for c in key if c not in keys), F.col(value).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("_four"))
+    rows = rows.select(*keys, "_x", "_four", order_key(seed, "_four", *key).alias("_h")).select(*keys, "_x", "_four", "_h", F.explode(F.array(*map(F.lit, range(4)))).alias("_j"))
+    rows = rows.select(*keys, (4 * F.col("_four") + F.col("_j")).alias("rep"), "_x", poisson_weight(F.substring("_h", 1 + 8 * F.col("_j"), F.lit(8))).alias("_w")).where(F.col("rep") < n)
+    return rows.where("_w > 0").groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias(name))
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, n: int, seed: int, order: list[str]) -> DataFrame:
-    """Mean and 95 % interval from n resamples of each (small) group."""
-    reps = _draws(df.where(F.col(value).isNotNull()), keys, n, seed, order).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
+    """Mean and 95 % interval from n Poisson resamples of each group; `order` is the rows' key."""
+    reps = weighted_reps(df, keys, value, n, seed, order, "_m")
     ci = reps.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(ci, keys)
 
@@ -151,7 +190,7 @@ def paired_bootstrap(df: DataFrame, cluster: str, obs: str, a: str, b: str, n: i
 
 def gap_bootstrap(a: DataFrame, b: DataFrame, keys: list[str], value: str, n: int, seed: int, order: list[str]) -> DataFrame:
     """Mean of a minus mean of b per group with a 95 % interval; both sides are resampled."""
-    reps = [_draws(d.where(F.col(value).isNotNull()), keys, n, seed + i, order).groupBy(*keys, "rep").agg(F.avg(value).alias(f"_m{i}")) for i, d in enumerate((a, b))]
+    reps = [weighted_reps(d, keys, value, n, seed + i, order, f"_m{i}") for i, d in enumerate((a, b))]
     ci = reps[0].join(reps[1], [*keys, "rep"]).withColumn("_d", F.col("_m0") - F.col("_m1")).groupBy(*keys).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"))
     mean = a.groupBy(*keys).agg(F.avg(value).alias("_a")).join(b.groupBy(*keys).agg(F.avg(value).alias("_b")), keys)
     return mean.select(*keys, (F.col("_a") - F.col("_b")).alias("gap")).join(ci, keys)
@@ -211,8 +250,39 @@ def stability_rule(full: DataFrame, other: DataFrame, keys: list[str], key: str,
     return g.withColumn("passed", (F.col("r_full") >= min_r) & (F.abs("shift") <= max_shift) & (F.abs("dr") <= max_dr))
 
 
-def paired_losses(df: DataFrame, item: str, cond: str, loss: str, base: str, keys: list[str], others: list[str]) -> DataFrame:
-    """Mean difference to the base condition, and the share over zero, per other condition and subset."""
+def paired_losses(df: DataFrame, item: str, cond: str, loss: str, base: str, keys: list[str], others: list[str], reps: int = 0, seed: int = 0) -> DataFrame:
+    """Mean difference to the base condition, and the share over zero, per other condition and subset; with reps
+    also the mean's 95 % interval from so many resamples of the items."""
     wide = df.groupBy(*keys, item).agg(F.avg(F.when(F.col(cond) == base, F.col(loss))).alias("_b"), *(F.avg(F.when(F.col(cond) == o, F.col(loss))).alias(f"_o{i}") for i, o in enumerate(others)))
-    long = wide.select(*keys, F.explode(F.array(*(F.struct(F.lit(o).alias("condition"), (F.col(f"_o{i}") - F.col("_b")).alias("d")) for i, o in enumerate(others)))).alias("m")).select(*keys, "m.*").where("d IS NOT NULL")
-    return long.groupBy(*keys, "condition").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.avg((F.col("d") > 0).cast("double")).alias("share_worse"))
+    diffs = F.array(*(F.struct(F.lit(o).alias("condition"), (F.col(f"_o{i}") - F.col("_b")).alias("d")) for i, o in enumerate(others)))
+    long = wide.select(*keys, item, F.explode(diffs).alias("m")).select(*keys, item, "m.*").where("d IS NOT NULL")
+    by = [*keys, "condition"]
+    out = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.avg((F.col("d") > 0).cast("double")).alias("share_worse"))
+    return out.join(bootstrap_mean(long, by, "d", reps, seed, [item]).select(*by, "lo", "hi"), by) if reps else out
+
+
+def recognition_matrix(df: DataFrame, scores: list[str], items: list[str]) -> DataFrame:
+    """r of every score with every item, in one aggregate: score, item, r."""
+    pairs = [(a, b) for a in scores for b in items]
+    one = df.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    cells = F.array(*(F.struct(F.lit(a).alias("score"), F.lit(b).alias("item"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)))
+    return one.select(F.explode(cells).alias("m")).select("m.*")
+
+
+def effect_against_fit(train: DataFrame, gen: DataFrame, keys: list[str], x: str, y: str, level: str, value: str, pair: list[str], lo: float, hi: float, band: tuple[float, float] = (0.5, 0.9)) -> DataFrame:
+    """Per key: the line of y on x in train and its expected change from lo to hi, the difference of train's extreme
+    groups (|x| within `band`), the mean paired change of gen's value between the levels, its ratio to the expected
+    one, and gen's bias against the line at lo, 0 and hi."""
+    near, far = band
+    side = lambda a, b: F.avg(F.when(F.col(x).between(a, b), F.col(y)))
+    fit = train.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_train"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), (side(near, far) - side(-far, -near)).alias("extreme_delta")
+    ).withColumn("expected", F.col("slope") * (hi - lo))
+    at = lambda v: F.avg(F.when(F.col(level) == v, F.col(value)))
+    pairs = gen.groupBy(*keys, *pair).agg(at(lo).alias("_lo"), at(hi).alias("_hi")).where("_lo IS NOT NULL AND _hi IS NOT NULL")
+    delta = pairs.groupBy(*keys).agg(F.avg(F.col("_hi") - F.col("_lo")).alias("generated"), F.count(F.lit(1)).alias("n_pairs"))
+    means = gen.groupBy(*keys).agg(at(lo).alias("_a"), at(0.0).alias("_b"), at(hi).alias("_c"))
+    out = fit.join(delta, keys).join(means, keys).withColumn("ratio", F.when(F.abs("expected") > 1e-9, F.col("generated") / F.col("expected")))
+    bias = {"bias_lo": ("_a", lo), "bias_mid": ("_b", 0.0), "bias_hi": ("_c", hi)}
+    out = out.withColumns({n: F.col(c) - (F.col("intercept") + F.col("slope") * at_) for n, (c, at_) in bias.items()})
+    return out.drop("_a", "_b", "_c")

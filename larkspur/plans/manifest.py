@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import hash_int, order_key, rint
 from larkspur.functions.text import fmt2, tag
-from larkspur.operators.screen import any_column_contains, rank_mirror
+from larkspur.operators.screen import any_column_contains, places, prefix_sums, rank_mirror
 from larkspur.operators.select import sample_per_group
+from larkspur.sources.scratch import cut
 
 
 def chunk_plan(df: DataFrame, length: str, step: float, tol: float = 0.0) -> DataFrame:
@@ -67,7 +68,8 @@ def twin_manifests(df: DataFrame, file: str, text: str, score: str) -> tuple[Dat
 def blind_pairs(pairs: DataFrame, key: list[str], lo: str, hi: str, seed: int) -> DataFrame:
     """Trials in hash order with a hash bit for the side of the higher one: trial, a, b, answer."""
     swap = hash_int(seed + 1, *key) % 2 == 1
-    out = pairs.withColumn("trial", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order_key(seed, *key), *key)))
+    rows = pairs.withColumn("_h", order_key(seed, *key)).withColumn("_one", F.lit(1))
+    out = prefix_sums(rows, ["_h", *key], "_one", F.substring("_h", 1, 3)).withColumn("trial", (F.col("before") + 1).cast("int"))
     return out.select(*key, "trial", F.when(swap, F.col(hi)).otherwise(F.col(lo)).alias("a"), F.when(swap, F.col(lo)).otherwise(F.col(hi)).alias("b"), F.when(swap, "a").otherwise("b").alias("answer"))
 
 
@@ -79,9 +81,8 @@ def blind_candidates(df: DataFrame, key: list[str], members: str, seed: int) ->
 
 def counterfactuals(df: DataFrame, by: list[str], key: str, text: str, value: str, seed: int) -> DataFrame:
     """Per row five captions: correct, flip (sign), mirror (rank), shuffle (another row's value), none."""
-    w = Window.partitionBy(*by)
-    m = rank_mirror(df, by, value, [key])
-    m = m.withColumn("_r", F.row_number().over(w.orderBy(order_key(seed, key), key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    m = rank_mirror(df, by, value, [key]).withColumn("_h", order_key(seed, key))
+    m = cut(places(m, by, ["_h", key], F.substring("_h", 1, 3)).withColumnsRenamed({"place": "_r", "group_rows": "_n"}), "places")
     other = m.select(*by, F.col("_r").alias("_s"), F.col(value).alias("shuffled"))
     far = m.select(*by, F.col("_r").alias("_f"), F.col(value).alias("_far"))
     m = m.withColumn("_s", (F.col("_r") + 1) % F.col("_n")).join(other, [*by, "_s"])
@@ -121,8 +122,8 @@ def mix_plan(stim: DataFrame, bases: DataFrame, maskers: DataFrame, levels: list
     """Gain of each masker at base level minus SMR: looked up at the rounded level, residual in dB.
     maskers: masker, gain_<r>dB, leq_<r>dB (wide)."""
     long = maskers.select("masker", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("at"), F.col(f"gain_{r}dB").alias("gain"), F.col(f"leq_{r}dB").alias("leq")) for r in levels))).alias("m")).select("masker", "m.*")
-    want = stim.join(F.broadcast(bases), "base").withColumn("want", F.col("base_leq") - F.col("smr")).withColumn("at", rint("want"))
-    return want.join(F.broadcast(long), ["masker", "at"]).withColumn("residual_db", F.col("want") - F.col("leq"))
+    want = stim.join(bases, "base").withColumn("want", F.col("base_leq") - F.col("smr")).withColumn("at", rint("want"))
+    return want.join(long, ["masker", "at"]).withColumn("residual_db", F.col("want") - F.col("leq"))
 
 
 def resolve_path(df: DataFrame, candidates: list[Column], index: DataFrame) -> DataFrame:

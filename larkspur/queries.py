@@ -22,6 +22,7 @@ from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
 from larkspur.plans import manifest as P
 from larkspur.sources import io as IO
+from larkspur.sources.scratch import fresh_path
 
 ITEMS = ["pl", "ca", "vi", "un", "mo", "an", "ev", "ch"]
 _TYPE = "CASE l_suppkey % 6 WHEN 0 THEN 'bird' WHEN 1 THEN 'water' WHEN 2 THEN 'traffic' WHEN 3 THEN 'construction' WHEN 4 THEN 'wind' ELSE 'silence' END"
@@ -113,12 +114,14 @@ def p2_p3_compound_keys(resp):
     return k.select("uid", "key", T.masker_type("masker").alias("mt"), b.alias("b"), m.alias("m"), s.alias("s"))
 
 
-@register("""SELECT 'lab' AS src, uid AS key, la50, la50 - disc * 100 AS la10_la90, tax AS n5 FROM resp UNION ALL
-SELECT 'field', CAST(id AS VARCHAR), 50 + score * 10, bal / 100, CAST(nation AS DOUBLE) FROM cust""", "resp cust")
+@register("""SELECT 'lab' AS src, uid AS key, la50::DOUBLE AS "LA50", (la50 - disc)::DOUBLE AS "LA10_LA90", (price - la50)::DOUBLE AS "LC50_LA50", tax::DOUBLE AS "N5", qty::DOUBLE AS "R", disc::DOUBLE AS "FS", tax::DOUBLE AS "T" FROM resp UNION ALL
+SELECT 'field', CAST(id AS VARCHAR), bal::DOUBLE, (bal - nation)::DOUBLE, (score - bal)::DOUBLE, nation::DOUBLE, score::DOUBLE, score::DOUBLE, nation::DOUBLE FROM cust""", "resp cust")
 def p4_harmonised_predictors(resp, cust):
     """Two source schemas in one."""
-    a = resp.select(F.lit("lab").alias("src"), F.col("uid").alias("key"), "la50", (F.col("la50") - F.col("disc") * 100).alias("la10_la90"), F.col("tax").alias("n5"))
-    b = cust.select(F.lit("field").alias("src"), F.col("id").cast("string").alias("key"), (50 + F.col("score") * 10).alias("la50"), (F.col("bal") / 100).alias("la10_la90"), F.col("nation").cast("double").alias("n5"))
+    lab = {"LA50": "la50", "LA10_LA90": ("la50", "disc"), "LC50_LA50": ("price", "la50"), "N5": "tax", "R": "qty", "FS": "disc", "T": "tax"}
+    field = {"LA50": "bal", "LA10_LA90": ("bal", "nation"), "LC50_LA50": ("score", "bal"), "N5": "nation", "R": "score", "FS": "score", "T": "nation"}
+    a = S.psycho(resp.select(F.lit("lab").alias("src"), F.col("uid").alias("key"), "la50", "disc", "price", "tax", "qty"), lab, ["src", "key"])
+    b = S.psycho(cust.select(F.lit("field").alias("src"), F.col("id").cast("string").alias("key"), "bal", "nation", "score"), field, ["src", "key"])
     return a.unionByName(b)
 
 
@@ -131,11 +134,11 @@ def p6_p7_loudness_words(resp):
 _SCENES_SQL = ", ".join(f"('{m}', '{lv}', '{s}')" for (m, lv), s in T.SCENES.items())
 
 
-@register(f"""WITH sc(m, lv, scene) AS (VALUES {_SCENES_SQL}), x AS (SELECT uid, masker_type, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS lv FROM resp WHERE masker_type != 'silence' UNION ALL SELECT uid || '?', 'unknown', 'loud' FROM resp WHERE masker_type = 'silence')
-SELECT uid, coalesce(scene, x.lv || ' acoustic environment') AS scene, CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
+@register(f"""WITH sc(m, lv, scene) AS (VALUES {_SCENES_SQL}), x AS (SELECT uid, masker_type, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS lv FROM resp WHERE masker_type != 'silence' UNION ALL SELECT uid || '?', 'unknown', CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END FROM resp WHERE masker_type = 'silence')
+SELECT uid, coalesce(scene, CASE x.lv WHEN 'quiet' THEN 'quiet environment' WHEN 'loud' THEN 'loud environment' ELSE 'moderate activity environment' END) AS scene, CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
 def p8_p9_scene_lookup(resp):
     silent = F.col("masker_type") == "silence"
-    rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"), T.scene_of(F.when(silent, "unknown").otherwise(F.col("masker_type")), F.when(silent, "loud").otherwise(S.loudness3("la50"))).alias("s"))
+    rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"), T.scene_of(F.when(silent, "unknown").otherwise(F.initcap("masker_type")), S.loudness3("la50")).alias("s"))
     return rows.select("uid", "s.scene", "s.confidence")
 
 
@@ -148,10 +151,10 @@ def p11_p15_short_captions(clips):
 
 
 @register("""SELECT id, concat(prio, '. Loudness: ', loud, ' (LA50: ', CAST(round_even((price % 60 + 30) * 10, 0) / 10 AS VARCHAR), ' dB). Pleasantness: ', bin, ' (ISOPleasant: ', CAST(round_even(score * 100, 0) / 100 AS VARCHAR), ').') AS long_caption
-FROM (SELECT *, CASE WHEN price % 60 + 30 < 50 THEN 'quiet' WHEN price % 60 + 30 < 60 THEN 'moderately quiet' WHEN price % 60 + 30 < 70 THEN 'moderately loud' WHEN price % 60 + 30 < 80 THEN 'loud' ELSE 'very loud' END AS loud FROM clips WHERE abs(score) > 0.01)""", "clips")
+FROM (SELECT *, CASE WHEN price % 60 + 30 < 50 THEN 'quiet' WHEN price % 60 + 30 < 60 THEN 'moderately quiet' WHEN price % 60 + 30 < 70 THEN 'moderately loud' WHEN price % 60 + 30 < 80 THEN 'loud' ELSE 'very loud' END AS loud FROM clips)""", "clips")
 def p10_long_captions(clips):
     la = F.col("price") % 60 + 30
-    return clips.where(F.abs("score") > 0.01).select("id", T.caption_long("prio", S.loudness5(la), la, "bin", "score").alias("long_caption"))
+    return clips.select("id", T.caption_long("prio", S.loudness5(la), la, "bin", "score").alias("long_caption"))
 
 
 @register("SELECT id, 'Customer Name ' || CAST(id AS VARCHAR) AS place FROM cust", "cust")
@@ -207,10 +210,10 @@ def p21_city(cust):
 
 
 @register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CC0' WHEN 1 THEN 'BY-NC' WHEN 2 THEN 'BY' WHEN 3 THEN 'Sampling+' ELSE licence END AS licence,
-(lower(text) LIKE '%tion%')::INT + (lower(lang) LIKE '%en%')::INT AS a, (regexp_matches(lower(text), '\\bthe\\b'))::INT AS b, (lower(text) LIKE '%tion%' OR regexp_matches(lower(text), '\\bthe\\b'))::INT + (lower(lang) LIKE '%en%')::INT AS n_any FROM (SELECT doc_id, licence, lang, regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS text FROM docs)""", "docs")
+(lower(text) LIKE '%tion%')::INT + (lower(lang) LIKE '%en%')::INT AS a, b, (lower(text) LIKE '%tion%' OR b = 1)::INT + (lower(lang) LIKE '%en%')::INT AS n_any FROM (SELECT *, (regexp_matches(lower(text), '(^|[^\\pL\\pN\\pM_])the([^\\pL\\pN\\pM_]|$)'))::INT AS b FROM docs)""", "docs")
 def p22_p23_licences_and_keywords(docs):
-    docs = docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "x"))
-    hits = T.keyword_hits(["text", "lang"], {"a": r"tion|^en$", "b": r"\bthe\b"})
+    word = r"(?:^|[^\pL\pN\pM_])"
+    hits = T.keyword_hits(["text", "lang"], {"a": r"tion|^en$", "b": rf"{word}the(?:[^\pL\pN\pM_]|$)"})
     return docs.select("doc_id", T.licence_class("licence").alias("licence"), *(c.alias(n) for n, c in hits.items()))
 
 
@@ -218,10 +221,7 @@ def p22_p23_licences_and_keywords(docs):
 SELECT id, sec IS NOT NULL AS known, round(coalesce(sec, avg(sec) OVER ()), 6) + 0.0 AS sec FROM d""", "clips")
 def p24_durations(clips):
     span = F.when(F.col("id") % 9 != 0, F.concat(F.lit("("), F.col("dur").cast("string"), F.lit(", "), (F.col("dur") + F.col("dur") * 2 * 44100).cast("string"), F.lit(")")))
-    num = lambda k: F.regexp_extract(span, r"\((\d+), (\d+)\)", k).try_cast("long")
-    rows = clips.select("id", ((num(2) - num(1)) / 44100.0).alias("sec"))
-    mean = rows.agg(F.avg("sec").alias("m"))
-    return r6(rows.join(F.broadcast(mean)).select("id", F.col("sec").isNotNull().alias("known"), F.coalesce("sec", "m").alias("sec")))
+    return r6(S.durations(clips.select("id", span.alias("span")), "span").select("id", F.col("dur_known").alias("known"), F.col("dur").alias("sec")))
 
 
 @register("""SELECT event_id, CAST(seed AS INT) AS seed, item, p, concat(item, ' at dawn') AS stripped, concat('s', item) AS sentence FROM grid""", "grid")
@@ -277,8 +277,7 @@ def p34_mix_plan(resp):
 
 @register("SELECT id, CASE WHEN max(price) OVER () > 1.5 THEN (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) ELSE price END AS x FROM clips", "clips")
 def p35_min_max(clips):
-    lim = clips.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    return clips.join(F.broadcast(lim)).select("id", F.when(F.col("hi") > 1.5, (F.col("price") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("price")).alias("x"))
+    return S.min_max(clips, "price").select("id", F.col("price").alias("x"))
 
 
 @register("""SELECT id, CASE WHEN id % 4 = 0 THEN '/b/x' || cust || '.wav' WHEN id % 4 = 1 THEN '/a/clip' || id || '.wav' END AS path, id % 4 < 2 AS found FROM clips""", "clips")
@@ -309,11 +308,95 @@ def s4_file_index(clips):
     return IO.index_files(clips.select(path.alias("path")))
 
 
-@register("""SELECT doc_id, CAST(pos AS INT) AS line_no, 'prompt' || lpad(CAST(pos AS VARCHAR), greatest(2, length(CAST(pos AS VARCHAR)))::INT, '0') AS id, trim(line, ' ') AS item FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text NOT LIKE '%|%' AND text NOT LIKE '%#%' AND n_chars < 5000) WHERE trim(line, ' ') != '' AND pos < 100""", "docs")
-def s5_s6_line_lists(docs):
-    rows = docs.where(~F.col("text").contains("|") & ~F.col("text").contains("#") & (F.col("n_chars") < 5000)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    one = rows.withColumn("no", F.col("p") + 1).where((F.trim("line") != "") & (F.col("no") < 100))
-    return one.select("doc_id", F.col("no").cast("int").alias("line_no"), F.concat(F.lit("prompt"), F.lpad(F.col("no").cast("string"), 2, "0")).alias("id"), F.trim("line").alias("item"))
+@register("SELECT masker, count(*) AS n, count(price) AS known, round(sum(price), 2) + 0.0 AS total FROM (SELECT masker, CASE WHEN id % 7 = 0 THEN NULL ELSE price END AS price FROM clips) GROUP BY masker", "clips")
+def s1_csv_scan(clips):
+    """The clips as CSV with NaN where id % 7 = 0, read back with a declared schema."""
+    out = fresh_path(clips.sparkSession, "s1")
+    clips.select("id", "masker", F.when(F.col("id") % 7 == 0, "nan").otherwise(F.col("price").cast("string")).alias("price")).write.csv(out, header=True)
+    back = IO.read_table(clips.sparkSession, out, "id long, masker string, price double")
+    return back.groupBy("masker").agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("known"), (F.round(F.sum("price"), 2) + 0.0).alias("total"))
+
+
+@register("SELECT CASE WHEN id % 2 = 0 THEN 'dev' ELSE 'eval' END AS split, side, count(*) AS n, sum(dur)::BIGINT AS seconds FROM clips GROUP BY ALL", "clips")
+def s2_multi_split_scan(clips):
+    out = fresh_path(clips.sparkSession, "s2")
+    for k, name in enumerate(("dev", "eval")):
+        part = clips.where(F.col("id") % 2 == k)
+        part.select(F.col("file").alias("file_name"), F.concat("prio", F.lit(" café")).alias("caption")).write.csv(f"{out}/captions_{name}.csv", header=True)
+        part.select(F.col("file").alias("file_name"), "side", "dur").write.csv(f"{out}/metadata_{name}.csv", header=True, encoding="ISO-8859-1")
+    both = IO.read_splits(clips.sparkSession, out, ["dev", "eval"], "file_name string, caption string", "file_name string, side string, dur long")
+    return both.where("caption LIKE '% café'").groupBy("split", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("seconds"))
+
+
+_LINES = "WITH l AS (SELECT trim(unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))), ' ') AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS no FROM docs), k AS (SELECT *, string_split(line, '|') AS f FROM l WHERE line != '' AND line NOT LIKE '#%')"
+
+
+@register(_LINES + " SELECT CAST(no AS INT) AS line_no, CASE WHEN len(f) = 3 THEN trim(f[1], ' ') ELSE 'prompt' || substr(lpad(CAST(no AS VARCHAR), greatest(2, length(CAST(no AS VARCHAR)))::INT, '0'), 1) END AS id, CASE WHEN len(f) = 3 THEN trim(f[2], ' ') END AS grp, CASE WHEN len(f) = 3 THEN trim(f[3], ' ') ELSE line END AS item FROM k", "docs")
+def s5_line_lists(docs):
+    """Every line of every document as a commented list's line."""
+    return IO.parse_lines(docs, "text")
+
+
+@register("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS line_no, n_name AS a, CAST(n_regionkey AS VARCHAR) AS b FROM nation", "nation")
+def s6_zip_lines(nation):
+    """Two text files of a line a nation, written and joined by line number."""
+    out, spark = fresh_path(nation.sparkSession, "s6"), nation.sparkSession
+    for name, col in (("a", F.col("n_name")), ("b", F.col("n_regionkey").cast("string"))):
+        IO.write_playlist(nation, f"{out}/{name}", col, ["n_nationkey"])
+    return IO.zip_lines({n: spark.read.text(f"{out}/{n}", wholetext=True) for n in "ab"})
+
+
+@register("SELECT n_nationkey::INT AS id, n_name AS name, n_regionkey::INT AS region FROM nation", "nation")
+def s7_json_records(nation):
+    """A JSON file a nation, read as one table; none is corrupt."""
+    out = fresh_path(nation.sparkSession, "s7")
+    nation.select("n_nationkey", F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).write.partitionBy("n_nationkey").json(out)
+    back = IO.read_json_dir(nation.sparkSession, out, "id int, name string, region int")
+    return back.where("_corrupt_record IS NULL AND path LIKE '%.json'").select("id", "name", "region")
+
+
+@register("SELECT bin, 'clip' || id AS stem, '/r/' || bin || '/' || file AS file, prio AS caption FROM clips WHERE id % 3 != 0 AND bin IS NOT NULL", "clips")
+def s9_sidecars(clips):
+    at = lambda name: F.concat(F.lit("/r/"), "bin", F.lit("/"), name)
+    texts = clips.where("id % 3 != 0").select(at(F.regexp_replace("file", "wav$", "txt")).alias("path"), F.concat(F.lit("  "), "prio", F.lit(" ")).alias("value"))
+    return IO.pair_sidecars(clips.select(at(F.col("file")).alias("path")), texts)
+
+
+@register("SELECT masker, count(*) AS n, (row_number() OVER (ORDER BY masker))::INT AS idx FROM clips GROUP BY masker", "clips")
+def s10_s11_reports(clips):
+    """A small table as a headed CSV file and as a numbered TSV sheet; both are read back and agree."""
+    small, spark, out = clips.groupBy("masker").agg(F.count(F.lit(1)).alias("n")), clips.sparkSession, fresh_path(clips.sparkSession, "s10")
+    IO.write_report(small, f"{out}/csv", ["masker"])
+    IO.write_report(small, f"{out}/tsv", ["masker"], "\t", "idx")
+    csv, tsv = IO.read_table(spark, f"{out}/csv", "masker string, n long"), IO.read_table(spark, f"{out}/tsv", "masker string, n long, idx int", sep="\t")
+    return csv.join(tsv, ["masker", "n"])
+
+
+@register("SELECT bin, count(*) AS n, count(*) FILTER (WHERE dur > 30) AS long, 42 AS seed FROM clips GROUP BY bin", "clips")
+def s12_manifest_bundle(clips):
+    """The manifest, a side table and the configuration, written once and read back."""
+    spark, out = clips.sparkSession, fresh_path(clips.sparkSession, "s12")
+    IO.write_manifest(clips.select("file", "bin"), out, {"chunk_info": clips.where("dur > 30").select("file", "dur")}, {"seed": 42})
+    rows = spark.read.parquet(f"{out}/metadata").join(spark.read.parquet(f"{out}/chunk_info"), "file", "left")
+    seed = spark.read.text(f"{out}/config").select(F.from_json("value", "seed int").alias("c")).select("c.seed")
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count("dur").alias("long")).crossJoin(seed)
+
+
+@register("SELECT side, count(*) FILTER (WHERE dur % 5 != 0) AS ok, count(*) FILTER (WHERE dur % 5 = 0) AS failed, min(CASE WHEN dur % 5 = 0 THEN 'bad length ' || dur END) AS first_error FROM clips GROUP BY side", "clips")
+def s16_error_output(clips):
+    bad = F.col("dur") % 5 == 0
+    rows = clips.select("side", F.when(~bad, F.col("score")).alias("result"), F.when(bad, F.concat(F.lit("bad length "), F.col("dur").cast("string"))).alias("error"))
+    good, failed = IO.split_errors(rows)
+    g = good.groupBy("side").agg(F.count(F.lit(1)).alias("ok"))
+    return g.join(failed.groupBy("side").agg(F.count(F.lit(1)).alias("failed"), F.min("error").alias("first_error")), "side", "full").na.fill(0)
+
+
+@register("SELECT (row_number() OVER (ORDER BY base) - 1)::INT AS line_no, base || ',' || n AS value FROM (SELECT base, count(*) AS n FROM clips GROUP BY base)", "clips")
+def s17_playlist(clips):
+    """An ordered text file, read back with its line numbers."""
+    out = fresh_path(clips.sparkSession, "s17")
+    IO.write_playlist(clips.groupBy("base").agg(F.count(F.lit(1)).alias("n")), out, F.concat_ws(",", F.col("base").cast("string"), F.col("n").cast("string")), ["base"])
+    return IO.zip_lines({"value": clips.sparkSession.read.text(out, wholetext=True)})
 
 
 @register("""WITH n AS (SELECT id, score * 2 AS score FROM clips WHERE id % 2 = 0) SELECT clips.id, file, n.score FROM clips LEFT JOIN n ON n.id = clips.id""", "clips")
@@ -348,6 +431,12 @@ def f1_valid_responses(resp):
     return X.valid_responses(resp, ITEMS).select("uid", "base")
 
 
+@register("SELECT base, n_ratings FROM (SELECT base, count(*) AS n_ratings, avg(pl) AS score, max(CASE WHEN qty > 40 THEN masker END) AS path FROM resp GROUP BY base) WHERE n_ratings >= 3 AND score IS NOT NULL AND path IS NOT NULL", "resp")
+def f2_rated_usable(resp):
+    recs = R.rollup(resp.withColumn("path", F.when(F.col("qty") > 40, F.col("masker"))), ["base"], ["pl"]).join(resp.where("qty > 40").groupBy("base").agg(F.max("masker").alias("path")), "base", "left")
+    return X.rated_usable(recs, "n_ratings", 3, "pl", "path").select("base", "n_ratings")
+
+
 @register("SELECT id FROM clips WHERE NOT (masker = 'traffic' AND side = 'F') AND masker != 'wind'", "clips")
 def f3_f4_exclude_rules(clips):
     rules = clips.where("masker IN ('traffic', 'wind')").select("masker", F.when(F.col("masker") == "traffic", "F").alias("side")).distinct()
@@ -365,10 +454,10 @@ def f6_funnel(clips):
     return X.funnel(clips, {"rated": F.col("score") > -0.8, "loud enough": F.col("dur") > 10, "foreground": F.col("side") == "F"}, {"seconds": F.col("dur")})
 
 
-@register("SELECT doc_id FROM docs WHERE (CASE WHEN text LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) >= 2 OR (source = 'src3' AND text LIKE '%tion%')", "docs")
+@register("SELECT doc_id FROM (SELECT *, CASE WHEN lower(text) LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN lang LIKE '%en%' THEN 1 ELSE 0 END AS n FROM docs) WHERE n >= 2 OR (source = 'src3' AND n >= 1)", "docs")
 def f7_f10_selection_rule(docs):
-    n = F.size(F.filter(F.array(F.col("text").contains("tion"), F.col("lang") == "en"), lambda x: x))
-    return docs.where((n >= 2) | ((F.col("source") == "src3") & F.col("text").contains("tion"))).select("doc_id")
+    n = X.any_substring(["text"], ["TION", "no such text"]).cast("int") + X.any_substring(["lang"], ["en"]).cast("int")
+    return docs.where(X.selection_rule(n, F.col("source") == "src3", 2)).select("doc_id")
 
 
 @register("SELECT id FROM clips WHERE price <= (SELECT quantile_cont(price, 0.75) FROM clips) AND dur <= (SELECT quantile_cont(dur::DOUBLE, 0.75) FROM clips)", "clips")
@@ -378,7 +467,7 @@ def f8_percentile_cut(clips):
 
 @register("SELECT event_id FROM grid WHERE abs(p - 0.5) < 0.01 OR abs(p + 1) < 0.01", "grid")
 def f9_levels(grid):
-    return grid.where(F.exists(F.array(F.lit(0.5), F.lit(-1.0)), lambda v: F.abs(F.col("p") - v) < 0.01)).select("event_id")
+    return grid.where(X.near_level("p", [0.5, -1.0], 0.01)).select("event_id")
 
 
 @register("SELECT id FROM clips WHERE lower(file) LIKE '%99%' OR lower(bin) LIKE '%99%' OR lower(masker) LIKE '%99%' OR lower(side) LIKE '%99%' OR lower(prio) LIKE '%99%'", "clips")
@@ -447,7 +536,7 @@ def a1_stimulus_rollup(resp):
 
 @register("""WITH n AS (SELECT nation, avg(score) AS score, count(*) AS n FROM cust GROUP BY nation) SELECT n_regionkey AS region, count(*) AS locations, sum(n)::BIGINT AS ratings, round(avg(score), 6) + 0.0 AS score FROM n JOIN nation ON n_nationkey = n.nation GROUP BY 1""", "cust nation")
 def a2_two_level_rollup(cust, nation):
-    loc = R.rollup(cust, ["nation"], ["score"]).join(F.broadcast(nation), F.col("nation") == F.col("n_nationkey"))
+    loc = R.rollup(cust, ["nation"], ["score"]).join(nation, F.col("nation") == F.col("n_nationkey"))
     return r6(loc.groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("locations"), F.sum("n_ratings").alias("ratings"), F.avg("score").alias("score")))
 
 
@@ -471,11 +560,11 @@ def a3_a7_a12_describe(resp):
     return r6(R.describe_by(resp, ["masker_type"], ["qty", "price", "la50"], [0.25, 0.5, 0.9]))
 
 
-_EFF = """WITH it AS (SELECT seed % 2 AS g, count(DISTINCT item) AS n FROM grid GROUP BY 1), sh AS (SELECT x.g, x.p FROM (SELECT seed % 2 AS g, p, count(DISTINCT item) AS c FROM grid GROUP BY 1, 2) x JOIN it ON it.g = x.g WHERE x.c = it.n),
+_EFF = """WITH it AS (SELECT seed % 2 AS g, count(DISTINCT item) AS n FROM grid GROUP BY 1), all_ AS (SELECT x.g, x.p FROM (SELECT seed % 2 AS g, p, count(DISTINCT item) AS c FROM grid GROUP BY 1, 2) x JOIN it ON it.g = x.g WHERE x.c = it.n), sh AS (SELECT * FROM all_ WHERE g IN (SELECT g FROM all_ GROUP BY g HAVING count(*) > 1)),
 r AS (SELECT grid.*, seed % 2 AS g FROM grid JOIN sh ON sh.g = seed % 2 AND sh.p = grid.p), m AS (SELECT g, item, p, avg(value) AS m FROM r GROUP BY ALL),
 st AS (SELECT *, m - lag(m) OVER (PARTITION BY g, item ORDER BY p) AS step FROM m), e AS (SELECT g, item, arg_min(m, p) AS low, arg_max(m, p) AS high, arg_max(m, p) - arg_min(m, p) AS effect FROM m GROUP BY ALL),
-o AS (SELECT st.g, st.item, coalesce(bool_and(sign(step) = sign(effect)) FILTER (WHERE step IS NOT NULL), TRUE) AS ordered FROM st JOIN e ON e.g = st.g AND e.item = st.item GROUP BY ALL),
-sd AS (SELECT g, avg(s) AS seed_sd FROM (SELECT g, item, p, stddev_samp(value) AS s FROM r GROUP BY ALL) GROUP BY g), z AS (SELECT e.*, ordered, seed_sd, effect / seed_sd AS ratio, abs(effect / seed_sd) >= 0.02 AS clear FROM e JOIN o ON o.g = e.g AND o.item = e.item JOIN sd ON sd.g = e.g)"""
+o AS (SELECT st.g, st.item, coalesce(bool_and(sign(step) = sign(effect) AND effect != 0) FILTER (WHERE step IS NOT NULL), FALSE) AS ordered FROM st JOIN e ON e.g = st.g AND e.item = st.item GROUP BY ALL),
+sd AS (SELECT g, avg(s) AS seed_sd FROM (SELECT seed % 2 AS g, item, p, stddev_samp(value) AS s FROM grid GROUP BY ALL) GROUP BY g), z AS (SELECT e.*, ordered, seed_sd, effect / seed_sd AS ratio, abs(effect / seed_sd) >= 0.02 AS clear FROM e JOIN o ON o.g = e.g AND o.item = e.item JOIN sd ON sd.g = e.g)"""
 
 
 def _effects(grid):
@@ -532,7 +621,7 @@ def a20_histogram(clips):
 
 @register("SELECT masker, prio, count(*) AS n FROM clips JOIN cust ON cust.id = clips.cust GROUP BY ALL ORDER BY n DESC, masker, prio LIMIT 15", "clips cust")
 def a21_combinations(clips, cust):
-    return clips.join(cust.select(F.col("id").alias("cust")), "cust").groupBy("masker", "prio").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "masker", "prio").limit(15)
+    return R.combinations(clips.join(cust.select(F.col("id").alias("cust")), "cust"), ["masker", "prio"], 15)
 
 
 @register("WITH g AS (SELECT text, count(*) AS n FROM docs GROUP BY text) SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, count(*) FILTER (WHERE n > 1) AS repeated, max(n) AS most FROM g WHERE text IS NOT NULL", "docs")
@@ -540,9 +629,9 @@ def a22_text_diversity(docs):
     return R.text_diversity(docs, "text")
 
 
-@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(regexp_replace(split_part(text, '[', 1), '[^\\x00-\\x7f]', '', 'g')), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
+@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(split_part(text, '[', 1)), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
 def a22_top_words(docs):
-    return R.top_words(docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "")), "text", 50)
+    return R.top_words(docs, "text", 50)
 
 
 @register("SELECT least(9, floor((score + 1) / 0.2))::INT AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_y FROM clips WHERE score BETWEEN -1 AND 1 GROUP BY 1 HAVING count(*) >= 5", "clips")
@@ -553,8 +642,7 @@ def a23_binned_mean(clips):
 @register("WITH m AS (SELECT id, CASE WHEN score > 0.5 THEN 'high' WHEN score < -0.5 THEN 'low' END AS cls FROM clips) SELECT cls, metric, round(avg(v), 6) + 0.0 AS mean FROM (SELECT cls, unnest(['dur', 'price']) AS metric, unnest([dur::DOUBLE, price]) AS v FROM clips JOIN m USING (id) WHERE cls IS NOT NULL) GROUP BY ALL", "clips")
 def a24_class_means(clips):
     match = clips.select("id", F.when(F.col("score") > 0.5, "high").when(F.col("score") < -0.5, "low").alias("cls")).where("cls IS NOT NULL")
-    long = clips.select("id", F.col("dur").cast("double").alias("dur"), "price").join(match, "id").unpivot(["cls"], ["dur", "price"], "metric", "v")
-    return r6(long.groupBy("cls", "metric").agg(F.avg("v").alias("mean")))
+    return r6(R.class_means(clips.select("id", F.col("dur").cast("double").alias("dur"), "price"), match, "id", "cls", ["dur", "price"]).drop("n"))
 
 
 @register("WITH e AS (SELECT item, min(event_id) AS a, max(event_id) AS b FROM grid GROUP BY item), g AS (SELECT grid.item, avg(value) FILTER (WHERE event_id < a + 500) AS head, avg(value) FILTER (WHERE event_id > b - 500) AS tail FROM grid JOIN e ON e.item = grid.item GROUP BY 1) SELECT item, " + q6("head AS head", "tail AS tail", "(tail - head) / head AS change") + " FROM g", "grid")
@@ -569,8 +657,7 @@ def a26_mean_ci(grid):
 
 @register("WITH a AS (SELECT item, p, avg(value) AS m FROM grid WHERE seed != 0 GROUP BY ALL), b AS (SELECT p, avg(value) AS c FROM grid WHERE seed = 0 GROUP BY p) SELECT item, a.p, " + q6("m AS mean", "c AS control") + " FROM a LEFT JOIN b ON b.p = a.p", "grid")
 def a27_control_means(grid):
-    c = grid.where("seed = 0").groupBy("p").agg(F.avg("value").alias("control"))
-    return r6(grid.where("seed != 0").groupBy("item", "p").agg(F.avg("value").alias("mean")).join(c, "p", "left"))
+    return r6(R.control_means(grid.where("seed != 0"), grid.where("seed = 0"), ["item"], "p", "value"))
 
 
 # ---- windows, quotas, selection
@@ -581,9 +668,9 @@ bs AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, level) END AS
 tk AS (SELECT g, k, cap, (b0 + CASE WHEN more <= rest AND cap > b0 THEN 1 ELSE 0 END)::BIGINT AS take FROM rs)"""
 
 
-@register(f"WITH caps AS (SELECT bin AS g, masker AS k, count(*) AS cap, 150 AS quota FROM clips WHERE base % 3 = 0 GROUP BY ALL), {_FILL} SELECT g AS bin, k AS masker, cap, take FROM tk", "clips")
+@register(f"WITH caps AS (SELECT bin AS g, masker AS k, count(*) AS cap, 150 AS quota FROM clips GROUP BY ALL), {_FILL} SELECT g AS bin, k AS masker, cap, take FROM tk", "clips")
 def w1_waterfill(clips):
-    caps = clips.where("base % 3 = 0").groupBy("bin", "masker").agg(F.count(F.lit(1)).alias("cap"))
+    caps = clips.groupBy("bin", "masker").agg(F.count(F.lit(1)).alias("cap"))
     return L.waterfill(caps, 150, ["masker"], by=["bin"])
 
 
@@ -595,7 +682,7 @@ def w2_w4_nested_balance(clips):
     """Quotas over inner keys in each outer one, cells dealt in an order that changes each round."""
     caps = clips.groupBy("bin", "prio").agg(F.count(F.lit(1)).alias("cap"))
     quota = L.waterfill(caps, 100, ["prio"], by=["bin"]).select("bin", "prio", "take")
-    return L.round_robin(clips.join(F.broadcast(quota), ["bin", "prio"]), ["bin", "prio"], ["masker"], F.col("take"), 1, ["id"], reshuffle=True).select("id", "bin", "prio")
+    return L.round_robin(clips.join(quota, ["bin", "prio"]), ["bin", "prio"], ["masker"], F.col("take"), 1, ["id"], reshuffle=True).select("id", "bin", "prio")
 
 
 @register(f"WITH x AS (SELECT *, {_RR.format(by='bin, ', cell='masker, side')} FROM clips), y AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY r, masker, side, id) AS k FROM x) SELECT id, bin FROM y WHERE k <= 200", "clips")
@@ -698,7 +785,7 @@ def t1_spearman(grid):
     return r6(ST.spearman_by(grid.where("p IS NOT NULL"), ["clip"], "p", "value", 3))
 
 
-@register(f"WITH r AS (SELECT clip, lev, p, value, {_rank_sql('p', 'clip, lev')} AS rx, {_rank_sql('value', 'clip, lev')} AS ry FROM grid), c AS (SELECT clip, lev, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT lev, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg, round(avg(rho), 6) + 0.0 AS mean_rho FROM c GROUP BY lev", "grid")
+@register(f"WITH r AS (SELECT clip, lev, p, value, {_rank_sql('p', 'clip, lev')} AS rx, {_rank_sql('value', 'clip, lev')} AS ry FROM grid), c AS (SELECT clip, lev, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT lev, count(*) FILTER (WHERE round(rho, 12) > 0) AS n_pos, count(*) FILTER (WHERE round(rho, 12) < 0) AS n_neg, round(avg(rho), 6) + 0.0 AS mean_rho FROM c GROUP BY lev", "grid")
 def t1_sign_counts(grid):
     return r6(ST.sign_counts(ST.spearman_by(grid, ["clip", "lev"], "p", "value"), ["lev"]))
 
@@ -734,19 +821,22 @@ def t5_matrix_similarity(grid):
     return r6(ST.matrix_similarity(m(0), m(1), ["item", "seed"], "v"))
 
 
-def _draw_sql(rows: str, part: str, n: int, seed: int) -> str:
-    """Hash-drawn replicates of `rows` (columns part, i, n, v)."""
-    return f"SELECT s.{part}, rep, avg(d.v) AS m FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', '{seed}', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % n AS j FROM {rows}, (SELECT unnest(range(0, {n})) AS rep)) s JOIN {rows} d ON d.{part} = s.{part} AND d.i = s.j GROUP BY ALL"
+def _reps_sql(name: str, rows: str, keys: list[str], value: str, n: int, seed: int, key: str) -> str:
+    """Poisson replicates of `rows`: keys, rep and the weighted mean m."""
+    draw = f"substr(md5(concat_ws('|', '{seed}', CAST(rep // 4 AS VARCHAR), CAST({key} AS VARCHAR))), 1 + 8 * (rep % 4), 8)"
+    copies = "CASE " + " ".join(f"WHEN u < '{p}' THEN {k}" for k, p in enumerate(ST.POISSON)) + f" ELSE {len(ST.POISSON)} END"
+    by = ", ".join(keys)
+    return f"{name} AS (SELECT {by}, rep, sum(c * x) / sum(c) AS m FROM (SELECT *, {copies} AS c FROM (SELECT {by}, {value} AS x, rep, {draw} AS u FROM {rows}, (SELECT unnest(range(0, {n})) AS rep) WHERE {value} IS NOT NULL)) WHERE c > 0 GROUP BY ALL)"
 
 
-_BOOT = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), w AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id < 60), "
+_BOOT = "WITH w AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), "
 
 
-@register(_BOOT + f"b AS ({_draw_sql('w', 'item', 200, 11)}), ci AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY item) SELECT w.item, count(*) AS n, " + q6("avg(v) AS mean", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM w JOIN ci ON ci.item = w.item GROUP BY w.item", "grid")
+@register(_BOOT + _reps_sql("b", "w", ["item"], "v", 2000, 11, "user_id") + ", ci AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY item) SELECT w.item, count(*) AS n, " + q6("avg(v) AS mean", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM w JOIN ci ON ci.item = w.item GROUP BY w.item", "grid")
 def t6_bootstrap_mean(grid):
-    """Resampling is over users, of whom the first 60 ids are the panel; rows are averaged per user first."""
-    c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v")).where("user_id < 60")
-    return r6(ST.bootstrap_mean(c, ["item"], "v", 200, 11, ["user_id"]))
+    """Resampling is over users; rows are averaged per user first."""
+    c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v"))
+    return r6(ST.bootstrap_mean(c, ["item"], "v", 2000, 11, ["user_id"]))
 
 
 _CL = "WITH c AS (SELECT nation, count(*) AS n, sum(score) AS sx, sum(bal % 97) AS sy, sum(score * score) AS sxx, sum((bal % 97) * (bal % 97)) AS syy, sum(score * (bal % 97)) AS sxy FROM cust GROUP BY nation), w AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS i, count(*) OVER () AS k FROM c), s AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', '12', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % k AS j FROM w, (SELECT unnest(range(0, 300)) AS rep)), "
@@ -766,13 +856,14 @@ def t8_paired_bootstrap(cust):
     return r6(ST.paired_bootstrap(cust.withColumn("a", F.col("nation") / 25).withColumn("b", F.col("nation") / 24 + 0.01), "nation", "score", "a", "b", 300, 13))
 
 
-_GAP = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), wa AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id < 40), wb AS (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY item) AS n FROM c WHERE user_id BETWEEN 40 AND 79), "
+_GAP = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), wa AS (SELECT * FROM c WHERE user_id % 2 = 0), wb AS (SELECT * FROM c WHERE user_id % 2 = 1), "
 
 
-@register(_GAP + f"ra AS ({_draw_sql('wa', 'item', 150, 14)}), rb AS ({_draw_sql('wb', 'item', 150, 15)}), d AS (SELECT ra.item, quantile_cont(ra.m - rb.m, 0.025) AS lo, quantile_cont(ra.m - rb.m, 0.975) AS hi FROM ra JOIN rb ON ra.item = rb.item AND ra.rep = rb.rep GROUP BY ra.item) SELECT d.item, " + q6("(SELECT avg(v) FROM wa WHERE wa.item = d.item) - (SELECT avg(v) FROM wb WHERE wb.item = d.item) AS gap", "lo AS lo", "hi AS hi") + " FROM d", "grid")
+@register(_GAP + _reps_sql("ra", "wa", ["item"], "v", 2000, 14, "user_id") + ", " + _reps_sql("rb", "wb", ["item"], "v", 2000, 15, "user_id") + ", d AS (SELECT ra.item, quantile_cont(ra.m - rb.m, 0.025) AS lo, quantile_cont(ra.m - rb.m, 0.975) AS hi FROM ra JOIN rb ON ra.item = rb.item AND ra.rep = rb.rep GROUP BY ra.item) SELECT d.item, " + q6("(SELECT avg(v) FROM wa WHERE wa.item = d.item) - (SELECT avg(v) FROM wb WHERE wb.item = d.item) AS gap", "lo AS lo", "hi AS hi") + " FROM d", "grid")
 def t9_gap_bootstrap(grid):
+    """The two samples are the users with even and with odd ids."""
     c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v"))
-    return r6(ST.gap_bootstrap(c.where("user_id < 40"), c.where("user_id BETWEEN 40 AND 79"), ["item"], "v", 150, 14, ["user_id"]))
+    return r6(ST.gap_bootstrap(c.where("user_id % 2 = 0"), c.where("user_id % 2 = 1"), ["item"], "v", 2000, 14, ["user_id"]))
 
 
 @register("SELECT masker, " + q6("regr_slope(price, score) AS slope", "regr_intercept(price, score) AS intercept", "regr_r2(price, score) AS r2", "regr_slope(price, score) * 1.5 AS expected") + " FROM clips GROUP BY masker", "clips")
@@ -780,6 +871,14 @@ def t10_line_fit(clips):
     return r6(ST.line_fit(clips, ["masker"], "score", "price", -0.75, 0.75))
 
 
+@register("""WITH t AS (SELECT item, count(*) AS n_train, regr_slope(value, p) AS slope, regr_intercept(value, p) AS intercept, avg(value) FILTER (WHERE p BETWEEN 0.5 AND 0.9) - avg(value) FILTER (WHERE p BETWEEN -0.9 AND -0.5) AS extreme_delta FROM grid WHERE lev = 0 GROUP BY item),
+pr AS (SELECT item, clip, avg(value) FILTER (WHERE p = 0.5) - avg(value) FILTER (WHERE p = -0.5) AS d FROM grid WHERE lev = 1 GROUP BY ALL), g AS (SELECT item, avg(d) AS generated, count(d) AS n_pairs FROM pr WHERE d IS NOT NULL GROUP BY item),
+m AS (SELECT item, avg(value) FILTER (WHERE p = -0.5) AS a, avg(value) FILTER (WHERE p = 0) AS b, avg(value) FILTER (WHERE p = 0.5) AS c FROM grid WHERE lev = 1 GROUP BY item)
+SELECT t.item, n_train, n_pairs, """ + q6("slope AS slope", "intercept AS intercept", "extreme_delta AS extreme_delta", "slope * 1.0 AS expected", "generated AS generated", "CASE WHEN abs(slope) > 1e-9 THEN generated / slope END AS ratio", "a - (intercept - 0.5 * slope) AS bias_lo", "b - intercept AS bias_mid", "c - (intercept + 0.5 * slope) AS bias_hi") + " FROM t JOIN g ON g.item = t.item JOIN m ON m.item = t.item", "grid")
+def t10_effect_against_fit(grid):
+    return r6(ST.effect_against_fit(grid.where("lev = 0"), grid.where("lev = 1"), ["item"], "p", "value", "p", "value", ["clip"], -0.5, 0.5))
+
+
 @register(f"WITH r AS (SELECT clip, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry, p, value FROM grid), c AS (SELECT corr(rx, ry) AS rho FROM r GROUP BY clip HAVING count(*) >= 20 AND count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT round(median(rho), 6) + 0.0 AS median_rho, count(*) AS groups FROM c", "grid")
 def t11_within_group_rho(grid):
     return r6(ST.within_group_rho(grid, "clip", "p", "value", 20))
@@ -805,8 +904,7 @@ _REC = [("disc", "pl"), ("disc", "ca"), ("tax", "pl"), ("tax", "ca")]
 
 @register(" UNION ALL ".join(f"SELECT '{a}' AS score, '{b}' AS item, round(corr({a}, {b}), 6) + 0.0 AS r FROM resp" for a, b in _REC), "resp")
 def t15_recognition_matrix(resp):
-    one = resp.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(_REC)))
-    return r6(one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("score"), F.lit(b).alias("item"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(_REC)))).alias("m")).select("m.*"))
+    return r6(ST.recognition_matrix(resp, ["disc", "tax"], ["pl", "ca"]))
 
 
 def _audio_captions(emb):
@@ -824,7 +922,7 @@ def j12_t16_caption_z(emb):
     return r6(E.caption_z(*_audio_captions(emb), "clip"))
 
 
-@register(_ZSQL + "SELECT o.clip, o.cap, round(avg((s.sim < o.sim)::INT), 6) + 0.0 AS pct FROM s o JOIN s ON s.clip = o.clip AND s.clip != s.other WHERE o.clip = o.other GROUP BY ALL", "embeddings")
+@register(_ZSQL + "SELECT o.clip, o.cap, round(avg((round(s.sim, 12) < round(o.sim, 12))::INT), 6) + 0.0 AS pct FROM s o JOIN s ON s.clip = o.clip AND s.clip != s.other WHERE o.clip = o.other GROUP BY ALL", "embeddings")
 def t16_caption_percentile(emb):
     return r6(E.caption_percentile(*_audio_captions(emb), "clip").select("clip", "cap", "pct"))
 
@@ -885,9 +983,9 @@ def t20_sensitivity_rule(clips):
     return r6(ST.stability_rule(clips.select("id", F.col("score").alias("p")), other, ["cond"], "id", "p", "o", 0.95, 0.05, 0.02))
 
 
-@register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 FROM grid GROUP BY ALL), l AS (SELECT item, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse") + " FROM l WHERE d IS NOT NULL GROUP BY ALL", "grid")
+@register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 FROM grid GROUP BY ALL), l AS (SELECT item, clip, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w), " + _reps_sql("rp", "l", ["item", "condition"], "d", 2000, 16, "clip") + ", ci AS (SELECT item, condition, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM l JOIN ci USING (item, condition) WHERE d IS NOT NULL GROUP BY ALL", "grid")
 def t28_paired_losses(grid):
-    return r6(ST.paired_losses(grid.withColumn("cond", F.col("lev").cast("string")), "clip", "cond", "value", "0", ["item"], ["1", "2"]))
+    return r6(ST.paired_losses(grid.withColumn("cond", F.col("lev").cast("string")), "clip", "cond", "value", "0", ["item"], ["1", "2"], 2000, 16))
 
 
 @register(f"WITH r AS (SELECT item, p, {_rank_sql('p', 'item')} AS rx, value, {_rank_sql('value', 'item')} AS ry FROM grid) SELECT item, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho, abs(corr(rx, ry)) < 0.3 AS independent FROM r GROUP BY item HAVING count(DISTINCT p) > 2", "grid")
@@ -934,9 +1032,15 @@ def g5_brightness(emb):
     return r6(G.brightness(spectrum(emb)))
 
 
-@register(f"WITH {_SPECTRUM}, b AS (SELECT * FROM spectrum WHERE freq BETWEEN 60 AND 900), m AS (SELECT clip, avg(power) AS mid FROM spectrum WHERE freq BETWEEN 300 AND 3000 GROUP BY clip) SELECT b.clip, arg_max(freq, (power, -freq)) AS line_hz, " + q6("10 * log10(max(power) / quantile_cont(power, 0.5)) AS prominence_db", "10 * log10(avg(power) / any_value(mid)) AS low_mid_db") + " FROM b JOIN m ON m.clip = b.clip GROUP BY b.clip", "embeddings")
+@register(f"""WITH {_SPECTRUM}, s AS (SELECT clip % 50 AS clip, clip // 50 AS frame, freq, power FROM spectrum), m AS (SELECT clip, freq, avg(power) AS power FROM s GROUP BY ALL),
+o AS (SELECT clip, arg_max(freq, (power, -freq)) FILTER (WHERE freq BETWEEN 60 AND 130) AS line_hz, max(power) FILTER (WHERE freq BETWEEN 60 AND 130) AS top, quantile_cont(power, 0.5) FILTER (WHERE freq BETWEEN 200 AND 2000) AS med, coalesce(sum(power) FILTER (WHERE freq < 200), 0) AS low, coalesce(sum(power) FILTER (WHERE freq >= 200 AND freq < 6000), 0) AS mid FROM m GROUP BY clip),
+f AS (SELECT clip, frame, 10 * log10(sum(power) + 1e-20) AS lv FROM s WHERE freq BETWEEN 60 AND 130 GROUP BY ALL), k AS (SELECT clip, max(lv) AS mx, quantile_cont(lv, 0.9) AS hi, quantile_cont(lv, 0.1) AS lw FROM f GROUP BY clip),
+b AS (SELECT f.clip, frame, (lv > mx - 6)::INT AS near, (lv > (hi + lw) / 2)::INT AS st, hi - lw > 6 AS wide FROM f JOIN k ON k.clip = f.clip), d AS (SELECT *, (coalesce(lag(st) OVER w, 0) + st + coalesce(lead(st) OVER w, 0) >= 2)::INT AS flt FROM b WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+e AS (SELECT *, lag(flt) OVER (PARTITION BY clip ORDER BY frame) AS was FROM d), g AS (SELECT clip, avg(near) AS on_share, CASE WHEN any_value(wide) THEN count(*) FILTER (WHERE flt != was) ELSE 0 END AS switches FROM e GROUP BY clip)
+SELECT o.clip, line_hz, switches, """ + q6("on_share AS on_share", "10 * log10(top + 1e-20) - 10 * log10(med + 1e-20) AS prominence_db", "10 * log10(low + 1e-20) - 10 * log10(mid + 1e-20) AS low_mid_db") + " FROM o JOIN g ON g.clip = o.clip", "embeddings")
 def g6_hum(emb):
-    return r6(G.hum(spectrum(emb), "clip", 60.0, 900.0))
+    s = spectrum(emb).withColumn("frame", F.floor(F.col("clip") / 50)).withColumn("clip", F.col("clip") % 50)
+    return r6(G.hum(s, "clip", (60.0, 130.0)))
 
 
 @register("SELECT masker_type, " + q6("avg(disc) AS disc_mean", "stddev_samp(disc) AS disc_sd", "avg(tax) AS tax_mean", "stddev_samp(tax) AS tax_sd") + " FROM resp GROUP BY 1", "resp")
@@ -1063,7 +1167,7 @@ def t22_ridge_folds(cust):
 
 @register(None, "cust")
 def t23_gbt_folds(cust):
-    return r6(M.gbt_folds(_model_rows(cust), ["x1", "x2"], "score", "fold", 3))
+    return r6(M.gbt_folds(_model_rows(cust), ["x1", "x2"], "score", "fold"))
 
 
 @register("WITH r AS (SELECT id, nation, bal % 97 AS x, score AS y FROM cust), g AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY nation), d AS (SELECT nation, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM g), f AS (SELECT nation, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, n, sx, sy FROM d) SELECT id, round((sy - b * sx) / n + b * x, 6) + 0.0 AS pred FROM r JOIN f ON f.nation = r.nation", "cust")
@@ -1074,13 +1178,20 @@ def t24_group_oof(cust):
 @register(None, "docs labels")
 def t25_text_ridge(docs, labels):
     j = labels.join(docs.select("doc_id", "text"), "doc_id").withColumn("y", F.col("quality").cast("double"))
-    return r6(M.text_ridge(j, "text", "y", "doc_id", folds=2, vocab=300))
+    return r6(M.text_ridge(j, "text", "y", "doc_id", alphas=(0.3, 10.0), iterations=10))
+
+
+@register(None, "docs labels")
+def t25_text_ridge_control(docs, labels):
+    """The control: texts dealt anew, so they say nothing."""
+    j = labels.join(docs.select("doc_id", "text"), "doc_id").withColumn("y", F.col("quality").cast("double"))
+    return r6(M.text_ridge(j, "text", "y", "doc_id", alphas=(1.0,), shuffle_seed=5, iterations=10))
 
 
 @register(None, "embeddings")
 def t26_clusters(emb):
     c = emb.select("vec_id", "embedding")
-    return r6(M.clusters(c.where("vec_id % 4 != 0"), c, "vec_id", "embedding", range(4, 7), pca=10))
+    return r6(M.clusters(c.where("vec_id % 4 != 0"), c, "vec_id", "embedding", range(4, 17)))
 
 
 @register("SELECT masker_type, count(*) AS n, " + q6("avg(qty) AS qty", "avg(la50) AS la50") + " FROM resp GROUP BY 1 HAVING count(*) >= 5", "resp")
@@ -1088,10 +1199,31 @@ def t27_cluster_profiles(resp):
     return r6(M.cluster_profiles(resp, "masker_type", ["qty", "la50"]))
 
 
+@register("WITH a AS (SELECT part_group, avg(qty) AS q, avg(la50) AS l FROM resp WHERE fold % 2 = 0 GROUP BY 1), b AS (SELECT part_group, count(qty) AS n, avg(qty) AS q, avg(la50) AS l FROM resp WHERE fold % 2 = 1 GROUP BY 1 HAVING count(qty) >= 5), j AS (SELECT a.q AS aq, b.q AS bq, a.l AS al, b.l AS bl FROM a JOIN b ON a.part_group = b.part_group), o AS (SELECT count(*) AS clusters, corr(aq, bq) AS rq, corr(al, bl) AS rl FROM j) SELECT 'qty' AS target, clusters, round(rq, 6) + 0.0 AS r FROM o UNION ALL SELECT 'la50', clusters, round(rl, 6) + 0.0 FROM o", "resp")
+def t27_cluster_agreement(resp):
+    """Even and odd folds stand for the lab and the field set."""
+    return r6(R.cluster_agreement(resp.where("fold % 2 = 0"), resp.where("fold % 2 = 1"), "part_group", ["qty", "la50"]))
+
+
+@register(_PROTO + ", o AS (SELECT name, proto, lead(name) OVER (ORDER BY name) AS nxt FROM pr), d AS (SELECT o.name AS before, o.nxt AS after, sqrt(list_sum(list_transform(list_zip(o.proto, pr.proto), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS distance FROM o JOIN pr ON pr.name = o.nxt) SELECT before, after, round(distance, 6) + 0.0 AS distance, round(distance / (SELECT quantile_cont(distance, 0.5) FROM d), 6) + 0.0 AS jump FROM d", "embeddings")
+def t29_neighbour_jumps(emb):
+    return r6(E.neighbour_jumps(prototypes(emb).withColumnRenamed("label", "name"), "name", "proto", "name"))
+
+
 # ---- end to end
 
 
-@register(None, "resp")
+_BIN_NO = "CASE bin " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(S.BINS)) + " END"
+_MANIFEST = f"""WITH {STIM_SQL}, st AS (SELECT *, {_LADDER.format('score')} AS bin, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS side FROM stim),
+caps AS (SELECT 'all' AS g, bin AS k, count(*) AS cap, 600 AS quota FROM st GROUP BY ALL), {_FILL}"""
+_INNER = _FILL.replace("f AS", "f2 AS").replace("FROM caps", "FROM caps2").replace("lv AS", "lv2 AS").replace("FROM f)", "FROM f2)").replace("bs AS", "bs2 AS").replace("FROM lv)", "FROM lv2)").replace("rs AS", "rs2 AS").replace("FROM bs)", "FROM bs2)").replace("tk AS", "tk2 AS").replace("FROM rs)", "FROM rs2)")
+
+
+@register(_MANIFEST + f""", caps2 AS (SELECT bin AS g, masker_type AS k, count(*) AS cap, any_value(take) AS quota FROM st JOIN tk ON tk.k = bin GROUP BY ALL), {_INNER},
+x AS (SELECT st.*, tk2.take, row_number() OVER (PARTITION BY bin, masker_type, side, base ORDER BY md5(concat_ws('|', '42', stimulus_id)), stimulus_id) AS r FROM st JOIN tk2 ON tk2.g = bin AND tk2.k = masker_type),
+y AS (SELECT *, row_number() OVER (PARTITION BY bin, masker_type ORDER BY r, md5(concat_ws('|', '42', side, base, CAST(r AS VARCHAR))), stimulus_id) AS kk FROM x),
+z AS (SELECT *, concat('park soundscape with ', masker_type, CASE WHEN side = 'loud' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS caption FROM y WHERE kk <= take)
+SELECT stimulus_id, bin, md5(concat_ws('|', '42', stimulus_id)) || '.wav' AS file, caption, CAST(regexp_extract(caption, 'ISOPleasant: (-?[0-9.]+)', 1) AS DOUBLE) AS score FROM z""", "resp")
 def manifest_end_to_end(resp):
     """Responses -> scores -> stimulus rollup -> bins -> nested balanced selection -> captioned manifest."""
     s = stimuli(resp).withColumn("bin", S.pleasantness_bin("score")).withColumn("side", S.loudness3("la50"))

@@ -1,5 +1,6 @@
 """Boundary fixtures and properties of the library: bins, number text, quotas, chunks, sources, sinks, resume."""
 
+import math
 import random
 
 import pytest
@@ -8,7 +9,11 @@ from pyspark.sql import functions as F
 from larkspur.functions import scores as S
 from larkspur.functions import text as T
 from larkspur.operators import models as M
+from larkspur.operators import rollup as R
+from larkspur.operators import screen as X
 from larkspur.operators import select as L
+from larkspur.operators import signal as G
+from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
 from larkspur.plans import manifest as P
 from larkspur.sources import io as IO
@@ -178,3 +183,118 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/tmp"})
+
+
+def test_scene_of_unknown(spark):
+    df = spark.createDataFrame([("bird", "quiet"), (" Bird ", "quiet"), ("bird", "deafening"), ("drone", "quiet"), ("drone", "loud"), ("drone", "moderate"), ("drone", "x")], "m string, lv string")
+    got = [tuple(r.s) for r in df.select(T.scene_of("m", "lv").alias("s")).collect()]
+    assert got[0] == got[1] == (T.SCENES["bird", "quiet"], 0.9) and got[2] == (T.SCENES["bird", "moderate"], 0.9)
+    assert got[3:] == [("quiet environment", 0.5), ("loud environment", 0.5), ("moderate activity environment", 0.5), ("moderate activity environment", 0.5)]
+
+
+def test_grid_effects_by_hand(spark):
+    """A grid with one shared level is left out; an effect of 0 isn't ordered; levels meet at four decimals; the seed
+    SD is that of all measured levels."""
+    rows = [("g", "a", 0.0, s, v) for s, v in ((1, 1.0), (2, 3.0))] + [("g", "a", 0.50001, s, v) for s, v in ((1, 4.0), (2, 6.0))] + [("g", "a", 1.0, s, v) for s, v in ((1, 8.0), (2, 10.0))]
+    rows += [("g", "b", 0.0, s, 5.0) for s in (1, 2)] + [("g", "b", 0.50002, s, 7.0) for s in (1, 2)] + [("g", "b", 1.0, s, 5.0) for s in (1, 2)] + [("g", "b", 2.0, s, v) for s, v in ((1, 0.0), (2, 4.0))]
+    rows += [("h", "a", 0.0, 1, 1.0), ("h", "a", 1.0, 1, 2.0), ("h", "b", 0.0, 1, 1.0), ("h", "b", 3.0, 1, 2.0)]
+    df = spark.createDataFrame(rows, "grid string, item string, p double, seed int, value double").withColumn("metric", F.lit("m"))
+    got = {(r.grid, r.item): r for r in R.grid_effects(df, ["grid"], "item", "p", "metric", "value", 2.0).collect()}
+    assert set(got) == {("g", "a"), ("g", "b")}
+    sd = (2**0.5 * 3 + 0 * 3 + 8**0.5) / 7
+    a, b = got["g", "a"], got["g", "b"]
+    assert (a.low, a.high, a.effect, a.ordered, a.clear) == (2.0, 9.0, 7.0, True, True) and a.seed_sd == pytest.approx(sd) and a.ratio == pytest.approx(7 / sd)
+    assert (b.effect, b.ordered, b.clear) == (0.0, False, False)
+
+
+def test_hum_by_hand(spark):
+    """Two clips of eight frames: a 50 Hz line that goes off for four frames, and one that stays."""
+    rows = []
+    for clip, on in (("switched", [1, 1, 0, 0, 0, 0, 1, 1]), ("steady", [1] * 8)):
+        for frame, k in enumerate(on):
+            rows += [(clip, frame, 50.0, 100.0 if k else 0.01), (clip, frame, 60.0, 0.0), (clip, frame, 300.0, 1.0), (clip, frame, 1000.0, 2.0), (clip, frame, 2000.0, 4.0), (clip, frame, 5000.0, 3.0), (clip, frame, 7000.0, 50.0)]
+    got = {r.clip: r for r in G.hum(spark.createDataFrame(rows, "clip string, frame int, freq double, power double")).collect()}
+    s, t = got["switched"], got["steady"]
+    mean = (4 * 100 + 4 * 0.01) / 8
+    assert s.line_hz == 50.0 and s.prominence_db == pytest.approx(10 * math.log10(mean / 2)) and s.low_mid_db == pytest.approx(10 * math.log10(mean / 10))
+    assert (s.on_share, s.switches) == (0.5, 2)
+    assert t.prominence_db == pytest.approx(10 * math.log10(50)) and (t.on_share, t.switches) == (1.0, 0)
+
+
+def test_sign_counts_noise(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", -0.5), ("a", 1.6e-16), ("a", -3e-17), ("a", 0.0)], "k string, rho double")
+    r = ST.sign_counts(df, ["k"]).first()
+    assert (r.n_pos, r.n_neg) == (1, 1)
+
+
+def test_selection_functions(spark):
+    df = spark.createDataFrame([(1, 3, 0.1, "p"), (2, 2, 0.1, "p"), (3, 3, None, "p"), (4, 3, float("nan"), "p"), (5, 9, 0.0, None)], "id int, n int, score double, path string")
+    ids = lambda d: [r.id for r in d.orderBy("id").collect()]
+    assert ids(X.rated_usable(df, "n", 3, "score")) == [1, 5] and ids(X.rated_usable(df, "n", 3, "score", "path")) == [1]
+    rules = spark.createDataFrame([(1, 3, False), (2, 1, True), (3, 1, False), (4, 0, True), (5, 3, True), (6, 2, None)], "id int, n int, tag boolean")
+    assert ids(rules.where(X.selection_rule(F.col("n"), F.col("tag"), 3))) == [1, 2, 5]
+    assert ids(rules.where(X.selection_rule(F.col("n"), F.col("tag"), 3, strict=True))) == [5]
+    assert [r[0] for r in col(spark, [0.5, 0.50005, 0.51, -1.0, None]).select(X.near_level("x", [0.5, -1.0])).collect()] == [True, True, False, True, None]
+    words = spark.createDataFrame([("Wind chimes", "ae_1"), (None, "BIRD"), ("rain", None)], "a string, b string")
+    assert [r[0] for r in words.select(X.any_substring(["a", "b"], ["bird", "CHIME"])).collect()] == [True, True, False]
+    assert [r[0] for r in words.select(X.any_substring(["a"], [])).collect()] == [True] * 3
+
+
+def test_table_functions(spark):
+    spans = spark.createDataFrame([(1, "(0, 44100)"), (2, "(44100, 176400)"), (3, None), (4, "none")], "id int, span string")
+    assert [(r.dur_known, r.dur) for r in S.durations(spans, "span").orderBy("id").collect()] == [(True, 1.0), (True, 3.0), (False, 2.0), (False, 2.0)]
+    assert sorted(r.x for r in S.min_max(col(spark, [1.0, 2.0, 5.0]), "x").collect()) == [0.0, 0.25, 1.0]
+    assert sorted(r.x for r in S.min_max(col(spark, [0.2, 1.5]), "x").collect()) == [0.2, 1.5]
+    src = spark.createDataFrame([("k", 60.0, 66.0, 55.0, 70.0, 9.0, 1.0, 0.5, 0.2)], "k string, l50 double, l10 double, l90 double, c50 double, n5 double, r double, fs double, t double")
+    got = S.psycho(src, {"LA50": "l50", "LA10_LA90": ("l10", "l90"), "LC50_LA50": ("c50", "l50"), "N5": "n5", "R": "r", "FS": "fs", "T": "t"}, ["k"]).first()
+    assert tuple(got) == ("k", 60.0, 11.0, 10.0, 9.0, 1.0, 0.5, 0.2)
+    lab = spark.createDataFrame([(c, float(c), float(-c)) for c in range(4) for _ in range(2)], "c int, a double, b double")
+    field = spark.createDataFrame([(c, float(2 * c), float(c)) for c in range(3) for _ in range(5)] + [(3, 0.0, 9.0)] * 4, "c int, a double, b double")
+    got = {r.target: (r.clusters, r.r) for r in R.cluster_agreement(lab, field, "c", ["a", "b"]).collect()}
+    assert got["a"] == (3, pytest.approx(1.0)) and got["b"] == (3, pytest.approx(-1.0))
+    assert {r.r for r in R.cluster_agreement(lab, field.where("c < 2"), "c", ["a"]).collect()} == {None}
+
+
+def test_ranks_and_quantiles(spark):
+    """Bucketed places, ranks and quantiles equal those of one sorted list, with ties and nulls."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.choice([None, *range(40)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, g string, v int")
+    got = {r.id: (r.place, r.group_rows) for r in X.places(df, ["g"], ["v", "id"], parts=7).collect()}
+    for g in "ab":
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [got[r[0]] for r in mine] == [(k, len(mine)) for k in range(len(mine))]
+    vals = sorted(r[2] for r in rows if r[2] is not None)
+    for q in (0.0, 0.25, 0.5, 0.77, 1.0):
+        at = (len(vals) - 1) * q
+        want = vals[math.floor(at)] + (vals[math.ceil(at)] - vals[math.floor(at)]) * (at - math.floor(at))
+        assert X.exact_quantile(df, "v", q, parts=5).first()[0] == pytest.approx(want)
+    assert X.exact_quantile(df.limit(0), "v", 0.5).first()[0] is None
+    counts = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in ST.average_ranks(counts, ["g"], "v", "n", parts=5).collect():
+        mine = sorted(x[2] for x in rows if x[1] == r.g and x[2] is not None)
+        assert r["rank"] == mine.index(r.v) + (mine.count(r.v) + 1) / 2
+
+
+def test_poisson_weights(spark):
+    """Weights have mean and variance 1; the interval of a mean covers it and shrinks with the rows."""
+    df = spark.range(4000).selectExpr("id", "1 AS g", "CAST(id % 10 AS DOUBLE) AS v")
+    r = ST.bootstrap_mean(df, ["g"], "v", 400, 3, ["id"]).first()
+    half = 1.96 * 8.25**0.5 / 4000**0.5
+    assert r.lo < 4.5 < r.hi and (r.hi - r.lo) / 2 == pytest.approx(half, rel=0.2) and r.n == 4000
+    w = spark.range(20_000).select(ST.poisson_weight(F.substring(S.order_key(9, "id"), 9, 8)).alias("w"))
+    m, v = w.agg(F.avg("w"), F.var_pop("w")).first()
+    assert m == pytest.approx(1, abs=0.03) and v == pytest.approx(1, abs=0.05)
+
+
+def test_caption_percentile_blocks(spark):
+    rng = random.Random(2)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    audio = [(k, vec()) for k in range(30)]
+    caps = [(k, c, vec()) for k in range(30) for c in range(2)]
+    a, c = spark.createDataFrame(audio, "k int, vec array<double>"), spark.createDataFrame(caps, "k int, cap int, vec array<double>")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    want = {(k, n): sum(dot(dict(audio)[k], t) < dot(dict(audio)[k], v) for j, _, t in caps if j != k) / 58 for k, n, v in caps}
+    for block in (7, 4096):
+        got = {(r.k, r.cap): r.pct for r in E.caption_percentile(a, c, "k", block=block).collect()}
+        assert got == pytest.approx(want)
