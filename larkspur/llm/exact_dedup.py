@@ -30,8 +30,8 @@ from .common import ascii_lower, cut
 
 #: Digests per filter shard, at most on average: about 75 kB a filter and 2 MB of pandas rows a task group.
 KEYS = 50_000
-#: Members of groups that are broadcast when their texts are fetched (about 20 MB); beyond it they are shuffled.
-BROADCAST_IDS = 100_000
+#: Members of groups whose ids are broadcast when their texts are fetched; beyond it the ids are shuffled.
+BROADCAST_IDS = 200_000
 #: Digests with more than one in HOT of all rows are joined by broadcast; copies that one key of a representative serves.
 HOT, COPIES = 1000, 1000
 _FIRST = -(2**63)
@@ -208,12 +208,14 @@ def attach(dig: DataFrame, many: DataFrame, hot: int = HOT) -> DataFrame:
 def verify(df: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """members: key (of the doc_id), digest, n, is_rep of documents in groups of two or more. The key, digest and
     text of those whose bytes differ from the representative's."""
-    small = members.count() <= BROADCAST_IDS
-    sent = lambda d: F.broadcast(d) if small else d
-    texts = df.select(_key(doc_id).alias("key"), _norm(text).alias("norm")).withColumn("digest", F.sha2("norm", 256))
-    texts = cut(texts.join(sent(members.select("key", "digest", "n").distinct()), ["key", "digest"]), "dedup-texts")
+    keys = members.select("key").distinct()
+    keys = F.broadcast(keys) if members.count() <= BROADCAST_IDS else keys
+    texts = df.select(_key(doc_id).alias("key"), _norm(text).alias("norm"))
+    # the other texts go before anything is hashed
+    texts = texts.join(keys, "key", "left_semi").withColumn("digest", F.sha2("norm", 256))
+    texts = cut(texts.join(members.select("key", "digest", "n").distinct(), ["key", "digest"]), "dedup-texts")
     parts = F.ceil(F.col("n") / COPIES).cast("int")
-    reps = texts.join(sent(members.where("is_rep").select("key", "digest").distinct()), ["key", "digest"], "left_semi")
+    reps = texts.join(members.where("is_rep").select("key", "digest").distinct(), ["key", "digest"], "left_semi")
     reps = reps.groupBy("digest").agg(F.max("norm").alias("rep"), F.max("n").alias("n"))
     reps = reps.select("digest", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))

@@ -70,7 +70,7 @@ def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP)
     """docs: doc_id, source, size, perhaps row. (docs with source_size, target, taken, passes (whole passes), rest
     (words of the last, partial pass), before (words of its source ahead of it), place and nth (apart for rows of
     one doc_id and source), number of words of the mix)."""
-    digits = max(1, ceil(log(max(docs.count(), 1) / GROUP, 16)))
+    digits = max(2, ceil(log(max(docs.count(), 1) / GROUP, 16)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     docs = docs.withColumn("md5", key).withColumn("bucket", F.substring("md5", 1, digits))
     cells = cut(docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size")), "mix-cells")
