@@ -75,7 +75,8 @@ def shortest(x, digits: int) -> Column:
 
 def caption_long(scene, loudness, la50, label, score, source=None) -> Column:
     head = _c(scene) if source is None else F.concat(_c(scene), F.lit(" with "), _c(source))
-    return F.concat(head, F.lit(". Loudness: "), _c(loudness), F.lit(" (LA50: "), shortest(la50, 1), F.lit(" dB). Pleasantness: "), _c(label), F.lit(" (ISOPleasant: "), shortest(score, 2), F.lit(")."))
+    return F.concat(head, F.lit(". Loudness: "), _c(loudness), F.lit(" (LA50: "), shortest(la50, 1), F.lit(" dB). Pleasantness: "), _c(label),
+        F.lit(" (ISOPleasant: "), shortest(score, 2), F.lit(")."))
 
 
 def place_name(x) -> Column:
@@ -216,12 +217,15 @@ CONCEPTS = [
 
 def rule_labels(rules=CONCEPTS) -> Column:
     """Concepts whose condition holds, by falling confidence, then in rule order."""
-    hits = F.array_compact(F.array(*(F.when(F.expr(cond), F.struct(F.lit(-conf).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(alone).alias("alone"), F.lit(many).alias("many"))) for i, (name, cond, conf, alone, many) in enumerate(rules))))
+    hits = F.array_compact(F.array(*(F.when(F.expr(cond),
+        F.struct(F.lit(-conf).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(alone).alias("alone"),
+            F.lit(many).alias("many"))) for i, (name, cond, conf, alone, many) in enumerate(rules))))
     return F.sort_array(hits)
 
 
 def rule_caption(hits: Column) -> Column:
-    return F.when(F.size(hits) == 0, "environment with ambient sounds").when(F.size(hits) == 1, hits[0]["alone"]).otherwise(F.concat(F.lit("soundscape with "), F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: h["many"]), " and ")))
+    return F.when(F.size(hits) == 0, "environment with ambient sounds").when(F.size(hits) == 1,
+        hits[0]["alone"]).otherwise(F.concat(F.lit("soundscape with "), F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: h["many"]), " and ")))
 
 
 def rule_confidence(hits: Column) -> Column:

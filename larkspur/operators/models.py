@@ -81,7 +81,8 @@ def text_ridge(df: DataFrame, text: str, y: str, key: str, alphas: tuple[float,
         rows = a.join(b, ["fold", "_r"]).drop("_r")
     every = 2**31 - 1
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+"), NGram(inputCol="w1", outputCol="w2", n=2), CountVectorizer(inputCol="w1", outputCol="c1", vocabSize=every), CountVectorizer(inputCol="w2", outputCol="c2", vocabSize=every),
+        RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+"), NGram(inputCol="w1", outputCol="w2", n=2),
+            CountVectorizer(inputCol="w1", outputCol="c1", vocabSize=every), CountVectorizer(inputCol="w2", outputCol="c2", vocabSize=every),
         IDF(inputCol="c1", outputCol="i1"), IDF(inputCol="c2", outputCol="i2"), VectorAssembler(inputCols=["i1", "i2"], outputCol="terms"), Normalizer(inputCol="terms", outputCol="features"),
     ]
     rows, inner = cut(rows.select(key, text, "fold", F.col(y).cast("double").alias("y_")), "text-rows"), F.pmod(F.xxhash64(key, F.lit("inner")), F.lit(5)) == 0

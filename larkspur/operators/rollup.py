@@ -28,7 +28,8 @@ def describe_by(df: DataFrame, keys: list[str], cols: list[str], qs: list[float]
     """count, mean, sd, extremes and quantiles per group and column, in long form. exact=False bounds memory for huge groups."""
     long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols))).alias("m")).select(*keys, "m.*")
     q = lambda x: F.percentile("value", F.lit(x)) if exact else F.percentile_approx("value", x)
-    return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), *(q(x).alias(f"q{round(100 * x)}") for x in qs))
+    return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"), *(q(x).alias(f"q{round(100 * x)}") for x in qs))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -82,14 +83,17 @@ def grid_effects(df: DataFrame, grid: list[str], item: str, level: str, metric:
     enough = shared.groupBy(*grid).agg(F.count(F.lit(1)).alias("_levels")).where("_levels > 1").select(*grid)
     rows = df.join(shared.join(enough, grid), [*grid, level])
     means = rows.groupBy(*grid, item, metric, level).agg(F.avg(value).alias("_m"))
-    eff = monotone(means, [*grid, item, metric], level, "_m").join(means.groupBy(*grid, item, metric).agg(F.min_by("_m", level).alias("low"), F.max_by("_m", level).alias("high")), [*grid, item, metric])
+    eff = monotone(means, [*grid, item, metric], level,
+        "_m").join(means.groupBy(*grid, item, metric).agg(F.min_by("_m", level).alias("low"), F.max_by("_m", level).alias("high")), [*grid, item, metric])
     sd = seed_sd(df, [*grid, metric], [item, level], value)
     ratio = F.when(F.col("seed_sd") > 0, F.col("effect") / F.col("seed_sd"))
     return eff.join(sd, [*grid, metric]).withColumn("ratio", ratio).withColumn("clear", F.coalesce(F.abs("ratio") >= k, F.lit(False)))
 
 
 def effects_summary(eff: DataFrame, keys: list[str]) -> DataFrame:
-    return eff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("clear").alias("n_clear"), F.count_if(F.col("clear") & F.col("ordered")).alias("n_clear_ordered"), F.count_if(F.col("clear") & ~F.col("ordered")).alias("n_clear_unordered"), F.percentile(F.abs("ratio"), F.lit(0.5)).alias("median_ratio"))
+    return eff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("clear").alias("n_clear"),
+        F.count_if(F.col("clear") & F.col("ordered")).alias("n_clear_ordered"),
+            F.count_if(F.col("clear") & ~F.col("ordered")).alias("n_clear_unordered"), F.percentile(F.abs("ratio"), F.lit(0.5)).alias("median_ratio"))
 
 
 def prediction_stability(cube: DataFrame, clip: str, level: str, ckpt: str, value: str) -> DataFrame:
@@ -113,12 +117,14 @@ def group_screen(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
 
 def threshold_table(df: DataFrame, col: str, thresholds: list[float], weight: str) -> DataFrame:
     t = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    return df.where(F.col(col).isNotNull()).select(t, col, weight).groupBy("threshold").agg(F.count_if(F.col(col) >= F.col("threshold")).alias("n"), F.sum(F.when(F.col(col) >= F.col("threshold"), F.col(weight)).otherwise(0)).alias("kept"))
+    return df.where(F.col(col).isNotNull()).select(t, col, weight).groupBy("threshold").agg(F.count_if(F.col(col) >= F.col("threshold")).alias("n"),
+        F.sum(F.when(F.col(col) >= F.col("threshold"), F.col(weight)).otherwise(0)).alias("kept"))
 
 
 def head_tail_mean(df: DataFrame, keys: list[str], step: str, value: str, window: int) -> DataFrame:
     ends = df.groupBy(*keys).agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
-    g = df.join(ends, keys).groupBy(*keys).agg(F.avg(F.when(F.col(step) < F.col("_a") + window, F.col(value))).alias("head"), F.avg(F.when(F.col(step) > F.col("_b") - window, F.col(value))).alias("tail"))
+    g = df.join(ends, keys).groupBy(*keys).agg(F.avg(F.when(F.col(step) < F.col("_a") + window, F.col(value))).alias("head"),
+        F.avg(F.when(F.col(step) > F.col("_b") - window, F.col(value))).alias("tail"))
     return g.withColumn("change", (F.col("tail") - F.col("head")) / F.col("head"))
 
 

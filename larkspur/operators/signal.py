@@ -38,7 +38,8 @@ def stereo_corr(frames: DataFrame, clip: str = "clip", samples: str = "samples")
 def tonality(sg: DataFrame, clip: str = "clip", lo: float = 100.0, hi: float = 8000.0) -> DataFrame:
     """Per frame flatness (geometric over arithmetic mean) and peak (max over median) in dB, averaged over frames."""
     p = F.col("power") + 1e-20
-    per = sg.where(F.col("freq").between(lo, hi)).groupBy(clip, "frame").agg((10 * F.log10(F.exp(F.avg(F.ln(p))) / F.avg(p))).alias("flat_db"), (10 * F.log10(F.max(p) / F.percentile(p, F.lit(0.5)))).alias("peak_db"))
+    per = sg.where(F.col("freq").between(lo, hi)).groupBy(clip, "frame").agg((10 * F.log10(F.exp(F.avg(F.ln(p))) / F.avg(p))).alias("flat_db"),
+        (10 * F.log10(F.max(p) / F.percentile(p, F.lit(0.5)))).alias("peak_db"))
     return per.groupBy(clip).agg(F.avg("flat_db").alias("flat_db"), F.avg("peak_db").alias("peak_db"))
 
 
@@ -51,7 +52,8 @@ def brightness(spec: DataFrame, clip: str = "clip", share: float = 0.85) -> Data
     return cent.join(cumulative_threshold(spec, [clip], "freq", "power", share), clip).join(tilt, clip)
 
 
-def hum(sg: DataFrame, clip: str = "clip", line: tuple[float, float] = (30.0, 130.0), floor: tuple[float, float] = (200.0, 2000.0), low: tuple[float, float] = (0.0, 200.0), mid: tuple[float, float] = (200.0, 6000.0)) -> DataFrame:
+def hum(sg: DataFrame, clip: str = "clip", line: tuple[float, float] = (30.0, 130.0), floor: tuple[float, float] = (200.0, 2000.0),
+    low: tuple[float, float] = (0.0, 200.0), mid: tuple[float, float] = (200.0, 6000.0)) -> DataFrame:
     """From a spectrogram: the strongest line of a low band in the mean spectrum (of equal ones the lowest), its
     prominence in dB over the median of the band `floor`, the power of the band `low` against that of `mid` (sums
     over half-open bands, in dB); the share of frames in which the low band is within 6 dB of its loudest frame, and
@@ -76,7 +78,8 @@ def hum(sg: DataFrame, clip: str = "clip", line: tuple[float, float] = (30.0, 13
 
 def curve_percentiles(curve: DataFrame, clip: str = "clip", value: str = "value") -> DataFrame:
     """N5 and N50 (exceeded 5 and 50 % of the time), mean, and the share of segments over zero."""
-    return curve.groupBy(clip).agg(F.percentile(value, F.lit(0.95)).alias("n5"), F.percentile(value, F.lit(0.5)).alias("n50"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("share_pos"))
+    return curve.groupBy(clip).agg(F.percentile(value, F.lit(0.95)).alias("n5"), F.percentile(value, F.lit(0.5)).alias("n50"),
+        F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("share_pos"))
 
 
 def channel_mean(df: DataFrame, clip: str, cols: list[str], prefix: str) -> DataFrame:

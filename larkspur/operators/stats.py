@@ -108,7 +108,8 @@ def matrix_similarity(a: DataFrame, b: DataFrame, cell: list[str], value: str) -
     """Rank correlation of cells, sign agreement, slope of b on a, mean absolute difference."""
     j = a.select(*cell, F.col(value).alias("_a")).join(b.select(*cell, F.col(value).alias("_b")), cell).where("_a IS NOT NULL AND _b IS NOT NULL").withColumn("_k", F.lit(1))
     r = j.withColumn("_ra", avg_rank("_a", ["_k"])).withColumn("_rb", avg_rank("_b", ["_k"]))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"), F.avg((F.signum("_a") == F.signum("_b")).cast("double")).alias("same_sign"), F.regr_slope("_b", "_a").alias("slope"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mad"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"),
+        F.avg((F.signum("_a") == F.signum("_b")).cast("double")).alias("same_sign"), F.regr_slope("_b", "_a").alias("slope"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mad"))
 
 
 def _draws(df: DataFrame, keys: list[str], n: int, seed: int, order: list[str]) -> DataFrame:
@@ -191,7 +192,8 @@ def paired_bootstrap(df: DataFrame, cluster: str, obs: str, a: str, b: str, n: i
 def gap_bootstrap(a: DataFrame, b: DataFrame, keys: list[str], value: str, n: int, seed: int, order: list[str]) -> DataFrame:
     """Mean of a minus mean of b per group with a 95 % interval; both sides are resampled."""
     reps = [weighted_reps(d, keys, value, n, seed + i, order, f"_m{i}") for i, d in enumerate((a, b))]
-    ci = reps[0].join(reps[1], [*keys, "rep"]).withColumn("_d", F.col("_m0") - F.col("_m1")).groupBy(*keys).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"))
+    ci = reps[0].join(reps[1], [*keys, "rep"]).withColumn("_d",
+        F.col("_m0") - F.col("_m1")).groupBy(*keys).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"))
     mean = a.groupBy(*keys).agg(F.avg(value).alias("_a")).join(b.groupBy(*keys).agg(F.avg(value).alias("_b")), keys)
     return mean.select(*keys, (F.col("_a") - F.col("_b")).alias("gap")).join(ci, keys)
 
@@ -239,8 +241,10 @@ def ks(df: DataFrame, keys: list[str], is_a: Column, value: str, least: int = 5)
 def fit_quality(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
     """R2, R2 after removing the bias, bias, r, RMSE and the ratio of spreads."""
     o, p = F.col(obs), F.col(pred)
-    g = df.na.drop(subset=[obs, pred]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(p - o).alias("bias"), F.avg((o - p) * (o - p)).alias("_mse"), F.var_pop(obs).alias("_v"), F.corr(obs, pred).alias("r"), (F.stddev_samp(pred) / F.stddev_samp(obs)).alias("spread"))
-    return g.select(*keys, "n", "bias", "r", "spread", (1 - F.col("_mse") / F.col("_v")).alias("r2"), (1 - (F.col("_mse") - F.col("bias") * F.col("bias")) / F.col("_v")).alias("r2_centred"), F.sqrt("_mse").alias("rmse"))
+    g = df.na.drop(subset=[obs, pred]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(p - o).alias("bias"),
+        F.avg((o - p) * (o - p)).alias("_mse"), F.var_pop(obs).alias("_v"), F.corr(obs, pred).alias("r"), (F.stddev_samp(pred) / F.stddev_samp(obs)).alias("spread"))
+    return g.select(*keys, "n", "bias", "r", "spread", (1 - F.col("_mse") / F.col("_v")).alias("r2"),
+        (1 - (F.col("_mse") - F.col("bias") * F.col("bias")) / F.col("_v")).alias("r2_centred"), F.sqrt("_mse").alias("rmse"))
 
 
 def stability_rule(full: DataFrame, other: DataFrame, keys: list[str], key: str, pred: str, obs: str, min_r: float, max_shift: float, max_dr: float) -> DataFrame:
@@ -269,7 +273,8 @@ def recognition_matrix(df: DataFrame, scores: list[str], items: list[str]) -> Da
     return one.select(F.explode(cells).alias("m")).select("m.*")
 
 
-def effect_against_fit(train: DataFrame, gen: DataFrame, keys: list[str], x: str, y: str, level: str, value: str, pair: list[str], lo: float, hi: float, band: tuple[float, float] = (0.5, 0.9)) -> DataFrame:
+def effect_against_fit(train: DataFrame, gen: DataFrame, keys: list[str], x: str, y: str, level: str, value: str, pair: list[str], lo: float,
+    hi: float, band: tuple[float, float] = (0.5, 0.9)) -> DataFrame:
     """Per key: the line of y on x in train and its expected change from lo to hi, the difference of train's extreme
     groups (|x| within `band`), the mean paired change of gen's value between the levels, its ratio to the expected
     one, and gen's bias against the line at lo, 0 and hi."""

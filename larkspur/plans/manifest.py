@@ -46,13 +46,15 @@ def exposure(plan: DataFrame, bin_col: str, base: str, start: str = "start", end
     """Per bin: recordings, distinct chunks, chunks with repeats, distinct and seen seconds."""
     first = F.col("rep") == 0
     sec = F.col(end) - F.col(start)
-    return plan.groupBy(bin_col).agg(F.count_distinct(base).alias("recordings"), F.count_if(first).alias("chunks"), F.count(F.lit(1)).alias("chunks_seen"), F.sum(F.when(first, sec).otherwise(0.0)).alias("seconds"), F.sum(sec).alias("seconds_seen"))
+    return plan.groupBy(bin_col).agg(F.count_distinct(base).alias("recordings"), F.count_if(first).alias("chunks"),
+        F.count(F.lit(1)).alias("chunks_seen"), F.sum(F.when(first, sec).otherwise(0.0)).alias("seconds"), F.sum(sec).alias("seconds_seen"))
 
 
 def grid_plan(seeds: DataFrame, items: DataFrame, levels: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """seed x item x level with file name and prompt; files that are done are skipped. All three are small lists."""
     g = seeds.crossJoin(F.broadcast(items)).crossJoin(F.broadcast(levels))
-    g = g.withColumn("file", F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), F.regexp_replace("item", " ", "_"), F.lit("_p"), fmt2("p"), F.lit(".wav"))).withColumn("prompt", F.concat(F.col("item"), tag("p")))
+    g = g.withColumn("file", F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), F.regexp_replace("item", " ", "_"), F.lit("_p"),
+        fmt2("p"), F.lit(".wav"))).withColumn("prompt", F.concat(F.col("item"), tag("p")))
     return g if done is None else g.join(done.select("file"), "file", "left_anti")
 
 
@@ -121,7 +123,8 @@ def refresh_captions(records: DataFrame, captions: DataFrame, keys: list[str]) -
 def mix_plan(stim: DataFrame, bases: DataFrame, maskers: DataFrame, levels: list[int]) -> DataFrame:
     """Gain of each masker at base level minus SMR: looked up at the rounded level, residual in dB.
     maskers: masker, gain_<r>dB, leq_<r>dB (wide)."""
-    long = maskers.select("masker", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("at"), F.col(f"gain_{r}dB").alias("gain"), F.col(f"leq_{r}dB").alias("leq")) for r in levels))).alias("m")).select("masker", "m.*")
+    long = maskers.select("masker", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("at"), F.col(f"gain_{r}dB").alias("gain"),
+        F.col(f"leq_{r}dB").alias("leq")) for r in levels))).alias("m")).select("masker", "m.*")
     want = stim.join(bases, "base").withColumn("want", F.col("base_leq") - F.col("smr")).withColumn("at", rint("want"))
     return want.join(long, ["masker", "at"]).withColumn("residual_db", F.col("want") - F.col("leq"))
 

@@ -31,16 +31,24 @@ _SCORE = "(o_totalprice % 2000) / 1000 - 1"
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "resp": ("lineitem", [
-        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS uid", "concat('S', CAST(l_partkey % 200 AS STRING)) AS base", f"{_TYPE} AS masker_type",
-        f"concat({_TYPE}, '_', CAST(l_linenumber AS STRING)) AS masker", "l_quantity / 10 - 2.5 AS smr", "l_suppkey AS participant", "CAST(l_orderkey % 8 - 1 AS INT) AS fold", "CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS is_attention",
-        "CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS pl", "1 + (l_partkey + l_suppkey) % 5 AS ca", "1 + (l_partkey * 3 + l_linenumber) % 5 AS vi", "1 + (l_suppkey * 2 + l_linenumber) % 5 AS un", "1 + (l_partkey + 2 * l_linenumber) % 5 AS mo", "1 + (l_suppkey + 1) % 5 AS an", "1 + l_orderkey % 5 AS ev", "1 + (l_orderkey + l_partkey) % 5 AS ch",
+        "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', "
+    "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS uid", "concat('S', CAST(l_partkey % 200 AS STRING)) AS base", f"{_TYPE} AS masker_type",
+        f"concat({_TYPE}, '_', CAST(l_linenumber AS STRING)) AS masker", "l_quantity / 10 - 2.5 AS smr", "l_suppkey AS participant", "CAST(l_orderkey % 8 - 1 AS INT) AS fold", "CASE "
+    "WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS is_attention",
+        "CASE WHEN l_suppkey % 37 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS pl", "1 + (l_partkey + l_suppkey) % 5 AS ca",
+            "1 + (l_partkey * 3 + l_linenumber) % 5 AS vi", "1 + (l_suppkey * 2 + l_linenumber) % 5 AS un",
+                "1 + (l_partkey + 2 * l_linenumber) % 5 AS mo", "1 + (l_suppkey + 1) % 5 AS an", "1 + l_orderkey % 5 AS ev", "1 + (l_orderkey + l_partkey) % 5 AS ch",
         "40 + l_extendedprice % 45 AS la50", "l_discount AS disc", "l_tax AS tax", "l_quantity AS qty", "l_extendedprice AS price", "l_partkey % 40 AS part_group"]),
     "clips": ("orders", [
-        "o_orderkey AS id", "concat('clip', CAST(o_orderkey AS STRING), '.wav') AS file", f"{_SCORE} AS score", f"{_LADDER.format('(' + _SCORE + ')')} AS bin", "CASE o_custkey % 5 WHEN 0 THEN 'bird' WHEN 1 THEN 'water' WHEN 2 THEN 'traffic' WHEN 3 THEN 'construction' ELSE 'wind' END AS masker",
+        "o_orderkey AS id", "concat('clip', CAST(o_orderkey AS STRING), '.wav') AS file", f"{_SCORE} AS score", f"{_LADDER.format('(' + _SCORE + ')')} AS bin", "CASE o_custkey % 5 "
+    "WHEN 0 THEN 'bird' WHEN 1 THEN 'water' WHEN 2 THEN 'traffic' WHEN 3 THEN 'construction' ELSE 'wind' END AS masker",
         "o_orderstatus AS side", "o_orderpriority AS prio", "3 + o_custkey % 58 AS dur", "o_custkey % 300 AS base", "o_custkey AS cust", "o_totalprice AS price"]),
     "grid": ("events", [
-        "event_id", "user_id", "user_id % 4 AS seed", "event_type AS item", f"({_K} % 5) / 2 - 1 AS p", f"{_K} AS k", "value", "event_id % 3 AS lev", "event_id % 4 AS ckpt", "user_id % 50 AS clip", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS gappy"]),
-    "docs": ("documents", ["doc_id", "text", "lang", "source", "n_chars", "(n_chars % 200) / 100 - 1 AS s", "concat('https://creativecommons.org/', CASE doc_id % 5 WHEN 0 THEN 'publicdomain/zero' WHEN 1 THEN 'licenses/by-nc/3' WHEN 2 THEN 'licenses/by/4' WHEN 3 THEN 'sampling+' ELSE 'other' END) AS licence"]),
+        "event_id", "user_id", "user_id % 4 AS seed", "event_type AS item", f"({_K} % 5) / 2 - 1 AS p", f"{_K} AS k", "value", "event_id % 3 AS lev",
+            "event_id % 4 AS ckpt", "user_id % 50 AS clip", "CASE "
+    "WHEN event_id % 7 = 0 THEN NULL ELSE value END AS gappy"]),
+    "docs": ("documents", ["doc_id", "text", "lang", "source", "n_chars", "(n_chars % 200) / 100 - 1 AS s", "concat('https://creativecommons.org/', CASE doc_id % 5 "
+    "WHEN 0 THEN 'publicdomain/zero' WHEN 1 THEN 'licenses/by-nc/3' WHEN 2 THEN 'licenses/by/4' WHEN 3 THEN 'sampling+' ELSE 'other' END) AS licence"]),
     "cust": ("customer", ["c_custkey AS id", "c_name AS name", "c_nationkey AS nation", "c_acctbal / 10000 AS score", "c_mktsegment AS seg", "c_acctbal AS bal"]),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +112,12 @@ def stimuli(resp: DataFrame) -> DataFrame:
 
 @register(f"SELECT uid, {q6(f'{ISO_SQL} AS iso_p', f'{EV_SQL} AS iso_e', f'({_C} * (pl - an) + (ca - ch) + {_C} * (vi - mo)) / {_SPAN} AS iso_alt')}, {_LADDER.format('(' + ISO_SQL + ')')} AS bin FROM resp", "resp")
 def p1_circumplex_scores(resp):
-    return r6(resp.select("uid", S.iso_pleasant(*ITEMS).alias("iso_p"), S.iso_eventful(*ITEMS).alias("iso_e"), S.iso_pleasant_alt(*ITEMS).alias("iso_alt"), S.pleasantness_bin(S.iso_pleasant(*ITEMS)).alias("bin")))
+    return r6(resp.select("uid", S.iso_pleasant(*ITEMS).alias("iso_p"), S.iso_eventful(*ITEMS).alias("iso_e"),
+        S.iso_pleasant_alt(*ITEMS).alias("iso_alt"), S.pleasantness_bin(S.iso_pleasant(*ITEMS)).alias("bin")))
 
 
-@register("SELECT uid, concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS key, split_part(masker, '_', 1) AS mt, base AS b, masker AS m, CAST(trunc(smr) AS INT) AS s FROM resp", "resp")
+@register("SELECT uid, concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS key, split_part(masker, '_', 1) AS mt, base AS b, masker AS m, "
+    "CAST(trunc(smr) AS INT) AS s FROM resp", "resp")
 def p2_p3_compound_keys(resp):
     k = resp.withColumn("key", T.compound_key("base", "masker", "smr"))
     b, m, s = T.split_key("key")
@@ -138,11 +148,13 @@ _SCENES_SQL = ", ".join(f"('{m}', '{lv}', '{s}')" for (m, lv), s in T.SCENES.ite
 SELECT uid, coalesce(scene, CASE x.lv WHEN 'quiet' THEN 'quiet environment' WHEN 'loud' THEN 'loud environment' ELSE 'moderate activity environment' END) AS scene, CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
 def p8_p9_scene_lookup(resp):
     silent = F.col("masker_type") == "silence"
-    rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"), T.scene_of(F.when(silent, "unknown").otherwise(F.initcap("masker_type")), S.loudness3("la50")).alias("s"))
+    rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"),
+        T.scene_of(F.when(silent, "unknown").otherwise(F.initcap("masker_type")), S.loudness3("la50")).alias("s"))
     return rows.select("uid", "s.scene", "s.confidence")
 
 
-@register(f"""SELECT id, concat('park soundscape with ', masker, CASE WHEN side = 'F' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS short_caption,
+@register(f"""SELECT id, 
+    concat('park soundscape with ', masker, CASE WHEN side = 'F' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS short_caption,
 concat('soundscape with ', CASE WHEN w = 'natural sounds' THEN w WHEN side = 'F' THEN w || ' and natural sounds' ELSE 'natural sounds and ' || w END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS harmonised
 FROM (SELECT *, CASE WHEN masker IN ('bird', 'water', 'wind') THEN 'natural sounds' WHEN masker = 'traffic' THEN 'traffic noise' ELSE 'other noise' END AS w FROM clips)""", "clips")
 def p11_p15_short_captions(clips):
@@ -183,7 +195,9 @@ def p16_p17_p18_tags(clips):
     c = F.when(F.col("id") % 11 == 0, F.col("prio")).otherwise(F.concat("prio", F.lit(" with "), "masker", T.tag("score")))
     t = clips.select("id", c.alias("c"), T.parse_tag(c).alias("t"))
     colon = F.when(F.col("t.value").isNotNull(), T.after_last_colon("c"))
-    return t.select("id", "t.text", "t.value", T.parse_tag_loose("c").alias("loose"), colon.alias("colon"), T.retag("c", S.pleasantness_bin("t.value")).alias("retagged"), S.nearest_label("t.value", [-1, -0.5, 0, 0.5, 1], ["very unpleasant", "unpleasant", "neutral", "pleasant", "very pleasant"]).alias("nearest"))
+    return t.select("id", "t.text", "t.value", T.parse_tag_loose("c").alias("loose"), colon.alias("colon"),
+        T.retag("c", S.pleasantness_bin("t.value")).alias("retagged"),
+            S.nearest_label("t.value", [-1, -0.5, 0, 0.5, 1], ["very unpleasant", "unpleasant", "neutral", "pleasant", "very pleasant"]).alias("nearest"))
 
 
 @register("""WITH n AS (SELECT id, CASE WHEN id % 3 = 0 THEN file ELSE replace(file, '.wav', '_r' || CAST(id % 4 AS VARCHAR) || '.wav') END AS f FROM clips)
@@ -228,7 +242,8 @@ def p24_durations(clips):
 def p25_p27_p28_names(grid):
     name = F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), "item", F.lit("_p"), T.fmt2("p"), F.lit(".wav"))
     n = grid.select("event_id", "item", T.parse_name(name).alias("n"))
-    return n.select("event_id", "n.seed", "n.item", "n.p", T.strip_end(F.concat(F.lit(" "), "item", F.lit(" at dawn. . "))).alias("stripped"), T.first_sentence(F.concat(F.lit("s"), F.col("item"), F.lit(". Loudness: loud. "))).alias("sentence"))
+    return n.select("event_id", "n.seed", "n.item", "n.p", T.strip_end(F.concat(F.lit(" "), "item", F.lit(" at dawn. . "))).alias("stripped"),
+        T.first_sentence(F.concat(F.lit("s"), F.col("item"), F.lit(". Loudness: loud. "))).alias("sentence"))
 
 
 @register(f"SELECT id, ['quiet', 'calm and quiet', 'hushed'][(('0x' || substr(md5(concat_ws('|', '5', CAST(id AS VARCHAR))), 1, 8))::BIGINT % 3) + 1] AS phrase FROM clips", "clips")
@@ -260,7 +275,8 @@ def p30_rule_captions(resp):
           + " FROM resp", "resp")
 def p31_p32_p33_numeric(resp):
     rows = resp.withColumn("q", F.col("qty") / 500)
-    return r6(rows.select("uid", S.argmax_label(["disc", "tax", "q"]).alias("best"), S.a_weight_db(F.col("qty") * 100).alias("a_db"), S.spl_factor("qty", "la50").alias("factor"), S.db("price").alias("db")))
+    return r6(rows.select("uid", S.argmax_label(["disc", "tax", "q"]).alias("best"), S.a_weight_db(F.col("qty") * 100).alias("a_db"),
+        S.spl_factor("qty", "la50").alias("factor"), S.db("price").alias("db")))
 
 
 @register("""WITH b AS (SELECT base, avg(la50) AS base_leq FROM resp GROUP BY base), m AS (SELECT masker_type AS masker, avg(disc) AS g FROM resp GROUP BY 1), l AS (SELECT masker, unnest(range(46, 85)) AS at, g FROM m),
@@ -269,7 +285,8 @@ SELECT uid, l.at, round(g + l.at, 6) + 0.0 AS gain, round(want - (l.at + 0.25),
 def p34_mix_plan(resp):
     levels = list(range(46, 85))
     g = F.col("g")
-    maskers = resp.groupBy(F.col("masker_type").alias("masker")).agg(F.avg("disc").alias("g")).select("masker", *((g + r).alias(f"gain_{r}dB") for r in levels), *(F.lit(r + 0.25).alias(f"leq_{r}dB") for r in levels))
+    maskers = resp.groupBy(F.col("masker_type").alias("masker")).agg(F.avg("disc").alias("g")).select("masker",
+        *((g + r).alias(f"gain_{r}dB") for r in levels), *(F.lit(r + 0.25).alias(f"leq_{r}dB") for r in levels))
     bases = resp.groupBy("base").agg(F.avg("la50").alias("base_leq"))
     plan = P.mix_plan(resp.select("uid", "base", F.col("masker_type").alias("masker"), "smr"), bases, maskers, levels)
     return r6(plan.select("uid", "at", "gain", "residual_db"))
@@ -283,7 +300,8 @@ def p35_min_max(clips):
 @register("""SELECT id, CASE WHEN id % 4 = 0 THEN '/b/x' || cust || '.wav' WHEN id % 4 = 1 THEN '/a/clip' || id || '.wav' END AS path, id % 4 < 2 AS found FROM clips""", "clips")
 def p36_resolve_paths(clips):
     index = clips.where("id % 4 = 1").select(F.concat(F.lit("clip"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("/a/"), "file").alias("path"))
-    index = index.unionByName(clips.where("id % 4 = 0").select(F.concat(F.lit("x"), F.col("cust").cast("string"), F.lit("."), F.col("id").cast("string")).alias("key"), F.concat(F.lit("/b/x"), F.col("cust").cast("string"), F.lit(".wav")).alias("path")))
+    index = index.unionByName(clips.where("id % 4 = 0").select(F.concat(F.lit("x"), F.col("cust").cast("string"), F.lit("."),
+        F.col("id").cast("string")).alias("key"), F.concat(F.lit("/b/x"), F.col("cust").cast("string"), F.lit(".wav")).alias("path")))
     a, b = F.regexp_replace("file", r"\.wav$", ""), F.concat(F.lit("x"), F.col("cust").cast("string"), F.lit("."), F.col("id").cast("string"))
     return P.resolve_path(clips, [a, b], index).select("id", "path", "found")
 
@@ -300,15 +318,21 @@ def s3_loose_scan(resp):
     return j.select("base", (F.col("ok") + F.col("rejected")).alias("n"), "rejected")
 
 
-@register("SELECT 'clip' || cust AS key, arg_min(p, length(p) || p) AS path FROM (SELECT cust, '/d' || id || '/clip' || cust || '.' || (CASE WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS long FROM clips WHERE id % 5 != 0) WHERE NOT (long = 1 AND cust IN (SELECT cust FROM clips WHERE id % 5 != 0 AND id % 2 = 1)) AND p = (SELECT min(p2) FROM (SELECT cust AS c2, '/d' || id || '/clip' || cust || '.' || (CASE WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p2, id % 2 AS odd FROM clips WHERE id % 5 != 0) WHERE c2 = cust AND odd = (CASE WHEN long = 1 THEN 0 ELSE 1 END)) GROUP BY 1", "clips")
+@register("SELECT 'clip' || cust AS key, arg_min(p, length(p) || p) AS path FROM (SELECT cust, '/d' || id || '/clip' || cust || '.' || (CASE "
+    "WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS long FROM clips WHERE id % 5 != 0) WHERE NOT (long = 1 "
+    "AND cust IN (SELECT cust FROM clips WHERE id % 5 != 0 AND id % 2 = 1)) AND p = (SELECT min(p2) FROM (SELECT cust AS c2, "
+    "'/d' || id || '/clip' || cust || '.' || (CASE WHEN id % 2 = 0 THEN 'hdf.wav' ELSE 'wav' END) AS p2, id % 2 AS odd FROM clips WHERE id % 5 != 0) WHERE c2 = cust "
+    "AND odd = (CASE WHEN long = 1 THEN 0 ELSE 1 END)) GROUP BY 1", "clips")
 def s4_file_index(clips):
     ext = F.when(F.col("id") % 2 == 0, "hdf.wav").otherwise("wav")
     name = F.concat(F.lit("clip"), F.col("cust").cast("string"), F.lit("."), ext)
-    path = F.when(F.col("id") % 5 != 0, F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"), name)).when(F.col("id") % 2 == 0, F.concat(F.lit("/__MACOSX/"), name)).otherwise(F.concat(F.lit("/x/._"), name))
+    path = F.when(F.col("id") % 5 != 0, F.concat(F.lit("/d"), F.col("id").cast("string"), F.lit("/"), name)).when(F.col("id") % 2 == 0,
+        F.concat(F.lit("/__MACOSX/"), name)).otherwise(F.concat(F.lit("/x/._"), name))
     return IO.index_files(clips.select(path.alias("path")))
 
 
-@register("SELECT masker, count(*) AS n, count(price) AS known, round(sum(price), 2) + 0.0 AS total FROM (SELECT masker, CASE WHEN id % 7 = 0 THEN NULL ELSE price END AS price FROM clips) GROUP BY masker", "clips")
+@register("SELECT masker, count(*) AS n, count(price) AS known, round(sum(price), 2) + 0.0 AS total FROM (SELECT masker, CASE WHEN id % 7 = 0 THEN NULL "
+    "ELSE price END AS price FROM clips) GROUP BY masker", "clips")
 def s1_csv_scan(clips):
     """The clips as CSV with NaN where id % 7 = 0, read back with a declared schema."""
     out = fresh_path(clips.sparkSession, "s1")
@@ -331,7 +355,9 @@ def s2_multi_split_scan(clips):
 _LINES = "WITH l AS (SELECT trim(unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))), ' ') AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS no FROM docs), k AS (SELECT *, string_split(line, '|') AS f FROM l WHERE line != '' AND line NOT LIKE '#%')"
 
 
-@register(_LINES + " SELECT CAST(no AS INT) AS line_no, CASE WHEN len(f) = 3 THEN trim(f[1], ' ') ELSE 'prompt' || substr(lpad(CAST(no AS VARCHAR), greatest(2, length(CAST(no AS VARCHAR)))::INT, '0'), 1) END AS id, CASE WHEN len(f) = 3 THEN trim(f[2], ' ') END AS grp, CASE WHEN len(f) = 3 THEN trim(f[3], ' ') ELSE line END AS item FROM k", "docs")
+@register(_LINES + " SELECT CAST(no AS INT) AS line_no, CASE WHEN len(f) = 3 THEN trim(f[1], ' ') ELSE 'prompt' || substr(lpad(CAST(no AS VARCHAR), greatest(2, "
+    "length(CAST(no AS VARCHAR)))::INT, '0'), 1) END AS id, CASE WHEN len(f) = 3 THEN trim(f[2], ' ') END AS grp, CASE WHEN len(f) = 3 THEN trim(f[3], ' ') "
+    "ELSE line END AS item FROM k", "docs")
 def s5_line_lists(docs):
     """Every line of every document as a commented list's line."""
     return IO.parse_lines(docs, "text")
@@ -382,7 +408,8 @@ def s12_manifest_bundle(clips):
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count("dur").alias("long")).crossJoin(seed)
 
 
-@register("SELECT side, count(*) FILTER (WHERE dur % 5 != 0) AS ok, count(*) FILTER (WHERE dur % 5 = 0) AS failed, min(CASE WHEN dur % 5 = 0 THEN 'bad length ' || dur END) AS first_error FROM clips GROUP BY side", "clips")
+@register("SELECT side, count(*) FILTER (WHERE dur % 5 != 0) AS ok, count(*) FILTER (WHERE dur % 5 = 0) AS failed, min(CASE "
+    "WHEN dur % 5 = 0 THEN 'bad length ' || dur END) AS first_error FROM clips GROUP BY side", "clips")
 def s16_error_output(clips):
     bad = F.col("dur") % 5 == 0
     rows = clips.select("side", F.when(~bad, F.col("score")).alias("result"), F.when(bad, F.concat(F.lit("bad length "), F.col("dur").cast("string"))).alias("error"))
@@ -431,9 +458,11 @@ def f1_valid_responses(resp):
     return X.valid_responses(resp, ITEMS).select("uid", "base")
 
 
-@register("SELECT base, n_ratings FROM (SELECT base, count(*) AS n_ratings, avg(pl) AS score, max(CASE WHEN qty > 40 THEN masker END) AS path FROM resp GROUP BY base) WHERE n_ratings >= 3 AND score IS NOT NULL AND path IS NOT NULL", "resp")
+@register("SELECT base, n_ratings FROM (SELECT base, count(*) AS n_ratings, avg(pl) AS score, max(CASE WHEN qty > 40 THEN masker END) AS path FROM resp GROUP BY base) "
+    "WHERE n_ratings >= 3 AND score IS NOT NULL AND path IS NOT NULL", "resp")
 def f2_rated_usable(resp):
-    recs = R.rollup(resp.withColumn("path", F.when(F.col("qty") > 40, F.col("masker"))), ["base"], ["pl"]).join(resp.where("qty > 40").groupBy("base").agg(F.max("masker").alias("path")), "base", "left")
+    recs = R.rollup(resp.withColumn("path", F.when(F.col("qty") > 40, F.col("masker"))), ["base"],
+        ["pl"]).join(resp.where("qty > 40").groupBy("base").agg(F.max("masker").alias("path")), "base", "left")
     return X.rated_usable(recs, "n_ratings", 3, "pl", "path").select("base", "n_ratings")
 
 
@@ -443,18 +472,22 @@ def f3_f4_exclude_rules(clips):
     return X.screen(clips, rules).select("id")
 
 
-@register("""WITH s AS (SELECT base, quantile_cont(price, 0.5) AS med FROM clips GROUP BY base) SELECT clips.id FROM clips JOIN s ON s.base = clips.base WHERE med <= 250000 AND price <= 400000""", "clips")
+@register("""WITH s AS (SELECT base, quantile_cont(price, 0.5) AS med FROM clips GROUP BY base) SELECT clips.id FROM clips JOIN s ON s.base = clips.base 
+    WHERE med <= 250000 AND price <= 400000""", "clips")
 def f5_score_screens(clips):
     ok = R.group_screen(clips, "base", ["price"]).where("price_median <= 250000").select("base")
     return clips.where("price <= 400000").join(ok, "base", "left_semi").select("id")
 
 
-@register("""SELECT * FROM (VALUES (0, 'rated'), (1, 'loud enough'), (2, 'foreground')) v(step_no, step) JOIN (SELECT 0 AS step_no, count(*) AS n, sum(dur)::BIGINT AS seconds FROM clips WHERE score > -0.8 UNION ALL SELECT 1, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 UNION ALL SELECT 2, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 AND side = 'F') x USING (step_no)""", "clips")
+@register("""SELECT * FROM (VALUES (0, 'rated'), (1, 'loud enough'), (2, 'foreground')) v(step_no, step) JOIN (SELECT 0 AS step_no, count(*) AS n, 
+    sum(dur)::BIGINT AS seconds FROM clips WHERE score > -0.8 UNION ALL SELECT 1, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 UNION ALL 
+    SELECT 2, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 AND side = 'F') x USING (step_no)""", "clips")
 def f6_funnel(clips):
     return X.funnel(clips, {"rated": F.col("score") > -0.8, "loud enough": F.col("dur") > 10, "foreground": F.col("side") == "F"}, {"seconds": F.col("dur")})
 
 
-@register("SELECT doc_id FROM (SELECT *, CASE WHEN lower(text) LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN lang LIKE '%en%' THEN 1 ELSE 0 END AS n FROM docs) WHERE n >= 2 OR (source = 'src3' AND n >= 1)", "docs")
+@register("SELECT doc_id FROM (SELECT *, CASE WHEN lower(text) LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN lang LIKE '%en%' THEN 1 ELSE 0 END AS n FROM docs) "
+    "WHERE n >= 2 OR (source = 'src3' AND n >= 1)", "docs")
 def f7_f10_selection_rule(docs):
     n = X.any_substring(["text"], ["TION", "no such text"]).cast("int") + X.any_substring(["lang"], ["en"]).cast("int")
     return docs.where(X.selection_rule(n, F.col("source") == "src3", 2)).select("doc_id")
@@ -475,7 +508,8 @@ def f11_any_column(clips):
     return clips.where(X.any_column_contains(clips, "99")).select("id")
 
 
-@register("""WITH b AS (SELECT CASE WHEN dur < 5 THEN 'short' END AS a, CASE WHEN score < -0.9 THEN 'low' END AS b, CASE WHEN file LIKE '%7.wav' THEN 'seven' END AS c FROM clips), u AS (SELECT unnest([a, b, c]) AS rule FROM b) SELECT rule, count(*) AS n FROM u WHERE rule IS NOT NULL GROUP BY rule""", "clips")
+@register("""WITH b AS (SELECT CASE WHEN dur < 5 THEN 'short' END AS a, CASE WHEN score < -0.9 THEN 'low' END AS b, CASE WHEN file LIKE '%7.wav' THEN 'seven' END AS c 
+    FROM clips), u AS (SELECT unnest([a, b, c]) AS rule FROM b) SELECT rule, count(*) AS n FROM u WHERE rule IS NOT NULL GROUP BY rule""", "clips")
 def f12_f13_quality_counts(clips):
     return X.quarantine(clips, {"short": F.col("dur") < 5, "low": F.col("score") < -0.9, "seven": F.col("file").endswith("7.wav")})[2]
 
@@ -489,24 +523,31 @@ def f14_thinning(clips):
 # ---- joins
 
 
-@register("""WITH s AS (SELECT DISTINCT base FROM clips WHERE dur > 55) SELECT clips.id, s.base IS NOT NULL AS has_long, coalesce(c.nation, -1) AS nation FROM clips LEFT JOIN s ON s.base = clips.base LEFT JOIN (SELECT id AS cid, nation FROM cust WHERE id % 3 != 0) c ON c.cid = clips.cust""", "clips cust")
+@register("""WITH s AS (SELECT DISTINCT base FROM clips WHERE dur > 55) SELECT clips.id, s.base IS NOT NULL AS has_long, coalesce(c.nation, -1) AS nation FROM clips LEFT 
+    JOIN s ON s.base = clips.base LEFT JOIN (SELECT id AS cid, nation FROM cust WHERE id % 3 != 0) c ON c.cid = clips.cust""", "clips cust")
 def j1_j5_lookup_joins(clips, cust):
     j = X.lookup_default(clips, cust.where("id % 3 != 0").select(F.col("id").alias("cust"), "nation"), ["cust"], {"nation": -1})
     return X.flag_in(j, clips.where("dur > 55"), ["base"], "has_long").select("id", "has_long", "nation")
 
 
-@register("SELECT item, seed, " + q6("avg(value) FILTER (WHERE p = -1) AS lo", "avg(value) FILTER (WHERE p = 1) AS hi", "avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS delta") + " FROM grid GROUP BY item, seed HAVING count(*) FILTER (WHERE p = -1) > 0 AND count(*) FILTER (WHERE p = 1) > 0", "grid")
+@register("SELECT item, seed, " + q6("avg(value) FILTER (WHERE p = -1) AS lo", "avg(value) FILTER (WHERE p = 1) AS hi",
+    "avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS delta") + " FROM grid "
+    "GROUP BY item, seed HAVING count(*) FILTER (WHERE p = -1) > 0 AND count(*) FILTER (WHERE p = 1) > 0", "grid")
 def j6_paired_delta(grid):
     return r6(X.paired_delta(grid, ["item", "seed"], "p", -1.0, 1.0, "value"))
 
 
-@register("""WITH e AS (SELECT item, seed, avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS d, user_id % 2 AS half FROM grid GROUP BY item, seed, user_id % 2) SELECT a.item, a.seed, """ + q6("a.d AS d0", "b.d AS d1") + " FROM e a JOIN e b ON a.item = b.item AND a.seed // 2 = b.seed // 2 AND a.half = 0 AND b.half = 1 WHERE a.d IS NOT NULL AND b.d IS NOT NULL", "grid")
+@register("""WITH e AS (SELECT item, seed, avg(value) FILTER (WHERE p = 1) - avg(value) FILTER (WHERE p = -1) AS d, user_id % 2 AS half FROM grid GROUP BY item, seed, 
+    user_id % 2) SELECT a.item, a.seed, """ + q6("a.d AS d0", "b.d AS d1") + " FROM e a "
+    "JOIN e b ON a.item = b.item AND a.seed // 2 = b.seed // 2 AND a.half = 0 AND b.half = 1 WHERE a.d IS NOT NULL AND b.d IS NOT NULL", "grid")
 def j7_j8_shared_effects(grid):
-    side = lambda h, n: X.paired_delta(grid.where(F.col("user_id") % 2 == h), ["item", "seed"], "p", -1.0, 1.0, "value").select("item", F.floor(F.col("seed") / 2).alias("half"), F.col("seed").alias(f"seed{h}"), F.col("delta").alias(n))
+    side = lambda h, n: X.paired_delta(grid.where(F.col("user_id") % 2 == h), ["item", "seed"], "p", -1.0, 1.0, "value").select("item",
+        F.floor(F.col("seed") / 2).alias("half"), F.col("seed").alias(f"seed{h}"), F.col("delta").alias(n))
     return r6(side(0, "d0").join(side(1, "d1"), ["item", "half"]).select("item", F.col("seed0").alias("seed"), "d0", "d1"))
 
 
-@register("""WITH r AS (SELECT id, masker, score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS r, count(*) OVER (PARTITION BY masker) AS n FROM clips) SELECT a.id, a.score, b.score AS mirror FROM r a JOIN r b ON a.masker = b.masker AND a.n + 1 - a.r = b.r""", "clips")
+@register("""WITH r AS (SELECT id, masker, score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS r, count(*) OVER (PARTITION BY masker) AS n FROM clips) 
+    SELECT a.id, a.score, b.score AS mirror FROM r a JOIN r b ON a.masker = b.masker AND a.n + 1 - a.r = b.r""", "clips")
 def j9_rank_mirror(clips):
     return X.rank_mirror(clips.select("id", "masker", "score"), ["masker"], "score", ["id"]).select("id", "score", "mirror")
 
@@ -516,7 +557,9 @@ def j10_complete_candidates(grid):
     return X.complete_candidates(grid, ["item", "seed", "p"], "lev", 3).select("item", "seed", "p")
 
 
-@register("""WITH i AS (SELECT DISTINCT id FROM cust), c AS (SELECT 'cust' AS key, count(DISTINCT cust) AS found FROM clips WHERE cust IN (SELECT id FROM i) UNION ALL SELECT 'base', count(DISTINCT base) FROM clips WHERE base IN (SELECT id FROM i)) SELECT key, found, found / (SELECT count(*) FROM i) AS share, found / (SELECT count(*) FROM i) >= 0.95 AS enough FROM c ORDER BY found DESC, key DESC LIMIT 1""", "clips cust")
+@register("""WITH i AS (SELECT DISTINCT id FROM cust), c AS (SELECT 'cust' AS key, count(DISTINCT cust) AS found FROM clips WHERE cust IN (SELECT id FROM i) UNION ALL 
+    SELECT 'base', count(DISTINCT base) FROM clips WHERE base IN (SELECT id FROM i)) SELECT key, found, found / (SELECT count(*) FROM i) AS share, 
+    found / (SELECT count(*) FROM i) >= 0.95 AS enough FROM c ORDER BY found DESC, key DESC LIMIT 1""", "clips cust")
 def j15_key_discovery(clips, cust):
     return X.best_key_match(clips, {"cust": F.col("cust"), "base": F.col("base")}, cust, "id", 0.95)
 
@@ -534,7 +577,8 @@ def a1_stimulus_rollup(resp):
     return r6(stimuli(resp))
 
 
-@register("""WITH n AS (SELECT nation, avg(score) AS score, count(*) AS n FROM cust GROUP BY nation) SELECT n_regionkey AS region, count(*) AS locations, sum(n)::BIGINT AS ratings, round(avg(score), 6) + 0.0 AS score FROM n JOIN nation ON n_nationkey = n.nation GROUP BY 1""", "cust nation")
+@register("""WITH n AS (SELECT nation, avg(score) AS score, count(*) AS n FROM cust GROUP BY nation) SELECT n_regionkey AS region, count(*) AS locations, 
+    sum(n)::BIGINT AS ratings, round(avg(score), 6) + 0.0 AS score FROM n JOIN nation ON n_nationkey = n.nation GROUP BY 1""", "cust nation")
 def a2_two_level_rollup(cust, nation):
     loc = R.rollup(cust, ["nation"], ["score"]).join(nation, F.col("nation") == F.col("n_nationkey"))
     return r6(loc.groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("locations"), F.sum("n_ratings").alias("ratings"), F.avg("score").alias("score")))
@@ -545,7 +589,9 @@ def a4_crosstab(clips):
     return R.crosstab(clips, "masker", "bin", S.BINS)
 
 
-@register("""WITH c AS (SELECT source, lang, count(*) AS n FROM docs GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM c) SELECT source, lang, n, round(share, 6) + 0.0 AS share, place::INT AS place FROM r WHERE place <= 3""", "docs")
+@register("""WITH c AS (SELECT source, lang, count(*) AS n FROM docs GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share, row_number() 
+    OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM c) SELECT source, lang, n, round(share, 6) + 0.0 AS share, place::INT AS place FROM r 
+    WHERE place <= 3""", "docs")
 def a5_top_shares(docs):
     return r6(R.top_share(docs, ["source"], "lang", 3))
 
@@ -555,7 +601,9 @@ def a6_distinct_counts(resp):
     return resp.groupBy("base").agg(F.count_distinct("participant").alias("people"), F.count_distinct("masker").alias("maskers"))
 
 
-@register("WITH l AS (SELECT masker_type, unnest([struct_pack(m := 'qty', v := qty::DOUBLE), struct_pack(m := 'price', v := price), struct_pack(m := 'la50', v := la50)]) AS s FROM resp) SELECT masker_type, s.m AS metric, count(s.v) AS n, " + q6("avg(s.v) AS mean", "stddev_samp(s.v) AS sd", "min(s.v) AS lo", "max(s.v) AS hi", "quantile_cont(s.v, 0.25) AS q25", "quantile_cont(s.v, 0.5) AS q50", "quantile_cont(s.v, 0.9) AS q90") + " FROM l GROUP BY ALL", "resp")
+@register("WITH l AS (SELECT masker_type, unnest([struct_pack(m := 'qty', v := qty::DOUBLE), struct_pack(m := 'price', v := price), struct_pack(m := 'la50', "
+    "v := la50)]) AS s FROM resp) SELECT masker_type, s.m AS metric, count(s.v) AS n, " + q6("avg(s.v) AS mean", "stddev_samp(s.v) AS sd",
+        "min(s.v) AS lo", "max(s.v) AS hi", "quantile_cont(s.v, 0.25) AS q25", "quantile_cont(s.v, 0.5) AS q50", "quantile_cont(s.v, 0.9) AS q90") + " FROM l GROUP BY ALL", "resp")
 def a3_a7_a12_describe(resp):
     return r6(R.describe_by(resp, ["masker_type"], ["qty", "price", "la50"], [0.25, 0.5, 0.9]))
 
@@ -577,7 +625,8 @@ def a8_a9_w11_grid_effects(grid):
     return r6(_effects(grid).drop("metric"))
 
 
-@register(_EFF + " SELECT g, count(*) AS n, count(*) FILTER (WHERE clear) AS n_clear, count(*) FILTER (WHERE clear AND ordered) AS n_clear_ordered, count(*) FILTER (WHERE clear AND NOT ordered) AS n_clear_unordered, round(quantile_cont(abs(ratio), 0.5), 6) + 0.0 AS median_ratio FROM z GROUP BY g", "grid")
+@register(_EFF + " SELECT g, count(*) AS n, count(*) FILTER (WHERE clear) AS n_clear, count(*) FILTER (WHERE clear AND ordered) AS n_clear_ordered, "
+    "count(*) FILTER (WHERE clear AND NOT ordered) AS n_clear_unordered, round(quantile_cont(abs(ratio), 0.5), 6) + 0.0 AS median_ratio FROM z GROUP BY g", "grid")
 def a10_effects_summary(grid):
     return r6(R.effects_summary(_effects(grid), ["g"]))
 
@@ -593,28 +642,34 @@ def a13_weighted_mean(resp):
     return r6(R.weighted_mean(resp, ["masker_type"], "pl", "qty").withColumn("weight", F.col("weight").cast("double")))
 
 
-@register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
+@register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level "
+    "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
 def a16_stability(grid):
     return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value"))
 
 
-@register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM r GROUP BY clip", "grid")
+@register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) "
+    "SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item, ', ' "
+    "ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM r GROUP BY clip", "grid")
 def a17_label_sets(grid):
     probs = grid.groupBy("clip", "item").agg(F.max("value").alias("p"))
     return R.label_set_scores(probs, "clip", "item", "p", {"browse": ["click", "view"], "buy": ["purchase"]})
 
 
-@register("SELECT base, count(*) AS n, " + q6("quantile_cont(price, 0.5) AS price_median", "quantile_cont(price, 0.9) AS price_p90", "quantile_cont(score, 0.5) AS score_median", "quantile_cont(score, 0.9) AS score_p90") + " FROM clips GROUP BY base", "clips")
+@register("SELECT base, count(*) AS n, " + q6("quantile_cont(price, 0.5) AS price_median", "quantile_cont(price, 0.9) AS price_p90",
+    "quantile_cont(score, 0.5) AS score_median", "quantile_cont(score, 0.9) AS score_p90") + " FROM clips GROUP BY base", "clips")
 def a18_group_screen(clips):
     return r6(R.group_screen(clips, "base", ["price", "score"]))
 
 
-@register("SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score >= t) AS n, sum(CASE WHEN score >= t THEN dur ELSE 0 END)::BIGINT AS kept FROM clips, (VALUES (-0.5), (0.0), (0.5)) v(t) GROUP BY t", "clips")
+@register("SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE score >= t) AS n, sum(CASE WHEN score >= t THEN dur ELSE 0 END)::BIGINT AS kept FROM clips, "
+    "(VALUES (-0.5), (0.0), (0.5)) v(t) GROUP BY t", "clips")
 def a19_thresholds(clips):
     return R.threshold_table(clips, "score", [-0.5, 0.0, 0.5], "dur")
 
 
-@register("WITH l AS (SELECT min(price) AS lo, max(price) AS hi FROM clips) SELECT greatest(1, least(10, ceil((price - lo) / ((hi - lo) / 10))))::INT AS bin, count(*) AS n FROM clips, l GROUP BY 1", "clips")
+@register("WITH l AS (SELECT min(price) AS lo, max(price) AS hi FROM clips) SELECT greatest(1, least(10, ceil((price - lo) / ((hi - lo) / 10))))::INT AS bin, "
+    "count(*) AS n FROM clips, l GROUP BY 1", "clips")
 def a20_histogram(clips):
     return R.histogram(clips, "price", 10)
 
@@ -624,12 +679,14 @@ def a21_combinations(clips, cust):
     return R.combinations(clips.join(cust.select(F.col("id").alias("cust")), "cust"), ["masker", "prio"], 15)
 
 
-@register("WITH g AS (SELECT text, count(*) AS n FROM docs GROUP BY text) SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, count(*) FILTER (WHERE n > 1) AS repeated, max(n) AS most FROM g WHERE text IS NOT NULL", "docs")
+@register("WITH g AS (SELECT text, count(*) AS n FROM docs GROUP BY text) SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, "
+    "count(*) FILTER (WHERE n > 1) AS repeated, max(n) AS most FROM g WHERE text IS NOT NULL", "docs")
 def a22_text_diversity(docs):
     return R.text_diversity(docs, "text")
 
 
-@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(split_part(text, '[', 1)), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
+@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(split_part(text, '[', 1)), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w "
+    "WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
 def a22_top_words(docs):
     return R.top_words(docs, "text", 50)
 
@@ -639,13 +696,16 @@ def a23_binned_mean(clips):
     return r6(R.binned_mean(clips, "score", "price", -1.0, 1.0, 10, 5))
 
 
-@register("WITH m AS (SELECT id, CASE WHEN score > 0.5 THEN 'high' WHEN score < -0.5 THEN 'low' END AS cls FROM clips) SELECT cls, metric, round(avg(v), 6) + 0.0 AS mean FROM (SELECT cls, unnest(['dur', 'price']) AS metric, unnest([dur::DOUBLE, price]) AS v FROM clips JOIN m USING (id) WHERE cls IS NOT NULL) GROUP BY ALL", "clips")
+@register("WITH m AS (SELECT id, CASE WHEN score > 0.5 THEN 'high' WHEN score < -0.5 THEN 'low' END AS cls FROM clips) SELECT cls, metric, round(avg(v), 6) + 0.0 AS mean "
+    "FROM (SELECT cls, unnest(['dur', 'price']) AS metric, unnest([dur::DOUBLE, price]) AS v FROM clips JOIN m USING (id) WHERE cls IS NOT NULL) GROUP BY ALL", "clips")
 def a24_class_means(clips):
     match = clips.select("id", F.when(F.col("score") > 0.5, "high").when(F.col("score") < -0.5, "low").alias("cls")).where("cls IS NOT NULL")
     return r6(R.class_means(clips.select("id", F.col("dur").cast("double").alias("dur"), "price"), match, "id", "cls", ["dur", "price"]).drop("n"))
 
 
-@register("WITH e AS (SELECT item, min(event_id) AS a, max(event_id) AS b FROM grid GROUP BY item), g AS (SELECT grid.item, avg(value) FILTER (WHERE event_id < a + 500) AS head, avg(value) FILTER (WHERE event_id > b - 500) AS tail FROM grid JOIN e ON e.item = grid.item GROUP BY 1) SELECT item, " + q6("head AS head", "tail AS tail", "(tail - head) / head AS change") + " FROM g", "grid")
+@register("WITH e AS (SELECT item, min(event_id) AS a, max(event_id) AS b FROM grid GROUP BY item), g AS (SELECT grid.item, "
+    "avg(value) FILTER (WHERE event_id < a + 500) AS head, avg(value) FILTER (WHERE event_id > b - 500) AS tail FROM grid JOIN e ON e.item = grid.item GROUP BY 1) "
+    "SELECT item, " + q6("head AS head", "tail AS tail", "(tail - head) / head AS change") + " FROM g", "grid")
 def a25_head_tail(grid):
     return r6(R.head_tail_mean(grid, ["item"], "event_id", "value", 500))
 
@@ -655,7 +715,8 @@ def a26_mean_ci(grid):
     return r6(R.mean_ci(grid, ["item"], "value"))
 
 
-@register("WITH a AS (SELECT item, p, avg(value) AS m FROM grid WHERE seed != 0 GROUP BY ALL), b AS (SELECT p, avg(value) AS c FROM grid WHERE seed = 0 GROUP BY p) SELECT item, a.p, " + q6("m AS mean", "c AS control") + " FROM a LEFT JOIN b ON b.p = a.p", "grid")
+@register("WITH a AS (SELECT item, p, avg(value) AS m FROM grid WHERE seed != 0 GROUP BY ALL), b AS (SELECT p, avg(value) AS c FROM grid WHERE seed = 0 GROUP BY p) "
+    "SELECT item, a.p, " + q6("m AS mean", "c AS control") + " FROM a LEFT JOIN b ON b.p = a.p", "grid")
 def a27_control_means(grid):
     return r6(R.control_means(grid.where("seed != 0"), grid.where("seed = 0"), ["item"], "p", "value"))
 
@@ -677,7 +738,10 @@ def w1_waterfill(clips):
 _RR = "row_number() OVER (PARTITION BY {by}{cell} ORDER BY " + HASH.format("id", 1) + ", id) AS r"
 
 
-@register(f"WITH q AS (SELECT bin AS g, prio AS k, count(*) AS cap, 100 AS quota FROM clips GROUP BY ALL), caps AS (SELECT * FROM q), {_FILL}, x AS (SELECT clips.*, take, {_RR.format(by='bin, prio, ', cell='masker')} FROM clips JOIN tk ON g = bin AND k = prio), y AS (SELECT *, row_number() OVER (PARTITION BY bin, prio ORDER BY r, md5(concat_ws('|', '1', masker, CAST(r AS VARCHAR))), id) AS kk FROM x) SELECT id, bin, prio FROM y WHERE kk <= take", "clips")
+@register(f"WITH q AS (SELECT bin AS g, prio AS k, "
+    f"count(*) AS cap, 100 AS quota FROM clips GROUP BY ALL), caps AS (SELECT * FROM q), {_FILL}, x AS (SELECT clips.*, take, {_RR.format(by='bin, prio, ', cell='masker')} FROM clips JOIN tk ON g = bin "
+    f"AND k = prio), y AS (SELECT *, row_number() OVER (PARTITION BY bin, prio ORDER BY r, md5(concat_ws('|', '1', masker, CAST(r AS VARCHAR))), id) AS kk FROM x) "
+    f"SELECT id, bin, prio FROM y WHERE kk <= take", "clips")
 def w2_w4_nested_balance(clips):
     """Quotas over inner keys in each outer one, cells dealt in an order that changes each round."""
     caps = clips.groupBy("bin", "prio").agg(F.count(F.lit(1)).alias("cap"))
@@ -685,7 +749,8 @@ def w2_w4_nested_balance(clips):
     return L.round_robin(clips.join(quota, ["bin", "prio"]), ["bin", "prio"], ["masker"], F.col("take"), 1, ["id"], reshuffle=True).select("id", "bin", "prio")
 
 
-@register(f"WITH x AS (SELECT *, {_RR.format(by='bin, ', cell='masker, side')} FROM clips), y AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY r, masker, side, id) AS k FROM x) SELECT id, bin FROM y WHERE k <= 200", "clips")
+@register(f"WITH x AS (SELECT *, {_RR.format(by='bin, ', cell='masker, side')} FROM clips), y AS (SELECT *, "
+    f"row_number() OVER (PARTITION BY bin ORDER BY r, masker, side, id) AS k FROM x) SELECT id, bin FROM y WHERE k <= 200", "clips")
 def w3_round_robin(clips):
     return L.round_robin(clips, ["bin"], ["masker", "side"], 200, 1, ["id"]).select("id", "bin")
 
@@ -703,27 +768,34 @@ def w6_stratified(clips):
     return L.proportional_select(clips, ["bin"], 360, 2, ["id"], rounding="rint").select("id", "bin")
 
 
-@register("WITH x AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '3', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, masker FROM x WHERE r <= 25", "clips")
+@register("WITH x AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '3', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, "
+    "masker FROM x WHERE r <= 25", "clips")
 def w7_sample_per_group(clips):
     return L.sample_per_group(clips, ["masker"], 25, 3, ["id"]).select("id", "masker")
 
 
-@register("WITH x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY md5(concat_ws('|', '4', CAST(id AS VARCHAR))), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM clips) SELECT id FROM x WHERE before < 36000", "clips")
+@register("WITH x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY md5(concat_ws('|', '4', CAST(id AS VARCHAR))), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), "
+    "0) AS before FROM clips) SELECT id FROM x WHERE before < 36000", "clips")
 def w8_time_budget(clips):
     return L.take_budget(clips, "dur", 36000, 4, ["id"]).select("id")
 
 
-@register("WITH r AS (SELECT *, md5(concat_ws('|', '4', CAST(id AS VARCHAR))) AS h, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('|', '4', CAST(id AS VARCHAR))), id) AS r FROM clips), x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY r, bin, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT id FROM x WHERE before < 36000", "clips")
+@register("WITH r AS (SELECT *, md5(concat_ws('|', '4', CAST(id AS VARCHAR))) AS h, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('|', '4', "
+    "CAST(id AS VARCHAR))), id) AS r FROM clips), x AS (SELECT id, coalesce(sum(dur) OVER (ORDER BY r, bin, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), "
+    "0) AS before FROM r) SELECT id FROM x WHERE before < 36000", "clips")
 def w8_time_budget_by_bin(clips):
     return L.take_budget(clips, "dur", 36000, 4, ["id"], by="bin").select("id")
 
 
-@register("WITH x AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '6', CAST(id AS VARCHAR))), id) AS r, (SELECT least(500, floor(count(*) * 0.2)) FROM clips) AS k FROM clips) SELECT id, r <= k AS holdout FROM x", "clips")
+@register("WITH x AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '6', CAST(id AS VARCHAR))), id) AS r, (SELECT least(500, floor(count(*) * 0.2)) "
+    "FROM clips) AS k FROM clips) SELECT id, r <= k AS holdout FROM x", "clips")
 def w9_holdout(clips):
     return L.holdout_split(clips, 500, 0.2, 6, ["id"]).select("id", "holdout")
 
 
-@register("WITH b AS (SELECT id, masker, floor((row_number() OVER (PARTITION BY masker ORDER BY score, id) - 1) * 5 / count(*) OVER (PARTITION BY masker))::INT AS band FROM clips), x AS (SELECT *, row_number() OVER (PARTITION BY masker, band ORDER BY md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id) AS r FROM b) SELECT id, masker, band FROM x WHERE r <= 4", "clips")
+@register("WITH b AS (SELECT id, masker, floor((row_number() OVER (PARTITION BY masker ORDER BY score, id) - 1) * 5 / count(*) OVER (PARTITION BY masker))::INT AS band "
+    "FROM clips), x AS (SELECT *, row_number() OVER (PARTITION BY masker, band ORDER BY md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id) AS r FROM b) SELECT id, "
+    "masker, band FROM x WHERE r <= 4", "clips")
 def w10_quantile_bands(clips):
     return L.quantile_bands(clips, ["masker"], "score", 5, 4, 7, ["id"]).select("id", "masker", "band")
 
@@ -737,17 +809,22 @@ def spectrum(emb: DataFrame) -> DataFrame:
     return p.select("clip", ((F.col("i") + 1) * 60).cast("long").alias("freq"), (F.col("x").cast("double") * F.col("x").cast("double")).alias("power"))
 
 
-@register(f"WITH {_SPECTRUM}, r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM spectrum) SELECT clip, min(freq) FILTER (WHERE s >= 0.7) AS rolloff FROM r GROUP BY clip", "embeddings")
+@register(f"WITH {_SPECTRUM}, r AS (SELECT clip, freq, sum(power) "
+    f"OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM spectrum) SELECT clip, min(freq) FILTER (WHERE s >= 0.7) AS rolloff FROM r "
+    f"GROUP BY clip", "embeddings")
 def w12_cumulative_share(emb):
     return R.cumulative_threshold(spectrum(emb), ["clip"], "freq", "power", 0.7)
 
 
-@register("SELECT event_id, coalesce(last_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM grid", "grid")
+@register("SELECT event_id, coalesce(last_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    "first_value(gappy IGNORE NULLS) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM grid", "grid")
 def w13_fill(grid):
     return R.fill(grid, ["item"], ["event_id"], "gappy").select("event_id", F.col("gappy").alias("filled"))
 
 
-@register("WITH f AS (SELECT clip, event_id, (value > 50)::INT AS f FROM grid), o AS (SELECT *, (coalesce(lag(f) OVER w, 0) + f + coalesce(lead(f) OVER w, 0) >= 2)::INT AS o FROM f WINDOW w AS (PARTITION BY clip ORDER BY event_id)), s AS (SELECT *, lag(o) OVER (PARTITION BY clip ORDER BY event_id) AS was FROM o) SELECT clip, round(avg(f), 6) + 0.0 AS on_share, count(*) FILTER (WHERE o != was) AS switches FROM s GROUP BY clip", "grid")
+@register("WITH f AS (SELECT clip, event_id, (value > 50)::INT AS f FROM grid), o AS (SELECT *, (coalesce(lag(f) OVER w, 0) + f + coalesce(lead(f) OVER w, "
+    "0) >= 2)::INT AS o FROM f WINDOW w AS (PARTITION BY clip ORDER BY event_id)), s AS (SELECT *, lag(o) OVER (PARTITION BY clip ORDER BY event_id) AS was FROM o) "
+    "SELECT clip, round(avg(f), 6) + 0.0 AS on_share, count(*) FILTER (WHERE o != was) AS switches FROM s GROUP BY clip", "grid")
 def w14_switches(grid):
     return r6(R.switch_count(grid, ["clip"], ["event_id"], F.col("value") > 50))
 
@@ -757,7 +834,10 @@ def w15_average_rank(clips):
     return clips.select("id", R.avg_rank("dur", ["masker"]).alias("rank"))
 
 
-@register("WITH g AS (SELECT item, seed, avg(value) AS v FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY v, seed) AS r, count(*) OVER (PARTITION BY item) AS n FROM g), m AS (SELECT item, median(v) AS med FROM g GROUP BY item) SELECT r.item, max(seed) FILTER (WHERE r = 1) AS low, max(seed) FILTER (WHERE r = n // 2 + 1) AS mid, max(seed) FILTER (WHERE r = n) AS high, arg_min(seed, (abs(v - med), seed)) AS nearest FROM r JOIN m ON m.item = r.item GROUP BY r.item", "grid")
+@register("WITH g AS (SELECT item, seed, avg(value) AS v FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY v, seed) AS r, count(*) "
+    "OVER (PARTITION BY item) AS n FROM g), m AS (SELECT item, median(v) AS med FROM g GROUP BY item) SELECT r.item, max(seed) FILTER (WHERE r = 1) AS low, "
+    "max(seed) FILTER (WHERE r = n // 2 + 1) AS mid, max(seed) FILTER (WHERE r = n) AS high, arg_min(seed, (abs(v - med), seed)) AS nearest FROM r "
+    "JOIN m ON m.item = r.item GROUP BY r.item", "grid")
 def w17_w18_picks(grid):
     g = grid.groupBy("item", "seed").agg(F.avg("value").alias("v"))
     return R.pick_low_mid_high(g, ["item"], "seed", "v").join(R.closest_to_median(g, ["item"], "seed", "v").drop("median"), "item")
@@ -780,17 +860,24 @@ def _rank_sql(col: str, part: str) -> str:
     return f"rank() OVER (PARTITION BY {part} ORDER BY {col}) + (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0"
 
 
-@register(f"WITH r AS (SELECT clip, p, value, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry FROM grid) SELECT clip, round(corr(rx, ry), 6) + 0.0 AS rho, count(*) AS n FROM r GROUP BY clip HAVING count(DISTINCT p) > 2 AND count(DISTINCT value) > 1", "grid")
+@register(f"WITH r AS (SELECT clip, p, value, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry FROM grid) SELECT clip, "
+    f"round(corr(rx, ry), 6) + 0.0 AS rho, count(*) AS n FROM r GROUP BY clip HAVING count(DISTINCT p) > 2 AND count(DISTINCT value) > 1", "grid")
 def t1_spearman(grid):
     return r6(ST.spearman_by(grid.where("p IS NOT NULL"), ["clip"], "p", "value", 3))
 
 
-@register(f"WITH r AS (SELECT clip, lev, p, value, {_rank_sql('p', 'clip, lev')} AS rx, {_rank_sql('value', 'clip, lev')} AS ry FROM grid), c AS (SELECT clip, lev, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT lev, count(*) FILTER (WHERE round(rho, 12) > 0) AS n_pos, count(*) FILTER (WHERE round(rho, 12) < 0) AS n_neg, round(avg(rho), 6) + 0.0 AS mean_rho FROM c GROUP BY lev", "grid")
+@register(f"WITH r AS (SELECT clip, lev, p, value, {_rank_sql('p', 'clip, lev')} AS rx, {_rank_sql('value', 'clip, lev')} AS ry FROM grid), c AS (SELECT clip, "
+    f"lev, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT lev, count(*) FILTER (WHERE round(rho, "
+    f"12) > 0) AS n_pos, count(*) FILTER (WHERE round(rho, 12) < 0) AS n_neg, round(avg(rho), 6) + 0.0 AS mean_rho FROM c GROUP BY lev", "grid")
 def t1_sign_counts(grid):
     return r6(ST.sign_counts(ST.spearman_by(grid, ["clip", "lev"], "p", "value"), ["lev"]))
 
 
-@register("SELECT seg, count(*) AS n, " + q6("avg(bal / 10001 - score) AS bias", "corr(score, bal / 10001 + nation) AS r", "stddev_samp(bal / 10001 + nation) / stddev_samp(score) AS spread").replace("avg(bal / 10001 - score)", "avg(bal / 10001 + nation - score)") + ", " + q6("1 - avg((score - bal / 10001 - nation) ** 2) / var_pop(score) AS r2", "1 - (avg((score - bal / 10001 - nation) ** 2) - avg(bal / 10001 + nation - score) ** 2) / var_pop(score) AS r2_centred", "sqrt(avg((score - bal / 10001 - nation) ** 2)) AS rmse") + " FROM cust GROUP BY seg", "cust")
+@register("SELECT seg, count(*) AS n, " + q6("avg(bal / 10001 - score) AS bias", "corr(score, bal / 10001 + nation) AS r",
+    "stddev_samp(bal / 10001 + nation) / stddev_samp(score) AS spread").replace("avg(bal / 10001 - score)",
+        "avg(bal / 10001 + nation - score)") + ", " + q6("1 - avg((score - bal / 10001 - nation) ** 2) / var_pop(score) AS r2",
+            "1 - (avg((score - bal / 10001 - nation) ** 2) - avg(bal / 10001 + nation - score) ** 2) / var_pop(score) AS r2_centred",
+                "sqrt(avg((score - bal / 10001 - nation) ** 2)) AS rmse") + " FROM cust GROUP BY seg", "cust")
 def t2_t21_fit_quality(cust):
     return r6(ST.fit_quality(cust.withColumn("pred", F.col("bal") / 10001 + F.col("nation")), ["seg"], "score", "pred"))
 
@@ -810,12 +897,18 @@ def t4_correlation_p(resp):
     return r6(ST.adjust_p(ST.correlation_p(ST.spearman_matrix(resp, _MATX, _MATY)), [], "p", "bh", ["x", "y"]))
 
 
-@register("WITH p AS (SELECT id, masker, price / 1000000 AS p, count(*) OVER (PARTITION BY masker) AS m, row_number() OVER (PARTITION BY masker ORDER BY price / 1000000, id) AS k FROM clips), q AS (SELECT *, p * m / k AS q FROM p), a AS (SELECT *, least(1.0, min(q) OVER (PARTITION BY masker ORDER BY p DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM q) SELECT id, round(adj, 6) + 0.0 AS p_adj, CASE WHEN adj < 0.001 THEN '***' WHEN adj < 0.01 THEN '**' WHEN adj < 0.05 THEN '*' ELSE '' END AS stars FROM a", "clips")
+@register("WITH p AS (SELECT id, masker, price / 1000000 AS p, count(*) OVER (PARTITION BY masker) AS m, row_number() OVER (PARTITION BY masker ORDER BY price / 1000000, "
+    "id) AS k FROM clips), q AS (SELECT *, p * m / k AS q FROM p), a AS (SELECT *, least(1.0, min(q) OVER (PARTITION BY masker ORDER BY p DESC, "
+    "id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM q) SELECT id, round(adj, 6) + 0.0 AS p_adj, CASE WHEN adj < 0.001 THEN '***' "
+    "WHEN adj < 0.01 THEN '**' WHEN adj < 0.05 THEN '*' ELSE '' END AS stars FROM a", "clips")
 def t4_benjamini_hochberg(clips):
     return r6(ST.adjust_p(clips.select("id", "masker", (F.col("price") / 1000000).alias("p")), ["masker"], "p", "bh", ["id"]).select("id", "p_adj", "stars"))
 
 
-@register("WITH a AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 0 GROUP BY ALL), b AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 1 GROUP BY ALL), j AS (SELECT a.v AS x, b.v AS y FROM a JOIN b ON a.item = b.item AND a.seed = b.seed), r AS (SELECT x, y, rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) AS ry FROM j) SELECT count(*) AS n, " + q6("corr(rx, ry) AS rho", "avg((sign(x) = sign(y))::INT) AS same_sign", "regr_slope(y, x) AS slope", "avg(abs(x - y)) AS mad") + " FROM r", "grid")
+@register("WITH a AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 0 GROUP BY ALL), b AS (SELECT item, seed, avg(value) - 50 AS v FROM grid WHERE lev = 1 "
+    "GROUP BY ALL), j AS (SELECT a.v AS x, b.v AS y FROM a JOIN b ON a.item = b.item AND a.seed = b.seed), r AS (SELECT x, y, rank() OVER (ORDER BY x) AS rx, rank() "
+    "OVER (ORDER BY y) AS ry FROM j) SELECT count(*) AS n, " + q6("corr(rx, ry) AS rho", "avg((sign(x) = sign(y))::INT) AS same_sign",
+        "regr_slope(y, x) AS slope", "avg(abs(x - y)) AS mad") + " FROM r", "grid")
 def t5_matrix_similarity(grid):
     m = lambda k: grid.where(F.col("lev") == k).groupBy("item", "seed").agg((F.avg("value") - 50).alias("v"))
     return r6(ST.matrix_similarity(m(0), m(1), ["item", "seed"], "v"))
@@ -832,7 +925,8 @@ def _reps_sql(name: str, rows: str, keys: list[str], value: str, n: int, seed: i
 _BOOT = "WITH w AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), "
 
 
-@register(_BOOT + _reps_sql("b", "w", ["item"], "v", 2000, 11, "user_id") + ", ci AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY item) SELECT w.item, count(*) AS n, " + q6("avg(v) AS mean", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM w JOIN ci ON ci.item = w.item GROUP BY w.item", "grid")
+@register(_BOOT + _reps_sql("b", "w", ["item"], "v", 2000, 11, "user_id") + ", ci AS (SELECT item, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b "
+    "GROUP BY item) SELECT w.item, count(*) AS n, " + q6("avg(v) AS mean", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM w JOIN ci ON ci.item = w.item GROUP BY w.item", "grid")
 def t6_bootstrap_mean(grid):
     """Resampling is over users; rows are averaged per user first."""
     c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v"))
@@ -843,7 +937,9 @@ _CL = "WITH c AS (SELECT nation, count(*) AS n, sum(score) AS sx, sum(bal % 97)
 _R = "(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))"
 
 
-@register(_CL + f"b AS (SELECT rep, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM s JOIN w ON w.i = s.j GROUP BY rep), t AS (SELECT sum(n)::BIGINT AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM c) SELECT {q6(_R + ' AS r')}, n, {q6(f'(SELECT quantile_cont({_R}, 0.025) FROM b) AS lo', f'(SELECT quantile_cont({_R}, 0.975) FROM b) AS hi')} FROM t", "cust")
+@register(_CL + f"b AS (SELECT rep, sum(n) AS n, "
+    f"sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM s JOIN w ON w.i = s.j GROUP BY rep), t AS (SELECT sum(n)::BIGINT AS n, "
+    f"sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM c) SELECT {q6(_R + ' AS r')}, n, {q6(f'(SELECT quantile_cont({_R}, 0.025) FROM b) AS lo', f'(SELECT quantile_cont({_R}, 0.975) FROM b) AS hi')} FROM t", "cust")
 def t7_cluster_bootstrap(cust):
     return r6(ST.cluster_bootstrap(cust.withColumn("y", F.col("bal") % 97), "nation", "score", "y", 300, 12))
 
@@ -851,7 +947,8 @@ def t7_cluster_bootstrap(cust):
 _PB = "WITH c AS (SELECT nation, count(*) AS n, sum(score) AS so, sum(score * score) AS soo, sum((score - a) ** 2) AS ea, sum((score - b) ** 2) AS eb FROM (SELECT *, nation / 25 AS a, nation / 24 + 0.01 AS b FROM cust) GROUP BY nation), w AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS i, count(*) OVER () AS k FROM c), s AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', '13', CAST(rep AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % k AS j FROM w, (SELECT unnest(range(0, 300)) AS rep)), b AS (SELECT rep, (sum(ea) - sum(eb)) / (sum(soo) - sum(so) * sum(so) / sum(n)) AS d FROM s JOIN w ON w.i = s.j GROUP BY rep) "
 
 
-@register(_PB + "SELECT " + q6("(SELECT (sum(ea) - sum(eb)) / (sum(soo) - sum(so) * sum(so) / sum(n)) FROM c) AS diff", "quantile_cont(d, 0.025) AS lo", "quantile_cont(d, 0.975) AS hi", "least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))) AS p") + " FROM b", "cust")
+@register(_PB + "SELECT " + q6("(SELECT (sum(ea) - sum(eb)) / (sum(soo) - sum(so) * sum(so) / sum(n)) FROM c) AS diff", "quantile_cont(d, 0.025) AS lo", "quantile_cont(d, 0.975) AS hi", "least(1.0, "
+    "2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))) AS p") + " FROM b", "cust")
 def t8_paired_bootstrap(cust):
     return r6(ST.paired_bootstrap(cust.withColumn("a", F.col("nation") / 25).withColumn("b", F.col("nation") / 24 + 0.01), "nation", "score", "a", "b", 300, 13))
 
@@ -859,14 +956,18 @@ def t8_paired_bootstrap(cust):
 _GAP = "WITH c AS (SELECT item, user_id, avg(value) AS v FROM grid GROUP BY ALL), wa AS (SELECT * FROM c WHERE user_id % 2 = 0), wb AS (SELECT * FROM c WHERE user_id % 2 = 1), "
 
 
-@register(_GAP + _reps_sql("ra", "wa", ["item"], "v", 2000, 14, "user_id") + ", " + _reps_sql("rb", "wb", ["item"], "v", 2000, 15, "user_id") + ", d AS (SELECT ra.item, quantile_cont(ra.m - rb.m, 0.025) AS lo, quantile_cont(ra.m - rb.m, 0.975) AS hi FROM ra JOIN rb ON ra.item = rb.item AND ra.rep = rb.rep GROUP BY ra.item) SELECT d.item, " + q6("(SELECT avg(v) FROM wa WHERE wa.item = d.item) - (SELECT avg(v) FROM wb WHERE wb.item = d.item) AS gap", "lo AS lo", "hi AS hi") + " FROM d", "grid")
+@register(_GAP + _reps_sql("ra", "wa", ["item"], "v", 2000, 14, "user_id") + ", " + _reps_sql("rb", "wb", ["item"], "v", 2000, 15, "user_id") + ", d AS (SELECT ra.item, "
+    "quantile_cont(ra.m - rb.m, 0.025) AS lo, quantile_cont(ra.m - rb.m, 0.975) AS hi FROM ra JOIN rb ON ra.item = rb.item AND ra.rep = rb.rep GROUP BY ra.item) "
+    "SELECT d.item, " + q6("(SELECT avg(v) "
+    "FROM wa WHERE wa.item = d.item) - (SELECT avg(v) FROM wb WHERE wb.item = d.item) AS gap", "lo AS lo", "hi AS hi") + " FROM d", "grid")
 def t9_gap_bootstrap(grid):
     """The two samples are the users with even and with odd ids."""
     c = grid.groupBy("item", "user_id").agg(F.avg("value").alias("v"))
     return r6(ST.gap_bootstrap(c.where("user_id % 2 = 0"), c.where("user_id % 2 = 1"), ["item"], "v", 2000, 14, ["user_id"]))
 
 
-@register("SELECT masker, " + q6("regr_slope(price, score) AS slope", "regr_intercept(price, score) AS intercept", "regr_r2(price, score) AS r2", "regr_slope(price, score) * 1.5 AS expected") + " FROM clips GROUP BY masker", "clips")
+@register("SELECT masker, " + q6("regr_slope(price, score) AS slope", "regr_intercept(price, score) AS intercept", "regr_r2(price, score) AS r2",
+    "regr_slope(price, score) * 1.5 AS expected") + " FROM clips GROUP BY masker", "clips")
 def t10_line_fit(clips):
     return r6(ST.line_fit(clips, ["masker"], "score", "price", -0.75, 0.75))
 
@@ -874,27 +975,38 @@ def t10_line_fit(clips):
 @register("""WITH t AS (SELECT item, count(*) AS n_train, regr_slope(value, p) AS slope, regr_intercept(value, p) AS intercept, avg(value) FILTER (WHERE p BETWEEN 0.5 AND 0.9) - avg(value) FILTER (WHERE p BETWEEN -0.9 AND -0.5) AS extreme_delta FROM grid WHERE lev = 0 GROUP BY item),
 pr AS (SELECT item, clip, avg(value) FILTER (WHERE p = 0.5) - avg(value) FILTER (WHERE p = -0.5) AS d FROM grid WHERE lev = 1 GROUP BY ALL), g AS (SELECT item, avg(d) AS generated, count(d) AS n_pairs FROM pr WHERE d IS NOT NULL GROUP BY item),
 m AS (SELECT item, avg(value) FILTER (WHERE p = -0.5) AS a, avg(value) FILTER (WHERE p = 0) AS b, avg(value) FILTER (WHERE p = 0.5) AS c FROM grid WHERE lev = 1 GROUP BY item)
-SELECT t.item, n_train, n_pairs, """ + q6("slope AS slope", "intercept AS intercept", "extreme_delta AS extreme_delta", "slope * 1.0 AS expected", "generated AS generated", "CASE WHEN abs(slope) > 1e-9 THEN generated / slope END AS ratio", "a - (intercept - 0.5 * slope) AS bias_lo", "b - intercept AS bias_mid", "c - (intercept + 0.5 * slope) AS bias_hi") + " FROM t JOIN g ON g.item = t.item JOIN m ON m.item = t.item", "grid")
+SELECT t.item, n_train, n_pairs, """ + q6("slope AS slope", "intercept AS intercept", "extreme_delta AS extreme_delta", "slope * 1.0 AS expected", "generated AS generated", "CASE "
+    "WHEN abs(slope) > 1e-9 THEN generated / slope END AS ratio", "a - (intercept - 0.5 * slope) AS bias_lo", "b - intercept AS bias_mid",
+        "c - (intercept + 0.5 * slope) AS bias_hi") + " FROM t JOIN g ON g.item = t.item JOIN m ON m.item = t.item", "grid")
 def t10_effect_against_fit(grid):
     return r6(ST.effect_against_fit(grid.where("lev = 0"), grid.where("lev = 1"), ["item"], "p", "value", "p", "value", ["clip"], -0.5, 0.5))
 
 
-@register(f"WITH r AS (SELECT clip, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry, p, value FROM grid), c AS (SELECT corr(rx, ry) AS rho FROM r GROUP BY clip HAVING count(*) >= 20 AND count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT round(median(rho), 6) + 0.0 AS median_rho, count(*) AS groups FROM c", "grid")
+@register(f"WITH r AS (SELECT clip, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry, p, value FROM grid), "
+    f"c AS (SELECT corr(rx, ry) AS rho FROM r GROUP BY clip HAVING count(*) >= 20 AND count(DISTINCT p) > 1 AND count(DISTINCT value) > 1) SELECT round(median(rho), "
+    f"6) + 0.0 AS median_rho, count(*) AS groups FROM c", "grid")
 def t11_within_group_rho(grid):
     return r6(ST.within_group_rho(grid, "clip", "p", "value", 20))
 
 
-@register("WITH g AS (SELECT bin, count(*) AS n, sum(price) AS s, sum(price * price) AS ss FROM clips GROUP BY bin), t AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, sum(ss) - sum(s) * sum(s) / sum(n) AS tot, sum(ss) - sum(s * s / n) AS win FROM g) SELECT n, k, " + q6("1 - win / tot AS eta2", "1 - (win / tot) * (n - 1) / (n - k) AS eta2_adj", "sqrt(win / (n - k)) AS sd_within") + " FROM t", "clips")
+@register("WITH g AS (SELECT bin, count(*) AS n, sum(price) AS s, sum(price * price) AS ss FROM clips GROUP BY bin), t AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, "
+    "sum(ss) - sum(s) * sum(s) / sum(n) AS tot, sum(ss) - sum(s * s / n) AS win FROM g) SELECT n, k, " + q6("1 - win / tot AS eta2",
+        "1 - (win / tot) * (n - 1) / (n - k) AS eta2_adj", "sqrt(win / (n - k)) AS sd_within") + " FROM t", "clips")
 def t12_eta_squared(clips):
     return r6(ST.eta_squared(clips, "bin", "price"))
 
 
-@register("WITH c AS (SELECT corr(qty, price) AS a, corr(qty, la50) AS b, corr(price, la50) AS c FROM resp) SELECT round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) + 0.0 AS partial_r FROM c", "resp")
+@register("WITH c AS (SELECT corr(qty, price) AS a, corr(qty, la50) AS b, corr(price, la50) AS c FROM resp) SELECT round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), "
+    "6) + 0.0 AS partial_r FROM c", "resp")
 def t13_partial_corr(resp):
     return r6(ST.partial_corr(resp, "qty", "price", "la50"))
 
 
-@register("WITH j AS (SELECT lang, quality AS q, n_chars FROM labels JOIN docs ON docs.doc_id = labels.doc_id), r AS (SELECT lang, q, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM j) SELECT lang, count(*) FILTER (WHERE q = 1) AS n_pos, count(*) FILTER (WHERE q != 1) AS n_neg, round((sum(r) FILTER (WHERE q = 1) - count(*) FILTER (WHERE q = 1) * (count(*) FILTER (WHERE q = 1) + 1) / 2) / (count(*) FILTER (WHERE q = 1) * count(*) FILTER (WHERE q != 1)), 6) + 0.0 AS auc FROM r GROUP BY lang HAVING count(*) FILTER (WHERE q = 1) > 0 AND count(*) FILTER (WHERE q != 1) > 0", "docs labels")
+@register("WITH j AS (SELECT lang, quality AS q, n_chars FROM labels JOIN docs ON docs.doc_id = labels.doc_id), r AS (SELECT lang, q, rank() OVER (PARTITION BY lang "
+    "ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM j) SELECT lang, count(*) FILTER (WHERE q = 1) AS n_pos, "
+    "count(*) FILTER (WHERE q != 1) AS n_neg, "
+    "round((sum(r) FILTER (WHERE q = 1) - count(*) FILTER (WHERE q = 1) * (count(*) FILTER (WHERE q = 1) + 1) / 2) / (count(*) FILTER (WHERE q = 1) * count(*) FILTER (WHERE q != 1)), "
+    "6) + 0.0 AS auc FROM r GROUP BY lang HAVING count(*) FILTER (WHERE q = 1) > 0 AND count(*) FILTER (WHERE q != 1) > 0", "docs labels")
 def t14_auc(docs, labels):
     return r6(ST.auc(labels.join(docs, "doc_id"), ["lang"], "quality", "n_chars"))
 
@@ -922,12 +1034,15 @@ def j12_t16_caption_z(emb):
     return r6(E.caption_z(*_audio_captions(emb), "clip"))
 
 
-@register(_ZSQL + "SELECT o.clip, o.cap, round(avg((round(s.sim, 12) < round(o.sim, 12))::INT), 6) + 0.0 AS pct FROM s o JOIN s ON s.clip = o.clip AND s.clip != s.other WHERE o.clip = o.other GROUP BY ALL", "embeddings")
+@register(_ZSQL + "SELECT o.clip, o.cap, round(avg((round(s.sim, 12) < round(o.sim, 12))::INT), 6) + 0.0 AS pct FROM s o JOIN s ON s.clip = o.clip AND s.clip != s.other "
+    "WHERE o.clip = o.other GROUP BY ALL", "embeddings")
 def t16_caption_percentile(emb):
     return r6(E.caption_percentile(*_audio_captions(emb), "clip").select("clip", "cap", "pct"))
 
 
-@register(_ZSQL + ", z AS (SELECT s.clip, s.cap, (sim - mu) / (sd + 1e-9) AS z FROM s JOIN m ON m.clip = s.clip WHERE s.clip = other) SELECT clip, arg_max(cap, (z, -cap)) AS best, round(max(z), 6) + 0.0 AS best_z, count(*) FILTER (WHERE z >= 0.1) AS n_over, coalesce(string_agg('text ' || cap, ' || ' ORDER BY z DESC, cap) FILTER (WHERE z >= 0.1), '') AS texts FROM z GROUP BY clip", "embeddings")
+@register(_ZSQL + ", z AS (SELECT s.clip, s.cap, (sim - mu) / (sd + 1e-9) AS z FROM s JOIN m ON m.clip = s.clip WHERE s.clip = other) SELECT clip, arg_max(cap, (z, "
+    "-cap)) AS best, round(max(z), 6) + 0.0 AS best_z, count(*) FILTER (WHERE z >= 0.1) AS n_over, coalesce(string_agg('text ' || cap, ' || ' ORDER BY z DESC, "
+    "cap) FILTER (WHERE z >= 0.1), '') AS texts FROM z GROUP BY clip", "embeddings")
 def w16_best_caption(emb):
     audio, caps = _audio_captions(emb)
     texts = caps.select("clip", "cap", F.concat(F.lit("text "), F.col("cap").cast("string")).alias("text"))
@@ -943,52 +1058,67 @@ def prototypes(emb: DataFrame) -> DataFrame:
 _PROTO = "WITH el AS (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), av AS (SELECT label, i, avg(x) AS x FROM el GROUP BY ALL), pr AS (SELECT label AS name, list(x ORDER BY i) AS proto FROM av GROUP BY label), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT vec_id, name, list_dot_product(v, proto) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(proto, proto)) AS c FROM e, pr)"
 
 
-@register(_PROTO + ", s AS (SELECT *, 5 * c - max(5 * c) OVER (PARTITION BY vec_id) AS d FROM cs) SELECT vec_id, name, round(exp(d) / sum(exp(d)) OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM s", "embeddings")
+@register(_PROTO + ", s AS (SELECT *, 5 * c - max(5 * c) OVER (PARTITION BY vec_id) AS d FROM cs) SELECT vec_id, name, round(exp(d) / sum(exp(d)) "
+    "OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM s", "embeddings")
 def j13_t17_prototype_softmax(emb):
     p = prototypes(emb).withColumnRenamed("label", "name")
     return r6(E.prototype_softmax(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"], temp=5.0))
 
 
-@register(_PROTO + ", s AS (SELECT vec_id, 'set' || (name % 3) AS source, avg(c) AS raw FROM cs GROUP BY ALL) SELECT vec_id, source, round(raw - avg(raw) OVER (PARTITION BY vec_id), 6) + 0.0 AS score FROM s", "embeddings")
+@register(_PROTO + ", s AS (SELECT vec_id, 'set' || (name % 3) AS source, avg(c) AS raw FROM cs GROUP BY ALL) SELECT vec_id, source, round(raw - avg(raw) "
+    "OVER (PARTITION BY vec_id), 6) + 0.0 AS score FROM s", "embeddings")
 def t18_source_scores(emb):
     p = prototypes(emb).select(F.concat(F.lit("set"), (F.col("label") % 3).cast("string")).alias("source"), "proto")
     return r6(E.source_scores(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"]))
 
 
-@register(_PROTO + ", d AS (SELECT vec_id, name, list_sum(list_transform(list_zip(v, proto), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM e, pr) SELECT vec_id, arg_min(name, (d, name)) AS name, round(min(d), 6) + 0.0 AS d2 FROM d GROUP BY vec_id", "embeddings")
+@register(_PROTO + ", d AS (SELECT vec_id, name, list_sum(list_transform(list_zip(v, proto), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM e, pr) SELECT vec_id, "
+    "arg_min(name, (d, name)) AS name, round(min(d), 6) + 0.0 AS d2 FROM d GROUP BY vec_id", "embeddings")
 def j14_nearest_centroid(emb):
     p = prototypes(emb).withColumnRenamed("label", "name")
     return r6(E.nearest_prototype(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"]))
 
 
-@register(_PROTO + " SELECT a.name AS a_name, b.name AS b_name, round(1 - list_dot_product(a.proto, b.proto) / sqrt(list_dot_product(a.proto, a.proto)) / sqrt(list_dot_product(b.proto, b.proto)), 6) + 0.0 AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name", "embeddings")
+@register(_PROTO + " SELECT a.name AS a_name, b.name AS b_name, round(1 - list_dot_product(a.proto, b.proto) / sqrt(list_dot_product(a.proto, "
+    "a.proto)) / sqrt(list_dot_product(b.proto, b.proto)), 6) + 0.0 AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name", "embeddings")
 def t29_pairwise_distance(emb):
     return r6(E.pairwise_distance(prototypes(emb).withColumn("name", F.col("label")), "name", "proto", "label"))
 
 
-@register("WITH el AS (SELECT vec_id % 40 AS clip, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT clip, i, avg(x) AS x FROM el GROUP BY ALL), n AS (SELECT clip, sqrt(sum(x * x)) AS n FROM a GROUP BY clip) SELECT a.clip, i, round(x / n, 6) + 0.0 AS x FROM a JOIN n ON n.clip = a.clip", "embeddings")
+@register("WITH el AS (SELECT vec_id % 40 AS clip, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT clip, i, avg(x) AS x FROM el "
+    "GROUP BY ALL), n AS (SELECT clip, sqrt(sum(x * x)) AS n FROM a GROUP BY clip) SELECT a.clip, i, round(x / n, 6) + 0.0 AS x FROM a JOIN n ON n.clip = a.clip", "embeddings")
 def a28_s8_mean_embedding(emb):
     m = R.mean_embedding(emb.select((F.col("vec_id") % 40).alias("clip"), "embedding"), ["clip"], "embedding")
     return r6(m.select("clip", F.posexplode("embedding").alias("i", "x")))
 
 
-@register("WITH u AS (SELECT lev, value AS v, (item = 'click')::INT AS a FROM grid WHERE item IN ('click', 'view')), t AS (SELECT lev, sum(a) AS ta, sum(1 - a) AS tb FROM u GROUP BY lev), c AS (SELECT u.lev, v, sum(sum(a)) OVER (PARTITION BY u.lev ORDER BY v) / any_value(ta) AS fa, sum(sum(1 - a)) OVER (PARTITION BY u.lev ORDER BY v) / any_value(tb) AS fb FROM u JOIN t ON t.lev = u.lev GROUP BY u.lev, v) SELECT c.lev, round(max(abs(fa - fb)), 6) + 0.0 AS ks, any_value(ta)::BIGINT AS n_a, any_value(tb)::BIGINT AS n_b FROM c JOIN t ON t.lev = c.lev GROUP BY c.lev HAVING any_value(ta) >= 5 AND any_value(tb) >= 5", "grid")
+@register("WITH u AS (SELECT lev, value AS v, (item = 'click')::INT AS a FROM grid WHERE item IN ('click', 'view')), t AS (SELECT lev, sum(a) AS ta, sum(1 - a) AS tb "
+    "FROM u GROUP BY lev), c AS (SELECT u.lev, v, sum(sum(a)) OVER (PARTITION BY u.lev ORDER BY v) / any_value(ta) AS fa, sum(sum(1 - a)) OVER (PARTITION BY u.lev "
+    "ORDER BY v) / any_value(tb) AS fb FROM u JOIN t ON t.lev = u.lev GROUP BY u.lev, v) SELECT c.lev, round(max(abs(fa - fb)), 6) + 0.0 AS ks, "
+    "any_value(ta)::BIGINT AS n_a, any_value(tb)::BIGINT AS n_b FROM c JOIN t ON t.lev = c.lev GROUP BY c.lev HAVING any_value(ta) >= 5 AND any_value(tb) >= 5", "grid")
 def t19_ks(grid):
     return r6(ST.ks(grid.where("item IN ('click', 'view')"), ["lev"], F.col("item") == "click", "value"))
 
 
-@register("WITH f AS (SELECT id, avg(score) AS p FROM clips GROUP BY id), o AS (SELECT id, prio AS cond, score * 0.9 + dur / 1000 AS p, price AS o FROM clips), g AS (SELECT cond, corr(o.p, f.p) AS rf, avg(o.p - f.p) AS sh, corr(o.p, o.o) - corr(f.p, o.o) AS dr FROM o JOIN f ON f.id = o.id GROUP BY cond) SELECT cond, " + q6("rf AS r_full", "sh AS shift", "dr AS dr") + ", rf >= 0.95 AND abs(sh) <= 0.05 AND abs(dr) <= 0.02 AS passed FROM g", "clips")
+@register("WITH f AS (SELECT id, avg(score) AS p FROM clips GROUP BY id), o AS (SELECT id, prio AS cond, score * 0.9 + dur / 1000 AS p, price AS o FROM clips), "
+    "g AS (SELECT cond, corr(o.p, f.p) AS rf, avg(o.p - f.p) AS sh, corr(o.p, o.o) - corr(f.p, o.o) AS dr FROM o JOIN f ON f.id = o.id GROUP BY cond) SELECT cond, " + q6("rf AS r_full", "sh AS shift", "dr AS dr") + ", rf >= 0.95 "
+    "AND abs(sh) <= 0.05 AND abs(dr) <= 0.02 AS passed FROM g", "clips")
 def t20_sensitivity_rule(clips):
     other = clips.select("id", F.col("prio").alias("cond"), (F.col("score") * 0.9 + F.col("dur") / 1000).alias("p"), F.col("price").alias("o"))
     return r6(ST.stability_rule(clips.select("id", F.col("score").alias("p")), other, ["cond"], "id", "p", "o", 0.95, 0.05, 0.02))
 
 
-@register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 FROM grid GROUP BY ALL), l AS (SELECT item, clip, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w), " + _reps_sql("rp", "l", ["item", "condition"], "d", 2000, 16, "clip") + ", ci AS (SELECT item, condition, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM l JOIN ci USING (item, condition) WHERE d IS NOT NULL GROUP BY ALL", "grid")
+@register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 "
+    "FROM grid GROUP BY ALL), l AS (SELECT item, clip, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w), " + _reps_sql("rp",
+        "l", ["item", "condition"], "d", 2000, 16, "clip") + ", "
+    "ci AS (SELECT item, condition, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM l "
+    "JOIN ci USING (item, condition) WHERE d IS NOT NULL GROUP BY ALL", "grid")
 def t28_paired_losses(grid):
     return r6(ST.paired_losses(grid.withColumn("cond", F.col("lev").cast("string")), "clip", "cond", "value", "0", ["item"], ["1", "2"], 2000, 16))
 
 
-@register(f"WITH r AS (SELECT item, p, {_rank_sql('p', 'item')} AS rx, value, {_rank_sql('value', 'item')} AS ry FROM grid) SELECT item, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho, abs(corr(rx, ry)) < 0.3 AS independent FROM r GROUP BY item HAVING count(DISTINCT p) > 2", "grid")
+@register(f"WITH r AS (SELECT item, p, {_rank_sql('p', 'item')} AS rx, value, {_rank_sql('value', 'item')} AS ry FROM grid) SELECT item, "
+    f"count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho, abs(corr(rx, ry)) < 0.3 AS independent FROM r GROUP BY item HAVING count(DISTINCT p) > 2", "grid")
 def t30_level_trend(grid):
     return r6(ST.spearman_by(grid, ["item"], "p", "value", 3).withColumn("independent", F.abs("rho") < 0.3))
 
@@ -999,7 +1129,10 @@ def t30_level_trend(grid):
 _A2 = "10 ** ((20 * log10((148693636.0 * (freq * 1.0) ** 4) / (((freq * 1.0) ** 2 + 424.36) * sqrt(((freq * 1.0) ** 2 + 11599.29) * ((freq * 1.0) ** 2 + 544496.41)) * ((freq * 1.0) ** 2 + 148693636.0))) + 2.0) / 10) * power"
 
 
-@register(f"WITH {_SPECTRUM}, w AS (SELECT clip, freq, power, {_A2} AS a FROM spectrum) SELECT clip, " + q6("100 * sum(CASE WHEN freq < 200 THEN power ELSE 0 END) / sum(power) AS low_pct", "100 * sum(CASE WHEN freq >= 1000 THEN a ELSE 0 END) / sum(a) AS mid_pct", "100 * sum(CASE WHEN freq >= 3000 THEN a ELSE 0 END) / sum(a) AS high_pct") + " FROM w GROUP BY clip", "embeddings")
+@register(f"WITH {_SPECTRUM}, w AS (SELECT clip, freq, power, {_A2} AS a FROM spectrum) SELECT clip, " + q6("100 * sum(CASE WHEN freq < 200 THEN power "
+    "ELSE 0 END) / sum(power) AS low_pct", "100 * sum(CASE "
+    "WHEN freq >= 1000 THEN a ELSE 0 END) / sum(a) AS mid_pct", "100 * sum(CASE "
+    "WHEN freq >= 3000 THEN a ELSE 0 END) / sum(a) AS high_pct") + " FROM w GROUP BY clip", "embeddings")
 def g1_band_share(emb):
     return r6(G.band_share(spectrum(emb), "clip", (200.0, 1000.0, 3000.0)))
 
@@ -1016,18 +1149,27 @@ def g2_level_variation(emb):
     return r6(G.level_variation(frames(emb)))
 
 
-@register(f"WITH {_FR}, p AS (SELECT l.clip, unnest(l.samples) AS a, unnest(r.samples) AS b FROM fr l JOIN fr r ON l.clip = r.clip AND l.frame = r.frame AND l.channel = 0 AND r.channel = 1) SELECT clip, round(corr(a, b), 6) + 0.0 AS stereo_r FROM p GROUP BY clip", "embeddings")
+@register(f"WITH {_FR}, p AS (SELECT l.clip, "
+    f"unnest(l.samples) AS a, unnest(r.samples) AS b FROM fr l JOIN fr r ON l.clip = r.clip AND l.frame = r.frame AND l.channel = 0 AND r.channel = 1) SELECT clip, "
+    f"round(corr(a, b), 6) + 0.0 AS stereo_r FROM p GROUP BY clip", "embeddings")
 def g3_stereo_corr(emb):
     return r6(G.stereo_corr(frames(emb)))
 
 
-@register(f"WITH {_SPECTRUM}, f AS (SELECT clip % 50 AS clip, clip // 50 AS frame, power + 1e-20 AS p FROM spectrum WHERE freq BETWEEN 100 AND 3000), g AS (SELECT clip, frame, 10 * log10(exp(avg(ln(p))) / avg(p)) AS a, 10 * log10(max(p) / quantile_cont(p, 0.5)) AS b FROM f GROUP BY ALL) SELECT clip, " + q6("avg(a) AS flat_db", "avg(b) AS peak_db") + " FROM g GROUP BY clip", "embeddings")
+@register(f"WITH {_SPECTRUM}, f AS (SELECT clip % 50 AS clip, "
+    f"clip // 50 AS frame, power + 1e-20 AS p FROM spectrum WHERE freq BETWEEN 100 AND 3000), g AS (SELECT clip, frame, 10 * log10(exp(avg(ln(p))) / avg(p)) AS a, "
+    f"10 * log10(max(p) / quantile_cont(p, 0.5)) AS b FROM f GROUP BY ALL) SELECT clip, " + q6("avg(a) AS flat_db", "avg(b) AS peak_db") + " FROM g GROUP BY clip", "embeddings")
 def g4_tonality(emb):
     s = spectrum(emb).withColumn("frame", F.floor(F.col("clip") / 50)).withColumn("clip", F.col("clip") % 50)
     return r6(G.tonality(s, "clip", 100.0, 3000.0))
 
 
-@register(f"WITH {_SPECTRUM}, c AS (SELECT clip, sum(freq * power) / sum(power) AS centroid FROM spectrum GROUP BY clip), r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM spectrum), ro AS (SELECT clip, min(freq) FILTER (WHERE s >= 0.85) AS rolloff FROM r GROUP BY clip), b AS (SELECT clip, floor(log2(freq / 1000.0) * 3 + 0.5) AS band, sum(power) AS p FROM spectrum GROUP BY ALL), t AS (SELECT clip, regr_slope(10 * log10(p), band / 3) AS tilt FROM b WHERE p > 0 GROUP BY clip) SELECT c.clip, rolloff, " + q6("centroid AS centroid", "tilt AS tilt") + " FROM c JOIN ro ON ro.clip = c.clip JOIN t ON t.clip = c.clip", "embeddings")
+@register(f"WITH {_SPECTRUM}, c AS (SELECT clip, "
+    f"sum(freq * power) / sum(power) AS centroid FROM spectrum GROUP BY clip), r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) "
+    f"OVER (PARTITION BY clip) AS s FROM spectrum), ro AS (SELECT clip, min(freq) FILTER (WHERE s >= 0.85) AS rolloff FROM r GROUP BY clip), b AS (SELECT clip, "
+    f"floor(log2(freq / 1000.0) * 3 + 0.5) AS band, sum(power) AS p FROM spectrum GROUP BY ALL), t AS (SELECT clip, regr_slope(10 * log10(p), band / 3) AS tilt FROM b "
+    f"WHERE p > 0 GROUP BY clip) SELECT c.clip, rolloff, " + q6("centroid AS centroid", "tilt AS tilt") + " FROM c "
+    "JOIN ro ON ro.clip = c.clip JOIN t ON t.clip = c.clip", "embeddings")
 def g5_brightness(emb):
     return r6(G.brightness(spectrum(emb)))
 
@@ -1037,7 +1179,8 @@ o AS (SELECT clip, arg_max(freq, (power, -freq)) FILTER (WHERE freq BETWEEN 60 A
 f AS (SELECT clip, frame, 10 * log10(sum(power) + 1e-20) AS lv FROM s WHERE freq BETWEEN 60 AND 130 GROUP BY ALL), k AS (SELECT clip, max(lv) AS mx, quantile_cont(lv, 0.9) AS hi, quantile_cont(lv, 0.1) AS lw FROM f GROUP BY clip),
 b AS (SELECT f.clip, frame, (lv > mx - 6)::INT AS near, (lv > (hi + lw) / 2)::INT AS st, hi - lw > 6 AS wide FROM f JOIN k ON k.clip = f.clip), d AS (SELECT *, (coalesce(lag(st) OVER w, 0) + st + coalesce(lead(st) OVER w, 0) >= 2)::INT AS flt FROM b WINDOW w AS (PARTITION BY clip ORDER BY frame)),
 e AS (SELECT *, lag(flt) OVER (PARTITION BY clip ORDER BY frame) AS was FROM d), g AS (SELECT clip, avg(near) AS on_share, CASE WHEN any_value(wide) THEN count(*) FILTER (WHERE flt != was) ELSE 0 END AS switches FROM e GROUP BY clip)
-SELECT o.clip, line_hz, switches, """ + q6("on_share AS on_share", "10 * log10(top + 1e-20) - 10 * log10(med + 1e-20) AS prominence_db", "10 * log10(low + 1e-20) - 10 * log10(mid + 1e-20) AS low_mid_db") + " FROM o JOIN g ON g.clip = o.clip", "embeddings")
+SELECT o.clip, line_hz, switches, """ + q6("on_share AS on_share", "10 * log10(top + 1e-20) - 10 * log10(med + 1e-20) AS prominence_db",
+    "10 * log10(low + 1e-20) - 10 * log10(mid + 1e-20) AS low_mid_db") + " FROM o JOIN g ON g.clip = o.clip", "embeddings")
 def g6_hum(emb):
     s = spectrum(emb).withColumn("frame", F.floor(F.col("clip") / 50)).withColumn("clip", F.col("clip") % 50)
     return r6(G.hum(s, "clip", (60.0, 130.0)))
@@ -1048,7 +1191,8 @@ def g7_label_summary(resp):
     return r6(G.label_summary(resp, "masker_type", ["disc", "tax"]))
 
 
-@register("SELECT clip, " + q6("quantile_cont(value - 50, 0.95) AS n5", "quantile_cont(value - 50, 0.5) AS n50", "avg(value - 50) AS mean", "avg((value > 50)::INT) AS share_pos") + " FROM grid GROUP BY clip", "grid")
+@register("SELECT clip, " + q6("quantile_cont(value - 50, 0.95) AS n5", "quantile_cont(value - 50, 0.5) AS n50", "avg(value - 50) AS mean",
+    "avg((value > 50)::INT) AS share_pos") + " FROM grid GROUP BY clip", "grid")
 def g8_curve_percentiles(grid):
     return r6(G.curve_percentiles(grid.select("clip", (F.col("value") - 50).alias("value"))))
 
@@ -1061,12 +1205,15 @@ def g9_channel_mean(grid):
 # ---- plans
 
 
-@register("SELECT id, c::INT AS chunk, c * 10.0::DOUBLE AS start, least(dur, (c + 1) * 10.0)::DOUBLE AS \"end\", greatest(0.0, (c + 1) * 10.0 - dur)::DOUBLE AS pad FROM (SELECT id, dur, unnest(range(0, floor((dur + 1) / 10)::BIGINT)) AS c FROM clips)", "clips")
+@register("SELECT id, c::INT AS chunk, c * 10.0::DOUBLE AS start, least(dur, (c + 1) * 10.0)::DOUBLE AS \"end\", greatest(0.0, (c + 1) * 10.0 - dur)::DOUBLE AS pad "
+    "FROM (SELECT id, dur, unnest(range(0, floor((dur + 1) / 10)::BIGINT)) AS c FROM clips)", "clips")
 def c1_fixed_chunks(clips):
     return P.chunk_plan(clips, "dur", 10.0, 1.0).select("id", "chunk", "start", "end", "pad")
 
 
-@register("WITH s AS (SELECT id, dur, ceil(dur / 22.0)::INT AS parts FROM clips), e AS (SELECT *, unnest(range(0, parts))::INT AS part FROM s) SELECT id, parts, part, round_even(part * dur / parts, 0)::DOUBLE AS start, round_even((part + 1) * dur / parts, 0)::DOUBLE AS \"end\" FROM e WHERE round_even((part + 1) * dur / parts, 0) - round_even(part * dur / parts, 0) >= 5", "clips")
+@register("WITH s AS (SELECT id, dur, ceil(dur / 22.0)::INT AS parts FROM clips), e AS (SELECT *, unnest(range(0, parts))::INT AS part FROM s) SELECT id, parts, part, "
+    "round_even(part * dur / parts, 0)::DOUBLE AS start, round_even((part + 1) * dur / parts, 0)::DOUBLE AS \"end\" FROM e WHERE round_even((part + 1) * dur / parts, "
+    "0) - round_even(part * dur / parts, 0) >= 5", "clips")
 def c2_equal_split(clips):
     return P.split_plan(clips, "dur", 22.0, 5.0).select("id", "parts", "part", "start", "end")
 
@@ -1074,14 +1221,18 @@ def c2_equal_split(clips):
 _REPS = "CASE bin WHEN 'very_unpleasant' THEN 3 WHEN 'very_pleasant' THEN 2 ELSE 1 END + CASE WHEN score > 0.9 THEN 1 ELSE 0 END"
 
 
-@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT id, rep, CASE WHEN rep = 0 THEN file ELSE replace(file, '.wav', '_r' || rep || '.wav') END AS file FROM e", "clips")
+@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT id, "
+    f"rep, CASE WHEN rep = 0 THEN file ELSE replace(file, '.wav', '_r' || rep || '.wav') END AS file FROM e", "clips")
 def c3_repeats(clips):
     return P.repeat_rows(clips.withColumnRenamed("file", "name"), "bin", {"very_unpleasant": 3, "very_pleasant": 2}, "name", F.col("score") > 0.9).select("id", "rep", "file")
 
 
-@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT bin, count(DISTINCT base) AS recordings, count(*) FILTER (WHERE rep = 0) AS chunks, count(*) AS chunks_seen, sum(CASE WHEN rep = 0 THEN dur ELSE 0 END)::DOUBLE AS seconds, sum(dur)::DOUBLE AS seconds_seen FROM e GROUP BY bin", "clips")
+@register(f"WITH e AS (SELECT *, unnest(range(0, {_REPS}))::INT AS rep FROM clips) SELECT bin, "
+    f"count(DISTINCT base) AS recordings, count(*) FILTER (WHERE rep = 0) AS chunks, count(*) AS chunks_seen, sum(CASE WHEN rep = 0 THEN dur "
+    f"ELSE 0 END)::DOUBLE AS seconds, sum(dur)::DOUBLE AS seconds_seen FROM e GROUP BY bin", "clips")
 def a14_exposure(clips):
-    plan = P.repeat_rows(clips.withColumnRenamed("file", "name"), "bin", {"very_unpleasant": 3, "very_pleasant": 2}, "name", F.col("score") > 0.9).withColumn("start", F.lit(0.0)).withColumn("end", F.col("dur").cast("double"))
+    plan = P.repeat_rows(clips.withColumnRenamed("file", "name"), "bin", {"very_unpleasant": 3, "very_pleasant": 2}, "name",
+        F.col("score") > 0.9).withColumn("start", F.lit(0.0)).withColumn("end", F.col("dur").cast("double"))
     return P.exposure(plan, "bin", "base")
 
 
@@ -1096,10 +1247,13 @@ def c5_windows(clips):
     return P.window_starts(clips, "dur", 12.0).select("id", "win", "start")
 
 
-@register("WITH s AS (SELECT DISTINCT seed FROM grid), i AS (SELECT DISTINCT item FROM grid), l AS (SELECT DISTINCT p FROM grid), g AS (SELECT seed, item, p, concat('s', seed, '_', item, '_p', printf('%.2f', p), '.wav') AS file, concat(item, ' [ISOPleasant: ', printf('%.2f', p), ']') AS prompt FROM s, i, l) SELECT * FROM g WHERE file NOT IN (SELECT DISTINCT concat('s', seed, '_', item, '_p', printf('%.2f', p), '.wav') FROM grid WHERE seed = 0 AND lev = 1 AND value > 60)", "grid")
+@register("WITH s AS (SELECT DISTINCT seed FROM grid), i AS (SELECT DISTINCT item FROM grid), l AS (SELECT DISTINCT p FROM grid), g AS (SELECT seed, item, p, concat('s', "
+    "seed, '_', item, '_p', printf('%.2f', p), '.wav') AS file, concat(item, ' [ISOPleasant: ', printf('%.2f', p), ']') AS prompt FROM s, i, l) SELECT * FROM g "
+    "WHERE file NOT IN (SELECT DISTINCT concat('s', seed, '_', item, '_p', printf('%.2f', p), '.wav') FROM grid WHERE seed = 0 AND lev = 1 AND value > 60)", "grid")
 def c6_j11_grid_plan(grid):
     d = lambda c: grid.select(c).distinct()
-    done = grid.where("seed = 0 AND lev = 1 AND value > 60").select(F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), "item", F.lit("_p"), T.fmt2("p"), F.lit(".wav")).alias("file")).distinct()
+    done = grid.where("seed = 0 AND lev = 1 AND value > 60").select(F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), "item",
+        F.lit("_p"), T.fmt2("p"), F.lit(".wav")).alias("file")).distinct()
     return P.grid_plan(d("seed"), d("item"), d("p"), done)
 
 
@@ -1112,12 +1266,15 @@ def c7_label_matrix(clips):
 _BIT = "('0x' || substr(md5(concat_ws('|', '22', item, CAST(seed AS VARCHAR))), 1, 8))::BIGINT % 2 = 1"
 
 
-@register(f"WITH d AS (SELECT item, seed, avg(value) FILTER (WHERE p = -1) AS lo, avg(value) FILTER (WHERE p = 1) AS hi FROM grid GROUP BY ALL) SELECT item, seed, row_number() OVER (ORDER BY md5(concat_ws('|', '21', item, CAST(seed AS VARCHAR))), item, seed)::INT AS trial, {q6(f'CASE WHEN {_BIT} THEN hi ELSE lo END AS a', f'CASE WHEN {_BIT} THEN lo ELSE hi END AS b')}, CASE WHEN {_BIT} THEN 'a' ELSE 'b' END AS answer FROM d WHERE lo IS NOT NULL AND hi IS NOT NULL", "grid")
+@register(f"WITH d AS (SELECT item, seed, "
+    f"avg(value) FILTER (WHERE p = -1) AS lo, avg(value) FILTER (WHERE p = 1) AS hi FROM grid GROUP BY ALL) SELECT item, seed, row_number() "
+    f"OVER (ORDER BY md5(concat_ws('|', '21', item, CAST(seed AS VARCHAR))), item, seed)::INT AS trial, {q6(f'CASE WHEN {_BIT} THEN hi ELSE lo END AS a', f'CASE WHEN {_BIT} THEN lo ELSE hi END AS b')}, CASE WHEN {_BIT} THEN 'a' ELSE 'b' END AS answer FROM d WHERE lo IS NOT NULL AND hi IS NOT NULL", "grid")
 def c8_blind_pairs(grid):
     return r6(P.blind_pairs(X.paired_delta(grid, ["item", "seed"], "p", -1.0, 1.0, "value"), ["item", "seed"], "lo", "hi", 21))
 
 
-@register("WITH m AS (SELECT DISTINCT item, seed, lev FROM grid) SELECT item, seed, (row_number() OVER (PARTITION BY item, seed ORDER BY md5(concat_ws('|', '23', item, CAST(seed AS VARCHAR), CAST(lev AS VARCHAR))), lev) - 1)::INT AS slot, lev AS candidate FROM m QUALIFY count(*) OVER (PARTITION BY item, seed) = 3", "grid")
+@register("WITH m AS (SELECT DISTINCT item, seed, lev FROM grid) SELECT item, seed, (row_number() OVER (PARTITION BY item, seed ORDER BY md5(concat_ws('|', '23', item, "
+    "CAST(seed AS VARCHAR), CAST(lev AS VARCHAR))), lev) - 1)::INT AS slot, lev AS candidate FROM m QUALIFY count(*) OVER (PARTITION BY item, seed) = 3", "grid")
 def c9_blind_candidates(grid):
     return P.blind_candidates(X.complete_candidates(grid, ["item", "seed"], "lev", 3), ["item", "seed"], "members", 23)
 
@@ -1125,12 +1282,17 @@ def c9_blind_candidates(grid):
 _CAP = "concat(prio, ' [ISOPleasant: ', CASE WHEN printf('%.2f', {0}) = '-0.00' THEN '0.00' ELSE printf('%.2f', {0}) END, ']')"
 
 
-@register(f"WITH r AS (SELECT id, masker, prio, score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS q, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '24', CAST(id AS VARCHAR))), id) - 1 AS h, count(*) OVER (PARTITION BY masker) AS n FROM clips), j AS (SELECT a.*, b.score AS mirror, CASE WHEN abs(c.score - a.score) < 0.05 THEN d.score ELSE c.score END AS sh FROM r a JOIN r b ON a.masker = b.masker AND b.q = a.n + 1 - a.q JOIN r c ON c.masker = a.masker AND c.h = (a.h + 1) % a.n JOIN r d ON d.masker = a.masker AND d.h = (a.h + a.n // 2) % a.n) SELECT masker, id, {_CAP.format('score')} AS correct, {_CAP.format('-score')} AS flip, {_CAP.format('mirror')} AS mirror, {_CAP.format('sh')} AS shuffle, prio AS \"none\" FROM j", "clips")
+@register(f"WITH r AS (SELECT id, masker, prio, "
+    f"score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS q, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '24', "
+    f"CAST(id AS VARCHAR))), id) - 1 AS h, count(*) OVER (PARTITION BY masker) AS n FROM clips), j AS (SELECT a.*, b.score AS mirror, CASE "
+    f"WHEN abs(c.score - a.score) < 0.05 THEN d.score ELSE c.score END AS sh FROM r a JOIN r b ON a.masker = b.masker AND b.q = a.n + 1 - a.q "
+    f"JOIN r c ON c.masker = a.masker AND c.h = (a.h + 1) % a.n JOIN r d ON d.masker = a.masker AND d.h = (a.h + a.n // 2) % a.n) SELECT masker, id, {_CAP.format('score')} AS correct, {_CAP.format('-score')} AS flip, {_CAP.format('mirror')} AS mirror, {_CAP.format('sh')} AS shuffle, prio AS \"none\" FROM j", "clips")
 def c10_counterfactuals(clips):
     return P.counterfactuals(clips, ["masker"], "id", "prio", "score", 24)
 
 
-@register("SELECT source, bin, count(*) AS n FROM (SELECT 'existing' AS source, bin FROM clips WHERE side = 'F' UNION ALL SELECT 'chunks', bin FROM clips WHERE side = 'O' AND dur > 30) GROUP BY ALL", "clips")
+@register("SELECT source, bin, count(*) AS n FROM (SELECT 'existing' AS source, bin FROM clips WHERE side = 'F' UNION ALL SELECT 'chunks', bin FROM clips WHERE side = 'O' "
+    "AND dur > 30) GROUP BY ALL", "clips")
 def c11_u1_joint_manifest(clips):
     j = P.joint_manifest(clips.where("side = 'F'").select("file", "bin"), clips.where("side = 'O' AND dur > 30").select("file", "bin", "dur"), ("existing", "chunks"))
     return j.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -1142,13 +1304,15 @@ def c12_replace_rows(clips):
     return P.replace_rows(one, one.where("masker = 'bird'").withColumn("masker", F.lit("new")), "bird")
 
 
-@register("WITH n AS (SELECT cust, min('caption ' || id) AS c FROM clips WHERE id % 3 = 0 GROUP BY cust) SELECT clips.id, coalesce(c, prio) AS caption, c IS NOT NULL AS matched FROM clips LEFT JOIN n ON n.cust = clips.cust", "clips")
+@register("WITH n AS (SELECT cust, min('caption ' || id) AS c FROM clips WHERE id % 3 = 0 GROUP BY cust) SELECT clips.id, coalesce(c, prio) AS caption, "
+    "c IS NOT NULL AS matched FROM clips LEFT JOIN n ON n.cust = clips.cust", "clips")
 def c13_s7_refresh_captions(clips):
     new = clips.where("id % 3 = 0").select("cust", F.concat(F.lit("caption "), F.col("id").cast("string")).alias("new_caption"))
     return P.refresh_captions(clips.select("id", "cust", F.col("prio").alias("caption")), new, ["cust"]).select("id", "caption", "matched")
 
 
-@register("WITH s AS (SELECT id, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '25', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, 'full' AS condition FROM clips UNION ALL SELECT id, c FROM s, (VALUES ('gain'), ('cut')) v(c) WHERE r <= 30", "clips")
+@register("WITH s AS (SELECT id, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '25', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, "
+    "'full' AS condition FROM clips UNION ALL SELECT id, c FROM s, (VALUES ('gain'), ('cut')) v(c) WHERE r <= 30", "clips")
 def c14_job_plan(clips):
     return P.job_plan(clips, ["id"], ["gain", "cut"], 30, 25, ["masker"])
 
@@ -1170,7 +1334,10 @@ def t23_gbt_folds(cust):
     return r6(M.gbt_folds(_model_rows(cust), ["x1", "x2"], "score", "fold"))
 
 
-@register("WITH r AS (SELECT id, nation, bal % 97 AS x, score AS y FROM cust), g AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY nation), d AS (SELECT nation, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM g), f AS (SELECT nation, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, n, sx, sy FROM d) SELECT id, round((sy - b * sx) / n + b * x, 6) + 0.0 AS pred FROM r JOIN f ON f.nation = r.nation", "cust")
+@register("WITH r AS (SELECT id, nation, bal % 97 AS x, score AS y FROM cust), g AS (SELECT nation, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, "
+    "sum(x * y) AS sxy FROM r GROUP BY nation), d AS (SELECT nation, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) "
+    "OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM g), f AS (SELECT nation, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, n, sx, sy FROM d) SELECT id, "
+    "round((sy - b * sx) / n + b * x, 6) + 0.0 AS pred FROM r JOIN f ON f.nation = r.nation", "cust")
 def t24_group_oof(cust):
     return r6(M.group_oof(_model_rows(cust), "x1", "score", "nation").select("id", "pred"))
 
@@ -1199,13 +1366,18 @@ def t27_cluster_profiles(resp):
     return r6(M.cluster_profiles(resp, "masker_type", ["qty", "la50"]))
 
 
-@register("WITH a AS (SELECT part_group, avg(qty) AS q, avg(la50) AS l FROM resp WHERE fold % 2 = 0 GROUP BY 1), b AS (SELECT part_group, count(qty) AS n, avg(qty) AS q, avg(la50) AS l FROM resp WHERE fold % 2 = 1 GROUP BY 1 HAVING count(qty) >= 5), j AS (SELECT a.q AS aq, b.q AS bq, a.l AS al, b.l AS bl FROM a JOIN b ON a.part_group = b.part_group), o AS (SELECT count(*) AS clusters, corr(aq, bq) AS rq, corr(al, bl) AS rl FROM j) SELECT 'qty' AS target, clusters, round(rq, 6) + 0.0 AS r FROM o UNION ALL SELECT 'la50', clusters, round(rl, 6) + 0.0 FROM o", "resp")
+@register("WITH a AS (SELECT part_group, avg(qty) AS q, avg(la50) AS l FROM resp WHERE fold % 2 = 0 GROUP BY 1), b AS (SELECT part_group, count(qty) AS n, avg(qty) AS q, "
+    "avg(la50) AS l FROM resp WHERE fold % 2 = 1 GROUP BY 1 HAVING count(qty) >= 5), j AS (SELECT a.q AS aq, b.q AS bq, a.l AS al, b.l AS bl FROM a "
+    "JOIN b ON a.part_group = b.part_group), o AS (SELECT count(*) AS clusters, corr(aq, bq) AS rq, corr(al, bl) AS rl FROM j) SELECT 'qty' AS target, clusters, "
+    "round(rq, 6) + 0.0 AS r FROM o UNION ALL SELECT 'la50', clusters, round(rl, 6) + 0.0 FROM o", "resp")
 def t27_cluster_agreement(resp):
     """Even and odd folds stand for the lab and the field set."""
     return r6(R.cluster_agreement(resp.where("fold % 2 = 0"), resp.where("fold % 2 = 1"), "part_group", ["qty", "la50"]))
 
 
-@register(_PROTO + ", o AS (SELECT name, proto, lead(name) OVER (ORDER BY name) AS nxt FROM pr), d AS (SELECT o.name AS before, o.nxt AS after, sqrt(list_sum(list_transform(list_zip(o.proto, pr.proto), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS distance FROM o JOIN pr ON pr.name = o.nxt) SELECT before, after, round(distance, 6) + 0.0 AS distance, round(distance / (SELECT quantile_cont(distance, 0.5) FROM d), 6) + 0.0 AS jump FROM d", "embeddings")
+@register(_PROTO + ", o AS (SELECT name, proto, lead(name) OVER (ORDER BY name) AS nxt FROM pr), d AS (SELECT o.name AS before, o.nxt AS after, "
+    "sqrt(list_sum(list_transform(list_zip(o.proto, pr.proto), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS distance FROM o JOIN pr ON pr.name = o.nxt) SELECT before, "
+    "after, round(distance, 6) + 0.0 AS distance, round(distance / (SELECT quantile_cont(distance, 0.5) FROM d), 6) + 0.0 AS jump FROM d", "embeddings")
 def t29_neighbour_jumps(emb):
     return r6(E.neighbour_jumps(prototypes(emb).withColumnRenamed("label", "name"), "name", "proto", "name"))
 
@@ -1216,7 +1388,8 @@ def t29_neighbour_jumps(emb):
 _BIN_NO = "CASE bin " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(S.BINS)) + " END"
 _MANIFEST = f"""WITH {STIM_SQL}, st AS (SELECT *, {_LADDER.format('score')} AS bin, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS side FROM stim),
 caps AS (SELECT 'all' AS g, bin AS k, count(*) AS cap, 600 AS quota FROM st GROUP BY ALL), {_FILL}"""
-_INNER = _FILL.replace("f AS", "f2 AS").replace("FROM caps", "FROM caps2").replace("lv AS", "lv2 AS").replace("FROM f)", "FROM f2)").replace("bs AS", "bs2 AS").replace("FROM lv)", "FROM lv2)").replace("rs AS", "rs2 AS").replace("FROM bs)", "FROM bs2)").replace("tk AS", "tk2 AS").replace("FROM rs)", "FROM rs2)")
+_INNER = _FILL.replace("f AS", "f2 AS").replace("FROM caps", "FROM caps2").replace("lv AS", "lv2 AS").replace("FROM f)", "FROM f2)").replace("bs AS",
+    "bs2 AS").replace("FROM lv)", "FROM lv2)").replace("rs AS", "rs2 AS").replace("FROM bs)", "FROM bs2)").replace("tk AS", "tk2 AS").replace("FROM rs)", "FROM rs2)")
 
 
 @register(_MANIFEST + f""", caps2 AS (SELECT bin AS g, masker_type AS k, count(*) AS cap, any_value(take) AS quota FROM st JOIN tk ON tk.k = bin GROUP BY ALL), {_INNER},

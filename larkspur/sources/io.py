@@ -60,7 +60,9 @@ def parse_lines(text: DataFrame, col: str = "value", comment: str = "#") -> Data
     parts = F.split("line", r"\|")
     full = F.size(parts) == 3
     no = F.col("pos") + 1
-    return rows.select(no.alias("line_no"), F.when(full, F.trim(parts[0])).otherwise(F.concat(F.lit("prompt"), F.when(no < 10, "0").otherwise(""), no.cast("string"))).alias("id"), F.when(full, F.trim(parts[1])).alias("grp"), F.when(full, F.trim(parts[2])).otherwise(F.col("line")).alias("item"))
+    return rows.select(no.alias("line_no"), F.when(full,
+        F.trim(parts[0])).otherwise(F.concat(F.lit("prompt"), F.when(no < 10, "0").otherwise(""), no.cast("string"))).alias("id"),
+            F.when(full, F.trim(parts[1])).alias("grp"), F.when(full, F.trim(parts[2])).otherwise(F.col("line")).alias("item"))
 
 
 def read_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:

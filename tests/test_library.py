@@ -78,7 +78,8 @@ def test_selection_is_partition_free(spark):
 
 def test_chunks_cover(spark):
     rows = P.chunk_plan(col(spark, [9.7, 9.8, 20.0, 29.8, 0.0]), "x", 10.0, 0.25).orderBy("x", "chunk").collect()
-    assert [(r.x, r.chunk, r.start, r.end, round(r.pad, 2)) for r in rows] == [(9.8, 0, 0.0, 9.8, 0.2), (20.0, 0, 0.0, 10.0, 0.0), (20.0, 1, 10.0, 20.0, 0.0), (29.8, 0, 0.0, 10.0, 0.0), (29.8, 1, 10.0, 20.0, 0.0), (29.8, 2, 20.0, 29.8, 0.2)]
+    assert [(r.x, r.chunk, r.start, r.end, round(r.pad, 2)) for r in rows] == [(9.8, 0, 0.0, 9.8, 0.2), (20.0, 0, 0.0, 10.0, 0.0),
+        (20.0, 1, 10.0, 20.0, 0.0), (29.8, 0, 0.0, 10.0, 0.0), (29.8, 1, 10.0, 20.0, 0.0), (29.8, 2, 20.0, 29.8, 0.2)]
     parts = P.split_plan(col(spark, [45.0, 5.0]), "x", 30.0, 1.0).orderBy("x", "part").collect()
     assert [(r.start, r.end) for r in parts] == [(0.0, 5.0), (0.0, 22.0), (22.0, 45.0)]
     assert [r.start for r in P.window_starts(col(spark, [15.0, 5.0]), "x", 10.0).orderBy("x", "win").collect()] == [0.0, 0.0, 0.0, 0.0, 2.0, 5.0]
@@ -196,7 +197,8 @@ def test_grid_effects_by_hand(spark):
     """A grid with one shared level is left out; an effect of 0 isn't ordered; levels meet at four decimals; the seed
     SD is that of all measured levels."""
     rows = [("g", "a", 0.0, s, v) for s, v in ((1, 1.0), (2, 3.0))] + [("g", "a", 0.50001, s, v) for s, v in ((1, 4.0), (2, 6.0))] + [("g", "a", 1.0, s, v) for s, v in ((1, 8.0), (2, 10.0))]
-    rows += [("g", "b", 0.0, s, 5.0) for s in (1, 2)] + [("g", "b", 0.50002, s, 7.0) for s in (1, 2)] + [("g", "b", 1.0, s, 5.0) for s in (1, 2)] + [("g", "b", 2.0, s, v) for s, v in ((1, 0.0), (2, 4.0))]
+    rows += [("g", "b", 0.0, s, 5.0) for s in (1, 2)] + [("g", "b", 0.50002, s, 7.0) for s in (1, 2)] + [("g", "b", 1.0, s, 5.0) for s in (1,
+        2)] + [("g", "b", 2.0, s, v) for s, v in ((1, 0.0), (2, 4.0))]
     rows += [("h", "a", 0.0, 1, 1.0), ("h", "a", 1.0, 1, 2.0), ("h", "b", 0.0, 1, 1.0), ("h", "b", 3.0, 1, 2.0)]
     df = spark.createDataFrame(rows, "grid string, item string, p double, seed int, value double").withColumn("metric", F.lit("m"))
     got = {(r.grid, r.item): r for r in R.grid_effects(df, ["grid"], "item", "p", "metric", "value", 2.0).collect()}
@@ -212,7 +214,8 @@ def test_hum_by_hand(spark):
     rows = []
     for clip, on in (("switched", [1, 1, 0, 0, 0, 0, 1, 1]), ("steady", [1] * 8)):
         for frame, k in enumerate(on):
-            rows += [(clip, frame, 50.0, 100.0 if k else 0.01), (clip, frame, 60.0, 0.0), (clip, frame, 300.0, 1.0), (clip, frame, 1000.0, 2.0), (clip, frame, 2000.0, 4.0), (clip, frame, 5000.0, 3.0), (clip, frame, 7000.0, 50.0)]
+            rows += [(clip, frame, 50.0, 100.0 if k else 0.01), (clip, frame, 60.0, 0.0), (clip, frame, 300.0, 1.0), (clip, frame, 1000.0, 2.0),
+                (clip, frame, 2000.0, 4.0), (clip, frame, 5000.0, 3.0), (clip, frame, 7000.0, 50.0)]
     got = {r.clip: r for r in G.hum(spark.createDataFrame(rows, "clip string, frame int, freq double, power double")).collect()}
     s, t = got["switched"], got["steady"]
     mean = (4 * 100 + 4 * 0.01) / 8
