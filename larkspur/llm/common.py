@@ -2,55 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.scratch import fresh_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, as all contracts here define it: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where each table that cut() wrote stands, and what folders end with their session.
+#: Where each table that cut() wrote stands.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_LOCAL: dict[str, str] = {}
-_ENDING: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def folder(spark: SparkSession) -> str:
-    """The application's own folder under spark.checkpoint.dir, which all executors share; it is deleted when
-    the driver ends. Where that is unset, a single-machine session (master local) gets a temporary folder;
-    on a cluster it is an error."""
-    app, shared = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="larkspur-"))
-    path = f"{shared.rstrip('/')}/larkspur/{app}"
-    if path not in _ENDING:
-        fs, at = _hadoop_path(spark, path)
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-        _ENDING.add(path)
-    return path
-
-
 def cut(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends, and a lost executor
     costs only the files' rereading."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path, partitionBy=partition_by or None)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -58,8 +32,8 @@ def cut(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataF
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _hadoop_path(spark, path)
-    fs.delete(at, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(*tables: DataFrame) -> None:

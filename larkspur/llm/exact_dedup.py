@@ -51,7 +51,8 @@ def _slots(h: np.ndarray, seg: int, count: int) -> np.ndarray:
     top = ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
     first = top.astype(np.int64) * seg
     mask = np.uint64(seg - 1)
-    return np.stack([first + (h & mask).astype(np.int64), first + seg + ((h >> np.uint64(18)) & mask).astype(np.int64), first + 2 * seg + ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & mask).astype(np.int64)])
+    return np.stack([first + (h & mask).astype(np.int64), first + seg + ((h >> np.uint64(18)) & mask).astype(np.int64),
+        first + 2 * seg + ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & mask).astype(np.int64)])
 
 
 def _print(h: np.ndarray) -> np.ndarray:
@@ -256,5 +257,6 @@ def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     left = df.join(lost.select("lost_id", "lost_sha").distinct(), same, "left_anti")
     if again.isEmpty():
         return left
-    one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"), F.sha2(_norm(text), 256).alias("lost_sha")).agg(F.any_value(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("lost_row"))
+    one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"),
+        F.sha2(_norm(text), 256).alias("lost_sha")).agg(F.any_value(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("lost_row"))
     return left.unionByName(one.select("lost_row.*"))

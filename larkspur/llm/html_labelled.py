@@ -81,11 +81,13 @@ def _other(m: _Maker, kind: str) -> str:
     """A stretch of page furniture."""
     r = m.rng
     semantic = kind in SEMANTIC and r.random() < 0.55
-    tag = r.choice(SEMANTIC[kind]) if semantic else r.choice(["div", "div", "section", "ul"] if kind in ("nav", "side") else ["div", "div", "section", "p"] if kind in ("ad", "notice") else ["div", "div", "section"])
+    tag = r.choice(SEMANTIC[kind]) if semantic else r.choice(["div", "div", "section", "ul"] if kind in ("nav", "side") else ["div", "div", "section",
+        "p"] if kind in ("ad", "notice") else ["div", "div", "section"])
     link = lambda s: f'<a href="/{s.split()[0]}">{s}</a>'
     if kind == "nav":
         items = [link(m.phrase("nav")) for _ in range(r.randint(2, 8))]
-        inner = "".join(f"<li>{x}</li>" for x in items) if tag == "ul" else r.choice([f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items)])
+        inner = "".join(f"<li>{x}</li>" for x in items) if tag == "ul" else r.choice([f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>",
+            " | ".join(items), "".join(f"<div>{x}</div>" for x in items)])
     elif kind == "comment":
         inner = "".join(f"<div class='{r.choice(['c', 'item', 'comment'])}'><b>{m.phrase('comment')}</b><p>{m.paragraph()}</p></div>" for _ in range(r.randint(1, 5)))
         inner = r.choice([f"<h{r.randint(2, 4)}>{m.phrase('comment')}</h{0}>".replace("</h0>", "</h3>"), ""]) + inner
@@ -139,7 +141,8 @@ def _article(m: _Maker, main: set[str], noise: bool) -> str:
             out.append(_other(m, r.choice(["ad", "notice", "side", "form"])))
     if r.random() < 0.25:  # parts of the article in plain or named sections and boxes
         k = r.randint(0, len(out) - 1)
-        out[k:] = [r.choice(["<section>{}</section>", "<section>{}</section>", '<section class="chapter">{}</section>', "<div>{}</div>", '<div class="section">{}</div>']).replace("{}", "".join(out[k:]))]
+        out[k:] = [r.choice(["<section>{}</section>", "<section>{}</section>", '<section class="chapter">{}</section>', "<div>{}</div>",
+            '<div class="section">{}</div>']).replace("{}", "".join(out[k:]))]
     if noise and r.random() < 0.2:
         out.append(_other(m, r.choice(["comment", "side", "nav"])))
     return "".join(out)
@@ -148,7 +151,8 @@ def _article(m: _Maker, main: set[str], noise: bool) -> str:
 #: Marks whose inside is no text of the page, with signs that look like marks or quotes.
 HIDDEN = [
     "<script>if (a <b && c> 'd') { x = \"</p><p>{}\"; } // it's</script>", "<!-- <p>{}</p> it's \"quoted -->", "<style>p > a::before {{ content: '<{}'; }}</style>",
-    "<script type='text/x'><div class=\"x>{}</div></script>", "<noscript><p>{}</p></noscript>", "<svg><title>{}</title><text>{}</text></svg>", "<template><p>{}</p></template>", "<textarea>{} <p></textarea>",
+    "<script type='text/x'><div class=\"x>{}</div></script>", "<noscript><p>{}</p></noscript>", "<svg><title>{}</title><text>{}</text></svg>",
+        "<template><p>{}</p></template>", "<textarea>{} <p></textarea>",
 ]
 
 
@@ -181,7 +185,8 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
         m, main = _Maker(rng), set()
         if rng.random() < 0.125:
             body = _alone(m, main)
-            yield rng.choice(["{}", "<html><body>{}</body></html>", "<!doctype html><html><head><title>t</title></head><body>{}</body></html>", "<body>{}", "<html><head><title>t</title>{}"]).replace("{}", body), main
+            yield rng.choice(["{}", "<html><body>{}</body></html>", "<!doctype html><html><head><title>t</title></head><body>{}</body></html>",
+                "<body>{}", "<html><head><title>t</title>{}"]).replace("{}", body), main
             continue
         body = _article(m, main, noise=rng.random() < 0.6)
         frame = rng.choice(["article", "article", "article", "main", "main-article", "div", "div", "bare", "td"])

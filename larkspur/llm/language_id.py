@@ -100,7 +100,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     ranked = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
     counts = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * max(sample, 100)) / F.col("n"))
-    limits = counts.select("lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).alias("most"))
+    # written first: Spark then knows the table's size, and broadcasts it only if it is small
+    limits = cut(counts.select("lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).alias("most")), "language-limits")
     few = ranked.join(limits, "lang").where(F.col("most").isNull() | (F.col("h") <= F.col("most")))
     first = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).where(F.col("r") <= sample).select("k", "lang")
     texts = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).join(F.broadcast(first), ["k", "lang"], "left_semi")
@@ -166,7 +167,8 @@ def fuse(scored: DataFrame, langs: list[str], kappa: float = KAPPA) -> DataFrame
     suffixes = hosts.where("suffix IS NOT NULL").groupBy("suffix").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in every)).select("suffix", arr("s").alias("sc"))
     smooth = lambda c, parent: F.zip_with(c, parent, lambda x, p: (x + kappa * p) / (total(c) + kappa))
     suffixes = suffixes.withColumn("sp", smooth(F.col("sc"), base))
-    host = hosts.where("host IS NOT NULL").select("host", F.col("suffix").alias("hs"), arr("s").alias("hc")).join(suffixes, F.col("hs") == suffixes["suffix"], "left").select("host", "hc", F.coalesce("sp", base).alias("sp"))
+    host = hosts.where("host IS NOT NULL").select("host", F.col("suffix").alias("hs"), arr("s").alias("hc")).join(suffixes,
+        F.col("hs") == suffixes["suffix"], "left").select("host", "hc", F.coalesce("sp", base).alias("sp"))
     said = rows.where("declared IS NOT NULL").groupBy("declared").agg(*_soft("own", n)).select("declared", arr("s").alias("dc"))
     # P(declared | language) up to a factor: soft counts over the language's total, with half a row of smoothing
     said = said.select("declared", F.zip_with("dc", F.array(*map(F.lit, world)), lambda x, t: (x + 0.5) / (t + 0.5 * n)).alias("dl"))

@@ -29,7 +29,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop, folder, remove
+from larkspur.sources.scratch import folder
+
+from .common import ascii_lower, cut, drop, remove
 
 MIN_CHARS = 10
 #: Runs of one level that are merged into one of the next, and batches of documents.
@@ -162,6 +164,7 @@ def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = F.size("lines")
     # array_except hashes its second argument, so this stays linear in the number of lines
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("dropped"))
-    docs = docs.select("doc_id", "lines", n.cast("long").alias("n_lines"), F.coalesce(F.array_size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("dropped").isNotNull(), stay).alias("stay"))
+    docs = docs.select("doc_id", "lines", n.cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("dropped").isNotNull(), stay).alias("stay"))
     kept = F.when(F.col("stay").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform("stay", lambda i: F.get(F.col("lines"), i)), "\n"))
     return docs.select("doc_id", kept.alias("text"), "n_lines", "n_dropped")

@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     by_ratio = Window.partitionBy(one).orderBy(F.col("source_size") / F.col("weight"), "place")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(one)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * cap).over(before),
+        F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     ranked = placed.withColumn("level", level)
     # the first source, in ratio order, whose cap is not below its level sets the level for the rest
     free = F.col("level") * F.col("weight") <= F.col("source_size") * cap

@@ -30,7 +30,6 @@ block; extra columns, whatever their names, don't matter.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +38,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.scratch import fresh_path
+
 from .bpe import encode, vocab_size
-from .common import cut, drop, folder
+from .common import cut, drop
 
 MAGIC = b"LKT2"
 #: Ids a block is closed at (a longer document is split over blocks), and ids a file has on average.
@@ -365,7 +366,7 @@ def write_and_read(df: DataFrame, path: str, vocab: int | None = None, end_id: i
     end = F.lit(bytearray(end_id.to_bytes(width, "little")))
     tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("n_tokens") + 1).alias("n_tokens"), F.concat("ids", end).alias("ids"))
     tokens = cut(tokens, "token-ids")
-    out = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    out = fresh_path(spark, "tokens")
     write_files(tokens, out, vocab, block, width, file)
     drop(tokens)
     return read_files(spark, out)

@@ -124,9 +124,11 @@ class Ratio:
             if below is None:
                 one = one.withColumn("qa", F.lit(1.0 / self.alphabet)).withColumn("qb", F.col("qa"))
             else:
-                one = one.withColumn("context_", F.col("context")).withColumn("context", F.expr(f"right(context, {k - 1})")).join(below, ["context", "next"]).drop("context").withColumnRenamed("context_", "context")
+                one = one.withColumn("context_", F.col("context")).withColumn("context", F.expr(f"right(context, {k - 1})")).join(below,
+                    ["context", "next"]).drop("context").withColumnRenamed("context_", "context")
             # a context of fewer than k characters has had its say
-            mixed = lambda v: F.when((F.length("context") == k) & (F.col(f"k{v}") > 0), (F.coalesce(F.col(f"n{v}"), F.lit(0)) + F.col(f"k{v}") * F.col(f"q{v}")) / (F.col(f"t{v}") + F.col(f"k{v}"))).otherwise(F.col(f"q{v}"))  # noqa: B023, E731
+            mixed = lambda v: F.when((F.length("context") == k) & (F.col(f"k{v}") > 0),
+                (F.coalesce(F.col(f"n{v}"), F.lit(0)) + F.col(f"k{v}") * F.col(f"q{v}")) / (F.col(f"t{v}") + F.col(f"k{v}"))).otherwise(F.col(f"q{v}"))  # noqa: B023, E731
             below = cut(one.select("context", "next", mixed("a").alias("qa"), mixed("b").alias("qb")), f"url-order-{k}")
         return below.select("context", "next", F.ln(F.col("qa") / F.col("qb")).alias("step"))
 

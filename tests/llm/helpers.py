@@ -6,7 +6,8 @@ import re
 LONG = "lorem ipsum dolor sit amet " * 4000
 TEXTS = [
     None, "", " \n\t", "one", "one two", "One two three four five", "one TWO three four five", "ÄÖ ß Straße naïve 漢字 🙂 it's we'll 12,345.67 <|endoftext|> tail  ",
-    "a repeated line of text\nshort\na repeated line of text\n\nend of it", "  A repeated LINE of text \nanother line that is here\nshort", LONG, LONG + "x", "x" * 30_000, "same same same " * 40, "%% ## $$ && || <> " * 30,
+    "a repeated line of text\nshort\na repeated line of text\n\nend of it", "  A repeated LINE of text \nanother line that is here\nshort", LONG,
+        LONG + "x", "x" * 30_000, "same same same " * 40, "%% ## $$ && || <> " * 30,
     "the quick brown fox jumps over the lazy dog and runs far away from here " * 3, "the quick brown fox jumps over the lazy dog and runs far away from here " * 3 + "now",
 ]
 

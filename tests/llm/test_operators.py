@@ -234,7 +234,8 @@ def test_bpe_library(docs, empty):
     assert bpe.encode(empty, PATH).count() == 0
 
 
-ALPHABETS = ["ab", "abcdefghij", "aA1!'s t", "äöabé", "漢字かな", "a'sdtre", "0123ab", "!?'s", "🙂a", " \n\t\u00a0\u2003x", "<|endoftext|> a", "\x1c\x1fa b", "don't we'll ", "a,b.c-d 'x", "a  \n\tb.", "a \u180e\u200b\ufeff\u3000\u0085", "x \r\n\n's"]
+ALPHABETS = ["ab", "abcdefghij", "aA1!'s t", "äöabé", "漢字かな", "a'sdtre", "0123ab", "!?'s", "🙂a", " \n\t\u00a0\u2003x", "<|endoftext|> a",
+    "\x1c\x1fa b", "don't we'll ", "a,b.c-d 'x", "a  \n\tb.", "a \u180e\u200b\ufeff\u3000\u0085", "x \r\n\n's"]
 
 
 @pytest.mark.parametrize("alphabet", ALPHABETS)
@@ -487,7 +488,8 @@ words &eacute;t <b>bold</b> text that goes on for a while.<p>Second paragraph he
 
 
 def test_html_page():
-    assert html_extract.trained().main_text(PAGE).split("\n") == ["Title & more", "First paragraph, with some words ét bold text that goes on for a while.", "Second paragraph here, and it has a link in it too.", "Third one closes the article, as it should be."]
+    assert html_extract.trained().main_text(PAGE).split("\n") == ["Title & more",
+        "First paragraph, with some words ét bold text that goes on for a while.", "Second paragraph here, and it has a link in it too.", "Third one closes the article, as it should be."]
 
 
 ARTICLE = "<article><h1>Title here</h1><p>First paragraph, with words that go on for a while.<p>Second one, which closes the article as it should.</article>"
@@ -538,7 +540,8 @@ def test_html_viterbi_brute():
 
 
 def test_html_table(spark, sf):
-    df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", ""), (2, "v", "<p>unclosed <b"), (3, "w", "<" * 2000), (4, None, "<div>" * 3000 + "x")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", ""), (2, "v", "<p>unclosed <b"), (3, "w", "<" * 2000),
+        (4, None, "<div>" * 3000 + "x")], "page_id long, url string, html string")
     got = html_extract.extract(df.withColumn("text", F.lit(1))).collect()
     assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id is None} == {""}
@@ -554,7 +557,8 @@ def test_html_table(spark, sf):
 
 
 def test_urls(spark, sf):
-    data = [(1, "HTTPS://WWW.Example.com/en/x?q#f"), (2, "http://a.net/es/1"), (3, "http://b.org/x"), (4, None), (5, "no scheme"), (6, "x://com"), (7, "x://com/"), (8, "http://a.example.com/en/"), (9, "http://www.example.com/e"), (10, "http://net.org?://a.net/fr/"), (1, "HTTPS://WWW.Example.com/en/x?q#f")]
+    data = [(1, "HTTPS://WWW.Example.com/en/x?q#f"), (2, "http://a.net/es/1"), (3, "http://b.org/x"), (4, None), (5, "no scheme"), (6, "x://com"),
+        (7, "x://com/"), (8, "http://a.example.com/en/"), (9, "http://www.example.com/e"), (10, "http://net.org?://a.net/fr/"), (1, "HTTPS://WWW.Example.com/en/x?q#f")]
     got = {r.page_id: r for r in url_filter.judge_urls(spaced(spark.createDataFrame(data, "page_id long, url string"))).collect()}
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(1, 11)] == [
         ("www.example.com", "/en/x", "www.example.com/en/"), ("a.net", "/es/1", "net/es/"), ("b.org", "/x", None), ("", "", None), ("", "", None), ("com", "", None), ("com", "/", "com/"),
@@ -759,7 +763,8 @@ def test_language_declared_anywhere(before, attrs):
 def test_language_prior(spark):
     """Rows without text follow their host, a host with few rows its suffix."""
     model = language_id.TextModel(["de", "en"], np.ones((2, language_id.SLOTS)))
-    data = [(i, "a.de", "de", None, [0.0, -9.0]) for i in range(50)] + [(100 + i, "b.com", "com", None, [-9.0, 0.0]) for i in range(50)] + [(200, "a.de", "de", None, [0.0, 0.0]), (201, "new.com", "com", None, [0.0, 0.0]), (202, None, None, None, [0.0, -9.0])]
+    data = [(i, "a.de", "de", None, [0.0, -9.0]) for i in range(50)] + [(100 + i, "b.com", "com", None, [-9.0, 0.0]) for i in range(50)] + [(200,
+        "a.de", "de", None, [0.0, 0.0]), (201, "new.com", "com", None, [0.0, 0.0]), (202, None, None, None, [0.0, -9.0])]
     df = spark.createDataFrame(data, "doc_id long, host string, suffix string, declared string, ll array<double>")
     got = {r.doc_id: r.lang for r in language_id.fuse(df, model.langs).collect()}
     assert got[200] == "de" and got[201] == "en" and got[202] == "de" and got[0] == "de" and got[100] == "en"
