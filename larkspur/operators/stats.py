@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.scores import hash_int, order_key
 
 from .rollup import avg_rank
-from .screen import prefix_sums
+from .screen import prefix_sums, value_buckets
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, parts: int = 200) -> DataFrame:
@@ -222,20 +222,26 @@ def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve per group, by the rank sum; groups with one class are left out."""
-    ranked = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("_r", avg_rank(score, keys))
-    pos = F.count_if(F.col(label) == 1)
-    g = ranked.groupBy(*keys).agg(pos.alias("n_pos"), F.count_if(F.col(label) != 1).alias("n_neg"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_s")).where("n_pos > 0 AND n_neg > 0")
+    """Area under the ROC curve per group, by the rank sum over distinct scores; groups with one class are left out."""
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    at = rows.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    g = average_ranks(at, keys, score, "_n").groupBy(*keys).agg(
+        F.sum("_p").alias("n_pos"), F.sum(F.col("_n") - F.col("_p")).alias("n_neg"), F.sum(F.col("_p") * F.col("rank")).alias("_s")
+    ).where("n_pos > 0 AND n_neg > 0")
     return g.withColumn("auc", (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).drop("_s")
 
 
 def ks(df: DataFrame, keys: list[str], is_a: Column, value: str, least: int = 5) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per group with at least `least` rows a side."""
-    at = df.where(F.col(value).isNotNull()).withColumn("_a", is_a.cast("int")).groupBy(*keys, value).agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
-    w = Window.partitionBy(*keys)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("_ta", F.sum("_na").over(w)).withColumn("_tb", F.sum("_nb").over(w)).withColumn("_ra", F.sum("_na").over(run)).withColumn("_rb", F.sum("_nb").over(run))
-    return at.where((F.col("_ta") >= least) & (F.col("_tb") >= least)).groupBy(*keys).agg(F.max(F.abs(F.col("_ra") / F.col("_ta") - F.col("_rb") / F.col("_tb"))).alias("ks"), F.first("_ta").alias("n_a"), F.first("_tb").alias("n_b"))
+    """Two-sample Kolmogorov-Smirnov distance per group with at least `least` rows a side: running sums of the two
+    samples over distinct values, range by range."""
+    at = df.where(F.col(value).isNotNull()).withColumn("_a", is_a.cast("int")).groupBy(*keys, value)
+    at = at.agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
+    totals = at.groupBy(*keys).agg(F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
+    at = value_buckets(at.join(totals, keys), keys, value)
+    for side in "ab":
+        at = prefix_sums(at, [value], f"_n{side}", F.col("bucket"), f"_r{side}", keys)
+    share = lambda side: (F.col(f"_r{side}") + F.col(f"_n{side}")) / F.col(f"n_{side}")
+    return at.groupBy(*keys).agg(F.max(F.abs(share("a") - share("b"))).alias("ks"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def fit_quality(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:

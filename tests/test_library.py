@@ -301,3 +301,19 @@ def test_caption_percentile_blocks(spark):
     for block in (7, 4096):
         got = {(r.k, r.cap): r.pct for r in E.caption_percentile(a, c, "k", block=block).collect()}
         assert got == pytest.approx(want)
+
+
+def test_fill_across_ranges(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([None, None, None, i])) for g in "ab" for i in range(120)] + [("c", i, None) for i in range(5)] + [("d", i, 7 if i == 3 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, t int, v int").repartition(5)
+    for parts in (2, 9, 200):
+        got = {(r.g, r.t): r.v for r in R.fill(df, ["g"], ["t"], "v", parts).collect()}
+        assert len(got) == len(rows)
+        for g in "abcd":
+            mine = [v for h, _, v in rows if h == g]
+            known = next((v for v in mine if v is not None), None)
+            last = None
+            for i, v in enumerate(mine):
+                last = v if v is not None else last
+                assert got[g, i] == (last if last is not None else known)
