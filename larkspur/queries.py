@@ -99,7 +99,8 @@ EV_SQL = f"((ev - un) + {_C} * (ch - ca) + {_C} * (vi - mo)) / {_SPAN}"
 VALID_SQL = "fold BETWEEN 0 AND 5 AND is_attention = 0 AND pl IS NOT NULL"
 FMT = "CASE WHEN printf('%.2f', {0}) = '-0.00' THEN '0.00' ELSE printf('%.2f', {0}) END"
 HASH = "md5(concat_ws('|', '{1}', CAST({0} AS VARCHAR)))"
-STIM_SQL = f"""stim AS (SELECT concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS stimulus_id, min(base) AS base, min(masker_type) AS masker_type, count(*) AS n_ratings, avg({ISO_SQL}) AS score, avg(la50) AS la50 FROM resp WHERE {VALID_SQL} GROUP BY 1)"""
+STIM_SQL = f"""stim AS (SELECT concat_ws('|', base, masker, CAST(CAST(trunc(smr) AS INT) AS VARCHAR)) AS stimulus_id, min(base) AS base, 
+    min(masker_type) AS masker_type, count(*) AS n_ratings, avg({ISO_SQL}) AS score, avg(la50) AS la50 FROM resp WHERE {VALID_SQL} GROUP BY 1)"""
 
 
 def stimuli(resp: DataFrame) -> DataFrame:
@@ -110,7 +111,8 @@ def stimuli(resp: DataFrame) -> DataFrame:
 # ---- projections
 
 
-@register(f"SELECT uid, {q6(f'{ISO_SQL} AS iso_p', f'{EV_SQL} AS iso_e', f'({_C} * (pl - an) + (ca - ch) + {_C} * (vi - mo)) / {_SPAN} AS iso_alt')}, {_LADDER.format('(' + ISO_SQL + ')')} AS bin FROM resp", "resp")
+@register(f"SELECT uid, {q6(f'{ISO_SQL} AS iso_p', f'{EV_SQL} AS iso_e', f'({_C} * (pl - an) + (ca - ch) + {_C} * (vi - mo)) / {_SPAN} AS iso_alt')}, {_LADDER.format('(' + ISO_SQL + ')')} AS bin "
+    f"FROM resp", "resp")
 def p1_circumplex_scores(resp):
     return r6(resp.select("uid", S.iso_pleasant(*ITEMS).alias("iso_p"), S.iso_eventful(*ITEMS).alias("iso_e"),
         S.iso_pleasant_alt(*ITEMS).alias("iso_alt"), S.pleasantness_bin(S.iso_pleasant(*ITEMS)).alias("bin")))
@@ -124,7 +126,8 @@ def p2_p3_compound_keys(resp):
     return k.select("uid", "key", T.masker_type("masker").alias("mt"), b.alias("b"), m.alias("m"), s.alias("s"))
 
 
-@register("""SELECT 'lab' AS src, uid AS key, la50::DOUBLE AS "LA50", (la50 - disc)::DOUBLE AS "LA10_LA90", (price - la50)::DOUBLE AS "LC50_LA50", tax::DOUBLE AS "N5", qty::DOUBLE AS "R", disc::DOUBLE AS "FS", tax::DOUBLE AS "T" FROM resp UNION ALL
+@register("""SELECT 'lab' AS src, uid AS key, la50::DOUBLE AS "LA50", (la50 - disc)::DOUBLE AS "LA10_LA90", (price - la50)::DOUBLE AS "LC50_LA50", 
+    tax::DOUBLE AS "N5", qty::DOUBLE AS "R", disc::DOUBLE AS "FS", tax::DOUBLE AS "T" FROM resp UNION ALL
 SELECT 'field', CAST(id AS VARCHAR), bal::DOUBLE, (bal - nation)::DOUBLE, (score - bal)::DOUBLE, nation::DOUBLE, score::DOUBLE, score::DOUBLE, nation::DOUBLE FROM cust""", "resp cust")
 def p4_harmonised_predictors(resp, cust):
     """Two source schemas in one."""
@@ -144,8 +147,11 @@ def p6_p7_loudness_words(resp):
 _SCENES_SQL = ", ".join(f"('{m}', '{lv}', '{s}')" for (m, lv), s in T.SCENES.items())
 
 
-@register(f"""WITH sc(m, lv, scene) AS (VALUES {_SCENES_SQL}), x AS (SELECT uid, masker_type, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END AS lv FROM resp WHERE masker_type != 'silence' UNION ALL SELECT uid || '?', 'unknown', CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END FROM resp WHERE masker_type = 'silence')
-SELECT uid, coalesce(scene, CASE x.lv WHEN 'quiet' THEN 'quiet environment' WHEN 'loud' THEN 'loud environment' ELSE 'moderate activity environment' END) AS scene, CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
+@register(f"""WITH sc(m, lv, scene) AS (VALUES {_SCENES_SQL}), x AS (SELECT uid, masker_type, CASE WHEN la50 < 60 THEN 'quiet' WHEN la50 < 70 THEN 'moderate' 
+    ELSE 'loud' END AS lv FROM resp WHERE masker_type != 'silence' UNION ALL SELECT uid || '?', 'unknown', CASE WHEN la50 < 60 THEN 'quiet' 
+    WHEN la50 < 70 THEN 'moderate' ELSE 'loud' END FROM resp WHERE masker_type = 'silence')
+SELECT uid, coalesce(scene, CASE x.lv WHEN 'quiet' THEN 'quiet environment' WHEN 'loud' THEN 'loud environment' ELSE 'moderate activity environment' END) AS scene, 
+    CASE WHEN scene IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM x LEFT JOIN sc ON m = masker_type AND sc.lv = x.lv""", "resp")
 def p8_p9_scene_lookup(resp):
     silent = F.col("masker_type") == "silence"
     rows = resp.select(F.when(silent, F.concat("uid", F.lit("?"))).otherwise(F.col("uid")).alias("uid"),
@@ -155,15 +161,18 @@ def p8_p9_scene_lookup(resp):
 
 @register(f"""SELECT id, 
     concat('park soundscape with ', masker, CASE WHEN side = 'F' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS short_caption,
-concat('soundscape with ', CASE WHEN w = 'natural sounds' THEN w WHEN side = 'F' THEN w || ' and natural sounds' ELSE 'natural sounds and ' || w END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS harmonised
+concat('soundscape with ', CASE WHEN w = 'natural sounds' THEN w WHEN side = 'F' THEN w || ' and natural sounds' ELSE 'natural sounds and ' || w END, 
+    ' [ISOPleasant: ', {FMT.format('score')}, ']') AS harmonised
 FROM (SELECT *, CASE WHEN masker IN ('bird', 'water', 'wind') THEN 'natural sounds' WHEN masker = 'traffic' THEN 'traffic noise' ELSE 'other noise' END AS w FROM clips)""", "clips")
 def p11_p15_short_captions(clips):
     fg = F.col("side") == "F"
     return clips.select("id", T.caption_short("masker", fg, "score").alias("short_caption"), T.caption_harmonised("masker", fg, "score").alias("harmonised"))
 
 
-@register("""SELECT id, concat(prio, '. Loudness: ', loud, ' (LA50: ', CAST(round_even((price % 60 + 30) * 10, 0) / 10 AS VARCHAR), ' dB). Pleasantness: ', bin, ' (ISOPleasant: ', CAST(round_even(score * 100, 0) / 100 AS VARCHAR), ').') AS long_caption
-FROM (SELECT *, CASE WHEN price % 60 + 30 < 50 THEN 'quiet' WHEN price % 60 + 30 < 60 THEN 'moderately quiet' WHEN price % 60 + 30 < 70 THEN 'moderately loud' WHEN price % 60 + 30 < 80 THEN 'loud' ELSE 'very loud' END AS loud FROM clips)""", "clips")
+@register("""SELECT id, concat(prio, '. Loudness: ', loud, ' (LA50: ', CAST(round_even((price % 60 + 30) * 10, 0) / 10 AS VARCHAR), ' dB). Pleasantness: ', bin, 
+    ' (ISOPleasant: ', CAST(round_even(score * 100, 0) / 100 AS VARCHAR), ').') AS long_caption
+FROM (SELECT *, CASE WHEN price % 60 + 30 < 50 THEN 'quiet' WHEN price % 60 + 30 < 60 THEN 'moderately quiet' WHEN price % 60 + 30 < 70 THEN 'moderately loud' 
+    WHEN price % 60 + 30 < 80 THEN 'loud' ELSE 'very loud' END AS loud FROM clips)""", "clips")
 def p10_long_captions(clips):
     la = F.col("price") % 60 + 30
     return clips.select("id", T.caption_long("prio", S.loudness5(la), la, "bin", "score").alias("long_caption"))
@@ -174,10 +183,13 @@ def p12_place_names(cust):
     return cust.select("id", T.place_name(F.concat(F.lit("CustomerName_-"), F.col("id").cast("string"))).alias("place"))
 
 
-@register("""WITH l AS (SELECT uid, unnest([struct_pack(v := pl::DOUBLE, k := 'traffic', w := 'traffic noise'), struct_pack(v := ca::DOUBLE, k := 'other_noise', w := 'other noise'), struct_pack(v := vi::DOUBLE, k := 'human', w := 'human sounds'), struct_pack(v := un::DOUBLE, k := 'natural', w := 'natural sounds')]) AS s FROM (SELECT DISTINCT uid, pl, ca, vi, un FROM resp)),
+@register("""WITH l AS (SELECT uid, unnest([struct_pack(v := pl::DOUBLE, k := 'traffic', w := 'traffic noise'), struct_pack(v := ca::DOUBLE, k := 'other_noise', 
+    w := 'other noise'), struct_pack(v := vi::DOUBLE, k := 'human', w := 'human sounds'), struct_pack(v := un::DOUBLE, k := 'natural', w := 'natural sounds')]) AS s 
+    FROM (SELECT DISTINCT uid, pl, ca, vi, un FROM resp)),
 r AS (SELECT uid, s.w AS w, row_number() OVER (PARTITION BY uid ORDER BY s.v DESC, s.k DESC) AS r FROM l WHERE s.v >= 3.5),
 a AS (SELECT uid, string_agg(w, ' and ' ORDER BY r) AS ws FROM r WHERE r <= 2 GROUP BY uid)
-SELECT DISTINCT resp.uid, concat('soundscape with ', coalesce(ws, 'no dominant sound source'), ' at ', base, ' in London [ISOPleasant: ', CASE WHEN printf('%.2f', disc) = '-0.00' THEN '0.00' ELSE printf('%.2f', disc) END, ']') AS caption FROM resp LEFT JOIN a ON a.uid = resp.uid""", "resp")
+SELECT DISTINCT resp.uid, concat('soundscape with ', coalesce(ws, 'no dominant sound source'), ' at ', base, ' in London [ISOPleasant: ', CASE WHEN printf('%.2f', 
+    disc) = '-0.00' THEN '0.00' ELSE printf('%.2f', disc) END, ']') AS caption FROM resp LEFT JOIN a ON a.uid = resp.uid""", "resp")
 def p13_p14_source_captions(resp):
     words = T.top_sources({"traffic": F.col("pl"), "other_noise": F.col("ca"), "human": F.col("vi"), "natural": F.col("un")})
     one = resp.select("uid", "base", "disc", words.alias("words"))
@@ -188,9 +200,12 @@ _TAGGED = f"concat(prio, ' with ', masker, ' [ISOPleasant: ', {FMT.format('score
 
 
 @register(f"""WITH t AS (SELECT id, CASE WHEN id % 11 = 0 THEN prio ELSE {_TAGGED} END AS c FROM clips),
-u AS (SELECT id, c, regexp_extract(c, '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 1) AS x, TRY_CAST(NULLIF(regexp_extract(c, '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 2), '') AS DOUBLE) AS v FROM t)
+u AS (SELECT id, c, regexp_extract(c, '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 1) AS x, TRY_CAST(NULLIF(regexp_extract(c, 
+    '^(.*?)\\s*\\[ISOPleasant:\\s*(-?\\d+(?:\\.\\d+)?)\\]\\s*$', 2), '') AS DOUBLE) AS v FROM t)
 SELECT id, CASE WHEN v IS NOT NULL THEN x END AS text, v AS value, v AS loose, v AS colon, CASE WHEN v IS NOT NULL THEN concat(x, ' [pleasantness: ', {_LADDER.format('v')}, ']') END AS retagged,
-CASE WHEN v IS NULL THEN NULL WHEN abs(v + 1) <= least(abs(v + 0.5), abs(v), abs(v - 0.5), abs(v - 1)) THEN 'very unpleasant' WHEN abs(v + 0.5) <= least(abs(v), abs(v - 0.5), abs(v - 1)) THEN 'unpleasant' WHEN abs(v) <= least(abs(v - 0.5), abs(v - 1)) THEN 'neutral' WHEN abs(v - 0.5) <= abs(v - 1) THEN 'pleasant' ELSE 'very pleasant' END AS nearest FROM u""", "clips")
+CASE WHEN v IS NULL THEN NULL WHEN abs(v + 1) <= least(abs(v + 0.5), abs(v), abs(v - 0.5), abs(v - 1)) THEN 'very unpleasant' WHEN abs(v + 0.5) <= least(abs(v), 
+    abs(v - 0.5), abs(v - 1)) THEN 'unpleasant' WHEN abs(v) <= least(abs(v - 0.5), abs(v - 1)) THEN 'neutral' WHEN abs(v - 0.5) <= abs(v - 1) THEN 'pleasant' 
+    ELSE 'very pleasant' END AS nearest FROM u""", "clips")
 def p16_p17_p18_tags(clips):
     c = F.when(F.col("id") % 11 == 0, F.col("prio")).otherwise(F.concat("prio", F.lit(" with "), "masker", T.tag("score")))
     t = clips.select("id", c.alias("c"), T.parse_tag(c).alias("t"))
@@ -201,15 +216,18 @@ def p16_p17_p18_tags(clips):
 
 
 @register("""WITH n AS (SELECT id, CASE WHEN id % 3 = 0 THEN file ELSE replace(file, '.wav', '_r' || CAST(id % 4 AS VARCHAR) || '.wav') END AS f FROM clips)
-SELECT f AS name, regexp_replace(f, '_r\\d+(\\.wav)$', '\\1') AS plain, f LIKE '%\\_r%' ESCAPE '\\' AS rep, count(*) OVER (PARTITION BY regexp_replace(f, '_r\\d+(\\.wav)$', '\\1')) AS times FROM n""", "clips")
+SELECT f AS name, regexp_replace(f, '_r\\d+(\\.wav)$', '\\1') AS plain, f LIKE '%\\_r%' ESCAPE '\\' AS rep, count(*) OVER (PARTITION BY regexp_replace(f, 
+    '_r\\d+(\\.wav)$', '\\1')) AS times FROM n""", "clips")
 def p19_a15_repeat_suffix(clips):
     f = F.when(F.col("id") % 3 == 0, F.col("file")).otherwise(F.concat(F.regexp_replace("file", r"\.wav$", ""), F.lit("_r"), (F.col("id") % 4).cast("string"), F.lit(".wav")))
     rows = clips.select(f.alias("name")).withColumn("plain", T.strip_repeat("name"))
     return rows.select("name", "plain", T.is_repeat("name").alias("rep"), F.count(F.lit(1)).over(Window.partitionBy("plain")).alias("times"))
 
 
-@register("""WITH g AS (SELECT id, concat(CASE WHEN id % 2 = 0 THEN 'Natural sounds ' ELSE '' END, CASE WHEN id % 3 = 0 THEN 'traffic noise ' ELSE '' END, CASE WHEN id % 7 = 0 THEN 'human' ELSE '' END, CASE WHEN id % 13 = 0 THEN 'no dominant' ELSE '' END) AS s FROM clips)
-SELECT id, CASE WHEN contains(s, 'no dominant') THEN 'none' WHEN (contains(s, 'Natural'))::INT + contains(s, 'traffic')::INT + contains(s, 'human')::INT != 1 THEN 'mixed' WHEN contains(s, 'Natural') THEN 'natural' WHEN contains(s, 'traffic') THEN 'traffic' ELSE 'human' END AS grp,
+@register("""WITH g AS (SELECT id, concat(CASE WHEN id % 2 = 0 THEN 'Natural sounds ' ELSE '' END, CASE WHEN id % 3 = 0 THEN 'traffic noise ' ELSE '' END, CASE 
+    WHEN id % 7 = 0 THEN 'human' ELSE '' END, CASE WHEN id % 13 = 0 THEN 'no dominant' ELSE '' END) AS s FROM clips)
+SELECT id, CASE WHEN contains(s, 'no dominant') THEN 'none' WHEN (contains(s, 'Natural'))::INT + contains(s, 'traffic')::INT + contains(s, 
+    'human')::INT != 1 THEN 'mixed' WHEN contains(s, 'Natural') THEN 'natural' WHEN contains(s, 'traffic') THEN 'traffic' ELSE 'human' END AS grp,
 lower(regexp_replace(regexp_replace(lower(s), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, lpad(CAST(id AS VARCHAR), 9, '0') AS padded FROM g""", "clips")
 def p20_p26_groups_and_slugs(clips):
     w = lambda k, s: F.when(F.col("id") % k == 0, s).otherwise("")
@@ -224,7 +242,8 @@ def p21_city(cust):
 
 
 @register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CC0' WHEN 1 THEN 'BY-NC' WHEN 2 THEN 'BY' WHEN 3 THEN 'Sampling+' ELSE licence END AS licence,
-(lower(text) LIKE '%tion%')::INT + (lower(lang) LIKE '%en%')::INT AS a, b, (lower(text) LIKE '%tion%' OR b = 1)::INT + (lower(lang) LIKE '%en%')::INT AS n_any FROM (SELECT *, (regexp_matches(lower(text), '(^|[^\\pL\\pN\\pM_])the([^\\pL\\pN\\pM_]|$)'))::INT AS b FROM docs)""", "docs")
+(lower(text) LIKE '%tion%')::INT + (lower(lang) LIKE '%en%')::INT AS a, b, (lower(text) LIKE '%tion%' OR b = 1)::INT + (lower(lang) LIKE '%en%')::INT AS n_any 
+    FROM (SELECT *, (regexp_matches(lower(text), '(^|[^\\pL\\pN\\pM_])the([^\\pL\\pN\\pM_]|$)'))::INT AS b FROM docs)""", "docs")
 def p22_p23_licences_and_keywords(docs):
     word = r"(?:^|[^\pL\pN\pM_])"
     hits = T.keyword_hits(["text", "lang"], {"a": r"tion|^en$", "b": rf"{word}the(?:[^\pL\pN\pM_]|$)"})
@@ -261,10 +280,12 @@ CASE WHEN sc > 500 AND sc < 4000 AND rms > 0.02 AND bandwidth > 2000 THEN {{'n':
 CASE WHEN sc < 1000 AND zcr < 0.03 AND rms < 0.01 THEN {{'n': -0.75, 'i': 3, 'm': 'wind', 'a': 'outdoor environment with wind'}} END,
 CASE WHEN rms > 0.03 AND onset > 0.1 AND bandwidth > 3000 THEN {{'n': -0.8, 'i': 4, 'm': 'construction machinery', 'a': 'construction site with heavy machinery'}} END,
 CASE WHEN zcr > 0.08 AND zcr < 0.15 AND sc > 1500 AND sc < 4000 THEN {{'n': -0.75, 'i': 5, 'm': 'human voices', 'a': 'public space with human voices and activity'}} END,
-CASE WHEN sc > 1000 AND sc < 5000 AND onset > 0.05 AND onset < 0.2 THEN {{'n': -0.7, 'i': 6, 'm': 'musical sounds', 'a': 'environment with musical sounds'}} END], lambda x: x IS NOT NULL)) AS s FROM f),
+CASE WHEN sc > 1000 AND sc < 5000 AND onset > 0.05 AND onset < 0.2 THEN {{'n': -0.7, 'i': 6, 'm': 'musical sounds', 'a': 'environment with musical sounds'}} END], 
+    lambda x: x IS NOT NULL)) AS s FROM f),
 r AS (SELECT uid, s.m AS m, s.a AS a, s.n AS n, row_number() OVER (PARTITION BY uid ORDER BY s.n, s.i) AS r FROM h),
 g AS (SELECT uid, count(*) AS c, min(a) FILTER (WHERE r = 1) AS alone, string_agg(m, ' and ' ORDER BY r) FILTER (WHERE r <= 3) AS many, -avg(n) AS conf FROM r GROUP BY uid)
-SELECT f.uid, CASE WHEN c IS NULL THEN 'environment with ambient sounds' WHEN c = 1 THEN alone ELSE 'soundscape with ' || many END AS caption, round(coalesce(conf, 0.6), 6) + 0.0 AS confidence FROM (SELECT DISTINCT uid FROM f) f LEFT JOIN g ON g.uid = f.uid""", "resp")
+SELECT f.uid, CASE WHEN c IS NULL THEN 'environment with ambient sounds' WHEN c = 1 THEN alone ELSE 'soundscape with ' || many END AS caption, round(coalesce(conf, 
+    0.6), 6) + 0.0 AS confidence FROM (SELECT DISTINCT uid FROM f) f LEFT JOIN g ON g.uid = f.uid""", "resp")
 def p30_rule_captions(resp):
     f = resp.dropDuplicates(["uid"]).selectExpr("uid", *_FEATS.split(", ")).withColumn("h", T.rule_labels())
     return r6(f.select("uid", T.rule_caption(F.col("h")).alias("caption"), T.rule_confidence(F.col("h")).alias("confidence")))
@@ -279,7 +300,8 @@ def p31_p32_p33_numeric(resp):
         S.spl_factor("qty", "la50").alias("factor"), S.db("price").alias("db")))
 
 
-@register("""WITH b AS (SELECT base, avg(la50) AS base_leq FROM resp GROUP BY base), m AS (SELECT masker_type AS masker, avg(disc) AS g FROM resp GROUP BY 1), l AS (SELECT masker, unnest(range(46, 85)) AS at, g FROM m),
+@register("""WITH b AS (SELECT base, avg(la50) AS base_leq FROM resp GROUP BY base), m AS (SELECT masker_type AS masker, avg(disc) AS g FROM resp GROUP BY 1), 
+    l AS (SELECT masker, unnest(range(46, 85)) AS at, g FROM m),
 w AS (SELECT uid, masker_type AS masker, base_leq - smr AS want FROM resp JOIN b USING (base))
 SELECT uid, l.at, round(g + l.at, 6) + 0.0 AS gain, round(want - (l.at + 0.25), 6) + 0.0 AS residual_db FROM w JOIN l ON l.masker = w.masker AND l.at = CAST(round_even(want, 0) AS BIGINT)""", "resp")
 def p34_mix_plan(resp):
@@ -514,7 +536,8 @@ def f12_f13_quality_counts(clips):
     return X.quarantine(clips, {"short": F.col("dur") < 5, "low": F.col("score") < -0.9, "seven": F.col("file").endswith("7.wav")})[2]
 
 
-@register("""WITH r AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY price, id) - 1 AS i, count(*) OVER (PARTITION BY masker) AS n FROM clips), k AS (SELECT unnest(range(0, 20)) AS k)
+@register("""WITH r AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY price, id) - 1 AS i, count(*) OVER (PARTITION BY masker) AS n 
+    FROM clips), k AS (SELECT unnest(range(0, 20)) AS k)
 SELECT DISTINCT r.id, r.masker FROM r LEFT JOIN k ON TRUE WHERE n <= 20 OR i = CAST(floor(k.k * (n - 1) / 19) AS BIGINT)""", "clips")
 def f14_thinning(clips):
     return X.thin(clips, ["masker"], 20, ["price", "id"]).select("id", "masker")
@@ -608,11 +631,16 @@ def a3_a7_a12_describe(resp):
     return r6(R.describe_by(resp, ["masker_type"], ["qty", "price", "la50"], [0.25, 0.5, 0.9]))
 
 
-_EFF = """WITH it AS (SELECT seed % 2 AS g, count(DISTINCT item) AS n FROM grid GROUP BY 1), all_ AS (SELECT x.g, x.p FROM (SELECT seed % 2 AS g, p, count(DISTINCT item) AS c FROM grid GROUP BY 1, 2) x JOIN it ON it.g = x.g WHERE x.c = it.n), sh AS (SELECT * FROM all_ WHERE g IN (SELECT g FROM all_ GROUP BY g HAVING count(*) > 1)),
+_EFF = """WITH it AS (SELECT seed % 2 AS g, count(DISTINCT item) AS n FROM grid GROUP BY 1), all_ AS (SELECT x.g, x.p FROM (SELECT seed % 2 AS g, p, 
+    count(DISTINCT item) AS c FROM grid GROUP BY 1, 2) x JOIN it ON it.g = x.g WHERE x.c = it.n), sh AS (SELECT * FROM all_ WHERE g IN (SELECT g FROM all_ GROUP BY g 
+    HAVING count(*) > 1)),
 r AS (SELECT grid.*, seed % 2 AS g FROM grid JOIN sh ON sh.g = seed % 2 AND sh.p = grid.p), m AS (SELECT g, item, p, avg(value) AS m FROM r GROUP BY ALL),
-st AS (SELECT *, m - lag(m) OVER (PARTITION BY g, item ORDER BY p) AS step FROM m), e AS (SELECT g, item, arg_min(m, p) AS low, arg_max(m, p) AS high, arg_max(m, p) - arg_min(m, p) AS effect FROM m GROUP BY ALL),
-o AS (SELECT st.g, st.item, coalesce(bool_and(sign(step) = sign(effect) AND effect != 0) FILTER (WHERE step IS NOT NULL), FALSE) AS ordered FROM st JOIN e ON e.g = st.g AND e.item = st.item GROUP BY ALL),
-sd AS (SELECT g, avg(s) AS seed_sd FROM (SELECT seed % 2 AS g, item, p, stddev_samp(value) AS s FROM grid GROUP BY ALL) GROUP BY g), z AS (SELECT e.*, ordered, seed_sd, effect / seed_sd AS ratio, abs(effect / seed_sd) >= 0.02 AS clear FROM e JOIN o ON o.g = e.g AND o.item = e.item JOIN sd ON sd.g = e.g)"""
+st AS (SELECT *, m - lag(m) OVER (PARTITION BY g, item ORDER BY p) AS step FROM m), e AS (SELECT g, item, arg_min(m, p) AS low, arg_max(m, p) AS high, arg_max(m, 
+    p) - arg_min(m, p) AS effect FROM m GROUP BY ALL),
+o AS (SELECT st.g, st.item, coalesce(bool_and(sign(step) = sign(effect) AND effect != 0) FILTER (WHERE step IS NOT NULL), FALSE) AS ordered FROM st 
+    JOIN e ON e.g = st.g AND e.item = st.item GROUP BY ALL),
+sd AS (SELECT g, avg(s) AS seed_sd FROM (SELECT seed % 2 AS g, item, p, stddev_samp(value) AS s FROM grid GROUP BY ALL) GROUP BY g), z AS (SELECT e.*, ordered, 
+    seed_sd, effect / seed_sd AS ratio, abs(effect / seed_sd) >= 0.02 AS clear FROM e JOIN o ON o.g = e.g AND o.item = e.item JOIN sd ON sd.g = e.g)"""
 
 
 def _effects(grid):
@@ -643,7 +671,8 @@ def a13_weighted_mean(resp):
 
 
 @register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level "
-    "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
+    "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) "
+    "SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
 def a16_stability(grid):
     return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value"))
 
@@ -723,9 +752,12 @@ def a27_control_means(grid):
 
 # ---- windows, quotas, selection
 
-_FILL = """f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cap, k) AS i, count(*) OVER (PARTITION BY g) AS m, coalesce(sum(cap) OVER (PARTITION BY g ORDER BY cap, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM caps),
-lv AS (SELECT *, arg_min(CASE WHEN before + (m - i + 1) * cap > quota THEN floor((quota - before) / (m - i + 1)) END, CASE WHEN before + (m - i + 1) * cap > quota THEN (cap, k) END) FILTER (WHERE before + (m - i + 1) * cap > quota) OVER (PARTITION BY g) AS level FROM f),
-bs AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, level) END AS b0 FROM lv), rs AS (SELECT *, least(quota, sum(cap) OVER (PARTITION BY g)) - sum(b0) OVER (PARTITION BY g) AS rest, row_number() OVER (PARTITION BY g ORDER BY cap - b0 DESC, k) AS more FROM bs),
+_FILL = """f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cap, k) AS i, count(*) OVER (PARTITION BY g) AS m, coalesce(sum(cap) OVER (PARTITION BY g 
+    ORDER BY cap, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM caps),
+lv AS (SELECT *, arg_min(CASE WHEN before + (m - i + 1) * cap > quota THEN floor((quota - before) / (m - i + 1)) END, CASE 
+    WHEN before + (m - i + 1) * cap > quota THEN (cap, k) END) FILTER (WHERE before + (m - i + 1) * cap > quota) OVER (PARTITION BY g) AS level FROM f),
+bs AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, level) END AS b0 FROM lv), rs AS (SELECT *, least(quota, sum(cap) OVER (PARTITION BY g)) - sum(b0) 
+    OVER (PARTITION BY g) AS rest, row_number() OVER (PARTITION BY g ORDER BY cap - b0 DESC, k) AS more FROM bs),
 tk AS (SELECT g, k, cap, (b0 + CASE WHEN more <= rest AND cap > b0 THEN 1 ELSE 0 END)::BIGINT AS take FROM rs)"""
 
 
@@ -739,7 +771,8 @@ _RR = "row_number() OVER (PARTITION BY {by}{cell} ORDER BY " + HASH.format("id",
 
 
 @register(f"WITH q AS (SELECT bin AS g, prio AS k, "
-    f"count(*) AS cap, 100 AS quota FROM clips GROUP BY ALL), caps AS (SELECT * FROM q), {_FILL}, x AS (SELECT clips.*, take, {_RR.format(by='bin, prio, ', cell='masker')} FROM clips JOIN tk ON g = bin "
+    f"count(*) AS cap, 100 AS quota FROM clips GROUP BY ALL), caps AS (SELECT * FROM q), {_FILL}, x AS (SELECT clips.*, "
+    f"take, {_RR.format(by='bin, prio, ', cell='masker')} FROM clips JOIN tk ON g = bin "
     f"AND k = prio), y AS (SELECT *, row_number() OVER (PARTITION BY bin, prio ORDER BY r, md5(concat_ws('|', '1', masker, CAST(r AS VARCHAR))), id) AS kk FROM x) "
     f"SELECT id, bin, prio FROM y WHERE kk <= take", "clips")
 def w2_w4_nested_balance(clips):
@@ -883,7 +916,8 @@ def t2_t21_fit_quality(cust):
 
 
 _MATX, _MATY = ["qty", "la50"], ["disc", "price", "pl"]
-_MAT = "WITH v AS (SELECT * FROM resp WHERE pl IS NOT NULL), r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in [*_MATX, *_MATY]) + " FROM v) "
+_MAT = "WITH v AS (SELECT * FROM resp WHERE pl IS NOT NULL), r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) "
+    f"OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in [*_MATX, *_MATY]) + " FROM v) "
 
 
 @register(_MAT + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr(r_{x}, r_{y}), 6) + 0.0 AS rho, count(*) AS n FROM r" for x in _MATX for y in _MATY), "resp")
@@ -939,7 +973,8 @@ _R = "(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))"
 
 @register(_CL + f"b AS (SELECT rep, sum(n) AS n, "
     f"sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM s JOIN w ON w.i = s.j GROUP BY rep), t AS (SELECT sum(n)::BIGINT AS n, "
-    f"sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM c) SELECT {q6(_R + ' AS r')}, n, {q6(f'(SELECT quantile_cont({_R}, 0.025) FROM b) AS lo', f'(SELECT quantile_cont({_R}, 0.975) FROM b) AS hi')} FROM t", "cust")
+    f"sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM c) SELECT {q6(_R + ' AS r')}, "
+    f"n, {q6(f'(SELECT quantile_cont({_R}, 0.025) FROM b) AS lo', f'(SELECT quantile_cont({_R}, 0.975) FROM b) AS hi')} FROM t", "cust")
 def t7_cluster_bootstrap(cust):
     return r6(ST.cluster_bootstrap(cust.withColumn("y", F.col("bal") % 97), "nation", "score", "y", 300, 12))
 
@@ -972,8 +1007,10 @@ def t10_line_fit(clips):
     return r6(ST.line_fit(clips, ["masker"], "score", "price", -0.75, 0.75))
 
 
-@register("""WITH t AS (SELECT item, count(*) AS n_train, regr_slope(value, p) AS slope, regr_intercept(value, p) AS intercept, avg(value) FILTER (WHERE p BETWEEN 0.5 AND 0.9) - avg(value) FILTER (WHERE p BETWEEN -0.9 AND -0.5) AS extreme_delta FROM grid WHERE lev = 0 GROUP BY item),
-pr AS (SELECT item, clip, avg(value) FILTER (WHERE p = 0.5) - avg(value) FILTER (WHERE p = -0.5) AS d FROM grid WHERE lev = 1 GROUP BY ALL), g AS (SELECT item, avg(d) AS generated, count(d) AS n_pairs FROM pr WHERE d IS NOT NULL GROUP BY item),
+@register("""WITH t AS (SELECT item, count(*) AS n_train, regr_slope(value, p) AS slope, regr_intercept(value, p) AS intercept, avg(value) 
+    FILTER (WHERE p BETWEEN 0.5 AND 0.9) - avg(value) FILTER (WHERE p BETWEEN -0.9 AND -0.5) AS extreme_delta FROM grid WHERE lev = 0 GROUP BY item),
+pr AS (SELECT item, clip, avg(value) FILTER (WHERE p = 0.5) - avg(value) FILTER (WHERE p = -0.5) AS d FROM grid WHERE lev = 1 GROUP BY ALL), g AS (SELECT item, 
+    avg(d) AS generated, count(d) AS n_pairs FROM pr WHERE d IS NOT NULL GROUP BY item),
 m AS (SELECT item, avg(value) FILTER (WHERE p = -0.5) AS a, avg(value) FILTER (WHERE p = 0) AS b, avg(value) FILTER (WHERE p = 0.5) AS c FROM grid WHERE lev = 1 GROUP BY item)
 SELECT t.item, n_train, n_pairs, """ + q6("slope AS slope", "intercept AS intercept", "extreme_delta AS extreme_delta", "slope * 1.0 AS expected", "generated AS generated", "CASE "
     "WHEN abs(slope) > 1e-9 THEN generated / slope END AS ratio", "a - (intercept - 0.5 * slope) AS bias_lo", "b - intercept AS bias_mid",
@@ -1101,7 +1138,8 @@ def t19_ks(grid):
 
 
 @register("WITH f AS (SELECT id, avg(score) AS p FROM clips GROUP BY id), o AS (SELECT id, prio AS cond, score * 0.9 + dur / 1000 AS p, price AS o FROM clips), "
-    "g AS (SELECT cond, corr(o.p, f.p) AS rf, avg(o.p - f.p) AS sh, corr(o.p, o.o) - corr(f.p, o.o) AS dr FROM o JOIN f ON f.id = o.id GROUP BY cond) SELECT cond, " + q6("rf AS r_full", "sh AS shift", "dr AS dr") + ", rf >= 0.95 "
+    "g AS (SELECT cond, corr(o.p, f.p) AS rf, avg(o.p - f.p) AS sh, corr(o.p, o.o) - corr(f.p, o.o) AS dr FROM o JOIN f ON f.id = o.id GROUP BY cond) "
+    "SELECT cond, " + q6("rf AS r_full", "sh AS shift", "dr AS dr") + ", rf >= 0.95 "
     "AND abs(sh) <= 0.05 AND abs(dr) <= 0.02 AS passed FROM g", "clips")
 def t20_sensitivity_rule(clips):
     other = clips.select("id", F.col("prio").alias("cond"), (F.col("score") * 0.9 + F.col("dur") / 1000).alias("p"), F.col("price").alias("o"))
@@ -1111,7 +1149,8 @@ def t20_sensitivity_rule(clips):
 @register("WITH w AS (SELECT item, clip, avg(value) FILTER (WHERE lev = 0) AS b, avg(value) FILTER (WHERE lev = 1) AS o1, avg(value) FILTER (WHERE lev = 2) AS o2 "
     "FROM grid GROUP BY ALL), l AS (SELECT item, clip, unnest(['1', '2']) AS condition, unnest([o1 - b, o2 - b]) AS d FROM w), " + _reps_sql("rp",
         "l", ["item", "condition"], "d", 2000, 16, "clip") + ", "
-    "ci AS (SELECT item, condition, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL) SELECT item, condition, count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM l "
+    "ci AS (SELECT item, condition, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL) SELECT item, condition, "
+    "count(d) AS n, " + q6("avg(d) AS mean_diff", "avg((d > 0)::INT) AS share_worse", "any_value(lo) AS lo", "any_value(hi) AS hi") + " FROM l "
     "JOIN ci USING (item, condition) WHERE d IS NOT NULL GROUP BY ALL", "grid")
 def t28_paired_losses(grid):
     return r6(ST.paired_losses(grid.withColumn("cond", F.col("lev").cast("string")), "clip", "cond", "value", "0", ["item"], ["1", "2"], 2000, 16))
@@ -1144,7 +1183,8 @@ def frames(emb):
     return emb.select((F.floor(F.col("vec_id") / 2) % 60).alias("clip"), (F.col("vec_id") % 2).alias("channel"), F.floor(F.col("vec_id") / 120).alias("frame"), F.col("embedding").alias("samples"))
 
 
-@register(f"WITH {_FR}, s AS (SELECT clip, list_dot_product(samples, samples) AS sq, len(samples) AS n FROM fr) SELECT clip, " + q6("stddev_pop(sqrt(sq / n)) / avg(sqrt(sq / n)) AS cv", "10 * log10(sum(sq) / sum(n)) AS rms_db") + " FROM s GROUP BY clip", "embeddings")
+@register(f"WITH {_FR}, s AS (SELECT clip, list_dot_product(samples, samples) AS sq, len(samples) AS n FROM fr) "
+    f"SELECT clip, " + q6("stddev_pop(sqrt(sq / n)) / avg(sqrt(sq / n)) AS cv", "10 * log10(sum(sq) / sum(n)) AS rms_db") + " FROM s GROUP BY clip", "embeddings")
 def g2_level_variation(emb):
     return r6(G.level_variation(frames(emb)))
 
@@ -1175,10 +1215,15 @@ def g5_brightness(emb):
 
 
 @register(f"""WITH {_SPECTRUM}, s AS (SELECT clip % 50 AS clip, clip // 50 AS frame, freq, power FROM spectrum), m AS (SELECT clip, freq, avg(power) AS power FROM s GROUP BY ALL),
-o AS (SELECT clip, arg_max(freq, (power, -freq)) FILTER (WHERE freq BETWEEN 60 AND 130) AS line_hz, max(power) FILTER (WHERE freq BETWEEN 60 AND 130) AS top, quantile_cont(power, 0.5) FILTER (WHERE freq BETWEEN 200 AND 2000) AS med, coalesce(sum(power) FILTER (WHERE freq < 200), 0) AS low, coalesce(sum(power) FILTER (WHERE freq >= 200 AND freq < 6000), 0) AS mid FROM m GROUP BY clip),
-f AS (SELECT clip, frame, 10 * log10(sum(power) + 1e-20) AS lv FROM s WHERE freq BETWEEN 60 AND 130 GROUP BY ALL), k AS (SELECT clip, max(lv) AS mx, quantile_cont(lv, 0.9) AS hi, quantile_cont(lv, 0.1) AS lw FROM f GROUP BY clip),
-b AS (SELECT f.clip, frame, (lv > mx - 6)::INT AS near, (lv > (hi + lw) / 2)::INT AS st, hi - lw > 6 AS wide FROM f JOIN k ON k.clip = f.clip), d AS (SELECT *, (coalesce(lag(st) OVER w, 0) + st + coalesce(lead(st) OVER w, 0) >= 2)::INT AS flt FROM b WINDOW w AS (PARTITION BY clip ORDER BY frame)),
-e AS (SELECT *, lag(flt) OVER (PARTITION BY clip ORDER BY frame) AS was FROM d), g AS (SELECT clip, avg(near) AS on_share, CASE WHEN any_value(wide) THEN count(*) FILTER (WHERE flt != was) ELSE 0 END AS switches FROM e GROUP BY clip)
+o AS (SELECT clip, arg_max(freq, (power, -freq)) FILTER (WHERE freq BETWEEN 60 AND 130) AS line_hz, max(power) FILTER (WHERE freq BETWEEN 60 AND 130) AS top, 
+    quantile_cont(power, 0.5) FILTER (WHERE freq BETWEEN 200 AND 2000) AS med, coalesce(sum(power) FILTER (WHERE freq < 200), 0) AS low, coalesce(sum(power) 
+    FILTER (WHERE freq >= 200 AND freq < 6000), 0) AS mid FROM m GROUP BY clip),
+f AS (SELECT clip, frame, 10 * log10(sum(power) + 1e-20) AS lv FROM s WHERE freq BETWEEN 60 AND 130 GROUP BY ALL), k AS (SELECT clip, max(lv) AS mx, 
+    quantile_cont(lv, 0.9) AS hi, quantile_cont(lv, 0.1) AS lw FROM f GROUP BY clip),
+b AS (SELECT f.clip, frame, (lv > mx - 6)::INT AS near, (lv > (hi + lw) / 2)::INT AS st, hi - lw > 6 AS wide FROM f JOIN k ON k.clip = f.clip), d AS (SELECT *, 
+    (coalesce(lag(st) OVER w, 0) + st + coalesce(lead(st) OVER w, 0) >= 2)::INT AS flt FROM b WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+e AS (SELECT *, lag(flt) OVER (PARTITION BY clip ORDER BY frame) AS was FROM d), g AS (SELECT clip, avg(near) AS on_share, CASE WHEN any_value(wide) THEN count(*) 
+    FILTER (WHERE flt != was) ELSE 0 END AS switches FROM e GROUP BY clip)
 SELECT o.clip, line_hz, switches, """ + q6("on_share AS on_share", "10 * log10(top + 1e-20) - 10 * log10(med + 1e-20) AS prominence_db",
     "10 * log10(low + 1e-20) - 10 * log10(mid + 1e-20) AS low_mid_db") + " FROM o JOIN g ON g.clip = o.clip", "embeddings")
 def g6_hum(emb):
@@ -1268,7 +1313,9 @@ _BIT = "('0x' || substr(md5(concat_ws('|', '22', item, CAST(seed AS VARCHAR))),
 
 @register(f"WITH d AS (SELECT item, seed, "
     f"avg(value) FILTER (WHERE p = -1) AS lo, avg(value) FILTER (WHERE p = 1) AS hi FROM grid GROUP BY ALL) SELECT item, seed, row_number() "
-    f"OVER (ORDER BY md5(concat_ws('|', '21', item, CAST(seed AS VARCHAR))), item, seed)::INT AS trial, {q6(f'CASE WHEN {_BIT} THEN hi ELSE lo END AS a', f'CASE WHEN {_BIT} THEN lo ELSE hi END AS b')}, CASE WHEN {_BIT} THEN 'a' ELSE 'b' END AS answer FROM d WHERE lo IS NOT NULL AND hi IS NOT NULL", "grid")
+    f"OVER (ORDER BY md5(concat_ws('|', '21', item, CAST(seed AS VARCHAR))), item, "
+    f"seed)::INT AS trial, {q6(f'CASE WHEN {_BIT} THEN hi ELSE lo END AS a', f'CASE WHEN {_BIT} THEN lo ELSE hi END AS b')}, CASE WHEN {_BIT} THEN 'a' "
+    f"ELSE 'b' END AS answer FROM d WHERE lo IS NOT NULL AND hi IS NOT NULL", "grid")
 def c8_blind_pairs(grid):
     return r6(P.blind_pairs(X.paired_delta(grid, ["item", "seed"], "p", -1.0, 1.0, "value"), ["item", "seed"], "lo", "hi", 21))
 
@@ -1286,7 +1333,9 @@ _CAP = "concat(prio, ' [ISOPleasant: ', CASE WHEN printf('%.2f', {0}) = '-0.00'
     f"score, row_number() OVER (PARTITION BY masker ORDER BY score, id) AS q, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '24', "
     f"CAST(id AS VARCHAR))), id) - 1 AS h, count(*) OVER (PARTITION BY masker) AS n FROM clips), j AS (SELECT a.*, b.score AS mirror, CASE "
     f"WHEN abs(c.score - a.score) < 0.05 THEN d.score ELSE c.score END AS sh FROM r a JOIN r b ON a.masker = b.masker AND b.q = a.n + 1 - a.q "
-    f"JOIN r c ON c.masker = a.masker AND c.h = (a.h + 1) % a.n JOIN r d ON d.masker = a.masker AND d.h = (a.h + a.n // 2) % a.n) SELECT masker, id, {_CAP.format('score')} AS correct, {_CAP.format('-score')} AS flip, {_CAP.format('mirror')} AS mirror, {_CAP.format('sh')} AS shuffle, prio AS \"none\" FROM j", "clips")
+    f"JOIN r c ON c.masker = a.masker AND c.h = (a.h + 1) % a.n JOIN r d ON d.masker = a.masker AND d.h = (a.h + a.n // 2) % a.n) SELECT masker, "
+    f"id, {_CAP.format('score')} AS correct, {_CAP.format('-score')} AS flip, {_CAP.format('mirror')} AS mirror, {_CAP.format('sh')} AS shuffle, prio AS \"none\" "
+    f"FROM j", "clips")
 def c10_counterfactuals(clips):
     return P.counterfactuals(clips, ["masker"], "id", "prio", "score", 24)
 
@@ -1393,9 +1442,11 @@ _INNER = _FILL.replace("f AS", "f2 AS").replace("FROM caps", "FROM caps2").repla
 
 
 @register(_MANIFEST + f""", caps2 AS (SELECT bin AS g, masker_type AS k, count(*) AS cap, any_value(take) AS quota FROM st JOIN tk ON tk.k = bin GROUP BY ALL), {_INNER},
-x AS (SELECT st.*, tk2.take, row_number() OVER (PARTITION BY bin, masker_type, side, base ORDER BY md5(concat_ws('|', '42', stimulus_id)), stimulus_id) AS r FROM st JOIN tk2 ON tk2.g = bin AND tk2.k = masker_type),
+x AS (SELECT st.*, tk2.take, row_number() OVER (PARTITION BY bin, masker_type, side, base ORDER BY md5(concat_ws('|', '42', stimulus_id)), stimulus_id) AS r FROM st 
+    JOIN tk2 ON tk2.g = bin AND tk2.k = masker_type),
 y AS (SELECT *, row_number() OVER (PARTITION BY bin, masker_type ORDER BY r, md5(concat_ws('|', '42', side, base, CAST(r AS VARCHAR))), stimulus_id) AS kk FROM x),
-z AS (SELECT *, concat('park soundscape with ', masker_type, CASE WHEN side = 'loud' THEN ' in the foreground' ELSE ' in the background' END, ' [ISOPleasant: ', {FMT.format('score')}, ']') AS caption FROM y WHERE kk <= take)
+z AS (SELECT *, concat('park soundscape with ', masker_type, CASE WHEN side = 'loud' THEN ' in the foreground' ELSE ' in the background' END, 
+    ' [ISOPleasant: ', {FMT.format('score')}, ']') AS caption FROM y WHERE kk <= take)
 SELECT stimulus_id, bin, md5(concat_ws('|', '42', stimulus_id)) || '.wav' AS file, caption, CAST(regexp_extract(caption, 'ISOPleasant: (-?[0-9.]+)', 1) AS DOUBLE) AS score FROM z""", "resp")
 def manifest_end_to_end(resp):
     """Responses -> scores -> stimulus rollup -> bins -> nested balanced selection -> captioned manifest."""
