@@ -43,6 +43,15 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+#: Rows of a table of ids that are broadcast at most (about 20 MB with a digest each).
+SMALL = 200_000
+
+
+def sent(ids: DataFrame, n: int | None = None) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most SMALL rows, and else joined by shuffle."""
+    return F.broadcast(ids) if (ids.count() if n is None else n) <= SMALL else ids
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

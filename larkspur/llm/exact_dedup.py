@@ -26,12 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, sent
 
 #: Digests per filter shard, at most on average: about 75 kB a filter and 2 MB of pandas rows a task group.
 KEYS = 50_000
-#: Members of groups whose ids are broadcast when their texts are fetched; beyond it the ids are shuffled.
-BROADCAST_IDS = 200_000
 #: Digests with more than one in HOT of all rows are joined by broadcast; copies that one key of a representative serves.
 HOT, COPIES = 1000, 1000
 _FIRST = -(2**63)
@@ -209,8 +207,7 @@ def attach(dig: DataFrame, many: DataFrame, hot: int = HOT) -> DataFrame:
 def verify(df: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """members: key (of the doc_id), digest, n, is_rep of documents in groups of two or more. The key, digest and
     text of those whose bytes differ from the representative's."""
-    keys = members.select("key").distinct()
-    keys = F.broadcast(keys) if members.count() <= BROADCAST_IDS else keys
+    keys = sent(members.select("key").distinct(), members.count())
     texts = df.select(_key(doc_id).alias("key"), _norm(text).alias("norm"))
     # the other texts go before anything is hashed
     texts = texts.join(keys, "key", "left_semi").withColumn("digest", F.sha2("norm", 256))
@@ -254,7 +251,8 @@ def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lost = cut(deduplicate(df, doc_id, text).where("NOT kept"), "dedup-lost").select(F.col("doc_id").alias("lost_id"), F.col("keep_id"), F.col("text_sha256").alias("lost_sha"))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("lost_id")) & (F.sha2(_norm(text), 256) == F.col("lost_sha"))
     again = lost.where(F.col("lost_id").eqNullSafe(F.col("keep_id"))).select("lost_id", "lost_sha").distinct()
-    left = df.join(lost.select("lost_id", "lost_sha").distinct(), same, "left_anti")
+    # with few enough lost rows the texts stay where they are
+    left = df.join(sent(lost.select("lost_id", "lost_sha"), lost.count()), same, "left_anti")
     if again.isEmpty():
         return left
     one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"),

@@ -120,9 +120,11 @@ g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(r
 n AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS seen FROM g),
 p AS (SELECT rid, count(DISTINCT pos) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM n WHERE seen > 1) GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, 
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
         len(lines) AS n_lines, length(regexp_replace(t, '[^a-zA-Z\x{80}-\x{10FFFF}]', '', 'g')) AS n_letters FROM w LEFT JOIN p ON p.rid = w.rid),
-led AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))::INT + 8 * (10 * n_symbols > n_words)::INT
+led AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (n_words > 0 
+    AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))::INT + 8 * (10 * n_symbols > n_words)::INT
         + 16 * (100 * n_dup_lines > 30 * n_lines)::INT + 32 * (n_words > 0 AND 100 * n_letters < 50 * word_chars)::INT AS INTEGER) AS fail_bits FROM m)
 """
 _RULES = ", ".join(f"('{name}', {bit})" for name, bit in quality_rules.BIT.items())
@@ -143,7 +145,8 @@ ORACLE = {
   fail_bits & {quality_rules.BASE | quality_rules.POLICIES['v1']} = 0 AS kept, fail_bits FROM led""",
     "op7_quality_ablation": _LEDGER + f""", po AS (SELECT * FROM (VALUES {_MASKS}) v(policy, mask)), ru AS (SELECT * FROM (VALUES {_RULES}) v(rule, bit)),
 b AS (SELECT policy, rule, bit, fail_bits & mask AS bits FROM led, po, ru WHERE bit & mask != 0)
-SELECT policy, rule, count(*) FILTER (WHERE bits & bit != 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_only_this, count(*) FILTER (WHERE bits = bit OR bits = 0) AS kept_without FROM b GROUP BY ALL""",
+SELECT policy, rule, count(*) FILTER (WHERE bits & bit != 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_only_this, count(*) 
+    FILTER (WHERE bits = bit OR bits = 0) AS kept_without FROM b GROUP BY ALL""",
     "op8_url_rules": rf"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
 SELECT *, {_rule_case(0)} AS rule, {_rule_case(1)} AS rule_verdict FROM u""",

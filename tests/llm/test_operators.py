@@ -117,8 +117,10 @@ def test_exact_hot_digests(spark, sf, monkeypatch):
     docs = docs.unionByName(docs.where("doc_id < 3").crossJoin(spark.range(60)).withColumn("doc_id", F.col("doc_id") * 1000 + F.col("id") + 10**6).drop("id"))
     want = sorted(tuple(r) for r in exact_dedup.deduplicate(docs).collect())
     assert sum(r[2] > 50 for r in want) >= 183
-    for name, value in (("COPIES", 4), ("BROADCAST_IDS", 0)):
-        monkeypatch.setattr(exact_dedup, name, value)
+    left = sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect())
+    for module, name, value in ((exact_dedup, "COPIES", 4), (common, "SMALL", 0)):
+        monkeypatch.setattr(module, name, value)
+        assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == left
         assert sorted(tuple(r) for r in exact_dedup.deduplicate(docs).collect()) == want
     dig = common.cut(exact_dedup.digests(docs), "hot")
     many = exact_dedup.group_batches(dig, []).where("n > 1")
@@ -250,6 +252,17 @@ def test_bpe_trees(alphabet):
             assert np.frombuffer(codec.encode([s])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("piece", ["a1", "!?", "lorem", "x\n", "'s", "🙂é", "漢字a", "a,b", "12.5%", "The quick brown fox, it's 7 o'clock. "])
+def test_bpe_reencoded(piece, monkeypatch):
+    """Joining halves encodes little of the text again, and gives the library's ids."""
+    rng, codec, again = random.Random(piece), bpe.Codec(PATH, leaf=512), []
+    text = "".join(piece if rng.random() < 0.98 else rng.choice("aB1!é") for _ in range(60_000 // len(piece)))
+    want, whole = codec.whole(text), codec.whole
+    monkeypatch.setattr(codec, "whole", lambda s: again.append(len(s)) or whole(s))
+    assert codec.tree(text) == want
+    assert len(again) >= 100 and sum(again) < 0.5 * len(text)
+
+
 def test_bpe_batches(monkeypatch):
     """Many texts at once, with shared parts, odd spaces and a cache that overflows."""
     rng, t = random.Random(1), lib()
