@@ -48,11 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 2048
-SPREAD = 1 << 14
+SPREAD = 1 << 15
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
 #: Characters that are encoded at once (or one document), and distinct parts that are encoded as one text.
-SLICE, GROUP = 1 << 23, 8192
+SLICE, GROUP = 1 << 21, 8192
 #: White space and a word up to white space or ASCII punctuation, or else up to white space.
 _PIECES = re.compile(r"\s+[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-/:-@\[-`{-~])|\s+\S+|\S+|\s+").findall
 #: White space for one of the two regex engines only; such texts aren't cut.
