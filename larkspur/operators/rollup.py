@@ -48,8 +48,10 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def binned_mean(df: DataFrame, x: str, y: str, lo: float, hi: float, bins: int, least: int) -> DataFrame:
+    """Mean of y over equal, left-closed bins of x in [lo, hi); bins of fewer than `least` rows are left out."""
     b = F.least(F.lit(bins - 1), F.floor((F.col(x) - lo) / ((hi - lo) / bins))).cast("int")
-    return df.where(F.col(x).between(lo, hi)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y")).where(F.col("n") >= least)
+    rows = df.where((F.col(x) >= lo) & (F.col(x) < hi) & F.col(y).isNotNull())
+    return rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y")).where(F.col("n") >= least)
 
 
 def text_diversity(df: DataFrame, col: str) -> DataFrame:
@@ -98,11 +100,13 @@ def effects_summary(eff: DataFrame, keys: list[str]) -> DataFrame:
             F.count_if(F.col("clear") & ~F.col("ordered")).alias("n_clear_unordered"), F.percentile(F.abs("ratio"), F.lit(0.5)).alias("median_ratio"))
 
 
-def prediction_stability(cube: DataFrame, clip: str, level: str, ckpt: str, value: str) -> DataFrame:
-    """Mean, SD over all cells, mean over levels of the SD over checkpoints, SD of the level means."""
+def prediction_stability(cube: DataFrame, clip: str, level: str, ckpt: str, value: str, other: str | None = None) -> DataFrame:
+    """Mean, SD over all cells, mean over levels of the SD over checkpoints, SD of the level means; with `other`, a
+    second way to the same value, also the gap between the two means."""
     per = cube.groupBy(clip, level).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
     by = per.groupBy(clip).agg(F.avg("_sd").alias("sd_ckpt"), F.stddev_samp("_m").alias("sd_level"))
-    return cube.groupBy(clip).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).join(by, clip)
+    gap = [F.abs(F.avg(value) - F.avg(other)).alias("gap")] if other else []
+    return cube.groupBy(clip).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *gap).join(by, clip)
 
 
 def label_set_scores(probs: DataFrame, key: str, label: str, p: str, sets: dict[str, list[str]]) -> DataFrame:

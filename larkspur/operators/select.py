@@ -82,10 +82,19 @@ def holdout_split(df: DataFrame, n: int, max_share: float, seed: int, key: list[
     return rows.join(F.broadcast(size)).withColumn("holdout", F.col("before") < F.col("_k")).drop("_h", "_one", "before", "_k")
 
 
-def quantile_bands(df: DataFrame, by: list[str], col: str, bands: int, n: int, seed: int, key: list[str]) -> DataFrame:
-    """Up to n rows from each of `bands` equal bands by rank of a score."""
-    rows = places(df, by, [col, *key])
-    return sample_per_group(rows.withColumn("band", F.floor(F.col("place") * bands / F.col("group_rows")).cast("int")).drop("place", "group_rows"), [*by, "band"], n, seed, key)
+#: The five bands of a ranked list, from share to share.
+BANDS = [(0.0, 0.25), (0.25, 0.75), (0.75, 0.9), (0.9, 0.99), (0.99, 1.0)]
+
+
+def quantile_bands(df: DataFrame, by: list[str], col: str, n: int, seed: int, key: list[str], bands: list[tuple[float, float]] = BANDS) -> DataFrame:
+    """Up to n rows from each band of the rows ranked by a score. A band of N rows' shares a to b has the places from
+    floor(a N) to before floor(b N), one at least, so bands of few rows may overlap."""
+    rows, size = places(df, by, [col, *key]), F.col("group_rows")
+    first = [F.floor(a * size) for a, _ in bands]
+    last = [F.greatest(F.floor(b * size), f + 1) for (_, b), f in zip(bands, first)]
+    mine = F.array_compact(F.array(*(F.when((F.col("place") >= f) & (F.col("place") < e), F.lit(i)) for i, (f, e) in enumerate(zip(first, last)))))
+    rows = rows.withColumn("band", F.explode(mine)).drop("place", "group_rows")
+    return sample_per_group(rows, [*by, "band"], n, seed, key)
 
 
 def shuffled(df: DataFrame, seed: int, key: list[str]) -> DataFrame:

@@ -44,12 +44,15 @@ def tonality(sg: DataFrame, clip: str = "clip", lo: float = 100.0, hi: float = 8
 
 
 def brightness(spec: DataFrame, clip: str = "clip", share: float = 0.85) -> DataFrame:
-    """Spectral centroid, roll-off and tilt (dB per octave over third-octave bands)."""
-    cent = spec.groupBy(clip).agg((F.sum(F.col("freq") * F.col("power")) / F.sum("power")).alias("centroid"))
-    band = F.floor(F.log2(F.col("freq") / 1000.0) * 3 + 0.5)
-    bands = spec.where("freq > 0").groupBy(clip, band.alias("band")).agg(F.sum("power").alias("p")).where("p > 0")
-    tilt = bands.groupBy(clip).agg(F.regr_slope(10 * F.log10("p"), F.col("band") / 3.0).alias("tilt"))
-    return cent.join(cumulative_threshold(spec, [clip], "freq", "power", share), clip).join(tilt, clip)
+    """Spectral centroid and roll-off over 20 Hz to 20 kHz, and tilt: dB per octave over the third-octave bands around
+    100 Hz to 10 kHz that have lines (null for three or fewer)."""
+    heard = spec.where(F.col("freq").between(20, 20000))
+    cent = heard.groupBy(clip).agg((F.sum(F.col("freq") * F.col("power")) / F.sum("power")).alias("centroid"))
+    band = F.floor(F.log2(F.col("freq") / 100.0) * 3 + 0.5)
+    bands = spec.where("freq > 0").groupBy(clip, band.alias("band")).agg(F.sum("power").alias("p")).where(F.col("band").between(0, 19))
+    slope = F.regr_slope(10 * F.log10(F.col("p") + 1e-30), F.col("band") / 3.0)
+    tilt = bands.groupBy(clip).agg(F.when(F.count(F.lit(1)) > 3, slope).alias("tilt"))
+    return cent.join(cumulative_threshold(heard, [clip], "freq", "power", share), clip).join(tilt, clip, "left")
 
 
 def hum(sg: DataFrame, clip: str = "clip", line: tuple[float, float] = (30.0, 130.0), floor: tuple[float, float] = (200.0, 2000.0),

@@ -671,10 +671,10 @@ def a13_weighted_mean(resp):
 
 
 @register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level "
-    "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd FROM grid GROUP BY clip) "
-    "SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level") + " FROM c JOIN b ON b.clip = c.clip", "grid")
+    "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd, abs(avg(value) - avg(k)) AS gap FROM grid GROUP BY clip) "
+    "SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level", "gap AS gap") + " FROM c JOIN b ON b.clip = c.clip", "grid")
 def a16_stability(grid):
-    return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value"))
+    return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value", "k"))
 
 
 @register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) "
@@ -720,7 +720,7 @@ def a22_top_words(docs):
     return R.top_words(docs, "text", 50)
 
 
-@register("SELECT least(9, floor((score + 1) / 0.2))::INT AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_y FROM clips WHERE score BETWEEN -1 AND 1 GROUP BY 1 HAVING count(*) >= 5", "clips")
+@register("SELECT least(9, floor((score + 1) / 0.2))::INT AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_y FROM clips WHERE score >= -1 AND score < 1 AND price IS NOT NULL GROUP BY 1 HAVING count(*) >= 5", "clips")
 def a23_binned_mean(clips):
     return r6(R.binned_mean(clips, "score", "price", -1.0, 1.0, 10, 5))
 
@@ -826,11 +826,15 @@ def w9_holdout(clips):
     return L.holdout_split(clips, 500, 0.2, 6, ["id"]).select("id", "holdout")
 
 
-@register("WITH b AS (SELECT id, masker, floor((row_number() OVER (PARTITION BY masker ORDER BY score, id) - 1) * 5 / count(*) OVER (PARTITION BY masker))::INT AS band "
-    "FROM clips), x AS (SELECT *, row_number() OVER (PARTITION BY masker, band ORDER BY md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id) AS r FROM b) SELECT id, "
-    "masker, band FROM x WHERE r <= 4", "clips")
+_BANDS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(L.BANDS))
+
+
+@register(f"""WITH r AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY score, id) - 1 AS place, count(*) OVER (PARTITION BY masker) AS n FROM clips),
+b AS (SELECT id, masker, band FROM r, (VALUES {_BANDS}) v(band, lo, hi)
+  WHERE place >= floor(lo::DOUBLE * n) AND place < greatest(floor(hi::DOUBLE * n), floor(lo::DOUBLE * n) + 1)),
+x AS (SELECT *, row_number() OVER (PARTITION BY masker, band ORDER BY md5(concat_ws('|', '7', CAST(id AS VARCHAR))), id) AS r FROM b) SELECT id, masker, band FROM x WHERE r <= 4""", "clips")
 def w10_quantile_bands(clips):
-    return L.quantile_bands(clips, ["masker"], "score", 5, 4, 7, ["id"]).select("id", "masker", "band")
+    return L.quantile_bands(clips, ["masker"], "score", 4, 7, ["id"]).select("id", "masker", "band")
 
 
 _SPECTRUM = "spectrum AS (SELECT vec_id AS clip, (unnest(range(1, 65)) * 60)::BIGINT AS freq, unnest(embedding)::DOUBLE * unnest(embedding)::DOUBLE AS power FROM embeddings)"
@@ -1204,12 +1208,12 @@ def g4_tonality(emb):
     return r6(G.tonality(s, "clip", 100.0, 3000.0))
 
 
-@register(f"WITH {_SPECTRUM}, c AS (SELECT clip, "
-    f"sum(freq * power) / sum(power) AS centroid FROM spectrum GROUP BY clip), r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) "
-    f"OVER (PARTITION BY clip) AS s FROM spectrum), ro AS (SELECT clip, min(freq) FILTER (WHERE s >= 0.85) AS rolloff FROM r GROUP BY clip), b AS (SELECT clip, "
-    f"floor(log2(freq / 1000.0) * 3 + 0.5) AS band, sum(power) AS p FROM spectrum GROUP BY ALL), t AS (SELECT clip, regr_slope(10 * log10(p), band / 3) AS tilt FROM b "
-    f"WHERE p > 0 GROUP BY clip) SELECT c.clip, rolloff, " + q6("centroid AS centroid", "tilt AS tilt") + " FROM c "
-    "JOIN ro ON ro.clip = c.clip JOIN t ON t.clip = c.clip", "embeddings")
+@register(f"""WITH {_SPECTRUM}, h AS (SELECT * FROM spectrum WHERE freq BETWEEN 20 AND 20000), c AS (SELECT clip, sum(freq * power) / sum(power) AS centroid FROM h GROUP BY clip),
+r AS (SELECT clip, freq, sum(power) OVER (PARTITION BY clip ORDER BY freq) / sum(power) OVER (PARTITION BY clip) AS s FROM h),
+ro AS (SELECT clip, min(freq) FILTER (WHERE s >= 0.85) AS rolloff FROM r GROUP BY clip),
+b AS (SELECT clip, floor(log2(freq / 100.0) * 3 + 0.5) AS band, sum(power) AS p FROM spectrum GROUP BY ALL),
+t AS (SELECT clip, CASE WHEN count(*) > 3 THEN regr_slope(10 * log10(p + 1e-30), band / 3) END AS tilt FROM b WHERE band BETWEEN 0 AND 19 GROUP BY clip)
+SELECT c.clip, rolloff, """ + q6("centroid AS centroid", "tilt AS tilt") + " FROM c JOIN ro ON ro.clip = c.clip LEFT JOIN t ON t.clip = c.clip", "embeddings")
 def g5_brightness(emb):
     return r6(G.brightness(spectrum(emb)))
 

@@ -317,3 +317,23 @@ def test_fill_across_ranges(spark):
             for i, v in enumerate(mine):
                 last = v if v is not None else last
                 assert got[g, i] == (last if last is not None else known)
+
+
+def test_brightness_by_hand(spark):
+    lines = [(10.0, 99.0), (100.0, 8.0), (200.0, 4.0), (400.0, 2.0), (800.0, 1.0), (25000.0, 99.0)]
+    few = [(100.0, 1.0), (200.0, 1.0)]
+    df = spark.createDataFrame([("a", f, p) for f, p in lines] + [("b", f, p) for f, p in few], "clip string, freq double, power double")
+    got = {r.clip: r for r in G.brightness(df).collect()}
+    assert got["a"].centroid == pytest.approx((800 + 800 + 800 + 800) / 15) and got["a"].rolloff == 400.0
+    assert got["a"].tilt == pytest.approx(-10 * math.log10(2)) and got["b"].tilt is None
+
+
+def test_bands_and_bins_by_hand(spark):
+    df = spark.range(200).selectExpr("id", "'g' AS g", "CAST(id AS DOUBLE) AS v")
+    got = L.quantile_bands(df, ["g"], "v", 1000, 1, ["id"]).collect()
+    ids = {b: sorted(r.id for r in got if r.band == b) for b in range(5)}
+    assert ids == {0: list(range(50)), 1: list(range(50, 150)), 2: list(range(150, 180)), 3: list(range(180, 198)), 4: [198, 199]}
+    small = L.quantile_bands(df.where("id < 2"), ["g"], "v", 4, 1, ["id"]).collect()
+    assert sorted((r.id, r.band) for r in small) == [(0, 0), (0, 1), (1, 2), (1, 3), (1, 4)]
+    rows = spark.createDataFrame([(-1.0, 1.0)] * 5 + [(0.95, 2.0)] * 4 + [(0.99, 7.0)] + [(1.0, 50.0)] * 9, "x double, y double")
+    assert {r.bin: (r.n, r.mean_y) for r in R.binned_mean(rows, "x", "y", -1.0, 1.0, 10, 5).collect()} == {0: (5, 1.0), 9: (5, 3.0)}
