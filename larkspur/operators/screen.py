@@ -37,7 +37,7 @@ def any_substring(cols: list[str], words: list[str]) -> Column:
 def screen(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop rows that a rule (masker, side; side null: either) names."""
     r = rules.select(F.col("masker").alias("_m"), F.col("side").alias("_s"))
-    return df.join(F.broadcast(r), (F.col("masker") == F.col("_m")) & (F.col("_s").isNull() | (F.col("side") == F.col("_s"))), "left_anti")
+    return df.join(r, (F.col("masker") == F.col("_m")) & (F.col("_s").isNull() | (F.col("side") == F.col("_s"))), "left_anti")
 
 
 def funnel(df: DataFrame, steps: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
