@@ -47,12 +47,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 LEAF = 2048
 SPREAD = 1 << 15
 #: Pieces a worker's cache holds; it starts anew beyond that (about 120 MB).
 CACHE = 500_000
 #: Characters that are encoded at once (or one document), and distinct parts that are encoded as one text.
-SLICE, GROUP = 1 << 21, 8192
+SLICE, GROUP = 1 << 20, 8192
 #: White space and a word up to white space or ASCII punctuation, or else up to white space.
 _PIECES = re.compile(r"\s+[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-/:-@\[-`{-~])|\s+\S+|\S+|\s+").findall
 #: White space for one of the two regex engines only; such texts aren't cut.
@@ -335,6 +337,7 @@ class Codec:
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, leaf: int = LEAF, spread: int = SPREAD, width: int = 4) -> DataFrame:
     """Per row: doc_id, n_tokens and ids (binary, little-endian, `width` bytes an id); with digests, instead of the ids,
     ids_sha256 and decoded_sha256, made in the same pass."""
+    modest_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))

@@ -43,6 +43,18 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+#: Rows that go to a Python worker at once, where the session hasn't set another number than Spark's default.
+BATCH_ROWS = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: with Spark's 10,000 rows a batch, the buffers on both sides of a Python worker take
+    hundreds of megabytes. This sets the session's batch size, since a plan reads it when it runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Rows of a table of ids that are broadcast at most (about 20 MB with a digest each).
 SMALL = 200_000
 

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 # Fixed values of HTML: elements by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -435,6 +437,7 @@ def trained(pages: int = 600, seed: int = 7) -> Crf:
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", model: Crf | None = None) -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
+    modest_batches(df.sparkSession)
     crf = model or trained()
     kinds = [df.schema[c].dataType.simpleString() for c in (page_id, url)]
 

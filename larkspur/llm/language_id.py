@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, modest_batches
 
 SLOTS = 1 << 15
 #: Labelled texts a language for fitting.
@@ -127,6 +127,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 def score_rows(df: DataFrame, model: TextModel, text: str, markup: bool) -> DataFrame:
     """df's other columns with ll (array of tempered log-likelihoods) and, from markup, declared."""
+    modest_batches(df.sparkSession)
     others = [c for c in df.columns if c != text]
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in others), "declared string, ll array<double>"])
 

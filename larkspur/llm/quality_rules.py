@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, modest_batches
 
 #: Rules in bit order: name, and the condition of failing over the ledger's measurements.
 RULES: list[tuple[str, str]] = [
@@ -73,6 +73,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 def _measured(df: DataFrame, text: str, keep: list[str], with_text: bool) -> DataFrame:
     """One pass over the texts: the columns `keep` as k0, k1, ..., the text as t if asked for, the
     measurements and fail_bits. Inner names can't clash with the caller's."""
+    modest_batches(df.sparkSession)
     cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["t string"] * with_text
 

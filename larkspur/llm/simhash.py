@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, sent
+from .common import cut, drop, modest_batches, sent
 
 RADIUS = 3
 HALF = 32
@@ -76,6 +76,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
             fps = np.array([fingerprint(t, width) for t in pdf["t"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
 
+    modest_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInPandas(rows, f"doc_id {kind}, fp long")
 
