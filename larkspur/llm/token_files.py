@@ -47,6 +47,8 @@ MAGIC = b"LKT2"
 #: Ids a block is closed at (a longer document is split over blocks), and ids a file has on average.
 BLOCK, FILE = 1 << 21, 1 << 24
 LANES = 1 << 14
+#: Characters beyond which a document's parts are encoded apart: a part costs a shuffle.
+LONG = 1 << 18
 #: Bits of the coder's total, of the order-2 table, and steps between refreshes of counts and weights.
 TOTAL, HASH_BITS, REFRESH = 28, 18, 16
 #: Bits after the point in the scale from counts to the coder's units.
@@ -362,7 +364,7 @@ def write_and_read(df: DataFrame, path: str, vocab: int | None = None, end_id: i
     the number of ids, by default as the tokenizer file has it."""
     spark, vocab = df.sparkSession, vocab or vocab_size(path)
     width = 2 if vocab <= 1 << 16 else 4  # ids travel and wait in as few bytes as the vocabulary needs
-    tokens = encode(df, path, doc_id, text, width=width)
+    tokens = encode(df, path, doc_id, text, spread=LONG, width=width)
     end = F.lit(bytearray(end_id.to_bytes(width, "little")))
     tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("n_tokens") + 1).alias("n_tokens"), F.concat("ids", end).alias("ids"))
     tokens = cut(tokens, "token-ids")
