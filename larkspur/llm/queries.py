@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, simhash, token_files, url_filter
+from . import (
+    bpe, exact_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, sentencepiece_bpe, simhash, token_files, url_filter, vector_codes,
+)
 from .common import load
 
 
@@ -77,6 +79,18 @@ def op10_mixing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "taken", F.col("position").alias("first"), F.col("last_position").alias("last"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(load(spark, sf_dir, "documents"), sentencepiece_bpe.default_path(), digests=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(load(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +99,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_language_id, op2_html_extraction, op3_simhash_near_dedup, op4_bpe, op5_line_dedup, op6_token_files,
-    op7_quality_rules, op7_quality_ablation, op8_url_filters, op8_url_rules, op9_exact_dedup, op10_mixing, op10_mixing_order, pipeline,
+    op7_quality_rules, op7_quality_ablation, op8_url_filters, op8_url_rules, op9_exact_dedup, op10_mixing, op10_mixing_order, op11_sentencepiece,
+    op12_vector_codes, op13_resampling, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -140,7 +155,49 @@ def _rule_case(what: int) -> str:
     return f"CASE {' '.join(whens)} END"
 
 
+def _codes_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Integer parts, then a codebook and an assignment a round, each from the one before."""
+    steps = [f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+u AS (SELECT rid, len(z) // {parts} AS size, unnest(z) AS x, generate_subscripts(z, 1) - 1 AS i FROM v),
+p AS MATERIALIZED (SELECT rid, CAST(i // size AS INTEGER) AS part, CAST(i % size AS INTEGER) AS pos, x FROM u),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, x AS c FROM p WHERE rid <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT rid, p.part, entry, sum((x - c) * (x - c)) AS d FROM p JOIN b{k} b ON p.part = b.part AND p.pos = b.pos GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT rid, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p.part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS c FROM p JOIN a{k} a ON p.rid = a.rid AND p.part = a.part GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)""")
+    return ",\n".join(steps) + f""",
+e AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256 FROM v JOIN e ON v.rid = e.rid"""
+
+
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RESAMPLE = f"""
+WITH crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_FEATURES} AS words FROM documents),
+dw AS MATERIALIZED (SELECT rid, unnest(words) AS w FROM d),
+bw AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+y AS (SELECT w, list_transform(range(1, len(x), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(x, i, 1)) - 1) + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1) AS bytes FROM h),
+k AS MATERIALIZED (SELECT w, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM y, crc),
+n AS MATERIALIZED (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t
+  FROM (SELECT w, 0 AS side FROM dw UNION ALL SELECT w, 1 AS side FROM bw) f JOIN k ON f.w = k.w GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM n),
+q AS (SELECT rid, sum(gain) AS weight FROM dw JOIN k ON dw.w = k.w JOIN g ON k.bucket = g.bucket GROUP BY rid),
+z AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, upper(substr(sha256('2024:' || doc_id), 1, 8)) AS hx FROM d LEFT JOIN q ON d.rid = q.rid),
+o AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789ABCDEF', substr(hx, i, 1)) - 1),
+  lambda a, b: 16 * a + b) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features DESC) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
+
 ORACLE = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_resampling": _RESAMPLE,
     "op7_quality_rules": _LEDGER + f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.BASE} != 0 AS base_failed,
   fail_bits & {quality_rules.BASE | quality_rules.POLICIES['v1']} = 0 AS kept, fail_bits FROM led""",
     "op7_quality_ablation": _LEDGER + f""", po AS (SELECT * FROM (VALUES {_MASKS}) v(policy, mask)), ru AS (SELECT * FROM (VALUES {_RULES}) v(rule, bit)),

@@ -9,7 +9,7 @@ from ..test_queries import con, normal  # noqa: F401
 
 def test_names():
     assert set(ORACLE) <= set(QUERIES)
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
