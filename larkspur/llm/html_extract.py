@@ -2,7 +2,7 @@
 
 A page is parsed into its leaf blocks: stretches of text between block-level tags, each with its chain
 of ancestor tags. A block's features are its ancestors (tags, and what their class, id and role names
-speak of), its parent, its text (length, links, punctuation, cue words) and its place. The CRF labels
+speak of, and whether they are hidden), its parent, its text (length, links, punctuation, cue words) and its place. The CRF labels
 each block main or other; its weights are fitted on labelled pages (see html_labelled.py) by maximum
 likelihood with forward-backward sums, and pages are decoded by Viterbi. Elements that never hold text
 of the page (head, script, style and the like) are not parsed into blocks.
@@ -17,7 +17,8 @@ grow with the page's length, however deep it is nested.
 
 Defined cases: null or empty html has no blocks and an empty text; broken markup is parsed as far as it
 goes (an unclosed tag at the end is dropped, end tags close what they can); page_id and url may be null
-or repeated (each row gets its own result, equal pages equal ones); very long pages are read whole; an
+or repeated (each row gets its own result, equal pages equal ones); of equally likely labels `other` is taken; very
+long pages are read whole; an
 empty table gives an empty result; extra columns, whatever their names, don't matter.
 """
 
@@ -73,7 +74,9 @@ _OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/<>]*)|!--|!\[CDATA\[|[!?/])")
 #: The rest of an ordinary tag: quotes open after = only, and hold neither < nor >.
 _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"<>]*"|'[^'<>]*'|(?!["'])))*+>""")
 _STOP = re.compile(r""">|=\s*(["'])""")
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|aria-label|aria-hidden|style|hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Values of style that take an element out of sight.
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: An element that ends itself; a slash may also be the end of an unquoted value.
 _EMPTY = re.compile(r"(?s)(?:.*[\s\"'])?/\s*\Z").match
 #: Where an unclosed raw element ends at the latest.
@@ -91,8 +94,16 @@ _SCOPES = [
 
 @functools.lru_cache(maxsize=20_000)
 def _spoken(attrs: str) -> frozenset[str]:
-    names = " ".join(re.sub(r"([a-z])([A-Z])", r"\1-\2", v.strip("\"'")) for k, v in _ATTR.findall(attrs) if k.lower() != "hidden")
-    return frozenset(k for k, r in _NAME.items() if r.search(names.replace("_", "-"))) if names else frozenset()
+    """What an element's names speak of; `hidden` if it isn't shown."""
+    names, unseen = [], False
+    for key, value in _ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("hidden", "aria-hidden", "style"):
+            unseen |= key == "hidden" or key == "style" and bool(_UNSEEN.search(value)) or value.lower() == "true"
+        else:
+            names.append(re.sub(r"([a-z])([A-Z])", r"\1-\2", value))
+    said = " ".join(names).replace("_", "-")
+    return frozenset([k for k, r in _NAME.items() if said and r.search(said)] + ["hidden"] * unseen)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -191,7 +202,7 @@ class Node:
         mine = {f"in_{tag}", *(f"name_{s}" for s in spoken)}
         above = parent.above if parent else frozenset()
         self.above = above if mine <= above else above | mine
-        self.near = frozenset(f"near_{s}" for s in spoken) if spoken else parent.near if parent else frozenset()
+        self.near = frozenset(f"near_{s}" for s in spoken) if spoken - {"hidden"} else parent.near if parent else frozenset()
         # the depth of the nearest open element of each scope that nothing shields
         self.scopes = tuple(self.depth if tag in closed else 0 if tag in shields else was for (closed, _, shields), was in zip(_SCOPES, parent.scopes if parent else (0,) * len(_SCOPES)))
 
@@ -298,7 +309,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 FEATURES = [
-    "one", *(f"in_{t}" for t in TAGS), *(f"parent_{t}" for t in TAGS), *(f"name_{n}" for n in NAMES), *(f"near_{n}" for n in NAMES), *CUES,
+    "one", *(f"in_{t}" for t in TAGS), *(f"parent_{t}" for t in TAGS), *(f"name_{n}" for n in NAMES), *(f"near_{n}" for n in NAMES), "name_hidden", *CUES,
     "article_header", "bare", "words_1", "words_2_4", "words_5_9", "words_10_24", "words_25", "links_none", "links_some", "links_most",
     "ends_stop", "commas", "no_stop", "pipes", "digits", "first", "last", "head_tenth", "tail_tenth", "heading_next_text", "after_h1", "before_h1",
     "alone", "few", "depth_1", "depth_2_3", "depth_4",

@@ -2,7 +2,9 @@
 
 The pages are made here, from a seed: article frames of several kinds around invented prose, with menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments in semantic tags, in classes and
-ids only, or bare. Every block's text is unique on its page, so a label goes by text.
+ids only, or bare. Furniture of every kind may hold prose that looks like main text, stand before or after it, or be
+hidden; layout tables have menus and notes in cells of their own. Every block's text is unique on its page, so a label
+goes by text.
 """
 
 from __future__ import annotations
@@ -77,6 +79,32 @@ def _decorate(rng: random.Random, tag: str, kind: str, inner: str, must: bool =
     return f"<{tag}{attr}>{inner}</{tag}>"
 
 
+def _prose(m: _Maker) -> str:
+    """One to three paragraphs or a bare stretch of ordinary sentences, perhaps below a heading."""
+    r = m.rng
+    paras = [m.unique(lambda: " ".join(m.sentence(4, 20) for _ in range(r.choice([1, 1, 2, 3])))) for _ in range(r.choice([1, 1, 1, 2, 3]))]
+    inner = paras[0] if len(paras) == 1 and r.random() < 0.4 else "".join(f"<p>{p}</p>" for p in paras)
+    return (f"<h{(h := r.randint(1, 4))}>{m.unique(lambda: m.words(r.randint(1, 6)).capitalize())}</h{h}>" if r.random() < 0.25 else "") + inner
+
+
+#: What a hidden element's tag may say.
+UNSEEN = [" hidden", ' hidden=""', ' style="display:none"', " style='color: red; display: none'", ' aria-hidden="true"', " class=note hidden"]
+
+
+def _unseen(m: _Maker) -> str:
+    """Text that a browser doesn't show."""
+    tag = m.rng.choice(["div", "div", "section", "p", "aside"])
+    return f"<{tag}{m.rng.choice(UNSEEN)}>{m.unique(lambda: m.sentence(3, 18)) if tag == 'p' else _prose(m)}</{tag}>"
+
+
+def _cell(m: _Maker) -> str:
+    """A layout table's cell beside the main text: links one below the other, or a short note with a link."""
+    r = m.rng
+    link = lambda s: f'<a href="/{s.split()[0]}">{s}</a>'
+    items = [link(m.phrase("nav")) for _ in range(r.randint(2, 7))]
+    return r.choice(["<br>".join(items), " ".join(items), "".join(f"<div>{x}</div>" for x in items), "".join(f"<p>{x}</p>" for x in items), "<ul><li>" + "<li>".join(items) + "</ul>"])
+
+
 def _other(m: _Maker, kind: str) -> str:
     """A stretch of page furniture."""
     r = m.rng
@@ -84,6 +112,8 @@ def _other(m: _Maker, kind: str) -> str:
     tag = r.choice(SEMANTIC[kind]) if semantic else r.choice(["div", "div", "section", "ul"] if kind in ("nav", "side") else ["div", "div", "section",
         "p"] if kind in ("ad", "notice") else ["div", "div", "section"])
     link = lambda s: f'<a href="/{s.split()[0]}">{s}</a>'
+    if tag != "p" and r.random() < 0.35:  # prose that looks like main text, told by its place alone
+        return _decorate(r, "div" if tag == "ul" else tag, kind, _prose(m), must=not semantic or tag == "section")
     if kind == "nav":
         items = [link(m.phrase("nav")) for _ in range(r.randint(2, 8))]
         inner = "".join(f"<li>{x}</li>" for x in items) if tag == "ul" else r.choice([f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>",
@@ -138,7 +168,7 @@ def _article(m: _Maker, main: set[str], noise: bool) -> str:
         else:
             out.append(r.choice([f"<pre>{keep(m.unique(lambda: m.words(6)))}</pre>", f"<figure><img src=x><figcaption>{keep(m.unique(lambda: m.sentence(3, 9)))}</figcaption></figure>"]))
         if noise and r.random() < 0.12:
-            out.append(_other(m, r.choice(["ad", "notice", "side", "form"])))
+            out.append(_unseen(m) if r.random() < 0.35 else _other(m, r.choice(["ad", "notice", "side", "form", "nav", "foot"])))
     if r.random() < 0.25:  # parts of the article in plain or named sections and boxes
         k = r.randint(0, len(out) - 1)
         out[k:] = [r.choice(["<section>{}</section>", "<section>{}</section>", '<section class="chapter">{}</section>', "<div>{}</div>",
@@ -189,7 +219,7 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
                 "<body>{}", "<html><head><title>t</title>{}"]).replace("{}", body), main
             continue
         body = _article(m, main, noise=rng.random() < 0.6)
-        frame = rng.choice(["article", "article", "article", "main", "main-article", "div", "div", "bare", "td"])
+        frame = rng.choice(["article", "article", "article", "main", "main-article", "div", "div", "bare", "td", "layout"])
         if frame == "main-article":
             body = f"<main>{_decorate(rng, 'article', 'main', body)}</main>"
         elif frame in ("article", "main"):
@@ -198,8 +228,15 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             body = f"<div id=page>{_decorate(rng, 'div', 'main', body, must=True)}</div>"
         elif frame == "td":
             body = f"<table><tr><td>{body}</td></tr></table>"
-        before = [_other(m, c) for c in rng.sample(["nav", "head", "ad", "notice", "form", "side"], rng.randint(1, 4))]
-        after = [_other(m, c) for c in rng.sample(["foot", "side", "comment", "notice", "ad", "nav", "form"], rng.randint(1, 4))]
+        elif frame == "layout":
+            cells = [f"<td>{body}</td>", f"<td{rng.choice(['', ' width=20%', ' valign=top'])}>{_cell(m)}</td>"]
+            cells = cells if rng.random() < 0.3 else cells[::-1]
+            body = f"<table><tr>{''.join(cells)}</tr></table>"
+        before = [_other(m, c) for c in rng.sample(["nav", "head", "ad", "notice", "form", "side", "foot"], rng.randint(0 if frame == "layout" else 1, 4))]
+        after = [_other(m, c) for c in rng.sample(["foot", "side", "comment", "notice", "ad", "nav", "form", "head"], rng.randint(0 if frame == "layout" else 1, 4))]
+        for side in (before, after):
+            if rng.random() < 0.08:
+                side.insert(rng.randint(0, len(side)), _unseen(m))
         parts = [*before, body, *after]
         for _ in range(rng.randint(0, 3)):
             parts.insert(rng.randint(0, len(parts)), rng.choice(HIDDEN).replace("{}", m.words(3)))

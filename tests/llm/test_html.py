@@ -1,5 +1,6 @@
 """Main text of whole pages: held-out generated pages, hand-made hostile ones, and very long ones."""
 
+import itertools
 import re
 import time
 
@@ -8,6 +9,8 @@ import pytest
 from larkspur.llm import html_extract as H
 from larkspur.llm.html_labelled import labelled_pages
 
+from .hand_pages import PAGES
+
 A, B = "The first paragraph says a few things, and more.", "A second one follows it with other words."
 TEXT = f"{A}\n{B}"
 ART = f"<article><p>{A}</p><p>{B}</p></article>"
@@ -61,6 +64,29 @@ def test_hostile(k):
     assert H.trained().main_text(page) == want
 
 
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_written_by_hand(k):
+    page, want = PAGES[k]
+    assert H.trained().main_text(page) == want
+
+
+def test_furniture_with_prose():
+    """Ordinary sentences in every kind of furniture, before and after the main text, in 864 layouts."""
+    main = ["Rivers that rise in the hills carry more silt after a wet spring than at any other time.", "Farmers downstream have known this for generations and plan their sowing by it."]
+    prose = "This site is run by the society of the valley, which was founded in 1902 by five friends."
+    frames = ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="post">{}</div>', "<main><article>{}</article></main>", "{}"]
+    kinds = ["<footer>{}</footer>", "<nav>{}</nav>", "<header>{}</header>", "<aside>{}</aside>", '<div class="footer">{}</div>', '<div class="sidebar">{}</div>', "<form>{}</form>",
+        '<div class="cookie-notice">{}</div>', '<div id="menu">{}</div>', "<div hidden>{}</div>", '<div class="comments">{}</div>', '<div class="site-header">{}</div>']
+    forms = ["<p>{}</p>", "{}", "<p>{}</p><p>Its rooms are open to all on the first Sunday of every month.</p>"]
+    wrong = []
+    for frame, kind, form, n, after in itertools.product(frames, kinds, forms, (1, 2), (False, True)):
+        body, other = frame.format("".join(f"<p>{p}</p>" for p in main[:n])), kind.format(form.format(prose))
+        page = f"<html><body>{body + other if after else other + body}</body></html>"
+        if H.trained().main_text(page) != "\n".join(main[:n]):
+            wrong.append(page)
+    assert wrong == []
+
+
 def test_held_out():
     """600 pages that the model hasn't seen; their main text is known by construction."""
     right = n = wrong = 0
