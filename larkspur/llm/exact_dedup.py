@@ -16,7 +16,8 @@ copied to as many keys as the group has thousands.
 Defined cases: a null text counts as empty, and empty texts are equal to each other; texts of any length are
 hashed and compared whole; a null doc_id ranks below all others; of rows that repeat the largest doc_id of
 their group with equal texts one stays (the first as read), the others are copies like any; an empty table
-gives an empty result; extra columns, whatever their names, don't matter.
+gives an empty result; doc_id must be a number or cast to long (text ids stop the job); extra columns, whatever their
+names, don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, sent
+from .common import ascii_lower, cut, fresh, sent
 
 #: Digests per filter shard, at most on average: about 75 kB a filter and 2 MB of pandas rows a task group.
 KEYS = 50_000
@@ -157,8 +158,15 @@ def group_batches(dig: DataFrame, cuts: list[int]) -> DataFrame:
     bounds = [None, *cuts, None]
     snapshots: list[tuple[DataFrame, DataFrame, int]] = []
     hits: list[DataFrame] = []
-    for lo, hi in zip(bounds, bounds[1:]):
-        inside = F.lit(True) if lo is None and hi is None else (F.col("doc_id") <= hi) | F.col("doc_id").isNull() if lo is None else F.col("doc_id") > lo if hi is None else (F.col("doc_id") > lo) & (F.col("doc_id") <= hi)
+
+    def within(lo: int | None, hi: int | None) -> Column:
+        low = F.lit(True) if lo is None else F.col("doc_id") > lo
+        return low if hi is None else low & (F.col("doc_id") <= hi) | (F.col("doc_id").isNull() if lo is None else F.lit(False))
+
+    insides = [within(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
+    # a filter's shard meets as many incoming digests as the largest batch has for it, so that sets the shards too
+    largest = max(dig.agg(*(F.count_if(i) for i in insides)).first())
+    for inside, hi in zip(insides, bounds[1:]):
         new = cut(_grouped(dig.where(inside)), "dedup-batch")
         size = new.count()
         for snap, filters, shards in snapshots:
@@ -170,7 +178,7 @@ def group_batches(dig: DataFrame, cuts: list[int]) -> DataFrame:
             new = screened.where("NOT maybe").select("digest", "n", "max_id", "keep_row").unionByName(false_alarms)
         if snapshots:
             new = cut(new, "dedup-snapshot")
-        shards = max(1, -(-size // KEYS))
+        shards = max(1, -(-max(size, largest) // KEYS))
         if hi is not None and size:
             snapshots.append((new, cut(build_filters(new, shards), "dedup-filters"), shards))
         else:
@@ -248,13 +256,15 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batch
 
 def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each group of equal texts: the one with the largest doc_id (of rows that repeat it, any)."""
-    lost = cut(deduplicate(df, doc_id, text).where("NOT kept"), "dedup-lost").select(F.col("doc_id").alias("lost_id"), F.col("keep_id"), F.col("text_sha256").alias("lost_sha"))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("lost_id")) & (F.sha2(_norm(text), 256) == F.col("lost_sha"))
-    again = lost.where(F.col("lost_id").eqNullSafe(F.col("keep_id"))).select("lost_id", "lost_sha").distinct()
+    gone, sha = fresh(df, "lost_id"), fresh(df, "lost_sha")
+    found = cut(deduplicate(df, doc_id, text).where("NOT kept"), "dedup-lost")
+    lost = found.select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(gone)) & (F.sha2(_norm(text), 256) == F.col(sha))
+    again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)).distinct()
     # with few enough lost rows the texts stay where they are
-    left = df.join(sent(lost.select("lost_id", "lost_sha"), lost.count()), same, "left_anti")
+    left = df.join(sent(lost, lost.count()), same, "left_anti")
     if again.isEmpty():
         return left
-    one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"),
-        F.sha2(_norm(text), 256).alias("lost_sha")).agg(F.any_value(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("lost_row"))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    one = df.join(again, same, "left_semi").groupBy(_key(doc_id).alias("lost_key"), F.sha2(_norm(text), 256).alias("lost_sha")).agg(F.any_value(row).alias("lost_row"))
     return left.unionByName(one.select("lost_row.*"))

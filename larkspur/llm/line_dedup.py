@@ -17,7 +17,8 @@ compared: among 10^12 different lines two share a hash with a probability of abo
 Defined cases: a null or empty text is one empty line; a text of any length is split whole; keys under
 MIN_CHARS code points always stay; a null doc_id counts as the smallest; repeated rows of one doc_id are one
 document, and each row gives its own result; an empty table gives an empty result; extra columns, whatever
-their names, don't matter. The runs are dropped, and their files deleted, before the result is returned.
+their names, don't matter; of lines with equal keys in one document all stay or none; doc_id must be a number or cast
+to long (text ids stop the job). The runs are dropped, and their files deleted, before the result is returned.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ class Runs:
         return out
 
     def close(self) -> None:
-        for name in self.names():
+        for name in self.made:
             self._drop(name)
-        self.levels = []
+        self.made, self.levels = [], []
 
 
 def _owner(doc_id: str) -> Column:
@@ -139,25 +140,31 @@ def hashed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, runs: Runs | None = None) -> DataFrame:
-    """doc_id, sig and the array `dropped` of 0-based line numbers that an earlier document holds."""
+    """doc_id, sig and the array `dropped` of 0-based line numbers that an earlier document holds. With `runs`, the lines
+    that they hold count as earlier documents' too, this table's are added, and the runs stay for the next one; without,
+    the call's own runs are dropped, whether it succeeds or not."""
     spark = df.sparkSession
     marks = df.select(F.percentile_approx(_owner(doc_id), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     batch = sum((F.when(F.col("doc_id") > m, 1).otherwise(0) for m in sorted(set(marks or []))), F.lit(0))
     rows = cut(hashed_lines(df, doc_id, text, min_chars).withColumn("batch", batch), "line-hashes", ["batch"])
-    runs = runs or Runs(spark)
-    for k in range(len(set(marks or [])) + 1):
-        first = rows.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-        runs.add(runs.anti(first))
-    lost = rows.join(runs.entries().withColumnRenamed("owner", "doc_id").hint("merge"), ["h1", "h2", "doc_id"], "left_anti")
-    out = cut(lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("dropped")), "line-dropped")
-    runs.close()
-    drop(rows)
-    return out
-
-
-def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per row of df: doc_id, text (the lines that stay), n_lines (before), n_dropped."""
-    lost = dropped_lines(df, doc_id, text, batches, min_chars).withColumnsRenamed({"doc_id": "lost_id", "sig": "lost_sig"})
+    own = runs is None
+    runs = Runs(spark) if runs is None else runs
+    try:
+        for k in range(len(set(marks or [])) + 1):
+            first = rows.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
+            runs.add(runs.anti(first))
+        lost = rows.join(runs.entries().withColumnRenamed("owner", "doc_id").hint("merge"), ["h1", "h2", "doc_id"], "left_anti")
+        return cut(lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("dropped")), "line-dropped")
+    finally:
+        if own:
+            runs.close()
+        drop(rows)
+
+
+def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, runs: Runs | None = None) -> DataFrame:
+    """Per row of df: doc_id, text (the lines that stay), n_lines (before), n_dropped. A caller that passes `runs` on from
+    table to table drops what earlier tables held, and closes them at the end."""
+    lost = dropped_lines(df, doc_id, text, batches, min_chars, runs).withColumnsRenamed({"doc_id": "lost_id", "sig": "lost_sig"})
     text_ = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text_).alias("sig"), F.split(F.coalesce(text_, F.lit("")), "\n", -1).alias("lines"))
     docs = docs.join(lost, (_owner("doc_id") == F.col("lost_id")) & (F.col("sig") == F.col("lost_sig")), "left")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, modest_batches, sent
+from .common import cut, drop, fresh, modest_batches, sent
 
 RADIUS = 3
 HALF = 32
@@ -295,6 +295,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """df with one document of each class: the one with the smallest doc_id (rows without a doc_id stay)."""
-    gone = near_duplicates(df, doc_id, text, width).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    name = fresh(df, "gone_id")
+    gone = near_duplicates(df, doc_id, text, width).where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = sent(cut(gone, "simhash-gone"))
-    return df.join(gone, F.col(f"`{doc_id}`") == F.col("gone_id"), "left_anti")
+    return df.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

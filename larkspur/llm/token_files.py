@@ -24,7 +24,7 @@ from a two-level running sum.
 
 Defined cases: null and empty texts have the end id only; a text of any length is split over blocks; rows
 that repeat a doc_id are written one after the other, in any order of theirs; an empty table gives no
-block; extra columns, whatever their names, don't matter.
+block; doc_id must be a number or cast to long (text ids stop the job); extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

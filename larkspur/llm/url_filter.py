@@ -6,19 +6,17 @@ a table of the cluster, and each URL's (context, next) positions are joined to i
 each order with the one below by Witten-Bell weights; a context that a model has not seen says what its
 longest seen suffix says. A URL without a rule is judged by its log-likelihood difference per character
 against a threshold. For that, models of the other rule-decided URLs score a held-out fifth (every
-HELD-th by hash), and the threshold with the best balanced accuracy is taken; the final models are then
-counted over all of them.
+HELD-th by hash), and the threshold with the best balanced accuracy is taken; the final models are
+counted over all of them. Both kinds of model come from the same counts and score in the same pass: the counts of all
+suffixes of a context meet in one row, where the orders are folded.
 
 Defined cases: a null URL, or one without ://, has empty host and path, no rule, and is allowed (no
-evidence); if either class has no labelled URL all others are allowed; repeated rows count once each;
+evidence); a score equal to the threshold accepts; URLs of any length are read whole, one row a character; if either class has no labelled URL all others are allowed; repeated rows count once each;
 an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,94 +72,90 @@ def grams(judged: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("verdict", "held", suffix, "next").agg(F.sum("n").alias("n"))
 
 
+def held_out(host: str = "host", path: str = "path") -> Column:
+    return F.pmod(F.xxhash64(host, path), F.lit(HELD)) == 0
+
+
 class Ratio:
-    """Log-likelihood difference of the two models. table: (verdict, context, next, n), all of them."""
+    """Log-likelihood difference of the two models. table: (verdict, held, context, next, n), all of them. The models
+    proper count all URLs; beside them stand those without the held-out URLs, for calibration."""
 
     def __init__(self, table: DataFrame, order: int):
         self.table, self.order = table, order
-        self.alphabet = table.where("context = ''").select("next").distinct().count() + 1
-
-    @functools.cached_property
-    def counts(self) -> dict[str, dict[str, dict[str, int]]]:
-        """The counts on the driver, for score() of single texts; score_rows() does without."""
-        out: dict[str, dict[str, dict[str, int]]] = {"allow": {}, "block": {}}
-        for verdict, context, nxt, n in self.table.select("verdict", "context", "next", "n").collect():
-            out[verdict].setdefault(context, {})[nxt] = n
-        return out
-
-    def _p(self, model: dict, context: str, nxt: str) -> float:
-        p = 1.0 / self.alphabet
-        for k in range(len(context) + 1):
-            seen = model.get(context[len(context) - k :])
-            if seen is None:
-                break  # longer contexts aren't seen either
-            total = sum(seen.values())
-            p = (seen.get(nxt, 0) + len(seen) * p) / (total + len(seen))
-        return p
-
-    def step(self, context: str, nxt: str) -> float:
-        return math.log(self._p(self.counts["allow"], context, nxt) / self._p(self.counts["block"], context, nxt))
-
-    def score(self, text: str) -> float:
-        """Nats per character in favour of accepting."""
-        s = f"\x02{text}\x03"
-        return sum(self.step(s[max(0, i - self.order) : i], s[i]) for i in range(1, len(s))) / (len(s) - 1)
+        first = table.where("context = ''").groupBy("next").agg(F.bool_and("held").alias("held"))
+        every, rest = first.agg(F.count(F.lit(1)), F.count_if(~F.col("held"))).first()
+        self.alphabets = {"": every + 1, "_fit": rest + 1}
+        classes = {(r[0], r[1]) for r in table.where("context = ''").select("verdict", "held").distinct().collect()}
+        self.complete = {v for v, _ in classes} == {"allow", "block"}
+        #: whether both classes have URLs to fit on and held-out ones
+        self.calibrates = len(classes) == 4
+
+    def stats(self, wanted: DataFrame) -> DataFrame:
+        """wanted: distinct (suffix, next). Their counts, and their suffix's counts and kinds of next, for both classes
+        and both kinds of model, in the struct `of`. No join key has more rows than the alphabet has characters."""
+        sides = [(v, m, (F.col("verdict") == v) & (F.lit(True) if m == "" else ~F.col("held"))) for v in ("allow", "block") for m in self.alphabets]
+        both = self.table.groupBy("context", "next").agg(*(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).alias(f"n_{v}{m}") for v, m, of in sides))
+        both = cut(both, "url-counts")
+        sums = [f(f"n_{v}{m}").alias(f"{c}_{v}{m}") for v, m, _ in sides for c, f in (("t", F.sum), ("k", lambda x: F.count_if(F.col(x) > 0)))]
+        model = both.groupBy("context").agg(*sums)
+        found = wanted.join(both.withColumnRenamed("context", "suffix"), ["suffix", "next"], "left").join(model.withColumnRenamed("context", "suffix"), "suffix", "left")
+        names = [f"{c}_{v}{m}" for v, m, _ in sides for c in "ntk"]
+        return found.select(*wanted.columns, F.struct(*(F.coalesce(n, F.lit(0)).alias(n) for n in names)).alias("of"))
 
     def steps(self, pairs: DataFrame) -> DataFrame:
-        """pairs: distinct (context, next). Their step(), order by order. No join key has more rows than
-        the alphabet has characters: the pairs of an order are the distinct suffixes of the next one's."""
-        n = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0))
-        both = self.table.groupBy("context", "next").agg(n("allow").alias("na"), n("block").alias("nb"))
-        kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
-        model = both.groupBy("context").agg(F.sum("na").alias("ta"), kinds("na").alias("ka"), F.sum("nb").alias("tb"), kinds("nb").alias("kb"))
-        both, model = cut(both, "url-counts"), cut(model, "url-contexts")
-        wanted = [pairs.select("context", "next")]
-        for k in range(self.order - 1, -1, -1):
-            wanted.insert(0, wanted[0].select(F.expr(f"right(context, {k})").alias("context"), "next").distinct())
-        below = None
-        for k, want in enumerate(wanted):
-            one = want.join(both.where(F.length("context") <= k), ["context", "next"], "left").join(model.where(F.length("context") <= k), "context", "left")
-            if below is None:
-                one = one.withColumn("qa", F.lit(1.0 / self.alphabet)).withColumn("qb", F.col("qa"))
-            else:
-                one = one.withColumn("context_", F.col("context")).withColumn("context", F.expr(f"right(context, {k - 1})")).join(below,
-                    ["context", "next"]).drop("context").withColumnRenamed("context_", "context")
-            # a context of fewer than k characters has had its say
-            mixed = lambda v: F.when((F.length("context") == k) & (F.col(f"k{v}") > 0),
-                (F.coalesce(F.col(f"n{v}"), F.lit(0)) + F.col(f"k{v}") * F.col(f"q{v}")) / (F.col(f"t{v}") + F.col(f"k{v}"))).otherwise(F.col(f"q{v}"))  # noqa: B023, E731
-            below = cut(one.select("context", "next", mixed("a").alias("qa"), mixed("b").alias("qb")), f"url-order-{k}")
-        return below.select("context", "next", F.ln(F.col("qa") / F.col("qb")).alias("step"))
-
-    def score_rows(self, rows: DataFrame) -> DataFrame:
-        """rows (host, path, others) with score."""
+        """pairs: distinct (context, next). Their steps by both kinds of model: the counts of all suffixes of a context
+        come together in one row and are folded there, from the shortest on."""
+        ks = F.explode(F.sequence(F.lit(0), F.length("context"))).alias("k")
+        spread = pairs.select("context", "next", ks).withColumn("suffix", F.expr("right(context, k)"))
+        wanted = cut(spread.groupBy("suffix", "next").agg(F.count(F.lit(1)).alias("times")), "url-suffixes")
+        many = (wanted.agg(F.sum("times")).first()[0] or 0) / HOT
+        stats = cut(self.stats(wanted), "url-stats")
+        joined = _hot_join(spread, stats, ["suffix", "next"], "times", many, "of")
+        rows = joined.groupBy("context", "next").agg(F.sort_array(F.collect_list(F.struct("k", "of"))).alias("orders"))
+
+        def p(v: str, m: str) -> Column:
+            def mix(q: Column, at: Column) -> Column:
+                n, t, k = (at["of"][f"{c}_{v}{m}"] for c in "ntk")
+                return F.when(k > 0, (n + k * q) / (t + k)).otherwise(q)
+
+            return F.aggregate("orders", F.lit(1.0 / self.alphabets[m]), mix)
+
+        return rows.select("context", "next", *(F.ln(p("allow", m) / p("block", m)).alias(f"step{m}") for m in self.alphabets))
+
+    def score_rows(self, rows: DataFrame, held: str | None = None) -> DataFrame:
+        """rows (host, path, others) with score: nats per character in favour of accepting. Where the column `held` is
+        true, by the models without the held-out URLs."""
         rows = cut(rows.withColumn("url_row", F.monotonically_increasing_id()), "url-rows")
-        at = positions(rows.select("url_row", "host", "path"), self.order)
+        at = positions(rows.select("url_row", "host", "path", (F.col(held) if held else F.lit(False)).alias("by_fit")), self.order)
         pairs = cut(at.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n")), "url-pairs")
         many = (pairs.agg(F.sum("n")).first()[0] or 0) / HOT
-        steps = cut(self.steps(pairs).join(pairs, ["context", "next"]), "url-steps")
-        hot = F.broadcast(steps.where(F.col("n") > many).select("context", "next", F.col("step").alias("hot_step")))
-        at = at.join(hot, ["context", "next"], "left")
-        rare = at.where("hot_step IS NULL").drop("hot_step").join(steps.where(F.col("n") <= many).select("context", "next", "step").hint("merge"), ["context", "next"])
-        found = at.where("hot_step IS NOT NULL").select("url_row", F.col("hot_step").alias("step")).unionByName(rare.select("url_row", "step"))
+        steps = cut(self.steps(pairs).join(pairs, ["context", "next"]).withColumn("steps", F.struct("step", "step_fit")), "url-steps")
+        found = _hot_join(at, steps, ["context", "next"], "n", many, "steps")
+        step = F.when(F.col("by_fit"), F.col("steps.step_fit")).otherwise(F.col("steps.step"))
         # decimals, so that a score doesn't depend on the order of its sum
-        score = (F.sum(F.col("step").cast("decimal(24,14)")).cast("double") / F.count(F.lit(1))).alias("score")
+        score = (F.sum(step.cast("decimal(24,14)")).cast("double") / F.count(F.lit(1))).alias("score")
         return rows.join(found.groupBy("url_row").agg(score), "url_row").drop("url_row")
 
 
-def train(judged: DataFrame, order: int = ORDER) -> tuple[Ratio, float] | None:
-    """judged: host, path, verdict. The model and its threshold, or None if a class is missing."""
-    counts = cut(grams(judged, order), "url-grams")
-    classes = {(r[0], r[1]) for r in counts.where("context = ''").select("verdict", "held").distinct().collect()}
-    if {v for v, _ in classes} != {"allow", "block"}:
-        return None
-    final = Ratio(cut(counts.groupBy("verdict", "context", "next").agg(F.sum("n").alias("n")), "url-model"), order)
-    if len(classes) < 4:  # nothing to fit or to calibrate on
-        return final, 0.0
+def _hot_join(rows: DataFrame, table: DataFrame, keys: list[str], times: str, many: float, value: str) -> DataFrame:
+    """rows with the table's value by key; keys with more than `many` rows, fewer than HOT of them, are broadcast."""
+    hot = table.where(F.col(times) > many).select(*keys, F.col(value).alias("hot_value"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rare = rows.where("hot_value IS NULL").drop("hot_value").join(table.where(F.col(times) <= many).select(*keys, value).hint("merge"), keys)
+    return rows.where("hot_value IS NOT NULL").withColumnRenamed("hot_value", value).unionByName(rare)
+
+
+def fit(judged: DataFrame, order: int = ORDER) -> Ratio | None:
+    """judged: host, path, verdict. The models, or None if a class is missing."""
+    ratio = Ratio(cut(grams(judged, order), "url-grams"), order)
+    return ratio if ratio.complete else None
+
+
+def cutoff(scored: DataFrame) -> float:
+    """The threshold with the best balanced accuracy on held-out rows (verdict, score)."""
     size = 2 * SPAN / BINS
-    held = judged.where(F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0)
-    scored = Ratio(counts.where("NOT held"), order).score_rows(held.select("host", "path", "verdict"))
     place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) / size)))
-    hist = {(r[0], r[1]): r[2] for r in scored.groupBy("verdict", place.alias("bin")).count().collect()}
+    hist = {(r[0], r[1]): r[2] for r in scored.groupBy("verdict", place.alias("bin")).count().collect()}  # two rows a bin
     totals = {v: sum(n for (w, _), n in hist.items() if w == v) for v in ("allow", "block")}
     best, below = (-1.0, 0.0), {"allow": 0, "block": 0}
     for b in range(BINS + 1):
@@ -170,7 +164,17 @@ def train(judged: DataFrame, order: int = ORDER) -> tuple[Ratio, float] | None:
             best = (balanced, b * size - SPAN)
         for v in below:
             below[v] += hist.get((v, b), 0)
-    return final, best[1]
+    return best[1]
+
+
+def train(judged: DataFrame, order: int = ORDER) -> tuple[Ratio, float] | None:
+    """judged: host, path, verdict. The models and their threshold (0 with nothing to fit or to calibrate on), or None
+    if a class is missing."""
+    ratio = fit(judged, order)
+    if ratio is None or not ratio.calibrates:
+        return ratio and (ratio, 0.0)
+    held = judged.where(held_out()).select("host", "path", "verdict", F.lit(True).alias("held"))
+    return ratio, cutoff(cut(ratio.score_rows(held, "held"), "url-held"))
 
 
 def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -180,12 +184,15 @@ def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumn("rule", rule).withColumn("verdict", verdict), "url-rules")
     decided, open_ = rows.where("verdict IS NOT NULL"), rows.where("verdict IS NULL")
-    model = train(decided.select("host", "path", "verdict"))
+    ratio = fit(decided.select("host", "path", "verdict"))
     none = F.lit(None).cast("double")
-    if model is None:
+    if ratio is None:
         return decided.withColumn("score", none).unionByName(open_.withColumn("verdict", F.lit("allow")).withColumn("score", none))
-    ratio, threshold = model
-    scored = ratio.score_rows(open_)
+    # held-out URLs, by the models without them, and URLs without a rule are scored in the same pass
+    held = F.lit(ratio.calibrates) & F.col("verdict").isNotNull() & held_out()
+    asked = rows.withColumn("held", held).where("held OR verdict IS NULL")
+    scored = cut(ratio.score_rows(asked, "held"), "url-scores")
+    threshold = cutoff(scored.where("held")) if ratio.calibrates else 0.0
     empty = (F.col("host") == "") & (F.col("path") == "")
-    scored = scored.withColumn("verdict", F.when(empty | (F.col("score") >= threshold), "allow").otherwise("block"))
+    scored = scored.where("NOT held").drop("held").withColumn("verdict", F.when(empty | (F.col("score") >= threshold), "allow").otherwise("block"))
     return decided.withColumn("score", none).unionByName(scored)
