@@ -215,17 +215,31 @@ CONCEPTS = [
 ]
 
 
-def rule_labels(rules=CONCEPTS) -> Column:
-    """Concepts whose condition holds, by falling confidence, then in rule order."""
-    hits = F.array_compact(F.array(*(F.when(F.expr(cond),
-        F.struct(F.lit(-conf).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(alone).alias("alone"),
-            F.lit(many).alias("many"))) for i, (name, cond, conf, alone, many) in enumerate(rules))))
-    return F.sort_array(hits)
+#: What is listed where no concept's condition holds, by the centroid, each with confidence 0.6.
+GENERIC = [("low_frequency_ambience", "sc < 2000"), ("midrange_sounds", "sc >= 2000 AND sc < 4000"), ("high_frequency_ambience", "sc >= 4000")]
+SURE = 0.6
+
+
+def rule_labels(rules=CONCEPTS, generic=GENERIC) -> Column:
+    """Concepts whose condition holds, by falling confidence, then in rule order; where none does, one of the generic
+    ones (none without a centroid)."""
+    listed = [*rules, *((name, cond, SURE, "", "") for name, cond in generic)]
+    concept = lambda i: F.struct(F.lit(-listed[i][2]).alias("neg"), F.lit(i).alias("i"), *(F.lit(listed[i][k]).alias(n) for k, n in ((0, "name"), (3, "alone"), (4, "many"))))
+    which = lambda at: F.array_compact(F.array(*(F.when(F.expr(listed[i][1]), concept(i)) for i in at)))
+    hits = which(range(len(rules)))
+    return F.when(F.size(hits) > 0, F.sort_array(hits)).otherwise(which(range(len(rules), len(listed))))
 
 
 def rule_caption(hits: Column) -> Column:
-    return F.when(F.size(hits) == 0, "environment with ambient sounds").when(F.size(hits) == 1,
-        hits[0]["alone"]).otherwise(F.concat(F.lit("soundscape with "), F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: h["many"]), " and ")))
+    """Wording of the concepts that are surer than the generic ones."""
+    sure = F.filter(hits, lambda h: h["neg"] < -SURE)
+    return F.when(F.size(sure) == 0, "environment with ambient sounds").when(F.size(sure) == 1,
+        F.get(sure, 0)["alone"]).otherwise(F.concat(F.lit("soundscape with "), F.array_join(F.transform(F.slice(sure, 1, 3), lambda h: h["many"]), " and ")))
+
+
+def rule_concepts(hits: Column) -> Column:
+    """The concepts' names, the surest first."""
+    return F.array_join(F.transform(hits, lambda h: h["name"]), ", ")
 
 
 def rule_confidence(hits: Column) -> Column:

@@ -30,18 +30,6 @@ def _features(df: DataFrame, xs: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*(F.col(x).cast("double") for x in xs))))
 
 
-def ridge_folds(df: DataFrame, xs: list[str], y: str, fold: str, alphas: list[float]) -> DataFrame:
-    """Out-of-fold predictions per alpha on given folds: fold, alpha and R2 of each."""
-    rows, folds = _features(df.na.drop(subset=[*xs, y]), xs), [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a handful
-    out = None
-    for k in folds:
-        train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
-        for a in alphas:
-            scored = _ridge(train, y, a).fit(train).transform(test).select(F.lit(k).alias("fold"), F.lit(a).alias("alpha"), F.col(y).alias("y"), "pred")
-            out = scored if out is None else out.unionByName(scored)
-    return out.groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), _r2())
-
-
 def gbt_folds(df: DataFrame, xs: list[str], y: str, fold: str, rounds: int = 10) -> DataFrame:
     rows, folds = _features(df.na.drop(subset=[*xs, y]), xs), [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     out = None
@@ -52,17 +40,6 @@ def gbt_folds(df: DataFrame, xs: list[str], y: str, fold: str, rounds: int = 10)
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), _r2())
 
 
-def group_oof(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """Leave-one-group-out predictions of a one-feature line, from moments: all sums minus the group's own."""
-    rows = df.na.drop(subset=[x, y, group])
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy")]
-    g, t = rows.groupBy(group).agg(*sums), rows.agg(*(s.alias(f"t{i}") for i, s in enumerate(sums)))
-    d = g.crossJoin(F.broadcast(t)).select(group, *((F.col(f"t{i}") - F.col(c)).alias(c) for i, c in enumerate(("n", "sx", "sy", "sxx", "sxy"))))
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fit = d.select(group, slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
-    return rows.join(fit, group).withColumn("pred", F.col("intercept") + F.col("slope") * F.col(x))
-
-
 #: Twelve penalties, evenly spaced in the exponent from 10**-3 to 10**2.
 ALPHAS = tuple(10 ** (-3 + 5 * i / 11) for i in range(12))
 

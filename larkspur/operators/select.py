@@ -63,8 +63,9 @@ def proportional_select(df: DataFrame, by: list[str], n: int, seed: int, key: li
     return sample_per_group(df.join(quotas, by), by, F.col("_quota"), seed, key).drop("_quota")
 
 
-def take_budget(df: DataFrame, weight: str, target: float, seed: int, key: list[str], by: str | None = None) -> DataFrame:
-    """Rows in seeded order while what was taken before is under the target; with by, in turn over its groups."""
+def take_budget(df: DataFrame, weight: str, target: float, seed: int, key: list[str], by: str | None = None, turn: Column | None = None) -> DataFrame:
+    """Rows in seeded order while what was taken before is under the target; with by, in turn over its groups, which come
+    in the order of `turn` (by default of their names)."""
     rows = df.withColumn("_h", order_key(seed, *key))
     if by is None:
         return prefix_sums(rows, ["_h", *key], weight, F.substring("_h", 1, 2)).where(F.col("before") < target).drop("_h", "before")
@@ -72,7 +73,8 @@ def take_budget(df: DataFrame, weight: str, target: float, seed: int, key: list[
     # turns come in as many buckets as a group has at most, each of about as many rows
     rows = rows.crossJoin(F.broadcast(rows.agg((F.max("_r") + 1).alias("_turns"))))
     bucket = F.floor(F.col("_r") * 512 / F.col("_turns"))
-    return prefix_sums(rows, ["_r", by, *key], weight, bucket).where(F.col("before") < target).drop("_h", "_r", "_turns", "before")
+    rows = rows.withColumn("_turn", F.col(by) if turn is None else turn)
+    return prefix_sums(rows, ["_r", "_turn", *key], weight, bucket).where(F.col("before") < target).drop("_h", "_r", "_turn", "_turns", "before")
 
 
 def holdout_split(df: DataFrame, n: int, max_share: float, seed: int, key: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scores import hash_int, order_key
+from larkspur.sources.scratch import SMALL, cut
 
+from .resample import resampled_sums
 from .rollup import avg_rank
 from .screen import prefix_sums, value_buckets
 
@@ -20,17 +21,44 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, parts:
     marks = [i / parts for i in range(1, parts)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, marks, 10 * parts).alias("_cuts"))
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = counts.join(cuts, keys).withColumn("_b", bucket).drop("_cuts")
+    placed = (counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))).withColumn("_b", bucket).drop("_cuts")
     out = prefix_sums(placed, [value], n, F.col("_b"), "_before", keys)
     return out.withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before")
 
 
+#: Values with more than one in HOT of all rows are broadcast with their rank: fewer than HOT of them.
+HOT = 1_000
+
+
+def _with_rank(rows: DataFrame, counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with the average rank of their value among its group's rows. counts: keys, value, _n. Ranks go back by broadcast
+    where the distinct values are few; else those of common values do, and the others meet by shuffle."""
+    ranks = cut(average_ranks(counts, keys, value, "_n").select(*keys, value, "_n", F.col("rank").alias(name)), "ranks")
+    if ranks.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(ranks.drop("_n")), [*keys, value])
+    many = (ranks.agg(F.sum("_n")).first()[0] or 0) / HOT
+    rows = rows.join(F.broadcast(ranks.where(F.col("_n") > many).select(*keys, value, F.col(name).alias("_hot"))), [*keys, value], "left")
+    rare = rows.where("_hot IS NULL").drop("_hot").join(ranks.where(F.col("_n") <= many).drop("_n"), [*keys, value])
+    return rows.where("_hot IS NOT NULL").withColumnRenamed("_hot", name).unionByName(rare)
+
+
+def _weighted_corr(x: str, y: str, n: str) -> Column:
+    """Correlation of x and y over rows that stand for n each; null where one is constant."""
+    w, a, b = F.sum(n), F.col(x) * F.col(n), F.col(y) * F.col(n)
+    spread = lambda c, v: F.sum(v * F.col(c)) - F.sum(v) * F.sum(v) / w
+    return F.try_divide(F.sum(a * F.col(y)) - F.sum(a) * F.sum(b) / w, F.sqrt(F.greatest(F.lit(0.0), spread(x, a) * spread(y, b))))
+
+
 def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_levels: int = 2) -> DataFrame:
-    """Rank correlation per group; groups that are constant in x or y, or have few levels of x, are left out."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumn("_rx", avg_rank(x, keys)).withColumn("_ry", avg_rank(y, keys))
-    g = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_distinct(x).alias("_lx"), F.count_distinct(y).alias("_ly"))
-    return g.where((F.col("_lx") >= min_levels) & (F.col("_ly") > 1)).drop("_lx", "_ly")
+    """Rank correlation per group; groups that are constant in x or y, or have few levels of x, are left out. Rows are
+    counted by pair of values first; no task ranks a whole group."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    pairs = cut(rows.groupBy("_k", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "value-pairs")
+    ranked = pairs
+    for v in ("_x", "_y"):
+        ranked = _with_rank(ranked, pairs.groupBy("_k", v).agg(F.sum("_n").alias("_n")), ["_k"], v, f"_r{v}")
+    g = ranked.groupBy("_k").agg(_weighted_corr("_r_x", "_r_y", "_n").alias("rho"), F.sum("_n").alias("n"), F.count_distinct("_x").alias("_lx"), F.count_distinct("_y").alias("_ly"))
+    return g.where((F.col("_lx") >= min_levels) & (F.col("_ly") > 1)).select("_k.*", "rho", "n")
 
 
 def sign_counts(df: DataFrame, keys: list[str], rho: str = "rho") -> DataFrame:
@@ -41,16 +69,15 @@ def sign_counts(df: DataFrame, keys: list[str], rho: str = "rho") -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
-    """Long matrix x, y, rho, n over complete rows: all columns ranked, then all pairs in one aggregate."""
+    """Long matrix x, y, rho, n over complete rows: all columns are ranked by the counts of their values, the ranks go
+    back to the rows column by column, then all pairs are one aggregate."""
     cols = list(dict.fromkeys([*xs, *ys]))
-    rows = df.na.drop(subset=cols).select(F.monotonically_increasing_id().alias("_row"), *(F.col(c).cast("double").alias(c) for c in cols))
-    long = rows.unpivot(["_row"], cols, "_c", "_v")
-    ranks = average_ranks(long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_c"], "_v", "_n")
-    # one join back for all columns; a row's ranks meet again by its number
-    placed = long.join(ranks.select("_c", "_v", "rank"), ["_c", "_v"])
-    rows = placed.groupBy("_row").agg(*(F.max(F.when(F.col("_c") == c, F.col("rank"))).alias(f"_rank_{c}") for c in cols))
+    rows = df.na.drop(subset=cols).select(*(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)))
+    counts = cut(rows.unpivot([], [f"_v{i}" for i in range(len(cols))], "_c", "_v").groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    for i in range(len(cols)):
+        rows = _with_rank(rows, counts.where(F.col("_c") == f"_v{i}").select(F.col("_v").alias(f"_v{i}"), "_n"), [], f"_v{i}", f"_rank{i}")
     pairs = [(x, y) for x in xs for y in ys]
-    wide = rows.agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"_rank_{x}", f"_rank_{y}").alias(f"c{i}") for i, (x, y) in enumerate(pairs)))
+    wide = rows.agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"_rank{cols.index(x)}", f"_rank{cols.index(y)}").alias(f"c{i}") for i, (x, y) in enumerate(pairs)))
     return wide.select("n", F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("rho")) for i, (x, y) in enumerate(pairs)))).alias("m")).select("m.*", "n")
 
 
@@ -92,7 +119,8 @@ def correlation_p(df: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:
 
 
 def adjust_p(df: DataFrame, keys: list[str], p: str, method: str, tie: list[str]) -> DataFrame:
-    """Benjamini-Hochberg (bh) or Bonferroni adjustment within each family, and stars."""
+    """Benjamini-Hochberg (bh) or Bonferroni adjustment within each family, and stars. For report tables: a family is one
+    task's rows."""
     w = Window.partitionBy(*(keys or [F.lit(1)]))
     m = F.count(p).over(w)
     if method == "bonferroni":
@@ -105,51 +133,28 @@ def adjust_p(df: DataFrame, keys: list[str], p: str, method: str, tie: list[str]
 
 
 def matrix_similarity(a: DataFrame, b: DataFrame, cell: list[str], value: str) -> DataFrame:
-    """Rank correlation of cells, sign agreement, slope of b on a, mean absolute difference."""
+    """Rank correlation of cells, sign agreement, slope of b on a, mean absolute difference. For report tables: all cells
+    are one task's rows."""
     j = a.select(*cell, F.col(value).alias("_a")).join(b.select(*cell, F.col(value).alias("_b")), cell).where("_a IS NOT NULL AND _b IS NOT NULL").withColumn("_k", F.lit(1))
     r = j.withColumn("_ra", avg_rank("_a", ["_k"])).withColumn("_rb", avg_rank("_b", ["_k"]))
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"),
         F.avg((F.signum("_a") == F.signum("_b")).cast("double")).alias("same_sign"), F.regr_slope("_b", "_a").alias("slope"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mad"))
 
 
-def _draws(df: DataFrame, keys: list[str], n: int, seed: int, order: list[str]) -> DataFrame:
-    """Each group's rows drawn with replacement n times: rep and the drawn row. Index of a draw: hash(seed, rep, slot)
-    mod size. For groups of few rows, such as one row a cluster; weighted_reps() is for many."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    slots = rows.select(*keys, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    slots = slots.withColumn("_i", hash_int(seed, "rep", "_slot") % F.col("_n"))
-    return slots.select(*keys, "rep", "_i").join(rows.drop("_n"), [*keys, "_i"])
-
-
-#: Upper ends of the Poisson(1) distribution's steps as shares of 2**32, in hex; beyond the last a weight is 9.
-POISSON = [f"{math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))):08x}" for k in range(9)]
-
-
-def poisson_weight(digits: Column) -> Column:
-    """0, 1, 2 ... by eight hex digits."""
-    out = F.when(digits < POISSON[0], 0)
-    for k, p in enumerate(POISSON[1:], 1):
-        out = out.when(digits < p, k)
-    return out.otherwise(len(POISSON))
-
-
-def weighted_reps(df: DataFrame, keys: list[str], value: str, n: int, seed: int, key: list[str], name: str) -> DataFrame:
-    """keys, rep and the mean of n resamples in which every row has a Poisson(1) number of copies, drawn by hash
-    from its key: rows meet their replicates where they are, and one aggregate with map-side sums is all that
-    moves."""
-    # one digest serves four replicates, eight hex digits each, which compare like the numbers they stand for
-    rows = df.where(F.col(value).isNotNull()).select(*keys, *(c for c in key if c not in keys), F.col(value).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("_four"))
-    rows = rows.select(*keys, "_x", "_four", order_key(seed, "_four", *key).alias("_h")).select(*keys, "_x", "_four", "_h", F.explode(F.array(*map(F.lit, range(4)))).alias("_j"))
-    rows = rows.select(*keys, (4 * F.col("_four") + F.col("_j")).alias("rep"), "_x", poisson_weight(F.substring("_h", 1 + 8 * F.col("_j"), F.lit(8))).alias("_w")).where(F.col("rep") < n)
-    return rows.where("_w > 0").groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias(name))
-
-
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, n: int, seed: int, order: list[str]) -> DataFrame:
-    """Mean and 95 % interval from n Poisson resamples of each group; `order` is the rows' key."""
-    reps = weighted_reps(df, keys, value, n, seed, order, "_m")
+    """Mean and 95 % interval from n resamples of each group's rows with replacement; `order` is the rows' key."""
+    reps = resampled_sums(df, keys, {"_s": F.col(value)}, n, seed, order).withColumn("_m", F.col("_s") / F.col("_n"))
     ci = reps.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(ci, keys)
+    return _beside(df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), ci, keys)
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row a group side by side; null keys meet."""
+    right = b.withColumnsRenamed({k: f"_of{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    return a.join(right, on).drop(*(f"_of{i}" for i in range(len(keys))))
 
 
 def moments(x: str, y: str) -> list[Column]:
@@ -157,21 +162,23 @@ def moments(x: str, y: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
 
 
-def corr_of_moments() -> Column:
-    n, sx, sy, sxx, syy, sxy = map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    return (n * sxy - sx * sy) / F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+def corr_of_moments(sx: str = "sx", sy: str = "sy", sxx: str = "sxx", syy: str = "syy", sxy: str = "sxy") -> Column:
+    """Correlation by sums; null without spread."""
+    n, sx, sy, sxx, syy, sxy = map(F.col, ("n", sx, sy, sxx, syy, sxy))
+    return F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(F.lit(0.0), (n * sxx - sx * sx) * (n * syy - sy * sy))))
 
 
 def _cluster_reps(df: DataFrame, cluster: str, sums: list[Column], n: int, seed: int) -> DataFrame:
-    """Replicates of moment sums over resampled clusters: multiplicities times cluster sums, never rows again."""
-    per = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(*sums).withColumn("_k", F.lit(1))
-    cols = [c for c in per.columns if c not in (cluster, "_k")]
-    reps = _draws(per, ["_k"], n, seed, [cluster])
-    return reps.groupBy("rep").agg(*(F.sum(c).alias(c) for c in cols))
+    """Resamples of moment sums over drawn clusters: a cluster's sums are added as often as it is drawn, never its rows."""
+    per = cut(df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(*sums), "clusters")
+    cols = [c for c in per.columns if c != cluster]
+    # the number of rows is one of the moments, so the number of draws stays apart
+    reps = resampled_sums(per, [], {f"_sum_{c}": F.col(c) for c in cols}, n, seed, [cluster])
+    return reps.select("rep", *(F.col(f"_sum_{c}").alias(c) for c in cols))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, x: str, y: str, n: int, seed: int) -> DataFrame:
-    """r and its 95 % interval over resampled clusters."""
+    """r and its 95 % interval over resampled clusters; resamples without spread have no r."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     reps = _cluster_reps(rows, cluster, moments(x, y), n, seed).withColumn("r", corr_of_moments())
     ci = reps.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
@@ -179,23 +186,33 @@ def cluster_bootstrap(df: DataFrame, cluster: str, x: str, y: str, n: int, seed:
 
 
 def paired_bootstrap(df: DataFrame, cluster: str, obs: str, a: str, b: str, n: int, seed: int) -> DataFrame:
-    """Difference of the squared-error sums' R2 of two predictions over the same clusters: mean, interval, two-sided p."""
-    o, pa, pb = F.col(obs), F.col(a), F.col(b)
+    """a's R2 and correlation with the observed less b's, over the same resampled clusters: diff, lo, hi, p of R2 and
+    dr, dr_lo, dr_hi, dr_p of the correlation; p is two-sided."""
+    o, pa, pb = (F.col(c).cast("double") for c in (obs, a, b))
     sums = [F.count(F.lit(1)).alias("n"), F.sum(o).alias("so"), F.sum(o * o).alias("soo"), F.sum((o - pa) * (o - pa)).alias("ea"), F.sum((o - pb) * (o - pb)).alias("eb")]
-    d = (F.col("ea") - F.col("eb")) / (F.col("soo") - F.col("so") * F.col("so") / F.col("n"))
-    reps = _cluster_reps(df.na.drop(subset=[obs, a, b]), cluster, sums, n, seed).withColumn("d", d)
-    below, above = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
-    ci = reps.agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
-    return df.na.drop(subset=[obs, a, b]).agg(*sums).select(d.alias("diff")).join(F.broadcast(ci))
+    for c, p in (("a", pa), ("b", pb)):
+        sums += [F.sum(p).alias(f"s{c}"), F.sum(p * p).alias(f"s{c}{c}"), F.sum(o * p).alias(f"so{c}")]
+    d = F.try_divide(F.col("eb") - F.col("ea"), F.col("soo") - F.col("so") * F.col("so") / F.col("n"))
+    r = lambda c: corr_of_moments("so", f"s{c}", "soo", f"s{c}{c}", f"so{c}")
+    both = {"d": d, "dr": r("a") - r("b")}
+    rows = df.na.drop(subset=[obs, a, b])
+    reps = _cluster_reps(rows, cluster, sums, n, seed).withColumns(both)
+
+    def interval(c: str, lo: str, hi: str, p: str) -> list[Column]:
+        below, above = F.avg((F.col(c) <= 0).cast("double")), F.avg((F.col(c) >= 0).cast("double"))
+        return [F.percentile(c, F.lit(0.025)).alias(lo), F.percentile(c, F.lit(0.975)).alias(hi), F.least(F.lit(1.0), 2 * F.least(below, above)).alias(p)]
+
+    ci = reps.agg(*interval("d", "lo", "hi", "p"), *interval("dr", "dr_lo", "dr_hi", "dr_p"))
+    return rows.where(F.col(cluster).isNotNull()).agg(*sums).select(d.alias("diff"), both["dr"].alias("dr")).join(F.broadcast(ci))
 
 
 def gap_bootstrap(a: DataFrame, b: DataFrame, keys: list[str], value: str, n: int, seed: int, order: list[str]) -> DataFrame:
     """Mean of a minus mean of b per group with a 95 % interval; both sides are resampled."""
-    reps = [weighted_reps(d, keys, value, n, seed + i, order, f"_m{i}") for i, d in enumerate((a, b))]
-    ci = reps[0].join(reps[1], [*keys, "rep"]).withColumn("_d",
-        F.col("_m0") - F.col("_m1")).groupBy(*keys).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"))
-    mean = a.groupBy(*keys).agg(F.avg(value).alias("_a")).join(b.groupBy(*keys).agg(F.avg(value).alias("_b")), keys)
-    return mean.select(*keys, (F.col("_a") - F.col("_b")).alias("gap")).join(ci, keys)
+    reps = [resampled_sums(d, keys, {"_s": F.col(value)}, n, seed + i, order).select(*keys, "rep", (F.col("_s") / F.col("_n")).alias(f"_m{i}")) for i, d in enumerate((a, b))]
+    ci = _beside(reps[0], reps[1], [*keys, "rep"]).withColumn("_d", F.col("_m0") - F.col("_m1"))
+    ci = ci.groupBy(*keys).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"))
+    mean = _beside(a.groupBy(*keys).agg(F.avg(value).alias("_a")), b.groupBy(*keys).agg(F.avg(value).alias("_b")), keys)
+    return _beside(mean.select(*keys, (F.col("_a") - F.col("_b")).alias("gap")), ci, keys)
 
 
 def line_fit(df: DataFrame, keys: list[str], x: str, y: str, lo: float, hi: float) -> DataFrame:
@@ -232,16 +249,27 @@ def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
 
 
 def ks(df: DataFrame, keys: list[str], is_a: Column, value: str, least: int = 5) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per group with at least `least` rows a side: running sums of the two
-    samples over distinct values, range by range."""
-    at = df.where(F.col(value).isNotNull()).withColumn("_a", is_a.cast("int")).groupBy(*keys, value)
-    at = at.agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
-    totals = at.groupBy(*keys).agg(F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
+    """Two-sample Kolmogorov-Smirnov distance per group, from running sums of the two samples over distinct values, range
+    by range; null where a side has fewer than `least` rows. The last row, with null keys and `overall` true, is over all
+    rows (null keys of the data are a group of their own, `overall` false)."""
+    rows = df.where(F.col(value).isNotNull()).withColumn("_a", is_a.cast("int"))
+    at = rows.groupBy(F.struct(F.lit(False).alias("overall"), *keys).alias("_k"), value).agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
+    none = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+    every = rows.groupBy(value).agg(F.sum("_a").alias("_na"), F.sum(1 - F.col("_a")).alias("_nb"))
+    at = at.unionByName(every.select(F.struct(F.lit(True).alias("overall"), *none).alias("_k"), value, "_na", "_nb"))
+    return _ks(at, value, least).select("_k.*", "ks", "n_a", "n_b")
+
+
+def _ks(at: DataFrame, value: str, least: int) -> DataFrame:
+    """at: _k, value, _na, _nb (rows of either sample with that value)."""
+    keys = ["_k"]
+    totals = at.groupBy(*keys).agg(F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b"))
     at = value_buckets(at.join(totals, keys), keys, value)
     for side in "ab":
         at = prefix_sums(at, [value], f"_n{side}", F.col("bucket"), f"_r{side}", keys)
-    share = lambda side: (F.col(f"_r{side}") + F.col(f"_n{side}")) / F.col(f"n_{side}")
-    return at.groupBy(*keys).agg(F.max(F.abs(share("a") - share("b"))).alias("ks"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    share = lambda side: F.try_divide(F.col(f"_r{side}") + F.col(f"_n{side}"), F.col(f"n_{side}"))
+    enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
+    return at.groupBy(*keys).agg(F.max(F.when(enough, F.abs(share("a") - share("b")))).alias("ks"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def fit_quality(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
@@ -253,11 +281,12 @@ def fit_quality(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFram
         (1 - (F.col("_mse") - F.col("bias") * F.col("bias")) / F.col("_v")).alias("r2_centred"), F.sqrt("_mse").alias("rmse"))
 
 
-def stability_rule(full: DataFrame, other: DataFrame, keys: list[str], key: str, pred: str, obs: str, min_r: float, max_shift: float, max_dr: float) -> DataFrame:
-    """Per condition, on shared ids: correlation with the full condition, mean shift, change in r with the observed; pass or fail."""
+def stability_rule(full: DataFrame, other: DataFrame, keys: list[str], key: str, pred: str, obs: str, min_r: float, max_shift: float, max_drop: float) -> DataFrame:
+    """Per condition, on shared ids: correlation with the full condition, mean shift, change in r with the observed; passed
+    if the first is high enough, the shift small enough, and r drops by max_drop at most (it may rise)."""
     j = other.select(*keys, key, F.col(pred).alias("_p"), F.col(obs).alias("_o")).join(full.select(key, F.col(pred).alias("_f")), key)
     g = j.groupBy(*keys).agg(F.corr("_p", "_f").alias("r_full"), F.avg(F.col("_p") - F.col("_f")).alias("shift"), (F.corr("_p", "_o") - F.corr("_f", "_o")).alias("dr"))
-    return g.withColumn("passed", (F.col("r_full") >= min_r) & (F.abs("shift") <= max_shift) & (F.abs("dr") <= max_dr))
+    return g.withColumn("passed", (F.col("r_full") >= min_r) & (F.abs("shift") <= max_shift) & (F.col("dr") >= -max_drop))
 
 
 def paired_losses(df: DataFrame, item: str, cond: str, loss: str, base: str, keys: list[str], others: list[str], reps: int = 0, seed: int = 0) -> DataFrame:

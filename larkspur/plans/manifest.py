@@ -76,20 +76,37 @@ def blind_pairs(pairs: DataFrame, key: list[str], lo: str, hi: str, seed: int) -
 
 
 def blind_candidates(df: DataFrame, key: list[str], members: str, seed: int) -> DataFrame:
-    """Each trial's candidates in an order of its own: slot and candidate."""
+    """Trials numbered from 1 in hash order, each with its candidates in an order of its own: trial, slot (from 1), candidate."""
+    rows = df.select(*key, members).withColumn("_h", order_key(seed + 1, *key)).withColumn("_one", F.lit(1))
+    rows = prefix_sums(rows, ["_h", *key], "_one", F.substring("_h", 1, 3)).withColumn("trial", (F.col("before") + 1).cast("int"))
     m = F.array_sort(F.transform(members, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key), x.cast("string"))).alias("h"), x.alias("candidate"))))
-    return df.select(*key, F.posexplode(m).alias("slot", "s")).select(*key, "slot", "s.candidate")
+    return rows.select(*key, "trial", F.posexplode(m).alias("slot", "s")).select(*key, "trial", (F.col("slot") + 1).alias("slot"), "s.candidate")
+
+
+def quality_order(df: DataFrame, by: list[str], seed: str, masker: str, level: str, levels: list[float], path: str) -> DataFrame:
+    """The open listening order of each set (`by`): by masker, seed, and the given order of levels (others are left out), with
+    the playlist's label: by, place (from 1), label, path."""
+    turn = F.array_position(F.array(*map(F.lit, levels)), F.col(level).cast("double"))
+    rows = df.withColumn("_turn", turn).where(F.col("_turn") > 0)
+    # rows are numbered inside each masker, behind the rows of the maskers before it
+    rows = prefix_sums(rows.withColumn("_one", F.lit(1)), [seed, "_turn", path], "_one", F.col(masker), "place", by)
+    label = F.concat(F.concat_ws(" / ", *(F.col(b).cast("string") for b in by)), F.lit(" | s"), F.col(seed).cast("string"), F.lit(" p="), F.format_string("%+.1f", F.col(level).cast("double")), F.lit(" | "), F.col(masker).cast("string"))
+    return rows.select(*by, (F.col("place") + 1).cast("int").alias("place"), label.alias("label"), F.col(path).alias("path"))
 
 
 def counterfactuals(df: DataFrame, by: list[str], key: str, text: str, value: str, seed: int) -> DataFrame:
-    """Per row five captions: correct, flip (sign), mirror (rank), shuffle (another row's value), none."""
+    """Per row five captions: correct, flip (sign), mirror (rank), shuffle (another row's value), none. The shuffled values
+    are the next row's in hash order; where that differs by less than 0.05 from a row's own, the row swaps with the one half
+    a group away, so that they stay a permutation of the values."""
     m = rank_mirror(df, by, value, [key]).withColumn("_h", order_key(seed, key))
     m = cut(places(m, by, ["_h", key], F.substring("_h", 1, 3)).withColumnsRenamed({"place": "_r", "group_rows": "_n"}), "places")
-    other = m.select(*by, F.col("_r").alias("_s"), F.col(value).alias("shuffled"))
-    far = m.select(*by, F.col("_r").alias("_f"), F.col(value).alias("_far"))
-    m = m.withColumn("_s", (F.col("_r") + 1) % F.col("_n")).join(other, [*by, "_s"])
-    m = m.withColumn("_f", ((F.col("_r") + F.floor(F.col("_n") / 2)) % F.col("_n")).cast("int")).join(far, [*by, "_f"])
-    m = m.withColumn("shuffled", F.when(F.abs(F.col("shuffled") - F.col(value)) < 0.05, F.col("_far")).otherwise(F.col("shuffled")))
+    other = m.select(*by, F.col("_r").alias("_s"), F.col(value).alias("_next"))
+    m = cut(m.withColumn("_s", (F.col("_r") + 1) % F.col("_n")).join(other, [*by, "_s"]).withColumn("_near", F.abs(F.col("_next") - F.col(value)) < 0.05), "places")
+    half = F.floor(F.col("_n") / 2)
+    partner = F.when(F.col("_r") < half, F.col("_r") + half).when(F.col("_r") < 2 * half, F.col("_r") - half).otherwise(F.col("_r"))
+    far = m.select(*by, F.col("_r").alias("_f"), F.col("_next").alias("_far"), F.col("_near").alias("_far_near"))
+    m = m.withColumn("_f", partner.cast("int")).join(far, [*by, "_f"])
+    m = m.withColumn("shuffled", F.when(F.col("_near") | F.col("_far_near"), F.col("_far")).otherwise(F.col("_next")))
     cap = lambda v: F.concat(F.col(text), tag(v))
     return m.select(*by, key, cap(value).alias("correct"), cap(-F.col(value)).alias("flip"), cap("mirror").alias("mirror"), cap("shuffled").alias("shuffle"), F.col(text).alias("none"))
 

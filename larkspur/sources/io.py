@@ -120,11 +120,15 @@ def refresh_columns(base: DataFrame, new: DataFrame, keys: list[str], cols: list
     return base.drop(*cols).join(new.select(*keys, *cols), keys, "left")
 
 
-def upsert(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All rows by key, new's before base's."""
-    both = base.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_v"))
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_v")
+def upsert(base: DataFrame, new: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
+    """One row of each key from both tables, the last one: that with the largest version, if there is such a column, else
+    new's before base's. Of rows that are alike in that new's come before base's, and then the largest row by the other
+    columns, so that the same rows always give the same result."""
+    both = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = [F.desc_nulls_last(version)] if version else []
+    rest = [F.desc_nulls_last(c) for c in base.columns if c not in key and c != version]
+    w = Window.partitionBy(*key).orderBy(*order, F.desc("_new"), *rest)
+    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
 
 
 def pending(todo: DataFrame, done: DataFrame, key: list[str], groups: dict[str, list[str]] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _LOCAL: dict[str, str] = {}
 _ENDING: set[str] = set()
@@ -39,5 +40,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is broadcast at most.
+SMALL = 100_000
+
+
+def sent(table: DataFrame, limit: int = SMALL) -> DataFrame:
+    """The table, written, for a join: broadcast if it has at most `limit` rows, else left to Spark."""
+    table = cut(table, "side")
+    return broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"

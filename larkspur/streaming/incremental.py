@@ -6,23 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.sources.io import upsert
+from larkspur.sources.snapshots import SnapshotLog
 
 
 def latest_by_key(stream: DataFrame, key: list[str], version: str) -> DataFrame:
-    """The newest row of each key, as a complete-mode aggregate."""
+    """The newest row of each key, as a complete-mode aggregate; of rows of one version the largest."""
     rest = [c for c in stream.columns if c not in key]
-    return stream.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(*key, "r.*")
+    return stream.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(version), *(c for c in rest if c != version))).alias("r")).select(*key, "r.*")
 
 
-def upsert_stream(stream: DataFrame, key: list[str], root: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into a new version folder under root; the newest is the manifest."""
+def upsert_stream(stream: DataFrame, log: SnapshotLog, checkpoint: str, name: str) -> StreamingQuery:
+    """Each micro-batch becomes one commit of the log; one that is replayed after a failure is recognised by the stream's
+    name and its number, and changes nothing."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        out = f"{root}/v{epoch:08d}"
-        new = batch.dropDuplicates(key)
-        if epoch:
-            new = upsert(batch.sparkSession.read.parquet(f"{root}/v{epoch - 1:08d}"), new, key)
-        new.write.mode("overwrite").parquet(out)
+        log.commit(batch, f"{name}/{epoch}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
