@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.scratch import sent
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
@@ -20,40 +25,78 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def second_moments(df: DataFrame, vec: str) -> np.ndarray:
+    """The sum of v v' over all rows, with v = (1, the vector): a matrix product a batch, one matrix a task, summed row by
+    row. What the driver holds has the size of one matrix, whatever the number of rows."""
+    first = df.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    p = 1 + (first[0] if first else 0)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows:
+                v = np.ones((batch.num_rows, p))
+                v[:, 1:] = matrix(batch.column("v"))
+                m += v.T @ v
+        yield pa.record_batch({"i": pa.array(np.arange(p, dtype=np.int32)), "row": pa.array(m.tolist(), pa.list_(pa.float64()))})
+
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).mapInArrow(partial, "i int, row array<double>")
+    out = np.zeros((p, p))
+    for r in rows.groupBy("i").agg(*(F.sum(F.get("row", F.lit(j))).alias(f"c{j}") for j in range(p))).collect():
+        out[r["i"]] = r[1:]
+    return out
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def caption_z(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """Per clip and own caption: similarity, and its z against all other clips' captions.
 
-    Mean and variance of a.t over all captions are a.mu and a'Ma - (a.mu)^2, with mu the mean caption and
-    M the mean outer product: one d x d aggregate instead of clips x captions similarities; a clip's own
-    captions are then taken out of the sums. captions: key, cap, vec. The d x d table (one row) is sent to
-    all tasks; its size depends on the dimension only.
+    Mean and variance of a.t over all captions are a.mu and a'Ma - (a.mu)^2, with mu the mean caption and M the mean
+    outer product (second_moments()), instead of clips x captions similarities; a clip's own captions are then taken
+    out of the sums. captions: key, cap, vec. The matrix goes to all tasks; its size depends on the dimension only.
     """
-    el = captions.select(F.monotonically_increasing_id().alias("_r"), F.posexplode(vec).alias("i", "x"))
-    mu = el.groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("mu"))
-    # sum of outer products, row by row of the matrix: element i times the whole vector, summed per i and j
-    pairs = captions.select(F.col(vec).alias("v"), F.posexplode(vec).alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    m = pairs.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("s"))
-    m = m.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "s"))), lambda t: t["s"]).alias("row"))
-    m = m.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("m"))
-    total = captions.agg(F.count(F.lit(1)).alias("n_all"))
-    a = audio.select(key, F.col(vec).alias("a")).crossJoin(F.broadcast(mu)).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(total))
-    a = a.select(key, "a", "n_all", dot(F.col("a"), F.col("mu")).alias("sum_all"), dot(F.col("a"), F.transform("m", lambda r: dot(F.col("a"), r))).alias("sq_all"))
+    m = second_moments(captions, vec)
+    kind = audio.schema[key].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a = matrix(batch.column("a"))
+                yield pa.record_batch({key: batch.column(key), "a": batch.column("a").cast(pa.list_(pa.float64())), "sum_all": pa.array(a @ m[0, 1:]), "sq_all": pa.array(np.einsum("ij,ij->i", a @ m[1:, 1:], a))})
+
+    a = audio.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("a")).mapInArrow(sums, f"`{key}` {kind}, a array<double>, sum_all double, sq_all double")
     own = captions.select(key, "cap", F.col(vec).alias("t")).join(a, key).withColumn("sim", dot(F.col("a"), F.col("t")))
-    sums = own.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("sim").alias("s1"), F.sum(F.col("sim") * F.col("sim")).alias("s2"))
-    j = own.join(sums, key)
-    n = F.col("n_all") - F.col("k")
-    mean = (F.col("sum_all") - F.col("s1")) / n
-    var = F.greatest(F.lit(0.0), (F.col("sq_all") - F.col("s2")) / n - mean * mean)
+    by = own.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.sum("sim").alias("_s1"), F.sum(F.col("sim") * F.col("sim")).alias("_s2"))
+    j = own.drop("a", "t").join(by, key)
+    n = F.lit(int(m[0, 0])) - F.col("_k")
+    mean = F.try_divide(F.col("sum_all") - F.col("_s1"), n)
+    var = F.greatest(F.lit(0.0), F.try_divide(F.col("sq_all") - F.col("_s2"), n) - mean * mean)
     return j.select(key, "cap", "sim", ((F.col("sim") - mean) / (F.sqrt(var) + 1e-9)).alias("z"))
 
 
-def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec", block: int = 4096) -> DataFrame:
-    """Share of all other clips' captions that are less similar to a clip than its own caption, exact. Clips and
-    captions are dealt to blocks of about `block` rows; each pair of blocks is one task's matrix product, whose
-    counts are added up. Similarities are compared to 12 decimals."""
+#: Similarities that a bound leaves within this of the own one are multiplied out.
+SLACK = 1e-9
+
+
+def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec", block: int = 4096, lead: int | None = None) -> DataFrame:
+    """Share of all other clips' captions that are less similar to a clip than its own caption, exact: key, cap, sim, pct,
+    multiplied (the share of captions whose whole product was needed).
+
+    Vectors are turned to the captions' principal axes, so that their first `lead` coordinates (an eighth of all, by default)
+    hold most of their length. By Cauchy and Schwarz the rest of a product is at most the product of the rests' lengths:
+    a caption whose leading product is further than that from the own similarity is surely below or surely above it, and
+    only what lies between is multiplied out. Clips and captions are dealt to blocks of about `block` rows; each pair of
+    blocks is one task, whose counts are added up. Similarities are compared to 12 decimals."""
+    m = second_moments(captions, vec)[1:, 1:]
+    axes = np.linalg.eigh(m)[1][:, ::-1].T
+    lead = max(1, len(axes) // 8) if lead is None else min(lead, len(axes))
     own = captions.select(key, "cap", F.col(vec).alias("t")).join(audio.select(key, F.col(vec).alias("a")), key)
     own = own.select(key, "cap", "a", dot(F.col("a"), F.col("t")).alias("sim"))
-    pool = captions.select(F.col(key).alias("other"), "cap", F.col(vec).alias("t"))
+    pool = captions.where(F.col(vec).isNotNull()).select(F.col(key).alias("other"), "cap", F.col(vec).alias("t"))
     n = max(1, -(-captions.count() // block))
     turn = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = own.withColumn("_i", F.pmod(F.xxhash64(key, "cap"), F.lit(n))).withColumn("_j", turn())
@@ -61,19 +104,28 @@ def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str
     kind, cap = captions.schema[key].dataType.simpleString(), captions.schema["cap"].dataType.simpleString()
 
     def count(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = mine[[key, "cap", "sim"]].assign(less=0, total=0)
+        out = mine[[key, "cap", "sim"]].assign(less=0, total=0, pairs=0)
         if len(mine) and len(others):
-            t, sims, k = np.stack(others["t"]).astype(float).T, np.round(mine["sim"].to_numpy(), 12), others["other"].to_numpy()
+            t, sims, k = np.stack(others["t"]).astype(float), np.round(mine["sim"].to_numpy(), 12), others["other"].to_numpy()
+            a = np.stack(mine["a"]).astype(float)
+            at_, tt = a @ axes.T, t @ axes.T
+            rest_a, rest_t = (np.sqrt((v[:, lead:] ** 2).sum(axis=1)) for v in (at_, tt))
+            head = np.ascontiguousarray(tt[:, :lead].T)
             for at in range(0, len(mine), 256):
                 part = slice(at, at + 256)
                 apart = mine[key].to_numpy()[part, None] != k[None, :]
-                near = np.round(np.stack(mine["a"].iloc[part]).astype(float) @ t, 12) < sims[part, None]
-                out.iloc[part, 3], out.iloc[part, 4] = (near & apart).sum(axis=1), apart.sum(axis=1)
+                gap, bound = at_[part, :lead] @ head - sims[part, None], rest_a[part, None] * rest_t + SLACK
+                below = gap + bound < 0
+                i, j = np.nonzero(apart & ~below & (gap - bound < 0))
+                near = np.zeros(apart.shape, bool)
+                near[i, j] = np.round(np.einsum("ij,ij->i", a[part][i], t[j]), 12) < sims[part][i]
+                out.iloc[part, 3], out.iloc[part, 4] = (apart & (below | near)).sum(axis=1), apart.sum(axis=1)
+                out.iloc[part, 5] = np.bincount(i, minlength=apart.shape[0])
         return out
 
-    counted = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(count, f"{key} {kind}, cap {cap}, sim double, less long, total long")
-    sums = counted.groupBy(key, "cap").agg(F.first("sim").alias("sim"), F.sum("less").alias("_less"), F.sum("total").alias("_total")).where("_total > 0")
-    return sums.select(key, "cap", "sim", (F.col("_less") / F.col("_total")).alias("pct"))
+    counted = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(count, f"{key} {kind}, cap {cap}, sim double, less long, total long, pairs long")
+    sums = counted.groupBy(key, "cap").agg(F.first("sim").alias("sim"), *(F.sum(c).alias(f"_{c}") for c in ("less", "total", "pairs"))).where("_total > 0")
+    return sums.select(key, "cap", "sim", (F.col("_less") / F.col("_total")).alias("pct"), (F.col("_pairs") / F.col("_total")).alias("multiplied"))
 
 
 def best_caption(z: DataFrame, key: str, texts: DataFrame, threshold: float) -> DataFrame:
@@ -85,7 +137,7 @@ def best_caption(z: DataFrame, key: str, texts: DataFrame, threshold: float) ->
 
 def prototype_softmax(emb: DataFrame, protos: DataFrame, key: list[str], vec: str = "vec", temp: float = 100.0) -> DataFrame:
     """Probability of each prototype: softmax of temp * cosine. protos (name, proto) are few."""
-    sims = emb.crossJoin(F.broadcast(protos)).select(*key, "name", (temp * cosine(F.col(vec), F.col("proto"))).alias("s"))
+    sims = emb.crossJoin(sent(protos)).select(*key, "name", (temp * cosine(F.col(vec), F.col("proto"))).alias("s"))
     g = sims.groupBy(*key).agg(F.max("s").alias("_top"), F.collect_list(F.struct("name", "s")).alias("_all"))
     z = F.aggregate("_all", F.lit(0.0), lambda a, t: a + F.exp(t["s"] - F.col("_top")))
     return g.withColumn("_z", z).select(*key, F.explode("_all").alias("e"), "_top", "_z").select(*key, "e.name", (F.exp(F.col("e.s") - F.col("_top")) / F.col("_z")).alias("p"))
@@ -93,7 +145,7 @@ def prototype_softmax(emb: DataFrame, protos: DataFrame, key: list[str], vec: st
 
 def source_scores(emb: DataFrame, phrases: DataFrame, key: list[str], vec: str = "vec") -> DataFrame:
     """Mean cosine to each set's phrases (source, proto), minus the row's mean over sets."""
-    s = emb.crossJoin(F.broadcast(phrases)).groupBy(*key, "source").agg(F.avg(cosine(F.col(vec), F.col("proto"))).alias("raw"))
+    s = emb.crossJoin(sent(phrases)).groupBy(*key, "source").agg(F.avg(cosine(F.col(vec), F.col("proto"))).alias("raw"))
     mean = s.groupBy(*key).agg(F.avg("raw").alias("_m"))
     return s.join(mean, key).select(*key, "source", (F.col("raw") - F.col("_m")).alias("score"))
 
@@ -101,7 +153,7 @@ def source_scores(emb: DataFrame, phrases: DataFrame, key: list[str], vec: str =
 def nearest_prototype(emb: DataFrame, protos: DataFrame, key: list[str], vec: str = "vec") -> DataFrame:
     """The closest centroid by Euclidean distance, ties by name."""
     d = F.aggregate(F.zip_with(F.col(vec), F.col("proto"), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
-    return emb.crossJoin(F.broadcast(protos)).groupBy(*key).agg(F.min_by("name", F.struct(d, F.col("name"))).alias("name"), F.min(d).alias("d2"))
+    return emb.crossJoin(sent(protos)).groupBy(*key).agg(F.min_by("name", F.struct(d, F.col("name"))).alias("name"), F.min(d).alias("d2"))
 
 
 def pairwise_distance(protos: DataFrame, name: str, vec: str, label: str) -> DataFrame:

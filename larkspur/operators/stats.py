@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,41 +80,68 @@ def spearman_matrix(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
     return wide.select("n", F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("rho")) for i, (x, y) in enumerate(pairs)))).alias("m")).select("m.*", "n")
 
 
-def _t_two_sided(t: float, df: float) -> float:
-    """Two-sided p of Student's t: the regularised incomplete beta by its continued fraction."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta(1 - x, b, a)
-    return _beta(x, a, b)
-
-
-def _beta(x: float, a: float, b: float) -> float:
-    if x <= 0:
-        return 0.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d) if abs(1 + num * d) > 1e-300 else 1e300
-            c = 1 + num / c if abs(1 + num / c) > 1e-300 else 1e-300
-            h *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * h
+#: Lanczos coefficients of the log-gamma function (g = 7).
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012,
+    9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+#: Terms of the continued fraction: beyond the largest degrees of freedom's need, by the reflection below.
+TERMS = 400
 
 
-def correlation_p(df: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:
-    """t statistic and two-sided p of a correlation (one row a cell: the only pandas UDF of the statistics)."""
+def log_gamma(x: Column) -> Column:
+    """log of the gamma function for x >= 0.5."""
+    y = x - 1
+    series = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        series = series + c / (y + k)
+    t = y + 7.5
+    return 0.5 * math.log(2 * math.pi) + (y + 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def beta_fraction(x: Column, a: Column, b: Column, terms: int = TERMS) -> Column:
+    """The continued fraction of the incomplete beta function as a fold over its terms, by Lentz's method: the fraction,
+    its ratios of numerators and of denominators are the fold's state."""
+    keep = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    state = lambda h, c, d: F.struct(h.alias("h"), c.alias("c"), d.alias("d"))
+
+    def step(s: Column, n: Column) -> Column:
+        m = n.cast("double")
+        even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+
+        def half(s: Column, num: Column) -> Column:
+            d, c = 1 / keep(1 + num * s["d"]), keep(1 + num / s["c"])
+            return state(s["h"] * c * d, c, d)
+
+        return F.aggregate(F.array(even, odd), s, half)
 
-    @F.pandas_udf("double")
-    def p_of(t: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or b <= 0 else _t_two_sided(abs(a), float(b)) for a, b in zip(t, k)], dtype="float64")
+    first = 1 / keep(1 - (a + b) * x / (a + 1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), state(first, F.lit(1.0), first), step, lambda s: s["h"])
 
+
+def t_two_sided(t: Column, df: Column, terms: int = TERMS) -> Column:
+    """Two-sided p of Student's t with df degrees of freedom: the regularised incomplete beta function."""
+    df, square = df.cast("double"), t * t
+    x, a, b = df / (df + square), df / 2, F.lit(0.5)
+    # the fraction converges quickly on the side of the mean; the other side is one less that
+    swap = x > (a + 1) / (a + b + 2)
+    u, p, q = F.when(swap, square / (df + square)).otherwise(x), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    # what is used more than once is bound by a lambda, so that it is computed once
+    bound = F.struct(u.alias("u"), p.alias("p"), q.alias("q"), swap.alias("swap"))
+
+    def value(v: Column) -> Column:
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + v["p"] * F.ln(v["u"]) + v["q"] * F.log1p(-v["u"])) / v["p"]
+        part = front * beta_fraction(v["u"], v["p"], v["q"], terms)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v["swap"], 1 - part).otherwise(part)))
+
+    return F.when(t == 0, 1.0).otherwise(F.get(F.transform(F.array(bound), value), 0))
+
+
+def correlation_p(df: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:
+    """t statistic and two-sided p of a correlation; null where |r| is 1 or n below 3."""
     t = F.col(r) * F.sqrt((F.col(n) - 2) / (1 - F.col(r) * F.col(r)))
-    return df.withColumn("t", F.when(F.abs(r) < 1, t)).withColumn("p", p_of("t", (F.col(n) - 2).cast("double")))
+    out = df.withColumn("t", F.when((F.abs(r) < 1) & (F.col(n) > 2), t))
+    return out.withColumn("p", F.when(F.col("t").isNotNull(), t_two_sided(F.abs("t"), F.col(n) - 2)))
 
 
 def adjust_p(df: DataFrame, keys: list[str], p: str, method: str, tie: list[str]) -> DataFrame:

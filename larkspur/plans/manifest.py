@@ -9,7 +9,7 @@ from larkspur.functions.scores import hash_int, order_key, rint
 from larkspur.functions.text import fmt2, tag
 from larkspur.operators.screen import any_column_contains, places, prefix_sums, rank_mirror
 from larkspur.operators.select import sample_per_group
-from larkspur.sources.scratch import cut
+from larkspur.sources.scratch import cut, sent
 
 
 def chunk_plan(df: DataFrame, length: str, step: float, tol: float = 0.0) -> DataFrame:
@@ -52,7 +52,7 @@ def exposure(plan: DataFrame, bin_col: str, base: str, start: str = "start", end
 
 def grid_plan(seeds: DataFrame, items: DataFrame, levels: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """seed x item x level with file name and prompt; files that are done are skipped. All three are small lists."""
-    g = seeds.crossJoin(F.broadcast(items)).crossJoin(F.broadcast(levels))
+    g = seeds.crossJoin(sent(items)).crossJoin(sent(levels))
     g = g.withColumn("file", F.concat(F.lit("s"), F.col("seed").cast("string"), F.lit("_"), F.regexp_replace("item", " ", "_"), F.lit("_p"),
         fmt2("p"), F.lit(".wav"))).withColumn("prompt", F.concat(F.col("item"), tag("p")))
     return g if done is None else g.join(done.select("file"), "file", "left_anti")

@@ -79,7 +79,8 @@ def register(sql: str | None = None, views: str = "", name: str | None = None):
             head = [f"{v} AS (SELECT {', '.join(VIEWS[v][1])} FROM {VIEWS[v][0]})" for v in names if v in VIEWS]
             body = sql.strip()
             if head:
-                body = f"WITH {', '.join(head)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+                word, rest = next(((w, body[len(w) :]) for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), ("WITH ", None))
+                body = f"{word}{', '.join(head)}" + (f", {rest}" if rest is not None else f" {body}")
             ORACLE[key] = body
         return f
 
@@ -945,9 +946,25 @@ def t3_spearman_matrix(resp):
     return r6(ST.spearman_matrix(resp, _MATX, _MATY))
 
 
-@register(None, "resp")
+#: The fold as a recursive query: a row per cell and term, two steps of Lentz's method a term.
+_BETA = f""", c AS (SELECT x, y, rho, n, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2.0::DOUBLE AS df FROM m),
+i AS (SELECT *, df / (df + t * t) > (df / 2 + 1) / (df / 2 + 2.5) AS swap, df / (df + t * t) AS u0 FROM c),
+s AS (SELECT *, CASE WHEN swap THEN t * t / (df + t * t) ELSE u0 END AS u, CASE WHEN swap THEN 0.5::DOUBLE ELSE df / 2 END AS a, CASE WHEN swap THEN df / 2 ELSE 0.5::DOUBLE END AS b FROM i),
+f AS (SELECT x, y, u, a, b, 0 AS k, 1 / (1 - (a + b) * u / (a + 1)) AS h, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * u / (a + 1)) AS d FROM s
+  UNION ALL SELECT x, y, u, a, b, k, h * c1 * d1 * (1 + o / c1) / (1 + o * d1), 1 + o / c1, 1 / (1 + o * d1) FROM (SELECT *, 1 + e / c AS c1, 1 / (1 + e * d) AS d1
+    FROM (SELECT x, y, u, a, b, h, c, d, k + 1 AS k, (k + 1) * (b - k - 1) * u / ((a + 2 * k + 1) * (a + 2 * k + 2)) AS e,
+      -(a + k + 1) * (a + b + k + 1) * u / ((a + 2 * k + 2) * (a + 2 * k + 3)) AS o FROM f WHERE k < {ST.TERMS}))),
+g AS (SELECT x, y, h FROM f WHERE k = {ST.TERMS}),
+p AS (SELECT s.x, s.y, rho, n, t, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(u) + b * ln(1 - u)) / a * h AS part, swap FROM s JOIN g ON g.x = s.x AND g.y = s.y),
+w AS (SELECT *, greatest(0, least(1, CASE WHEN swap THEN 1 - part ELSE part END)) AS p FROM p),
+q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, x, y) AS q FROM w),
+j AS (SELECT *, least(1.0, min(q) OVER (ORDER BY p DESC, x DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM q)
+SELECT x, y, round(rho, 6) + 0.0 AS rho, n, round(t, 6) + 0.0 AS t, round(p, 6) + 0.0 AS p, round(p_adj, 6) + 0.0 AS p_adj,
+  CASE WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE '' END AS stars FROM j"""
+
+
+@register(_MAT.replace("WITH ", "WITH RECURSIVE ", 1) + ", m AS (" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, corr(r_{x}, r_{y}) AS rho, count(*) AS n FROM r" for x in _MATX for y in _MATY) + ")" + _BETA, "resp")
 def t4_correlation_p(resp):
-    """p values need the incomplete beta function: tested against known values instead of SQL."""
     return r6(ST.adjust_p(ST.correlation_p(ST.spearman_matrix(resp, _MATX, _MATY)), [], "p", "bh", ["x", "y"]))
 
 

@@ -87,9 +87,19 @@ def test_chunks_cover(spark):
 
 
 def test_p_values(spark):
-    assert ST._t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
-    assert ST._t_two_sided(1.96, 1e6) == pytest.approx(0.05, abs=1e-4)
-    assert ST._t_two_sided(0.0, 5) == 1.0 and ST._t_two_sided(12.706, 1) == pytest.approx(0.05, abs=1e-4)
+    """Table values of Student's t, ends, and thousands of degrees of freedom."""
+    cases = [(2.228, 10, 0.05), (1.96, 1e6, 0.05), (0.0, 5, 1.0), (12.706, 1, 0.05), (3.169, 10, 0.01), (4.587, 10, 0.001), (1.812, 10, 0.1), (63.657, 1, 0.01), (2.576, 1e6, 0.01), (0.7, 10, 0.49989), (1e-9, 7, 1.0)]
+    df = spark.createDataFrame([(float(t), float(d), p) for t, d, p in cases], "t double, d double, want double")
+    for r in df.withColumn("p", ST.t_two_sided(F.col("t"), F.col("d"))).collect():
+        assert r.p == pytest.approx(r.want, rel=1e-3), r
+    # closed forms of 1 and 2 degrees of freedom, to twelve digits
+    one = spark.range(1, 40).select((F.col("id") / 7).alias("t"))
+    for r in one.select("t", ST.t_two_sided(F.col("t"), F.lit(1.0)).alias("p1"), ST.t_two_sided(F.col("t"), F.lit(2.0)).alias("p2")).collect():
+        assert r.p1 == pytest.approx(1 - 2 * math.atan(r.t) / math.pi, rel=1e-11) and r.p2 == pytest.approx(1 - r.t / math.sqrt(2 + r.t * r.t), rel=1e-11)
+    for x in (0.5, 1.0, 1.5, 7.25, 1000.5):
+        assert spark.range(1).select(ST.log_gamma(F.lit(x))).first()[0] == pytest.approx(math.lgamma(x), rel=1e-13, abs=1e-13)
+    bad = spark.createDataFrame([(1.0, 10), (0.5, 2), (None, 9), (0.5, 1)], "rho double, n long")
+    assert {r.p for r in ST.correlation_p(bad).collect()} == {None}
 
 
 def test_files(spark, tmp_path):

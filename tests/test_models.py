@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions.scores import order_key
 from larkspur.operators import linear as LM
+from larkspur.operators import models as M
 from larkspur.operators import resample as B
+from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
 from larkspur.sources import io as IO
 from larkspur.sources.snapshots import Conflict, SnapshotLog
@@ -268,3 +271,89 @@ def test_upsert_is_partition_free(spark):
         for df in (rows_of(spark, rows), rows_of(spark, rows[::-1]).repartition(5, "text")):
             assert {tuple(r) for r in IO.upsert(base, df, ["file"], version).collect()} == want
     assert collections.Counter(r.file for r in IO.upsert(base, rows_of(spark, rows), ["file"]).collect()) == {"k": 1, "j": 1}
+
+
+# ---- clusters and similarity
+
+
+def plain_kmeans(x, centres, tol):
+    for _ in range(100):
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        moved = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if ((moved - centres) ** 2).sum() <= tol:
+            break
+        centres = moved
+    return centres, ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_best_starts(spark):
+    """All fits in shared passes give what each gives alone from its own first centres, and the best of them is kept."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.6, (60, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 5, 0), (0, 0, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(3)
+    got = M.best_starts(df, "id", "v", range(2, 6), 4, 11)
+    pool = np.array([q[0] for q in df.orderBy(order_key(12, "id"), "id").limit(320).select("v").collect()])
+    tol = 1e-4 * x.var(axis=0).mean()
+    for k in range(2, 6):
+        fits = [plain_kmeans(x, M._spaced(pool, k, np.random.default_rng([11, k, j])), tol) for j in range(4)]
+        best = min(fits, key=lambda t: t[1])
+        assert got[k][1] == pytest.approx(best[1], rel=1e-9) and np.allclose(got[k][0], best[0])
+    assert got[4][1] < got[3][1] < got[2][1]
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(9)], "id int, v array<double>")
+    assert M.best_starts(same, "id", "v", range(4, 5), 2, 1)[4][1] == 0
+
+
+def test_silhouette():
+    """Equal to the definition, with single rows and equal rows."""
+    r = np.random.default_rng(4)
+    x, label = r.normal(size=(150, 3)), r.integers(0, 5, 150)
+    x[:6], label[7:150][label[7:150] == 4] = x[0], 3
+    label[149] = 4  # alone
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(150):
+        own = (label == label[i]) & (np.arange(150) != i)
+        if not own.any():
+            want.append(0.0)
+            continue
+        a, b = d[i, own].mean(), min(d[i, label == c].mean() for c in set(label.tolist()) - {label[i]})
+        want.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    assert M.silhouette(x, label, block=32) == pytest.approx(np.mean(want))
+    assert M.silhouette(x, np.zeros(150, int)) == -1
+
+
+def test_clusters(spark):
+    """Four far groups are found, with k by the silhouette; other rows get the nearest; nulls drop out."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.3, (40, 4)) for c in np.eye(4) * 9])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {q.id: q for q in M.clusters(df.where("id % 2 = 0"), df, "id", "v", range(2, 7), pca=3, starts=5).collect()}
+    assert len(got) == 160 and {q.k for q in got.values()} == {4}
+    assert len({got[i].cluster for i in range(160)}) == 4 and all(len({got[i].cluster for i in range(g * 40, g * 40 + 40)}) == 1 for g in range(4))
+    assert M.clusters(df.limit(0), df, "id", "v", range(2, 4)).collect() == []
+
+
+def test_caption_bounds(spark):
+    """Percentiles are exact at any number of leading coordinates, also with ties; few products are needed where the vectors
+    have few directions, and the moments of z need no pairs at all."""
+    r = np.random.default_rng(6)
+    axes = np.linalg.qr(r.normal(size=(24, 24)))[0]
+    vec = lambda: np.round((r.normal(size=24) * np.array([1.0] * 3 + [0.02] * 21)) @ axes, 3)
+    audio, caps = [(k, vec()) for k in range(60)], [(k, c, vec()) for k in range(60) for c in range(2)]
+    caps += [(60 + k, 0, caps[k][2]) for k in range(5)]  # equal captions of clips that aren't there
+    a = spark.createDataFrame([(k, v.tolist()) for k, v in audio], "k int, vec array<double>")
+    c = spark.createDataFrame([(k, n, v.tolist()) for k, n, v in caps], "k int, cap int, vec array<double>")
+    of = dict(audio)
+    sims = {(k, n): [round(float(of[k] @ t), 12) for j, _, t in caps if j != k] for k, n, _ in caps if k in of}
+    own = {(k, n): round(float(of[k] @ t), 12) for k, n, t in caps if k in of}
+    want = {x: sum(s < own[x] for s in sims[x]) / len(sims[x]) for x in own}
+    for lead in (1, 3, 24, None):
+        got = E.caption_percentile(a, c, "k", block=50, lead=lead).collect()
+        assert {(q.k, q.cap): q.pct for q in got} == pytest.approx(want)
+        if lead == 3:
+            assert np.mean([q.multiplied for q in got]) < 0.1
+    z = {(q.k, q.cap): q.z for q in E.caption_z(a, c, "k").collect()}
+    raw = {x: [float(of[x[0]] @ t) for j, _, t in caps if j != x[0]] for x in own}
+    assert z == pytest.approx({(k, n): (float(of[k] @ t) - np.mean(raw[k, n])) / (np.std(raw[k, n]) + 1e-9) for k, n, t in caps if k in of}, abs=1e-6)
