@@ -1,4 +1,4 @@
-"""Model tables: ridge, boosted trees, group-wise linear models, text ridge, clusters."""
+"""Clusters. Linear models are in linear.py and text_ridge.py, boosted trees in boosting.py."""
 
 from __future__ import annotations
 
@@ -7,81 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import order_key
 from larkspur.sources.scratch import cut
 
 
-def _r2() -> Column:
-    """R2 of a fold; null where y is constant."""
-    return (1 - F.try_divide(F.avg((F.col("y") - F.col("pred")) ** 2), F.var_pop("y"))).alias("r2")
-
-
-def _ridge(train: DataFrame, y: str, alpha: float) -> LinearRegression:
-    """The penalty that equals (Z'Z + alpha I) on standardised features: alpha * sd(y) / n."""
-    n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop(y)).first()
-    return LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, regParam=alpha * (sd or 0.0) / max(n, 1), predictionCol="pred")
-
-
-def _features(df: DataFrame, xs: list[str]) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.array(*(F.col(x).cast("double") for x in xs))))
-
-
-def gbt_folds(df: DataFrame, xs: list[str], y: str, fold: str, rounds: int = 10) -> DataFrame:
-    rows, folds = _features(df.na.drop(subset=[*xs, y]), xs), [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    out = None
-    for k in folds:
-        model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=rounds, maxDepth=3, seed=7, predictionCol="pred").fit(rows.where(F.col(fold) != k))
-        scored = model.transform(rows.where(F.col(fold) == k)).select(F.lit(k).alias("fold"), F.col(y).alias("y"), "pred")
-        out = scored if out is None else out.unionByName(scored)
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), _r2())
-
-
-#: Twelve penalties, evenly spaced in the exponent from 10**-3 to 10**2.
-ALPHAS = tuple(10 ** (-3 + 5 * i / 11) for i in range(12))
-
-
-def text_ridge(df: DataFrame, text: str, y: str, key: str, alphas: tuple[float, ...] = ALPHAS, folds: int = 5, shuffle_seed: int | None = None, iterations: int = 20) -> DataFrame:
-    """R2 of a ridge on length-normalised 1- and 2-gram TF-IDF (all terms) per fold: fold, alpha, n, r2. Each fold's
-    penalty is the one that predicts an inner fifth of its training rows best. With shuffle_seed the texts are
-    dealt anew within the folds (a control)."""
-    rows = df.na.drop(subset=[text, y]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    if shuffle_seed is not None:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("fold")
-        a = rows.withColumn("_r", F.row_number().over(w.orderBy(key))).drop(text)
-        b = rows.select("fold", F.row_number().over(w.orderBy(order_key(shuffle_seed, key))).alias("_r"), text)
-        rows = a.join(b, ["fold", "_r"]).drop("_r")
-    every = 2**31 - 1
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+"), NGram(inputCol="w1", outputCol="w2", n=2),
-            CountVectorizer(inputCol="w1", outputCol="c1", vocabSize=every), CountVectorizer(inputCol="w2", outputCol="c2", vocabSize=every),
-        IDF(inputCol="c1", outputCol="i1"), IDF(inputCol="c2", outputCol="i2"), VectorAssembler(inputCols=["i1", "i2"], outputCol="terms"), Normalizer(inputCol="terms", outputCol="features"),
-    ]
-    rows, inner = cut(rows.select(key, text, "fold", F.col(y).cast("double").alias("y_")), "text-rows"), F.pmod(F.xxhash64(key, F.lit("inner")), F.lit(5)) == 0
-    fit = lambda d, a: _ridge(d, "y_", a).setStandardization(False).setMaxIter(iterations).fit(d)
-    out = None
-    for k in range(folds):
-        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        prep = Pipeline(stages=stages).fit(train)
-        ready = prep.transform(train).select(key, "y_", "features").persist()
-        best = alphas[0]
-        if len(alphas) > 1:
-            probe, rest = ready.where(inner), ready.where(~inner)
-            loss = {a: fit(rest, a).transform(probe).agg(F.avg((F.col("y_") - F.col("pred")) ** 2)).first()[0] for a in alphas}
-            best = min(alphas, key=lambda a: float("inf") if loss[a] is None else loss[a])
-        scored = fit(ready, best).transform(prep.transform(test)).select(F.lit(k).alias("fold"), F.lit(float(best)).alias("alpha"), F.col("y_").alias("y"), "pred")
-        ready.unpersist()
-        out = scored if out is None else out.unionByName(scored)
-    return out.groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), _r2())
-
-
 def clusters(train: DataFrame, apply: DataFrame, key: str, vec: str, ks: range, pca: int = 50, sample: int = 5000, seed: int = 1, starts: int = 10) -> DataFrame:
     """Scaled, reduced and clustered by k-means: of `starts` starts the one with the lowest inertia for each k, then the k
     with the best silhouette on the first `sample` rows in hash order; apply's rows get the nearest cluster: key, cluster,

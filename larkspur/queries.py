@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as T
+from larkspur.operators import boosting as BO
 from larkspur.operators import linear as LM
 from larkspur.operators import models as M
 from larkspur.operators import resample as B
@@ -23,6 +24,7 @@ from larkspur.operators import select as L
 from larkspur.operators import signal as G
 from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
+from larkspur.operators import text_ridge as TR
 from larkspur.plans import manifest as P
 from larkspur.sources import io as IO
 from larkspur.sources.scratch import fresh_path
@@ -1423,10 +1425,6 @@ def c14_job_plan(clips):
 # ---- model tables (fitted models: no SQL form)
 
 
-def _model_rows(cust):
-    return cust.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")).withColumn("x1", F.col("bal") % 97).withColumn("x2", F.col("nation").cast("double"))
-
-
 def _ridge_sql(alphas) -> str:
     """Ridge on x1 and x2, standardised in each training set (folds 1-5 but one; tr 0: all), by the closed form of two
     normal equations, for every penalty."""
@@ -1473,7 +1471,10 @@ def _ridge(cust):
 
 @register(None, "cust")
 def t23_gbt_folds(cust):
-    return r6(M.gbt_folds(_model_rows(cust), ["x1", "x2"], "score", "fold"))
+    """The grid of eight settings over five folds, each model stopped by its own tenth; `chosen` marks the best settings."""
+    b = BO.Boosting(_ridge_rows(cust).where("fold != 0"), ["x1", "x2"], "y", "fold", "id")
+    best = b.choice().select("leaves", "least", "l2", F.lit(True).alias("chosen"))
+    return r6(b.scores().join(F.broadcast(best), ["leaves", "least", "l2"], "left").fillna(False, ["chosen"]))
 
 
 def _three(of: str) -> tuple[list[str], str]:
@@ -1510,17 +1511,20 @@ def t24_standard_weights(cust):
     return r6(LM.standard_weights(_rows24(cust), ["x0", "x1", "x2"], "y"))
 
 
+def _rated_texts(docs, labels):
+    return labels.join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).withColumn("y", F.col("quality").cast("double"))
+
+
 @register(None, "docs labels")
 def t25_text_ridge(docs, labels):
-    j = labels.join(docs.select("doc_id", "text"), "doc_id").withColumn("y", F.col("quality").cast("double"))
-    return r6(M.text_ridge(j, "text", "y", "doc_id", alphas=(0.3, 10.0), iterations=10))
+    return r6(TR.text_ridge(_rated_texts(docs, labels), "text", "y", "doc_id"))
 
 
 @register(None, "docs labels")
 def t25_text_ridge_control(docs, labels):
-    """The control: texts dealt anew, so they say nothing."""
-    j = labels.join(docs.select("doc_id", "text"), "doc_id").withColumn("y", F.col("quality").cast("double"))
-    return r6(M.text_ridge(j, "text", "y", "doc_id", alphas=(1.0,), shuffle_seed=5, iterations=10))
+    """The control: all texts dealt anew, five times, so they say nothing; then the mean."""
+    by = TR.text_ridge(_rated_texts(docs, labels), "text", "y", "doc_id", permutations=5).select("permutation", "pooled_r2").distinct()
+    return r6(by.unionByName(by.agg(F.lit(None).cast("int").alias("permutation"), F.avg("pooled_r2").alias("pooled_r2"))))
 
 
 @register(None, "embeddings")

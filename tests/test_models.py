@@ -2,17 +2,20 @@
 
 import collections
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import order_key
+from larkspur.operators import boosting as BO
 from larkspur.operators import linear as LM
 from larkspur.operators import models as M
 from larkspur.operators import resample as B
 from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
+from larkspur.operators import text_ridge as TR
 from larkspur.sources import io as IO
 from larkspur.sources.snapshots import Conflict, SnapshotLog
 
@@ -357,3 +360,136 @@ def test_caption_bounds(spark):
     z = {(q.k, q.cap): q.z for q in E.caption_z(a, c, "k").collect()}
     raw = {x: [float(of[x[0]] @ t) for j, _, t in caps if j != x[0]] for x in own}
     assert z == pytest.approx({(k, n): (float(of[k] @ t) - np.mean(raw[k, n])) / (np.std(raw[k, n]) + 1e-9) for k, n, t in caps if k in of}, abs=1e-6)
+
+
+# ---- text ridge
+
+
+def test_text_ridge(spark):
+    """Penalties, predictions' R2 and the pooled R2 equal dense ridges in closed form, with empty texts, terms of one text
+    only, repeated texts and terms that a training set doesn't know; nulls drop out."""
+    r = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(40)] + ["é漢", "a", "B_1"]
+    rows = [(i, " ".join(r.choice(words, r.integers(0, 15))), 0.0) for i in range(80)]
+    rows = [(i, t, float(t.count("w1 ") - t.count("w2 ") + 0.2 * r.normal())) for i, t, _ in rows] + [(80, rows[3][1], 1.0), (81, "", 2.0)]
+    df = spark.createDataFrame([*rows, (82, None, 1.0), (83, "x y", None)], "id int, text string, y double")
+    cells = {q.id: (q.f, q.i) for q in df.where("id < 82").select("id", F.pmod(F.xxhash64("id"), F.lit(5)).alias("f"), F.pmod(F.xxhash64("id", F.lit("inner")), F.lit(5)).alias("i")).collect()}
+    alphas = (0.01, 0.3, 3.0, 30.0)
+
+    def terms(t):
+        w = re.findall(r"\w\w+", t.lower())
+        return collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    def fit(train, test, alphas):
+        df_ = collections.Counter(x for k in train for x in terms(rows[k][1]))
+        at = {x: j for j, x in enumerate(sorted(df_))}
+
+        def dense(ks):
+            x = np.zeros((len(ks), len(at)))
+            for i, k in enumerate(ks):
+                for w, c in terms(rows[k][1]).items():
+                    if w in at:
+                        x[i, at[w]] = c * (np.log((1 + len(train)) / (1 + df_[w])) + 1)
+            n = np.sqrt((x * x).sum(axis=1))
+            return x / np.where(n > 0, n, 1)[:, None]
+
+        a, b, y = dense(train), dense(test), np.array([rows[k][2] for k in train])
+        z = a - a.mean(axis=0)
+        return [y.mean() + (b - a.mean(axis=0)) @ np.linalg.solve(z.T @ z + s * np.eye(z.shape[1]), z.T @ (y - y.mean())) for s in alphas]
+
+    want, preds, ys = {}, [], []
+    for f in sorted({c[0] for c in cells.values()}):
+        train, test = [k for k in cells if cells[k][0] != f], [k for k in cells if cells[k][0] == f]
+        part, probe = [k for k in train if cells[k][1]], [k for k in train if not cells[k][1]]
+        loss = [((np.array([rows[k][2] for k in probe]) - p) ** 2).sum() for p in fit(part, probe, alphas)]
+        best = alphas[int(np.argmin(loss))]
+        p, y = fit(train, test, [best])[0], np.array([rows[k][2] for k in test])
+        want[f] = (best, len(test), 1 - ((y - p) ** 2).mean() / y.var())
+        preds, ys = [*preds, *p], [*ys, *y]
+    got = TR.text_ridge(df, "text", "y", "id", alphas).collect()
+    assert {q.fold: (q.alpha, q.n) for q in got} == {f: w[:2] for f, w in want.items()} and {q.permutation for q in got} == {0}
+    assert {q.fold: q.r2 for q in got} == pytest.approx({f: w[2] for f, w in want.items()}, abs=1e-5)
+    assert got[0].pooled_r2 == pytest.approx(1 - ((np.array(ys) - preds) ** 2).mean() / np.var(ys), abs=1e-5)
+    control = {q.permutation: q.pooled_r2 for q in TR.text_ridge(df, "text", "y", "id", alphas, permutations=3).collect()}
+    assert set(control) == {1, 2, 3} and len(set(control.values())) == 3 and max(control.values()) < got[0].pooled_r2
+    assert TR.text_ridge(df.limit(0), "text", "y", "id").collect() == []
+
+
+# ---- boosting
+
+
+def grown(x, g, leaves, least, l2, rate):
+    """A best-first tree by trying every cut of every leaf: the leaves' rules and values."""
+
+    def best(rows):
+        top, total = None, g[rows].sum() ** 2 / (len(rows) + l2)
+        for f in range(x.shape[1]):
+            for v in np.unique(x[rows, f])[:-1]:
+                low, high = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+                if min(len(low), len(high)) >= least:
+                    gain = g[low].sum() ** 2 / (len(low) + l2) + g[high].sum() ** 2 / (len(high) + l2) - total
+                    top = (gain, f, v) if top is None or gain > top[0] + 1e-12 else top
+        return top
+
+    every = np.arange(len(x))
+    out = [([], every, best(every))]
+    while len(out) < leaves and (able := [o for o in out if o[2] and o[2][0] > 1e-9]):
+        top = max(able, key=lambda o: o[2][0])
+        (_, f, v), (rule, rows, _) = top[2], top
+        low, high = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+        out = [o for o in out if o is not top] + [([*rule, (f, v, True)], low, best(low)), ([*rule, (f, v, False)], high, best(high))]
+    return [(rule, -rate * g[rows].sum() / (len(rows) + l2)) for rule, rows, _ in out]
+
+
+def falls(tree, x):
+    out = np.zeros(len(x))
+    for rule, value in tree:
+        out[np.all([(x[:, f] <= v) == low for f, v, low in rule] or [np.ones(len(x), bool)], axis=0)] = value
+    return out
+
+
+def test_boosting(spark):
+    """Trees, early stopping, scores, choice and predictions of all models equal trees grown by trying every cut."""
+    r = np.random.default_rng(0)
+    n, rate, most = 240, 0.4, 14
+    x = np.round(r.normal(size=(n, 2)), 1)
+    y = np.sin(2 * x[:, 0]) + (x[:, 1] > 0) + 0.4 * r.normal(size=n)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i]), i % 3) for i in range(n)] + [(n, None, 1.0, 1.0, 0)], "id int, a double, b double, y double, f int")
+    grid = ((6, 10, 0.0), (3, 40, 2.0))
+    boost = BO.Boosting(df, ["a", "b"], "y", "f", "id", grid=grid, rounds=most, rate=rate)
+    stop = {q.id for q in df.where(F.pmod(F.xxhash64("id", F.lit("stop")), F.lit(BO.HELD)) == 0).select("id").collect()}
+    stops = np.array([i in stop for i in range(n)])
+    got, want, kept = {(q.leaves, q.least, q.l2, q.fold): (q.trees, q.r2) for q in boost.scores().collect()}, {}, {}
+    for g in grid:
+        for f in (0, 1, 2, None):
+            mine = np.ones(n, bool) if f is None else np.arange(n) % 3 != f
+            train, held = mine & ~stops, mine & stops
+            p, losses, trees = np.full(n, y[train].mean()), [], 0
+            while True:
+                losses.append(((p - y)[held] ** 2).mean() / 2)
+                if trees == most or len(losses) > BO.PATIENCE and not any(v < losses[-BO.PATIENCE - 1] - BO.TOL for v in losses[-BO.PATIENCE :]):
+                    break
+                tree = grown(x[train], (p - y)[train], *g, rate)
+                if len(tree) < 2:
+                    break
+                p, trees = p + falls(tree, x), trees + 1
+            kept[g, f] = p
+            if f is not None:
+                want[(*g, f)] = (trees, 1 - ((y - p)[~mine] ** 2).mean() / y[~mine].var())
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=1e-9)
+    best = max(grid, key=lambda g: np.mean([want[(*g, f)][1] for f in range(3)]))
+    choice = boost.choice().first()
+    assert (choice.leaves, choice.least, choice.l2) == best
+    assert all(q.pred == pytest.approx(kept[best, q.f][q.id]) for q in boost.oof().withColumnRenamed("fold", "f").collect())
+    assert all(q.pred == pytest.approx(kept[best, None][q.id]) for q in boost.predict(df.drop("y", "f")).collect())
+
+
+def test_boosting_edges(spark):
+    """Nothing to split, more distinct values than bins, and an empty table."""
+    flat = spark.range(30).selectExpr("id", "1.0D AS a", "CAST(id AS DOUBLE) AS y", "id % 2 AS f")
+    assert {(q.trees, q.n) for q in BO.Boosting(flat, ["a"], "y", "f", "id", grid=((4, 2, 0.0),)).scores().collect()} == {(0, 15)}
+    many = spark.range(2000).selectExpr("id", "CAST(id AS DOUBLE) AS a", "CAST(id > 700 AS DOUBLE) AS y", "id % 2 AS f")
+    got = BO.Boosting(many, ["a"], "y", "f", "id", grid=((4, 20, 0.0),), rounds=3, rate=1.0).scores().collect()
+    assert all(q.r2 > 0.95 for q in got)
+    assert BO.Boosting(many.limit(0), ["a"], "y", "f", "id").scores().collect() == []
