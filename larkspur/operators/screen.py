@@ -120,12 +120,20 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, bucket: Column, out
     return rows.join(base, [*keys, "_b"]).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_b", "_base")
 
 
+#: Rows of a group that one window takes, on average.
+ROWS = 50_000
+
+
 def value_buckets(df: DataFrame, by: list[str], col: str, parts: int = 200) -> DataFrame:
-    """df with `bucket`: how many of its group's approximate `parts`-quantiles lie below the value (null: -1)."""
+    """df with `bucket`: how many of its group's approximate quantiles lie below the value (null: -1). A group has about one
+    bucket for ROWS rows, at most `parts`, so small groups cost no comparisons."""
     marks = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(col, marks, 10 * parts).alias("_cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(col, marks, 10 * parts).alias("_every"), F.count(col).alias("_n"))
+    step = F.ceil(F.lit(parts) / F.ceil(F.greatest(F.col("_n"), F.lit(1)) / ROWS))
+    cuts = cuts.select(*by, F.filter("_every", lambda c, i: (i + 1) % step == 0).alias("_cuts"))
     at = F.when(F.col(col).isNull() | F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(col))))
-    return df.join(cuts, by, "left").withColumn("bucket", at).drop("_cuts")
+    rows = df.join(cuts, by, "left") if by else df.crossJoin(F.broadcast(cuts))
+    return rows.withColumn("bucket", at).drop("_cuts")
 
 
 def places(df: DataFrame, by: list[str], order: list[str], bucket: Column | None = None, parts: int = 200) -> DataFrame:

@@ -16,29 +16,33 @@ from .screen import prefix_sums, value_buckets
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, parts: int = 200) -> DataFrame:
     """counts: distinct values of each group with their number of rows. Adds `rank`, the mean place of a value's
-    rows: the values are cut at approximate quantiles, so no window has more than about one in `parts` of them."""
-    marks = [i / parts for i in range(1, parts)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, marks, 10 * parts).alias("_cuts"))
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = (counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))).withColumn("_b", bucket).drop("_cuts")
-    out = prefix_sums(placed, [value], n, F.col("_b"), "_before", keys)
-    return out.withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before")
+    rows: the values are cut at approximate quantiles, so no window has much more than screen.ROWS of them."""
+    out = prefix_sums(value_buckets(counts, keys, value, parts), [value], n, F.col("bucket"), "_before", keys)
+    return out.withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before", "bucket")
 
 
 #: Values with more than one in HOT of all rows are broadcast with their rank: fewer than HOT of them.
 HOT = 1_000
+#: Pairs of values of a group that one window ranks at most.
+WINDOW = 500_000
+
+
+def _join_rank(rows: DataFrame, ranks: DataFrame, keys: list[str], name: str, distinct: int, total: int) -> DataFrame:
+    """rows with `name` from ranks (keys, _n, name): by broadcast where its rows are few; else those of common values are, and
+    the others meet by shuffle."""
+    if distinct <= SMALL:
+        return rows.join(F.broadcast(ranks.drop("_n")), keys)
+    many = total / HOT
+    rows = rows.join(F.broadcast(ranks.where(F.col("_n") > many).select(*keys, F.col(name).alias("_hot"))), keys, "left")
+    rare = rows.where("_hot IS NULL").drop("_hot").join(ranks.where(F.col("_n") <= many).drop("_n"), keys)
+    return rows.where("_hot IS NOT NULL").withColumnRenamed("_hot", name).unionByName(rare)
 
 
 def _with_rank(rows: DataFrame, counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """rows with the average rank of their value among its group's rows. counts: keys, value, _n. Ranks go back by broadcast
-    where the distinct values are few; else those of common values do, and the others meet by shuffle."""
+    """rows with the average rank of their value among its group's rows. counts: keys, value, _n."""
     ranks = cut(average_ranks(counts, keys, value, "_n").select(*keys, value, "_n", F.col("rank").alias(name)), "ranks")
-    if ranks.limit(SMALL + 1).count() <= SMALL:
-        return rows.join(F.broadcast(ranks.drop("_n")), [*keys, value])
-    many = (ranks.agg(F.sum("_n")).first()[0] or 0) / HOT
-    rows = rows.join(F.broadcast(ranks.where(F.col("_n") > many).select(*keys, value, F.col(name).alias("_hot"))), [*keys, value], "left")
-    rare = rows.where("_hot IS NULL").drop("_hot").join(ranks.where(F.col("_n") <= many).drop("_n"), [*keys, value])
-    return rows.where("_hot IS NOT NULL").withColumnRenamed("_hot", name).unionByName(rare)
+    distinct, total = ranks.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return _join_rank(rows, ranks, [*keys, value], name, distinct, total or 0)
 
 
 def _weighted_corr(x: str, y: str, n: str) -> Column:
@@ -50,12 +54,18 @@ def _weighted_corr(x: str, y: str, n: str) -> Column:
 
 def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_levels: int = 2) -> DataFrame:
     """Rank correlation per group; groups that are constant in x or y, or have few levels of x, are left out. Rows are
-    counted by pair of values first; no task ranks a whole group."""
+    counted by pair of values first. Groups of up to WINDOW pairs are ranked by a window; if there is a larger one, no task
+    ranks a whole group."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     pairs = cut(rows.groupBy("_k", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "value-pairs")
-    ranked = pairs
+    ranked, most = pairs, pairs.groupBy("_k").count().agg(F.max("count")).first()[0] or 0
     for v in ("_x", "_y"):
-        ranked = _with_rank(ranked, pairs.groupBy("_k", v).agg(F.sum("_n").alias("_n")), ["_k"], v, f"_r{v}")
+        if most <= WINDOW:
+            # rows up to this value, less half of those that share it
+            upto, same = Window.partitionBy("_k").orderBy(v), Window.partitionBy("_k", v)
+            ranked = ranked.withColumn(f"_r{v}", F.sum("_n").over(upto) - (F.sum("_n").over(same) - 1) / 2)
+        else:
+            ranked = _with_rank(ranked, pairs.groupBy("_k", v).agg(F.sum("_n").alias("_n")), ["_k"], v, f"_r{v}")
     g = ranked.groupBy("_k").agg(_weighted_corr("_r_x", "_r_y", "_n").alias("rho"), F.sum("_n").alias("n"), F.count_distinct("_x").alias("_lx"), F.count_distinct("_y").alias("_ly"))
     return g.where((F.col("_lx") >= min_levels) & (F.col("_ly") > 1)).select("_k.*", "rho", "n")
 
@@ -73,8 +83,11 @@ def spearman_matrix(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
     cols = list(dict.fromkeys([*xs, *ys]))
     rows = df.na.drop(subset=cols).select(*(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)))
     counts = cut(rows.unpivot([], [f"_v{i}" for i in range(len(cols))], "_c", "_v").groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    ranks = cut(average_ranks(counts, ["_c"], "_v", "_n").select("_c", "_v", "_n", "rank"), "ranks")
+    sizes = {r["_c"]: (r["d"], r["t"]) for r in ranks.groupBy("_c").agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("t")).collect()}  # a row a column
     for i in range(len(cols)):
-        rows = _with_rank(rows, counts.where(F.col("_c") == f"_v{i}").select(F.col("_v").alias(f"_v{i}"), "_n"), [], f"_v{i}", f"_rank{i}")
+        mine = ranks.where(F.col("_c") == f"_v{i}").select(F.col("_v").alias(f"_v{i}"), "_n", F.col("rank").alias(f"_rank{i}"))
+        rows = _join_rank(rows, mine, [f"_v{i}"], f"_rank{i}", *sizes.get(f"_v{i}", (0, 0)))
     pairs = [(x, y) for x in xs for y in ys]
     wide = rows.agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"_rank{cols.index(x)}", f"_rank{cols.index(y)}").alias(f"c{i}") for i, (x, y) in enumerate(pairs)))
     return wide.select("n", F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("rho")) for i, (x, y) in enumerate(pairs)))).alias("m")).select("m.*", "n")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,8 +257,10 @@ def test_table_functions(spark):
     assert {r.r for r in R.cluster_agreement(lab, field.where("c < 2"), "c", ["a"]).collect()} == {None}
 
 
-def test_ranks_and_quantiles(spark):
+@pytest.mark.parametrize("rows", [2, 50_000])
+def test_ranks_and_quantiles(spark, monkeypatch, rows):
     """Bucketed places, ranks and quantiles equal those of one sorted list, with ties and nulls."""
+    monkeypatch.setattr(X, "ROWS", rows)
     rng = random.Random(5)
     rows = [(i, rng.choice("ab"), rng.choice([None, *range(40)])) for i in range(600)]
     df = spark.createDataFrame(rows, "id int, g string, v int")
@@ -290,6 +293,28 @@ def test_caption_percentile_blocks(spark):
         assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("window", [0, 500_000])
+def test_spearman_by_ranges(spark, monkeypatch, window):
+    """Rank correlations with ties and null keys, by one window a group and range by range, with common values broadcast."""
+    monkeypatch.setattr(X, "ROWS", 5)
+    monkeypatch.setattr(ST, "WINDOW", window)
+    monkeypatch.setattr(ST, "SMALL", 3)
+    monkeypatch.setattr(ST, "HOT", 10)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), float(rng.choice([0, 0, 0, *range(1, 20)])), rng.random() if rng.random() < 0.6 else 0.5) for _ in range(300)]
+    rows += [("c", 1.0, 2.0)] * 4 + [("a", None, 1.0)]
+    got = {r.g: (r.rho, r.n) for r in ST.spearman_by(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    rank = lambda v, of: sum(u < v for u in of) + (of.count(v) + 1) / 2
+    want = {}
+    for g in ("a", "b", None):
+        x, y = zip(*((b, c) for a, b, c in rows if a == g and b is not None))
+        want[g] = (pytest.approx(statistics.correlation([rank(v, x) for v in x], [rank(v, y) for v in y])), len(x))
+    assert got == want
+    matrix = {(r.x, r.y): r.rho for r in ST.spearman_matrix(spark.createDataFrame(rows, "g string, x double, y double"), ["x"], ["y", "x"]).collect()}
+    x, y = zip(*((b, c) for _, b, c in rows if b is not None))
+    assert matrix == pytest.approx({("x", "y"): statistics.correlation([rank(v, x) for v in x], [rank(v, y) for v in y]), ("x", "x"): 1.0})
+
+
 def test_fill_across_ranges(spark):
     rng = random.Random(8)
     rows = [(g, i, rng.choice([None, None, None, i])) for g in "ab" for i in range(120)] + [("c", i, None) for i in range(5)] + [("d", i, 7 if i == 3 else None) for i in range(9)]
