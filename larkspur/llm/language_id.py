@@ -1,16 +1,16 @@
 """Language identification by Bayesian evidence fusion.
 
-The posterior of a text's language multiplies four kinds of evidence:
+The posterior of a text's language multiplies three kinds of evidence:
 
 - text: hashed character-trigram likelihoods, tempered by a fitted exponent since trigrams aren't
   independent (the fusion counts a text of n trigrams as at most `weight` of them);
 - the language that the markup declares (<html lang>), through P(declared | language);
-- the address suffix (last label of the host), through P(suffix | language);
-- a host prior, smoothed hierarchically: all rows, then suffix, then host, each level shrunk to the one
-  above by KAPPA pseudo-rows.
+- a prior by address, smoothed hierarchically: all rows, then the address suffix (last label of the host), then the
+  host, each level shrunk to the one above by KAPPA pseudo-rows; the suffix speaks through its level alone.
 
-The last three are tables of soft counts that grouped aggregation computes over all rows from the
-text-only posteriors; a row's own share is taken out of its host's counts before it is judged. The text
+The last two are tables of soft counts that grouped aggregation computes over all rows from the
+text-only posteriors; a row's own share is taken out of its host's counts before it is judged (in those of its suffix
+and of its declared language, which many rows share, it stays). The text
 model is fitted on at most SAMPLE labelled texts a language, the first in hash order.
 
 Defined cases: a null or empty text gives no text evidence (the priors decide); a text of any length is
