@@ -44,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches
@@ -334,16 +334,18 @@ class Codec:
         return n < len(ids) and self.table[ids[n]][0] & 0xC0 != 0x80 and chars <= len(text)
 
 
-def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, leaf: int = LEAF, spread: int = SPREAD, width: int = 4) -> DataFrame:
+def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, leaf: int = LEAF, spread: int = SPREAD, width: int = 4, label: Column | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens and ids (binary, little-endian, `width` bytes an id); with digests, instead of the ids,
-    ids_sha256 and decoded_sha256, made in the same pass."""
+    ids_sha256 and decoded_sha256, made in the same pass; with a label, a string of the row, it comes along last."""
     modest_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
+    along = [] if label is None else ["label"]
+    carried, names = f"doc_id {kind}" + ", label string" * len(along), ["doc_id", *along]
+    schema = f"{carried}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), *([label.cast("string").alias("label")] if along else []), F.col(f"`{text}`").alias("t"))
 
-    def result(codec: Codec, doc_ids: pd.Series, found: list[bytes]) -> pd.DataFrame:
-        out = {"doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in found]}
+    def result(codec: Codec, rows: pd.DataFrame, found: list[bytes]) -> pd.DataFrame:
+        out = {c: rows[c].reset_index(drop=True) for c in names} | {"n_tokens": [len(x) // 4 for x in found]}
         if not digests:
             return pd.DataFrame(out | {"ids": found if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in found]})
         ids = [np.frombuffer(x, "<u4") for x in found]
@@ -356,7 +358,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for pdf in batches:
             for at in slices(pdf["t"].str.len().fillna(0).to_numpy(np.int64)):
                 part = pdf.iloc[at]
-                yield result(codec, part["doc_id"].reset_index(drop=True), codec.encode(part["t"].tolist()))
+                yield result(codec, part, codec.encode(part["t"].tolist()))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.get(path, leaf)
@@ -366,14 +368,15 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         codec, pdf = Codec.get(path, leaf), pdf.sort_values("pos")
         ids = codec.join(pdf["t"].tolist(), [np.frombuffer(x, "<u4").tolist() for x in pdf["ids"]])
-        return result(codec, pdf["doc_id"].iloc[:1].reset_index(drop=True), [np.array(ids, "<u4").tobytes()])
+        return result(codec, pdf.iloc[:1], [np.array(ids, "<u4").tobytes()])
 
     n = F.length("t")
     out = docs.where(n.isNull() | (n <= spread)).mapInPandas(short, schema)
     parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / spread)), lambda i: F.substring(F.col("t"), (i * spread + 1).cast("int"), F.lit(spread)))
-    long = docs.where(n > spread).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(parts).alias("pos", "t"))
-    long = long.repartition("row", "pos").mapInPandas(chunk, f"doc_id {kind}, row long, pos int, t string, ids binary")
-    return out.unionByName(long.groupBy("row").applyInPandas(join, schema))
+    long = docs.where(n > spread).withColumn("row", F.monotonically_increasing_id()).select(*names, "row", F.posexplode(parts).alias("pos", "t"))
+    long = long.repartition("row", "pos").mapInPandas(chunk, f"{carried}, row long, pos int, t string, ids binary")
+    out = out.unionByName(long.groupBy("row").applyInPandas(join, schema))
+    return out.select(*(c for c in out.columns if c != "label"), *along)
 
 
 def decode(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

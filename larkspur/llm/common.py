@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,18 @@ def fresh(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def stored_place(df: DataFrame) -> Column:
+    """Where a row stands in the written table that df reads, as a string: the number of the task that wrote its file, the
+    file's number in that task, the row's number in the file. In the order of these strings the rows are as they were
+    written. Null if df isn't read from files."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        df.select(meta)
+    except AnalysisException:
+        return F.lit(None).cast("string")
+    file = meta["file_name"]
+    pad = lambda c, n: F.lpad(F.coalesce(c, F.lit("")), n, "0")
+    number = lambda pattern: F.regexp_extract(file, pattern, 1)
+    return F.concat_ws("-", pad(number(r"^part-(\d+)"), 9), pad(number(r"-c(\d+)\."), 6), pad(meta["row_index"].cast("string"), 12))
