@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from larkspur.llm.common import cut, load
+from larkspur.llm.common import cut, load, stored_place
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text, per row of the mix."""
-    return bpe.encode(docs, bpe.default_path(), digests=True)
+    """Token counts and digests of the ids and of the decoded text, per row of the mix, and as `training_place` the row's
+    place in the mixing stage's files, which stand in training order: sorted by it, the rows are in that order."""
+    return bpe.encode(docs, bpe.default_path(), digests=True, label=stored_place(docs)).withColumnRenamed("label", "training_place")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mix), ("bpe", encode)]
