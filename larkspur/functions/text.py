@@ -190,8 +190,29 @@ def parse_name(name, pattern: str = r"^s(\d+)_(.+)_p(-?\d+(?:\.\d+)?)\.wav$") ->
 
 
 def first_sentence(caption) -> Column:
-    """The part before '. Loudness:'."""
-    return F.substring_index(_c(caption), ". Loudness:", 1)
+    """The part before '. Loudness:', without white space around it."""
+    return F.trim(F.substring_index(_c(caption), ". Loudness:", 1))
+
+
+def _number(x) -> Column:
+    """A number or its text as a double; null where it is none."""
+    v = _c(x).try_cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def caption_rated(caption, score) -> Column:
+    """The first sentence with the rating in two decimals; the sentence alone without one."""
+    text, v = first_sentence(F.coalesce(_c(caption), F.lit(""))), _number(score)
+    rated = F.concat(text, F.lit(". [ISOPleasant: "), F.call_function("format_number", v, F.lit("0.00")), F.lit("]"))
+    return F.when(v.isNotNull(), rated).otherwise(text)
+
+
+def caption_binned(caption, label, score) -> Column:
+    """The caption, its bin in brackets and its rating without decimals; an empty or missing one is left out."""
+    text, b, v = F.coalesce(_c(caption), F.lit("")), F.coalesce(_c(label), F.lit("")), _number(score)
+    named = F.when((b != "") & (F.lower(b) != "nan"), F.concat(F.lit(" [pleasantness: "), b, F.lit("]"))).otherwise("")
+    rated = F.when(v.isNotNull(), F.concat(F.lit(" (iso_pleasantness: "), F.call_function("format_number", v, F.lit("0")), F.lit(")"))).otherwise("")
+    return F.concat(text, named, rated)
 
 
 def strip_end(x) -> Column:

@@ -59,9 +59,18 @@ def text_diversity(df: DataFrame, col: str) -> DataFrame:
     return g.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_texts"), F.count_if(F.col("n") > 1).alias("repeated"), F.max("n").alias("most"))
 
 
-def top_words(df: DataFrame, col: str, k: int, longer_than: int = 3, before: str = "[") -> DataFrame:
-    words = df.select(F.explode(F.split(F.lower(F.substring_index(col, before, 1)), r"[^a-z]+")).alias("word"))
-    return words.where(F.length("word") > longer_than).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(k)
+def top_words(df: DataFrame, col: str, k: int, longer_than: int = 3, before: str = "[ISOPleasant") -> DataFrame:
+    """The k most frequent words of more than `longer_than` characters ahead of the tag, with their number over that of all
+    texts, in percent. Words stand between ASCII white space, punctuation included; texts without the tag have none."""
+    words = df.where(F.col(col).contains(before)).select(F.explode(F.split(F.lower(F.substring_index(col, before, 1)), r"[ \t-\r]+")).alias("word"))
+    top = words.where(F.length("word") > longer_than).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(k)
+    return top.crossJoin(F.broadcast(df.agg(F.count(col).alias("_all")))).select("word", "n", (100 * F.col("n") / F.col("_all")).alias("pct"))
+
+
+def repeated_texts(df: DataFrame, col: str, k: int) -> DataFrame:
+    """The k texts that occur most often, and more than once: text and n; ties by text."""
+    g = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return g.where("n > 1").orderBy(F.desc("n"), "text").limit(k)
 
 
 def seed_sd(df: DataFrame, keys: list[str], group: list[str], value: str) -> DataFrame:
@@ -109,6 +118,12 @@ def prediction_stability(cube: DataFrame, clip: str, level: str, ckpt: str, valu
     return cube.groupBy(clip).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *gap).join(by, clip)
 
 
+def prediction_spread(outputs: DataFrame, clip: str, value: str, others: list[str] | None = None) -> DataFrame:
+    """Per clip, over all outputs of all models: mean and SD of the value (0 for a single output) and means of the others."""
+    sd = F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(0.0)
+    return outputs.groupBy(clip).agg(F.avg(value).alias("mean"), sd.alias("sd"), *(F.avg(o).alias(o) for o in others or []))
+
+
 def label_set_scores(probs: DataFrame, key: str, label: str, p: str, sets: dict[str, list[str]]) -> DataFrame:
     """Per key: the largest probability in each label set, and the three likeliest labels as text."""
     best = probs.groupBy(key).agg(*(F.max(F.when(F.col(label).isin(names), F.col(p))).alias(s) for s, names in sets.items()))

@@ -100,6 +100,60 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
     return hits.where(F.size("rules") == 0).drop("rules"), hits.where(F.size("rules") > 0), rule_counts(hits)
 
 
+def path_rules(path: str) -> dict[str, Column]:
+    """What is wrong with a path of one audio file: it is empty, holds a pipe or several file names, or, if none of these,
+    a control character. White space at its ends doesn't count."""
+    p = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), r"^\s+|\s+$", "")
+    times = lambda ext: F.regexp_count(p, F.lit(rf"\.{ext}"))
+    single = ~p.contains("|") & (times("wav") == 1) & (times("mp3") <= 1)
+    return {
+        "empty_path": p == "", "pipe_in_path": p.contains("|"), "multiple_extensions": (times("wav") > 1) | (times("mp3") > 1),
+        "suspicious_name": single & p.rlike(r"[\n\r\t\x00]"),
+    }
+
+
+def duration_rules(seconds: str, error: str, expected: float = 10.0, off: float = 1.0) -> dict[str, Column]:
+    """A clip that can't be read, is empty, or is more than `off` seconds longer or shorter than expected; one of them."""
+    sec, read = F.col(seconds), F.col(error).isNull()
+    return {"load_error": ~read, "zero_duration": read & (sec == 0), "wrong_duration": read & (sec != 0) & (F.abs(sec - expected) > off)}
+
+
+#: Limits of a usable recording, and the category of each rule in the report (all others: Other).
+USABLE = {"bytes": 1000, "rate": 44100, "shortest": 9.0, "longest": 11.0, "rms": 0.001, "peak": 0.99, "db": -40.0}
+CATEGORY = {
+    "wrong_rate": "Wrong sample rate", "wrong_duration": "Wrong duration", "silent": "Silent/low volume", "clipping": "Clipping", "low_loudness": "Low loudness",
+    "empty_audio": "Empty audio", "load_error": "Cannot load file",
+}
+
+
+def audio_rules(limits: dict[str, float] = USABLE) -> dict[str, Column]:
+    """What is wrong with a recording, by its measures: bytes (null: no such file), error (null: it could be read), samples
+    (per channel), channels, rate, rms, peak, has_nan, has_inf. A missing, tiny, unreadable or empty file has that one fault;
+    any other may have several. A measure that is null or NaN breaks no limit."""
+    c = F.col
+    under = lambda x, y: x.isNotNull() & ~F.isnan(x.cast("double")) & (x < y)
+    over = lambda x, y: x.isNotNull() & ~F.isnan(x.cast("double")) & (x > y)
+    missing, tiny = c("bytes").isNull(), F.coalesce(c("bytes") < limits["bytes"], F.lit(False))
+    broken = ~missing & ~tiny & c("error").isNotNull()
+    empty = ~missing & ~tiny & ~broken & F.coalesce(c("samples") == 0, F.lit(False))
+    sound = ~missing & ~tiny & ~broken & ~empty
+    seconds = F.try_divide(c("samples").cast("double"), c("rate"))
+    rules = {
+        "wrong_rate": c("rate") != limits["rate"], "wrong_duration": under(seconds, limits["shortest"]) | over(seconds, limits["longest"]),
+        "silent": under(c("rms"), limits["rms"]), "clipping": over(c("peak"), limits["peak"]), "low_loudness": under(20 * F.log10(c("rms") + 1e-10), limits["db"]),
+        "has_nan": c("has_nan"), "has_inf": c("has_inf"), "channel_count": ~c("channels").isin(1, 2),
+    }
+    return {"no_file": missing, "tiny_file": tiny, "load_error": broken, "empty_audio": empty, **{n: sound & r for n, r in rules.items()}}
+
+
+def category_counts(hits: DataFrame, category: dict[str, str] = CATEGORY) -> DataFrame:
+    """Per category of rules: how many faults there are, and in how many rows."""
+    known = F.create_map(*(F.lit(x) for kv in category.items() for x in kv))
+    mine = hits.select(F.transform("rules", lambda r: F.coalesce(known[r], F.lit("Other"))).alias("_all"))
+    each = F.transform(F.array_distinct("_all"), lambda c: F.struct(c.alias("category"), F.size(F.filter("_all", lambda x: x == c)).alias("n")))
+    return mine.select(F.explode(each).alias("e")).groupBy("e.category").agg(F.sum("e.n").alias("faults"), F.count(F.lit(1)).alias("rows"))
+
+
 def thin(df: DataFrame, by: list[str], n: int, order: list[str]) -> DataFrame:
     """n evenly spaced rows of each group: those at floor(k * (N - 1) / (n - 1))."""
     ranked = places(df, by, order).withColumnsRenamed({"place": "_i", "group_rows": "_n"})
@@ -172,12 +226,13 @@ def complete_candidates(df: DataFrame, keys: list[str], member: str, n: int) ->
 
 
 def best_key_match(df: DataFrame, candidates: dict[str, Column], ids: DataFrame, id_col: str, min_share: float) -> DataFrame:
-    """The candidate key that finds most of the ids: key, found, share, enough."""
+    """The candidate key that finds most of the ids, the first of equal ones: key, found, share, enough."""
     stacked = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("key"), c.cast("string").alias("v")) for n, c in candidates.items()))).alias("s")).select("s.*").distinct()
     want = ids.select(F.col(id_col).cast("string").alias("v")).distinct()
     found = stacked.join(want, "v", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("found"))
     total = want.agg(F.count(F.lit(1)).alias("_n"))
-    top = found.agg(F.max_by(F.struct("key", "found"), F.struct("found", "key")).alias("b")).select("b.*")
+    turn = F.array_position(F.array(*map(F.lit, candidates)), F.col("key"))
+    top = found.agg(F.max_by(F.struct("key", "found"), F.struct("found", -turn)).alias("b")).select("b.*")
     return top.join(F.broadcast(total)).select("key", "found", (F.col("found") / F.col("_n")).alias("share"), (F.col("found") / F.col("_n") >= min_share).alias("enough"))
 
 

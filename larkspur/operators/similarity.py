@@ -157,17 +157,41 @@ def nearest_prototype(emb: DataFrame, protos: DataFrame, key: list[str], vec: st
 
 
 def pairwise_distance(protos: DataFrame, name: str, vec: str, label: str) -> DataFrame:
-    """Cosine distance and label difference of all pairs of a small table."""
+    """Euclidean distance and label difference of all pairs of a small table."""
     # the prototypes are few (a row a label); nothing is hinted, so Spark broadcasts them only if they are small
     a, b = (protos.select(F.col(name).alias(f"{p}_name"), F.col(vec).alias(f"{p}_v"), F.col(label).alias(f"{p}_l")) for p in "ab")
-    return a.join(b, F.col("a_name") < F.col("b_name")).select("a_name", "b_name", (1 - cosine(F.col("a_v"), F.col("b_v"))).alias("distance"), F.abs(F.col("a_l") - F.col("b_l")).alias("label_gap"))
+    return a.join(b, F.col("a_name") < F.col("b_name")).select("a_name", "b_name", euclidean("a_v", "b_v").alias("distance"), F.abs(F.col("a_l") - F.col("b_l")).alias("label_gap"))
 
 
-def neighbour_jumps(protos: DataFrame, name: str, vec: str, label: str) -> DataFrame:
-    """Euclidean distance of each prototype to the next one in label order, and its ratio to the median of these
-    distances: before, after, distance, jump. protos is a small table, a row a label."""
+def euclidean(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def _neighbours(protos: DataFrame, name: str, vec: str, label: str, written: str | None) -> DataFrame:
+    """Each prototype and the next one in label order: before, after, distance, differs (whether their labels are written
+    differently), and the labels."""
     along = Window.partitionBy(F.lit(1)).orderBy(label, name)
-    rows = protos.select(F.col(name).alias("before"), F.lead(name).over(along).alias("after"), F.col(vec).alias("_a"), F.lead(vec).over(along).alias("_b")).where("after IS NOT NULL")
-    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    rows = rows.select("before", "after", F.sqrt(apart).alias("distance"))
-    return rows.crossJoin(rows.agg(F.percentile("distance", F.lit(0.5)).alias("_median"))).select("before", "after", "distance", (F.col("distance") / F.col("_median")).alias("jump"))
+    after = lambda c: F.lead(c).over(along)
+    rows = protos.select(F.col(name).alias("before"), after(name).alias("after"), F.col(vec).alias("_a"), after(vec).alias("_b"), F.col(label).alias("_la"), after(label).alias("_lb"),
+        (F.lit(True) if written is None else F.col(written) != after(written)).alias("differs"))
+    return rows.where("after IS NOT NULL").select("before", "after", euclidean("_a", "_b").alias("distance"), "differs", "_la", "_lb")
+
+
+def neighbour_jumps(protos: DataFrame, name: str, vec: str, label: str, written: str | None = None) -> DataFrame:
+    """Euclidean distance of each prototype to the next one in label order, and its ratio to the median of these distances:
+    before, after, distance, jump. With `written`, the label's text, the median is over neighbours with different texts.
+    protos is a small table, a row a label."""
+    rows = _neighbours(protos, name, vec, label, written)
+    median = rows.where("differs").agg(F.percentile("distance", F.lit(0.5)).alias("_median"))
+    return rows.crossJoin(median).select("before", "after", "distance", F.try_divide("distance", "_median").alias("jump"))
+
+
+def jump_around(protos: DataFrame, name: str, vec: str, label: str, at: float = 0.0, written: str | None = None) -> DataFrame:
+    """One row: the label nearest to `at` (the lower one of two), the mean distance to its neighbours, the median over all
+    neighbours, and their ratio; the mean and the ratio are null if the label is written like a neighbour's."""
+    rows = _neighbours(protos, name, vec, label, written)
+    nearest = protos.agg(F.min_by(label, F.struct(F.abs(F.col(label) - at), F.col(label))).alias("label"))
+    mine = (F.col("_la") == F.col("label")) | (F.col("_lb") == F.col("label"))
+    one = rows.crossJoin(F.broadcast(nearest)).groupBy("label").agg(
+        F.when(F.min(F.when(mine, F.col("differs"))), F.avg(F.when(mine, F.col("distance")))).alias("around"), F.percentile(F.when(F.col("differs"), F.col("distance")), F.lit(0.5)).alias("median"))
+    return one.withColumn("ratio", F.try_divide("around", "median"))

@@ -264,12 +264,13 @@ def within_group_rho(df: DataFrame, group: str, x: str, y: str, min_n: int) -> D
 
 
 def eta_squared(df: DataFrame, group: str, y: str) -> DataFrame:
-    """Share of variance between groups, adjusted, and the SD within."""
+    """Share of variance between groups, adjusted (null if every row is a group of its own), and the SD within."""
     g = df.where(F.col(y).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
     t = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     total, within = F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("ss") - F.col("b")
-    eta = 1 - within / total
-    return t.select("n", "k", eta.alias("eta2"), (1 - (1 - eta) * (F.col("n") - 1) / (F.col("n") - F.col("k"))).alias("eta2_adj"), F.sqrt(within / (F.col("n") - F.col("k"))).alias("sd_within"))
+    eta, free = 1 - F.try_divide(within, total), F.col("n") - F.col("k")
+    adjusted = 1 - F.try_divide((1 - eta) * (F.col("n") - 1), free)
+    return t.select("n", "k", eta.alias("eta2"), adjusted.alias("eta2_adj"), F.sqrt(F.greatest(F.lit(0.0), within) / F.greatest(free, F.lit(1))).alias("sd_within"))
 
 
 def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -339,6 +340,40 @@ def paired_losses(df: DataFrame, item: str, cond: str, loss: str, base: str, key
     return out.join(bootstrap_mean(long, by, "d", reps, seed, [item]).select(*by, "lo", "hi"), by) if reps else out
 
 
+def prompt_effect(df: DataFrame, prompt: str, level: str, score: str, least: int = 3) -> DataFrame:
+    """Per prompt of at least `least` rows: rank correlation of level and score (0 where one is constant), its two-sided p
+    (1 there) and the number of rows."""
+    rows = df.where(F.col(level).isNotNull() & F.col(score).isNotNull()).select(prompt, level, score)
+    sized = rows.groupBy(prompt).agg(F.count(F.lit(1)).alias("n_levels")).where(F.col("n_levels") >= least)
+    rho = correlation_p(spearman_by(rows, [prompt], level, score)).select(F.col(prompt).alias("_of"), "rho", "p")
+    p = F.when(F.col("rho").isNull(), 1.0).when(F.abs("rho") >= 1, 0.0).otherwise(F.col("p"))
+    return sized.join(rho, F.col(prompt).eqNullSafe(F.col("_of")), "left").select(prompt, F.coalesce("rho", F.lit(0.0)).alias("rho"), p.alias("p"), "n_levels")
+
+
+def effect_summary(effects: DataFrame, rho: str = "rho") -> DataFrame:
+    """Mean correlation over prompts, its standard error, 95 % interval and size (large, medium, small)."""
+    g = effects.agg(F.count(rho).alias("prompts"), F.avg(rho).alias("mean_r"), (F.stddev_samp(rho) / F.sqrt(F.count(rho))).alias("se_r"))
+    size = F.when(F.abs("mean_r") > 0.5, "large").when(F.abs("mean_r") > 0.3, "medium").otherwise("small")
+    return g.select("*", (F.col("mean_r") - 1.96 * F.col("se_r")).alias("ci_lower"), (F.col("mean_r") + 1.96 * F.col("se_r")).alias("ci_upper"), size.alias("effect_size"))
+
+
+def source_independence(df: DataFrame, level: str, sources: list[str], limit: float = 0.3) -> DataFrame:
+    """Per source score: its rank correlation with the level over all rows (0 where one is constant), and whether it is
+    independent of it."""
+    scores = F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).cast("double").alias("_v")) for s in sources))
+    long = df.select(F.col(level).cast("double").alias("_l"), F.explode(scores).alias("m")).select("_l", "m.*")
+    names = long.select("source").distinct()
+    rho = spearman_by(long, ["source"], "_l", "_v").select("source", "rho")
+    out = names.join(rho, "source", "left").select("source", F.coalesce("rho", F.lit(0.0)).alias("rho"))
+    return out.withColumn("independent", F.abs("rho") < limit)
+
+
+def adherence(df: DataFrame, similarity: str) -> DataFrame:
+    """Mean and population SD of the similarity of texts and sounds, and its quality (good, fair, poor)."""
+    g = df.agg(F.avg(similarity).alias("mean_similarity"), F.stddev_pop(similarity).alias("std_similarity"))
+    return g.withColumn("quality", F.when(F.col("mean_similarity") > 0.25, "good").when(F.col("mean_similarity") > 0.15, "fair").otherwise("poor"))
+
+
 def recognition_matrix(df: DataFrame, scores: list[str], items: list[str]) -> DataFrame:
     """r of every score with every item, in one aggregate: score, item, r."""
     pairs = [(a, b) for a in scores for b in items]

@@ -21,12 +21,21 @@ def chunk_plan(df: DataFrame, length: str, step: float, tol: float = 0.0) -> Dat
 
 
 def split_plan(df: DataFrame, length: str, max_len: float, min_len: float) -> DataFrame:
-    """Whole, or ceil(length / max) equal parts with half-even bounds; parts under min_len are dropped."""
+    """Whole, or ceil(length / max) equal parts with half-even bounds; a recording under min_len has none, a longer one keeps
+    all its parts."""
     n = F.ceil(F.col(length) / max_len).cast("int")
     bound = lambda k: F.rint(k * F.col(length) / F.col("parts"))
-    out = df.where(F.col(length) > 0).withColumn("parts", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = out.withColumn("start", bound(F.col("part"))).withColumn("end", bound(F.col("part") + 1))
-    return out.where(F.col("end") - F.col("start") >= min_len)
+    out = df.where((F.col(length) > 0) & (F.col(length) >= min_len)).withColumn("parts", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumn("start", bound(F.col("part"))).withColumn("end", bound(F.col("part") + 1))
+
+
+def whole_or_chunks(df: DataFrame, length: str, min_len: float, max_len: float, step: float) -> DataFrame:
+    """A recording from min_len to max_len long as one piece; any other as its full chunks of `step`, without a shorter last
+    one: piece, start, end."""
+    whole = F.col(length).between(min_len, max_len) if max_len > 0 else F.lit(False)
+    n = F.when(whole, 1).otherwise(F.floor(F.col(length) / step)).cast("int")
+    out = df.where(n >= 1).withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
+    return out.withColumn("start", F.col("piece") * F.lit(float(step))).withColumn("end", F.when(whole, F.col(length).cast("double")).otherwise((F.col("piece") + 1) * F.lit(float(step))))
 
 
 def window_starts(df: DataFrame, length: str, width: float, n: int = 3) -> DataFrame:
@@ -35,10 +44,11 @@ def window_starts(df: DataFrame, length: str, width: float, n: int = 3) -> DataF
     return df.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.rint(k * room / (n - 1)))).alias("win", "start"))
 
 
-def repeat_rows(df: DataFrame, bin_col: str, weights: dict[str, int], name: str, extra: Column | None = None) -> DataFrame:
-    """rep and file per repeat; the first keeps its name, the others get _r<k>."""
-    reps = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col(bin_col)], F.lit(1)) + (F.when(extra, 1).otherwise(0) if extra is not None else 0)
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), reps - 1)))
+def repeat_rows(df: DataFrame, bin_col: str, weights: dict[str, int], name: str, extra: Column | None = None, more: int = 1) -> DataFrame:
+    """rep and file per repeat; the first keeps its name, the others get _r<k>. Rows where `extra` holds have `more`
+    repeats; no row has none, whatever the weights."""
+    reps = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col(bin_col)], F.lit(1)) + (F.when(extra, more).otherwise(0) if extra is not None else 0)
+    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.greatest(reps, F.lit(1)) - 1)))
     return out.withColumn("file", F.when(F.col("rep") == 0, F.col(name)).otherwise(F.concat(F.regexp_replace(name, r"\.wav$", ""), F.lit("_r"), F.col("rep").cast("string"), F.lit(".wav"))))
 
 
@@ -123,8 +133,11 @@ def joint_manifest(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> DataFr
 
 
 def replace_rows(old: DataFrame, new: DataFrame, word: str) -> DataFrame:
-    """old without rows that contain the word anywhere, plus new; raises unless as many go as come."""
+    """old without rows that contain the word anywhere, plus new; raises unless as many go as come, or if a new row
+    contains the word."""
     gone, come = old.where(any_column_contains(old, word)).count(), new.count()
+    if left := new.where(any_column_contains(new, word)).count():
+        raise ValueError(f"{left} new rows still contain {word!r}")
     if gone != come:
         raise ValueError(f"{gone} rows go, {come} come")
     return old.where(~any_column_contains(old, word)).unionByName(new)
@@ -137,6 +150,15 @@ def refresh_captions(records: DataFrame, captions: DataFrame, keys: list[str]) -
     return j.withColumn("matched", F.col("new_caption").isNotNull()).withColumn("caption", F.coalesce("new_caption", "caption")).drop("new_caption")
 
 
+def rebuild_records(subset: DataFrame, records: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(per subset row the first record of its key, by `order`, with the row's new_caption as caption; subset rows whose
+    key has no record). Keys of several subset rows use the same record."""
+    cols = [c for c in records.columns if c not in (*keys, "caption")]
+    first = records.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_first")).select(*keys, "_first.*")
+    found = subset.select(*keys, F.col("new_caption").alias("caption")).join(first, keys)
+    return found, subset.join(records.select(*keys).distinct(), keys, "left_anti")
+
+
 def mix_plan(stim: DataFrame, bases: DataFrame, maskers: DataFrame, levels: list[int]) -> DataFrame:
     """Gain of each masker at base level minus SMR: looked up at the rounded level, residual in dB.
     maskers: masker, gain_<r>dB, leq_<r>dB (wide)."""

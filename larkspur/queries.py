@@ -272,6 +272,17 @@ def p25_p27_p28_names(grid):
         T.first_sentence(F.concat(F.lit("s"), F.col("item"), F.lit(". Loudness: loud. "))).alias("sentence"))
 
 
+_SENTENCE = "CASE WHEN side = 'F' THEN concat(' ', prio, '. Loudness: loud (80 dB). Pleasantness: high.') ELSE concat(prio, ' ') END"
+
+
+@register("""SELECT id, concat(prio, '. [ISOPleasant: ', printf('%.2f', score), ']') AS rated, concat(prio, ' [pleasantness: ', bin, '] (iso_pleasantness: ', printf('%.0f', price / 1000), ')') AS binned, 
+    prio AS bare FROM clips""", "clips")
+def p28_caption_variants(clips):
+    c = clips.withColumn("caption", F.expr(_SENTENCE))
+    return c.select("id", T.caption_rated("caption", F.col("score").cast("string")).alias("rated"), T.caption_binned("prio", "bin", F.col("price") / 1000).alias("binned"),
+        T.caption_rated("caption", F.lit("nan")).alias("bare"))
+
+
 @register(f"SELECT id, ['quiet', 'calm and quiet', 'hushed'][(('0x' || substr(md5(concat_ws('|', '5', CAST(id AS VARCHAR))), 1, 8))::BIGINT % 3) + 1] AS phrase FROM clips", "clips")
 def p29_varied_phrases(clips):
     return clips.select("id", T.pick_phrase(["quiet", "calm and quiet", "hushed"], 5, "id").alias("phrase"))
@@ -555,6 +566,46 @@ def f12_f13_quality_counts(clips):
     return X.quarantine(clips, {"short": F.col("dur") < 5, "low": F.col("score") < -0.9, "seven": F.col("file").endswith("7.wav")})[2]
 
 
+_PATH = """CASE cust % 7 WHEN 0 THEN '  ' WHEN 1 THEN concat(file, '|', file) WHEN 2 THEN concat('a', chr(9), file) WHEN 3 THEN concat(file, '.wav') WHEN 4 THEN 
+    replace(file, '.wav', '.mp3') WHEN 5 THEN concat(file, chr(10)) ELSE file END"""
+
+
+@register(f"""WITH p AS (SELECT id, regexp_replace({_PATH}, '^\\s+|\\s+$', '', 'g') AS p FROM clips), n AS (SELECT id, p, (length(p) - length(replace(p, '.wav', ''))) / 4 AS wav, 
+    (length(p) - length(replace(p, '.mp3', ''))) / 4 AS mp3 FROM p)
+SELECT id, concat_ws(', ', CASE WHEN p = '' THEN 'empty_path' END, CASE WHEN contains(p, '|') THEN 'pipe_in_path' END, CASE WHEN wav > 1 OR mp3 > 1 THEN 'multiple_extensions' END, 
+    CASE WHEN NOT contains(p, '|') AND wav = 1 AND mp3 <= 1 AND regexp_matches(p, '[\\n\\r\\t]') THEN 'suspicious_name' END) AS rules FROM n""", "clips")
+def f12_path_rules(clips):
+    hits = X.rule_hits(clips.select("id", F.expr(_PATH).alias("path")), X.path_rules("path"))
+    return hits.select("id", F.array_join("rules", ", ").alias("rules"))
+
+
+_FAULTY = "id, (dur % 13)::DOUBLE AS seconds, CASE WHEN cust % 11 = 0 THEN 'unreadable' END AS error"
+
+
+@register(f"""WITH f AS (SELECT {_FAULTY} FROM clips) SELECT id, seconds, CASE WHEN error IS NOT NULL THEN 'load_error' WHEN seconds = 0 THEN 'zero_duration' 
+    WHEN abs(seconds - 10) > 1 THEN 'wrong_duration' ELSE 'kept' END AS verdict FROM f""", "clips")
+def f13_duration_quarantine(clips):
+    """Kept rows beside those in quarantine, with the rule that put them there."""
+    rows = clips.select("id", (F.col("dur") % 13).cast("double").alias("seconds"), F.when(F.col("cust") % 11 == 0, "unreadable").alias("error"))
+    kept, gone, _ = X.quarantine(rows, X.duration_rules("seconds", "error"))
+    return kept.select("id", "seconds", F.lit("kept").alias("verdict")).unionByName(gone.select("id", "seconds", F.array_join("rules", ", ").alias("verdict")))
+
+
+_MEASURES = [
+    "id", "CASE WHEN cust % 31 = 0 THEN NULL ELSE 900 + (id % 997) * 40 END AS bytes", "CASE WHEN id % 29 = 0 THEN 'unreadable' END AS error", "(dur % 13) * 44100 AS samples",
+    "1 + id % 3 AS channels", "CASE WHEN id % 17 = 0 THEN 48000 ELSE 44100 END AS rate", "(price % 1000) / 50000 AS rms", "(price % 777) / 776 AS peak", "id % 23 = 0 AS has_nan", "id % 41 = 0 AS has_inf",
+]
+_FAULTS = """f AS (SELECT id, CASE WHEN bytes IS NULL THEN ['Other'] WHEN bytes < 1000 THEN ['Other'] WHEN error IS NOT NULL THEN ['Cannot load file'] WHEN samples = 0 THEN ['Empty audio'] ELSE list_filter([
+    CASE WHEN rate != 44100 THEN 'Wrong sample rate' END, CASE WHEN samples / rate < 9 OR samples / rate > 11 THEN 'Wrong duration' END, CASE WHEN rms < 0.001 THEN 'Silent/low volume' END,
+    CASE WHEN peak > 0.99 THEN 'Clipping' END, CASE WHEN 20 * log10(rms + 1e-10) < -40 THEN 'Low loudness' END, CASE WHEN has_nan THEN 'Other' END, CASE WHEN has_inf THEN 'Other' END,
+    CASE WHEN channels NOT IN (1, 2) THEN 'Other' END], lambda x: x IS NOT NULL) END AS faults FROM m)"""
+
+
+@register(f"WITH m AS (SELECT {', '.join(_MEASURES)} FROM clips), {_FAULTS}, u AS (SELECT id, unnest(faults) AS category FROM f) SELECT category, count(*) AS faults, count(DISTINCT id) AS rows FROM u GROUP BY category", "clips")
+def f13_audio_faults(clips):
+    return X.category_counts(X.rule_hits(clips.selectExpr(*_MEASURES), X.audio_rules()))
+
+
 @register("""WITH r AS (SELECT id, masker, row_number() OVER (PARTITION BY masker ORDER BY price, id) - 1 AS i, count(*) OVER (PARTITION BY masker) AS n 
     FROM clips), k AS (SELECT unnest(range(0, 20)) AS k)
 SELECT DISTINCT r.id, r.masker FROM r LEFT JOIN k ON TRUE WHERE n <= 20 OR i = CAST(floor(k.k * (n - 1) / 19) AS BIGINT)""", "clips")
@@ -696,6 +747,11 @@ def a16_stability(grid):
     return r6(R.prediction_stability(grid, "clip", "lev", "ckpt", "value", "k"))
 
 
+@register("SELECT user_id, " + q6("avg(value) AS mean", "CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END AS sd", "avg(k) AS k") + " FROM grid GROUP BY user_id", "grid")
+def a16_prediction_spread(grid):
+    return r6(R.prediction_spread(grid, "user_id", "value", ["k"]))
+
+
 @register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) "
     "SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item, ', ' "
     "ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM r GROUP BY clip", "grid")
@@ -733,10 +789,15 @@ def a22_text_diversity(docs):
     return R.text_diversity(docs, "text")
 
 
-@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(split_part(text, '[', 1)), '[^a-z]+')) AS word FROM docs) SELECT word, count(*) AS n FROM w "
-    "WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
+@register("WITH w AS (SELECT unnest(regexp_split_to_array(lower(split_part(text, '[ISOPleasant', 1)), '[ \\t-\\r]+')) AS word FROM docs WHERE text IS NOT NULL) SELECT word, count(*) AS n, "
+    "round(100 * count(*) / (SELECT count(text) FROM docs), 6) + 0.0 AS pct FROM w WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 50", "docs")
 def a22_top_words(docs):
-    return R.top_words(docs, "text", 50)
+    return r6(R.top_words(docs.select(F.concat("text", T.tag("s")).alias("text")), "text", 50))
+
+
+@register("SELECT text, count(*) AS n FROM docs WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, encode(text) LIMIT 10", "docs")
+def a22_repeated_texts(docs):
+    return R.repeated_texts(docs, "text", 10)
 
 
 @register("SELECT least(9, floor((score + 1) / 0.2))::INT AS bin, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_y FROM clips WHERE score >= -1 AND score < 1 AND price IS NOT NULL GROUP BY 1 HAVING count(*) >= 5", "clips")
@@ -1141,6 +1202,9 @@ def prototypes(emb: DataFrame) -> DataFrame:
 _PROTO = "WITH el AS (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), av AS (SELECT label, i, avg(x) AS x FROM el GROUP BY ALL), pr AS (SELECT label AS name, list(x ORDER BY i) AS proto FROM av GROUP BY label), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT vec_id, name, list_dot_product(v, proto) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(proto, proto)) AS c FROM e, pr)"
 
 
+_APART = "sqrt(list_sum(list_transform(list_zip(a.proto, b.proto), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))"
+
+
 @register(_PROTO + ", s AS (SELECT *, 5 * c - max(5 * c) OVER (PARTITION BY vec_id) AS d FROM cs) SELECT vec_id, name, round(exp(d) / sum(exp(d)) "
     "OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM s", "embeddings")
 def j13_t17_prototype_softmax(emb):
@@ -1162,12 +1226,18 @@ def j14_nearest_centroid(emb):
     return r6(E.nearest_prototype(emb.select("vec_id", F.col("embedding").alias("vec")), p, ["vec_id"]))
 
 
-@register(_PROTO + " SELECT a.name AS a_name, b.name AS b_name, round(1 - list_dot_product(a.proto, b.proto) / sqrt(list_dot_product(a.proto, "
-    "a.proto)) / sqrt(list_dot_product(b.proto, b.proto)), 6) + 0.0 AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name", "embeddings")
+@register(_PROTO + " SELECT a.name AS a_name, b.name AS b_name, round(" + _APART + ", 6) + 0.0 AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name", "embeddings")
 def t29_pairwise_distance(emb):
     return r6(E.pairwise_distance(prototypes(emb).withColumn("name", F.col("label")), "name", "proto", "label"))
 
 
+@register(_PROTO + ", d AS (SELECT " + _APART + " AS distance, abs(a.name - b.name) AS label_gap FROM pr a JOIN pr b ON a.name < b.name), r AS (SELECT rank() OVER (ORDER BY distance) AS x, "
+    "rank() OVER (ORDER BY label_gap) + (count(*) OVER (PARTITION BY label_gap) - 1) / 2 AS y FROM d) SELECT count(*) AS n, round(corr(x, y), 6) + 0.0 AS rho FROM r", "embeddings")
+def t29_distance_trend(emb):
+    pairs = E.pairwise_distance(prototypes(emb).withColumn("name", F.col("label")), "name", "proto", "label").withColumn("of", F.lit("labels"))
+    return r6(ST.spearman_by(pairs, ["of"], "distance", "label_gap").select("n", "rho"))
+
+
 @register("WITH el AS (SELECT vec_id % 40 AS clip, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT clip, i, avg(x) AS x FROM el "
     "GROUP BY ALL), n AS (SELECT clip, sqrt(sum(x * x)) AS n FROM a GROUP BY clip) SELECT a.clip, i, round(x / n, 6) + 0.0 AS x FROM a JOIN n ON n.clip = a.clip", "embeddings")
 def a28_s8_mean_embedding(emb):
@@ -1209,6 +1279,32 @@ def t30_level_trend(grid):
     return r6(ST.spearman_by(grid, ["item"], "p", "value", 3).withColumn("independent", F.abs("rho") < 0.3))
 
 
+_EFFECT = f"""r AS (SELECT clip, p, value, {_rank_sql('p', 'clip')} AS rx, {_rank_sql('value', 'clip')} AS ry FROM grid), pe AS (SELECT clip, CASE WHEN count(DISTINCT p) > 1 
+    AND count(DISTINCT value) > 1 THEN corr(rx, ry) ELSE 0 END AS rho, count(*) AS n_levels FROM r GROUP BY clip HAVING count(*) >= 3)"""
+
+
+@register(f"WITH {_EFFECT} SELECT clip, round(rho, 6) + 0.0 AS rho, n_levels FROM pe", "grid")
+def t30_prompt_effect(grid):
+    return r6(ST.prompt_effect(grid, "clip", "p", "value").drop("p"))
+
+
+@register(f"WITH {_EFFECT}, s AS (SELECT count(*) AS prompts, avg(rho) AS mean_r, stddev_samp(rho) / sqrt(count(*)) AS se_r FROM pe) SELECT prompts, " + q6("mean_r AS mean_r", "se_r AS se_r",
+    "mean_r - 1.96 * se_r AS ci_lower", "mean_r + 1.96 * se_r AS ci_upper") + ", CASE WHEN abs(mean_r) > 0.5 THEN 'large' WHEN abs(mean_r) > 0.3 THEN 'medium' ELSE 'small' END AS effect_size FROM s", "grid")
+def t30_effect_summary(grid):
+    return r6(ST.effect_summary(ST.prompt_effect(grid, "clip", "p", "value")))
+
+
+@register("WITH u AS (SELECT p, unnest(['value', 'k', 'clip']) AS source, unnest([value::DOUBLE, k::DOUBLE, clip::DOUBLE]) AS v FROM grid), r AS (SELECT source, " + _rank_sql("p", "source") + " AS rx, "
+    + _rank_sql("v", "source") + " AS ry FROM u) SELECT source, round(corr(rx, ry), 6) + 0.0 AS rho, abs(corr(rx, ry)) < 0.3 AS independent FROM r GROUP BY source", "grid")
+def t30_source_independence(grid):
+    return r6(ST.source_independence(grid, "p", ["value", "k", "clip"]))
+
+
+@register("SELECT " + q6("avg(value / 400) AS mean_similarity", "stddev_pop(value / 400) AS std_similarity") + ", CASE WHEN avg(value / 400) > 0.25 THEN 'good' WHEN avg(value / 400) > 0.15 THEN 'fair' ELSE 'poor' END AS quality FROM grid", "grid")
+def t30_adherence(grid):
+    return r6(ST.adherence(grid.withColumn("sim", F.col("value") / 400), "sim"))
+
+
 # ---- frames and spectra
 
 
@@ -1303,13 +1399,18 @@ def c1_fixed_chunks(clips):
     return P.chunk_plan(clips, "dur", 10.0, 1.0).select("id", "chunk", "start", "end", "pad")
 
 
-@register("WITH s AS (SELECT id, dur, ceil(dur / 22.0)::INT AS parts FROM clips), e AS (SELECT *, unnest(range(0, parts))::INT AS part FROM s) SELECT id, parts, part, "
-    "round_even(part * dur / parts, 0)::DOUBLE AS start, round_even((part + 1) * dur / parts, 0)::DOUBLE AS \"end\" FROM e WHERE round_even((part + 1) * dur / parts, "
-    "0) - round_even(part * dur / parts, 0) >= 5", "clips")
+@register("WITH s AS (SELECT id, dur, ceil(dur / 22.0)::INT AS parts FROM clips), e AS (SELECT *, unnest(range(0, parts))::INT AS part FROM s WHERE dur >= 5) SELECT id, parts, part, "
+    "round_even(part * dur / parts, 0)::DOUBLE AS start, round_even((part + 1) * dur / parts, 0)::DOUBLE AS \"end\" FROM e", "clips")
 def c2_equal_split(clips):
     return P.split_plan(clips, "dur", 22.0, 5.0).select("id", "parts", "part", "start", "end")
 
 
+@register("WITH s AS (SELECT id, dur, dur BETWEEN 12 AND 25 AS whole FROM clips), e AS (SELECT *, unnest(range(0, CASE WHEN whole THEN 1 ELSE dur // 10 END))::INT AS piece FROM s) SELECT id, piece, "
+    "(piece * 10)::DOUBLE AS start, CASE WHEN whole THEN dur ELSE (piece + 1) * 10 END::DOUBLE AS \"end\" FROM e", "clips")
+def c2_whole_or_chunks(clips):
+    return P.whole_or_chunks(clips, "dur", 12.0, 25.0, 10.0).select("id", "piece", "start", "end")
+
+
 _REPS = "CASE bin WHEN 'very_unpleasant' THEN 3 WHEN 'very_pleasant' THEN 2 ELSE 1 END + CASE WHEN score > 0.9 THEN 1 ELSE 0 END"
 
 
@@ -1416,6 +1517,14 @@ def c13_s7_refresh_captions(clips):
     return P.refresh_captions(clips.select("id", "cust", F.col("prio").alias("caption")), new, ["cust"]).select("id", "caption", "matched")
 
 
+@register("WITH f AS (SELECT cust, min(id) AS id, arg_min(file, id) AS file FROM clips GROUP BY cust) SELECT c.id AS cust, CASE WHEN f.id IS NOT NULL THEN concat('by ', name) END AS caption, f.id, file "
+    "FROM cust c LEFT JOIN f ON f.cust = c.id", "clips cust")
+def c13_rebuild_records(clips, cust):
+    """Customers stand for the subset with new captions; those without a stored clip are the report's unmatched rows."""
+    found, missed = P.rebuild_records(cust.select(F.col("id").alias("cust"), F.concat(F.lit("by "), "name").alias("new_caption")), clips.select("cust", "id", "file", F.col("prio").alias("caption")), ["cust"], "id")
+    return found.select("cust", "caption", "id", "file").unionByName(missed.select("cust"), allowMissingColumns=True)
+
+
 @register("WITH s AS (SELECT id, row_number() OVER (PARTITION BY masker ORDER BY md5(concat_ws('|', '25', CAST(id AS VARCHAR))), id) AS r FROM clips) SELECT id, "
     "'full' AS condition FROM clips UNION ALL SELECT id, c FROM s, (VALUES ('gain'), ('cut')) v(c) WHERE r <= 30", "clips")
 def c14_job_plan(clips):
@@ -1547,6 +1656,15 @@ def t27_cluster_agreement(resp):
     return r6(R.cluster_agreement(resp.where("fold % 2 = 0"), resp.where("fold % 2 = 1"), "part_group", ["qty", "la50"]))
 
 
+@register(_PROTO + ", o AS (SELECT name, proto, lead(name) OVER (ORDER BY name) AS nxt FROM pr), d AS (SELECT a.name AS x, b.name AS y, " + _APART + " AS distance, a.name // 2 != b.name // 2 AS differs FROM o a "
+    "JOIN pr b ON b.name = a.nxt), n AS (SELECT arg_min(name, (abs(name - 3), name)) AS label FROM pr) SELECT label, " + q6("CASE WHEN bool_and(differs) FILTER (WHERE label IN (x, y)) THEN "
+    "avg(distance) FILTER (WHERE label IN (x, y)) END AS around", "quantile_cont(distance, 0.5) FILTER (WHERE differs) AS median", "CASE WHEN bool_and(differs) FILTER (WHERE label IN (x, y)) THEN "
+    "avg(distance) FILTER (WHERE label IN (x, y)) / quantile_cont(distance, 0.5) FILTER (WHERE differs) END AS ratio") + " FROM d, n GROUP BY label", "embeddings")
+def t29_jump_around(emb):
+    p = prototypes(emb).withColumnRenamed("label", "name").withColumn("text", F.floor(F.col("name") / 2))
+    return r6(E.jump_around(p, "name", "proto", "name", 3, "text"))
+
+
 @register(_PROTO + ", o AS (SELECT name, proto, lead(name) OVER (ORDER BY name) AS nxt FROM pr), d AS (SELECT o.name AS before, o.nxt AS after, "
     "sqrt(list_sum(list_transform(list_zip(o.proto, pr.proto), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS distance FROM o JOIN pr ON pr.name = o.nxt) SELECT before, "
     "after, round(distance, 6) + 0.0 AS distance, round(distance / (SELECT quantile_cont(distance, 0.5) FROM d), 6) + 0.0 AS jump FROM d", "embeddings")
