@@ -7,9 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import order_key
+from larkspur.sources.scratch import cut
 
 from .screen import places, prefix_sums
 
+#: Rows of a group that one window numbers at most.
+WINDOW = 500_000
+
+
+def _largest(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def _in_hash_order(df: DataFrame, groups: dict[str, list[str]], seed: int, key: list[str]) -> DataFrame:
+    """df, written, with _h, _one and a struct of each of the groups' columns, in which nulls are equal."""
+    rows = df.withColumns({"_h": order_key(seed, *key), "_one": F.lit(1), **{n: F.struct(*(F.col(c) for c in cols)) for n, cols in groups.items()}})
+    return cut(rows, "selection")
+
 
 def waterfill(caps: DataFrame, quota: int | str, order: list[str], by: list[str] | None = None, cap: str = "cap") -> DataFrame:
     """caps with `take`: the quota (a number, or a column constant in the group) spread evenly under each
@@ -31,26 +46,40 @@ def waterfill(caps: DataFrame, quota: int | str, order: list[str], by: list[str]
     return rows.withColumn("take", take.cast("long")).drop("_left", "_before", "_q", "_level", "_base", "_rest", "_more")
 
 
-def round_robin(df: DataFrame, by: list[str], cell: list[str], n: int | Column, seed: int, key: list[str], reshuffle: bool = False) -> DataFrame:
-    """Up to n rows of each group, dealt in turn from its cells; with reshuffle the cells' order changes each round."""
-    r = F.row_number().over(Window.partitionBy(*by, *cell).orderBy(order_key(seed, *key), *key))
-    rows = df.withColumn("_r", r)
+def round_robin(df: DataFrame, by: list[str], cell: list[str], n: int | Column, seed: int, key: list[str], reshuffle: bool = False, largest: int | None = None) -> DataFrame:
+    """Up to n rows of each group, dealt in turn from its cells; with reshuffle the cells' order changes each round. Groups of
+    up to WINDOW rows are numbered by windows; if there is a larger one (`largest`, counted here unless given), the rounds
+    and turns are numbered range by range, and no task has a whole group."""
     turn = [order_key(seed, *cell, "_r")] if reshuffle else [F.col(c) for c in cell]
-    k = F.row_number().over(Window.partitionBy(*by).orderBy("_r", *turn, *key))
-    return rows.withColumn("_k", k).where(F.col("_k") <= n).drop("_r", "_k")
+    if (_largest(df, by) if largest is None else largest) <= WINDOW:
+        r = F.row_number().over(Window.partitionBy(*by, *cell).orderBy(order_key(seed, *key), *key))
+        k = F.row_number().over(Window.partitionBy(*by).orderBy("_r", *turn, *key))
+        return df.withColumn("_r", r).withColumn("_k", k).where(F.col("_k") <= n).drop("_r", "_k")
+    most = F.lit(n) if isinstance(n, int) else n
+    rows = prefix_sums(_in_hash_order(df, {"_g": by, "_c": [*by, *cell]}, seed, key), ["_h", *key], "_one", F.substring("_h", 1, 3), "_r", ["_c"])
+    # a row of round r has r rows of its own cell before it, so later rounds than n are never reached
+    rows = cut(rows.withColumn("_r", F.col("_r") + 1).where(F.col("_r") <= most), "selection")
+    rows = prefix_sums(rows, ["_r", *turn, *key], "_one", F.floor((F.col("_r") - 1) * 512 / most), "_k", ["_g"])
+    return rows.where(F.col("_k") < most).drop("_h", "_one", "_g", "_c", "_r", "_k")
 
 
 def balanced_select(df: DataFrame, n: int, outer: str, inner: str, spread: list[str], seed: int, key: list[str], outer_order: list[str] | None = None) -> DataFrame:
     """Nested balance: quotas over outer, then over inner inside each outer, then round-robin over spread."""
-    cells = df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("cap"))
+    cells = cut(df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("cap")), "cells")
+    largest = cells.agg(F.max("cap")).first()[0] or 0
     outers = waterfill(cells.groupBy(outer).agg(F.sum("cap").alias("cap")), n, outer_order or [outer]).select(outer, F.col("take").alias("_quota"))
     quotas = waterfill(cells.join(outers, outer), "_quota", [inner], by=[outer]).select(outer, inner, "take")
-    return round_robin(df.join(quotas, [outer, inner]), [outer, inner], spread, F.col("take"), seed, key, reshuffle=True).drop("take")
+    return round_robin(df.join(quotas, [outer, inner]), [outer, inner], spread, F.col("take"), seed, key, reshuffle=True, largest=largest).drop("take")
 
 
 def sample_per_group(df: DataFrame, by: list[str], n: int | Column, seed: int, key: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order_key(seed, *key), *key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """The first n rows of each group in seeded order. A small number is cut off before the rows move (Spark's group limit);
+    for a large one, or one that differs by group, groups of more than WINDOW rows are numbered range by range."""
+    if isinstance(n, int) and n <= WINDOW or _largest(df, by) <= WINDOW:
+        w = Window.partitionBy(*by).orderBy(order_key(seed, *key), *key)
+        return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    rows = prefix_sums(_in_hash_order(df, {"_g": by}, seed, key), ["_h", *key], "_one", F.substring("_h", 1, 3), "_r", ["_g"])
+    return rows.where(F.col("_r") < n).drop("_h", "_one", "_g", "_r")
 
 
 def proportional_select(df: DataFrame, by: list[str], n: int, seed: int, key: list[str], rounding: str = "floor") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.operators import rollup as R
 from larkspur.operators import screen as X
+from larkspur.operators import select as L
 from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
 from larkspur.plans import manifest as P
@@ -127,3 +128,18 @@ def test_degenerate_groups(spark):
     assert flat.eta2 is None and flat.sd_within == 0.0
     spread = {r.c: (r["mean"], r.sd) for r in R.prediction_spread(spark.createDataFrame([("x", 1.0), ("y", 1.0), ("y", 3.0)], "c string, v double"), "c", "v").collect()}
     assert spread == {"x": (1.0, 0.0), "y": (2.0, math.sqrt(2))}
+
+
+def test_selection_by_ranges(spark, monkeypatch):
+    """Large groups, numbered range by range, give the rows that windows give; null groups and cells are groups too."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("c"), F.lit(40).alias("n"))
+    runs = [
+        lambda: L.round_robin(df, ["g"], ["c"], 50, 7, ["id"]), lambda: L.round_robin(df, ["g"], ["c"], F.col("n"), 7, ["id"], reshuffle=True), lambda: L.sample_per_group(df, ["g"], 1500, 7, ["id"]),
+        lambda: L.sample_per_group(df, ["g"], F.col("n"), 7, ["id"]), lambda: L.proportional_select(df.where("g IS NOT NULL"), ["g"], 100, 7, ["id"]), lambda: L.balanced_select(df.na.drop(subset=["g"]).na.fill(9), 500, "g", "c", ["n"], 7, ["id"]),
+    ]
+    ids = lambda d: sorted(r.id for r in d.collect())
+    by_window = [ids(r()) for r in runs]
+    assert [len(x) for x in by_window[:4]] == [150, 120, 1500 + 600 + 300, 120]
+    monkeypatch.setattr(L, "WINDOW", 20)
+    assert [ids(r()) for r in runs] == by_window
+    assert runs[0]().columns == df.columns
