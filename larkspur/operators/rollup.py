@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import fmt2
+
 from .screen import value_buckets
 
 
@@ -39,6 +41,18 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     return df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(ok, F.col(weight)))).alias("wmean"), F.avg(value).alias("mean"), F.sum(weight).alias("weight"))
 
 
+def rating_agreement(df: DataFrame, bin_col: str, listed: str, train: str, rated: str, within: str) -> DataFrame:
+    """Per bin: number of files, their mean training rating and mean model rating, each file as often as it is listed, the SD
+    of the model ratings over files and the mean SD inside a file. The last row, with a null bin and `overall` true, is over
+    all files; bias is the listed mean of model less training rating."""
+    rows = df.where(F.col(train).isNotNull() & F.col(rated).isNotNull())
+    mean = lambda v: F.try_divide(F.sum(v * F.col(listed)), F.sum(listed))
+    aggs = [F.count(F.lit(1)).alias("files"), F.sum(listed).alias("entries"), mean(F.col(train)).alias("train_mean"), mean(F.col(rated)).alias("rated_mean"),
+        mean(F.col(rated) - F.col(train)).alias("bias"), F.stddev_samp(rated).alias("rated_sd"), F.avg(within).alias("within_sd")]
+    bins = rows.groupBy(F.col(bin_col).alias("bin")).agg(*aggs).withColumn("overall", F.lit(False))
+    return bins.unionByName(rows.agg(*aggs).withColumns({"bin": F.lit(None).cast("string"), "overall": F.lit(True)}))
+
+
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width, right-closed bins over the range; the lowest value belongs to the first."""
     edge = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
@@ -125,10 +139,11 @@ def prediction_spread(outputs: DataFrame, clip: str, value: str, others: list[st
 
 
 def label_set_scores(probs: DataFrame, key: str, label: str, p: str, sets: dict[str, list[str]]) -> DataFrame:
-    """Per key: the largest probability in each label set, and the three likeliest labels as text."""
+    """Per key: the largest probability in each label set, and the three likeliest labels with their probability in two
+    decimals as text."""
     best = probs.groupBy(key).agg(*(F.max(F.when(F.col(label).isin(names), F.col(p))).alias(s) for s, names in sets.items()))
     w = Window.partitionBy(key).orderBy(F.desc(p), label)
-    top = probs.withColumn("_r", F.row_number().over(w)).where("_r <= 3").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", label))), lambda x: x[label]), ", ").alias("top3"))
+    top = probs.withColumn("_r", F.row_number().over(w)).where("_r <= 3").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.concat_ws(" ", label, fmt2(p)).alias("_t")))), lambda x: x["_t"]), "; ").alias("top3"))
     return best.join(top, key)
 
 

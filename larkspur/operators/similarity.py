@@ -129,8 +129,9 @@ def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str
 
 
 def best_caption(z: DataFrame, key: str, texts: DataFrame, threshold: float) -> DataFrame:
-    """Best caption per clip by z, its z, how many are over the threshold, and these joined by ' || '."""
-    over = F.sort_array(F.collect_list(F.when(F.col("z") >= threshold, F.struct((-F.col("z")).alias("neg"), "cap", "text"))))
+    """Best caption per clip by z (of equal ones the first), its z, how many are over the threshold, and these joined by
+    ' || ', in the captions' order."""
+    over = F.sort_array(F.collect_list(F.when(F.col("z") >= threshold, F.struct("cap", "text"))))
     return z.join(texts, [key, "cap"]).groupBy(key).agg(F.max_by("cap", F.struct("z", -F.col("cap"))).alias("best"), F.max("z").alias("best_z"),
         F.count_if(F.col("z") >= threshold).alias("n_over"), F.array_join(F.transform(over, lambda s: s["text"]), " || ").alias("texts"))
 

@@ -321,6 +321,17 @@ def fit_quality(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFram
         (1 - (F.col("_mse") - F.col("bias") * F.col("bias")) / F.col("_v")).alias("r2_centred"), F.sqrt("_mse").alias("rmse"))
 
 
+def agreement(df: DataFrame, obs: str, pred: str, place: str) -> DataFrame:
+    """One row: n, r and rank correlation of prediction and observation, r of their means by place (null for fewer than three
+    places), number of places, bias and ratio of spreads."""
+    rows = df.na.drop(subset=[obs, pred]).select(F.col(obs).cast("double").alias("_o"), F.col(pred).cast("double").alias("_p"), F.col(place).alias("_at"), F.lit(1).alias("_all"))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.corr("_o", "_p").alias("r"), F.avg(F.col("_p") - F.col("_o")).alias("bias"), F.try_divide(F.stddev_samp("_p"), F.stddev_samp("_o")).alias("spread"))
+    means = rows.where("_at IS NOT NULL").groupBy("_at").agg(F.avg("_o").alias("_o"), F.avg("_p").alias("_p"))
+    places = means.agg(F.count(F.lit(1)).alias("n_places"), F.when(F.count(F.lit(1)) > 2, F.corr("_o", "_p")).alias("r_place"))
+    rho = spearman_by(rows, ["_all"], "_o", "_p").agg(F.max("rho").alias("rho"))
+    return one.crossJoin(F.broadcast(places)).crossJoin(F.broadcast(rho)).select("n", "r", "rho", "r_place", "n_places", "bias", "spread")
+
+
 def stability_rule(full: DataFrame, other: DataFrame, keys: list[str], key: str, pred: str, obs: str, min_r: float, max_shift: float, max_drop: float) -> DataFrame:
     """Per condition, on shared ids: correlation with the full condition, mean shift, change in r with the observed; passed
     if the first is high enough, the shift small enough, and r drops by max_drop at most (it may rise)."""

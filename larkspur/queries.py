@@ -740,6 +740,16 @@ def a13_weighted_mean(resp):
     return r6(R.weighted_mean(resp, ["masker_type"], "pl", "qty").withColumn("weight", F.col("weight").cast("double")))
 
 
+_AGREE = "count(*) AS files, sum(base % 4)::BIGINT AS entries, " + q6("sum(score * (base % 4)) / sum(base % 4) AS train_mean", "sum((score * 0.8 + dur / 200) * (base % 4)) / sum(base % 4) AS rated_mean",
+    "sum((score * 0.8 + dur / 200 - score) * (base % 4)) / sum(base % 4) AS bias", "stddev_samp(score * 0.8 + dur / 200) AS rated_sd", "avg(dur / 1000) AS within_sd") + " FROM clips"
+
+
+@register(f"SELECT bin, false AS overall, {_AGREE} GROUP BY bin UNION ALL SELECT NULL, true, {_AGREE}", "clips")
+def a13_rating_agreement(clips):
+    rows = clips.select("bin", "score", (F.col("base") % 4).alias("listed"), (F.col("score") * 0.8 + F.col("dur") / 200).alias("rated"), (F.col("dur") / 1000).alias("within"))
+    return r6(R.rating_agreement(rows, "bin", "listed", "score", "rated", "within"))
+
+
 @register("WITH a AS (SELECT clip, lev, avg(value) AS m, stddev_samp(value) AS s FROM grid GROUP BY ALL), b AS (SELECT clip, avg(s) AS sd_ckpt, stddev_samp(m) AS sd_level "
     "FROM a GROUP BY clip), c AS (SELECT clip, avg(value) AS mean, stddev_samp(value) AS sd, abs(avg(value) - avg(k)) AS gap FROM grid GROUP BY clip) "
     "SELECT c.clip, " + q6("mean AS mean", "sd AS sd", "sd_ckpt AS sd_ckpt", "sd_level AS sd_level", "gap AS gap") + " FROM c JOIN b ON b.clip = c.clip", "grid")
@@ -753,7 +763,7 @@ def a16_prediction_spread(grid):
 
 
 @register("WITH l AS (SELECT clip, item, max(value) AS p FROM grid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p DESC, item) AS r FROM l) "
-    "SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item, ', ' "
+    "SELECT clip, max(p) FILTER (WHERE item IN ('click', 'view')) AS browse, max(p) FILTER (WHERE item = 'purchase') AS buy, string_agg(item || ' ' || printf('%.2f', p), '; ' "
     "ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM r GROUP BY clip", "grid")
 def a17_label_sets(grid):
     probs = grid.groupBy("clip", "item").agg(F.max("value").alias("p"))
@@ -999,6 +1009,13 @@ def t2_t21_fit_quality(cust):
     return r6(ST.fit_quality(cust.withColumn("pred", F.col("bal") / 10001 + F.col("nation")), ["seg"], "score", "pred"))
 
 
+@register("WITH v AS (SELECT nation, score AS o, score * 0.5 + bal % 7 AS p FROM cust), r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{c}" for c in "op")
+    + " FROM v), l AS (SELECT avg(o) AS o, avg(p) AS p FROM v GROUP BY nation), one AS (SELECT count(*) AS n, corr(o, p) AS r, avg(p - o) AS bias, stddev_samp(p) / stddev_samp(o) AS spread FROM v) SELECT n, "
+    + q6("r AS r", "(SELECT corr(ro, rp) FROM r) AS rho", "(SELECT corr(o, p) FROM l) AS r_place", "bias AS bias", "spread AS spread") + ", (SELECT count(*) FROM l) AS n_places FROM one", "cust")
+def t2_agreement(cust):
+    return r6(ST.agreement(cust.withColumn("pred", F.col("score") * 0.5 + F.col("bal") % 7), "score", "pred", "nation"))
+
+
 _MATX, _MATY = ["qty", "la50"], ["disc", "price", "pl"]
 _MAT = "WITH v AS (SELECT * FROM resp WHERE pl IS NOT NULL), r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) "
     f"OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in [*_MATX, *_MATY]) + " FROM v) "
@@ -1185,7 +1202,7 @@ def t16_caption_percentile(emb):
 
 
 @register(_ZSQL + ", z AS (SELECT s.clip, s.cap, (sim - mu) / (sd + 1e-9) AS z FROM s JOIN m ON m.clip = s.clip WHERE s.clip = other) SELECT clip, arg_max(cap, (z, "
-    "-cap)) AS best, round(max(z), 6) + 0.0 AS best_z, count(*) FILTER (WHERE z >= 0.1) AS n_over, coalesce(string_agg('text ' || cap, ' || ' ORDER BY z DESC, "
+    "-cap)) AS best, round(max(z), 6) + 0.0 AS best_z, count(*) FILTER (WHERE z >= 0.1) AS n_over, coalesce(string_agg('text ' || cap, ' || ' ORDER BY "
     "cap) FILTER (WHERE z >= 0.1), '') AS texts FROM z GROUP BY clip", "embeddings")
 def w16_best_caption(emb):
     audio, caps = _audio_captions(emb)

@@ -143,3 +143,29 @@ def test_selection_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(L, "WINDOW", 20)
     assert [ids(r()) for r in runs] == by_window
     assert runs[0]().columns == df.columns
+
+
+def test_agreement(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 3.0), ("b", 3.0, 9.0), ("b", 4.0, 8.0), ("c", 5.0, 20.0), (None, 6.0, 30.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "at string, o double, p double")
+    got = ST.agreement(df, "o", "p", "at").first()
+    # ranks 1 2 4 3 5 6 against 1..6: 1 - 6 * 2 / 210; means of the places 1.5 3.5 5 and 2.5 8.5 20
+    assert got.n == 6 and got.n_places == 3 and got.rho == pytest.approx(1 - 12 / 210) and got.bias == pytest.approx(72 / 6 - 21 / 6)
+    assert got.r_place == pytest.approx(ST.agreement(spark.createDataFrame([("x", 1.5, 2.5), ("y", 3.5, 8.5), ("z", 5.0, 20.0)], "at string, o double, p double"), "o", "p", "at").first().r)
+    assert ST.agreement(df.where("at = 'a'"), "o", "p", "at").first().r_place is None
+    files = spark.createDataFrame([("lo", 3, -1.0, 0.0, 0.1), ("lo", 1, -0.6, -0.4, 0.3), ("hi", 2, 1.0, 0.5, None), ("hi", 0, 0.0, 9.5, 0.2)], "bin string, n int, t double, s double, w double")
+    got = {r.bin: r for r in R.rating_agreement(files, "bin", "n", "t", "s", "w").collect()}
+    lo, hi, every = got["lo"], got["hi"], got[None]
+    assert (lo.files, lo.entries, round(lo.train_mean, 6), round(lo.rated_mean, 6), round(lo.within_sd, 6)) == (2, 4, -0.9, -0.1, 0.2)
+    assert (hi.train_mean, hi.rated_mean, hi.within_sd) == (1.0, 0.5, 0.2) and hi.rated_sd == pytest.approx(9 / math.sqrt(2))
+    assert every.overall and every.bias == pytest.approx((3 * 1.0 + 0.2 + 2 * -0.5) / 6)
+
+
+def test_labels_and_captions_as_text(spark):
+    probs = spark.createDataFrame([("x", "rain", 0.5), ("x", "bird", 0.256), ("x", "car", 0.25), ("x", "dog", 0.1), ("y", "dog", 1.0)], "k string, label string, p double")
+    got = {r.k: (r.nature, r.top3) for r in R.label_set_scores(probs, "k", "label", "p", {"nature": ["rain", "bird"]}).collect()}
+    assert got == {"x": (0.5, "rain 0.50; bird 0.26; car 0.25"), "y": (None, "dog 1.00")}
+    z = spark.createDataFrame([("c", 1, 0.5), ("c", 2, 2.0), ("c", 3, 2.0), ("c", 4, -1.0)], "k string, cap int, z double")
+    texts = spark.createDataFrame([("c", i, f"t{i}") for i in range(1, 5)], "k string, cap int, text string")
+    r = E.best_caption(z, "k", texts, 0.5).first()
+    assert (r.best, r.n_over, r.texts) == (2, 3, "t1 || t2 || t3")
