@@ -28,6 +28,15 @@ def top_share(df: DataFrame, keys: list[str], col: str, k: int) -> DataFrame:
     return ranked.where(F.col("place") <= k)
 
 
+def top_text(df: DataFrame, keys: list[str], col: str, k: int, share: bool = False, name: str = "top") -> DataFrame:
+    """Per group the k most frequent values as one text: "a (12), b (5)", or with share "a 60%, b 25%" of the values that
+    aren't null; ties by value."""
+    top = top_share(df.where(F.col(col).isNotNull()), keys, col, k)
+    pct = F.concat(F.call_function("format_number", 100 * F.col("share"), F.lit("0")), F.lit("%"))
+    item = F.concat_ws(" ", F.col(col).cast("string"), pct if share else F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")")))
+    return top.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", item.alias("t")))), lambda x: x["t"]), ", ").alias(name))
+
+
 def describe_by(df: DataFrame, keys: list[str], cols: list[str], qs: list[float], exact: bool = True) -> DataFrame:
     """count, mean, sd, extremes and quantiles per group and column, in long form. exact=False bounds memory for huge groups."""
     long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols))).alias("m")).select(*keys, "m.*")

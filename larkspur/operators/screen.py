@@ -40,6 +40,17 @@ def screen(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.join(r, (F.col("masker") == F.col("_m")) & (F.col("_s").isNull() | (F.col("side") == F.col("_s"))), "left_anti")
 
 
+def score_screen(df: DataFrame, scores: DataFrame, key: str, base: str, score: str, max_file: float | None = None, max_base: float | None = None) -> DataFrame:
+    """df with `verdict`: unscored if `scores` (key, base, score; several rows a file) doesn't have the row's file, removed if
+    the file's largest score or the median over all scores of its base is over a limit, else kept."""
+    per_file = scores.where(F.col(score).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(score).alias("_most"))
+    per_base = scores.where(F.col(score).isNotNull()).groupBy(F.col(base).alias("_b")).agg(F.percentile(score, F.lit(0.5)).alias("_median"))
+    rows = df.join(per_file, F.col(key) == F.col("_k"), "left").join(per_base, F.col(base) == F.col("_b"), "left")
+    over = lambda c, limit: F.lit(False) if limit is None else F.coalesce(F.col(c) > limit, F.lit(False))
+    verdict = F.when(F.col("_most").isNull(), "unscored").when(over("_most", max_file) | over("_median", max_base), "removed").otherwise("kept")
+    return rows.withColumn("verdict", verdict).drop("_k", "_b", "_most", "_median")
+
+
 def funnel(df: DataFrame, steps: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
     """Per step, over rows that pass it and all before: rows and the sums of the measures; in one pass."""
     aggs, passed, names = [], F.lit(True), []

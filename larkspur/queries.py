@@ -531,6 +531,15 @@ def f5_score_screens(clips):
     return clips.where("price <= 400000").join(ok, "base", "left_semi").select("id")
 
 
+@register("""WITH s AS (SELECT k, base, unnest([v, v / 2]) AS v FROM (SELECT id AS k, base, (price % 1000) / 1000 AS v FROM clips WHERE side != 'P')), f AS (SELECT k, max(v) AS most FROM s GROUP BY k), 
+b AS (SELECT base, quantile_cont(v, 0.5) AS med FROM s GROUP BY base) SELECT id, CASE WHEN most IS NULL THEN 'unscored' WHEN most > 0.9 OR med > 0.35 THEN 'removed' ELSE 'kept' END AS verdict 
+FROM clips LEFT JOIN f ON f.k = id LEFT JOIN b ON b.base = clips.base""", "clips")
+def f5_score_verdicts(clips):
+    v = (F.col("price") % 1000) / 1000
+    scores = clips.where("side != 'P'").select("id", "base", F.explode(F.array(v, v / 2)).alias("v"))
+    return X.score_screen(clips, scores, "id", "base", "v", 0.9, 0.35).select("id", "verdict")
+
+
 @register("""SELECT * FROM (VALUES (0, 'rated'), (1, 'loud enough'), (2, 'foreground')) v(step_no, step) JOIN (SELECT 0 AS step_no, count(*) AS n, 
     sum(dur)::BIGINT AS seconds FROM clips WHERE score > -0.8 UNION ALL SELECT 1, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 UNION ALL 
     SELECT 2, count(*), sum(dur)::BIGINT FROM clips WHERE score > -0.8 AND dur > 10 AND side = 'F') x USING (step_no)""", "clips")
@@ -689,6 +698,15 @@ def a5_top_shares(docs):
     return r6(R.top_share(docs, ["source"], "lang", 3))
 
 
+_TOP = "WITH c AS (SELECT masker, prio, count(*) AS n FROM clips GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY masker) AS share, row_number() OVER (PARTITION BY masker ORDER BY n DESC, prio) AS place FROM c) "
+
+
+@register(_TOP + "SELECT masker, string_agg(prio || ' (' || n || ')', ', ' ORDER BY place) AS counts, string_agg(prio || ' ' || printf('%.0f', 100 * share) || '%', ', ' ORDER BY place) AS shares "
+    "FROM r WHERE place <= 3 GROUP BY masker", "clips")
+def a5_top_texts(clips):
+    return R.top_text(clips, ["masker"], "prio", 3, name="counts").join(R.top_text(clips, ["masker"], "prio", 3, share=True, name="shares"), "masker")
+
+
 @register("SELECT base, count(DISTINCT participant) AS people, count(DISTINCT masker) AS maskers FROM resp GROUP BY base", "resp")
 def a6_distinct_counts(resp):
     return resp.groupBy("base").agg(F.count_distinct("participant").alias("people"), F.count_distinct("masker").alias("maskers"))

@@ -169,3 +169,15 @@ def test_labels_and_captions_as_text(spark):
     texts = spark.createDataFrame([("c", i, f"t{i}") for i in range(1, 5)], "k string, cap int, text string")
     r = E.best_caption(z, "k", texts, 0.5).first()
     assert (r.best, r.n_over, r.texts) == (2, 3, "t1 || t2 || t3")
+
+
+def test_top_texts_and_score_screen(spark):
+    df = spark.createDataFrame([("a", "x")] * 5 + [("a", "y")] * 2 + [("a", "w")] * 2 + [("a", None), ("b", "z"), ("c", None)], "g string, v string")
+    assert {r.g: r.top for r in R.top_text(df, ["g"], "v", 2).collect()} == {"a": "x (5), w (2)", "b": "z (1)"}
+    assert {r.g: r.top for r in R.top_text(df, ["g"], "v", 3, share=True).collect()} == {"a": "x 56%, w 22%, y 22%", "b": "z 100%"}
+    rows = spark.createDataFrame([("f1", "p"), ("f2", "p"), ("f3", "q"), ("f4", "q"), (None, "q"), ("f6", "q")], "id string, base string")
+    scores = spark.createDataFrame([("f1", "p", 0.1), ("f1", "p", 0.2), ("f2", "p", 0.9), ("f3", "q", 0.6), ("f4", "q", None), ("f6", "q", 0.5)], "id string, base string, s double")
+    got = lambda **limits: [r.verdict for r in X.score_screen(rows, scores, "id", "base", "s", **limits).orderBy(F.asc_nulls_last("id")).collect()]
+    assert got(max_file=0.5) == ["kept", "removed", "removed", "unscored", "kept", "unscored"]
+    assert got(max_base=0.2) == ["kept", "kept", "removed", "unscored", "removed", "unscored"]
+    assert got() == ["kept", "kept", "kept", "unscored", "kept", "unscored"]
