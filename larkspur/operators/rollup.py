@@ -202,6 +202,18 @@ def cluster_agreement(lab: DataFrame, field: DataFrame, cluster: str, targets: l
     return one.select("clusters", F.explode(cells).alias("c")).select("c.target", "clusters", "c.r")
 
 
+def paired_profiles(lab: DataFrame, field: DataFrame, cluster: str, targets: list[str], rated: str, lab_label: str, field_label: str, k: int = 3) -> DataFrame:
+    """Per cluster of either set: rows of both and rated rows of the field set (`rated` > 0), the targets' means in the lab
+    set (lab_<target>) and over rated field rows (field_<target>), and the k most frequent labels of each set as text."""
+    name = F.col(cluster).alias("cluster")
+    a = lab.groupBy(name).agg(F.count(F.lit(1)).alias("n_lab"), *(F.avg(t).alias(f"lab_{t}") for t in targets))
+    own = F.coalesce(F.col(rated) > 0, F.lit(False))
+    b = field.groupBy(name).agg(F.count(F.lit(1)).alias("n_field"), F.count_if(own).alias("n_rated"), *(F.avg(F.when(own, F.col(t))).alias(f"field_{t}") for t in targets))
+    texts = [top_text(df.select(name, F.col(label).alias("_v")), ["cluster"], "_v", k, share, out) for df, label, share, out in ((lab, lab_label, True, "lab_top"), (field, field_label, False, "field_top"))]
+    out = a.join(b, "cluster", "full").join(texts[0], "cluster", "left").join(texts[1], "cluster", "left")
+    return out.where("cluster IS NOT NULL").na.fill(0, ["n_lab", "n_field", "n_rated"])
+
+
 def mean_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("half"))
     return g.withColumn("label", F.concat(F.lit("n="), F.col("n").cast("string")))

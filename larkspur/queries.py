@@ -1707,6 +1707,20 @@ def t29_neighbour_jumps(emb):
     return r6(E.neighbour_jumps(prototypes(emb).withColumnRenamed("label", "name"), "name", "proto", "name"))
 
 
+_SIDE = "SELECT part_group AS cluster, qty, la50, pl, masker_type, base FROM resp WHERE fold % 2 "
+_TEXT = "(SELECT cluster, string_agg({1}, ', ' ORDER BY n DESC, {0}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, {0}) AS r, n / sum(n) OVER (PARTITION BY cluster) AS s FROM (SELECT cluster, {0}, count(*) AS n FROM {2} GROUP BY ALL)) WHERE r <= 3 GROUP BY cluster)"
+
+
+@register(f"WITH a AS ({_SIDE}= 0), b AS ({_SIDE}!= 0), x AS (SELECT cluster, count(*) AS n_lab, avg(qty) AS lab_qty, avg(la50) AS lab_la50 FROM a GROUP BY 1), y AS (SELECT cluster, count(*) AS n_field, count(pl) AS n_rated, "
+    f"avg(qty) FILTER (WHERE pl IS NOT NULL) AS field_qty, avg(la50) FILTER (WHERE pl IS NOT NULL) AS field_la50 FROM b GROUP BY 1) SELECT x.cluster, n_lab, n_field, n_rated, "
+    + q6(*(f"{s}_{t} AS {s}_{t}" for s in ("lab", "field") for t in ("qty", "la50"))) + ", u.t AS lab_top, v.t AS field_top FROM x JOIN y ON y.cluster = x.cluster JOIN "
+    + _TEXT.format("masker_type", "masker_type || ' ' || printf('%.0f', 100 * s) || '%'", "a") + " u ON u.cluster = x.cluster JOIN " + _TEXT.format("base", "base || ' (' || n || ')'", "b") + " v ON v.cluster = x.cluster", "resp")
+def t27_paired_profiles(resp):
+    """Even and odd folds stand for the lab and the field set, answered items for ratings."""
+    p = R.paired_profiles(resp.where("fold % 2 = 0"), resp.where("fold % 2 != 0"), "part_group", ["qty", "la50"], "pl", "masker_type", "base")
+    return r6(p)
+
+
 # ---- end to end
 
 

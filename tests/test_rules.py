@@ -181,3 +181,12 @@ def test_top_texts_and_score_screen(spark):
     assert got(max_file=0.5) == ["kept", "removed", "removed", "unscored", "kept", "unscored"]
     assert got(max_base=0.2) == ["kept", "kept", "removed", "unscored", "removed", "unscored"]
     assert got() == ["kept", "kept", "kept", "unscored", "kept", "unscored"]
+
+
+def test_paired_profiles(spark):
+    lab = spark.createDataFrame([(1, 2.0, "m"), (1, 4.0, "m"), (1, None, "n"), (2, 1.0, "n"), (None, 9.0, "n")], "c int, t double, m string")
+    field = spark.createDataFrame([(1, 5.0, 3, "here"), (1, 7.0, 0, "there"), (1, 9.0, None, "here"), (3, 1.0, 1, "here")], "c int, t double, n int, l string")
+    got = {r.cluster: (r.n_lab, r.n_field, r.n_rated, r.lab_t, r.field_t, r.lab_top, r.field_top) for r in R.paired_profiles(lab, field, "c", ["t"], "n", "m", "l").collect()}
+    assert got == {
+        1: (3, 3, 1, 3.0, 5.0, "m 67%, n 33%", "here (2), there (1)"), 2: (1, 0, 0, 1.0, None, "n 100%", None), 3: (0, 1, 1, None, 1.0, None, "here (1)"),
+    }
