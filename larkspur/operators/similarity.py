@@ -78,8 +78,24 @@ def caption_z(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec")
     return j.select(key, "cap", "sim", ((F.col("sim") - mean) / (F.sqrt(var) + 1e-9)).alias("z"))
 
 
-#: Similarities that a bound leaves within this of the own one are multiplied out.
+#: Products within this of the own similarity are summed again term by term, as `dot` does.
 SLACK = 1e-9
+#: Pairs that are summed so at once.
+CLOSE = 65_536
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To 12 decimals, halves away from zero as SQL rounds (numpy's go to the even neighbour)."""
+    y = x * 1e12
+    return np.where(np.abs(y - np.trunc(y)) == 0.5, np.trunc(y) + np.sign(y), np.rint(y)) / 1e12
+
+
+def in_order(a: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Row by row the dot product, added up from the first coordinate on: equal vectors get equal products, bit by bit."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * t[:, d]
+    return out
 
 
 def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str = "vec", block: int = 4096, lead: int | None = None) -> DataFrame:
@@ -89,8 +105,9 @@ def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str
     Vectors are turned to the captions' principal axes, so that their first `lead` coordinates (an eighth of all, by default)
     hold most of their length. By Cauchy and Schwarz the rest of a product is at most the product of the rests' lengths:
     a caption whose leading product is further than that from the own similarity is surely below or surely above it, and
-    only what lies between is multiplied out. Clips and captions are dealt to blocks of about `block` rows; each pair of
-    blocks is one task, whose counts are added up. Similarities are compared to 12 decimals."""
+    only what lies between is multiplied out, and what then is next to the own similarity is summed in its order. Clips and
+    captions are dealt to blocks of about `block` rows; each pair of blocks is one task, whose counts are added up.
+    Similarities are compared to 12 decimals."""
     m = second_moments(captions, vec)[1:, 1:]
     axes = np.linalg.eigh(m)[1][:, ::-1].T
     lead = max(1, len(axes) // 8) if lead is None else min(lead, len(axes))
@@ -99,14 +116,17 @@ def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str
     pool = captions.where(F.col(vec).isNotNull()).select(F.col(key).alias("other"), "cap", F.col(vec).alias("t"))
     n = max(1, -(-captions.count() // block))
     turn = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.withColumn("_i", F.pmod(F.xxhash64(key, "cap"), F.lit(n))).withColumn("_j", turn())
-    right = pool.withColumn("_j", F.pmod(F.xxhash64("other", "cap"), F.lit(n))).drop("cap").withColumn("_i", turn())
+    # both sides' block numbers are of one type: a cogroup casts nothing, and an int and a long hash differently
+    left = own.withColumn("_i", F.pmod(F.xxhash64(key, "cap"), F.lit(n)).cast("int")).withColumn("_j", turn())
+    right = pool.withColumn("_j", F.pmod(F.xxhash64("other", "cap"), F.lit(n)).cast("int")).drop("cap").withColumn("_i", turn())
     kind, cap = captions.schema[key].dataType.simpleString(), captions.schema["cap"].dataType.simpleString()
 
     def count(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = mine[[key, "cap", "sim"]].assign(less=0, total=0, pairs=0)
         if len(mine) and len(others):
-            t, sims, k = np.stack(others["t"]).astype(float), np.round(mine["sim"].to_numpy(), 12), others["other"].to_numpy()
+            t, k = np.stack(others["t"]).astype(float), others["other"].to_numpy()
+            raw = mine["sim"].to_numpy()
+            sims = rounded(raw)
             a = np.stack(mine["a"]).astype(float)
             at_, tt = a @ axes.T, t @ axes.T
             rest_a, rest_t = (np.sqrt((v[:, lead:] ** 2).sum(axis=1)) for v in (at_, tt))
@@ -116,11 +136,19 @@ def caption_percentile(audio: DataFrame, captions: DataFrame, key: str, vec: str
                 apart = mine[key].to_numpy()[part, None] != k[None, :]
                 gap, bound = at_[part, :lead] @ head - sims[part, None], rest_a[part, None] * rest_t + SLACK
                 below = gap + bound < 0
-                i, j = np.nonzero(apart & ~below & (gap - bound < 0))
-                near = np.zeros(apart.shape, bool)
-                near[i, j] = np.round(np.einsum("ij,ij->i", a[part][i], t[j]), 12) < sims[part][i]
+                between = apart & ~below & (gap - bound < 0)
+                if between.mean() > 0.05:  # one product of matrices costs less than the rows of so many pairs
+                    gap = a[part] @ t.T - raw[part, None]
+                    near = between & (gap < -SLACK)
+                    i, j = np.nonzero(between & (np.abs(gap) <= SLACK))
+                else:
+                    near = np.zeros(apart.shape, bool)
+                    i, j = np.nonzero(between)
+                for at_pair in range(0, len(i), CLOSE):
+                    u, v = i[at_pair : at_pair + CLOSE], j[at_pair : at_pair + CLOSE]
+                    near[u, v] = rounded(in_order(a[part][u], t[v])) < sims[part][u]
                 out.iloc[part, 3], out.iloc[part, 4] = (apart & (below | near)).sum(axis=1), apart.sum(axis=1)
-                out.iloc[part, 5] = np.bincount(i, minlength=apart.shape[0])
+                out.iloc[part, 5] = between.sum(axis=1)
         return out
 
     counted = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(count, f"{key} {kind}, cap {cap}, sim double, less long, total long, pairs long")

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,24 @@ def test_caption_percentile_blocks(spark):
         assert got == pytest.approx(want)
 
 
+def test_caption_percentile_over_partitions(spark):
+    """Blocks of clips meet all blocks of captions, also where tasks aren't joined into one; equal vectors are ties to the last bit."""
+    rng = np.random.default_rng(12)
+    kinds = rng.normal(size=(40, 33)).astype(np.float32)
+    audio = [(k, kinds[k % 40].tolist()) for k in range(120)]
+    caps = [(k, c, kinds[(k * 7 + c) % 40].tolist()) for k in range(120) for c in range(2)]
+    a, c = spark.createDataFrame(audio, "k bigint, vec array<float>"), spark.createDataFrame(caps, "k bigint, cap bigint, vec array<float>")
+    of = np.array([v for _, v in audio])
+    mine, sims = np.array([k for k, _, _ in caps]), of @ np.array([v for _, _, v in caps]).T
+    want = {(k, n): np.mean(sims[k][mine != k] < sims[k, 2 * k + n] - 1e-10) for k, n, _ in caps}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.cap): r.pct for r in E.caption_percentile(a, c, "k", block=30).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("window", [0, 500_000])
 def test_spearman_by_ranges(spark, monkeypatch, window):
     """Rank correlations with ties and null keys, by one window a group and range by range, with common values broadcast."""
