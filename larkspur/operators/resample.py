@@ -1,20 +1,18 @@
 """Bootstrap resamples with exactly as many draws as a group has rows, whatever its size.
 
-A group's rows are ordered by the md5 of their key. Groups of up to LEAF rows are leaves: draw number `slot` of resample
-`rep` takes the row at floor(u * rows), with u a 32-bit hash of (group, rep, slot). Larger groups are cut into leaves by the
-first digits of the md5. How many of a resample's draws fall into each leaf is settled down the tree of these digits: a
-node's draws are split among its children by binomials with the children's shares of its rows, from a generator that is
-seeded by the node. That is the multinomial distribution of drawing with replacement, and it needs neither row numbers
-nor one task that sees a whole group. No resample is ever empty, and none is lost.
-
-Each leaf is one task's numpy arrays; what leaves it are the sums of the drawn values, one row a resample, which are
-added up over the leaves.
+A group's rows are numbered in the md5 order of their key. Draw number `slot` of resample `rep` takes the row at
+floor(u * rows), with u a 32-bit hash of (group, rep, slot): slot_sql() says the same in SQL. No resample is ever empty,
+and none is lost.
+
+Groups of up to LEAF rows are one task's numpy arrays. Larger ones are numbered range by range, their values packed in
+slabs of up to SLAB values, and their resamples dealt out in blocks: each slab and block is one task, which makes all slots
+of its resamples and adds up what falls into its slab. What leaves a task are the sums of the drawn values, one row a
+resample, which are added up over the slabs. The work is draws x slabs: groups over SLAB values cost their square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -24,9 +22,15 @@ from pyspark.sql import functions as F
 from larkspur.functions.scores import hash_int, order_key
 from larkspur.sources.scratch import cut, sent
 
+from .screen import prefix_sums
+
 LEAF = 4096
 #: Resamples of a leaf that are drawn at once.
 BLOCK = 256
+#: Values of a large group that a task holds.
+SLAB = 1 << 22
+#: Draws of a task on a large group, and how many it makes at once.
+WORK, STEP = 1 << 25, 1 << 15
 _ALL = 0xFFFFFFFF
 
 
@@ -69,106 +73,88 @@ slots AS (SELECT {head}rep, CAST((h * CAST(size AS UBIGINT)) >> 32 AS BIGINT) AS
 drawn AS (SELECT {', '.join(f'a.{k}' for k in keys)}{', ' if keys else ''}rep, count(*) AS _n, {', '.join(f'sum({v}) AS {v}' for v in values)} FROM slots a JOIN placed b ON {same} GROUP BY ALL)"""
 
 
-def _leaf_counts(rows: DataFrame, keys: list[str], leaf: int) -> tuple[DataFrame | None, int]:
-    """(keys, _cell, _count, _depth of the cells of groups with more than `leaf` rows, digits of a cell), or (None, 0)."""
-    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most <= leaf:
-        return None, 0
-    digits = ceil(log(most / leaf, 16))
-    cells = cut(rows.groupBy(*keys, F.substring("_h", 1, digits).alias("_cell")).agg(F.count(F.lit(1)).alias("_count")), "resample-cells")
-    sizes = cells.groupBy(*(F.col(k).alias(f"_of{i}") for i, k in enumerate(keys))).agg(F.sum("_count").alias("_size")).where(F.col("_size") > leaf)
-    depth = F.ceil(F.log(16.0, F.col("_size") / leaf)).cast("int")
-    sizes = sent(sizes.withColumn("_depth", F.greatest(F.lit(1), F.least(F.lit(digits), depth))))
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_of{i}"))
-    return cut(cells.join(sizes, on).drop(*(f"_of{i}" for i in range(len(keys)))), "resample-large"), digits
-
-
-def _settle(cells: DataFrame, keys: list[str], digits: int, n: int, seed: int) -> DataFrame:
-    """keys, _leaf, _t: how many draws of each resample (n little-endian 64-bit numbers) fall into each leaf."""
-    nodes = cells.groupBy(*keys, "_depth").agg(F.sum("_count").alias("_count")).select(*keys, "_depth", F.lit("").alias("_leaf"), "_count", F.lit(None).cast("binary").alias("_t"))
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}{', ' if keys else ''}_depth int, _leaf string, _count long, _t binary"
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _drawn(x: np.ndarray, base: int, size: int, low: int, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(draws of each resample that fall on rows low .. low + len(x) - 1 of a group of `size`, sums of their values)."""
+    odd, whole = np.uint32(0x9E3779B1), len(x) == size
+    counts, sums = np.zeros(len(reps), np.int64), np.zeros((len(reps), x.shape[1]))
+    for i, rep in enumerate(reps):
+        row = mix32(np.array([(base + int(rep) * 0x9E3779B1) & _ALL], np.uint64)).astype(np.uint32)
+        for at in range(0, size, STEP):
+            # the arithmetic of slot_rows(), which wraps at 32 bits by itself
+            h = row + np.arange(at + 1, min(size, at + STEP) + 1, dtype=np.uint32) * odd
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+            took = ((h.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+            if not whole:
+                took = took[(took >= low) & (took < low + len(x))] - low
+            counts[i] += len(took)
+            sums[i] += x[took].sum(axis=0)
+    return counts, sums
+
+
+def _large(rows: DataFrame, keys: list[str], names: list[str], n: int, seed: int, sizes: DataFrame, slab: int) -> DataFrame:
+    """resampled_sums() of the groups in `sizes` (_name, keys, _size)."""
+    slab = max(1, slab // len(names))
+    blocks = F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(F.col("_size") * n / WORK))).cast("int")
+    sizes = sent(sizes.withColumns({"_root": hash_int(seed, *keys), "_blocks": blocks}))
+    tasks = sizes.agg(F.sum(F.col("_blocks") * F.ceil(F.col("_size") / slab))).first()[0]
+    mine = rows.select(_name(keys), "_h", *names).join(sizes.select("_name", "_root", "_size", "_blocks"), "_name").withColumn("_one", F.lit(1))
+    placed = prefix_sums(mine, ["_h", *names], "_one", F.substring("_h", 1, 3), "_place", ["_name"]).drop("_one", "_h")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_place")[names].to_numpy("<f8")
+        return pdf[["_name", "_slab", "_root", "_size", "_blocks"]].iloc[:1].assign(_x=[x.tobytes()])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                *of, depth, base, count, t, parts = row
-                left = np.full(n, count, np.int64) if t is None else np.frombuffer(t, "<i8").copy()
-                g, rows = np.random.Generator(np.random.Philox(key=[seed, int(base)])), int(count)
-                for part in parts:
-                    mine = g.binomial(left, min(1.0, part["_count"] / rows)) if rows > part["_count"] else left.copy()
-                    left, rows = left - mine, rows - part["_count"]
-                    out.append((*of, depth, part["_to"], part["_count"], mine.astype("<i8").tobytes()))
-            yield pd.DataFrame(out, columns=[*keys, "_depth", "_leaf", "_count", "_t"])
-
-    done = None
-    for level in range(digits):
-        parts = cells.where(F.col("_depth") > level).groupBy(*(F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)), F.substring("_cell", 1, level).alias("_from"), F.substring("_cell", 1, level + 1).alias("_to"))
-        parts = parts.agg(F.sum("_count").alias("_count")).groupBy(*(f"_of{i}" for i in range(len(keys))), "_from")
-        parts = parts.agg(F.sort_array(F.collect_list(F.struct("_to", "_count"))).alias("_parts"))  # at most 16
-        on = F.col("_leaf") == F.col("_from")
-        for i, k in enumerate(keys):
-            on = on & F.col(k).eqNullSafe(F.col(f"_of{i}"))
-        base = hash_int(seed, *keys, "_leaf")
-        going = nodes.where(F.col("_depth") > level).join(parts, on).select(*keys, "_depth", base.alias("_base"), "_count", "_t", "_parts")
-        nodes = cut(going.mapInPandas(split, schema), "resample-level")
-        full = nodes.where(F.col("_depth") == level + 1)
-        done = full if done is None else done.unionByName(full)
-    return done.select(*keys, "_leaf", "_t")
-
-
-def resampled_sums(df: DataFrame, keys: list[str], values: dict[str, Column], n: int, seed: int, order: list[str], leaf: int = LEAF) -> DataFrame:
+            for r in pdf.to_dict("records"):
+                x = np.frombuffer(r["_x"], "<f8").reshape(-1, len(names))
+                reps = np.arange(r["_block"] * n // r["_blocks"], (r["_block"] + 1) * n // r["_blocks"])
+                counts, sums = _drawn(x, r["_root"], r["_size"], r["_slab"] * slab, reps)
+                yield pd.DataFrame({"_name": r["_name"], "rep": reps.astype(np.int32), "_n": counts} | {c: sums[:, i] for i, c in enumerate(names)})
+
+    slabs = placed.withColumn("_slab", F.floor(F.col("_place") / slab)).groupBy("_name", "_slab").applyInPandas(pack, "_name string, _slab long, _root long, _size long, _blocks int, _x binary")
+    each = cut(slabs, "resample-slabs").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # a task for each slab and block, dealt by turns: a slab's values are up to 32 MB, so that a task shall not hold many
+    sums = each.repartition(min(tasks, 20_000)).mapInPandas(draw, "_name string, rep int, _n long, " + ", ".join(f"`{c}` double" for c in names))
+    return sums.groupBy("_name", "rep").agg(F.sum("_n").alias("_n"), *(F.sum(c).alias(c) for c in names)).join(sizes.select("_name", *keys), "_name").select(*keys, "rep", "_n", *names)
+
+
+def _name(keys: list[str]) -> Column:
+    """One column for a group, null keys and all."""
+    return (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("_name")
+
+
+def resampled_sums(df: DataFrame, keys: list[str], values: dict[str, Column], n: int, seed: int, order: list[str], leaf: int = LEAF, slab: int = SLAB) -> DataFrame:
     """keys, rep (0 .. n - 1), _n and the sum of each value over the rows that a resample draws: n resamples of every group
-    with a complete row, each of as many draws as the group has such rows. `order` is the rows' key; rows that share
-    one stay in one leaf. Null keys are groups."""
+    with a complete row, each of as many draws as the group has such rows. `order` is the rows' key. Null keys are groups."""
     rows = df.select(*keys, order_key(seed, *order).alias("_h"), *(v.cast("double").alias(c) for c, v in values.items())).na.drop(subset=list(values))
     rows = cut(rows, "resample-rows")
     names = list(values)
     kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
     schema = f"{kinds}_base long, rep int, _n long, " + ", ".join(f"`{c}` double" for c in names)
 
-    def draw(pdf: pd.DataFrame, t: np.ndarray | None) -> pd.DataFrame:
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(["_h", *names], kind="stable")[names].to_numpy(float)
         size = len(x)
-        sums, counts = np.empty((n, len(names))), np.full(n, size, np.int64) if t is None else t
+        sums = np.empty((n, len(names)))
         for at in range(0, n, BLOCK):
-            reps, many = np.arange(at, min(n, at + BLOCK)), counts[at : at + BLOCK]
-            for low in range(0, int(many.max(initial=0)), 4 * LEAF):  # a leaf of rows that share a key may be longer
-                slots = np.arange(low, min(int(many.max()), low + 4 * LEAF))
-                took = slot_rows(int(pdf["_base"].iloc[0]), reps, int(slots[-1]) + 1, size)[:, low:]
-                weight = (slots < many[:, None]).astype(float) if t is not None else None
-                for c in range(len(names)):
-                    drawn = x[took, c] if weight is None else x[took, c] * weight
-                    sums[reps, c] = drawn.sum(axis=1) + (sums[reps, c] if low else 0.0)
-            if not many.max(initial=0):
-                sums[reps] = 0.0
-        out = pd.DataFrame({k: pdf[k].iloc[[0] * n].to_numpy() for k in keys} | {"_base": pdf["_base"].iloc[0], "rep": np.arange(n, dtype=np.int32), "_n": counts})
+            reps = np.arange(at, min(n, at + BLOCK))
+            took = slot_rows(int(pdf["_base"].iloc[0]), reps, size, size)
+            for c in range(len(names)):
+                sums[reps, c] = x[took, c].sum(axis=1)
+        out = pd.DataFrame({k: pdf[k].iloc[[0] * n].to_numpy() for k in keys} | {"_base": pdf["_base"].iloc[0], "rep": np.arange(n, dtype=np.int32), "_n": size})
         for c, name in enumerate(names):
             out[name] = sums[:, c]
         return out
 
-    cells, digits = _leaf_counts(rows, keys, leaf)
-    if cells is None:
-        whole = rows.withColumn("_base", hash_int(seed, *keys))
-        return whole.groupBy(*(keys or ["_base"])).applyInPandas(lambda pdf: draw(pdf, None), schema).drop("_base")
-    # a cell holds some `leaf` rows, so that no join key is hot; groups that are one leaf aren't in `cells`
-    sides = cells.select(*(F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)), F.col("_cell"), "_depth")
-    on = F.substring("_h", 1, digits) == F.col("_cell")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_of{i}"))
-    placed = rows.join(sides, on, "left").withColumn("_leaf", F.when(F.col("_depth").isNull(), "").otherwise(F.expr("substring(_h, 1, _depth)")))
-    placed = placed.select(*keys, "_h", *names, "_leaf", hash_int(seed, *keys, F.when(F.col("_leaf") != "", F.col("_leaf"))).alias("_base"))
-    # one column names a leaf, null keys and all
-    name = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys), "_leaf").alias("_name")
-    settled = _settle(cells, keys, digits, n, seed).select(name, "_t")
-
-    def drawn(pdf: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({c: [] for c in [*keys, "_base", "rep", "_n", *names]})
-        return draw(pdf, np.frombuffer(t["_t"].iloc[0], "<i8") if len(t) else None)
-
-    parts = placed.select("*", name).groupBy("_name").cogroup(settled.groupBy("_name")).applyInPandas(drawn, schema)
-    return parts.groupBy(*keys, "rep").agg(F.sum("_n").alias("_n"), *(F.sum(c).alias(c) for c in names))
+    small = lambda of: of.withColumn("_base", hash_int(seed, *keys)).groupBy(*(keys or ["_base"])).applyInPandas(draw, schema).drop("_base")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > leaf).withColumn("_name", _name(keys))
+    sizes = sent(sizes)
+    if sizes.isEmpty():
+        return small(rows)
+    rest = rows.withColumn("_name", _name(keys)).join(sizes.select("_name"), "_name", "left_anti").drop("_name")
+    return small(rest).unionByName(_large(rows, keys, names, n, seed, sizes, slab))

@@ -1,6 +1,7 @@
 """Gram-state models, exact bootstraps and the snapshot log against brute force."""
 
 import collections
+import hashlib
 import os
 import re
 
@@ -141,6 +142,23 @@ def test_multiplicities_are_multinomial(spark):
         assert np.cov(w.T)[~np.eye(4, dtype=bool)] == pytest.approx([-1 / 64] * 12, abs=0.08)
 
 
+def test_large_groups_draw_the_slots(spark):
+    """Groups over a leaf take the rows that slot_sql() names, in one slab or several, null keys and all."""
+    r = np.random.default_rng(8)
+    rows = [(g, i, float(r.normal()), float(i)) for g, many in (("a", 5000), (None, 70), ("b", 3)) for i in range(many)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, z double")
+    md5 = lambda *v: hashlib.md5("|".join(map(str, v)).encode()).hexdigest()
+    for leaf, slab in ((B.LEAF, B.SLAB), (60, 128)):
+        got = B.resampled_sums(df, ["g"], {"x": F.col("x"), "z": F.col("z")}, 40, 3, ["id"], leaf, slab).collect()
+        assert len(got) == 120
+        for g in ("a", None, "b"):
+            mine = np.array([(x, z) for _, _, x, z in sorted((q for q in rows if q[0] == g), key=lambda q: md5(3, q[1]))])
+            took = B.slot_rows(int(md5(*(v for v in (3, g) if v is not None))[:8], 16), np.arange(40), len(mine), len(mine))
+            want = mine[took].sum(axis=1)
+            for q in (q for q in got if q.g == g):
+                assert q._n == len(mine) and (q.x, q.z) == pytest.approx(tuple(want[q.rep]), abs=1e-6)
+
+
 def test_hash_is_even():
     """Draws hit every row alike, whatever the group, the resample and the slot."""
     for base in (0, 1, 2**32 - 1, 123456789):
