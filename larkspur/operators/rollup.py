@@ -228,18 +228,18 @@ def mean_embedding(df: DataFrame, key: list[str], vec: str) -> DataFrame:
 
 def fill(df: DataFrame, keys: list[str], order: list[str], col: str, parts: int = 200) -> DataFrame:
     """Forward, then backward fill. Rows are cut at quantiles of the first (numeric) order column: what a range leaves
-    open comes from the ranges around it, so no window runs over a whole group."""
+    open comes from the ranges around it, so no window runs over a whole group. A row that nothing precedes, in its range or
+    before, takes its range's first value; no window looks ahead, which would read the rest of the range for each row."""
     rows = value_buckets(df, keys, order[0], parts).withColumnRenamed("bucket", "_b")
     at = F.when(F.col(col).isNotNull(), F.struct(*order))
     ends = rows.groupBy(*keys, "_b").agg(F.min_by(col, at).alias("_first"), F.max_by(col, at).alias("_last"))
     along = Window.partitionBy(*keys).orderBy("_b")
     before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.join(ends.select(*keys, "_b", before.alias("_before"), after.alias("_after")), [*keys, "_b"])
+    rows = rows.join(ends.select(*keys, "_b", "_first", before.alias("_before"), after.alias("_after")), [*keys, "_b"])
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     fwd = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bwd = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn(col, F.coalesce(fwd, F.col("_before"), bwd, F.col("_after"))).select(*(F.col(f"`{c}`") for c in df.columns))
+    return rows.withColumn(col, F.coalesce(fwd, F.col("_before"), F.col("_first"), F.col("_after"))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def cumulative_threshold(df: DataFrame, keys: list[str], order: str, value: str, share: float) -> DataFrame:

@@ -196,7 +196,10 @@ def value_buckets(df: DataFrame, by: list[str], col: str, parts: int = 200) -> D
     cuts = df.groupBy(*by).agg(F.percentile_approx(col, marks, 10 * parts).alias("_every"), F.count(col).alias("_n"))
     step = F.ceil(F.lit(parts) / F.ceil(F.greatest(F.col("_n"), F.lit(1)) / ROWS))
     cuts = cuts.select(*by, F.filter("_every", lambda c, i: (i + 1) % step == 0).alias("_cuts"))
-    at = F.when(F.col(col).isNull() | F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(col))))
+    # binary steps over the sorted cuts: the largest number of them that all lie below the value
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(parts.bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("_cuts", n + step - 1) < F.col(col), n + step).otherwise(n))
+    at = F.when(F.col(col).isNull() | F.col("_cuts").isNull(), -1).otherwise(below)
     rows = df.join(cuts, by, "left") if by else df.crossJoin(F.broadcast(cuts))
     return rows.withColumn("bucket", at).drop("_cuts")
 

@@ -334,6 +334,23 @@ def test_spearman_by_ranges(spark, monkeypatch, window):
     assert matrix == pytest.approx({("x", "y"): statistics.correlation([rank(v, x) for v in x], [rank(v, y) for v in y]), ("x", "x"): 1.0})
 
 
+def test_fill_looks_ahead_in_no_range(spark):
+    """A frame from the row to its range's end is read again for each row: none is in the plan."""
+    df = spark.createDataFrame([("a", i, None if i < 4 or i % 3 else i) for i in range(30)], "g string, t int, v int")
+    out = R.fill(df, ["g"], ["t"], "v", 4)
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.v for r in out.orderBy("t").collect()] == [max(6, i // 3 * 3) for i in range(30)]
+
+
+def test_value_buckets_count_the_cuts_below(spark, monkeypatch):
+    monkeypatch.setattr(X, "ROWS", 1)
+    df = spark.range(500).selectExpr("id % 2 AS g", "CASE WHEN id % 50 = 0 THEN NULL ELSE CAST(id * 37 % 101 AS DOUBLE) END AS v")
+    for parts in (2, 7, 64, 200):
+        cuts = {r.g: r.c for r in df.groupBy("g").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10 * parts).alias("c")).collect()}
+        for r in X.value_buckets(df, ["g"], "v", parts).collect():
+            assert r.bucket == (-1 if r.v is None else sum(c < r.v for c in cuts[r.g]))
+
+
 def test_fill_across_ranges(spark):
     rng = random.Random(8)
     rows = [(g, i, rng.choice([None, None, None, i])) for g in "ab" for i in range(120)] + [("c", i, None) for i in range(5)] + [("d", i, 7 if i == 3 else None) for i in range(9)]
