@@ -7,6 +7,10 @@ children haven't been measured yet, they are asked for in the next pass together
 tree takes about as many passes as it has levels. Rows carry the residuals of all models; the trees since the last
 writing are applied on the fly, and residuals are written anew every KEEP trees.
 
+Where binned rows share few cells (bins of all features, fold, stopping row or not), number, mean and squared deviations of y
+in each cell are all that fitting needs: rows are added up to cells once, each model grows in one task over the cells, and
+predictions go back to the rows by their bins. CELLS bounds what a task holds; beyond it models grow by passes over the rows.
+
 A model stops when its loss on the hash-drawn tenth of its training rows hasn't improved for PATIENCE trees. What the
 driver holds are histograms and trees; their size depends on the settings only.
 """
@@ -16,23 +20,27 @@ from __future__ import annotations
 import dataclasses
 import heapq
 import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.sources.scratch import cut
+from larkspur.sources.scratch import cut, sent
 
 BINS, KEEP, PATIENCE, TOL = 255, 10, 10, 1e-7
 #: One in HELD of a model's training rows decides when it stops.
 HELD = 10
+#: Cells up to which a model grows in one task: about 60 MB of numbers.
+CELLS = 1_000_000
 #: The grid: largest number of leaves, fewest rows of a leaf, penalty on leaf values.
 GRID = tuple(itertools.product((15, 31), (50, 200), (0.0, 1.0)))
 
 
-@dataclasses.dataclass
+@dataclasses.dataclass(slots=True)
 class Split:
     node: int
     feature: int
@@ -41,7 +49,7 @@ class Split:
     right: int
 
 
-@dataclasses.dataclass
+@dataclasses.dataclass(slots=True)
 class Tree:
     """Splits in the order in which they apply, and the leaves' values by node."""
 
@@ -90,6 +98,45 @@ class Model:
             best = (float(gain[f, b]), int(f), int(b))
         self.known[node] = (int(n), float(g), best)
 
+    def judge(self, n: float, square: float, last: bool) -> None:
+        """Stop if the loss on the stopping rows is, for PATIENCE trees, no better than before these."""
+        if self.done:
+            return
+        self.losses.append(square / n / 2 if n else 0.0)
+        recent = self.losses[-PATIENCE:]
+        self.done = last or len(self.losses) > PATIENCE and not any(v < self.losses[-PATIENCE - 1] - TOL for v in recent)
+
+    def fit(self, bins: np.ndarray, n: np.ndarray, mean: np.ndarray, square: np.ndarray, held: np.ndarray, rounds: int) -> None:
+        """All trees from cells: their bins, number of rows, mean and squared deviations of y, and whether they decide when to stop."""
+        use, width, many = ~held, int(bins.max(initial=0)) + 1, bins.shape[1]
+        mine, weight, resid = np.ascontiguousarray(bins[use]), n[use].astype(float), np.full(len(n), self.base) - mean
+        for turn in range(rounds + 1):
+            if self.done:
+                break
+            self.begin()
+            self.judge(n[held].sum(), (square[held] + n[held] * resid[held] ** 2).sum(), turn == rounds)
+            wanted, tree, gradient = ([] if self.done else [0]), None, weight * resid[use]
+            while wanted:
+                node = tree.nodes(mine) if tree else np.zeros(len(mine), np.int64)
+                place = np.full(max(int(node.max(initial=0)), *wanted) + 1, -1)
+                place[wanted] = np.arange(len(wanted))
+                slot = place[node]
+                at = np.flatnonzero(slot >= 0)
+                hist, size = np.zeros((len(wanted), many, width, 2)), len(wanted) * width
+                for j in range(many):
+                    cell = slot[at] * width + mine[at, j]
+                    hist[:, j, :, 0] = np.bincount(cell, weight[at], minlength=size).reshape(-1, width)
+                    hist[:, j, :, 1] = np.bincount(cell, gradient[at], minlength=size).reshape(-1, width)
+                for w, h in zip(wanted, hist):
+                    self.measure(w, h)
+                tree, wanted = self.grow()
+            if not self.done:
+                if tree.splits:
+                    self.trees.append(tree)
+                    resid += tree.predict(bins)
+                else:
+                    self.done = True
+
     def grow(self) -> tuple[Tree, list[int]]:
         """(the tree by what is known, the nodes to measure before it is final): best-first, as far as the children of a
         split are known; where they aren't, they are wanted, and the others go on."""
@@ -140,14 +187,22 @@ class Boosting:
         table = rows.select(F.col(key).alias("key"), F.col(y).cast("double").alias("y"), code.cast("int").alias("fold"), (F.pmod(F.xxhash64(F.col(key), F.lit("stop")), F.lit(HELD)) == 0).alias("held"),
             F.array(*map(self._bin, xs, self.edges)).alias("bins"))
         self.kind = rows.schema[key].dataType.simpleString()
-        self.table = cut(table.withColumn("resid", F.lit(None).cast("array<double>")), "boost-rows")
+        table = self.table = cut(table.withColumn("resid", F.lit(None).cast("array<double>")), "boost-rows")
         if self.folds:
             self._start()
-            self._run(rounds)
+            cells = table.groupBy("bins", "fold", "held").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), (F.count(F.lit(1)) * F.var_pop("y")).alias("square"))
+            cells = cut(cells, "boost-cells")
+            if cells.count() <= CELLS:
+                self._fit_cells(cells, rounds)
+            else:
+                self._run(rounds)
 
     @staticmethod
     def _bin(x: str, edges: list[float]):
-        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda v: v < F.col(x).cast("double"))) if edges else F.lit(0)
+        if not edges:
+            return F.lit(0)
+        steps, cuts = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length())))), F.array(*map(F.lit, edges))
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) < F.col(x).cast("double"), n + step).otherwise(n))
 
     def _start(self) -> None:
         """The mean of each model's training rows is its first prediction."""
@@ -158,6 +213,40 @@ class Boosting:
             m.base, m.done = (sum(v[1] for v in of) / n if n else 0.0), not n
         self.written = [0] * len(self.models)
 
+    def _fit_cells(self, cells: DataFrame, rounds: int) -> None:
+        """A task a model, over the cells; then the rows get the predictions of their bins."""
+        models, names = self.models, self.folds
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            i = int(pdf["model"].iloc[0])
+            m, pdf = models[i], pdf.sort_values(["fold", "held", "order"])
+            if m.fold is not None:
+                pdf = pdf[pdf["fold"] != names.index(m.fold)]
+            m.fit(np.stack(pdf["bins"]).astype(np.int64), *(pdf[c].to_numpy() for c in ("n", "mean", "square", "held")), rounds)
+            return pd.DataFrame({"model": [i], "made": [pickle.dumps((m.trees, m.losses))]})
+
+        each = cells.withColumn("order", F.concat_ws(" ", F.transform("bins", lambda b: F.lpad(b.cast("string"), 4, "0"))))
+        todo = [F.lit(i) for i, m in enumerate(models) if not m.done]
+        each = each.withColumn("model", F.explode(F.array(*todo).cast("array<int>"))).repartitionByRange(len(models), "model")
+        for r in each.groupBy("model").applyInPandas(fit, "model int, made binary").collect():  # a row a model
+            self.models[r["model"]].trees, self.models[r["model"]].losses = pickle.loads(r["made"])
+            self.models[r["model"]].done = True
+        trees, bases, many = [m.trees for m in self.models], [m.base for m in self.models], len(self.xs)
+        made = self.table.sparkSession.sparkContext.broadcast((trees, bases))
+
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, bases = made.value
+            for batch in batches:
+                if batch.num_rows:
+                    bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, many)
+                    pred = np.stack([b + sum((t.predict(bins) for t in some), np.zeros(len(bins))) for b, some in zip(bases, trees)], axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column("bins"), pa.array(pred.tolist(), pa.list_(pa.float64()))], ["bins", "pred"])
+
+        preds = cells.select("bins").distinct().repartition(4 * len(models)).mapInArrow(predict, "bins array<int>, pred array<double>")
+        rows = self.table.drop("resid").join(sent(preds), "bins")
+        self.table = cut(rows.select("key", "y", "fold", "held", "bins", F.transform("pred", lambda p: p - F.col("y")).alias("resid")), "boost-rows")
+        self.written = [len(m.trees) for m in self.models]
+
     @staticmethod
     def _residuals(batch: pa.RecordBatch, bins: np.ndarray, trees: list[list[Tree]], bases: list[float]) -> np.ndarray:
         """rows x models: prediction less y."""
@@ -228,7 +317,8 @@ class Boosting:
             while any(wanted):
                 hist, loss = self._pass(wanted, growing)
                 if first:
-                    self._judge(loss, turn == rounds)
+                    for m, (n, square) in zip(self.models, loss):
+                        m.judge(n, square, turn == rounds)
                     first = False
                 at = 0
                 for i, m in enumerate(self.models):
@@ -246,15 +336,6 @@ class Boosting:
                 self._write()
         self._write()
 
-    def _judge(self, loss: np.ndarray, last: bool) -> None:
-        """Stop the models whose loss on their stopping rows is, for PATIENCE trees, no better than before these."""
-        for m, (n, square) in zip(self.models, loss):
-            if m.done:
-                continue
-            m.losses.append(square / n / 2 if n else 0.0)
-            recent = m.losses[-PATIENCE:]
-            m.done = last or len(m.losses) > PATIENCE and not any(v < m.losses[-PATIENCE - 1] - TOL for v in recent)
-
     def _write(self) -> None:
         trees, bases, many = [m.trees[w:] for m, w in zip(self.models, self.written)], [m.base for m in self.models], len(self.xs)
         residuals = self._residuals

@@ -503,6 +503,20 @@ def test_boosting(spark):
     assert all(q.pred == pytest.approx(kept[best, None][q.id]) for q in boost.predict(df.drop("y", "f")).collect())
 
 
+def test_boosting_by_cells(spark, monkeypatch):
+    """Few cells are fitted without a pass over the rows, with the same trees and scores as by passes."""
+    df = spark.range(3000).selectExpr("id", "CAST(id * 31 % 23 AS DOUBLE) AS a", "CAST(id * 7 % 11 AS DOUBLE) AS b", "sin(id * 31 % 23) + id * 7 % 11 / 5 + id * 13 % 17 / 20 AS y", "id % 3 AS f")
+    make = lambda: BO.Boosting(df, ["a", "b"], "y", "f", "id", grid=((6, 10, 0.0), (4, 50, 1.0)), rounds=4, rate=0.3)
+    rows = lambda b: {(q.leaves, q.fold): (q.trees, q.n, round(q.r2, 9)) for q in b.scores().collect()}
+    monkeypatch.setattr(BO, "CELLS", 0)
+    by_passes = make()
+    monkeypatch.undo()
+    monkeypatch.setattr(BO.Boosting, "_pass", None)
+    by_cells = make()
+    assert rows(by_cells) == rows(by_passes) and len(rows(by_cells)) == 6
+    assert [[t.splits for t in m.trees] for m in by_cells.models] == [[t.splits for t in m.trees] for m in by_passes.models]
+
+
 def test_boosting_edges(spark):
     """Nothing to split, more distinct values than bins, and an empty table."""
     flat = spark.range(30).selectExpr("id", "1.0D AS a", "CAST(id AS DOUBLE) AS y", "id % 2 AS f")
