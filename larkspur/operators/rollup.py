@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import fmt2
+from larkspur.sources.scratch import cut
 
-from .screen import value_buckets
+from .screen import prefix_sums, value_buckets
 
 
 def rollup(df: DataFrame, keys: list[str], means: list[str], firsts: list[str] | None = None, order: str | None = None, count: str = "n_ratings") -> DataFrame:
@@ -38,11 +39,32 @@ def top_text(df: DataFrame, keys: list[str], col: str, k: int, share: bool = Fal
 
 
 def describe_by(df: DataFrame, keys: list[str], cols: list[str], qs: list[float], exact: bool = True) -> DataFrame:
-    """count, mean, sd, extremes and quantiles per group and column, in long form. exact=False bounds memory for huge groups."""
-    long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols))).alias("m")).select(*keys, "m.*")
-    q = lambda x: F.percentile("value", F.lit(x)) if exact else F.percentile_approx("value", x)
-    return long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"), *(q(x).alias(f"q{round(100 * x)}") for x in qs))
+    """count, mean, sd, extremes and quantiles per group and column, in long form. Exact quantiles are read off the running
+    counts of the distinct values, which are cut into ranges, so that no task holds a group's values; exact=False takes
+    approximate ones."""
+    num = lambda c: F.col(c).cast("double")
+    some = lambda c: [f(num(c)).alias(n) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.stddev_samp, "sd"), (F.min, "lo"), (F.max, "hi"))]
+    near = lambda c: [] if exact else [F.percentile_approx(num(c), F.lit(x)).alias(f"q{round(100 * x)}") for x in qs]
+    flat = df.groupBy(*keys).agg(*(a.alias(f"_{i}_{j}") for i, c in enumerate(cols) for j, a in enumerate([*some(c), *near(c)])))
+    names = ["n", "mean", "sd", "lo", "hi", *([] if exact else [f"q{round(100 * x)}" for x in qs])]
+    rows = flat.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), *(F.col(f"_{i}_{j}").alias(n) for j, n in enumerate(names))) for i, c in enumerate(cols)))).alias("m")).select(*keys, "m.*")
+    if not exact:
+        return rows
+    long = df.select(*keys, *(num(c).alias(f"_v{i}") for i, c in enumerate(cols))).unpivot([*keys], [f"_v{i}" for i in range(len(cols))], "_m", "_v")
+    counts = long.where("_v IS NOT NULL").groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # null keys are groups, so one column that is never null stands for a group
+    counts = cut(counts.select(F.to_json(F.struct(*keys)).alias("_g"), "_m", "_v", "_n"), "describe-counts")
+    run = prefix_sums(value_buckets(counts, ["_g", "_m"], "_v"), ["_v"], "_n", F.col("bucket"), "_before", ["_g", "_m"])
+    run = run.join(counts.groupBy("_g", "_m").agg(F.sum("_n").alias("_all")), ["_g", "_m"])
+    at = lambda x: (F.col("_all") - 1) * F.lit(float(x))
+    held = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_v")))
+    ends = [f(at(x)) for x in qs for f in (F.floor, F.ceil)]
+    got = run.groupBy("_g", "_m").agg(F.max("_all").alias("_all"), *(held(k).alias(f"_e{i}") for i, k in enumerate(ends)))
+    share = lambda x: at(x) - F.floor(at(x))
+    q = [(F.col(f"_e{2 * i}") * (1 - share(x)) + F.col(f"_e{2 * i + 1}") * share(x)).alias(f"q{round(100 * x)}") for i, x in enumerate(qs)]
+    which = F.create_map(*(v for i, c in enumerate(cols) for v in (F.lit(f"_v{i}"), F.lit(c))))
+    got = got.select("_g", which[F.col("_m")].alias("metric"), *q)
+    return rows.withColumn("_g", F.to_json(F.struct(*keys))).join(got, ["_g", "metric"], "left").drop("_g")
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:

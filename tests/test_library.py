@@ -334,6 +334,22 @@ def test_spearman_by_ranges(spark, monkeypatch, window):
     assert matrix == pytest.approx({("x", "y"): statistics.correlation([rank(v, x) for v in x], [rank(v, y) for v in y]), ("x", "x"): 1.0})
 
 
+def test_describe_by_ranges(spark, monkeypatch):
+    """Quantiles over several ranges of values, with null keys, null values and columns without any; no task collects a group."""
+    monkeypatch.setattr(X, "ROWS", 7)
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(60)), rng.random()]), None) for _ in range(400)]
+    out = R.describe_by(spark.createDataFrame(rows, "g string, x double, z double"), ["g"], ["x", "z"], [0.0, 0.25, 0.5, 0.9])
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.g, r.metric): r for r in out.collect()}
+    assert len(got) == 6
+    for g in ("a", "b", None):
+        v = np.array([x for h, x, _ in rows if h == g and x is not None])
+        r = got[g, "x"]
+        assert (r.n, r.mean, r.sd, r.lo, r.hi, r.q0, r.q25, r.q50, r.q90) == pytest.approx((len(v), v.mean(), v.std(ddof=1), v.min(), v.max(), *np.quantile(v, [0, 0.25, 0.5, 0.9])))
+        assert got[g, "z"].n == 0 and got[g, "z"].q50 is None
+
+
 def test_fill_looks_ahead_in_no_range(spark):
     """A frame from the row to its range's end is read again for each row: none is in the plan."""
     df = spark.createDataFrame([("a", i, None if i < 4 or i % 3 else i) for i in range(30)], "g string, t int, v int")
