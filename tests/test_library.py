@@ -350,6 +350,24 @@ def test_describe_by_ranges(spark, monkeypatch):
         assert got[g, "z"].n == 0 and got[g, "z"].q50 is None
 
 
+def test_places_join_by_no_group(spark):
+    """No shuffle has the group alone as its key; sizes and places are right."""
+    df = spark.range(400).selectExpr("id", "id % 2 AS g", "id * 37 % 401 AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = X.places(df, ["g"], ["v"])._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+        assert joins and all("_b#" in line for line in joins)
+        rows = X.places(df, ["g"], ["v"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for g in (0, 1):
+        mine = sorted((r for r in rows if r.g == g), key=lambda r: r.v)
+        assert [(r.place, r.group_rows) for r in mine] == [(i, 200) for i in range(200)]
+
+
 def test_fill_looks_ahead_in_no_range(spark):
     """A frame from the row to its range's end is read again for each row: none is in the plan."""
     df = spark.createDataFrame([("a", i, None if i < 4 or i % 3 else i) for i in range(30)], "g string, t int, v int")
