@@ -4,8 +4,10 @@ import collections
 import hashlib
 import os
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,6 +435,59 @@ def test_text_ridge(spark):
     assert TR.text_ridge(df.limit(0), "text", "y", "id").collect() == []
 
 
+def test_text_ridge_holds_no_number_of_a_term(spark, monkeypatch):
+    """With about 40,000 shared terms the driver holds numbers of the texts only. Systems solved one by one, as where they are
+    too many to be held together, equal dense ridges over the texts' products in closed form."""
+    monkeypatch.setattr(TR, "HELD", 1, raising=False)
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in r.integers(0, 3000, 2000)) for _ in range(12)] * 2
+    rows = [(i, t, float(i % 12 % 5 + 0.3 * r.normal())) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string, y double").repartition(3)
+    cell = np.array([(q.f, q.i) for q in df.select("id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("f"), F.pmod(F.xxhash64("id", F.lit("inner")), F.lit(5)).alias("i")).orderBy("id").collect()])
+    tracemalloc.start()
+    got = {q.fold: (q.alpha, q.n, q.r2) for q in TR.text_ridge(df, "text", "y", "id", (0.5,), folds=3).collect()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    counts = [collections.Counter((w := t.split()) + [f"{a} {b}" for a, b in zip(w, w[1:])]) for t in texts]
+    at, y, want = {x: j for j, x in enumerate(sorted(set().union(*counts)))}, np.array([q[2] for q in rows]), {}
+    tf = np.zeros((len(texts), len(at)))
+    for i, c in enumerate(counts):
+        tf[i, [at[w] for w in c]] = list(c.values())
+    for f in sorted(set(cell[:, 0].tolist())):
+        train, test = cell[:, 0] != f, cell[:, 0] == f
+        known = (tf[train] > 0).sum(axis=0)
+        x = tf * np.where(known > 0, np.log((1 + train.sum()) / (1 + known)) + 1, 0)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x -= x[train].mean(axis=0)
+        a = np.linalg.solve(x[train] @ x[train].T + 0.5 * np.eye(train.sum()), y[train] - y[train].mean())
+        pred = y[train].mean() + x[test] @ (x[train].T @ a)
+        if (train & (cell[:, 1] == 0)).any():
+            want[f] = (0.5, int(test.sum()), pytest.approx(1 - ((y[test] - pred) ** 2).mean() / y[test].var(), abs=1e-5))
+    assert len(want) > 1 and got == want
+
+
+def test_text_tiles(monkeypatch):
+    """Terms stay whole in a tile, however batches and tiles cut their rows."""
+    r = np.random.default_rng(1)
+    rows = sorted((f"t{t:03}", int(no), int(r.integers(1, 9))) for t in range(60) for no in r.choice(40, r.choice([1, 2, 5, 30]), replace=False))
+    by = collections.defaultdict(list)
+    for t, no, tf in rows:
+        by[t].append((no, tf))
+    table = pa.table({"term": [q[0] for q in rows], "no": pa.array([q[1] for q in rows], pa.int32()), "tf": pa.array([q[2] for q in rows], pa.int32())})
+    for tile, batch in ((1, 1), (1, 7), (100, 3), (10**6, 10), (10**6, 10**6)):
+        monkeypatch.setattr(TR, "TILE", tile)
+        shared, own = [], []
+        for out in TR._packed(iter(table.to_batches(max_chunksize=batch))):
+            no, tf, texts, own_no, own_tf = (next(TR._ints(c)).tolist() for c in out.columns)
+            own += zip(own_no, own_tf)
+            for k in texts:
+                shared.append(list(zip(no[:k], tf[:k])))
+                no, tf = no[k:], tf[k:]
+            assert not no
+        assert shared == [v for v in by.values() if len(v) > 1] and own == [v[0] for v in by.values() if len(v) == 1]
+
+
 # ---- boosting
 
 
