@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from larkspur.functions.scores import order_key
 from larkspur.sources.scratch import cut
 
+#: Rows whose distances to all models' centres are held at a time; they stay in a core's cache.
+ROWS = 256
+
 
 def clusters(train: DataFrame, apply: DataFrame, key: str, vec: str, ks: range, pca: int = 50, sample: int = 5000, seed: int = 1, starts: int = 10) -> DataFrame:
     """Scaled, reduced and clustered by k-means: of `starts` starts the one with the lowest inertia for each k, then the k
@@ -58,6 +61,23 @@ def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return _distances(x, centres).argmin(axis=1)
 
 
+def assigned(x: np.ndarray, centres: np.ndarray, ends: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For models whose centres follow each other (`sizes` of them, up to `ends`): 1 where a centre is a model's nearest to
+    a row, the first of equal ones, else 0 (centres x rows), and those least distances (models x rows), less each row's own
+    square."""
+    d = np.column_stack([-2 * centres, (centres * centres).sum(axis=1)]) @ np.column_stack([x, np.ones(len(x))]).T
+    low, one = np.minimum.reduceat(d, ends - sizes, axis=0), np.empty_like(d)
+    models = [slice(e - k, e) for e, k in zip(ends, sizes)]
+    for i, m in enumerate(models):
+        np.equal(d[m], low[i], out=one[m], casting="unsafe")
+    if one.sum() != low.size:  # a row has equally near centres
+        for m in models:
+            tied = np.flatnonzero(one[m].sum(axis=0) != 1)
+            one[m, tied] = 0
+            one[m.start + d[m, tied].argmin(axis=0), tied] = 1
+    return one, low
+
+
 def best_starts(rows: DataFrame, key: str, vec: str, ks: range, starts: int, seed: int, rounds: int = 100, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
     """For each k the centres with the lowest inertia, and that, of `starts` k-means fits. All fits advance in the same passes
     over the rows: a task multiplies its batches with the centres of all of them at once, adds up rows by centre, and
@@ -77,18 +97,13 @@ def best_starts(rows: DataFrame, key: str, vec: str, ks: range, starts: int, see
         def partial(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres, ends: np.ndarray = ends, sizes: list[int] = sizes) -> Iterator[pa.RecordBatch]:
             sums, counts, costs = np.zeros_like(centres), np.zeros(len(centres), np.int64), np.zeros(len(sizes))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column("v"))
-                d, own = _distances(x, centres), (x * x).sum()
-                for i, (e, k) in enumerate(zip(ends, sizes)):
-                    part = d[:, e - k : e]
-                    near = part.argmin(axis=1)
-                    costs[i] += own + part[np.arange(len(x)), near].sum()
-                    one = np.zeros((k, len(x)))
-                    one[near, np.arange(len(x))] = 1
-                    sums[e - k : e] += one @ x
-                    counts[e - k : e] += np.bincount(near, minlength=k)
+                rows = _matrix(batch.column("v")) if batch.num_rows else centres[:0]
+                for at in range(0, len(rows), ROWS):
+                    x = rows[at : at + ROWS]
+                    one, low = assigned(x, centres, ends, sizes)
+                    costs += (x * x).sum() + low.sum(axis=1)
+                    sums += one @ x
+                    counts += one.sum(axis=1).astype(np.int64)
             cost = np.zeros(len(centres))
             cost[ends - np.array(sizes)] = costs
             yield pa.record_batch({"at": pa.array(np.arange(len(centres), dtype=np.int32)), "n": pa.array(counts), "cost": pa.array(cost), "sums": pa.array(sums.tolist(), pa.list_(pa.float64()))})

@@ -358,6 +358,20 @@ def test_clusters(spark):
     assert M.clusters(df.limit(0), df, "id", "v", range(2, 4)).collect() == []
 
 
+def test_assigned():
+    """All models at once give each row one centre a model, the first of equally near ones, as one model at a time does."""
+    r = np.random.default_rng(2)
+    x, sizes = r.normal(size=(300, 5)).round(1), [2, 4, 1, 3]
+    ends, centres = np.cumsum(sizes), r.normal(size=(10, 5)).round(1)
+    centres[3] = centres[4] = centres[2]  # a model with three equal centres
+    x[:3], centres[7], centres[8] = 0.0, 1.0, -1.0  # rows between two centres
+    one, low = M.assigned(x, centres, ends, sizes)
+    for i, (e, k) in enumerate(zip(ends, sizes)):
+        near = M.nearest_centre(x, centres[e - k : e])
+        assert (one[e - k : e] == np.eye(k)[:, near]).all()
+        assert low[i] + (x * x).sum(axis=1) == pytest.approx(((x - centres[e - k : e][near]) ** 2).sum(axis=1))
+
+
 def test_caption_bounds(spark):
     """Percentiles are exact at any number of leading coordinates, also with ties; few products are needed where the vectors
     have few directions, and the moments of z need no pairs at all."""
