@@ -481,6 +481,18 @@ def test_text_ridge_holds_no_number_of_a_term(spark, monkeypatch):
     assert len(want) > 1 and got == want
 
 
+def test_text_ridge_control_holds_no_number_of_a_term(spark):
+    """Nor do the systems of texts dealt anew, all together."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in r.integers(0, 3000, 2000)) for _ in range(6)] * 2
+    df = spark.createDataFrame([(i, t, float(i % 5)) for i, t in enumerate(texts)], "id int, text string, y double")
+    tracemalloc.start()
+    got = TR.text_ridge(df, "text", "y", "id", (0.5, 5.0), folds=2, permutations=2).collect()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {q.permutation for q in got} == {1, 2} and peak < 5_000_000
+
+
 def test_text_tiles(monkeypatch):
     """Terms stay whole in a tile, however batches and tiles cut their rows."""
     r = np.random.default_rng(1)
