@@ -20,6 +20,7 @@ from larkspur.operators import similarity as E
 from larkspur.operators import stats as ST
 from larkspur.operators import text_ridge as TR
 from larkspur.sources import io as IO
+from larkspur.sources.scratch import folder
 from larkspur.sources.snapshots import Conflict, SnapshotLog
 
 
@@ -493,6 +494,32 @@ def test_text_ridge_control_holds_no_number_of_a_term(spark):
     assert {q.permutation for q in got} == {1, 2} and peak < 5_000_000
 
 
+def test_text_ridge_deals_without_texts(spark):
+    """Permutations are those of the md5 orders, worked out in plain Python; no text is dealt with them."""
+    rows = spark.range(40).select(F.col("id").alias("_key"), F.lit("a text").alias("text"), (F.col("id") * 1.0).alias("y"))
+    got = TR._variants(rows, "_key", 3, 2, 7)
+    assert got.columns == ["_key", "no", "at"]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    by = sorted(range(40), key=lambda k: md5(str(k)))
+    orders = [sorted(range(40), key=lambda k: md5(f"{7 + p}|{k}")) for p in range(2)]
+    want = {k: (by.index(k), [float(by[o.index(k)]) for o in orders]) for k in range(40)}
+    assert {q._key: (q.no, [a.y for a in q.at]) for q in got.collect()} == want
+
+
+def test_text_ridge_leaves_nothing(spark):
+    """Shuffles of hundreds of passes would fill the disks, as would a copy of the counts for each group of systems."""
+    files = lambda: set(filter(None, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    tables = lambda: {f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+    stood = tables()
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to = spark.conf.get(name)
+    df = spark.createDataFrame([(i, f"ab cd{i % 3} ef{i % 4} gh{i}", float(i % 5)) for i in range(30)], "id int, text string, y double")
+    assert len(TR.text_ridge(df, "text", "y", "id", (0.5, 5.0), folds=2, permutations=2).collect()) == 4
+    assert not [f for f in files() - before if "shuffle_" in f]
+    assert {t.rsplit("-", 1)[0] for t in tables() - stood} <= {"text-numbers", "text-variants"} and spark.conf.get(name) == set_to
+
+
 def test_text_tiles(monkeypatch):
     """Terms stay whole in a tile, however batches and tiles cut their rows."""
     r = np.random.default_rng(1)
