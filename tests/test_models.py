@@ -544,7 +544,7 @@ def test_text_ridge_counts_once_a_text(spark, monkeypatch):
         names = collections.defaultdict(set)
         for i, k, c in want:
             names[k].add((i, c))
-        assert len(got) == len(want) and sorted(map(sorted, by.values())) == sorted(map(sorted, names.values())) and all(len(t) == 16 for t in by)
+        assert len(got) == len(want) and sorted(map(sorted, by.values())) == sorted(map(sorted, names.values())) and all(len(t) == TR.DIGEST for t in by)
 
 
 def test_text_ridge_needs_few_passes(spark, monkeypatch):
